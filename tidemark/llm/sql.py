@@ -2,6 +2,45 @@
 
 from __future__ import annotations
 
+#: Sites (sources) on which a line must stand; lines are trimmed of blanks.
+OP2 = r"""
+WITH docs AS (SELECT doc_id, text, coalesce(source, chr(1)) AS site, string_split(text, chr(10)) AS lines FROM documents),
+lines AS (
+  SELECT doc_id, site, unnest(lines) AS raw, unnest(range(len(lines))) AS pos FROM docs WHERE text IS NOT NULL
+),
+named AS (SELECT *, trim(raw, E' \t\n\x0b\x0c\r') AS line FROM lines),
+common AS (
+  SELECT line, min(doc_id) AS first FROM named WHERE line <> '' GROUP BY line HAVING count(DISTINCT site) >= 10
+),
+marked AS (SELECT n.*, c.line IS NOT NULL AND n.doc_id <> c.first AS gone FROM named n LEFT JOIN common c USING (line)),
+cleaned AS (
+  SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_removed,
+         coalesce(string_agg(raw, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '') AS text
+  FROM marked GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed,
+       length(c.text) AS n_chars_left, md5(c.text) AS text_md5
+FROM documents d LEFT JOIN cleaned c ON d.doc_id = c.doc_id
+"""
+
+OP10 = r"""
+WITH sized AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents
+),
+per AS (SELECT source, count(*) AS n, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
+caps AS (
+  SELECT *, [3.0, 1.0, 2.0][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT]::DOUBLE AS w, source_size * 2.0::DOUBLE AS cap FROM per
+),
+levels AS (
+  SELECT *, (sum(source_size) OVER () * 1.5::DOUBLE - coalesce(sum(cap) OVER before, 0)) / (sum(w) OVER () - coalesce(sum(w) OVER before, 0)) AS level
+  FROM caps WINDOW before AS (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+),
+water AS (SELECT arg_min(level, cap / w) AS water FROM levels WHERE cap >= level * w)
+SELECT s.doc_id, s.size, l.source_size,
+       round(CASE WHEN l.source_size = 0 THEN 0 ELSE least(l.cap, coalesce(water * w, l.cap)) END, 3) AS target
+FROM sized s JOIN levels l ON s.source IS NOT DISTINCT FROM l.source CROSS JOIN water
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_line_dedup": OP2}
