@@ -37,6 +37,13 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_report(table(spark, sf_dir, "documents"))
 
 
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.url_filter import judged
+
+    out = judged(table(spark, sf_dir, "pages"))
+    return out.select("page_id", *[F.col(f"__{c}").alias(c) for c in ("host", "path", "rule", "verdict")], F.round("__score", 6).alias("score"))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm import langid
 
@@ -51,6 +58,21 @@ def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm import chat
+
+    said = "</s>[INST] ok [/INST]"
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    rows = rows.unionByName(spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], rows.schema))
+    return chat.read_back(chat.formatted(chat.events_of_rows(rows))).withColumnRenamed("conversation", "conv_id")
+
+
+def op9_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.vector_dedup import near_vectors
+
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.mixing import mixed
 
