@@ -1,11 +1,544 @@
-"""Queries over the given tables, by the blueprint's names."""
+"""Queries over the given tables, by the blueprint's names.
+
+The events table stands for ticks (see ``tidemark.sources.ticks``); its ticks are minutes
+apart, so windows are given in hours.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from tidemark.functions import ladders as L
+from tidemark.functions import quotes as Q
+from tidemark.operators import candles as C
+from tidemark.operators import flow, prompts, scoring
+from tidemark.operators.asof import asof_join, window_join
+from tidemark.sources import ticks as T
+
+HOUR, DAY = T.HOUR, 86_400_000
+KEY = T.KEY
+CHUNK = 6 * HOUR
+REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+
+
+def query(f: Callable) -> Callable:
+    REGISTRY[f.__name__] = f
+    return f
+
+
+def r(c, places: int = 6):
+    """Rounded for comparison; a zero has no sign."""
+    return F.round(c, places) + F.lit(0.0)
+
+
+def spot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return T.quotes(spark, sf_dir).filter("venue = 'spot'").drop("venue")
+
+
+def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clock prompts with their label quote and realised price, an hour ahead."""
+    out = scoring.label_quotes(T.clock_prompts(spark, sf_dir), spot(spark, sf_dir), keys=["asset"], horizon_ms=HOUR, chunk_ms=CHUNK)
+    return out.withColumn("realized", scoring.realized("label", "target_ms", live_ms=HOUR))
+
+
+def priced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clock prompts with the spot microprice that stood at each."""
+    at = asof_join(T.clock_prompts(spark, sf_dir), spot(spark, sf_dir), keys=["asset"], left_ts="current_time_ms", right_ts="recv_ts_ms", seq="seq", chunk_ms=CHUNK)
+    return at.select("asset", "current_time_ms", Q.microprice(*[F.col("last")[c] for c in ("bid_price", "bid_qty", "ask_price", "ask_qty")], or_mid=True).alias("price")).filter("price is not null")
+
+
+def models(spark: SparkSession) -> DataFrame:
+    return spark.range(8).select(F.concat(F.lit("m"), "id").alias("model"), F.col("id").alias("model_no"))
+
+
+def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eight flat-width models' ladders for each priced prompt, an eleventh left out."""
+    m = F.array(*[F.lit(i) for i in range(8)])
+    p = priced(spark, sf_dir).withColumn("model_no", F.explode(m)).withColumn("model", F.concat(F.lit("m"), "model_no"))
+    no = F.col("current_time_ms") / HOUR + F.col("model_no")
+    q = L.ladder(F.col("price"), (F.col("model_no") - 3) * 0.05, 0.2 + 0.1 * F.col("model_no"), L.laplace_z())
+    return p.filter(no % 11 != 0).select("asset", "current_time_ms", "model", q.alias("q"))
+
+
+def all_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = priced(spark, sf_dir).select("asset", "current_time_ms")
+    return scoring.scored(scoring.prompt_model_grid(p, models(spark), answers(spark, sf_dir)), labelled(spark, sf_dir))
+
+
+def trade_window(spark: SparkSession, sf_dir: str, hours: int = 6) -> DataFrame:
+    return window_join(T.clock_prompts(spark, sf_dir), T.trades(spark, sf_dir), keys=["asset"], at="current_time_ms", ts="recv_ts_ms", window_ms=hours * HOUR)
+
+
+def hour_candles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.candles_from_trades(T.trades(spark, sf_dir), keys=KEY, bar_ms=HOUR)
+
+
+def full_candles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.gap_filled(hour_candles(spark, sf_dir), keys=KEY, bar_ms=HOUR, bars_a_chunk=48)
+
+
+def moved(spark: SparkSession, sf_dir: str, **steps: int) -> DataFrame:
+    return C.moves(full_candles(spark, sf_dir), keys=KEY, steps=steps or {"10": 10}, bar_ms=HOUR, chunk_bars=48)
+
+
+@query
+def p1_quote_measures(spark, sf_dir):
+    q = T.quotes(spark, sf_dir)
+    return q.select(*KEY, "seq", r(Q.microprice()).alias("micro"), r(Q.mid()).alias("mid"), r(Q.spread()).alias("spread"), r(Q.imbalance()).alias("imbalance"), Q.valid_quote().alias("valid"))
+
+
+@query
+def p9_complete_history(spark, sf_dir):
+    return C.complete_history(hour_candles(spark, sf_dir), keys=KEY, bars=600, bar_ms=HOUR)
+
+
+@query
+def p11_price_scale(spark, sf_dir):
+    return T.trades(spark, sf_dir).select(*KEY, "seq", r(Q.price_scale("asset", "price", reference="click", reference_price=101.0)).alias("scale"))
+
+
+@query
+def p12_moved_trades(spark, sf_dir):
+    w = Window.partitionBy(*KEY, F.floor(F.col("recv_ts_ms") / DAY)).orderBy("recv_ts_ms", "seq")
+    t = T.trades(spark, sf_dir).withColumn("before", F.lag("price").over(w)).filter("before is not null")
+    return t.select(*KEY, "seq", Q.moved("price", "before", F.lit(0.5)).alias("moved"))
+
+
+@query
+def p14_staleness(spark, sf_dir):
+    last = trade_window(spark, sf_dir).groupBy("asset", "current_time_ms", "venue").agg(F.max("recv_ts_ms").alias("t"))
+    m = last.groupBy("asset", "current_time_ms").agg(F.map_from_entries(F.collect_list(F.struct("venue", "t"))).alias("times"))
+    return m.select("asset", "current_time_ms", Q.staleness_ms("current_time_ms", F.col("times")).alias("stale_ms"), F.size("times").alias("n_streams"))
+
+
+@query
+def p16_last_trade_gap(spark, sf_dir):
+    t = T.trades(spark, sf_dir).filter("venue = 'spot'").select("asset", "seq", "recv_ts_ms", "price", "buyer_is_maker")
+    at = asof_join(priced(spark, sf_dir), t, keys=["asset"], left_ts="current_time_ms", right_ts="recv_ts_ms", seq="seq", chunk_ms=CHUNK)
+    return at.select("asset", "current_time_ms", r(F.col("last.price") - F.col("price")).alias("gap"), F.when(F.col("last.buyer_is_maker"), -1).otherwise(1).alias("side"), (F.col("current_time_ms") - F.col("last.recv_ts_ms")).alias("age_ms"))
+
+
+@query
+def j1_asof_quotes(spark, sf_dir):
+    t = T.trades(spark, sf_dir).filter("venue = 'futures'").select("asset", F.col("seq").alias("trade"), F.col("recv_ts_ms").alias("at_ms"))
+    at = asof_join(t, spot(spark, sf_dir), keys=["asset"], left_ts="at_ms", right_ts="recv_ts_ms", seq="seq", chunk_ms=CHUNK, max_age_ms=4 * HOUR)
+    return at.select("asset", "trade", F.col("last.seq").alias("quote"), r(F.col("last.bid_price")).alias("bid_price"))
+
+
+@query
+def j2_label_quotes(spark, sf_dir):
+    return labelled(spark, sf_dir).select("asset", "current_time_ms", "target_ms", F.col("label.seq").alias("quote"), F.col("label.recv_ts_ms").alias("recv_ts_ms"), r("realized").alias("realized"))
+
+
+@query
+def j4_prompt_windows(spark, sf_dir):
+    return trade_window(spark, sf_dir).select("asset", "current_time_ms", "venue", "seq")
+
+
+@query
+def j5_depth_pairs(spark, sf_dir):
+    d = T.depth(spark, sf_dir).filter("venue = 'spot'").select("asset", "seq", "recv_ts_ms", "update_id")
+    w = window_join(T.clock_prompts(spark, sf_dir), d, keys=["asset"], at="current_time_ms", ts="recv_ts_ms", window_ms=12 * HOUR)
+    return flow.depth_pairs(w, keys=["asset"], at="current_time_ms", back_ms=6 * HOUR, tolerance_ms=HOUR)
+
+
+@query
+def j6_horizon_pairs(spark, sf_dir):
+    q = spot(spark, sf_dir).withColumn("micro", Q.microprice(or_mid=True)).select("asset", "seq", "recv_ts_ms", "micro")
+    start = q.select("asset", F.col("seq").alias("start"), F.col("recv_ts_ms").alias("at_ms"), F.col("micro").alias("micro_0"), (F.col("recv_ts_ms") + 3 * HOUR).alias("until_ms"))
+    ends = asof_join(start, q, keys=["asset"], left_ts="until_ms", right_ts="recv_ts_ms", seq="seq", chunk_ms=CHUNK)
+    good = ends.filter((F.col("last.recv_ts_ms") - F.col("at_ms") >= 2 * HOUR))
+    return good.select("asset", "start", F.col("last.seq").alias("end"), r(F.col("last.micro") - F.col("micro_0")).alias("move"))
+
+
+@query
+def j7_basis_grid(spark, sf_dir):
+    out = T.clock_prompts(spark, sf_dir)
+    for venue in ("spot", "futures"):
+        q = T.quotes(spark, sf_dir).filter(F.col("venue") == venue).drop("venue").withColumn("mid", Q.mid()).select("asset", "seq", "recv_ts_ms", "mid")
+        out = asof_join(out, q, keys=["asset"], left_ts="current_time_ms", right_ts="recv_ts_ms", seq="seq", chunk_ms=CHUNK, name=venue)
+    return out.select("asset", "current_time_ms", r(F.col("futures.mid") - F.col("spot.mid")).alias("basis"))
+
+
+@query
+def j8_season_lookup(spark, sf_dir):
+    s = C.season(moved(spark, sf_dir), move="d_10", slot=Q.season_slot("open_time_ms"))
+    p = T.clock_prompts(spark, sf_dir).withColumn("slot", Q.season_slot("current_time_ms"))
+    return p.join(F.broadcast(s), "slot", "left").select("asset", "current_time_ms", "slot", r("seas_abs").alias("seas_abs"))
+
+
+@query
+def j9_prompt_model_grid(spark, sf_dir):
+    p = priced(spark, sf_dir).select("asset", "current_time_ms")
+    g = scoring.prompt_model_grid(p, models(spark), answers(spark, sf_dir))
+    return g.select("asset", "current_time_ms", "model", F.col("q").isNotNull().alias("answered"))
+
+
+@query
+def j10_eligible_models(spark, sf_dir):
+    s = all_scores(spark, sf_dir).filter((F.col("model") != "m7") | (F.col("asset") != "click") | ~F.col("answered"))
+    return scoring.eligible(s).groupBy("asset", "model").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def j11_missing_prompts(spark, sf_dir):
+    return prompts.missing(T.clock_prompts(spark, sf_dir), priced(spark, sf_dir).filter(F.col("current_time_ms") / HOUR % 3 == 0), keys=["asset", "current_time_ms"])
+
+
+@query
+def j12_near_identical_models(spark, sf_dir):
+    return scoring.near_identical_models(answers(spark, sf_dir), most=0.6).withColumn("distance", r("distance"))
+
+
+@query
+def a1_candles(spark, sf_dir):
+    return hour_candles(spark, sf_dir).select(*KEY, "open_time_ms", *[r(c).alias(c) for c in ("open", "high", "low", "close", "volume")])
+
+
+@query
+def a2_upsert_candles(spark, sf_dir):
+    t = T.trades(spark, sf_dir).select(*KEY, F.col("ts_ms").alias("open_time_ms"), "seq", "price", "qty")
+    return C.upsert(t, keys=[*KEY, "open_time_ms"], seq="seq")
+
+
+@query
+def a3_trade_flow(spark, sf_dir):
+    f = flow.trade_flow(trade_window(spark, sf_dir), keys=["asset", "venue"], at="current_time_ms", last_n=5, window_ms=2 * HOUR)
+    return f.select("asset", "venue", "current_time_ms", *[r(c).alias(c) for c in ("flow", "flow_fast", "flow_window", "qty_window")])
+
+
+@query
+def a4_side_flow(spark, sf_dir):
+    return flow.side_flow(trade_window(spark, sf_dir), keys=["asset", "venue"], at="current_time_ms", window_ms=2 * HOUR)
+
+
+@query
+def a5_depth_imbalance(spark, sf_dir):
+    return flow.depth_imbalance(T.depth(spark, sf_dir)).select(*KEY, "seq", r("obi").alias("obi"), r("top_obi").alias("top_obi"))
+
+
+@query
+def a6_liquidation_signals(spark, sf_dir):
+    w = window_join(T.clock_prompts(spark, sf_dir), T.liquidations(spark, sf_dir), keys=["asset"], at="current_time_ms", ts="recv_ts_ms", window_ms=6 * HOUR)
+    s = flow.liquidation_signals(w, keys=["asset"], at="current_time_ms", recent_ms=HOUR, unit=10.0, long_unit=100.0)
+    return s.select("asset", "current_time_ms", r("direction").alias("direction"), r("activity").alias("activity"), "n")
+
+
+@query
+def a7_depth_bands(spark, sf_dir):
+    return flow.depth_bands(T.depth(spark, sf_dir), id_cols=[*KEY, "seq"], width=0.05).groupBy(*KEY, "side", "band").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n"))
+
+
+@query
+def a9_ewma_vol(spark, sf_dir):
+    m = C.aged(moved(spark, sf_dir, one=1).filter("r_one is not null"), keys=KEY, ts="open_time_ms", newest=120)
+    out = m.groupBy(*KEY).agg(F.sqrt(C.ewma(F.pow("r_one", F.lit(2)), F.col("age"), 0.94)).alias("vol_slow"), F.sqrt(C.ewma(F.when(F.col("age") < 90, F.pow("r_one", F.lit(2))), F.col("age"), 0.85)).alias("vol_fast"))
+    return out.select(*KEY, r("vol_slow", 9).alias("vol_slow"), r("vol_fast", 9).alias("vol_fast"))
+
+
+@query
+def a10_book_volatility(spark, sf_dir):
+    w = window_join(T.clock_prompts(spark, sf_dir), T.quotes(spark, sf_dir), keys=["asset"], at="current_time_ms", ts="recv_ts_ms", window_ms=6 * HOUR)
+    b = flow.book_volatility(w, keys=["asset", "venue"], at="current_time_ms", window_ms=5 * HOUR)
+    return b.select("asset", "venue", "current_time_ms", "n", r("rv").alias("rv"), r("rng").alias("rng"))
+
+
+@query
+def a12_hour_stats(spark, sf_dir):
+    s = C.hour_stats(moved(spark, sf_dir), keys=KEY, move="d_10")
+    return s.select(*KEY, "n", r("median").alias("median"), r("mad").alias("mad"), r("jump_ratio").alias("jump_ratio"))
+
+
+@query
+def a14_quantile_offsets(spark, sf_dir):
+    m = moved(spark, sf_dir).filter("d_10 is not null")
+    q = m.groupBy(*KEY).agg(F.percentile("d_10", F.array(*map(F.lit, L.GRID))).alias("q"), F.percentile("d_10", F.lit(0.5)).alias("median"))
+    return q.select(*KEY, "median", F.posexplode("q").alias("i", "v")).select(*KEY, "i", r(F.col("v") - F.col("median")).alias("offset"))
+
+
+@query
+def a16_activity_ratio(spark, sf_dir):
+    m = C.aged(moved(spark, sf_dir).filter("r_10 is not null"), keys=KEY, ts="open_time_ms", newest=480)
+    slow, fast = F.avg(F.abs("r_10")), F.avg(F.when(F.col("age") < 60, F.abs("r_10")))
+    return m.groupBy(*KEY).agg(r(F.ln((1e-6 + fast) / (1e-6 + slow))).alias("activity"))
+
+
+@query
+def a17_pinball_crps(spark, sf_dir):
+    return all_scores(spark, sf_dir).select("asset", "current_time_ms", "model", "answered", r("crps").alias("crps"))
+
+
+@query
+def a18_field_scores(spark, sf_dir):
+    return scoring.field_scores(all_scores(spark, sf_dir)).select("asset", "current_time_ms", "model", r("field_score").alias("field_score"))
+
+
+@query
+def run_summary(spark, sf_dir):
+    s = scoring.run_summary(all_scores(spark, sf_dir), by=["asset", "model"])
+    return s.select("asset", "model", "n", "n_scored", "n_dropped", *[r(f"crps_{c}").alias(f"crps_{c}") for c in ("mean", "median", "min", "max")], "first_ms", "last_ms")
+
+
+@query
+def a19_exclusive_p95(spark, sf_dir):
+    p = scoring.exclusive_percentile(all_scores(spark, sf_dir), by=["asset", "model"], value="crps", p=0.95)
+    return p.withColumn("percentile", r("percentile"))
+
+
+@query
+def a20_leaderboard(spark, sf_dir):
+    b = scoring.leaderboard(scoring.field_scores(scoring.eligible(all_scores(spark, sf_dir))))
+    return b.withColumn("score", r("score"))
+
+
+@query
+def a21_reward_split(spark, sf_dir):
+    b = scoring.leaderboard(scoring.field_scores(scoring.eligible(all_scores(spark, sf_dir))))
+    return scoring.reward_split(b, pool=1000.0, shares=(0.5, 0.3, 0.2)).select("asset", "model", "rank", r("reward").alias("reward"))
+
+
+@query
+def a22_rolling_crps(spark, sf_dir):
+    s = scoring.rolling_crps(all_scores(spark, sf_dir), by=["asset", "model"], window_ms=DAY, step_ms=6 * HOUR, least=10)
+    return s.withColumn("crps_mean", r("crps_mean"))
+
+
+@query
+def a23_split_eval(spark, sf_dir):
+    return scoring.split_eval(all_scores(spark, sf_dir), split_ms=1_705_363_200_000).withColumn("crps_mean", r("crps_mean"))
+
+
+@query
+def a24_season_table(spark, sf_dir):
+    s = C.season(moved(spark, sf_dir), move="d_10", slot=Q.season_slot("open_time_ms"))
+    return s.select("slot", "n", r("seas_abs").alias("seas_abs"), r("seas_rel").alias("seas_rel"))
+
+
+@query
+def a25_trigger_mix(spark, sf_dir):
+    return scoring.trigger_mix(q1_build_prompts(spark, sf_dir)).withColumn("share", r("share"))
+
+
+@query
+def a26_tick_counts(spark, sf_dir):
+    t = flow.tick_counts(trade_window(spark, sf_dir), keys=["asset", "venue"], at="current_time_ms", windows={"1h": HOUR, "6h": 6 * HOUR})
+    return t.select("asset", "venue", "current_time_ms", *[r(c).alias(c) if c[0] in "rv" else c for c in t.columns[3:]])
+
+
+@query
+def a31_robust_center_scale(spark, sf_dir):
+    t = flow.tick_counts(trade_window(spark, sf_dir), keys=["asset", "venue"], at="current_time_ms", windows={"6h": 6 * HOUR})
+    long = t.select("venue", F.stack(F.lit(3), F.lit("n"), F.col("n_6h").cast("double"), F.lit("flow"), F.col("flow_6h"), F.lit("range"), F.col("range_6h")).alias("signal", "value"))
+    centre = long.groupBy("venue", "signal").agg(F.percentile("value", F.lit(0.5)).alias("centre"))
+    back = long.join(centre, ["venue", "signal"]).groupBy("venue", "signal", "centre").agg(F.avg(F.abs(F.col("value") - F.col("centre"))).alias("scale"))
+    return back.select("venue", "signal", r("centre").alias("centre"), r("scale").alias("scale"))
+
+
+@query
+def w1_gap_fill(spark, sf_dir):
+    return full_candles(spark, sf_dir).select(*KEY, "open_time_ms", r("close").alias("close"), r("volume").alias("volume"))
+
+
+@query
+def w2_lag_returns(spark, sf_dir):
+    m = moved(spark, sf_dir, one=1, three=3, ten=10)
+    return m.select(*KEY, "open_time_ms", *[r(f"{k}_{n}").alias(f"{k}_{n}") for k in "rd" for n in ("one", "three", "ten")])
+
+
+@query
+def w4_quote_ofi(spark, sf_dir):
+    o = flow.quote_ofi(T.quotes(spark, sf_dir), keys=KEY)
+    hour = (F.floor(F.col("recv_ts_ms") / DAY) * DAY).cast("long").alias("day_ms")
+    return o.groupBy(*KEY, hour).agg(r(F.sum("ofi")).alias("net"), r(F.sum("gross")).alias("gross"), F.count(F.lit(1)).alias("n"))
+
+
+@query
+def w5_book_momentum(spark, sf_dir):
+    m = flow.book_momentum(T.quotes(spark, sf_dir), keys=KEY, lookback_ms=12 * HOUR, lags={"m1": HOUR, "m3": 3 * HOUR})
+    return m.select(*KEY, "seq", r("m1").alias("m1"), r("m3").alias("m3"))
+
+
+@query
+def w8_mid_changes(spark, sf_dir):
+    g = j7_basis_grid(spark, sf_dir).filter("basis is not null")
+    c = flow.mid_change_counts(g, keys=["asset"], value="basis", ts="current_time_ms", steps=10, span=5)
+    return c.select("asset", "current_time_ms", "changed", "changes", "still", "since")
+
+
+@query
+def w9_range_hold(spark, sf_dir):
+    return C.range_hold_share(full_candles(spark, sf_dir), keys=KEY, bars=11, within=4.0, bar_ms=HOUR, chunk_bars=48).withColumn("held", r("held"))
+
+
+@query
+def w10_ewma_abs_return(spark, sf_dir):
+    m = C.aged(moved(spark, sf_dir).filter("r_10 is not null"), keys=KEY, ts="open_time_ms", newest=480)
+    return m.groupBy(*KEY).agg(r(C.ewma(F.abs("r_10"), F.col("age"), 0.98), 9).alias("ewma_abs"))
+
+
+@query
+def w11_vol_blend_inputs(spark, sf_dir):
+    m = C.aged(moved(spark, sf_dir, one=1), keys=KEY, ts="open_time_ms", newest=60)
+    return m.groupBy(*KEY).agg(r(F.stddev_pop("r_one") * F.sqrt(F.lit(10.0)), 9).alias("rv"), r(F.ln(F.max(F.when(F.col("age") < 10, F.col("close"))) / F.min(F.when(F.col("age") < 10, F.col("close")))), 9).alias("range"))
+
+
+@query
+def w12_trade_groups(spark, sf_dir):
+    return prompts.trade_groups(T.trades(spark, sf_dir), keys=KEY).select(*KEY, "ts_ms", r("price").alias("price"), "recv_ts_ms", "seq", "n")
+
+
+def all_moves(spark, sf_dir):
+    return prompts.price_moves(prompts.trade_groups(T.trades(spark, sf_dir), keys=KEY), keys=KEY, tick=0.5)
+
+
+@query
+def w13_price_moves(spark, sf_dir):
+    return all_moves(spark, sf_dir).select(*KEY, "ts_ms", r("price").alias("price"), r("reference").alias("reference"), "recv_ts_ms")
+
+
+@query
+def w14_sequence_gaps(spark, sf_dir):
+    u = T.ticks(spark, sf_dir).select(*KEY, "seq", F.col("seq").alias("final_id"), (F.col("seq") - 1 - (F.col("seq") % 3 == 0).cast("int")).alias("prev_final_id"))
+    g = prompts.sequence_gaps(u.withColumn("block", F.floor(F.col("seq") / 1000)), keys=["block"], order="seq", first="final_id", before="prev_final_id")
+    return g.select("seq", "expected", "prev_final_id")
+
+
+@query
+def w15_time_order(spark, sf_dir):
+    t = T.trades(spark, sf_dir).withColumn("at_ms", F.col("recv_ts_ms") - F.col("seq") % 5 * 600_000).withColumn("block", F.floor(F.col("seq") / 1000))
+    return prompts.time_order_violations(t, keys=["block"], order="seq", ts="at_ms").select("seq", "at_ms", "before_ms")
+
+
+@query
+def q1_build_prompts(spark, sf_dir):
+    e = prompts.event_prompts(all_moves(spark, sf_dir), clock=HOUR, opens=600_000, length=2_400_000)
+    return prompts.union_prompts(T.clock_prompts(spark, sf_dir), e)
+
+
+@query
+def q8_anchor_grid(spark, sf_dir):
+    span = T.ticks(spark, sf_dir).agg(F.min("recv_ts_ms").alias("lo"), F.max("recv_ts_ms").alias("hi"))
+    return span.select(F.explode(F.sequence("lo", F.col("hi") - 1, F.lit(6 * HOUR).cast("long"))).alias("anchor_ms"))
+
+
+@query
+def t2_last_closes(spark, sf_dir):
+    a = C.aged(hour_candles(spark, sf_dir), keys=KEY, ts="open_time_ms", newest=24)
+    return a.select(*KEY, "open_time_ms", "age", r("close").alias("close"))
+
+
+def levels(spark, sf_dir) -> DataFrame:
+    d = T.depth(spark, sf_dir)
+    return d.select(*KEY, "seq", F.lit("bid").alias("side"), F.inline("bids")).union(d.select(*KEY, "seq", F.lit("ask"), F.inline("asks")))
+
+
+@query
+def t3_top_levels(spark, sf_dir):
+    top = flow.top_levels(levels(spark, sf_dir), id_cols=[*KEY, "seq"], n=3)
+    return top.select(*KEY, "seq", "side", F.col("level").cast("int").alias("level"), r("price").alias("price"), "qty")
+
+
+@query
+def t4_walk_the_book(spark, sf_dir):
+    w = flow.walked_book(T.depth(spark, sf_dir), notional=2000.0)
+    return w.select(*KEY, "seq", *[r(c).alias(c) for c in ("bid_walk", "ask_walk", "gap")])
+
+
+@query
+def t5_replay_book(spark, sf_dir):
+    lv = levels(spark, sf_dir).withColumn("block_ms", F.floor(F.col("seq") / 50).cast("long")).withColumn("price", r("price", 2))
+    first = lv.groupBy(*KEY, "block_ms").agg(F.min("seq").alias("first"))
+    lv = lv.join(first, [*KEY, "block_ms"])
+    start = lv.filter("seq = first").drop("seq")
+    diffs = lv.filter("seq > first").withColumn("qty", F.when((F.col("qty") + F.col("seq")) % 4 == 0, 0.0).otherwise(F.col("qty")))
+    book = flow.replayed_book(start, diffs, id_cols=[*KEY, "block_ms"])
+    return book.groupBy(*KEY, "block_ms", "side").agg(F.count(F.lit(1)).alias("n"), F.sum("qty").alias("qty"))
+
+
+@query
+def t6_best_and_worst(spark, sf_dir):
+    e = scoring.extremes(all_scores(spark, sf_dir).withColumn("crps", r("crps")), n=3)
+    return e.select("asset", "model", "end", F.col("nth").cast("int").alias("nth"), "current_time_ms", "crps")
+
+
+@query
+def u1_union_moves(spark, sf_dir):
+    m = all_moves(spark, sf_dir)
+    both = m.filter("venue = 'spot'").unionByName(m.filter("venue = 'futures'"))
+    return both.select("asset", "recv_ts_ms", "venue", r("price").alias("price"))
+
+
+@query
+def u3_ingest_merge(spark, sf_dir):
+    t = T.trades(spark, sf_dir).select(*KEY, "recv_ts_ms", "seq", F.lit("stored").alias("origin"))
+    stored = t.filter((F.col("seq") % 3 != 0) & (F.col("recv_ts_ms") < 1_705_900_000_000))
+    return prompts.ingest_merge(stored, t.withColumn("origin", F.lit("batch")), keys=KEY, ts="recv_ts_ms")
+
+
+@query
+def u4_coverage_windows(spark, sf_dir):
+    return prompts.coverage_windows(hour_candles(spark, sf_dir), keys=KEY, ts="open_time_ms", start=1_704_067_200_000, end=1_706_918_400_000, step=HOUR, interior=True)
+
+
+@query
+def u5_common_prompts(spark, sf_dir):
+    a = answers(spark, sf_dir)
+    out = None
+    for i in range(3):
+        own = a.filter(F.col("model") == f"m{i}").select("asset", "current_time_ms")
+        out = own if out is None else out.intersect(own)
+    return out
+
+
+@query
+def f1_clock_functions(spark, sf_dir):
+    t = T.trades(spark, sf_dir)
+    ms = F.col("recv_ts_ms")
+    return t.select("seq", Q.to_ms(ms * 1000).alias("ms"), Q.ms_to_utc(ms).alias("utc"), Q.next_slot(ms, clock=20_000, offset=5000).alias("next_slot"), Q.event_slot(ms, clock=20_000, opens=10_250, length=4000).alias("event_slot"), Q.season_slot(ms).alias("season_slot"))
+
+
+@query
+def f15_event_coin(spark, sf_dir):
+    t = T.trades(spark, sf_dir)
+    key = [F.col("asset"), F.col("venue"), F.col("recv_ts_ms")]
+    return t.select("seq", Q.event_coin(*key).alias("taken"), Q.event_delay_ms(*key).alias("delay_ms"))
+
+
+@query
+def f10_signal_scores(spark, sf_dir):
+    t = flow.tick_counts(trade_window(spark, sf_dir), keys=["asset", "venue"], at="current_time_ms", windows={"6h": 6 * HOUR})
+    z = Q.robust_z(F.col("flow_6h"), F.lit(0.5), F.lit(8.0))
+    z1 = Q.robust_z(F.col("n_6h").cast("double"), F.lit(1.5), F.lit(0.7), kind="log1p")
+    return t.select("asset", "venue", "current_time_ms", r(z).alias("z"), r(z1).alias("z_log"), r(Q.logistic(0.2, [z, z1], [1.5, -0.7])).alias("p"), r(Q.log_blend(0.1, [F.col("vol_6h"), F.col("range_6h")], [0.4, 0.3], 1e-3)).alias("blend"))
+
+
+@query
+def r1_ladders(spark, sf_dir):
+    a = answers(spark, sf_dir)
+    q = F.col("q")
+    return a.select("asset", "current_time_ms", "model", r(F.get(q, 0)).alias("q_first"), r(F.get(q, 99)).alias("q_last"), r(L.median(q)).alias("median"), r(L.width(q)).alias("width"), F.size(L.violations(q)).alias("n_bad"))
+
+
+@query
+def r5_blend_ladders(spark, sf_dir):
+    a = answers(spark, sf_dir)
+    x, y = (a.filter(F.col("model") == m).select("asset", "current_time_ms", F.col("q").alias(n)) for m, n in (("m1", "a"), ("m5", "b")))
+    j = x.join(y, ["asset", "current_time_ms"])
+    w = L.blend_weight(L.width(F.col("a")) / L.width(F.col("b")), slope=1.5, pivot=0.9, cap=0.6)
+    out = j.select("asset", "current_time_ms", r(w).alias("weight"), F.posexplode(L.blended(F.col("a"), F.col("b"), w)).alias("i", "v"))
+    return out.groupBy("asset", "current_time_ms", "weight").agg(r(F.sum("v"), 4).alias("total"), r(F.min("v")).alias("low"), r(F.max("v")).alias("high"))
+
+
+@query
+def r10_reshaped_ladders(spark, sf_dir):
+    a = answers(spark, sf_dir).filter("model = 'm2'")
+    q = F.col("q")
+    shapes = {"centre": L.centre_widened(q), "wide": L.widened(q, F.lit(1.25)), "moved": L.shifted(q, 0.1 * L.width(q))}
+    return a.select("asset", "current_time_ms", *[r(F.get(c, 24)).alias(f"{n}_q25") for n, c in shapes.items()], *[r(L.width(c)).alias(f"{n}_width") for n, c in shapes.items()])
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(REGISTRY)
