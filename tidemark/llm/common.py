@@ -54,6 +54,12 @@ def hash_pair(*cols: Column) -> list[Column]:
     return [F.xxhash64(F.lit("a"), *cols), F.xxhash64(F.lit("b"), *cols)]
 
 
+def md5_number(*parts: Column) -> Column:
+    """A number from 0 to 2^32 - 1 that depends on the parts' text alone; other engines can compute it too."""
+    text = F.concat_ws("|", *[F.coalesce(p.cast("string"), F.lit("\x00")) for p in parts])
+    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
+
+
 def code_bytes(batch, name: str) -> list[bytes | None]:
     """A text column of an Arrow batch as UTF-8 bytes, valid or not."""
     import pyarrow as pa

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import word_count
+from tidemark.llm.common import md5_number, word_count
 
 #: Expected copies are whole multiples of 2^-24, so that prefix sums are exact in any order.
 UNIT = 1 << 24
@@ -57,15 +57,15 @@ def mixed(docs: DataFrame, *, key: str = "doc_id", text: str = "text", source: s
     rows = sized.join(targets, same, "left").drop("__source")
     each = F.when(F.col("__source_size") > 0, F.floor(F.col("__target") / F.col("__source_size") * F.lit(float(UNIT)))).otherwise(0).cast("long")
     blocks = F.ceil(F.col("__n") / F.lit(block_rows)).cast("long")
-    rows = rows.withColumn("__each", each).withColumn("__band", F.floor(F.log2(F.col("__size") + 1) * 4).cast("long"))
-    rows = rows.withColumn("__part", F.pmod(F.xxhash64(F.lit(seed), key, "__size"), blocks))
+    rows = rows.withColumn("__each", each).withColumn("__band", F.length(F.bin("__size")))
+    rows = rows.withColumn("__part", F.pmod(md5_number(F.lit(seed), F.col(key)), blocks))
     block = ["__band", "__part"]
     sums = rows.groupBy(F.col(source).alias("__s"), *(F.col(c).alias(f"{c}_") for c in block)).agg(F.sum("__each").alias("__sum"))
     line = Window.partitionBy("__s").orderBy("__band_", "__part_").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.withColumn("__start", F.coalesce(F.sum("__sum").over(line), F.lit(0))).drop("__sum")
     rows = rows.join(starts, rows[source].eqNullSafe(starts["__s"]) & (rows["__band"] == starts["__band_"]) & (rows["__part"] == starts["__part_"]), "left")
     within = Window.partitionBy(source, *block).orderBy("__size", F.col(key).asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
-    offset = F.pmod(F.xxhash64(F.lit(seed), F.coalesce(F.col(source), F.lit("\x00"))), F.lit(UNIT))
+    offset = md5_number(F.lit(seed), F.col(source)) % UNIT
     from_ = F.col("__start") + F.coalesce(F.sum("__each").over(within), F.lit(0)) + offset
     rows = rows.withColumn("__from", from_)
     copies = F.expr(f"(__from + __each) div {UNIT} - __from div {UNIT}").cast("long")

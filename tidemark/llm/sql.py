@@ -35,12 +35,79 @@ levels AS (
   SELECT *, (sum(source_size) OVER () * 1.5::DOUBLE - coalesce(sum(cap) OVER before, 0)) / (sum(w) OVER () - coalesce(sum(w) OVER before, 0)) AS level
   FROM caps WINDOW before AS (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
 ),
-water AS (SELECT arg_min(level, cap / w) AS water FROM levels WHERE cap >= level * w)
-SELECT s.doc_id, s.size, l.source_size,
-       round(CASE WHEN l.source_size = 0 THEN 0 ELSE least(l.cap, coalesce(water * w, l.cap)) END, 3) AS target
-FROM sized s JOIN levels l ON s.source IS NOT DISTINCT FROM l.source CROSS JOIN water
+water AS (SELECT arg_min(level, cap / w) AS water FROM levels WHERE cap >= level * w),
+targets AS (
+  SELECT source, n, source_size, CASE WHEN source_size = 0 THEN 0 ELSE least(cap, coalesce(water * w, cap)) END AS target FROM levels CROSS JOIN water
+),
+placed AS (
+  SELECT d.doc_id, d.source, d.size, t.source_size, t.target,
+         CASE WHEN t.source_size > 0 THEN floor(t.target / t.source_size * 16777216.0::DOUBLE) ELSE 0 END::BIGINT AS each,
+         length(bin(d.size)) AS band,
+         ('0x' || substr(md5('11|' || coalesce(d.doc_id::VARCHAR, chr(0))), 1, 8))::BIGINT % ceil(t.n / 200000.0)::BIGINT AS part,
+         ('0x' || substr(md5('11|' || coalesce(d.source, chr(0))), 1, 8))::BIGINT % 16777216 AS first
+  FROM sized d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source
+),
+summed AS (
+  SELECT *, first + coalesce(sum(each) OVER (PARTITION BY source ORDER BY band, part, size, doc_id NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS at_from
+  FROM placed
+)
+SELECT doc_id, size, source_size, round(target, 3) AS target,
+       (size * ((at_from + each) // 16777216 - at_from // 16777216))::BIGINT AS taken
+FROM summed
+"""
+
+_SPELLED = """
+SELECT {keep}, unnest(list_transform(range(1, length(p) - 2), lambda i: substring(p, i, 4))) AS gram
+FROM (SELECT *, repeat(chr(2), 3) || translate(url, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') || chr(3) AS p FROM {urls})
+"""
+
+OP5 = f"""
+WITH split AS (
+  SELECT page_id, url, CASE WHEN instr(url, '://') > 0 THEN substring(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages
+),
+hosts AS (SELECT *, regexp_extract(rest, '^[^/?#]*') AS raw_host FROM split),
+parts AS (
+  SELECT page_id, url, coalesce(translate(raw_host, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+         coalesce(regexp_extract(substring(rest, length(raw_host) + 1), '^[^?#]*'), '') AS path FROM hosts
+),
+named AS (
+  SELECT *, CASE WHEN (host = 'example.org' OR host LIKE '%.example.org') AND starts_with(path, '/en/1') THEN 'example.org/en/1'
+                 WHEN (host = 'example.org' OR host LIKE '%.example.org') AND starts_with(path, '/es/') THEN 'example.org/es/'
+                 WHEN (host = 'com' OR host LIKE '%.com') AND starts_with(path, '/fr/') THEN 'com/fr/'
+                 WHEN (host = 'com' OR host LIKE '%.com') AND starts_with(path, '/de/') THEN 'com/de/'
+                 WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/') THEN 'org/' END AS rule FROM parts
+),
+ruled AS (SELECT *, CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' END AS by_rule FROM named),
+urls AS (
+  SELECT url, any_value(by_rule) AS class,
+         any_value(by_rule) IS NOT NULL AND ('0x' || substr(md5('calibrate|' || url), 1, 8))::BIGINT % 5 <> 0 AS learn
+  FROM ruled WHERE url IS NOT NULL GROUP BY url
+),
+spelled AS ({_SPELLED.format(keep="url, (learn AND class = 'allow')::INT AS a, (learn AND class = 'block')::INT AS b", urls="urls")}),
+grams AS (SELECT gram, sum(a) AS a, sum(b) AS b FROM spelled GROUP BY gram),
+suffixes AS (SELECT gram, n, substring(gram, 5 - n) AS part, a, b FROM grams CROSS JOIN range(1, 5) r(n)),
+counts AS (SELECT n, part, sum(a) AS a, sum(b) AS b FROM suffixes WHERE a + b > 0 GROUP BY n, part),
+befores AS (
+  SELECT n, substring(part, 1, n - 1) AS before, sum(a) AS ta, sum(b) AS tb, count(*) FILTER (WHERE a > 0) AS ua, count(*) FILTER (WHERE b > 0) AS ub
+  FROM counts GROUP BY ALL
+),
+known AS (
+  SELECT s.gram, s.n, coalesce(c.a, 0)::DOUBLE AS a, coalesce(c.b, 0)::DOUBLE AS b, coalesce(ta, 0)::DOUBLE AS ta, coalesce(tb, 0)::DOUBLE AS tb,
+         coalesce(ua, 0)::DOUBLE AS ua, coalesce(ub, 0)::DOUBLE AS ub
+  FROM suffixes s LEFT JOIN counts c ON c.n = s.n AND c.part = s.part LEFT JOIN befores f ON f.n = s.n AND f.before = substring(s.part, 1, s.n - 1)
+),
+p1 AS (SELECT gram, CASE WHEN ta > 0 THEN (a + ua / 256.0) / (ta + ua) ELSE 1 / 256.0 END AS pa, CASE WHEN tb > 0 THEN (b + ub / 256.0) / (tb + ub) ELSE 1 / 256.0 END AS pb FROM known WHERE n = 1),
+p2 AS (SELECT gram, CASE WHEN ta > 0 THEN (a + ua * pa) / (ta + ua) ELSE pa END AS pa, CASE WHEN tb > 0 THEN (b + ub * pb) / (tb + ub) ELSE pb END AS pb FROM known JOIN p1 USING (gram) WHERE n = 2),
+p3 AS (SELECT gram, CASE WHEN ta > 0 THEN (a + ua * pa) / (ta + ua) ELSE pa END AS pa, CASE WHEN tb > 0 THEN (b + ub * pb) / (tb + ub) ELSE pb END AS pb FROM known JOIN p2 USING (gram) WHERE n = 3),
+p4 AS (SELECT gram, CASE WHEN ta > 0 THEN (a + ua * pa) / (ta + ua) ELSE pa END AS pa, CASE WHEN tb > 0 THEN (b + ub * pb) / (tb + ub) ELSE pb END AS pb FROM known JOIN p3 USING (gram) WHERE n = 4),
+ratios AS (SELECT gram, round((ln(pa) - ln(pb)) * 1000000)::BIGINT AS ratio FROM p4),
+scored AS (SELECT url, sum(ratio)::DOUBLE / count(*) / 1000000 AS score FROM spelled JOIN ratios USING (gram) GROUP BY url),
+means AS (SELECT class, sum(round(score * 1000000)::BIGINT)::DOUBLE / count(*) / 1000000 AS mean FROM scored JOIN urls USING (url) WHERE class IS NOT NULL AND NOT learn GROUP BY class),
+middle AS (SELECT sum(mean) / 2 AS middle FROM means)
+SELECT r.page_id, r.host, r.path, r.rule, coalesce(by_rule, CASE WHEN r.url IS NULL THEN 'block' WHEN s.score >= middle THEN 'allow' ELSE 'block' END) AS verdict, round(s.score, 6) AS score
+FROM ruled r LEFT JOIN scored s ON s.url = r.url CROSS JOIN middle
 """
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": OP2}
+    return {"op2_line_dedup": OP2, "op5_url_filter": OP5, "op10_mixing": OP10}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import written
+from tidemark.llm.common import md5_number, written
 
 #: (verdict, host and path); the longest that fits wins.
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
@@ -85,7 +85,7 @@ def judged(pages: DataFrame, *, url: str = "url", rules: tuple[tuple[str, str],
     scored once, so repeated rows agree; empty tables give no rows.
     """
     named = ruled(pages, url=url, rules=rules)
-    fifth = F.pmod(F.xxhash64(F.lit("calibrate"), "__url"), F.lit(5)) == 0
+    fifth = md5_number(F.lit("calibrate"), F.col("__url")) % 5 == 0
     urls = named.filter(F.col(url).isNotNull()).groupBy(F.col(url).alias("__url")).agg(F.first("__by_rule").alias("__class"))
     urls = written(urls.withColumn("__learn", F.col("__class").isNotNull() & ~fifth), "urls")
     ratios = gram_ratios(urls)
