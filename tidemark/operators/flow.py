@@ -115,6 +115,15 @@ def depth_bands(snapshots: DataFrame, *, id_cols: list[str], width: float, bands
     return at.filter(F.col("band").between(0, bands - 1) & (F.col("qty") > 0)).groupBy(*id_cols, "side", "band").agg(F.sum("qty").alias("size"))
 
 
+def band_imbalance(bands: DataFrame, *, id_cols: list[str], width: float, reach: float) -> DataFrame:
+    """Imbalance of the bands that overlap ``mid`` within ``reach``; bands lie round ``anchor``, the mid has moved on."""
+    near, far = F.col("band") * width, (F.col("band") + 1) * width
+    bid = (F.col("side") == "bid") & (F.col("anchor") - near > F.col("mid") - reach) & (F.col("anchor") - far < F.col("mid"))
+    ask = (F.col("side") == "ask") & (F.col("anchor") + near < F.col("mid") + reach) & (F.col("anchor") + far > F.col("mid"))
+    sums = [F.coalesce(F.sum(F.when(c, F.col("size"))), F.lit(0.0)) for c in (bid, ask)]
+    return bands.groupBy(*id_cols).agg(Q.ratio(sums[0] - sums[1], sums[0] + sums[1]).alias("band_imb"))
+
+
 def walked_book(snapshots: DataFrame, *, notional: float) -> DataFrame:
     """How far from the touch each side must be walked for a notional; gap is bid's less ask's."""
 

@@ -7,6 +7,7 @@ apart, so windows are given in hours.
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import count
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -15,12 +16,16 @@ from tidemark.functions import ladders as L
 from tidemark.functions import quotes as Q
 from tidemark.operators import candles as C
 from tidemark.operators import flow, prompts, scoring
-from tidemark.operators.asof import asof_join, window_join
+from tidemark.operators.asof import asof_join, chunked, window_join, without_halo
+from tidemark.sources import files
+from tidemark.sources import messages as M
 from tidemark.sources import ticks as T
+from tidemark.streaming import jobs
 
 HOUR, DAY = T.HOUR, 86_400_000
 KEY = T.KEY
 CHUNK = 6 * HOUR
+COUNTER = count()
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
@@ -540,5 +545,128 @@ def r10_reshaped_ladders(spark, sf_dir):
     return a.select("asset", "current_time_ms", *[r(F.get(c, 24)).alias(f"{n}_q25") for n, c in shapes.items()], *[r(L.width(c)).alias(f"{n}_width") for n, c in shapes.items()])
 
 
+def messages(spark, sf_dir) -> DataFrame:
+    return M.read_raw_messages(M.raw_from_ticks(T.ticks(spark, sf_dir)))
+
+
+@query
+def s2_normalized_trades(spark, sf_dir):
+    return M.normalize_trades(messages(spark, sf_dir), keep=[*KEY, "seq"])
+
+
+@query
+def s3_normalized_quotes(spark, sf_dir):
+    q = M.normalize_book_ticker(messages(spark, sf_dir), keep=[*KEY, "seq"])
+    return q.select(*KEY, "seq", "recv_ts_ms", r("bid_price").alias("bid_price"), "bid_qty", r("ask_price").alias("ask_price"), "ask_qty", "event_ts_ms")
+
+
+@query
+def s6_normalized_liquidations(spark, sf_dir):
+    return M.normalize_liquidations(messages(spark, sf_dir), keep=[*KEY, "seq"])
+
+
+@query
+def s12_score_report(spark, sf_dir):
+    s = all_scores(spark, sf_dir).filter("model = 'm1' and asset = 'click'").select("current_time_ms", (F.col("current_time_ms") + HOUR).alias("target_ms"), F.lit(None).cast("long").alias("book_recv_ts_ms"), "crps", "realized", F.lit(0.5).alias("predict_ms"))
+    return files.score_report(s).select("test", "current_time_ms", "start", "target", "predict_ms", (F.length("realized") > 0).alias("has_realized"), (F.length("crps") > 0).alias("has_crps"))
+
+
+@query
+def p7_forecast_violations(spark, sf_dir):
+    a = answers(spark, sf_dir)
+    no = F.col("current_time_ms") / HOUR % 5
+    q = F.when(no == 1, F.slice("q", 1, 99)).when(no == 2, F.reverse("q")).when(no == 3, F.transform("q", lambda v: -v)).otherwise(F.col("q"))
+    return a.select("asset", "current_time_ms", "model", F.array_join(L.violations(q), ",").alias("codes"))
+
+
+@query
+def p8_determinism(spark, sf_dir):
+    a = answers(spark, sf_dir).select("asset", "current_time_ms", "model", "q")
+    twice = a.union(a.withColumn("q", F.when(F.col("model") == "m3", L.shifted(F.col("q"), F.lit(0.01))).otherwise(F.col("q"))))
+    return twice.groupBy("asset", "current_time_ms", "model").agg(F.count(F.lit(1)).alias("n_answers"), (F.count_distinct("q") == 1).alias("same"))
+
+
+@query
+def p10_asset_params(spark, sf_dir):
+    assets = T.ticks(spark, sf_dir).select("asset").distinct()
+    shared = spark.createDataFrame([("REG_A", 0.62), ("WIDTH", 1.0)], "name string, value double")
+    own = spark.createDataFrame([("click", "REG_A", 0.7), ("view", "WIDTH", 1.2)], "asset string, name string, own double")
+    every = assets.withColumn("name", F.explode(F.array(F.lit("REG_A"), F.lit("WIDTH"))))
+    return every.join(F.broadcast(shared), "name").join(F.broadcast(own), ["asset", "name"], "left").select("asset", "name", F.coalesce("own", "value").alias("value"))
+
+
+@query
+def t1_latest_rows(spark, sf_dir):
+    w = trade_window(spark, sf_dir).groupBy("asset", "venue", "current_time_ms").agg(F.max_by(F.struct("seq", "price", "recv_ts_ms"), F.struct("recv_ts_ms", "seq")).alias("l"))
+    return w.select("asset", "venue", "current_time_ms", F.col("l.seq").alias("seq"), F.col("l.price").alias("price"), F.col("l.recv_ts_ms").alias("recv_ts_ms"))
+
+
+@query
+def w6_mid_change_lookback(spark, sf_dir):
+    out = T.clock_prompts(spark, sf_dir)
+    for venue in ("spot", "futures"):
+        q = T.quotes(spark, sf_dir).filter(F.col("venue") == venue).withColumn("mid", Q.mid()).select("asset", "seq", "recv_ts_ms", "mid")
+        for name, back in (("now", 0), ("then", 3 * HOUR)):
+            at = out.withColumn("__t", F.col("current_time_ms") - back)
+            out = asof_join(at, q, keys=["asset"], left_ts="__t", right_ts="recv_ts_ms", seq="seq", chunk_ms=CHUNK, name=f"{venue}_{name}").drop("__t")
+    change = {v: F.col(f"{v}_now.mid") - F.col(f"{v}_then.mid") for v in ("spot", "futures")}
+    return out.select("asset", "current_time_ms", r(change["spot"]).alias("schg"), r(change["futures"]).alias("fchg"), r(change["futures"] - change["spot"]).alias("lead"))
+
+
+@query
+def w7_basis_deviation(spark, sf_dir):
+    g = j7_basis_grid(spark, sf_dir).filter("basis is not null")
+    dealt = chunked(g, keys=["asset"], ts="current_time_ms", seq="current_time_ms", chunk_ms=48 * HOUR, halo_ms=15 * HOUR)
+    w = Window.partitionBy("asset", "__chunk").orderBy("current_time_ms")
+    for k in (5, 15):
+        dealt = dealt.withColumn(f"bdev{k}", r(F.col("basis") - F.avg("basis").over(w.rangeBetween(-(k - 1) * HOUR, 0))))
+    return without_halo(dealt).select("asset", "current_time_ms", "bdev5", "bdev15")
+
+
+@query
+def w16_prompt_spacing(spark, sf_dir):
+    p = q1_build_prompts(spark, sf_dir).filter("kind = 'event'")
+    return p.groupBy("asset", (F.floor(F.col("current_time_ms") / HOUR) * HOUR).cast("long").alias("slot")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def a8_band_imbalance(spark, sf_dir):
+    d = T.depth(spark, sf_dir)
+    bands = flow.depth_bands(d, id_cols=[*KEY, "seq"], width=0.05)
+    anchors = d.select("seq", (0.5 * (F.get("bids", 0)["price"] + F.get("asks", 0)["price"])).alias("anchor"), (F.get("bids", 0)["price"] + 0.004).alias("mid"))
+    return flow.band_imbalance(bands.join(anchors, "seq"), id_cols=[*KEY, "seq"], width=0.05, reach=0.1).select(*KEY, "seq", r("band_imb").alias("band_imb"))
+
+
+@query
+def a30_liquidation_sums(spark, sf_dir):
+    w = window_join(T.clock_prompts(spark, sf_dir), T.liquidations(spark, sf_dir), keys=["asset"], at="current_time_ms", ts="recv_ts_ms", window_ms=6 * HOUR)
+    signed, age = F.when(F.col("is_buy"), F.col("qty")).otherwise(-F.col("qty")), F.col("current_time_ms") - F.col("recv_ts_ms")
+    out = [c for h in (1, 6) for c in (F.coalesce(F.sum(F.when(age < h * HOUR, signed)), F.lit(0.0)).alias(f"liq_signed_{h}h"), F.count(F.when(age < h * HOUR, 1)).alias(f"liq_n_{h}h"))]
+    return w.groupBy("asset", "current_time_ms").agg(*out)
+
+
+@query
+def a32_touch_queue_ratio(spark, sf_dir):
+    q = spot(spark, sf_dir)
+    at = asof_join(T.clock_prompts(spark, sf_dir), q, keys=["asset"], left_ts="current_time_ms", right_ts="recv_ts_ms", seq="seq", chunk_ms=CHUNK)
+    w = window_join(T.clock_prompts(spark, sf_dir), T.trades(spark, sf_dir).filter("venue = 'spot'"), keys=["asset"], at="current_time_ms", ts="recv_ts_ms", window_ms=6 * HOUR)
+    f = flow.side_flow(w, keys=["asset"], at="current_time_ms", window_ms=6 * HOUR)
+    j = at.join(f, ["asset", "current_time_ms"]).filter("last is not null")
+    bid, ask = F.col("last.bid_qty"), F.col("last.ask_qty")
+    ratio = F.least(F.ln((bid + 0.001) / (F.col("sold") + 0.05)), F.ln((ask + 0.001) / (F.col("bought") + 0.05)))
+    return j.select("asset", "current_time_ms", r(F.log1p(F.least(bid, ask))).alias("minq"), r(ratio).alias("q_flow"))
+
+
+@query
+def x1_stream_candles(spark, sf_dir):
+    """Candles built by a stream over the events files, run until they are read."""
+    raw = spark.read.parquet(f"{sf_dir}/events.parquet")
+    stream = spark.readStream.schema(raw.schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events*")
+    ticks = T.from_events(stream)
+    name = f"x1_{abs(hash(sf_dir)) % 10**8}_{next(COUNTER)}"
+    jobs.stream_candles(ticks, keys=KEY, bar="1 hour", delay="1 hour").writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start().awaitTermination()
+    return spark.table(name).select(*KEY, "open_time_ms", *[r(c).alias(c) for c in ("open", "high", "low", "close", "volume")])
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(REGISTRY)

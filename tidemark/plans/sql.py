@@ -218,4 +218,19 @@ def oracle_sql() -> dict[str, str]:
         "f15_event_coin": _sql("", f"SELECT seq, {COIN} < 0.5 AS taken, {DELAYED} AS delay_ms FROM ticks"),
         "f10_signal_scores": _sql(WIN + COUNTS + f", zs AS (SELECT *, {z} AS z, {z1} AS z1 FROM counts)", "SELECT asset, venue, current_time_ms, round(z, 6) AS z, round(z1, 6) AS z_log, round(1 / (1 + exp(-(0.2 + z * 1.5 + z1 * -0.7))), 6) AS p, round(exp(0.1 + 0.4 * ln(greatest(vol_6h, 1e-3)) + 0.3 * ln(greatest(range_6h, 1e-3))), 6) AS blend FROM zs"),
         "r1_ladders": _sql(LABELS + ", m AS (SELECT asset, current_time_ms, model, min(x) AS lo, max(x) AS hi, 0.5 * (max(x) FILTER (WHERE i = 50) + max(x) FILTER (WHERE i = 51)) AS median FROM ladder GROUP BY ALL)", "SELECT asset, current_time_ms, model, round(any_value(lo), 6) AS q_first, round(any_value(hi), 6) AS q_last, round(any_value(median), 6) AS median, round(avg(abs(x - median)), 6) AS width, 0 AS n_bad FROM ladder JOIN m USING (asset, current_time_ms, model) GROUP BY ALL"),
+        "s2_normalized_trades": _sql("", "SELECT asset, venue, seq, ts_ms, recv_ts_ms AS event_ts_ms, recv_ts_ms, price, qty, buyer_is_maker FROM ticks WHERE seq % 7 <> 0 AND seq % 5 <> 0 AND seq % 97 <> 0 AND seq % 89 <> 0"),
+        "s3_normalized_quotes": _sql("", "SELECT asset, venue, seq, recv_ts_ms, round(bid_price, 6) AS bid_price, bid_qty, round(ask_price, 6) AS ask_price, ask_qty, NULL::BIGINT AS event_ts_ms FROM quotes WHERE seq % 7 <> 0 AND seq % 5 = 0 AND seq % 97 <> 0 AND seq % 89 <> 0"),
+        "s6_normalized_liquidations": _sql("", "SELECT asset, venue, seq, ts_ms, recv_ts_ms, price, qty, is_buy FROM ticks WHERE seq % 7 = 0 AND seq % 97 <> 0 AND seq % 89 <> 0"),
+        "s12_score_report": _sql(SCORES, f"SELECT row_number() OVER (ORDER BY current_time_ms)::INT AS test, current_time_ms, strftime(make_timestamp(current_time_ms * 1000), '%Y-%m-%dT%H:%M:%S.%g+00:00') AS start, strftime(make_timestamp((current_time_ms + {H}) * 1000), '%Y-%m-%dT%H:%M:%S.%g+00:00') AS target, '0.500' AS predict_ms, true AS has_realized, crps IS NOT NULL AS has_crps FROM scores WHERE model = 'm1' AND asset = 'click'"),
+        "p7_forecast_violations": _sql(LABELS, f"SELECT asset, current_time_ms, model, CASE current_time_ms // {H} % 5 WHEN 1 THEN 'length' WHEN 2 THEN 'decreasing' WHEN 3 THEN 'not_positive,decreasing' ELSE '' END AS codes FROM answers"),
+        "p8_determinism": _sql(LABELS, "SELECT asset, current_time_ms, model, 2 AS n_answers, model <> 'm3' AS same FROM answers"),
+        "p10_asset_params": _sql("", "SELECT asset, name, CASE WHEN asset = 'click' AND name = 'REG_A' THEN 0.7 WHEN asset = 'view' AND name = 'WIDTH' THEN 1.2 WHEN name = 'REG_A' THEN 0.62 ELSE 1.0 END::DOUBLE AS value FROM (SELECT DISTINCT asset FROM ticks) CROSS JOIN (VALUES ('REG_A'), ('WIDTH')) v(name)"),
+        "t1_latest_rows": _sql(WIN, "SELECT asset, venue, current_time_ms, arg_max(seq, recv_ts_ms) AS seq, arg_max(price, recv_ts_ms) AS price, max(recv_ts_ms) AS recv_ts_ms FROM win GROUP BY asset, venue, current_time_ms"),
+        "w6_mid_change_lookback": _sql(f", fut AS (SELECT * FROM quotes WHERE venue = 'futures'), m AS (SELECT p.asset, p.t AS current_time_ms, s1.mid - s0.mid AS s, f1.mid - f0.mid AS f FROM prompts p ASOF LEFT JOIN spot s1 ON p.asset = s1.asset AND p.t >= s1.recv_ts_ms ASOF LEFT JOIN spot s0 ON p.asset = s0.asset AND p.t - 3 * {H} >= s0.recv_ts_ms ASOF LEFT JOIN fut f1 ON p.asset = f1.asset AND p.t >= f1.recv_ts_ms ASOF LEFT JOIN fut f0 ON p.asset = f0.asset AND p.t - 3 * {H} >= f0.recv_ts_ms)", "SELECT asset, current_time_ms, round(s, 6) + 0.0::DOUBLE AS schg, round(f, 6) + 0.0::DOUBLE AS fchg, round(f - s, 6) + 0.0::DOUBLE AS lead FROM m"),
+        "w7_basis_deviation": _sql(", b AS (SELECT p.asset, p.t AS current_time_ms, round(f.mid - s.mid, 6) + 0.0::DOUBLE AS basis FROM prompts p ASOF JOIN spot s ON p.asset = s.asset AND p.t >= s.recv_ts_ms ASOF JOIN (SELECT * FROM quotes WHERE venue = 'futures') f ON p.asset = f.asset AND p.t >= f.recv_ts_ms)", f"SELECT asset, current_time_ms, round(basis - avg(basis) OVER (PARTITION BY asset ORDER BY current_time_ms RANGE BETWEEN {4 * H} PRECEDING AND CURRENT ROW), 6) + 0.0::DOUBLE AS bdev5, round(basis - avg(basis) OVER (PARTITION BY asset ORDER BY current_time_ms RANGE BETWEEN {14 * H} PRECEDING AND CURRENT ROW), 6) + 0.0::DOUBLE AS bdev15 FROM b"),
+        "w16_prompt_spacing": _sql(ALL_PROMPTS, f"SELECT asset, current_time_ms // {H} * {H} AS slot, count(*) AS n FROM built WHERE kind = 'event' GROUP BY asset, current_time_ms // {H}"),
+        "a8_band_imbalance": _sql(LEVELS + ", anchored AS (SELECT *, 0.5 * (max(price) FILTER (WHERE side = 'bid' AND i = 0) OVER (PARTITION BY seq) + max(price) FILTER (WHERE side = 'ask' AND i = 0) OVER (PARTITION BY seq)) AS anchor, max(price) FILTER (WHERE side = 'bid' AND i = 0) OVER (PARTITION BY seq) + 0.004::DOUBLE AS mid FROM lv), banded AS (SELECT *, CASE WHEN side = 'bid' THEN ceil((anchor - price) / 0.05::DOUBLE - 1e-9) - 1 ELSE floor((price - anchor) / 0.05::DOUBLE + 1e-9) END::INT AS band FROM anchored), per AS (SELECT asset, venue, seq, side, band, anchor, mid, sum(qty) AS size FROM banded WHERE band BETWEEN 0 AND 99 GROUP BY ALL), s AS (SELECT asset, venue, seq, coalesce(sum(size) FILTER (WHERE side = 'bid' AND anchor - band * 0.05::DOUBLE > mid - 0.1::DOUBLE AND anchor - (band + 1) * 0.05::DOUBLE < mid), 0) AS b, coalesce(sum(size) FILTER (WHERE side = 'ask' AND anchor + band * 0.05::DOUBLE < mid + 0.1::DOUBLE AND anchor + (band + 1) * 0.05::DOUBLE > mid), 0) AS a FROM per GROUP BY ALL)", "SELECT asset, venue, seq, round(CASE WHEN a + b > 0 THEN (b - a) / (a + b) ELSE 0 END, 6) + 0.0::DOUBLE AS band_imb FROM s"),
+        "a30_liquidation_sums": _sql("", f"SELECT asset, current_time_ms, coalesce(sum(s) FILTER (WHERE age < {H}), 0) AS liq_signed_1h, count(*) FILTER (WHERE age < {H}) AS liq_n_1h, sum(s) AS liq_signed_6h, count(*) AS liq_n_6h FROM (SELECT p.t AS current_time_ms, k.asset, p.t - k.recv_ts_ms AS age, CASE WHEN is_buy THEN qty ELSE -qty END AS s FROM prompts p JOIN ticks k ON k.asset = p.asset AND k.asset = 'error' AND k.recv_ts_ms > p.t - 6 * {H} AND k.recv_ts_ms <= p.t) GROUP BY asset, current_time_ms"),
+        "a32_touch_queue_ratio": _sql(f", f AS (SELECT p.asset, p.t, coalesce(sum(qty) FILTER (WHERE NOT buyer_is_maker), 0) AS bought, coalesce(sum(qty) FILTER (WHERE buyer_is_maker), 0) AS sold FROM prompts p JOIN spot k ON k.asset = p.asset AND k.recv_ts_ms > p.t - 6 * {H} AND k.recv_ts_ms <= p.t GROUP BY p.asset, p.t)", "SELECT f.asset, f.t AS current_time_ms, round(ln(1 + least(s.bid_qty, s.ask_qty)), 6) AS minq, round(least(ln((s.bid_qty + 0.001) / (sold + 0.05)), ln((s.ask_qty + 0.001) / (bought + 0.05))), 6) AS q_flow FROM f ASOF JOIN spot s ON f.asset = s.asset AND f.t >= s.recv_ts_ms"),
+        "x1_stream_candles": _sql("", f"SELECT asset, venue, recv_ts_ms // {H} * {H} AS open_time_ms, round(arg_min(price, recv_ts_ms), 6) AS open, round(max(price), 6) AS high, round(min(price), 6) AS low, round(arg_max(price, recv_ts_ms), 6) AS close, round(sum(qty), 6) AS volume FROM ticks GROUP BY asset, venue, recv_ts_ms // {H}"),
     }

@@ -11,7 +11,11 @@ KEY = ["asset", "venue"]
 
 def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Trades and quotes of one row: the projections of the fixtures."""
-    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return from_events(spark.read.parquet(f"{sf_dir}/events.parquet"))
+
+
+def from_events(e: DataFrame) -> DataFrame:
+    """Events, read or streamed, as ticks."""
     recv = F.unix_millis(F.col("ts").cast("timestamp"))
     price = F.floor((F.lit(100.0) + F.col("value") / 100) * 100 + 0.5) / 100
     t = e.select(
