@@ -23,8 +23,11 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.union(least.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
 
 
-def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+def _stars(edges: DataFrame) -> bool:
+    """Whether every node has one link up, or is linked to from below, but not both."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(edges.select("v", F.lit(0), F.lit(1)))
+    sums = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return not sums.filter("up > 1 or (up = 1 and down = 1)").take(1)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -35,10 +38,8 @@ def components(edges: DataFrame) -> DataFrame:
     only links, cut from its lineage by a table in the shared folder; the minimum of a node's
     neighbours is combined before the shuffle, so a hub with many links is no hot group.
     """
-    now = written(edges.select("u", "v").filter("u <> v").distinct(), "links")
-    before = None
-    while (state := _state(now)) != before and state[0]:
-        before = state
+    now = written(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct(), "links")
+    while not _stars(now):
         nxt = written(_small_star(_large_star(now)), "links")
         dropped(now)
         now = nxt

@@ -16,6 +16,8 @@ from tidemark.llm.components import components
 CHUNK = 1 << 20
 #: Rows of keys that may be broadcast: 16 bytes each; beyond, the join shuffles.
 BROADCAST_KEYS = 1_000_000
+#: Pivots of a round at most, and the number of pairs that are tested without more rounds.
+PIVOTS, FEW_PAIRS = 1 << 30, 4_000_000
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BLANK = np.zeros(256, bool)
@@ -171,15 +173,19 @@ def signed_documents(docs: DataFrame, *, key: str, text: str, width: int, bands:
 
 
 def class_sets(docs: DataFrame, *, key: str, text: str, width: int) -> DataFrame:
-    """``c1, c2, shingles`` (8 bytes each, sorted) per row."""
+    """``c1, c2, shingles`` (distinct hashes) per row."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 digests, found = zip(*document_sets(code_bytes(whole.slice(at, 512), "text"), width), strict=True)
-                yield pa.RecordBatch.from_arrays([*_longs(digests), _binary([s.tobytes() for s in found])], ["c1", "c2", "shingles"])
+                yield pa.RecordBatch.from_arrays([*_longs(digests), pa.array([s.astype(np.int64) for s in found], pa.list_(pa.int64()))], ["c1", "c2", "shingles"])
 
-    return docs.select(F.col(text).cast("binary").alias("text")).mapInArrow(sets, "c1 long, c2 long, shingles binary")
+    return docs.select(F.col(text).cast("binary").alias("text")).mapInArrow(sets, "c1 long, c2 long, shingles array<long>")
+
+
+def _parts(lists: pa.ListArray) -> list[np.ndarray]:
+    return np.split(lists.flatten().to_numpy(), np.cumsum(lists.value_lengths().to_numpy())[:-1])
 
 
 def _alike(least: float):
@@ -202,8 +208,7 @@ def _linked(percent: int):
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             good = []
-            for x, y in zip(batch.column("set_u").to_pylist(), batch.column("set_v").to_pylist(), strict=True):
-                a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            for a, b in zip(*(_parts(batch.column(c)) for c in ("set_u", "set_v")), strict=True):
                 n = len(np.intersect1d(a, b, assume_unique=True)) if 100 * min(len(a), len(b)) >= percent * max(len(a), len(b)) else 0
                 good.append(100 * n >= percent * (len(a) + len(b) - n))
             yield batch.filter(pa.array(good, pa.bool_())).select(["u", "v"])
@@ -212,8 +217,38 @@ def _linked(percent: int):
 
 
 def node(a: str = "c1", b: str = "c2") -> Column:
-    """The two halves of a digest as one orderable name."""
-    return F.concat(F.lpad(F.hex(a), 16, "0"), F.lpad(F.hex(b), 16, "0"))
+    """The two halves of a digest as one name, in the order of the halves as numbers."""
+    low = F.lit(-(1 << 63))
+    return F.concat(*[F.lpad(F.hex(F.col(c).bitwiseXOR(low)), 16, "0") for c in (a, b)])
+
+
+def prefixes(sets: DataFrame, percent: int) -> DataFrame:
+    """``token, node, size, place, rank``: each set's rarest shingles, which link to any like set.
+
+    With shingles in one order for all (rarest among these sets first), sets of a similarity of
+    t or more share a shingle among the first n - ceil(t * n) + 1 of each; sets that differ from
+    a common text in many places hold only shingles of their own there and meet nothing. Within
+    a token, sets are ranked by how common their shingles are: the text that others were made
+    from comes first.
+    """
+    spread = sets.select("node", F.size("shingles").alias("size"), F.explode("shingles").alias("token"))
+    counts = spread.groupBy("token").agg(F.count(F.lit(1)).alias("count"))
+    ordered = spread.join(counts, "token").groupBy("node", "size").agg(F.sort_array(F.collect_list(F.struct("count", "token"))).alias("tokens"), F.avg(F.ln("count")).alias("common"))
+    n = F.expr(f"size - cast(ceil({percent} * size / 100) as int) + 1")
+    first = ordered.select("node", "size", "common", F.posexplode(F.slice("tokens", F.lit(1), n)).alias("place", "t")).filter("t.count > 1")
+    rank = F.row_number().over(Window.partitionBy("token").orderBy(F.col("common").desc(), "node"))
+    return first.select(F.col("t.token").alias("token"), "node", "size", (F.col("place") + 1).alias("place"), "common").withColumn("rank", rank).drop("common")
+
+
+def pivot_pairs(rows: DataFrame, done: int, upto: int, percent: int) -> DataFrame:
+    """Pairs of the pivots ranked above ``done`` up to ``upto`` of each token and later sets of other
+    components, if sizes and places still allow the similarity."""
+    pivots = rows.filter(f"rank > {done} and rank <= {upto}").toDF(*[f"p_{c}" for c in rows.columns])
+    same = (F.col("token") == F.col("p_token")) & (F.col("rank") > F.col("p_rank")) & (F.col("component") != F.col("p_component"))
+    sizes = 100 * F.least("size", "p_size") >= percent * F.greatest("size", "p_size")
+    overlap = F.least(F.col("size") - F.col("place"), F.col("p_size") - F.col("p_place")) + 1
+    enough = overlap * (100 + percent) >= percent * (F.col("size") + F.col("p_size"))
+    return rows.join(pivots, same & sizes & enough).select(F.col("p_node").alias("u"), F.col("node").alias("v")).distinct()
 
 
 def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 85, bands: int = 28, rows: int = 6) -> DataFrame:
@@ -223,11 +258,12 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     ``percent`` or more. Equal word sequences are one class first, so copies cost one row. A
     class's minima (``bands`` x ``rows`` universal hashes) give band keys; at 85 percent a link
     shares no band with a chance of 2 in a million. Within a bucket every class is held against
-    pivots, not against all: one pivot at first, then three, twelve and so on, but only in
-    buckets that still span several components, and only against classes of other components,
-    until each class was a pivot or the bucket is of one component. No link between classes of
-    different components is left untested. Pairs whose signatures are far too unlike go; the
-    rest is confirmed on full sets. Links go through large-star / small-star.
+    one pivot. Classes of buckets that then still span several components are grouped anew by
+    their rarest shingles (see ``prefixes``) and held against pivots there: one, eight, 64 and
+    so on, only where a token spans several components and only against classes of other ones,
+    until each class was a pivot. So no link between different components is left untested, and
+    no bucket is paired with itself. Pairs whose signatures are far too unlike go; the rest is
+    confirmed on full sets. Links go through large-star / small-star.
 
     Texts without words (null, empty, blank) have an empty set and are components of their own.
     ``component_id`` is the smallest key of the component; null keys lose against others, and a
@@ -262,24 +298,27 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
         return written(with_(like, sets, "shingles", "set").mapInArrow(_linked(percent), "u string, v string"), "verified")
 
     links = verified(members.filter("node <> pivot").select(F.col("pivot").alias("u"), F.col("node").alias("v")).distinct())
-    done, more = 1, 3
-    ranked = None
-    while True:
-        found = written(components(links), "components")
-        rows_ = members if ranked is None else ranked
-        at = rows_.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        open_ = at.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("m")).filter(f"lo <> hi and m > {done}").select("bucket")
-        at = at.drop("pivot").join(open_, "bucket")
-        if ranked is None:
-            at = at.withColumn("rank", F.row_number().over(Window.partitionBy("bucket").orderBy("node")))
-        ranked = written(at.select("bucket", "node", "rank", "component"), "open")
-        if not ranked.take(1):
-            break
-        pivots = ranked.filter(f"rank > {done} and rank <= {done + more}").select("bucket", F.col("node").alias("u"), F.col("rank").alias("first"), F.col("component").alias("of"))
-        pairs = ranked.join(pivots, "bucket").filter("rank > first and component <> of").select("u", F.col("node").alias("v")).distinct()
-        links = links.union(verified(pairs))
-        ranked = ranked.drop("component")
-        done, more = done + more, more * 4
+    found = written(components(links), "components")
+    at = members.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    open_ = at.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("bucket")
+    undecided = written(at.join(open_, "bucket").select("node").distinct(), "undecided")
+    if undecided.take(1):
+        rows_ = written(prefixes(sets.join(undecided, "node", "left_semi"), percent), "prefixes")
+        done, more = 0, 1
+        while True:
+            at = rows_.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+            open_ = at.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("rank").alias("last"), F.count(F.lit(1)).alias("m")).filter(f"lo <> hi and last > {done + 1}")
+            rows_ = written(at.join(open_.select("token", "m"), "token"), "open")
+            n, pairs = rows_.agg(F.count(F.lit(1)), F.sum("m")).first()
+            if not n:
+                break
+            if pairs <= 128 * n + FEW_PAIRS:
+                more = PIVOTS  # what is left is small: all at once
+            new = verified(pivot_pairs(rows_, done, done + more, percent))
+            rows_ = rows_.drop("component", "m")
+            if new.take(1):
+                found = written(components(found.select(F.col("node").alias("u"), F.col("component").alias("v")).union(new)), "components")
+            done, more = done + more, min(PIVOTS, more * 8)
 
     per_class = signed.filter("n > 0").groupBy("c1", "c2").agg(F.min("key").alias("least")).withColumn("node", node())
     labelled = per_class.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
