@@ -1,3 +1,5 @@
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -10,8 +12,11 @@ SF = "/root/testdata/sf0.001"
 
 @pytest.fixture(scope="module")
 def source(spark, tmp_path_factory):
-    path = str(tmp_path_factory.mktemp("ticks"))
-    T.ticks(spark, SF).drop("props").repartitionByRange(3, "recv_ts_ms").sortWithinPartitions("recv_ts_ms").write.parquet(path)
+    path = str(tmp_path_factory.mktemp("ticks") / "t")
+    t = T.ticks(spark, SF).drop("props")
+    for part in ("seq < 300", "seq between 300 and 699", "seq >= 700"):  # files in the order of time
+        t.filter(part).coalesce(1).write.mode("append").parquet(path)
+        time.sleep(1)
     return path
 
 

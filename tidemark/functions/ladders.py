@@ -145,7 +145,9 @@ def with_point_mass(q: Column, price: Column, mass: Column) -> Column:
                     continue
                 below = float((x < p).sum()) / N * (1 - m)
                 t = np.where(levels < below, levels / (1 - m), np.where(levels <= below + m, np.nan, (levels - m) / (1 - m)))
-                out.append(np.where(np.isnan(t), p, np.interp(t, levels, x)))
+                moved = np.interp(t, levels, x)
+                moved = np.where(levels < below, np.minimum(moved, p), np.maximum(moved, p))
+                out.append(np.where(np.isnan(t), p, moved))
             yield pd.Series(out)
 
     return put(q, price, mass)
