@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import ladders as L
 from tidemark.functions import quotes as Q
 from tidemark.operators import candles as C
-from tidemark.operators import flow, prompts, scoring
+from tidemark.operators import features, flow, forecast, prompts, scoring
 from tidemark.operators.asof import asof_join, chunked, window_join, without_halo
 from tidemark.sources import files
 from tidemark.sources import messages as M
@@ -668,5 +668,58 @@ def x1_stream_candles(spark, sf_dir):
     return spark.table(name).select(*KEY, "open_time_ms", *[r(c).alias(c) for c in ("open", "high", "low", "close", "volume")])
 
 
+def feature_table(spark, sf_dir) -> DataFrame:
+    return features.build_features(
+        T.clock_prompts(spark, sf_dir), trades=T.trades(spark, sf_dir), quotes=T.quotes(spark, sf_dir), liquidations=T.liquidations(spark, sf_dir), depth=T.depth(spark, sf_dir),
+        window_ms=6 * HOUR, flow_ms=2 * HOUR, last_n=5, lags={"m1": HOUR, "m3": 3 * HOUR}, vol_ms=5 * HOUR, liq_recent_ms=HOUR, liq_unit=10.0, liq_long_unit=100.0, least=3,
+    )
+
+
+@query
+def q2_build_features(spark, sf_dir):
+    f = feature_table(spark, sf_dir)
+    return f.select("asset", "current_time_ms", *[c if c == "stale_ms" else r(c).alias(c) for c in f.columns[2:]])
+
+
+@query
+def q4_build_signals(spark, sf_dir):
+    s = features.signals(feature_table(spark, sf_dir).select("asset", "current_time_ms", "flow", "basis", "liq_dir"))
+    return s.select("asset", "current_time_ms", "signal", r("value").alias("value"))
+
+
+def batch_forecasts(spark, sf_dir) -> DataFrame:
+    f = feature_table(spark, sf_dir).filter("price > 1")
+    shift, width = forecast.linear({"flow": 0.05, "basis": 2.0}), 0.2 + F.abs("flow") * 0.1
+    return forecast.forecast_batch(f, shift=shift, width=width)
+
+
+@query
+def q6_backtest(spark, sf_dir):
+    q = batch_forecasts(spark, sf_dir).select("asset", "current_time_ms", F.lit("linear").alias("model"), "q")
+    s = scoring.run_summary(scoring.scored(q, labelled(spark, sf_dir)), by=["asset", "model"])
+    return s.select("asset", "model", "n", "n_scored", r("crps_mean").alias("crps_mean"), r("crps_max").alias("crps_max"))
+
+
+@query
+def r14_forecast_batch(spark, sf_dir):
+    f = batch_forecasts(spark, sf_dir)
+    q = F.col("q")
+    return f.select("asset", "current_time_ms", r(L.median(q)).alias("median"), r(L.width(q)).alias("width"), F.size(L.violations(q)).alias("n_bad"))
+
+
+@query
+def r9_point_mass(spark, sf_dir):
+    a = answers(spark, sf_dir).filter("model = 'm3'").join(priced(spark, sf_dir), ["asset", "current_time_ms"])
+    q = L.with_point_mass(F.col("q"), F.col("price"), F.lit(0.25))
+    return a.select("asset", "current_time_ms", q.alias("q"), "price").select("asset", "current_time_ms", F.size(F.filter("q", lambda v: v == F.col("price"))).alias("n_atom"), F.size(L.violations(F.col("q"))).alias("n_bad"))
+
+
+@query
+def a15_weighted_bin_means(spark, sf_dir):
+    m = C.aged(moved(spark, sf_dir).filter("r_10 is not null").withColumn("a10", F.abs("r_10")), keys=KEY, ts="open_time_ms", newest=480)
+    b = forecast.weighted_bin_means(m.select(*KEY, "a10", "age"), keys=KEY, value="a10", age="age", bins=20)
+    return b.select(*KEY, "bin", r("mean", 9).alias("mean"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(REGISTRY)

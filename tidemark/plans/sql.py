@@ -139,6 +139,60 @@ counts AS (
 )
 """
 
+FEATURES = (
+    WIN
+    + f""",
+qw AS (
+  SELECT p.t AS current_time_ms, k.*, max(k.recv_ts_ms) OVER (PARTITION BY p.asset, p.t, k.venue) AS newest FROM prompts p JOIN quotes k
+  ON k.asset = p.asset AND k.recv_ts_ms > p.t - 6 * {H} AND k.recv_ts_ms <= p.t
+),
+bk AS (
+  SELECT asset, current_time_ms, venue, arg_max(micro, recv_ts_ms) AS micro, arg_max(mid, recv_ts_ms) AS mid, arg_max(greatest(ask_price - bid_price, 0), recv_ts_ms) AS spread,
+         arg_max((bid_qty - ask_qty) / (bid_qty + ask_qty), recv_ts_ms) AS imb, max(recv_ts_ms) AS recv,
+         arg_max(micro, recv_ts_ms) FILTER (WHERE recv_ts_ms <= newest - {H}) AS at1, arg_max(micro, recv_ts_ms) FILTER (WHERE recv_ts_ms <= newest - 3 * {H}) AS at3
+  FROM qw GROUP BY ALL
+),
+rr AS (SELECT *, ln(micro / lag(micro) OVER (PARTITION BY asset, venue, current_time_ms ORDER BY recv_ts_ms)) AS r FROM qw WHERE recv_ts_ms > newest - 5 * {H}),
+vol AS (SELECT asset, venue, current_time_ms, stddev_pop(r) * sqrt(count(r)) AS rv, ln(max(micro) / min(micro)) AS rng FROM rr GROUP BY ALL HAVING count(*) >= 3),
+bv AS (
+  SELECT *, coalesce(ln(micro / at1), 0) AS m1, coalesce(ln(micro / at3), 0) AS m3 FROM bk LEFT JOIN vol USING (asset, current_time_ms, venue)
+),
+tb AS (SELECT *, row_number() OVER (PARTITION BY asset, venue, current_time_ms ORDER BY recv_ts_ms DESC, seq DESC) AS back, max(recv_ts_ms) OVER (PARTITION BY asset, venue, current_time_ms) AS newest FROM signed),
+tf AS (
+  SELECT asset, venue, current_time_ms, sum(s) / sum(qty) AS flow, sum(s) FILTER (WHERE back <= 5) / sum(qty) FILTER (WHERE back <= 5) AS flow_fast,
+         sum(s) FILTER (WHERE recv_ts_ms >= newest - 2 * {H}) / sum(qty) FILTER (WHERE recv_ts_ms >= newest - 2 * {H}) AS flow_window, sum(qty) FILTER (WHERE recv_ts_ms >= newest - 2 * {H}) AS qty_window
+  FROM tb GROUP BY ALL
+),
+liq AS (
+  SELECT asset, current_time_ms, tanh(coalesce(sum(CASE WHEN is_buy THEN qty ELSE -qty END) FILTER (WHERE recv_ts_ms >= current_time_ms - {H}), 0) / 10.0) AS liq_dir, tanh(sum(qty) / 100.0) AS liq_hour
+  FROM win WHERE asset = 'error' GROUP BY ALL
+),
+dq AS (SELECT seq, i, (1 + (seq + i) % 9)::DOUBLE AS qty FROM ticks CROSS JOIN range(20) r(i)),
+v AS (
+  SELECT bv.*, tf.flow, tf.flow_fast, tf.flow_window, tf.qty_window FROM bv LEFT JOIN tf USING (asset, venue, current_time_ms)
+),
+pv AS (
+  SELECT p.asset, p.t AS current_time_ms, s.micro AS s_micro, s.mid AS s_mid, f.micro AS f_micro, f.mid AS f_mid, s.spread AS s_spread, s.recv AS s_recv, f.recv AS f_recv,
+    s.flow AS s_flow, f.flow AS f_flow, s.flow_fast AS s_fast, f.flow_fast AS f_fast, liq_dir, liq_hour,
+    s.imb AS s_imb, s.m1 AS s_m1, s.m3 AS s_m3, s.rv AS s_rv, s.rng AS s_rng, s.flow_window AS s_flow_window, s.qty_window AS s_qty_window,
+    f.imb AS f_imb, f.m1 AS f_m1, f.m3 AS f_m3, f.rv AS f_rv, f.rng AS f_rng, f.flow_window AS f_flow_window, f.qty_window AS f_qty_window
+  FROM prompts p LEFT JOIN (SELECT * FROM v WHERE venue = 'spot') s ON s.asset = p.asset AND s.current_time_ms = p.t
+  LEFT JOIN (SELECT * FROM v WHERE venue = 'futures') f ON f.asset = p.asset AND f.current_time_ms = p.t
+  LEFT JOIN liq ON liq.asset = p.asset AND liq.current_time_ms = p.t
+),
+feat AS (
+  SELECT asset, current_time_ms, coalesce(s_micro, s_mid, f_micro, f_mid, 1.0) AS price, coalesce(s_mid, s_micro, f_micro, f_mid, 1.0) AS mid, 0.0::DOUBLE AS obi, 0.0::DOUBLE AS top_obi,
+    0.5 * (coalesce(s_flow, 0) + coalesce(f_flow, 0)) AS flow, 0.5 * (coalesce(s_fast, 0) + coalesce(f_fast, 0)) AS flow_fast,
+    coalesce(s_imb, 0) AS s_imb, coalesce(s_m1, 0) AS s_m1, coalesce(s_m3, 0) AS s_m3, coalesce(s_rv, 0) AS s_rv, coalesce(s_rng, 0) AS s_rng, coalesce(s_flow_window, 0) AS s_flow_window, coalesce(s_qty_window, 0) AS s_qty_window,
+    coalesce(f_imb, 0) AS f_imb, coalesce(f_m1, 0) AS f_m1, coalesce(f_m3, 0) AS f_m3, coalesce(f_rv, 0) AS f_rv, coalesce(f_rng, 0) AS f_rng, coalesce(f_flow_window, 0) AS f_flow_window, coalesce(f_qty_window, 0) AS f_qty_window,
+    CASE WHEN s_micro > 0 AND f_micro IS NOT NULL THEN (f_micro - s_micro) / s_micro ELSE 0 END AS basis, coalesce(s_spread / coalesce(s_micro, 1.0), 0) AS spread_rel,
+    coalesce(greatest(current_time_ms - s_recv, current_time_ms - f_recv), 0) AS stale_ms, coalesce(liq_dir, 0) AS liq_dir, coalesce(liq_hour, 0) AS liq_hour
+  FROM pv
+)
+"""
+)
+FEATURE_NAMES = ("price", "mid", "obi", "top_obi", "flow", "flow_fast", *(f"{p}_{c}" for p in "sf" for c in ("imb", "m1", "m3", "rv", "rng", "flow_window", "qty_window")), "basis", "spread_rel", "liq_dir", "liq_hour")
+
 
 def _sql(ctes: str, body: str = "") -> str:
     return f"WITH RECURSIVE {BASE}{ctes} {body}"
@@ -233,4 +287,6 @@ def oracle_sql() -> dict[str, str]:
         "a30_liquidation_sums": _sql("", f"SELECT asset, current_time_ms, coalesce(sum(s) FILTER (WHERE age < {H}), 0) AS liq_signed_1h, count(*) FILTER (WHERE age < {H}) AS liq_n_1h, sum(s) AS liq_signed_6h, count(*) AS liq_n_6h FROM (SELECT p.t AS current_time_ms, k.asset, p.t - k.recv_ts_ms AS age, CASE WHEN is_buy THEN qty ELSE -qty END AS s FROM prompts p JOIN ticks k ON k.asset = p.asset AND k.asset = 'error' AND k.recv_ts_ms > p.t - 6 * {H} AND k.recv_ts_ms <= p.t) GROUP BY asset, current_time_ms"),
         "a32_touch_queue_ratio": _sql(f", f AS (SELECT p.asset, p.t, coalesce(sum(qty) FILTER (WHERE NOT buyer_is_maker), 0) AS bought, coalesce(sum(qty) FILTER (WHERE buyer_is_maker), 0) AS sold FROM prompts p JOIN spot k ON k.asset = p.asset AND k.recv_ts_ms > p.t - 6 * {H} AND k.recv_ts_ms <= p.t GROUP BY p.asset, p.t)", "SELECT f.asset, f.t AS current_time_ms, round(ln(1 + least(s.bid_qty, s.ask_qty)), 6) AS minq, round(least(ln((s.bid_qty + 0.001) / (sold + 0.05)), ln((s.ask_qty + 0.001) / (bought + 0.05))), 6) AS q_flow FROM f ASOF JOIN spot s ON f.asset = s.asset AND f.t >= s.recv_ts_ms"),
         "x1_stream_candles": _sql("", f"SELECT asset, venue, recv_ts_ms // {H} * {H} AS open_time_ms, round(arg_min(price, recv_ts_ms), 6) AS open, round(max(price), 6) AS high, round(min(price), 6) AS low, round(arg_max(price, recv_ts_ms), 6) AS close, round(sum(qty), 6) AS volume FROM ticks GROUP BY asset, venue, recv_ts_ms // {H}"),
+        "q2_build_features": _sql(FEATURES, "SELECT asset, current_time_ms, stale_ms, " + ", ".join(f"round({c}, 6) + 0.0::DOUBLE AS {c}" for c in FEATURE_NAMES) + " FROM feat"),
+        "q4_build_signals": _sql(FEATURES, "SELECT asset, current_time_ms, signal, round(value, 6) + 0.0::DOUBLE AS value FROM (SELECT asset, current_time_ms, 'flow' AS signal, flow AS value FROM feat UNION ALL SELECT asset, current_time_ms, 'basis', basis FROM feat UNION ALL SELECT asset, current_time_ms, 'liq_dir', liq_dir FROM feat)"),
     }
