@@ -58,13 +58,18 @@ def eligible(scores: DataFrame) -> DataFrame:
 
 
 def leaderboard(field: DataFrame) -> DataFrame:
-    mean = field.groupBy("asset", "model").agg(F.avg("field_score").alias("score"), F.count(F.lit(1)).alias("n_prompts"))
+    """Mean field score and rank within the asset, of the models that answered there at least once.
+
+    A model that never answered is charged what others' answers say and changes none of them, so
+    it can be left out here, in the same aggregation.
+    """
+    mean = field.groupBy("asset", "model").agg(F.avg("field_score").alias("score"), F.count(F.lit(1)).alias("n_prompts"), F.max("answered").alias("any")).filter("any").drop("any")
     return mean.withColumn("rank", F.rank().over(Window.partitionBy("asset").orderBy(F.round("score", 9))))
 
 
 def reward_split(board: DataFrame, *, pool: float, shares: tuple[float, ...]) -> DataFrame:
-    """The pool in equal parts for the assets, each part by rank."""
-    n = board.select("asset").distinct().count()
+    """The pool in equal parts for the assets, each part by rank; ``board`` has a row per asset and model."""
+    n = F.size(F.collect_set("asset").over(Window.partitionBy()))
     share = F.coalesce(F.get(F.array(*map(F.lit, shares)), F.col("rank") - 1), F.lit(0.0))
     return board.withColumn("reward", share * pool / n)
 

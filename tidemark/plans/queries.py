@@ -295,13 +295,13 @@ def a19_exclusive_p95(spark, sf_dir):
 
 @query
 def a20_leaderboard(spark, sf_dir):
-    b = scoring.leaderboard(scoring.field_scores(scoring.eligible(all_scores(spark, sf_dir))))
+    b = scoring.leaderboard(scoring.field_scores(all_scores(spark, sf_dir)))
     return b.withColumn("score", r("score"))
 
 
 @query
 def a21_reward_split(spark, sf_dir):
-    b = scoring.leaderboard(scoring.field_scores(scoring.eligible(all_scores(spark, sf_dir))))
+    b = scoring.leaderboard(scoring.field_scores(all_scores(spark, sf_dir)))
     return scoring.reward_split(b, pool=1000.0, shares=(0.5, 0.3, 0.2)).select("asset", "model", "rank", r("reward").alias("reward"))
 
 
@@ -330,7 +330,7 @@ def a25_trigger_mix(spark, sf_dir):
 @query
 def a26_tick_counts(spark, sf_dir):
     t = flow.tick_counts(trade_window(spark, sf_dir), keys=["asset", "venue"], at="current_time_ms", windows={"1h": HOUR, "6h": 6 * HOUR})
-    return t.select("asset", "venue", "current_time_ms", *[r(c).alias(c) if c[0] in "rv" else c for c in t.columns[3:]])
+    return t.select("asset", "venue", "current_time_ms", *[r(c, 9).alias(c) if c[0] in "rv" else c for c in t.columns[3:]])
 
 
 @query

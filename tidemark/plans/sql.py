@@ -244,7 +244,7 @@ def oracle_sql() -> dict[str, str]:
         "a23_split_eval": _sql(SCORES, "SELECT split, asset, count(*) AS n, round(avg(crps), 6) AS crps_mean FROM (SELECT *, CASE WHEN current_time_ms < 1705363200000 THEN 'fit' ELSE 'held' END AS split FROM scores WHERE crps IS NOT NULL) GROUP BY ROLLUP (split, asset)"),
         "a24_season_table": _sql(CANDLES + SEASON, "SELECT slot::INT AS slot, n, round(seas_abs, 6) AS seas_abs, round(seas_abs / usual, 6) AS seas_rel FROM seas LEFT JOIN usual ON slot // 6 % 24 = hour"),
         "a25_trigger_mix": _sql(ALL_PROMPTS, "SELECT asset, kind, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY asset), 6) AS share FROM built GROUP BY asset, kind"),
-        "a26_tick_counts": _sql(WIN + COUNTS, "SELECT asset, venue, current_time_ms, n_1h, round(vol_1h, 6) AS vol_1h, flow_1h, round(range_1h, 6) AS range_1h, round(vwap_1h, 6) AS vwap_1h, n_6h, round(vol_6h, 6) AS vol_6h, flow_6h, round(range_6h, 6) AS range_6h, round(vwap_6h, 6) AS vwap_6h FROM counts"),
+        "a26_tick_counts": _sql(WIN + COUNTS, "SELECT asset, venue, current_time_ms, n_1h, round(vol_1h, 9) AS vol_1h, flow_1h, round(range_1h, 9) AS range_1h, round(vwap_1h, 9) AS vwap_1h, n_6h, round(vol_6h, 9) AS vol_6h, flow_6h, round(range_6h, 9) AS range_6h, round(vwap_6h, 9) AS vwap_6h FROM counts"),
         "a31_robust_center_scale": _sql(WIN + COUNTS + ", long AS (SELECT venue, 'n' AS signal, n_6h::DOUBLE AS value FROM counts UNION ALL SELECT venue, 'flow', flow_6h FROM counts UNION ALL SELECT venue, 'range', range_6h FROM counts), c AS (SELECT *, quantile_cont(value, 0.5) OVER (PARTITION BY venue, signal) AS centre FROM long)", "SELECT venue, signal, round(any_value(centre), 6) AS centre, round(avg(abs(value - centre)), 6) AS scale FROM c GROUP BY ALL"),
         "w1_gap_fill": _sql(CANDLES, "SELECT asset, venue, open_time_ms, round(close, 6) AS close, round(volume, 6) AS volume FROM filled"),
         "w2_lag_returns": _sql(CANDLES, "SELECT asset, venue, open_time_ms, " + ", ".join(f"round({k}_{n}, 6) AS {k}_{n}" for k in "rd" for n in ("one", "three", "ten")) + " FROM moved"),
