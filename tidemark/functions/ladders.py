@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -22,19 +22,24 @@ def laplace_z(n: int = N) -> list[float]:
     return [math.copysign(-math.log(1 - 2 * abs(t - 0.5)), t - 0.5) for t in levels]
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once for the row, not for every price."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def ladder(price: Column, shift: Column, width: Column, z: list[float]) -> Column:
     """price + shift + width * z."""
-    return F.transform(F.array(*[F.lit(float(v)) for v in z]), lambda v: price + shift + width * v)
+    pair = F.struct((price + shift).alias("at"), width.alias("w"))
+    return let(pair, lambda p: F.transform(F.array(*[F.lit(float(v)) for v in z]), lambda v: p["at"] + p["w"] * v))
 
 
 def median(q: Column) -> Column:
-    return 0.5 * (F.get(q, N // 2 - 1) + F.get(q, N // 2))
+    return let(q, lambda q: 0.5 * (F.get(q, N // 2 - 1) + F.get(q, N // 2)))
 
 
 def width(q: Column) -> Column:
     """Mean distance from the median."""
-    m = median(q)
-    return F.aggregate(q, F.lit(0.0), lambda s, v: s + F.abs(v - m)) / N
+    return let(q, lambda q: let(median(q), lambda m: F.aggregate(q, F.lit(0.0), lambda s, v: s + F.abs(v - m)) / N))
 
 
 def violations(q: Column) -> Column:
@@ -54,13 +59,12 @@ def pinball_crps(q: Column, realized: Column) -> Column:
 
 def widened(q: Column, factor: Column, anchor: Column | None = None, band: float = 0.0) -> Column:
     """med + factor * (q - med); prices within ``band`` of the anchor stay; ordered by size."""
-    m = median(q)
     keep = (lambda v: F.abs(v - anchor) <= band) if anchor is not None else (lambda v: F.lit(False))
-    return F.array_sort(F.transform(q, lambda v: F.when(keep(v), v).otherwise(m + factor * (v - m))))
+    return let(q, lambda q: let(median(q), lambda m: F.array_sort(F.transform(q, lambda v: F.when(keep(v), v).otherwise(m + factor * (v - m))))))
 
 
 def shifted(q: Column, by: Column) -> Column:
-    return F.transform(q, lambda v: v + by)
+    return let(by, lambda d: F.transform(q, lambda v: v + d))
 
 
 def tent(spread: float = 0.08) -> list[float]:
@@ -73,12 +77,12 @@ def tent(spread: float = 0.08) -> list[float]:
 
 
 def centre_widened(q: Column, spread: float = 0.08) -> Column:
-    m = median(q)
-    return F.zip_with(q, F.array(*[F.lit(v) for v in tent(spread)]), lambda v, w: v + w * (v - m))
+    moves = F.array(*[F.lit(v) for v in tent(spread)])
+    return let(q, lambda q: let(median(q), lambda m: F.zip_with(q, moves, lambda v, w: v + w * (v - m))))
 
 
 def blended(a: Column, b: Column, weight: Column) -> Column:
-    return F.zip_with(a, b, lambda x, y: (1 - weight) * x + weight * y)
+    return let(weight, lambda w: F.zip_with(a, b, lambda x, y: (1 - w) * x + w * y))
 
 
 def blend_weight(relative: Column, *, slope: float, pivot: float, cap: float) -> Column:
@@ -89,9 +93,12 @@ def mirrored(bins: Column, price: Column, drift: Column) -> Column:
     """Levels of absolute log returns mirrored about the price, tilted by the drift, as prices."""
     mean = F.aggregate(bins, F.lit(0.0), lambda s, v: s + v) / F.size(bins)
     tilt = F.when(mean > 0, F.least(F.greatest(drift / mean, F.lit(-1.0)), F.lit(1.0))).otherwise(0.0)
-    down = F.transform(F.reverse(bins), lambda v: -v * (1 - tilt))
-    up = F.transform(bins, lambda v: v * (1 + tilt))
-    return F.transform(F.concat(down, up), lambda r: price * F.exp(r))
+
+    def prices(t: Column) -> Column:
+        down = F.transform(F.reverse(bins), lambda v: -v * (1 - t))
+        return F.transform(F.concat(down, F.transform(bins, lambda v: v * (1 + t))), lambda r: price * F.exp(r))
+
+    return let(tilt, prices)
 
 
 def _rows(q: pd.Series) -> np.ndarray:

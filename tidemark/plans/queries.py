@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import ladders as L
 from tidemark.functions import quotes as Q
 from tidemark.operators import candles as C
-from tidemark.operators import features, flow, forecast, prompts, scoring
+from tidemark.operators import features, flow, forecast, payloads, prompts, scoring
 from tidemark.operators.asof import asof_join, chunked, window_join, without_halo
 from tidemark.sources import files
 from tidemark.sources import messages as M
@@ -721,5 +721,31 @@ def a15_weighted_bin_means(spark, sf_dir):
     return b.select(*KEY, "bin", r("mean", 9).alias("mean"))
 
 
+@query
+def p5_filter_depth_updates(spark, sf_dir):
+    u = T.ticks(spark, sf_dir).select(*KEY, "recv_ts_ms", (F.col("seq") * 3 - 2).alias("first_id"), (F.col("seq") * 3).alias("final_id"), F.floor(F.col("recv_ts_ms") / DAY).alias("day"))
+    first = u.groupBy(*KEY, "day").agg(F.min(F.struct("recv_ts_ms", "final_id")).alias("s"))
+    starts = first.select(*KEY, "day", (F.col("s.final_id") - 1).alias("start_id"), (F.col("s.recv_ts_ms") + 1000).alias("start_recv_ms"), (F.col("s.recv_ts_ms") + HOUR).alias("lo_ms"), (F.col("s.recv_ts_ms") + 8 * HOUR).alias("hi_ms"))
+    return payloads.filter_depth_updates(u, starts, keys=[*KEY, "day"]).select(*KEY, "first_id", "final_id", "start_id")
+
+
+@query
+def q5_assembled_payloads(spark, sf_dir):
+    p = payloads.assembled(T.clock_prompts(spark, sf_dir), {"trades": T.trades(spark, sf_dir), "quotes": T.quotes(spark, sf_dir)}, windows={"trades": 6 * HOUR, "quotes": 2 * HOUR})
+    v = payloads.payload_violations(p.withColumn("current_time_ms", F.when(F.col("current_time_ms") % (7 * HOUR) == 0, F.col("current_time_ms") - 3 * HOUR).otherwise(F.col("current_time_ms"))), assets=("click", "error", "purchase", "view"))
+    return v.select("asset", "current_time_ms", *[F.size(c).alias(f"n_{c}") for c in ("trades_spot", "trades_futures", "quotes_spot", "quotes_futures")], F.array_contains("codes", "asset").alias("bad_asset"), F.array_contains("codes", "trades_spot:future").alias("ahead"))
+
+
+@query
+def q3_still_features(spark, sf_dir):
+    """Stillness of the spot mid on the clock's grid: unchanged spans, changes, and the touch against flow."""
+    mid = spot(spark, sf_dir).withColumn("mid", r(Q.mid())).select("asset", "seq", "recv_ts_ms", "mid", "bid_qty", "ask_qty", r(Q.spread()).alias("spread"))
+    g = asof_join(T.clock_prompts(spark, sf_dir), mid, keys=["asset"], left_ts="current_time_ms", right_ts="recv_ts_ms", seq="seq", chunk_ms=CHUNK)
+    g = g.filter("last is not null").select("asset", "current_time_ms", "last.*")
+    c = flow.mid_change_counts(g, keys=["asset"], value="mid", ts="current_time_ms", steps=24, span=4)
+    w = Window.partitionBy("asset").orderBy("current_time_ms").rowsBetween(-23, 0)
+    return c.select("asset", "current_time_ms", r(F.avg(F.col("still").cast("double")).over(w)).alias("p0book"), r(F.exp(-F.col("changes") / 6)).alias("pois"), r(F.log1p(F.col("since") / 1000)).alias("age"), r(F.log1p(F.least("bid_qty", "ask_qty"))).alias("minq"), r(F.least(F.col("spread") / 0.05, F.lit(1.0))).alias("spread"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(REGISTRY)

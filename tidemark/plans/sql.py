@@ -289,4 +289,10 @@ def oracle_sql() -> dict[str, str]:
         "x1_stream_candles": _sql("", f"SELECT asset, venue, recv_ts_ms // {H} * {H} AS open_time_ms, round(arg_min(price, recv_ts_ms), 6) AS open, round(max(price), 6) AS high, round(min(price), 6) AS low, round(arg_max(price, recv_ts_ms), 6) AS close, round(sum(qty), 6) AS volume FROM ticks GROUP BY asset, venue, recv_ts_ms // {H}"),
         "q2_build_features": _sql(FEATURES, "SELECT asset, current_time_ms, stale_ms, " + ", ".join(f"round({c}, 6) + 0.0::DOUBLE AS {c}" for c in FEATURE_NAMES) + " FROM feat"),
         "q4_build_signals": _sql(FEATURES, "SELECT asset, current_time_ms, signal, round(value, 6) + 0.0::DOUBLE AS value FROM (SELECT asset, current_time_ms, 'flow' AS signal, flow AS value FROM feat UNION ALL SELECT asset, current_time_ms, 'basis', basis FROM feat UNION ALL SELECT asset, current_time_ms, 'liq_dir', liq_dir FROM feat)"),
+        "p5_filter_depth_updates": _sql(f", u AS (SELECT asset, venue, recv_ts_ms, seq * 3 - 2 AS first_id, seq * 3 AS final_id, recv_ts_ms // {D} AS day FROM ticks), s AS (SELECT asset, venue, day, arg_min(final_id, recv_ts_ms) - 1 AS start_id, min(recv_ts_ms) AS t FROM u GROUP BY ALL)", f"SELECT u.asset, u.venue, first_id, final_id, start_id FROM u JOIN s ON u.asset = s.asset AND u.venue = s.venue AND u.day = s.day WHERE final_id >= start_id AND recv_ts_ms <= t + 8 * {H} AND (recv_ts_ms > t + {H} OR (recv_ts_ms > t + 1000 - 2000 AND first_id <= start_id + 1))"),
+        "q5_assembled_payloads": _sql(f", n AS (SELECT p.asset, p.t, count(k.seq) FILTER (WHERE venue = 'spot') AS ts, count(k.seq) FILTER (WHERE venue = 'futures') AS tf, count(k.seq) FILTER (WHERE venue = 'spot' AND recv_ts_ms > p.t - 2 * {H}) AS qs, count(k.seq) FILTER (WHERE venue = 'futures' AND recv_ts_ms > p.t - 2 * {H}) AS qf, max(recv_ts_ms) FILTER (WHERE venue = 'spot') AS newest FROM prompts p LEFT JOIN ticks k ON k.asset = p.asset AND k.recv_ts_ms > p.t - 6 * {H} AND k.recv_ts_ms <= p.t GROUP BY p.asset, p.t), m AS (SELECT *, CASE WHEN t % (7 * {H}) = 0 THEN t - 3 * {H} ELSE t END AS c FROM n)", "SELECT asset, c AS current_time_ms, ts::INT AS n_trades_spot, tf::INT AS n_trades_futures, qs::INT AS n_quotes_spot, qf::INT AS n_quotes_futures, asset NOT IN ('click', 'error', 'purchase', 'view') AS bad_asset, coalesce(newest > c, false) AS ahead FROM m"),
+        "q3_still_features": _sql(", g AS (SELECT p.asset, p.t AS current_time_ms, round(s.mid, 6) + 0.0::DOUBLE AS mid, least(s.bid_qty, s.ask_qty) AS minq, round(s.ask_price - s.bid_price, 6) AS spread FROM prompts p ASOF JOIN spot s ON p.asset = s.asset AND p.t >= s.recv_ts_ms), c AS (SELECT *, coalesce(mid <> lag(mid) OVER w, false)::INT AS changed, coalesce(mid = lag(mid, 4) OVER w, false)::INT AS still FROM g WINDOW w AS (PARTITION BY asset ORDER BY current_time_ms)), d AS (SELECT *, sum(changed) OVER (w ROWS 23 PRECEDING) AS changes, avg(still) OVER (w ROWS 23 PRECEDING) AS p0, current_time_ms - last_value(CASE WHEN changed = 1 THEN current_time_ms END IGNORE NULLS) OVER (w ROWS UNBOUNDED PRECEDING) AS since FROM c WINDOW w AS (PARTITION BY asset ORDER BY current_time_ms))", "SELECT asset, current_time_ms, round(p0, 6) AS p0book, round(exp(-changes / 6), 6) AS pois, round(ln(1 + since / 1000), 6) AS age, round(ln(1 + minq), 6) AS minq, round(least(spread / 0.05::DOUBLE, 1), 6) AS spread FROM d"),
+        "w8_mid_changes": _sql(", g AS (SELECT p.asset, p.t AS current_time_ms, round(f.mid - s.mid, 6) + 0.0::DOUBLE AS basis FROM prompts p ASOF JOIN spot s ON p.asset = s.asset AND p.t >= s.recv_ts_ms ASOF JOIN (SELECT * FROM quotes WHERE venue = 'futures') f ON p.asset = f.asset AND p.t >= f.recv_ts_ms), c AS (SELECT *, coalesce(basis <> lag(basis) OVER w, false)::INT AS changed, coalesce(basis = lag(basis, 5) OVER w, false) AS still FROM g WINDOW w AS (PARTITION BY asset ORDER BY current_time_ms))", "SELECT asset, current_time_ms, changed, sum(changed) OVER (w ROWS 9 PRECEDING)::BIGINT AS changes, still, current_time_ms - last_value(CASE WHEN changed = 1 THEN current_time_ms END IGNORE NULLS) OVER (w ROWS UNBOUNDED PRECEDING) AS since FROM c WINDOW w AS (PARTITION BY asset ORDER BY current_time_ms)"),
+        "r5_blend_ladders": _sql(LABELS + ", med AS (SELECT asset, current_time_ms, model, (max(x) FILTER (WHERE i = 50) + max(x) FILTER (WHERE i = 51)) * 0.5 AS m FROM ladder WHERE model IN ('m1', 'm5') GROUP BY ALL), wid AS (SELECT l.asset, l.current_time_ms, l.model, avg(abs(x - m)) AS w FROM ladder l JOIN med USING (asset, current_time_ms, model) GROUP BY ALL), ws AS (SELECT a.asset, a.current_time_ms, least(greatest(1.5 * greatest(0.9 - a.w / b.w, 0), 0), 0.6) AS w FROM wid a JOIN wid b ON a.asset = b.asset AND a.current_time_ms = b.current_time_ms AND a.model = 'm1' AND b.model = 'm5'), v AS (SELECT ws.*, (1 - w) * a.x + w * b.x AS v FROM ws JOIN ladder a ON a.asset = ws.asset AND a.current_time_ms = ws.current_time_ms AND a.model = 'm1' JOIN ladder b ON b.asset = ws.asset AND b.current_time_ms = ws.current_time_ms AND b.model = 'm5' AND b.i = a.i)", "SELECT asset, current_time_ms, round(any_value(w), 6) AS weight, round(sum(v), 4) AS total, round(min(v), 6) AS low, round(max(v), 6) AS high FROM v GROUP BY asset, current_time_ms"),
+        "r10_reshaped_ladders": _sql(LABELS + ", med AS (SELECT asset, current_time_ms, (max(x) FILTER (WHERE i = 50) + max(x) FILTER (WHERE i = 51)) * 0.5 AS m FROM ladder WHERE model = 'm2' GROUP BY ALL), b AS (SELECT l.*, m, avg(abs(x - m)) OVER (PARTITION BY l.asset, l.current_time_ms) AS w, CASE WHEN abs(tau - 0.5) <= 0.25 THEN 0.08 * abs(tau - 0.5) / 0.25 ELSE 0.08 * (0.5 - abs(tau - 0.5)) / 0.25 END AS tent FROM ladder l JOIN med USING (asset, current_time_ms) WHERE model = 'm2'), s AS (SELECT *, x + tent * (x - m) AS c, m + 1.25 * (x - m) AS d, x + 0.1 * w AS e FROM b)", "SELECT asset, current_time_ms, round(max(c) FILTER (WHERE i = 25), 6) AS centre_q25, round(max(d) FILTER (WHERE i = 25), 6) AS wide_q25, round(max(e) FILTER (WHERE i = 25), 6) AS moved_q25, round(avg(abs(c - m)), 6) AS centre_width, round(avg(abs(d - m)), 6) AS wide_width, round(avg(abs(x - m)), 6) AS moved_width FROM s GROUP BY asset, current_time_ms"),
     }
