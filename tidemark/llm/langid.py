@@ -18,6 +18,8 @@ ORDER = 5
 ALPHABET = 4096
 LETTER = re.compile(r"[^\W\d_]")
 REMEMBERED = 400_000
+#: Languages whose counts may be broadcast; beyond, texts are joined with counts by a shuffle.
+MOST_BROADCAST = 10_000
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 
@@ -101,6 +103,9 @@ def training_rows(docs: DataFrame, *, key: str, text: str, lang: str, most: int)
     """A sample of about ``most`` labelled rows a language, chosen by a hash of the key."""
     known = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull() & ~held_out(key))
     counts = known.groupBy(F.col(lang).alias("__lang")).agg(F.count(F.lit(1)).alias("__n"))
+    few = counts.limit(MOST_BROADCAST + 1).collect()  # a row a language
+    if few and len(few) <= MOST_BROADCAST:
+        counts = F.broadcast(docs.sparkSession.createDataFrame(few, counts.schema))
     u = F.pmod(F.xxhash64(F.lit("sample"), F.col(key).cast("string")), F.lit(1 << 30)) / F.lit(float(1 << 30))
     return known.join(counts, known[lang] == counts["__lang"]).filter(u * F.col("__n") < most).select(F.col("__lang").alias("lang"), F.col(text).alias("text"), F.col(key).cast("string").alias("key"))
 
