@@ -1,4 +1,7 @@
+import random
+
 import corpus_pipeline
+from test_near_dup import brute
 from tidemark.llm import decontam, line_dedup, mixing
 
 SF = "/root/testdata/sf0.001"
@@ -26,3 +29,17 @@ def test_stages_work_on_what_came_before(spark):
 def test_run_gives_the_mix(spark):
     out = corpus_pipeline.run(spark, SF)
     assert "copy" in out.columns and out.count() > 0
+
+
+def test_near_duplicates_link_from_080(spark, make):
+    """Pairs of texts whose similarity lies at 0.80 to below 0.85, beside closer and farther ones."""
+    rnd, rows = random.Random(3), []
+    for i in range(60):
+        words = [f"w{i}x{j}" for j in range(120)]
+        other = list(words)
+        for k in range(1 + i % 5):
+            other[12 + 25 * k] = f"z{rnd.randrange(10**9)}"
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(other))]
+    want = {i for i, (_, first) in brute(rows, 80).items() if i == first}
+    assert len({i for i, (_, first) in brute(rows, 85).items() if i == first}) - len(want) >= 10
+    assert {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, make(rows), SF).collect()} == want
