@@ -67,6 +67,14 @@ def test_one_of_each_group_stays(make):
     assert left.columns == make(rows).columns
 
 
+def test_a_repeated_key_stands_for_each_of_its_texts(make):
+    """A copy's key also names a text that nothing else holds; a smallest key names two near copies."""
+    base = [f"w{i}" for i in range(200)]
+    rows = [(1, "a b c d e f g"), (2, "a b c d e f g"), (2, "k l m n o p q"), (3, " ".join(base)), (3, " ".join([*base, "z"])), (3, "r s t u v w x"), (4, " ".join(base)), (4, " "), (4, "")]
+    left = sorted((r["doc_id"], r["text"][:5]) for r in near_dup.deduplicated(make(rows)).collect())
+    assert left == [(1, "a b c"), (2, "k l m"), (3, "r s t"), (3, "w0 w1"), (4, ""), (4, " ")]
+
+
 def test_components_of_a_path_and_a_hub(spark):
     path = [(i, i + 1) for i in range(40)]
     hub = [(100, 100 + i) for i in range(1, 50)] + [(149, 60), (7, 7), (None, 3)]

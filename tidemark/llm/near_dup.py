@@ -10,11 +10,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import code_bytes, written
+from tidemark.llm.common import code_bytes, hash_pair, written
 from tidemark.llm.components import components
 
 CHUNK = 1 << 20
-#: Rows of keys that may be broadcast: 16 bytes each; beyond, the join shuffles.
+#: Rows of keys that may be broadcast: 16 to 32 bytes each; beyond, the join shuffles.
 BROADCAST_KEYS = 1_000_000
 #: Pivots of a round at most, and the number of pairs that are tested without more rounds.
 PIVOTS, FEW_PAIRS = 1 << 30, 4_000_000
@@ -151,8 +151,8 @@ def _longs(digests: list[bytes]) -> list[pa.Array]:
     return [pa.array(np.ascontiguousarray(halves[:, i])) for i in (0, 1)]
 
 
-def signed_documents(docs: DataFrame, *, key: str, text: str, width: int, bands: int, rows: int) -> DataFrame:
-    """``key, c1, c2, n, bands, sig`` per row: (c1, c2) names the sequence of words."""
+def signed_documents(docs: DataFrame, *, key: str, text: str, width: int, bands: int, rows: int, carry: dict[str, Column]) -> DataFrame:
+    """``key, c1, c2, n, bands, sig`` and the long columns ``carry`` per row: (c1, c2) names the sequence of words."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         signer = Signer(bands, rows)
@@ -166,10 +166,11 @@ def signed_documents(docs: DataFrame, *, key: str, text: str, width: int, bands:
                     band, sig = signer.signed([sets[i] for i in full])
                     for i, b, s in zip(full, band, sig, strict=True):
                         keys[i], sigs[i] = b, s.tobytes()
-                yield pa.RecordBatch.from_arrays([batch.column("key"), *_longs(digests), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.list_(pa.int64())), _binary(sigs)], ["key", "c1", "c2", "n", "bands", "sig"])
+                yield pa.RecordBatch.from_arrays([batch.column("key"), *_longs(digests), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.list_(pa.int64())), _binary(sigs), *[batch.column(c) for c in names]], ["key", "c1", "c2", "n", "bands", "sig", *names])
 
-    kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key).alias("key"), F.col(text).cast("binary").alias("text")).mapInArrow(sign, f"key {kind}, c1 long, c2 long, n long, bands array<long>, sig binary")
+    kind, names = docs.schema[key].dataType.simpleString(), list(carry)
+    picked = docs.select(F.col(key).alias("key"), F.col(text).cast("binary").alias("text"), *[c.alias(n) for n, c in carry.items()])
+    return picked.mapInArrow(sign, f"key {kind}, c1 long, c2 long, n long, bands array<long>, sig binary{''.join(f', {n} long' for n in names)}")
 
 
 def class_sets(docs: DataFrame, *, key: str, text: str, width: int) -> DataFrame:
@@ -251,27 +252,10 @@ def pivot_pairs(rows: DataFrame, done: int, upto: int, percent: int) -> DataFram
     return rows.join(pivots, same & sizes & enough).select(F.col("p_node").alias("u"), F.col("node").alias("v")).distinct()
 
 
-def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 85, bands: int = 28, rows: int = 6) -> DataFrame:
-    """``key, n_shingles, component_id, kept`` for every row of ``docs``.
-
-    Two documents link when their sets of ``width``-word shingles have a Jaccard similarity of
-    ``percent`` or more. Equal word sequences are one class first, so copies cost one row. A
-    class's minima (``bands`` x ``rows`` universal hashes) give band keys; at 85 percent a link
-    shares no band with a chance of 2 in a million. Within a bucket every class is held against
-    one pivot. Classes of buckets that then still span several components are grouped anew by
-    their rarest shingles (see ``prefixes``) and held against pivots there: one, eight, 64 and
-    so on, only where a token spans several components and only against classes of other ones,
-    until each class was a pivot. So no link between different components is left untested, and
-    no bucket is paired with itself. Pairs whose signatures are far too unlike go; the rest is
-    confirmed on full sets. Links go through large-star / small-star.
-
-    Texts without words (null, empty, blank) have an empty set and are components of their own.
-    ``component_id`` is the smallest key of the component; null keys lose against others, and a
-    component of null keys only has a null id and keeps nothing. Rows that repeat a key and
-    text get equal results. An empty table gives no rows.
-    """
-    spark = docs.sparkSession
-    signed = written(signed_documents(docs, key=key, text=text, width=width, bands=bands, rows=rows), "signed")
+def labelled_rows(docs: DataFrame, *, key: str, text: str, width: int, percent: int, bands: int, rows: int, carry: dict[str, Column]) -> DataFrame:
+    """``key, n, component, component_id, kept`` and the columns ``carry`` for every row, as ``near_duplicates``
+    says; ``component`` tells components apart, null for texts without words."""
+    signed = written(signed_documents(docs, key=key, text=text, width=width, bands=bands, rows=rows, carry=carry), "signed")
     classes = signed.filter("n > 0").groupBy("c1", "c2").agg(F.min("key").alias("least"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
     classes = written(classes, "classes")
     members = classes.select("c1", "c2", F.explode("bands").alias("bucket"))
@@ -323,22 +307,53 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     per_class = signed.filter("n > 0").groupBy("c1", "c2").agg(F.min("key").alias("least")).withColumn("node", node())
     labelled = per_class.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     ids = labelled.groupBy("component").agg(F.min("least").alias("component_id"))
-    labels = labelled.join(ids, "component").select(F.col("c1").alias("__c1"), F.col("c2").alias("__c2"), "component_id")
+    labels = labelled.join(ids, "component").select(F.col("c1").alias("__c1"), F.col("c2").alias("__c2"), "component", "component_id")
     out = signed.join(labels, (F.col("n") > 0) & (F.col("c1") == F.col("__c1")) & (F.col("c2") == F.col("__c2")), "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("key"))
-    return out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("key") == component, F.lit(False)).alias("kept"))
+    return out.select("key", "n", "component", component.alias("component_id"), F.coalesce(F.col("key") == component, F.lit(False)).alias("kept"), *carry)
+
+
+def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 85, bands: int = 28, rows: int = 6) -> DataFrame:
+    """``key, n_shingles, component_id, kept`` for every row of ``docs``.
+
+    Two documents link when their sets of ``width``-word shingles have a Jaccard similarity of
+    ``percent`` or more. Equal word sequences are one class first, so copies cost one row. A
+    class's minima (``bands`` x ``rows`` universal hashes) give band keys; at 85 percent a link
+    shares no band with a chance of 2 in a million. Within a bucket every class is held against
+    one pivot. Classes of buckets that then still span several components are grouped anew by
+    their rarest shingles (see ``prefixes``) and held against pivots there: one, eight, 64 and
+    so on, only where a token spans several components and only against classes of other ones,
+    until each class was a pivot. So no link between different components is left untested, and
+    no bucket is paired with itself. Pairs whose signatures are far too unlike go; the rest is
+    confirmed on full sets. Links go through large-star / small-star.
+
+    Texts without words (null, empty, blank) have an empty set and are components of their own.
+    ``component_id`` is the smallest key of the component; null keys lose against others, and a
+    component of null keys only has a null id and keeps nothing. Rows that repeat a key and
+    text get equal results. An empty table gives no rows.
+    """
+    found = labelled_rows(docs, key=key, text=text, width=width, percent=percent, bands=bands, rows=rows, carry={})
+    return found.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), "component_id", "kept")
 
 
-def deduplicated(docs: DataFrame, *, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
+def deduplicated(docs: DataFrame, *, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 85, bands: int = 28, rows: int = 6) -> DataFrame:
     """``docs`` with one document of each component: the one with the smallest key.
 
-    Rows that repeat a key with the same text are copies and leave one. Documents without words
+    Rows that repeat a key with the same text are copies and leave one. Rows that repeat a key with
+    other texts are documents of their own: each goes or stays with its own component, and where
+    several hold a component's smallest key, one of their texts stays. Documents without words
     stay, and so do those without a key, which nothing could name.
     """
-    found = written(near_duplicates(docs, key=key, text=text, **options), "near-duplicates")
-    gone = found.filter(~F.col("kept") & F.col(key).isNotNull()).select(F.col(key).alias("__gone")).distinct()
+    t1, t2 = hash_pair(F.col(text))
+    found = written(labelled_rows(docs, key=key, text=text, width=width, percent=percent, bands=bands, rows=rows, carry={"t1": t1, "t2": t2}), "near-duplicates").filter(F.col("key").isNotNull())
+    gone = found.filter(~F.col("kept"))
+    twice = bool(found.groupBy("key").count().filter("count > 1").take(1))
+    if twice:
+        held = found.filter(F.col("kept") & (F.col("n") > 0)).select("key", "component", "t1", "t2").distinct()
+        stays = held.groupBy("component").agg(F.min(F.struct("t1", "t2")).alias("stays"))
+        gone = gone.select("key", "t1", "t2").union(held.join(stays, "component").filter(F.struct("t1", "t2") != F.col("stays")).select("key", "t1", "t2"))
+    gone = gone.select(F.col("key").alias("__gone"), F.col("t1").alias("__t1"), F.col("t2").alias("__t2")).distinct()
     if gone.count() <= BROADCAST_KEYS:
         gone = F.broadcast(gone)
-    left = docs.join(gone, docs[key] == F.col("__gone"), "left_anti")
-    twice = found.filter(F.col(key).isNotNull()).groupBy(key).count().filter("count > 1")
-    return left.dropDuplicates([key, text]) if twice.take(1) else left
+    left = docs.join(gone, (docs[key] == F.col("__gone")) & (t1 == F.col("__t1")) & (t2 == F.col("__t2")), "left_anti")
+    return left.dropDuplicates([key, text]) if twice else left
