@@ -18,8 +18,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, their texts freed of lines that many sources hold, but for one holder."""
-    return line_dedup.without_boilerplate(docs).select(*docs.columns)
+    """All documents, their texts freed of lines that five or more sources hold, but for one holder; ``op2`` keeps its own ten."""
+    return line_dedup.without_boilerplate(docs, min_sites=5).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -43,3 +43,10 @@ def test_near_duplicates_link_from_080(spark, make):
     want = {i for i, (_, first) in brute(rows, 80).items() if i == first}
     assert len({i for i, (_, first) in brute(rows, 85).items() if i == first}) - len(want) >= 10
     assert {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, make(rows), SF).collect()} == want
+
+
+def test_lines_on_a_minority_of_sites_go(spark, make):
+    """Of 20 sites, five hold one passage and four another; only the first goes, but for one holder."""
+    rows = [(i, "\n".join([f"own {i}", *["on five sites"] * (i % 20 < 5), *["on four sites"] * (i % 20 < 4)]), f"site {i % 20}") for i in range(40)]
+    left = [r["text"] for r in corpus_pipeline.lines(spark, make(rows), SF).collect()]
+    assert len(left) == 40 and sum("on five sites" in t for t in left) == 1 and sum("on four sites" in t for t in left) == 8
