@@ -56,6 +56,26 @@ def test_linking_against_all_pairs():
         assert secrets.linked(weak, base, ends, 150) == want
 
 
+def test_linking_past_overlaps():
+    """Pieces whose spans overlap those of other kinds, against all pairs; one hid the valid part beside it."""
+    secret = "Zm9vYmFyYmF6cXV4MTIzNDU2Nzg5MEFCQ0RF"
+    text = f'login: bob\nuser: "{secret}"'
+    assert secrets.spans_of(text, 200) == [(5, 0, 10), (3, 18, 54)]
+    rnd, hidden = random.Random(4), 0
+    pieces = ["user: bob ", f'login="{secret}" ', f"user={secret} ", "https://a.example/?token=abcdef1&password=abcdef2 ", f"https://a.example/{secret} ", "password: hunter22 ", "deadbeef" * 4 + " ", "word " * 12, "\n\n"]
+    for _ in range(300):
+        text = "".join(rnd.choice(pieces) for _ in range(rnd.randrange(1, 12)))
+        base = secrets.base_spans(text)
+        weak = secrets.weak_spans(text, base)
+        ends = [m.end() for m in secrets.SCOPE_END.finditer(text)]
+        scope = lambda s: sum(e <= s[0] for e in ends)
+        parts = weak | base
+        want = {k: [s for s in weak[k] if any(scope(o) == scope(s) and 0 <= max(o[0] - s[1], s[0] - o[1]) <= 60 for c in secrets.COMPLEMENTS[k] for o in parts[c])] for k in secrets.WEAK}
+        assert secrets.linked(weak, base, ends, 60) == want
+        hidden += any(o[0] < s[1] and s[0] < o[1] for k in secrets.WEAK for s in want[k] for c in secrets.COMPLEMENTS[k] for o in parts[c])
+    assert hidden > 50
+
+
 def edits(text, n, rnd):
     s = list(text)
     for _ in range(n):

@@ -59,21 +59,20 @@ def _within(span: Span, others: list[Span]) -> bool:
 def linked(weak: dict[str, list[Span]], base: dict[str, list[Span]], ends: list[int], reach: int) -> dict[str, list[Span]]:
     """Interval join within scopes: the weak parts that have a complementary part within ``reach``.
 
-    Spans of a kind are sorted and don't overlap, so the nearest on either side decides, and a
-    scope with thousands of parts costs n log n.
+    Spans of a kind are sorted and don't overlap, so their starts and their ends both rise: the last
+    that ends by the candidate's start and the first that starts from its end decide, whatever
+    overlaps it, and a scope with thousands of parts costs n log n.
     """
     parts = weak | base
+    starts = {kind: [a for a, _ in spans] for kind, spans in parts.items()}
+    stops = {kind: [b for _, b in spans] for kind, spans in parts.items()}
 
     def near(span: Span, kind: str) -> bool:
-        others = parts[kind]
-        i = bisect_left(others, span)
-        for other in others[max(0, i - 1) : i + 2]:
-            if other == span:
-                continue
-            gap = max(other[0] - span[1], span[0] - other[1])
-            if 0 <= gap <= reach and bisect_right(ends, span[0]) == bisect_right(ends, other[0]):
-                return True
-        return False
+        others, scope = parts[kind], bisect_right(ends, span[0])
+        i, j = bisect_right(stops[kind], span[0]) - 1, bisect_left(starts[kind], span[1])
+        if i >= 0 and span[0] - others[i][1] <= reach and bisect_right(ends, others[i][0]) == scope:
+            return True
+        return j < len(others) and others[j][0] - span[1] <= reach and bisect_right(ends, others[j][0]) == scope
 
     return {kind: [s for s in weak[kind] if any(near(s, c) for c in COMPLEMENTS[kind])] for kind in WEAK}
 
