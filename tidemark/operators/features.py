@@ -41,7 +41,7 @@ def half(a: Column, b: Column) -> Column:
 
 
 def build_features(prompts: DataFrame, *, trades: DataFrame, quotes: DataFrame, liquidations: DataFrame, depth: DataFrame, window_ms: int, flow_ms: int, last_n: int, lags: dict[str, int], vol_ms: int, liq_recent_ms: int, liq_unit: float, liq_long_unit: float, least: int = 6) -> DataFrame:
-    """Features of each prompt; what its windows lack is 0, but for the price, which is 1.
+    """Features of each prompt; what its windows lack is 0, but for the price, which is 1; ``quoted`` says if it is a quote's.
 
     Each stream is joined to its prompts once, reduced to a row per prompt, and only those rows
     are joined with each other.
@@ -65,7 +65,7 @@ def build_features(prompts: DataFrame, *, trades: DataFrame, quotes: DataFrame,
         *PROMPT, price.alias("price"), F.coalesce("s_mid", price).alias("mid"), half(F.col("s_obi"), F.col("f_obi")).alias("obi"), half(F.col("s_top_obi"), F.col("f_top_obi")).alias("top_obi"),
         half(F.col("s_flow"), F.col("f_flow")).alias("flow"), half(F.col("s_flow_fast"), F.col("f_flow_fast")).alias("flow_fast"), *[zero(c) for c in venues], basis.alias("basis"),
         F.coalesce(F.col("s_spread") / price, F.lit(0.0)).alias("spread_rel"), F.coalesce(stale, F.lit(0)).alias("stale_ms"),
-        F.coalesce("direction", F.lit(0.0)).alias("liq_dir"), F.coalesce("activity", F.lit(0.0)).alias("liq_hour"),
+        F.coalesce("direction", F.lit(0.0)).alias("liq_dir"), F.coalesce("activity", F.lit(0.0)).alias("liq_hour"), F.coalesce("s_micro", "s_mid", "f_micro", "f_mid").isNotNull().alias("quoted"),
     )
 
 

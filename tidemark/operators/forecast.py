@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -28,14 +28,23 @@ def regime_width(width: Column, recent: Column, *, a: float = 0.62, b: float = 0
     return F.when(usable, width * Q.clip(a + b * recent / width, a, 1.0)).otherwise(width)
 
 
-def forecast_batch(features: DataFrame, *, shift: Column, width: Column, still: Column | None = None, fallback: float = 0.01) -> DataFrame:
-    """``features`` with ``q``: the Laplace ladder about the price, an atom at the price if asked for.
+def computed(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """``df`` with a column that the optimizer doesn't fold into later ones: Spark fails on a Python
+    function of nested lambdas ("Cannot evaluate expression"), not on one of a column."""
+    return df.withColumn("__c", F.explode(F.array(value))).drop(name).withColumnRenamed("__c", name)
 
-    A row without a usable price, shift or width gets a wide ladder about the price (or 1), never null.
+
+def forecast_batch(features: DataFrame, *, shift: Column, width: Column, steps: Sequence[Callable[[Column], Column]] = (), still: Column | None = None, fallback: float = 0.01) -> DataFrame:
+    """``features`` with ``q``: the Laplace ladder about the price, taken through ``steps`` in turn, an atom at the price if asked for.
+
+    A row without a usable price, shift or width gets a wide ladder about the price (or 1), never
+    null, and sees no steps.
     """
     price = F.when((F.col("price") > 0) & (F.col("price") < float("inf")), F.col("price")).otherwise(1.0)
     good = width.isNotNull() & ~F.isnan(width) & (width > 0) & shift.isNotNull() & ~F.isnan(shift)
-    base = features.withColumn("q", L.ladder(price, F.when(good, shift).otherwise(0.0), F.when(good, width).otherwise(price * fallback), L.laplace_z()))
+    base = computed(features, "q", L.ladder(price, F.when(good, shift).otherwise(0.0), F.when(good, width).otherwise(price * fallback), L.laplace_z()))
+    for step in steps:
+        base = computed(base, "q", F.when(good, step(F.col("q"))).otherwise(F.col("q")))
     if still is not None:
         base = base.withColumn("q", L.with_point_mass(F.col("q"), price, F.coalesce(still, F.lit(0.0))))
     return base.withColumn("q", L.sanitized(F.col("q")))

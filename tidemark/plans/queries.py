@@ -6,6 +6,7 @@ apart, so windows are given in hours.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from itertools import count
 
@@ -677,7 +678,7 @@ def feature_table(spark, sf_dir) -> DataFrame:
 
 @query
 def q2_build_features(spark, sf_dir):
-    f = feature_table(spark, sf_dir)
+    f = feature_table(spark, sf_dir).drop("quoted")
     return f.select("asset", "current_time_ms", *[c if c == "stale_ms" else r(c).alias(c) for c in f.columns[2:]])
 
 
@@ -688,9 +689,26 @@ def q4_build_signals(spark, sf_dir):
 
 
 def batch_forecasts(spark, sf_dir) -> DataFrame:
-    f = feature_table(spark, sf_dir).filter("price > 1")
-    shift, width = forecast.linear({"flow": 0.05, "basis": 2.0}), 0.2 + F.abs("flow") * 0.1
-    return forecast.forecast_batch(f, shift=shift, width=width)
+    """Ladders of all clock prompts; those without a quote get the wide fallback.
+
+    In the blueprint's order: R3's shift, R4's regime width, R1, R5 against a ladder of the recent
+    volatility, R6 and R7 with exponential levels of it, R9, R11, R2. R10 and R12 are for event
+    prompts, of which there are none here.
+    """
+    f = feature_table(spark, sf_dir)
+    f = f.withColumn("shift", forecast.linear({"flow": 0.05, "basis": 2.0})).withColumn("recent", F.col("price") * F.when(F.col("s_rv") > 0, F.col("s_rv")).otherwise(F.col("f_rv")) / 5**0.5)
+    f = f.withColumn("wide", F.when(F.col("quoted"), forecast.regime_width(0.2 + F.abs("flow") * 0.1, F.col("recent"))))
+    price, recent, moves = F.col("price"), F.col("recent"), F.col("recent") > 0
+    levels = F.array(*[F.lit(-math.log(1 - (k + 0.5) / 50)) for k in range(50)])
+    bins = F.transform(levels, lambda v: v * recent / price)
+    f = forecast.computed(f, "candle", L.mirrored(bins, price, F.col("shift") / price))
+    steps = [
+        lambda q: L.blended(q, L.ladder(price, F.lit(0.0), recent, L.laplace_z()), F.when(moves, L.blend_weight(recent / F.col("wide"), slope=1.5, pivot=0.9, cap=0.6)).otherwise(0.0)),
+        lambda q: L.mixed(q, F.col("candle"), F.when(moves, 0.25).otherwise(0.0)),
+        lambda q: L.with_point_mass(q, price, F.when(F.col("s_m1") == 0, 0.25).otherwise(0.05)),
+        lambda q: L.widened(q, F.lit(1.05), price, 0.005),
+    ]
+    return forecast.forecast_batch(f, shift=F.col("shift"), width=F.col("wide"), steps=steps)
 
 
 @query
