@@ -43,4 +43,7 @@ def components(edges: DataFrame) -> DataFrame:
         nxt = written(_small_star(_large_star(now)), "links")
         dropped(now)
         now = nxt
-    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()
+    out = now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()
+    out = written(out, "components")
+    dropped(now)
+    return out

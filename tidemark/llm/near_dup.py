@@ -10,12 +10,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import code_bytes, hash_pair, written
+from tidemark.llm.common import code_bytes, dropped, hash_pair, written
 from tidemark.llm.components import components
 
 CHUNK = 1 << 20
-#: Rows of keys that may be broadcast: 16 to 32 bytes each; beyond, the join shuffles.
-BROADCAST_KEYS = 1_000_000
+#: Rows of keys that may be broadcast: 8 to 24 bytes each; beyond, the join shuffles.
+BROADCAST_KEYS = 3_000_000
+#: Partners of one set in a block of work, and sets of one shingle that are ranked in one block.
+PARTNERS, RANKED = 512, 4096
 #: Pivots of a round at most, and the number of pairs that are tested without more rounds.
 PIVOTS, FEW_PAIRS = 1 << 30, 4_000_000
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
@@ -204,23 +206,45 @@ def _alike(least: float):
 
 
 def _linked(percent: int):
-    """Keeps pairs with 100 * intersection >= percent * union, on the full sets."""
+    """Keeps pairs with 100 * intersection >= percent * union, on the full sets.
+
+    Rows come by ``u`` and block: the set of ``u`` first (``v`` is null), then those of its partners.
+    """
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head = None
         for batch in batches:
             good = []
-            for a, b in zip(*(_parts(batch.column(c)) for c in ("set_u", "set_v")), strict=True):
-                n = len(np.intersect1d(a, b, assume_unique=True)) if 100 * min(len(a), len(b)) >= percent * max(len(a), len(b)) else 0
-                good.append(100 * n >= percent * (len(a) + len(b) - n))
+            for v, s in zip(batch.column("v").to_pylist(), _parts(batch.column("shingles")), strict=True):
+                if v is None:
+                    head = s.copy()
+                    good.append(False)
+                    continue
+                n = len(np.intersect1d(head, s, assume_unique=True)) if 100 * min(len(head), len(s)) >= percent * max(len(head), len(s)) else 0
+                good.append(100 * n >= percent * (len(head) + len(s) - n))
             yield batch.filter(pa.array(good, pa.bool_())).select(["u", "v"])
 
     return keep
 
 
-def node(a: str = "c1", b: str = "c2") -> Column:
-    """The two halves of a digest as one name, in the order of the halves as numbers."""
-    low = F.lit(-(1 << 63))
-    return F.concat(*[F.lpad(F.hex(F.col(c).bitwiseXOR(low)), 16, "0") for c in (a, b)])
+def small(df: DataFrame) -> DataFrame:
+    """``df``, a table of keys alone, broadcast if its count is within ``BROADCAST_KEYS``."""
+    return F.broadcast(df) if df.count() <= BROADCAST_KEYS else df
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose full sets are alike.
+
+    A partner's set moves once for each of its pairs; that of ``u``, which may stand in a third of
+    all pairs, moves once for each block of its partners, and blocks are tasks of their own.
+    """
+    degree = pairs.groupBy("u").agg(F.ceil(F.count(F.lit(1)) / PARTNERS).alias("blocks"))
+    heads = degree.withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    heads = heads.join(sets, heads["u"] == sets["node"]).select("u", "b", F.lit(None).cast("long").alias("v"), "shingles")
+    asked = pairs.join(small(degree), "u").withColumn("b", F.pmod(F.xxhash64("v"), F.col("blocks")))
+    asked = asked.join(sets, asked["v"] == sets["node"]).select("u", "b", "v", "shingles")
+    dealt = heads.union(asked).repartition("u", "b").sortWithinPartitions("u", "b", F.col("v").asc_nulls_first())
+    return dealt.select("u", "v", "shingles").mapInArrow(_linked(percent), "u long, v long")
 
 
 def prefixes(sets: DataFrame, percent: int) -> DataFrame:
@@ -228,17 +252,25 @@ def prefixes(sets: DataFrame, percent: int) -> DataFrame:
 
     With shingles in one order for all (rarest among these sets first), sets of a similarity of
     t or more share a shingle among the first n - ceil(t * n) + 1 of each; sets that differ from
-    a common text in many places hold only shingles of their own there and meet nothing. Within
-    a token, sets are ranked by how common their shingles are: the text that others were made
-    from comes first.
+    a common text in many places hold only shingles of their own there and meet nothing. Shingles
+    of one set alone come first in any order, so they are counted and not moved a second time.
+    Within a token, sets are ranked by how common their shingles are: the text that others were
+    made from comes first. A token of many sets is ranked in blocks whose ranks interleave, so no
+    token is sorted in one task.
     """
     spread = sets.select("node", F.size("shingles").alias("size"), F.explode("shingles").alias("token"))
-    counts = spread.groupBy("token").agg(F.count(F.lit(1)).alias("count"))
-    ordered = spread.join(counts, "token").groupBy("node", "size").agg(F.sort_array(F.collect_list(F.struct("count", "token"))).alias("tokens"), F.avg(F.ln("count")).alias("common"))
-    n = F.expr(f"size - cast(ceil({percent} * size / 100) as int) + 1")
-    first = ordered.select("node", "size", "common", F.posexplode(F.slice("tokens", F.lit(1), n)).alias("place", "t")).filter("t.count > 1")
-    rank = F.row_number().over(Window.partitionBy("token").orderBy(F.col("common").desc(), "node"))
-    return first.select(F.col("t.token").alias("token"), "node", "size", (F.col("place") + 1).alias("place"), "common").withColumn("rank", rank).drop("common")
+    counts = written(spread.groupBy("token").agg(F.count(F.lit(1)).alias("count")).filter("count > 1"), "token-counts")
+    often = spread.join(counts, "token")
+    ordered = often.groupBy("node", "size").agg(F.sort_array(F.collect_list(F.struct("count", "token"))).alias("tokens"), (F.sum(F.ln("count")) / F.first("size")).alias("common"))
+    alone = F.col("size") - F.size("tokens")
+    n = F.expr(f"size - cast(ceil({percent} * size / 100) as int) + 1") - alone
+    first = ordered.filter(n > 0).select("node", "size", "common", alone.alias("alone"), F.posexplode(F.slice("tokens", F.lit(1), n)).alias("pos", "t"))
+    first = first.select(F.col("t.token").alias("token"), "node", "size", (F.col("alone") + F.col("pos") + 1).alias("place"), "common", F.ceil(F.col("t.count") / RANKED).alias("blocks"))
+    dealt = first.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    within = F.row_number().over(Window.partitionBy("token", "block").orderBy(F.col("common").desc(), "node"))
+    ranked = written(dealt.withColumn("rank", (within - 1) * F.col("blocks") + F.col("block") + 1).select("token", "node", "size", "place", "rank"), "prefixes")
+    dropped(counts)
+    return ranked
 
 
 def pivot_pairs(rows: DataFrame, done: int, upto: int, percent: int) -> DataFrame:
@@ -254,60 +286,76 @@ def pivot_pairs(rows: DataFrame, done: int, upto: int, percent: int) -> DataFram
 
 def labelled_rows(docs: DataFrame, *, key: str, text: str, width: int, percent: int, bands: int, rows: int, carry: dict[str, Column]) -> DataFrame:
     """``key, n, component, component_id, kept`` and the columns ``carry`` for every row, as ``near_duplicates``
-    says; ``component`` tells components apart, null for texts without words."""
+    says; ``component`` tells components apart, null for texts without words.
+
+    A class of equal word sequences gets a number when its table is written; all later tables
+    hold numbers, and each is removed when it is spent.
+    """
     signed = written(signed_documents(docs, key=key, text=text, width=width, bands=bands, rows=rows, carry=carry), "signed")
     classes = signed.filter("n > 0").groupBy("c1", "c2").agg(F.min("key").alias("least"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
-    classes = written(classes, "classes")
-    members = classes.select("c1", "c2", F.explode("bands").alias("bucket"))
-    buckets = members.groupBy("bucket").agg(F.min("c1").alias("p1"), F.min_by("c2", "c1").alias("p2"), F.count(F.lit(1)).alias("m")).filter("m > 1").drop("m")
-    members = written(members.join(buckets, "bucket").select("bucket", node().alias("node"), node("p1", "p2").alias("pivot")), "members")
-
-    shared = members.select("node").distinct()
-    named = classes.withColumn("node", node()).drop("bands").join(shared, "node")
-    sigs = written(named.select("node", "sig", "least"), "signatures")
-    least = sigs.select(F.col("least").alias("__least"))
-    if sigs.count() <= BROADCAST_KEYS:
-        least = F.broadcast(least)
+    classes = written(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
+    spelled = classes.select("node", F.explode("bands").alias("bucket"))
+    pivots = written(spelled.groupBy("bucket").agg(F.min("node").alias("pivot"), F.count(F.lit(1)).alias("m")).filter("m > 1").drop("m"), "pivots")
+    members = written(spelled.join(pivots, "bucket"), "members")
+    dropped(pivots)
+
+    shared = written(members.select("node").distinct(), "shared")
+    sigs = written(classes.select("node", "c1", "c2", "sig", "least").join(small(shared), "node", "left_semi"), "signatures")
+    least = small(sigs.select(F.col("least").alias("__least")))
     sources = docs.select(key, text).join(least, docs[key].eqNullSafe(F.col("__least")), "left_semi")
-    sets = class_sets(sources, key=key, text=text, width=width).select(node().alias("node"), "shingles")
-    sets = written(sets.join(sigs.select("node"), "node", "left_semi").dropDuplicates(["node"]), "sets")
+    names = small(sigs.select("node", F.col("c1").alias("__c1"), F.col("c2").alias("__c2")))
+    named = class_sets(sources, key=key, text=text, width=width).join(names, (F.col("c1") == F.col("__c1")) & (F.col("c2") == F.col("__c2")))
+    sets = written(named.select("node", "shingles"), "sets")
+    if sets.groupBy("node").count().filter("count > 1").take(1):  # rows that repeat key and text
+        sets = written(sets.dropDuplicates(["node"]), "sets")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        def with_(df: DataFrame, what: DataFrame, column: str, name: str) -> DataFrame:
-            for end in ("u", "v"):
-                df = df.join(what.select(F.col("node").alias(end), F.col(column).alias(f"{name}_{end}")), end)
-            return df.select("u", "v", f"{name}_u", f"{name}_v")
-
-        like = with_(pairs, sigs, "sig", "sig").mapInArrow(_alike(percent / 100), "u string, v string")
-        return written(with_(like, sets, "shingles", "set").mapInArrow(_linked(percent), "u string, v string"), "verified")
+        like = pairs
+        for end in ("v", "u"):
+            like = like.join(sigs.select(F.col("node").alias(end), F.col("sig").alias(f"sig_{end}")), end)
+        like = written(like.select("u", "v", "sig_u", "sig_v").mapInArrow(_alike(percent / 100), "u long, v long"), "alike")
+        links = written(confirmed(like, sets, percent), "verified")
+        dropped(like)
+        return links
 
     links = verified(members.filter("node <> pivot").select(F.col("pivot").alias("u"), F.col("node").alias("v")).distinct())
-    found = written(components(links), "components")
+    found = components(links)
+    dropped(links)
     at = members.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    open_ = at.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("bucket")
-    undecided = written(at.join(open_, "bucket").select("node").distinct(), "undecided")
+    open_ = written(at.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("bucket"), "open")
+    undecided = written(members.join(open_, "bucket").select("node").distinct(), "undecided")
+    dropped(open_)
+    dropped(members)
     if undecided.take(1):
-        rows_ = written(prefixes(sets.join(undecided, "node", "left_semi"), percent), "prefixes")
+        rows_ = prefixes(sets.join(small(undecided), "node", "left_semi"), percent)
         done, more = 0, 1
         while True:
             at = rows_.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-            open_ = at.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("rank").alias("last"), F.count(F.lit(1)).alias("m")).filter(f"lo <> hi and last > {done + 1}")
-            rows_ = written(at.join(open_.select("token", "m"), "token"), "open")
-            n, pairs = rows_.agg(F.count(F.lit(1)), F.sum("m")).first()
+            open_ = written(at.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("rank").alias("last"), F.count(F.lit(1)).alias("m")).filter(f"lo <> hi and last > {done + 1}").select("token", "m"), "open")
+            left = written(at.join(open_, "token"), "left")
+            dropped(rows_)
+            dropped(open_)
+            n, pairs = left.agg(F.count(F.lit(1)), F.sum("m")).first()
             if not n:
                 break
             if pairs <= 128 * n + FEW_PAIRS:
                 more = PIVOTS  # what is left is small: all at once
-            new = verified(pivot_pairs(rows_, done, done + more, percent))
-            rows_ = rows_.drop("component", "m")
+            new = verified(pivot_pairs(left.drop("m"), done, done + more, percent))
+            rows_ = left.drop("component", "m")
             if new.take(1):
-                found = written(components(found.select(F.col("node").alias("u"), F.col("component").alias("v")).union(new)), "components")
+                before, found = found, components(found.select(F.col("node").alias("u"), F.col("component").alias("v")).union(new))
+                dropped(before)
+            dropped(new)
             done, more = done + more, min(PIVOTS, more * 8)
-
-    per_class = signed.filter("n > 0").groupBy("c1", "c2").agg(F.min("key").alias("least")).withColumn("node", node())
-    labelled = per_class.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    ids = labelled.groupBy("component").agg(F.min("least").alias("component_id"))
-    labels = labelled.join(ids, "component").select(F.col("c1").alias("__c1"), F.col("c2").alias("__c2"), "component", "component_id")
+    for spent in (sets, sigs, shared, undecided):
+        dropped(spent)
+
+    grouped = found.join(classes.select("node", "least"), "node")
+    ids = written(grouped.groupBy("component").agg(F.min("least").alias("component_id")), "ids")
+    by_node = found.join(ids, "component").select(F.col("node").alias("__node"), "component", "component_id")
+    labels = classes.join(by_node, F.col("node") == F.col("__node"), "left")
+    first = F.when(F.col("__node").isNull(), F.col("least")).otherwise(F.col("component_id"))
+    labels = labels.select(F.col("c1").alias("__c1"), F.col("c2").alias("__c2"), F.coalesce("component", "node").alias("component"), first.alias("component_id"))
     out = signed.join(labels, (F.col("n") > 0) & (F.col("c1") == F.col("__c1")) & (F.col("c2") == F.col("__c2")), "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("key"))
     return out.select("key", "n", "component", component.alias("component_id"), F.coalesce(F.col("key") == component, F.lit(False)).alias("kept"), *carry)
@@ -353,7 +401,5 @@ def deduplicated(docs: DataFrame, *, key: str = "doc_id", text: str = "text", wi
         stays = held.groupBy("component").agg(F.min(F.struct("t1", "t2")).alias("stays"))
         gone = gone.select("key", "t1", "t2").union(held.join(stays, "component").filter(F.struct("t1", "t2") != F.col("stays")).select("key", "t1", "t2"))
     gone = gone.select(F.col("key").alias("__gone"), F.col("t1").alias("__t1"), F.col("t2").alias("__t2")).distinct()
-    if gone.count() <= BROADCAST_KEYS:
-        gone = F.broadcast(gone)
-    left = docs.join(gone, (docs[key] == F.col("__gone")) & (t1 == F.col("__t1")) & (t2 == F.col("__t2")), "left_anti")
+    left = docs.join(small(gone), (docs[key] == F.col("__gone")) & (t1 == F.col("__t1")) & (t2 == F.col("__t2")), "left_anti")
     return left.dropDuplicates([key, text]) if twice else left
