@@ -11,13 +11,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import written
+from tidemark.llm.common import hash_pair, written
 from tidemark.llm.components import components
 
 #: The fit's bounds: vectors sampled, inverted lists, subspaces, codes a subspace.
 SAMPLE, LISTS, SUBSPACES, CODES = 40_000, 1024, 8, 64
 #: Lists each vector probes, its own included, and vectors of a side in one block of work.
-PROBES, BLOCK = 12, 768
+PROBES, BLOCK = 8, 2048
 
 
 @dataclass
@@ -78,27 +78,55 @@ def fitted(sample: np.ndarray, lists: int, seed: int = 3) -> Index:
     return Index(coarse, books, cuts)
 
 
-def _floats(batch: pa.RecordBatch, dim: int) -> np.ndarray:
-    return batch.column("vector").flatten().to_numpy(zero_copy_only=False).reshape(-1, dim).astype(np.float64)
+def _units(raw: list[bytes], kind: str, dim: int) -> np.ndarray:
+    """Vectors from their stored bytes, in double precision, of length one."""
+    x = np.frombuffer(b"".join(raw), kind).reshape(-1, dim).astype(np.float64)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _coded(rows: DataFrame, index: Index, dim: int, probes: int) -> DataFrame:
-    """``id, vector, code, error, near``: near holds the lists that a vector probes, its own first."""
+def packed_vectors(rows: DataFrame, vector: str) -> DataFrame:
+    """``id, vector, v1, v2`` of every row (``__id``): the vector's bytes, null where it can't link, and a hash of them."""
+    kind = storage(rows, vector)
+
+    def whole(values: np.ndarray) -> bytes | None:
+        norm = float((values.astype(np.float64) ** 2).sum()) if len(values) and np.isfinite(values).all() else 0.0
+        return values.tobytes() if 0 < norm < np.inf else None
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("vector")
+            ends, flat = lists.offsets.to_numpy(), lists.values
+            gaps = np.cumsum(np.concatenate([[0], flat.is_null().to_numpy(zero_copy_only=False)]))
+            x = flat.fill_null(0).to_numpy(zero_copy_only=False).astype(kind)
+            bad = lists.is_null().to_numpy(zero_copy_only=False) | (gaps[ends[1:]] > gaps[ends[:-1]])
+            kept = [None if b else whole(x[i:j]) for b, i, j in zip(bad, ends[:-1], ends[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(kept, pa.binary())], ["id", "vector"])
+
+    named = rows.select(F.col("__id").alias("id"), F.transform(F.col(vector), lambda v: v.cast("float" if kind == "<f4" else "double")).alias("vector"))
+    flat = named.mapInArrow(packed, "id long, vector binary")
+    return flat.select("id", "vector", *[c.alias(n) for c, n in zip(hash_pair(F.col("vector")), ("v1", "v2"), strict=True)])
+
+
+def storage(rows: DataFrame, vector: str) -> str:
+    """How components are kept: float as float, all else as double."""
+    return "<f4" if rows.schema[vector].dataType.simpleString() == "array<float>" else "<f8"
+
+
+def _coded(rows: DataFrame, index: Index, kind: str, dim: int, probes: int) -> DataFrame:
+    """``id, vector, code, error, m, near``: near holds the lists that a vector probes, its own first."""
     sent = rows.sparkSession.sparkContext.broadcast(index)  # at most LISTS centroids
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for i in range(0, whole.num_rows, 2048):
                 batch = whole.slice(i, 2048)
-                x = _floats(batch, dim)
-                unit = x / np.linalg.norm(x, axis=1, keepdims=True)
-                near, codes, error = sent.value.assigned(unit, probes)
-                yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([v.tobytes() for v in x]), pa.array([c.tobytes() for c in codes]), pa.array(error), pa.array(list(near.astype(np.int32)), pa.list_(pa.int32()))], ["id", "vector", "code", "error", "near"])
+                near, codes, error = sent.value.assigned(_units(batch.column("vector").to_pylist(), kind, dim), probes)
+                yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("vector"), pa.array([c.tobytes() for c in codes]), pa.array(error.astype(np.float32)), batch.column("m"), pa.array(list(near.astype(np.int16)), pa.list_(pa.int16()))], ["id", "vector", "code", "error", "m", "near"])
 
-    return rows.select("id", "vector").mapInArrow(code, "id long, vector binary, code binary, error double, near array<int>")
+    return rows.select("id", "vector", "m").mapInArrow(code, "id long, vector binary, code binary, error float, m long, near array<smallint>")
 
 
-def _block_links(index_sent, dim: int, least: float):
+def _block_links(index_sent, kind: str, dim: int, least: float):
     """Work on one block: vectors that probe a list against members of it."""
     reach = np.sqrt(2 - 2 * least)
 
@@ -107,29 +135,30 @@ def _block_links(index_sent, dim: int, least: float):
         if asking.empty or members.empty:
             return none
         at = int(key[0])
-        q, x = (np.frombuffer(b"".join(f), np.float64).reshape(-1, dim) for f in (asking.qvector, members.vector))
-        q, x = (v / np.linalg.norm(v, axis=1, keepdims=True) for v in (q, x))
+        q, x = _units(list(asking.qvector), kind, dim), _units(list(members.vector), kind, dim)
         codes = np.frombuffer(b"".join(members.code), np.uint8).reshape(len(x), -1)
-        table = index_sent.value.tables(q, at)
-        far = np.zeros((len(q), len(x)), np.float32)
-        for m in range(codes.shape[1]):
-            far += table[:, m, codes[:, m]]
-        # A true neighbour lies within reach plus the member's own coding error of the query.
-        maybe = far <= ((reach + members.error.to_numpy()) ** 2 + 1e-4)[None, :]
+        error = members.error.to_numpy(float)
         qid, xid = asking.qid.to_numpy(), members.id.to_numpy()
-        maybe &= qid[:, None] != xid[None, :]
-        i, j = np.nonzero(maybe)
-        linked = np.zeros(maybe.shape, bool)
-        for a in range(0, len(i), 1 << 16):
-            u, v = i[a : a + (1 << 16)], j[a : a + (1 << 16)]
-            linked[u, v] = np.einsum("ij,ij->i", q[u], x[v]) >= least
+        qm, xm = asking.qm.to_numpy(), members.m.to_numpy()
+        linked = np.zeros((len(q), len(x)), bool)
+        for a in range(0, len(q), 256):  # look-ups for some vectors at a time
+            table = index_sent.value.tables(q[a : a + 256], at)
+            far = np.zeros((len(table), len(x)), np.float32)
+            for m in range(codes.shape[1]):
+                far += table[:, m, codes[:, m]]
+            # A true neighbour lies within reach plus the member's own coding error of the query.
+            maybe = far <= ((reach + error) ** 2 + 1e-4)[None, :]
+            maybe &= qid[a : a + 256, None] != xid[None, :]
+            i, j = np.nonzero(maybe)
+            for b in range(0, len(i), 1 << 15):
+                u, v = i[b : b + (1 << 15)] + a, j[b : b + (1 << 15)]
+                linked[u, v] = np.einsum("ij,ij->i", q[u], x[v]) >= least
         if not linked.any():
             return none
         # The other side's probes tell whether the pair comes up a second time, from that side.
         near, (own, which) = np.stack(members.near.to_list()), np.unique(asking.own, return_inverse=True)
         again = np.array([(near == o).any(1) for o in own])[which]
-        once = linked & ~again
-        n_q, n_x = linked.sum(1), once.sum(0)
+        n_q, n_x = linked @ xm, qm @ (linked & ~again)
         # Labels spread over the block's links; each linked vector then names its smallest.
         big = np.iinfo(np.int64).max
         lq, lx = qid.copy(), xid.copy()
@@ -145,61 +174,64 @@ def _block_links(index_sent, dim: int, least: float):
     return search
 
 
-def _links_of(rows: DataFrame, n: int, dim: int, *, least: float, probes: int) -> DataFrame:
+def _links_of(rows: DataFrame, n: int, kind: str, dim: int, *, least: float, probes: int) -> DataFrame:
     """``id, n, least`` per block and vector of one dimension."""
     spark = rows.sparkSession
-    u = F.pmod(F.xxhash64(F.lit("sample"), "id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    sample = rows.filter(u * n < SAMPLE).select("vector").toArrow().combine_chunks()
-    if not sample.num_rows:
-        sample = rows.select("vector").limit(SAMPLE).toArrow().combine_chunks()
-    x = np.array(sample.column("vector").to_pylist(), np.float64)
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    u = F.pmod(F.xxhash64(F.lit("sample"), "vector"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    sample = [r[0] for r in rows.filter(u * n < SAMPLE).select("vector").collect()]
+    x = _units(sample or [r[0] for r in rows.select("vector").limit(SAMPLE).collect()], kind, dim)
     lists = int(min(max(1, 3 * n**0.5), LISTS, max(1, len(x) // 30)))
     index = fitted(x, lists)
-    coded = written(_coded(rows, index, dim, probes), "coded")
+    coded = written(_coded(rows, index, kind, dim, probes), "coded")
     # Lists and those that probe them are cut into blocks; a list that holds many takes many blocks.
-    sizes = coded.select(F.explode("near").alias("list"), F.posexplode("near").alias("pos", "p")).filter("list = p").groupBy("list").agg(F.count(F.lit(1)).alias("asked"), F.sum((F.col("pos") == 0).cast("long")).alias("held"))
-    blocks = sizes.filter("held > 0").select("list", F.ceil(F.col("asked") / BLOCK).cast("int").alias("qs"), F.ceil(F.col("held") / BLOCK).cast("int").alias("ms"))
+    sizes = coded.select(F.explode("near").alias("list"), F.element_at("near", 1).alias("own")).groupBy("list").agg(F.count(F.lit(1)).alias("asked"), F.sum((F.col("own") == F.col("list")).cast("long")).alias("held"))
+    blocks = F.broadcast(sizes.filter("held > 0").select("list", F.ceil(F.col("asked") / BLOCK).cast("int").alias("qs"), F.ceil(F.col("held") / BLOCK).cast("int").alias("ms")))  # at most LISTS rows
     part = lambda by, n: F.pmod(F.xxhash64(F.lit(by), "id"), F.col(n)).cast("int")
-    asking = coded.select("id", "vector", F.element_at("near", 1).alias("own"), F.explode("near").alias("list")).join(blocks, "list")
-    asking = asking.select("list", part("q", "qs").alias("qb"), F.explode(F.sequence(F.lit(0), F.col("ms") - 1)).alias("mb"), "id", "vector", "own").toDF("list", "qb", "mb", "qid", "qvector", "own")
+    asking = coded.select("id", "vector", "m", F.element_at("near", 1).alias("own"), F.explode("near").alias("list")).join(blocks, "list")
+    asking = asking.select("list", part("q", "qs").alias("qb"), F.explode(F.sequence(F.lit(0), F.col("ms") - 1)).alias("mb"), "id", "vector", "m", "own").toDF("list", "qb", "mb", "qid", "qvector", "qm", "own")
     members = coded.withColumn("list", F.element_at("near", 1)).join(blocks, "list")
-    members = members.select("list", F.explode(F.sequence(F.lit(0), F.col("qs") - 1)).alias("qb"), part("m", "ms").alias("mb"), "id", "vector", "code", "error", "near").toDF("list", "qb", "mb", "id", "vector", "code", "error", "near")
+    members = members.select("list", F.explode(F.sequence(F.lit(0), F.col("qs") - 1)).alias("qb"), part("m", "ms").alias("mb"), "id", "vector", "code", "error", "m", "near")
     sent = spark.sparkContext.broadcast(index)
     key = ["list", "qb", "mb"]
-    return asking.groupBy(*key).cogroup(members.groupBy(*key)).applyInPandas(_block_links(sent, dim, least), "id long, n long, least long")
+    return asking.groupBy(*key).cogroup(members.groupBy(*key)).applyInPandas(_block_links(sent, kind, dim, least), "id long, n long, least long")
 
 
 def near_vectors(rows: DataFrame, *, key: str = "vec_id", vector: str = "embedding", least: float = 0.9, probes: int = PROBES) -> DataFrame:
     """``key, n_links, component_id, kept`` for every row.
 
-    Vectors whose cosine (double precision) is ``least`` or more link, whatever other columns
-    say. The index is fitted on a hash sample of at most about ``SAMPLE`` vectors; every vector
-    is coded and every vector asks: it probes its ``probes`` nearest lists, table look-ups on
-    codes leave those that may be near enough (a member's coding error is known, so none is lost
-    in a probed list), and the rest is decided by the exact cosine. A pair found from either
-    side counts for both. Blocks send counts and each vector's smallest label, not pairs.
+    Rows whose vectors have a cosine (double precision) of ``least`` or more link, whatever other
+    columns say; ``n_links`` is the number of other rows linked directly. Equal vectors are one
+    class first, with its number of rows, so copies are compared once. The index is fitted on a
+    hash sample of at most about ``SAMPLE`` vectors; every class is coded and every class asks: it
+    probes its ``probes`` nearest lists, table look-ups on codes leave those that may be near
+    enough (a member's coding error is known, so none is lost in a probed list), and the rest is
+    decided by the exact cosine. A pair found from either side counts for both. Blocks send
+    counts and each vector's smallest label, not pairs.
 
     Null vectors, zero ones and those with null or non-finite components link with nothing;
-    vectors of different length don't link. Rows that repeat a key are one vector, the first by
-    content; a null key links with nothing and keeps nothing. An empty table gives no rows.
+    vectors of different length don't link. Each row is compared, rows that repeat a key and rows
+    without one too; ``component_id`` is the smallest key of the component, null if all its keys
+    are, and a null key keeps nothing. Repeated rows get equal results, a key with several
+    vectors a result for each. An empty table gives no rows.
     """
-    values = F.transform(F.col(vector), lambda v: v.cast("double"))
-    finite = F.forall("vector", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
-    norm = F.aggregate("vector", F.lit(0.0), lambda s, v: s + v * v)
-    named = rows.select(F.col(key).cast("long").alias("id"), values.alias("vector")).filter(F.col("id").isNotNull() & F.col("vector").isNotNull())
-    good = named.filter(F.coalesce(finite, F.lit(False))).filter((norm > 0) & (norm < float("inf")))
-    good = written(good.groupBy("id").agg(F.min("vector").alias("vector")), "vectors")
+    kind, width = storage(rows, vector), 4 if storage(rows, vector) == "<f4" else 8
+    given = written(packed_vectors(rows.withColumn("__id", F.col(key).cast("long")), vector), "given")
+    classes = given.filter("vector is not null").groupBy("v1", "v2").agg(F.first("vector").alias("vector"), F.count(F.lit(1)).alias("m"), F.min("id").alias("least"))
+    classes = written(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
     found = None
-    for dim, n in good.groupBy(F.size("vector")).count().collect():  # one row per length of vector
-        part = _links_of(good.filter(F.size("vector") == dim), n, dim, least=least, probes=probes)
+    for size, n in classes.groupBy(F.octet_length("vector")).count().collect():  # a row per length of vector
+        part = _links_of(classes.filter(F.octet_length("vector") == size), n, kind, size // width, least=least, probes=probes)
         found = part if found is None else found.union(part)
-    out = rows.select(F.col(key))
+    named = given.select("id", "v1", "v2", F.col("vector").isNotNull().alias("usable"))
     if found is None:
-        return out.select(key, F.lit(0).cast("long").alias("n_links"), F.col(key).cast("long").alias("component_id"), F.col(key).isNotNull().alias("kept"))
+        return named.select(F.col("id").cast(rows.schema[key].dataType).alias(key), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.col("id").isNotNull().alias("kept"))
     found = written(found, "found")
-    counts = found.groupBy(F.col("id").alias("__id")).agg(F.sum("n").alias("n_links"))
+    counts = found.groupBy(F.col("id").alias("__n")).agg(F.sum("n").alias("n"))
     labels = components(found.select(F.col("id").alias("u"), F.col("least").alias("v")))
-    out = out.join(counts, F.col(key) == F.col("__id"), "left").join(labels, F.col(key) == F.col("node"), "left")
-    component = F.coalesce("component", F.col(key).cast("long"))
-    return out.select(key, F.coalesce("n_links", F.lit(0)).alias("n_links"), component.alias("component_id"), F.coalesce(F.col(key) == component, F.lit(False)).alias("kept"))
+    first = labels.join(classes.select(F.col("id").alias("node"), "least"), "node").groupBy("component").agg(F.min("least").alias("first"))
+    labels = labels.join(first, "component").select(F.col("node").alias("__l"), "first")
+    per = classes.join(counts, F.col("id") == F.col("__n"), "left").join(labels, F.col("id") == F.col("__l"), "left")
+    per = per.select("v1", "v2", (F.coalesce("n", F.lit(0)) + F.col("m") - 1).alias("n_links"), F.when(F.col("__l").isNull(), F.col("least")).otherwise(F.col("first")).alias("first"))
+    out = named.join(per, ["v1", "v2"], "left")
+    component = F.when(F.col("usable"), F.col("first")).otherwise(F.col("id"))
+    return out.select(F.col("id").cast(rows.schema[key].dataType).alias(key), F.when(F.col("usable"), F.col("n_links")).otherwise(0).alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"))
