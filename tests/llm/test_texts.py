@@ -233,6 +233,51 @@ def test_events_fold(spark):
     assert chat.formatted(events.limit(0)).count() == 0
 
 
+def folded(log):
+    """Final messages of a log, event by event."""
+    said, first, roles = {}, {}, {}
+    order = {"open": 0, "regenerate": 0, "edit": 0, "delta": 1}
+    for c, m, seq, kind, role, text in sorted(log, key=lambda e: (e[2], order.get(e[3], 2), e[5] or "")):
+        if kind in order:
+            first.setdefault((c, m), seq)
+            said[c, m] = (said.get((c, m), "") if kind == "delta" else "") + (text or "")
+            if role is not None:
+                roles[c, m] = role
+    talks = {}
+    for c, m in sorted(said, key=lambda k: (first[k], k[1])):
+        talks.setdefault(c, []).append((roles.get((c, m), ""), said[c, m]))
+    return talks
+
+
+def test_fold_against_event_by_event(spark):
+    rnd, log = random.Random(12), []
+    for seq in range(1500):
+        kind = rnd.choice(["open", "delta", "delta", "delta", "edit", "regenerate", "noise"])
+        log.append((f"c{rnd.randrange(12)}", rnd.randrange(6), seq, kind, rnd.choice([None, "user", "assistant"]), None if kind in ("open", "regenerate") else rnd.choice(["é", "</s>", "a b", "\n", None, "x" * 50])))
+    rnd.shuffle(log)
+    events = spark.createDataFrame(log, "conversation string, message long, seq long, kind string, role string, text string")
+    got = {r["conversation"]: chat.parsed(r["formatted"]) for r in chat.formatted(events).collect()}
+    assert got == folded(log)
+
+
+def test_logs_of_rows_hold_edits_and_regenerations(spark):
+    rows = [(i % 9, i // 9, "assistant" if i % 2 else "user", "w" * (i % 7) + f" é{i}") for i in range(400)] + [(0, 50, "assistant", "long " * 200_000), (None, None, None, None), (3, 3, "user", "twice"), (3, 3, "user", "twice")]
+    t = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").selectExpr("*", "1 conversation", "2 message", "'x' kind", "3 seq", "4 style")
+    log = chat.events_of_rows(t)
+    assert {r["kind"] for r in log.select("kind").distinct().collect()} == set(chat.KINDS)
+    got = {r["conversation"]: chat.parsed(r["formatted"]) for r in chat.formatted(log).collect()}
+    key = lambda r: (-1 if r[1] is None else r[1], r[2] or "", r[3] or "")
+    for c in {r[0] for r in rows}:
+        assert got[c] == [(r[2] or "", r[3] or "") for r in sorted((r for r in rows if r[0] == c), key=key)]
+
+
+def test_bytes_that_are_no_text(spark):
+    raw = spark.createDataFrame([(1, 0, "user", bytearray(b"a\xffb"))], "conv_id long, turn long, role string, text binary")
+    rows = raw.withColumn("text", F.col("text").cast("string"))
+    r = chat.read_back(chat.formatted(chat.events_of_rows(rows))).first()
+    assert r["n_turns"] == 1 and r["turns_sha256"] == hashlib.sha256("user\na�b\n".encode()).hexdigest()
+
+
 def test_chat_round_trip():
     rnd = random.Random(2)
     parts = [*chat.CONTROL, "\\", "\n", "<", "[", "|", "a", "</", "s>", "im_start|>", "\\n", "n"]

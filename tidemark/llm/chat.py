@@ -7,7 +7,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
@@ -57,25 +57,44 @@ def parsed(formatted: str) -> list[tuple[str, str]]:
     return [(unescaped_role(m[1]), unescaped(m[2])) for m in _TURN.finditer(formatted)]
 
 
+def _text(raw: bytes) -> str:
+    return raw.decode("utf-8", "replace")
+
+
 def events_of_rows(rows: DataFrame, *, conversation: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """A table of turns as an event log: each turn opens and streams its text in two deltas.
+    """A table of turns as the event log that a chat service would have written for it.
 
-    Turns are numbered by turn, then role and text; repeated rows are turns of their own. Null
-    texts and roles are empty.
+    Each turn opens and streams its text; by a hash of its place, some stream half of it, are
+    regenerated and stream anew, some stream a draft that an edit replaces, and some are edited
+    to their first half and stream on. Folded, each is the turn's text again. A message is named
+    by its turn and its number among rows of that turn (by role, then text), so repeated rows are
+    turns of their own and no conversation is sorted whole. Null texts and roles are empty.
     """
-    nth = F.row_number().over(Window.partitionBy(conversation).orderBy(F.col(turn).asc_nulls_first(), F.col(role).asc_nulls_first(), F.col(text).asc_nulls_first()))
+    nth = F.row_number().over(Window.partitionBy(conversation, turn).orderBy(F.col(role).asc_nulls_first(), F.col(text).asc_nulls_first()))
     whole = F.coalesce(F.col(text), F.lit(""))
-    half = F.floor(F.length("whole") / 2).cast("int")
-    numbered = rows.select(F.col(conversation).alias("conversation"), nth.cast("long").alias("message"), F.coalesce(F.col(role), F.lit("")).alias("role"), whole.alias("whole"))
-    event = lambda kind, i, text: F.struct(F.lit(kind).alias("kind"), (F.col("message") * 3 + i).alias("seq"), text.alias("text"))
-    events = F.array(event("open", 0, F.lit("")), event("delta", 1, F.expr("substring(whole, 1, cast(floor(length(whole) / 2) as int))")), event("delta", 2, F.substring("whole", half + 1, F.length("whole"))))
-    return numbered.select("conversation", "message", "role", F.inline(events))
+    style = F.pmod(F.xxhash64(F.col(conversation).cast("string"), F.col(turn).cast("string"), nth), F.lit(4))
+    named = rows.select(F.col(conversation).alias("conversation"), F.struct(F.col(turn).alias("turn"), nth.alias("nth")).alias("message"), F.coalesce(F.col(role), F.lit("")).alias("role"), whole.alias("whole"), style.alias("style"))
+    half = F.expr("cast(floor(length(whole) / 2) as int)")
+    first, second = F.expr("substring(whole, 1, cast(floor(length(whole) / 2) as int))"), F.substring("whole", half + 1, F.length("whole"))
+    draft = F.lit("draft ")
+
+    def log(*steps: tuple[str, Column]) -> Column:
+        return F.array(*[F.struct(F.lit(kind).alias("kind"), F.struct("message.turn", "message.nth", F.lit(i).alias("step")).alias("seq"), text.alias("text")) for i, (kind, text) in enumerate(steps)])
+
+    empty = F.lit("")
+    plain = log(("open", empty), ("delta", first), ("delta", second))
+    again = log(("open", empty), ("delta", second), ("regenerate", empty), ("delta", first), ("delta", second))
+    replaced = log(("open", empty), ("delta", draft), ("edit", F.col("whole")))
+    went_on = log(("open", empty), ("delta", draft), ("edit", first), ("delta", second))
+    events = F.when(F.col("style") == 0, again).when(F.col("style") == 1, replaced).when(F.col("style") == 2, went_on).otherwise(plain)
+    return named.select("conversation", "message", "role", F.inline(events))
 
 
 def messages(events: DataFrame) -> DataFrame:
     """``conversation, first, message, role, text``: the final state of each message.
 
-    ``events`` has ``conversation, message, seq, kind, role, text``. In the order of ``seq``,
+    ``events`` has ``conversation, message, seq, kind, role, text``; ``message`` and ``seq`` may be
+    of any type that has an order. In the order of ``seq``,
     ``open`` and ``regenerate`` start a message afresh, ``edit`` puts its text in place of what
     there was, ``delta`` adds its text; so the text is all that came since the last of the
     former. Events of a message meet by (conversation, message): streams of deltas of a long
@@ -95,15 +114,19 @@ def formatted(events: DataFrame) -> DataFrame:
 
     Final messages stand by the ``seq`` of their first event. A conversation is one row of the
     result, so its messages meet in one task; the log before it is folded per message.
-    Null conversations are a conversation of their own; an empty log gives no rows.
+    Null conversations are a conversation of their own; bytes that are no UTF-8 become replacement
+    characters; an empty log gives no rows.
     """
-    turns = messages(events).groupBy("conversation").agg(F.sort_array(F.collect_list(F.struct("first", "message", "role", "text"))).alias("turns"))
+    said = messages(events).withColumns({c: F.col(c).cast("binary") for c in ("role", "text")})
+    ordered = said.groupBy("conversation").agg(F.sort_array(F.collect_list(F.struct("first", "message", "role", "text"))).alias("turns"))
+    turns = ordered.select("conversation", F.transform("turns", lambda t: t["role"]).alias("roles"), F.transform("turns", lambda t: t["text"]).alias("texts"))
 
     def render(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            done = [rendered([(t["role"], t["text"]) for t in turns]) for turns in batch.column("turns").to_pylist()]
+            talks = [list(zip(map(_text, r), map(_text, t), strict=True)) for r, t in zip(batch.column("roles").to_pylist(), batch.column("texts").to_pylist(), strict=True)]
+            done = [rendered(t) for t in talks]
             spans = pa.array([[{"start": a, "end": b} for a, b in s] for _, s in done], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
-            n = pa.array([len(t) for t in batch.column("turns").to_pylist()], pa.int64())
+            n = pa.array([len(t) for t in talks], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("conversation"), n, pa.array([t for t, _ in done], pa.string()), spans], ["conversation", "n_turns", "formatted", "loss_spans"])
 
     kind = events.schema["conversation"].dataType.simpleString()
