@@ -124,6 +124,56 @@ def test_benchmark_items_are_found_with_edits(spark, make):
     assert decontam.contaminated(make(rows), bench.limit(0)).count() == 0
 
 
+def search_row(item, text):
+    """Least edits between an item and a part of a text, by the whole table."""
+    row = [0] * (len(text) + 1)
+    for i, c in enumerate(item, 1):
+        new = [i]
+        for j, e in enumerate(text, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (c != e)))
+        row = new
+    return min(row)
+
+
+def test_decontamination_against_a_full_sweep(spark, make):
+    """All items against all texts; edits below, at and above the budget; ids of text; a long text, short items."""
+    rnd = random.Random(15)
+    words = lambda n: " ".join("".join(rnd.choice("abcde") for _ in range(rnd.randrange(2, 6))) for _ in range(n))
+    items = [(f"i{i}", words(rnd.randrange(7, 20))) for i in range(8)] + [("s1", "Short one"), ("s2", "zq"), ("e", " \n"), ("n", None)]
+    rows = []
+    for i in range(40):
+        item = items[i % 8][1]
+        k = decontam.budget(len(decontam.plain(item)), 0.1, 14)
+        rows.append((i, f"{words(6)} {edits(item, max(0, k + i % 5 - 3), rnd)} {words(6)}"))
+    rows += [(50, "a short  ONE here"), (51, "ashort one"), (52, "zq"), (53, "zqzq"), (54, "ab " * 100_000 + items[3][1]), (55, None), (56, "")]
+    bench = spark.createDataFrame(items, "item_id string, text string").selectExpr("*", "1 key", "2 distance")
+    want = set()
+    for i, t in rows:
+        for name, item in items:
+            p, t1 = decontam.plain(item or ""), decontam.plain(t or "")
+            if not p or len(t1) > 10_000:
+                continue
+            if len(p) < 24:
+                hit = re.search(rf"(?<![a-z]){re.escape(p)}(?![a-z])", t1) is not None
+            else:
+                hit = search_row(p, t1) <= decontam.budget(len(p), 0.1, 14)
+            want |= {(i, name)} if hit else set()
+    got = {(r["doc_id"], r["item_id"]) for r in decontam.contaminated(make(rows), bench).collect()}
+    assert {g for g in got if g[0] != 54} == want and (54, "i3") in got and {(50, "s1"), (52, "s2")} <= got
+    assert {r["item_id"] for r in decontam.unsearchable(bench).collect()} == {"e", "n"}
+
+
+def test_blocks_of_items_find_the_same(spark, make, monkeypatch):
+    rnd = random.Random(16)
+    items = [(i, " ".join(rnd.choice(["alpha", "beta", "gamma", "delta"]) + str(rnd.randrange(99)) for _ in range(9))) for i in range(12)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    docs = make([(i, f"x {items[i % 12][1]} y") for i in range(30)])
+    once = {tuple(r) for r in decontam.contaminated(docs, bench).collect()}
+    monkeypatch.setattr(decontam, "BLOCK_CHARS", 200)
+    assert {tuple(r) for r in decontam.contaminated(docs, bench).collect()} == once and len(once) >= 30
+    assert decontam.decontaminated(docs, bench).count() == 0
+
+
 def test_lines_against_brute_force(make):
     rnd = random.Random(2)
     lines = [f"line {i}" for i in range(30)]

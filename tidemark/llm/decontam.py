@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from tidemark.llm.common import code_bytes
+from tidemark.llm.common import code_bytes, written
 
 #: Characters of test items that one pass holds in a task's memory; more items take more passes.
 BLOCK_CHARS = 1_000_000
@@ -56,22 +57,23 @@ def distances(item: str, window: str, most: int) -> tuple[int, int] | None:
 
 
 class Matcher:
-    """Finds items in texts. Every occurrence within the budget holds one piece unchanged."""
+    """Finds items in texts. Every occurrence within the budget holds one piece unchanged.
 
-    def __init__(self, items: list[tuple[int, str]], rate: float, piece: int, least: int):
+    Items shorter than ``short`` must occur as they are and between word borders.
+    """
+
+    def __init__(self, items: list[str], rate: float, piece: int, short: int):
         import ahocorasick
 
         self.items = []
         places: dict[str, list[tuple[int, int]]] = {}
-        for key, text in items:
-            text = plain(text or "")
-            if len(text) < max(1, least):
-                continue
-            k = budget(len(text), rate, piece)
+        for number, text in enumerate(items):
+            text = plain(text)
+            k = budget(len(text), rate, piece) if len(text) >= short else 0
             for p in range(k + 1):
                 a, b = len(text) * p // (k + 1), len(text) * (p + 1) // (k + 1)
-                places.setdefault(text[a:b], []).append((len(self.items), a))
-            self.items.append((key, text, k))
+                places.setdefault(text[a:b], []).append((number, a))
+            self.items.append((text, k, len(text) < short))
         self.words = ahocorasick.Automaton()
         for word, where in places.items():
             self.words.add_word(word, (len(word), where))
@@ -79,7 +81,7 @@ class Matcher:
             self.words.make_automaton()
 
     def found(self, text: str) -> Iterator[tuple[int, int, int, int]]:
-        """(item key, distance, start, end) of the best occurrence of each item, in ``plain(text)``."""
+        """(item's number, distance, start, end) of the best occurrence of each item, in ``plain(text)``."""
         if not self.items or not text:
             return
         text = plain(text)
@@ -88,7 +90,12 @@ class Matcher:
             for item, offset in where:
                 starts.setdefault(item, set()).add(last + 1 - size - offset)
         for item, at in starts.items():
-            key, wanted, k = self.items[item]
+            wanted, k, whole = self.items[item]
+            if whole:
+                borders = (a for a in sorted(at) if not text[a - 1 : a].isalnum() and not text[a + len(wanted) : a + len(wanted) + 1].isalnum())
+                if (a := next(borders, None)) is not None:
+                    yield item, 0, a, a + len(wanted)
+                continue
             best = None
             for a, b in self._windows(sorted(at), len(wanted), k):
                 a = max(0, a)
@@ -98,7 +105,7 @@ class Matcher:
             if best:
                 near = text[max(0, best[1] - len(wanted) - k) : best[1]]
                 _, back = distances(wanted[::-1], near[::-1], k)
-                yield key, best[0], best[1] - back, best[1]
+                yield item, best[0], best[1] - back, best[1]
 
     @staticmethod
     def _windows(starts: list[int], m: int, k: int) -> Iterator[tuple[int, int]]:
@@ -112,62 +119,85 @@ class Matcher:
         yield a, b
 
 
-def _passes(benchmark: DataFrame, key: str, text: str) -> list[list[tuple[int, str]]]:
-    """The items, in blocks that fit a task. Their number is that of passes over the documents."""
-    size = benchmark.agg(F.sum(F.length(text))).first()[0] or 0
-    n = -(-size // BLOCK_CHARS) or 1
-    place = F.pmod(F.xxhash64(key, text), F.lit(n))
-    return [[(r[0], r[1]) for r in benchmark.filter(F.col(text).isNotNull() & (place == i)).select(key, text).distinct().collect()] for i in range(n)]
+def searchable(text: Column) -> Column:
+    """Whether an item has anything to search for."""
+    return F.coalesce(F.length(F.regexp_replace(text, r"[\s\x1c-\x1f\x85\u00a0]+", "")) > 0, F.lit(False))
+
+
+def unsearchable(benchmark: DataFrame, *, item: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The items that no search can find: null, empty or blank texts."""
+    return benchmark.filter(~searchable(F.col(item_text))).select(item, item_text)
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", rate: float = 0.1, piece: int = 14, least: int = 24) -> DataFrame:
+def _blocks(benchmark: DataFrame, key: str, text: str) -> Iterator[tuple[int, list, list[str]]]:
+    """Ids and texts of the items, a block that fits a task at a time; the driver holds no more than one.
+
+    An item is in the block that its hash names; their number is that of passes over the documents.
+    """
+    items = benchmark.filter(searchable(F.col(text))).select(key, text).distinct()
+    n = -(-(items.agg(F.sum(F.length(text))).first()[0] or 0) // BLOCK_CHARS) or 1
+    for i in range(n):
+        rows = items.filter(F.pmod(F.xxhash64(key, text), F.lit(n)) == i).collect()
+        yield n, [r[0] for r in rows], [r[1] for r in rows]
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", rate: float = 0.1, piece: int = 14, short: int = 24) -> DataFrame:
     """``key, item, distance, start, end``: a row for each document and test item found in it.
 
     An item of n characters (lower case, runs of white space as one space) may differ by
     min(rate * n, n / piece - 1) edits; it is cut into one piece more than that, so some piece
     is unchanged in every occurrence. All pieces are searched for at once in whole texts; each
     hit's surroundings are verified with Myers' bit-vectors. ``start`` and ``end`` are places
-    in the text so normalised. Items shorter than ``least`` characters are no evidence and are not
-    searched for; null or empty texts and items match nothing; repeated items with the same id
-    and text count once; repeated documents each give their rows. Empty tables give no rows.
-
-    The test items are collected in blocks of a fixed size, one pass over the documents for
-    each; documents are never shuffled.
+    in the text so normalised. Items shorter than ``short`` characters are searched for as whole
+    words, unchanged; null, empty and blank ones match nothing and are what ``unsearchable``
+    lists. Null and empty texts match nothing; repeated items with the same id and text count
+    once; repeated documents each give their rows; ids may be of any type. Empty tables give no rows.
+
+    The test items are collected a block of a fixed size at a time, one pass over the documents
+    for each; with several blocks, each pass is written before the next one is collected.
+    Documents are never shuffled.
     """
-    sc, kind, item_kind = docs.sparkSession.sparkContext, docs.schema[key].dataType.simpleString(), benchmark.schema[item].dataType
+    sc, kind, item_kind = docs.sparkSession.sparkContext, docs.schema[key].dataType.simpleString(), benchmark.schema[item].dataType.simpleString()
     out = None
-    for items in _passes(benchmark, item, item_text):
-        sent = sc.broadcast(items)
+    for n, ids, texts in _blocks(benchmark, item, item_text):
+        sent = sc.broadcast((ids, texts))
 
         def search(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            matcher = Matcher(sent.value, rate, piece, least)
+            names, items = sent.value
+            matcher = Matcher(items, rate, piece, short)
             for batch in batches:
-                keys, rows = batch.column("key").to_pylist(), []
-                for k, raw in zip(keys, code_bytes(batch, "text"), strict=True):
-                    rows += [(k, *hit) for hit in matcher.found((raw or b"").decode("utf-8", "replace"))]
-                cols = list(zip(*rows, strict=True)) or [[]] * 5
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0], batch.schema.field("key").type), *(pa.array(c, pa.int64()) for c in cols[1:])], ["key", "item", "distance", "start", "end"])
-
-        hits = docs.select(F.col(key).alias("key"), F.col(text).cast("binary").alias("text")).mapInArrow(search, f"key {kind}, item long, distance long, start long, end long")
+                hits = [(row, *hit) for row, raw in enumerate(code_bytes(batch, "text")) for hit in matcher.found((raw or b"").decode("utf-8", "replace"))]
+                rows, found, *places = list(zip(*hits, strict=True)) or [()] * 5
+                ids = pa.array([names[i] for i in found], to_arrow_type(item_type))
+                yield pa.RecordBatch.from_arrays([batch.column("key").take(pa.array(rows, pa.int64())), ids, *(pa.array(p, pa.int64()) for p in places)], ["key", "item", "distance", "start", "end"])
+
+        item_type = benchmark.schema[item].dataType
+        hits = docs.select(F.col(key).alias("key"), F.col(text).cast("binary").alias("text")).mapInArrow(search, f"key {kind}, item {item_kind}, distance long, start long, end long")
+        if n > 1:
+            hits = written(hits, "hits")
+            sent.unpersist()
         out = hits if out is None else out.union(hits)
-    return out.select(F.col("key").alias(key), F.col("item").cast(item_kind).alias(item), "distance", "start", "end")
+    return out.select(F.col("key").alias(key), F.col("item").alias(item), "distance", "start", "end")
 
 
-def decontaminated(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item: str = "item_id", item_text: str = "text", rate: float = 0.1, piece: int = 14, least: int = 24) -> DataFrame:
+def decontaminated(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item: str = "item_id", item_text: str = "text", rate: float = 0.1, piece: int = 14, short: int = 24) -> DataFrame:
     """``docs`` without the rows in which a test item is found, by the rules of ``contaminated``.
 
     Whole rows pass through the search, so nothing is joined or shuffled, keys may be null or
     repeat, and every column stays as it is.
     """
     sc = docs.sparkSession.sparkContext
-    for items in _passes(benchmark, item, item_text):
-        sent = sc.broadcast(items)
+    for n, _, texts in _blocks(benchmark, item, item_text):
+        sent = sc.broadcast(texts)
 
         def clean(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            matcher = Matcher(sent.value, rate, piece, least)
+            matcher = Matcher(sent.value, rate, piece, short)
             for batch in batches:
                 keep = [next(matcher.found((raw or b"").decode("utf-8", "replace")), None) is None for raw in code_bytes(batch, text)]
                 yield batch.filter(pa.array(keep, pa.bool_()))
 
         docs = docs.mapInArrow(clean, docs.schema)
+        if n > 1:
+            docs = written(docs, "clean")
+            sent.unpersist()
     return docs
