@@ -16,10 +16,21 @@ def test_hosts_and_rules(spark):
     got = {r["page_id"]: r for r in url_filter.judged(pages(spark, urls)).collect()}
     assert (got[0]["__host"], got[0]["__path"], got[0]["__rule"], got[0]["__verdict"]) == ("a.b.org", "/x", "org/", "allow")
     assert [got[i]["__rule"] for i in range(10)] == ["org/", "example.org/es/", "example.org/en/1", "com/fr/", None, None, None, None, None, "com/de/"]
-    assert got[6]["__verdict"] == "block" and got[5]["__host"] == "" and got[9]["__path"] == "/de/é"
+    assert (got[6]["__host"], got[6]["__path"], got[6]["__verdict"], got[6]["__score"]) == ("", "", got[7]["__verdict"], got[7]["__score"])
+    assert got[5]["__host"] == "" and got[9]["__path"] == "/de/é"
+    long = url_filter.judged(pages(spark, ["http://a.net/" + "q" * 200_000, *urls, *urls])).collect()
+    assert len(long) == 21 and len({(r["url"], r["__verdict"]) for r in long}) == 11
     assert url_filter.judged(pages(spark, urls).limit(0)).count() == 0
 
 
+def test_cut_by_errors(spark):
+    rnd = random.Random(2)
+    rows = [("allow", rnd.gauss(1, 1)) for _ in range(300)] + [("block", rnd.gauss(-1, 1)) for _ in range(100)]
+    cut = url_filter.best_cut(spark.createDataFrame(rows, "__class string, __score double"))
+    errors = lambda t: sum(c == "allow" and s < t for c, s in rows) / 300 + sum(c == "block" and s >= t for c, s in rows) / 100
+    assert errors(cut) <= min(errors(t / 1000) for t in range(-4000, 4000)) + 1e-9
+
+
 def test_ratio_tells_classes_apart(spark):
     rnd = random.Random(1)
     word = lambda letters: "".join(rnd.choice(letters) for _ in range(8))

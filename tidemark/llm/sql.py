@@ -79,9 +79,9 @@ named AS (
 ),
 ruled AS (SELECT *, CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' END AS by_rule FROM named),
 urls AS (
-  SELECT url, any_value(by_rule) AS class,
-         any_value(by_rule) IS NOT NULL AND ('0x' || substr(md5('calibrate|' || url), 1, 8))::BIGINT % 5 <> 0 AS learn
-  FROM ruled WHERE url IS NOT NULL GROUP BY url
+  SELECT coalesce(r.url, '') AS url, any_value(by_rule) AS class,
+         any_value(by_rule) IS NOT NULL AND ('0x' || substr(md5('calibrate|' || coalesce(r.url, '')), 1, 8))::BIGINT % 5 <> 0 AS learn
+  FROM ruled r GROUP BY coalesce(r.url, '')
 ),
 spelled AS ({_SPELLED.format(keep="url, (learn AND class = 'allow')::INT AS a, (learn AND class = 'block')::INT AS b", urls="urls")}),
 grams AS (SELECT gram, sum(a) AS a, sum(b) AS b FROM spelled GROUP BY gram),
@@ -102,10 +102,18 @@ p3 AS (SELECT gram, CASE WHEN ta > 0 THEN (a + ua * pa) / (ta + ua) ELSE pa END
 p4 AS (SELECT gram, CASE WHEN ta > 0 THEN (a + ua * pa) / (ta + ua) ELSE pa END AS pa, CASE WHEN tb > 0 THEN (b + ub * pb) / (tb + ub) ELSE pb END AS pb FROM known JOIN p3 USING (gram) WHERE n = 4),
 ratios AS (SELECT gram, round((ln(pa) - ln(pb)) * 1000000)::BIGINT AS ratio FROM p4),
 scored AS (SELECT url, sum(ratio)::DOUBLE / count(*) / 1000000 AS score FROM spelled JOIN ratios USING (gram) GROUP BY url),
-means AS (SELECT class, sum(round(score * 1000000)::BIGINT)::DOUBLE / count(*) / 1000000 AS mean FROM scored JOIN urls USING (url) WHERE class IS NOT NULL AND NOT learn GROUP BY class),
-middle AS (SELECT sum(mean) / 2 AS middle FROM means)
-SELECT r.page_id, r.host, r.path, r.rule, coalesce(by_rule, CASE WHEN r.url IS NULL THEN 'block' WHEN s.score >= middle THEN 'allow' ELSE 'block' END) AS verdict, round(s.score, 6) AS score
-FROM ruled r LEFT JOIN scored s ON s.url = r.url CROSS JOIN middle
+bins AS (
+  SELECT floor(score * 1000)::BIGINT AS bin, (count(*) FILTER (WHERE class = 'allow'))::DOUBLE AS a, (count(*) FILTER (WHERE class = 'block'))::DOUBLE AS b
+  FROM scored JOIN urls USING (url) WHERE class IS NOT NULL AND NOT learn GROUP BY ALL
+),
+cuts AS (
+  SELECT bin, coalesce(sum(a) OVER (ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / sum(a) OVER ()
+              + sum(b) OVER (ORDER BY bin ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) / sum(b) OVER () AS errors,
+         (coalesce(lag(bin) OVER (ORDER BY bin) + 1, bin) + bin) / 2000.0::DOUBLE AS cut FROM bins
+),
+best AS (SELECT cut FROM cuts ORDER BY errors, bin LIMIT 1)
+SELECT r.page_id, r.host, r.path, r.rule, coalesce(by_rule, CASE WHEN s.score >= cut THEN 'allow' ELSE 'block' END) AS verdict, round(s.score, 6) AS score
+FROM ruled r LEFT JOIN scored s ON s.url = coalesce(r.url, '') CROSS JOIN best
 """
 
 

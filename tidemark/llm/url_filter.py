@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import md5_number, written
@@ -13,6 +13,10 @@ ORDER = 4
 #: Log ratios are summed as whole millionths, so that sums don't depend on their order.
 UNIT = 1_000_000
 ALPHABET = 256.0
+#: Rows of gram and ratio that are broadcast at most, some 60 bytes each; beyond, the join shuffles.
+BROADCAST_GRAMS = 500_000
+#: Cuts between accepted and rejected scores are whole thousandths.
+CUT = 1000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -73,28 +77,46 @@ def gram_ratios(urls: DataFrame) -> DataFrame:
     return steps.select("gram", F.round(ratio * UNIT).cast("long").alias("ratio"))
 
 
+def best_cut(scored: DataFrame) -> float | None:
+    """The score from which URLs are accepted, by the errors on ``scored`` (``__class, __score``); None if a class lacks.
+
+    Each cut rejects a share of the accepted and accepts a share of the rejected; the one with the
+    least sum is taken, the lowest of equal ones, in the middle of the gap below it. Scores are
+    means of log ratios and so lie within a few dozen: cut in thousandths, few bins meet in a task.
+    """
+    bins = scored.groupBy(F.floor(F.col("__score") * CUT).alias("bin")).agg(F.sum((F.col("__class") == "allow").cast("double")).alias("a"), F.sum((F.col("__class") == "block").cast("double")).alias("b"))
+    line, everything = Window.orderBy("bin"), Window.partitionBy()
+    lost = F.coalesce(F.sum("a").over(line.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)) / F.sum("a").over(everything)
+    let_in = F.sum("b").over(line.rowsBetween(0, Window.unboundedFollowing)) / F.sum("b").over(everything)
+    cuts = bins.select("bin", (lost + let_in).alias("errors"), ((F.coalesce(F.lag("bin").over(line) + 1, F.col("bin")) + F.col("bin")) / F.lit(2.0 * CUT)).alias("cut"))
+    return cuts.agg(F.min_by("cut", F.struct("errors", "bin")), F.min("errors")).first()[0]
+
+
 def judged(pages: DataFrame, *, url: str = "url", rules: tuple[tuple[str, str], ...] = RULES) -> DataFrame:
     """``pages`` with ``__host, __path, __rule, __verdict, __score``.
 
     A rule fits its host and all subdomains if the path starts with the rule's; the longest
     decides. Other URLs go by the sum of their characters' log-likelihood ratios over their
-    length, against the middle between the means of accepted and rejected URLs that a hash of
-    the URL kept from the counts (a fifth of the ruled ones; all of them where that fifth lacks
-    a class). Without rules of both classes to learn from the ratio says nothing and URLs pass;
-    a null URL has nothing to judge and is blocked, with a null score. Each distinct URL is
-    scored once, so repeated rows agree; empty tables give no rows.
+    length. The cut is set by the errors on ruled URLs that a hash kept from the counts (a fifth
+    of them; all of them where that fifth lacks a class), see ``best_cut``. Without rules of both
+    classes to learn from the ratio says nothing and URLs pass. A null URL is judged as an empty
+    one. Each distinct URL is scored once, so repeated rows agree; empty tables give no rows.
     """
-    named = ruled(pages, url=url, rules=rules)
+    named = ruled(pages.withColumn("__u", F.coalesce(url, F.lit(""))), url="__u", rules=rules)
     fifth = md5_number(F.lit("calibrate"), F.col("__url")) % 5 == 0
-    urls = named.filter(F.col(url).isNotNull()).groupBy(F.col(url).alias("__url")).agg(F.first("__by_rule").alias("__class"))
+    urls = named.groupBy(F.col("__u").alias("__url")).agg(F.first("__by_rule").alias("__class"))
     urls = written(urls.withColumn("__learn", F.col("__class").isNotNull() & ~fifth), "urls")
-    ratios = gram_ratios(urls)
+    ratios = written(gram_ratios(urls), "ratios")
+    if ratios.count() <= BROADCAST_GRAMS:
+        ratios = F.broadcast(ratios)
     sums = _grams(urls, "__url").join(ratios, "gram").groupBy("__url").agg(F.sum("ratio").alias("sum"), F.count(F.lit(1)).alias("n"))
     scored = written(sums.select("__url", (F.col("sum") / F.col("n") / UNIT).alias("__score")).join(urls, "__url"), "scores")
-    means = {(r[0], r[1]): r[2] for r in scored.filter(F.col("__class").isNotNull()).groupBy("__class", "__learn").agg(F.sum(F.round(F.col("__score") * UNIT).cast("long")) / F.count(F.lit(1)) / UNIT).collect()}
-    apart = ("allow", False) in means and ("block", False) in means
-    middle = [means.get((c, not apart)) for c in ("allow", "block")]
+    known = scored.filter(F.col("__class").isNotNull())
+    apart = known.filter(~F.col("__learn"))
+    if apart.select("__class").distinct().count() < 2:
+        apart = known
+    cut = best_cut(apart) if apart.select("__class").distinct().count() == 2 else None
     scores = scored.select("__url", "__score")
-    out = named.join(scores, named[url] == scores["__url"], "left").drop("__url")
-    by_model = F.when(F.col(url).isNull(), "block").when(F.lit(None in middle) | (F.col("__score") >= F.lit(0.0 if None in middle else sum(middle) / 2)), "allow").otherwise("block")
+    out = named.join(scores, F.col("__u") == F.col("__url"), "left").drop("__url")
+    by_model = F.lit("allow") if cut is None else F.when(F.col("__score") >= F.lit(cut), "allow").otherwise("block")
     return out.withColumn("__verdict", F.coalesce("__by_rule", by_model)).select(*pages.columns, "__host", "__path", "__rule", "__verdict", "__score")
