@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import table
+from tidemark.llm.common import table, word_count, written
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,8 +76,9 @@ def op9_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.mixing import mixed
 
-    mix = mixed(table(spark, sf_dir, "documents"))
-    return mix.select("doc_id", F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.round("__target", 3).alias("target"), (F.col("__copies") * F.col("__size")).alias("taken"))
+    sized = table(spark, sf_dir, "documents").select("doc_id", "source", word_count(F.col("text")).alias("size"))
+    mix = mixed(written(sized, "sizes"), size="size")
+    return mix.select("doc_id", "size", F.col("__source_size").alias("source_size"), F.round("__target", 3).alias("target"), (F.col("__copies") * F.col("__size")).alias("taken"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

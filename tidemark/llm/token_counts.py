@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Iterator
 
@@ -13,8 +14,8 @@ from tidemark.llm.common import code_bytes
 
 SPACE = "▁"
 RUNS = re.compile(rb" +[^ ]*|[^ ]+")
-#: Pre-tokens remembered by a task beside the proven ones before it starts afresh.
-REMEMBERED = 400_000
+#: Bytes of pre-tokens that a task remembers beside the proven ones before it starts afresh.
+REMEMBERED_BYTES = 32_000_000
 
 
 def model_bytes(path: str) -> bytes:
@@ -23,11 +24,13 @@ def model_bytes(path: str) -> bytes:
         return file.read()
 
 
+@functools.lru_cache(maxsize=4)
 def proven(model: bytes) -> tuple[dict[bytes, int], dict[bytes, int]]:
     """Vocabulary strings that encode alone as one token: after a space, and without one.
 
     Also proves what makes pre-tokens independent: no vocabulary string goes on after a line
-    feed or holds a space mark behind another character, so no merge crosses those places.
+    feed or holds a space mark behind another character, so no merge crosses those places. It is
+    proven once for a model and process, before any text is read.
     """
     import sentencepiece as spm
 
@@ -52,14 +55,16 @@ class Counts(dict):
 
     def __init__(self, sp, known: dict[bytes, int], before: str, less: int):
         super().__init__(known)
-        self.sp, self.known, self.before, self.less = sp, known, before, less
+        self.sp, self.known, self.before, self.less, self.bytes = sp, known, before, less, 0
 
     def __missing__(self, word: bytes) -> int:
+        self.bytes += len(word) + 100
         n = self[word] = len(self.sp.encode(self.before + word.decode("utf-8", "replace"))) - self.less
         return n
 
     def held(self) -> None:
-        if len(self) > REMEMBERED + len(self.known):
+        if self.bytes > REMEMBERED_BYTES:
+            self.bytes = 0
             self.clear()
             self.update(self.known)
 
