@@ -67,18 +67,37 @@ def shifted(q: Column, by: Column) -> Column:
     return let(by, lambda d: F.transform(q, lambda v: v + d))
 
 
-def tent(spread: float = 0.08) -> list[float]:
-    """How far a price moves from the median: nothing at the ends and the middle, ``spread`` at the quartiles."""
+def tent() -> list[float]:
+    """1 at the quartiles, falling in straight lines to 0 at the median and at 10 and 90 percent, 0 beyond.
+
+    The eleven levels at each end and the two at the middle don't move at all.
+    """
     out = []
-    for t in GRID:
+    for i, t in enumerate(GRID):
         d = abs(t - 0.5)
-        out.append(spread * (d / 0.25 if d <= 0.25 else (0.5 - d) / 0.25))
+        still = i < 11 or i >= N - 11 or i in (N // 2 - 1, N // 2)
+        out.append(0.0 if still else d / 0.25 if d <= 0.25 else (0.4 - d) / 0.15)
     return out
 
 
 def centre_widened(q: Column, spread: float = 0.08) -> Column:
-    moves = F.array(*[F.lit(v) for v in tent(spread)])
-    return let(q, lambda q: let(median(q), lambda m: F.zip_with(q, moves, lambda v, w: v + w * (v - m))))
+    """Moves the quartiles out by ``spread`` of their distance from the median, others between by the tent; never falling."""
+    shape = F.array(*[F.lit(v) for v in tent()])
+    at = lambda q, i: 0.5 * (F.get(q, i - 1) + F.get(q, i))
+    quarters = lambda q: F.struct((at(q, N // 2) - at(q, N // 4)).alias("down"), (at(q, 3 * N // 4) - at(q, N // 2)).alias("up"))
+    side = F.sequence(F.lit(0), F.lit(N - 1))
+    moved = lambda q, g: F.zip_with(q, F.zip_with(shape, side, lambda w, i: F.when(i < N // 2, -spread * w * g["down"]).otherwise(spread * w * g["up"])), lambda v, d: v + d)
+    return let(q, lambda q: let(quarters(q), lambda g: rising(moved(q, g))))
+
+
+def rising(q: Column) -> Column:
+    """The running maximum of a ladder above the floor."""
+    first = F.struct(F.array().cast("array<double>").alias("done"), F.lit(FLOOR).alias("top"))
+
+    def step(s: Column, v: Column) -> Column:
+        return F.struct(F.concat(s["done"], F.array(F.greatest(s["top"], v))).alias("done"), F.greatest(s["top"], v).alias("top"))
+
+    return F.aggregate(q, first, step, lambda s: s["done"])
 
 
 def blended(a: Column, b: Column, weight: Column) -> Column:
@@ -132,8 +151,10 @@ def mixed(a: Column, b: Column, weight: Column) -> Column:
             order = np.argsort(both, axis=1, kind="stable")
             mass = np.concatenate([np.repeat((1 - w)[:, None] / N, N, 1), np.repeat(w[:, None] / N, N, 1)], axis=1)
             values, total = np.take_along_axis(both, order, 1), np.cumsum(np.take_along_axis(mass, order, 1), axis=1)
-            at = [np.minimum(np.searchsorted(t, levels - 1e-12), 2 * N - 1) for t in total]
-            yield pd.Series([v[i] for v, i in zip(values, at, strict=True)])
+            # The first place whose mass reaches each level: rows are set apart by whole numbers and searched as one.
+            rows = np.arange(len(total))[:, None]
+            at = np.searchsorted((total / total[:, -1:] * 0.999 + rows).ravel(), ((levels - 1e-12) * 0.999 + rows).ravel()).reshape(len(total), N) - rows * 2 * N
+            yield pd.Series(list(np.take_along_axis(values, np.minimum(at, 2 * N - 1), 1)))
 
     return mix(a, b, weight)
 
@@ -143,18 +164,21 @@ def with_point_mass(q: Column, price: Column, mass: Column) -> Column:
 
     @F.pandas_udf("array<double>")
     def put(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        levels = np.array(GRID)
+        levels = np.array(GRID)[None, :]
         for q, price, mass in batches:
-            out = []
-            for x, p, m in zip(_rows(q), price.to_numpy(float), mass.to_numpy(float), strict=True):
-                if not 0 < m < 1:
-                    out.append(x)
-                    continue
-                below = float((x < p).sum()) / N * (1 - m)
-                t = np.where(levels < below, levels / (1 - m), np.where(levels <= below + m, np.nan, (levels - m) / (1 - m)))
-                moved = np.interp(t, levels, x)
-                moved = np.where(levels < below, np.minimum(moved, p), np.maximum(moved, p))
-                out.append(np.where(np.isnan(t), p, moved))
-            yield pd.Series(out)
+            x, p = _rows(q), price.to_numpy(float)[:, None]
+            m = mass.to_numpy(float)[:, None]
+            use = ((m > 0) & (m < 1))[:, 0]
+            m = np.where(use[:, None], m, 0.5)
+            below = (x < p).sum(1, keepdims=True) / N * (1 - m)
+            first, last = levels < below, levels > below + m
+            # Positions on the ladder's own levels, between neighbours, as far out as its ends.
+            t = np.where(first, levels / (1 - m), (levels - m) / (1 - m))
+            at = np.clip(t * N - 0.5, 0, N - 1)
+            low = np.minimum(at.astype(int), N - 2)
+            a, b = np.take_along_axis(x, low, 1), np.take_along_axis(x, low + 1, 1)
+            moved = a + (at - low) * (b - a)
+            out = np.where(first, np.minimum(moved, p), np.where(last, np.maximum(moved, p), p))
+            yield pd.Series(list(np.where(use[:, None], out, x)))
 
     return put(q, price, mass)

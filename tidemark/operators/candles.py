@@ -68,10 +68,18 @@ def ewma(value: Column, age: Column, decay: float) -> Column:
     return F.sum(F.when(value.isNotNull(), w * value)) / F.sum(F.when(value.isNotNull(), w))
 
 
-def aged(rows: DataFrame, *, keys: list[str], ts: str, newest: int) -> DataFrame:
-    """The newest rows of each key, with ``age`` from 0."""
+def aged(rows: DataFrame, *, keys: list[str], ts: str, newest: int, chunk_ms: int = 86_400_000) -> DataFrame:
+    """The newest rows of each key, with ``age`` from 0.
+
+    Rows are counted by chunk of time first; only chunks with fewer than ``newest`` rows after
+    them are ranked, so a key's task holds little more than it gives.
+    """
+    dealt = rows.withColumn("__chunk", F.floor(F.col(ts) / chunk_ms).cast("long"))
+    sizes = dealt.groupBy(*keys, "__chunk").agg(F.count(F.lit(1)).alias("__n"))
+    later = F.coalesce(F.sum("__n").over(Window.partitionBy(*keys).orderBy(F.col("__chunk").desc()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    near = sizes.withColumn("__later", later).filter(F.col("__later") < newest).select(*keys, "__chunk")
     w = Window.partitionBy(*keys).orderBy(F.col(ts).desc())
-    return rows.withColumn("age", F.row_number().over(w) - 1).filter(F.col("age") < newest)
+    return dealt.join(near, [*keys, "__chunk"], "left_semi").drop("__chunk").withColumn("age", F.row_number().over(w) - 1).filter(F.col("age") < newest)
 
 
 def hour_stats(moved: DataFrame, *, keys: list[str], move: str) -> DataFrame:

@@ -104,15 +104,31 @@ def depth_imbalance(snapshots: DataFrame, *, top: int = 5) -> DataFrame:
 
 
 def depth_bands(snapshots: DataFrame, *, id_cols: list[str], width: float, bands: int = 100) -> DataFrame:
-    """Sizes by side and band of fixed width from the mid, one row for each band that has any."""
+    """Sizes by side and band of fixed width from the mid, one row for each band that has any.
+
+    A snapshot is one row, so its levels, best first, are folded to runs of one band within the
+    row; nothing is shuffled.
+    """
     anchor = 0.5 * (F.get("bids", 0)["price"] + F.get("asks", 0)["price"])
-    s = snapshots.withColumn("anchor", anchor)
-    bid = s.select(*id_cols, "anchor", F.lit("bid").alias("side"), F.inline("bids"))
-    ask = s.select(*id_cols, "anchor", F.lit("ask").alias("side"), F.inline("asks"))
-    down = F.ceil((F.col("anchor") - F.col("price")) / width - 1e-9) - 1
-    up = F.floor((F.col("price") - F.col("anchor")) / width + 1e-9)
-    at = bid.union(ask).withColumn("band", F.when(F.col("side") == "bid", down).otherwise(up).cast("int"))
-    return at.filter(F.col("band").between(0, bands - 1) & (F.col("qty") > 0)).groupBy(*id_cols, "side", "band").agg(F.sum("qty").alias("size"))
+    s = snapshots.select(*id_cols, "bids", "asks", anchor.alias("__anchor"))
+
+    def runs(side: str) -> Column:
+        off = (lambda p: F.col("__anchor") - p) if side == "bids" else (lambda p: p - F.col("__anchor"))
+        band = lambda p: F.ceil(off(p) / width - 1e-9) - 1 if side == "bids" else F.floor(off(p) / width + 1e-9)
+        best = F.array_sort(F.transform(side, lambda x: F.struct(band(x["price"]).cast("int").alias("band"), x["qty"].alias("size"))))
+        inside = F.filter(best, lambda x: x["band"].between(0, bands - 1) & (x["size"] > 0))
+
+        def add(done: Column, x: Column) -> Column:
+            last = F.get(done, F.size(done) - 1)
+            grown = F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(F.struct(x["band"].alias("band"), (last["size"] + x["size"]).alias("size"))))
+            return F.when(last["band"] == x["band"], grown).otherwise(F.concat(done, F.array(x)))
+
+        return F.aggregate(inside, F.array().cast("array<struct<band:int,size:double>>"), add)
+
+    def named(side: str, name: str) -> Column:
+        return F.transform(runs(side), lambda x: F.struct(F.lit(name).alias("side"), x["band"].alias("band"), x["size"].alias("size")))
+
+    return s.select(*id_cols, F.inline(F.concat(named("bids", "bid"), named("asks", "ask"))))
 
 
 def band_imbalance(bands: DataFrame, *, id_cols: list[str], width: float, reach: float) -> DataFrame:
@@ -157,8 +173,26 @@ def depth_pairs(joined: DataFrame, *, keys: list[str], at: str, back_ms: int = 6
     return pair.withColumn("usable", F.col("off_ms") <= tolerance_ms)
 
 
-def mid_change_counts(grid: DataFrame, *, keys: list[str], value: str, ts: str, steps: int, span: int) -> DataFrame:
-    """On a grid: changes in the last ``steps``, and whether ``span`` steps back the value was the same."""
-    w = Window.partitionBy(*keys).orderBy(ts)
-    g = grid.withColumn("changed", (F.coalesce(F.col(value) != F.lag(value).over(w), F.lit(False))).cast("int"))
-    return g.withColumn("changes", F.sum("changed").over(w.rowsBetween(-(steps - 1), 0))).withColumn("still", F.coalesce(F.col(value) == F.lag(value, span).over(w), F.lit(False))).withColumn("since", F.col(ts) - F.last(F.when(F.col("changed") == 1, F.col(ts)), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+def mid_change_counts(grid: DataFrame, *, keys: list[str], value: str, ts: str, step_ms: int, steps: int, span: int, within: float = 0.0, recent: int | None = None, chunk_ms: int | None = None) -> DataFrame:
+    """``grid`` with ``changed, changes, still, still_share, since`` (and ``recent`` changes, if asked for).
+
+    On a grid of ``step_ms``: changes of more than ``within`` in the last ``steps``, whether ``span``
+    steps back the value was the same, the share of that in the last ``steps``, and the time since
+    the last change. Rows are dealt by key and chunk of time with a halo of the frames' length;
+    the last change before a chunk is one row per chunk.
+    """
+    wide = chunk_ms or 64 * steps * step_ms
+    dealt = chunked(grid, keys=keys, ts=ts, seq=ts, chunk_ms=wide, halo_ms=(steps + span) * step_ms)
+    w = Window.partitionBy(*keys, "__chunk").orderBy(ts)
+    same = lambda k: F.coalesce(F.abs(F.col(value) - F.lag(value, k).over(w)) <= within, F.lit(False))
+    g = dealt.withColumn("changed", (F.lag(value).over(w).isNotNull() & ~same(1)).cast("int")).withColumn("still", same(span))
+    frame = w.rowsBetween(-(steps - 1), 0)
+    g = g.withColumn("changes", F.sum("changed").over(frame)).withColumn("still_share", F.avg(F.col("still").cast("double")).over(frame))
+    if recent:
+        g = g.withColumn("recent", F.sum("changed").over(w.rowsBetween(-(recent - 1), 0)))
+    g = without_halo(g.withColumn("__c", F.col("__chunk"))).withColumn("__t", F.when(F.col("changed") == 1, F.col(ts)))
+    last = g.groupBy(*keys, "__c").agg(F.max("__t").alias("__m"))
+    carried = last.withColumn("__before", F.last("__m", ignorenulls=True).over(Window.partitionBy(*keys).orderBy("__c").rowsBetween(Window.unboundedPreceding, -1))).drop("__m")
+    upto = Window.partitionBy(*keys, "__c").orderBy(ts).rowsBetween(Window.unboundedPreceding, 0)
+    g = g.withColumn("__l", F.last("__t", ignorenulls=True).over(upto)).join(carried, [*keys, "__c"], "left")
+    return g.withColumn("since", F.col(ts) - F.coalesce("__l", "__before")).drop("__t", "__l", "__c", "__before")

@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import quotes as Q
+from tidemark.operators.asof import chunked, without_halo
+from tidemark.scratch import written
 
 
 def trade_groups(trades: DataFrame, *, keys: list[str], ts: str = "ts_ms", open_group: bool = False) -> DataFrame:
@@ -18,33 +20,61 @@ def trade_groups(trades: DataFrame, *, keys: list[str], ts: str = "ts_ms", open_
     groups = trades.groupBy(*keys, ts).agg(F.max_by("price", "seq").alias("price"), F.max_by("recv_ts_ms", "seq").alias("recv_ts_ms"), F.max("seq").alias("seq"), F.count(F.lit(1)).alias("n"))
     if open_group:
         return groups
-    last = groups.groupBy(*keys).agg(F.max(ts).alias("__last"))
-    return groups.join(F.broadcast(last), keys).filter(F.col(ts) < F.col("__last")).drop("__last")
+    last = groups.groupBy(*keys).agg(F.max(ts).alias("__last"))  # a row per key; the planner decides on a broadcast
+    return groups.join(last, keys).filter(F.col(ts) < F.col("__last")).drop("__last")
 
 
-def price_moves(groups: DataFrame, *, keys: list[str], tick: float, ts: str = "ts_ms", chunk_ms: int = 86_400_000) -> DataFrame:
-    """Groups more than one tick from the reference, which they then become.
+def _fold(prices, reference: float | None, tick: float) -> tuple[list[bool], list[float | None], float | None]:
+    """Which prices are moves, the reference before each, and the one after all."""
+    moves, before = [], []
+    for price in prices:
+        move = reference is not None and abs(price - reference) / tick > 1 + 1e-6
+        moves.append(move)
+        before.append(reference)
+        if move or reference is None:
+            reference = float(price)
+    return moves, before, reference
+
 
-    The fold depends on its path, so it runs in order per key and chunk of time, a day by
-    default; each chunk begins anew with its first group as the reference. A chunk's groups are
-    what one task holds.
+def price_moves(groups: DataFrame, *, keys: list[str], tick: float, ts: str = "ts_ms", chunk_ms: int = 86_400_000) -> DataFrame:
+    """Groups more than one tick from the reference, which they then become; a key's first group is its first reference.
+
+    The fold depends on its path and a handful of keys hold all groups, so it runs per key and
+    chunk of time, a day by default. Each chunk is folded from a guess first; then the chunks
+    whose start is not what the chunk before ended with are folded anew, until none is left. Folds
+    from different starts meet after a few moves, so few chunks take a second pass; the result
+    doesn't depend on ``chunk_ms``. Only a row per chunk sees a window per key. Null keys are
+    left out; an empty table gives no rows.
     """
-    chunked = groups.withColumn("chunk", F.floor(F.col(ts) / chunk_ms).cast("long"))
+    dealt = written(groups.dropna(subset=keys).withColumn("__chunk", F.floor(F.col(ts) / chunk_ms).cast("long")), "groups")
+    names = ", ".join(f"{k} {dealt.schema[k].dataType.simpleString()}" for k in keys)
+
+    def ended(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values([ts, "seq"], kind="stable")
+        start = pdf["__start"].iloc[0]
+        end = _fold(pdf["price"].to_numpy(), None if pd.isna(start) else start, tick)[2]
+        return pdf[[*keys, "__chunk", "__start"]].head(1).assign(__end=end)
+
+    def ends(of: DataFrame) -> DataFrame:
+        return of.groupBy(*keys, "__chunk").applyInPandas(ended, f"{names}, __chunk long, __start double, __end double")
+
+    state = written(ends(dealt.select(*keys, "__chunk", ts, "seq", "price", F.lit(None).cast("double").alias("__start"))), "folds")
+    while True:
+        wanted = F.lag("__end").over(Window.partitionBy(*keys).orderBy("__chunk"))
+        wrong = written(state.withColumn("__want", wanted).filter(~F.col("__want").eqNullSafe(F.col("__start"))).select(*keys, "__chunk", F.col("__want").alias("__start")), "starts")
+        if not wrong.take(1):
+            break
+        new = ends(dealt.select(*keys, "__chunk", ts, "seq", "price").join(wrong, [*keys, "__chunk"]))
+        state = written(state.join(wrong, [*keys, "__chunk"], "left_anti").unionByName(new), "folds")
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values([ts, "seq"], kind="stable")
-        kept, reference, before = [], None, []
-        for price in pdf["price"].to_numpy():
-            move = reference is not None and abs(price - reference) / tick > 1 + 1e-6
-            kept.append(move)
-            before.append(reference)
-            if move or reference is None:
-                reference = price
-        pdf["reference"] = before
-        return pdf[kept]
+        start = pdf["__start"].iloc[0]
+        moves, before, _ = _fold(pdf["price"].to_numpy(), None if pd.isna(start) else start, tick)
+        return pdf.assign(reference=before)[moves].drop(columns=["__start", "__chunk"])
 
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in chunked.schema) + ", reference double"
-    return chunked.groupBy(*keys, "chunk").applyInPandas(fold, schema)
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in groups.schema) + ", reference double"
+    return dealt.join(state.select(*keys, "__chunk", "__start"), [*keys, "__chunk"]).groupBy(*keys, "__chunk").applyInPandas(fold, schema)
 
 
 def event_prompts(moves: DataFrame, *, clock: int, opens: int, length: int, chance: float = 0.5, longest_delay: int = 500) -> DataFrame:
@@ -79,25 +109,54 @@ def ingest_merge(stored: DataFrame, batch: DataFrame, *, keys: list[str], ts: st
     return stored.unionByName(new)
 
 
-def coverage_windows(stored: DataFrame, *, keys: list[str], ts: str, start: int, end: int, step: int, interior: bool = False) -> DataFrame:
-    """Half-open missing ranges of [start, end) before the first and after the last stored row."""
+def coverage_windows(stored: DataFrame, *, keys: list[str], ts: str, start: int, end: int, step: int, interior: bool = False, wanted: DataFrame | None = None, chunk_ms: int = 86_400_000) -> DataFrame:
+    """Half-open missing ranges of [start, end) before the first and after the last stored row.
+
+    ``wanted`` lists the keys that should be there: one without a stored row in the range lacks all
+    of it. ``interior`` adds the gaps between stored rows.
+    """
     inside = stored.filter((F.col(ts) >= start) & (F.col(ts) < end))
     span = inside.groupBy(*keys).agg(F.min(ts).alias("lo"), F.max(ts).alias("hi"))
-    edges = span.select(*keys, F.inline(F.array(F.struct(F.lit(start).cast("long").alias("from_ms"), F.col("lo").alias("to_ms")), F.struct((F.col("hi") + step).alias("from_ms"), F.lit(end).cast("long").alias("to_ms")))))
-    out = edges.filter("from_ms < to_ms")
+    if wanted is not None:
+        span = wanted.select(*keys).distinct().join(span, keys, "left")
+    before = F.struct(F.lit(start).cast("long").alias("from_ms"), F.coalesce("lo", F.lit(end)).cast("long").alias("to_ms"))
+    after = F.struct(F.coalesce(F.col("hi") + step, F.lit(end)).cast("long").alias("from_ms"), F.lit(end).cast("long").alias("to_ms"))
+    out = span.select(*keys, F.inline(F.array(before, after))).filter("from_ms < to_ms")
     if interior:
-        nxt = F.lead(ts).over(Window.partitionBy(*keys).orderBy(ts))
-        out = out.unionByName(inside.withColumn("to_ms", nxt).select(*keys, (F.col(ts) + step).alias("from_ms"), "to_ms").filter("from_ms < to_ms"))
+        last = F.lag(ts).over(Window.partitionBy(*keys, "__chunk").orderBy(ts))
+        dealt = chunked(inside.select(*keys, ts), keys=keys, ts=ts, seq=ts, chunk_ms=chunk_ms, carry=True).withColumn("__last", last)
+        out = out.unionByName(without_halo(dealt).select(*keys, (F.col("__last") + step).alias("from_ms"), F.col(ts).alias("to_ms")).filter("from_ms < to_ms"))
     return out
 
 
-def sequence_gaps(updates: DataFrame, *, keys: list[str], order: str, first: str, before: str) -> DataFrame:
-    """Updates whose ``before`` id isn't the ``first`` id of the row before."""
-    prev = F.lag(first).over(Window.partitionBy(*keys).orderBy(order))
-    return updates.withColumn("expected", prev).filter(F.col("expected").isNotNull() & (F.col(before) != F.col("expected")))
+def sequence_gaps(updates: DataFrame, *, keys: list[str], order: str, first: str, before: str, chunk: int = 100_000) -> DataFrame:
+    """Updates whose ``before`` id isn't the ``first`` id of the row before; dealt by key and chunk of ``order``."""
+    dealt = chunked(updates, keys=keys, ts=order, seq=order, chunk_ms=chunk, carry=True)
+    prev = F.lag(first).over(Window.partitionBy(*keys, "__chunk").orderBy(order))
+    return without_halo(dealt.withColumn("expected", prev)).filter(F.col("expected").isNotNull() & (F.col(before) != F.col("expected")))
+
+
+def time_order_violations(rows: DataFrame, *, keys: list[str], order: str, ts: str, chunk: int = 100_000) -> DataFrame:
+    """Rows earlier than the row before them in the order of arrival; dealt by key and chunk of ``order``."""
+    dealt = chunked(rows, keys=keys, ts=order, seq=order, chunk_ms=chunk, carry=True)
+    prev = F.lag(ts).over(Window.partitionBy(*keys, "__chunk").orderBy(order))
+    return without_halo(dealt.withColumn("before_ms", prev)).filter(F.col(ts) < F.col("before_ms"))
+
 
+def numbered(rows: DataFrame, *, by: list[str], ts: str, name: str, chunk_ms: int = 86_400_000) -> DataFrame:
+    """``rows`` with their number from 1 in the order of time within ``by``: rows are numbered per chunk
+    of time, and a chunk adds how many rows lie before it."""
+    dealt = rows.withColumn("__chunk", F.floor(F.col(ts) / chunk_ms).cast("long"))
+    sizes = dealt.groupBy(*by, "__chunk").agg(F.count(F.lit(1)).alias("__n"))
+    line = Window.partitionBy(*by).orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.withColumn("__before", F.coalesce(F.sum("__n").over(line), F.lit(0))).drop("__n")
+    nth = F.row_number().over(Window.partitionBy(*by, "__chunk").orderBy(ts))
+    return dealt.join(offsets, [*by, "__chunk"]).withColumn(name, (nth + F.col("__before")).cast("int")).drop("__chunk", "__before")
 
-def time_order_violations(rows: DataFrame, *, keys: list[str], order: str, ts: str) -> DataFrame:
-    prev = F.lag(ts).over(Window.partitionBy(*keys).orderBy(order))
-    return rows.withColumn("before_ms", prev).filter(F.col(ts) < F.col("before_ms"))
 
+def clock_interval_ms(seconds: float, *, live_ms: int = 20_000) -> int:
+    """A clock's period in milliseconds; it must be a positive multiple of the live clock's."""
+    ms = round(seconds * 1000)
+    if ms <= 0 or ms % live_ms:
+        raise ValueError(f"the interval must be a multiple of {live_ms / 1000:g} s: {seconds}")
+    return ms

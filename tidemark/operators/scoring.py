@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,10 +29,30 @@ def realized(label: str, target: str, *, live_ms: int) -> Column:
 
 
 def scored(answers: DataFrame, labels: DataFrame) -> DataFrame:
-    """Answers of scored prompts with ``answered`` and ``crps`` (null for a non-answer)."""
+    """Answers of scored prompts, their ladder ``q`` replaced by ``answered`` and ``crps`` (null for a non-answer).
+
+    A ladder is 100 numbers, which interpreted lambdas walk slowly: batches of rows are judged and
+    scored as matrices. The rules are those of ``ladders.violations``.
+    """
     joined = answers.join(labels.filter("realized is not null").select("asset", "current_time_ms", "realized"), ["asset", "current_time_ms"])
-    good = F.size(L.violations(F.col("q"))) == 0
-    return joined.withColumn("answered", good).withColumn("crps", F.when(good, L.pinball_crps(F.col("q"), F.col("realized"))))
+    kept = [f for f in joined.schema if f.name != "q"]
+    grid = np.array(L.GRID)
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("q")
+            whole = np.flatnonzero((lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False) == L.N))
+            x = lists.take(pa.array(whole)).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, L.N)
+            good = np.isfinite(x).all(1)
+            good[good] = (x[good] > 0).all(1) & (np.diff(x[good], axis=1) >= 0).all(1)
+            off = batch.column("realized").to_numpy(zero_copy_only=False)[whole[good], None] - x[good]
+            answered, crps = np.zeros(batch.num_rows, bool), np.full(batch.num_rows, np.nan)
+            answered[whole[good]] = True
+            crps[whole[good]] = (off * (grid - (off < 0))).sum(1) * (2 / L.N)
+            yield pa.RecordBatch.from_arrays([*[batch.column(f.name) for f in kept], pa.array(answered), pa.array(crps, mask=~answered)], [*[f.name for f in kept], "answered", "crps"])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
+    return joined.mapInArrow(score, f"{schema}, answered boolean, crps double")
 
 
 def field_scores(scores: DataFrame) -> DataFrame:

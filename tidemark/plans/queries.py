@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
-from itertools import count
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -21,12 +20,12 @@ from tidemark.operators.asof import asof_join, chunked, window_join, without_hal
 from tidemark.sources import files
 from tidemark.sources import messages as M
 from tidemark.sources import ticks as T
+from tidemark.scratch import fresh
 from tidemark.streaming import jobs
 
 HOUR, DAY = T.HOUR, 86_400_000
 KEY = T.KEY
 CHUNK = 6 * HOUR
-COUNTER = count()
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
@@ -108,9 +107,9 @@ def p11_price_scale(spark, sf_dir):
 
 @query
 def p12_moved_trades(spark, sf_dir):
-    w = Window.partitionBy(*KEY, F.floor(F.col("recv_ts_ms") / DAY)).orderBy("recv_ts_ms", "seq")
-    t = T.trades(spark, sf_dir).withColumn("before", F.lag("price").over(w)).filter("before is not null")
-    return t.select(*KEY, "seq", Q.moved("price", "before", F.lit(0.5)).alias("moved"))
+    t = chunked(T.trades(spark, sf_dir).select(*KEY, "seq", "recv_ts_ms", "price"), keys=KEY, ts="recv_ts_ms", seq="seq", chunk_ms=DAY, carry=True)
+    t = without_halo(t.withColumn("before", F.lag("price").over(Window.partitionBy(*KEY, "__chunk").orderBy("recv_ts_ms", "seq"))))
+    return t.filter("before is not null").select(*KEY, "seq", Q.moved("price", "before", F.lit(0.5)).alias("moved"))
 
 
 @query
@@ -228,7 +227,7 @@ def a5_depth_imbalance(spark, sf_dir):
 
 @query
 def a6_liquidation_signals(spark, sf_dir):
-    w = window_join(T.clock_prompts(spark, sf_dir), T.liquidations(spark, sf_dir), keys=["asset"], at="current_time_ms", ts="recv_ts_ms", window_ms=6 * HOUR)
+    w = window_join(T.clock_prompts(spark, sf_dir), T.liquidations(spark, sf_dir), keys=["asset"], at="current_time_ms", ts="recv_ts_ms", window_ms=6 * HOUR + 1)  # both ends count
     s = flow.liquidation_signals(w, keys=["asset"], at="current_time_ms", recent_ms=HOUR, unit=10.0, long_unit=100.0)
     return s.select("asset", "current_time_ms", r("direction").alias("direction"), r("activity").alias("activity"), "n")
 
@@ -370,7 +369,7 @@ def w5_book_momentum(spark, sf_dir):
 @query
 def w8_mid_changes(spark, sf_dir):
     g = j7_basis_grid(spark, sf_dir).filter("basis is not null")
-    c = flow.mid_change_counts(g, keys=["asset"], value="basis", ts="current_time_ms", steps=10, span=5)
+    c = flow.mid_change_counts(g, keys=["asset"], value="basis", ts="current_time_ms", step_ms=HOUR, steps=10, span=5)
     return c.select("asset", "current_time_ms", "changed", "changes", "still", "since")
 
 
@@ -407,15 +406,14 @@ def w13_price_moves(spark, sf_dir):
 
 @query
 def w14_sequence_gaps(spark, sf_dir):
-    u = T.ticks(spark, sf_dir).select(*KEY, "seq", F.col("seq").alias("final_id"), (F.col("seq") - 1 - (F.col("seq") % 3 == 0).cast("int")).alias("prev_final_id"))
-    g = prompts.sequence_gaps(u.withColumn("block", F.floor(F.col("seq") / 1000)), keys=["block"], order="seq", first="final_id", before="prev_final_id")
-    return g.select("seq", "expected", "prev_final_id")
+    u = T.ticks(spark, sf_dir).select("seq", F.col("seq").alias("final_id"), (F.col("seq") - 1 - (F.col("seq") % 3 == 0).cast("int")).alias("prev_final_id"))
+    return prompts.sequence_gaps(u, keys=[], order="seq", first="final_id", before="prev_final_id", chunk=1000).select("seq", "expected", "prev_final_id")
 
 
 @query
 def w15_time_order(spark, sf_dir):
-    t = T.trades(spark, sf_dir).withColumn("at_ms", F.col("recv_ts_ms") - F.col("seq") % 5 * 600_000).withColumn("block", F.floor(F.col("seq") / 1000))
-    return prompts.time_order_violations(t, keys=["block"], order="seq", ts="at_ms").select("seq", "at_ms", "before_ms")
+    t = T.trades(spark, sf_dir).select(*KEY, "seq", (F.col("recv_ts_ms") - F.col("seq") % 5 * 6_000_000).alias("at_ms"))
+    return prompts.time_order_violations(t, keys=KEY, order="seq", ts="at_ms", chunk=1000).select(*KEY, "seq", "at_ms", "before_ms")
 
 
 @query
@@ -486,7 +484,9 @@ def u3_ingest_merge(spark, sf_dir):
 
 @query
 def u4_coverage_windows(spark, sf_dir):
-    return prompts.coverage_windows(hour_candles(spark, sf_dir), keys=KEY, ts="open_time_ms", start=1_704_067_200_000, end=1_706_918_400_000, step=HOUR, interior=True)
+    c = hour_candles(spark, sf_dir)
+    stored = c.filter("asset <> 'view' or venue <> 'futures'")
+    return prompts.coverage_windows(stored, keys=KEY, ts="open_time_ms", start=1_704_067_200_000, end=1_706_918_400_000, step=HOUR, interior=True, wanted=c)
 
 
 @query
@@ -540,10 +540,9 @@ def r5_blend_ladders(spark, sf_dir):
 
 @query
 def r10_reshaped_ladders(spark, sf_dir):
-    a = answers(spark, sf_dir).filter("model = 'm2'")
     q = F.col("q")
     shapes = {"centre": L.centre_widened(q), "wide": L.widened(q, F.lit(1.25)), "moved": L.shifted(q, 0.1 * L.width(q))}
-    return a.select("asset", "current_time_ms", *[r(F.get(c, 24)).alias(f"{n}_q25") for n, c in shapes.items()], *[r(L.width(c)).alias(f"{n}_width") for n, c in shapes.items()])
+    return answers(spark, sf_dir).select("asset", "current_time_ms", "model", *[r(F.get(c, 24)).alias(f"{n}_q25") for n, c in shapes.items()], *[r(L.width(c)).alias(f"{n}_width") for n, c in shapes.items()])
 
 
 def messages(spark, sf_dir) -> DataFrame:
@@ -568,8 +567,8 @@ def s6_normalized_liquidations(spark, sf_dir):
 
 @query
 def s12_score_report(spark, sf_dir):
-    s = all_scores(spark, sf_dir).filter("model = 'm1' and asset = 'click'").select("current_time_ms", (F.col("current_time_ms") + HOUR).alias("target_ms"), F.lit(None).cast("long").alias("book_recv_ts_ms"), "crps", "realized", F.lit(0.5).alias("predict_ms"))
-    return files.score_report(s).select("test", "current_time_ms", "start", "target", "predict_ms", (F.length("realized") > 0).alias("has_realized"), (F.length("crps") > 0).alias("has_crps"))
+    s = all_scores(spark, sf_dir).select("asset", "model", "current_time_ms", (F.col("current_time_ms") + HOUR).alias("target_ms"), F.lit(None).cast("long").alias("book_recv_ts_ms"), "crps", "realized", F.lit(0.5).alias("predict_ms"))
+    return files.score_report(s, by=["asset", "model"]).drop("book_recv_ts_ms")
 
 
 @query
@@ -660,13 +659,14 @@ def a32_touch_queue_ratio(spark, sf_dir):
 
 @query
 def x1_stream_candles(spark, sf_dir):
-    """Candles built by a stream over the events files, run until they are read."""
+    """Candles built by a stream over the events files, each batch's changes written to the shared folder."""
     raw = spark.read.parquet(f"{sf_dir}/events.parquet")
     stream = spark.readStream.schema(raw.schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events*")
-    ticks = T.from_events(stream)
-    name = f"x1_{abs(hash(sf_dir)) % 10**8}_{next(COUNTER)}"
-    jobs.stream_candles(ticks, keys=KEY, bar="1 hour", delay="1 hour").writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name).select(*KEY, "open_time_ms", *[r(c).alias(c) for c in ("open", "high", "low", "close", "volume")])
+    candles = jobs.stream_candles(T.from_events(stream), keys=KEY, bar="1 hour", delay="1 hour")
+    out, check = fresh(spark, "x1"), fresh(spark, "x1-checkpoint")
+    candles.writeStream.foreachBatch(jobs.batch_folders(out)).option("checkpointLocation", check).outputMode("update").trigger(availableNow=True).start().awaitTermination()
+    rows = C.upsert(spark.read.parquet(out), keys=[*KEY, "open_time_ms"], seq="batch")
+    return rows.select(*KEY, "open_time_ms", *[r(c).alias(c) for c in ("open", "high", "low", "close", "volume")])
 
 
 def feature_table(spark, sf_dir) -> DataFrame:
@@ -727,9 +727,9 @@ def r14_forecast_batch(spark, sf_dir):
 
 @query
 def r9_point_mass(spark, sf_dir):
-    a = answers(spark, sf_dir).filter("model = 'm3'").join(priced(spark, sf_dir), ["asset", "current_time_ms"])
-    q = L.with_point_mass(F.col("q"), F.col("price"), F.lit(0.25))
-    return a.select("asset", "current_time_ms", q.alias("q"), "price").select("asset", "current_time_ms", F.size(F.filter("q", lambda v: v == F.col("price"))).alias("n_atom"), F.size(L.violations(F.col("q"))).alias("n_bad"))
+    a = answers(spark, sf_dir).join(priced(spark, sf_dir), ["asset", "current_time_ms"])
+    out = forecast.computed(a, "q", L.with_point_mass(F.col("q"), F.col("price"), F.lit(0.25)))
+    return out.select("asset", "current_time_ms", "model", F.size(F.filter("q", lambda v: v == F.col("price"))).alias("n_atom"), F.size(L.violations(F.col("q"))).alias("n_bad"), r(F.aggregate("q", F.lit(0.0), lambda s, v: s + v), 4).alias("total"), r(F.get("q", 0)).alias("low"))
 
 
 @query
@@ -756,13 +756,11 @@ def q5_assembled_payloads(spark, sf_dir):
 
 @query
 def q3_still_features(spark, sf_dir):
-    """Stillness of the spot mid on the clock's grid: unchanged spans, changes, and the touch against flow."""
-    mid = spot(spark, sf_dir).withColumn("mid", r(Q.mid())).select("asset", "seq", "recv_ts_ms", "mid", "bid_qty", "ask_qty", r(Q.spread()).alias("spread"))
-    g = asof_join(T.clock_prompts(spark, sf_dir), mid, keys=["asset"], left_ts="current_time_ms", right_ts="recv_ts_ms", seq="seq", chunk_ms=CHUNK)
-    g = g.filter("last is not null").select("asset", "current_time_ms", "last.*")
-    c = flow.mid_change_counts(g, keys=["asset"], value="mid", ts="current_time_ms", steps=24, span=4)
-    w = Window.partitionBy("asset").orderBy("current_time_ms").rowsBetween(-23, 0)
-    return c.select("asset", "current_time_ms", r(F.avg(F.col("still").cast("double")).over(w)).alias("p0book"), r(F.exp(-F.col("changes") / 6)).alias("pois"), r(F.log1p(F.col("since") / 1000)).alias("age"), r(F.log1p(F.least("bid_qty", "ask_qty"))).alias("minq"), r(F.least(F.col("spread") / 0.05, F.lit(1.0))).alias("spread"))
+    """Stillness of the spot mid on the clock's grid: 13 columns, with a step of an hour for 100 ms and days for minutes."""
+    return features.still_features(
+        T.clock_prompts(spark, sf_dir), quotes=T.quotes(spark, sf_dir), trades=T.trades(spark, sf_dir), candles=full_candles(spark, sf_dir), season=C.season(moved(spark, sf_dir), move="d_10", slot=Q.season_slot("open_time_ms")),
+        step_ms=HOUR, steps=24, span=4, recent=6, flow_ms=6 * HOUR, within=0.005, hold=4.0, hold_bars={"p0range30m": 72, "p0range5m": 24}, hold_span=11, bar_ms=HOUR, spread_scale=20.0, chunk_ms=CHUNK,
+    )
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -94,14 +94,14 @@ groups AS (SELECT * FROM all_groups QUALIFY ts_ms < max(ts_ms) OVER (PARTITION B
 """
 MOVES = (
     GROUPS
-    + f""",
-numbered AS (SELECT *, ts_ms // {D} AS chunk, row_number() OVER (PARTITION BY asset, venue, ts_ms // {D} ORDER BY ts_ms, seq) AS nth FROM groups),
+    + """,
+numbered AS (SELECT *, row_number() OVER (PARTITION BY asset, venue ORDER BY ts_ms, seq) AS nth FROM groups),
 fold AS (
-  SELECT asset, venue, chunk, nth, ts_ms, price, recv_ts_ms, seq, false AS move, NULL::DOUBLE AS reference, price AS held FROM numbered WHERE nth = 1
+  SELECT asset, venue, nth, ts_ms, price, recv_ts_ms, seq, false AS move, NULL::DOUBLE AS reference, price AS held FROM numbered WHERE nth = 1
   UNION ALL
-  SELECT n.asset, n.venue, n.chunk, n.nth, n.ts_ms, n.price, n.recv_ts_ms, n.seq, abs(n.price - f.held) / 0.5 > 1 + 1e-6,
+  SELECT n.asset, n.venue, n.nth, n.ts_ms, n.price, n.recv_ts_ms, n.seq, abs(n.price - f.held) / 0.5 > 1 + 1e-6,
          f.held, CASE WHEN abs(n.price - f.held) / 0.5 > 1 + 1e-6 THEN n.price ELSE f.held END
-  FROM fold f JOIN numbered n ON n.asset = f.asset AND n.venue = f.venue AND n.chunk = f.chunk AND n.nth = f.nth + 1
+  FROM fold f JOIN numbered n ON n.asset = f.asset AND n.venue = f.venue AND n.nth = f.nth + 1
 ),
 moves AS (SELECT * FROM fold WHERE move)
 """
@@ -208,7 +208,7 @@ def oracle_sql() -> dict[str, str]:
         "p1_quote_measures": _sql("", "SELECT asset, venue, seq, round(micro, 6) AS micro, round(mid, 6) AS mid, round(greatest(ask_price - bid_price, 0), 6) AS spread, round((bid_qty - ask_qty) / (bid_qty + ask_qty), 6) AS imbalance, bid_price > 0 AND ask_price > 0 AND bid_qty + ask_qty > 0 AS valid FROM quotes"),
         "p9_complete_history": _sql(CANDLES, f"SELECT asset, venue, count(*) AS n_bars, max(open_time_ms) - min(open_time_ms) AS span_ms, count(*) >= 600 AND max(open_time_ms) - min(open_time_ms) >= 599::BIGINT * {H} AS complete FROM candles GROUP BY ALL"),
         "p11_price_scale": _sql("", "SELECT asset, venue, seq, round(CASE WHEN asset <> 'click' AND price > 0 THEN price / 101.0::DOUBLE ELSE 1 END, 6) AS scale FROM ticks"),
-        "p12_moved_trades": _sql("", f"SELECT asset, venue, seq, abs(price - before) / 0.5 > 1 + 1e-6 AS moved FROM (SELECT *, lag(price) OVER (PARTITION BY asset, venue, recv_ts_ms // {D} ORDER BY recv_ts_ms, seq) AS before FROM ticks) WHERE before IS NOT NULL"),
+        "p12_moved_trades": _sql("", "SELECT asset, venue, seq, abs(price - before) / 0.5 > 1 + 1e-6 AS moved FROM (SELECT *, lag(price) OVER (PARTITION BY asset, venue ORDER BY recv_ts_ms, seq) AS before FROM ticks) WHERE before IS NOT NULL"),
         "p14_staleness": _sql(WIN, "SELECT asset, current_time_ms, current_time_ms - max(recv_ts_ms) AS stale_ms, count(DISTINCT venue)::INT AS n_streams FROM win GROUP BY asset, current_time_ms"),
         "p16_last_trade_gap": _sql(LABELS, "SELECT p.asset, current_time_ms, round(s.price - p.price, 6) + 0.0::DOUBLE AS gap, CASE WHEN s.buyer_is_maker THEN -1 ELSE 1 END AS side, current_time_ms - s.recv_ts_ms AS age_ms FROM priced p ASOF JOIN spot s ON p.asset = s.asset AND p.current_time_ms >= s.recv_ts_ms"),
         "j1_asof_quotes": _sql("", f"SELECT t.asset, t.seq AS trade, CASE WHEN t.recv_ts_ms - s.recv_ts_ms <= 4 * {H} THEN s.seq END AS quote, CASE WHEN t.recv_ts_ms - s.recv_ts_ms <= 4 * {H} THEN round(s.bid_price, 6) END AS bid_price FROM (SELECT * FROM ticks WHERE venue = 'futures') t ASOF LEFT JOIN spot s ON t.asset = s.asset AND t.recv_ts_ms >= s.recv_ts_ms"),
@@ -227,7 +227,7 @@ def oracle_sql() -> dict[str, str]:
         "a3_trade_flow": _sql(WIN + ", b AS (SELECT *, row_number() OVER (PARTITION BY asset, venue, current_time_ms ORDER BY recv_ts_ms DESC, seq DESC) AS back, max(recv_ts_ms) OVER (PARTITION BY asset, venue, current_time_ms) AS newest FROM signed)", f"SELECT asset, venue, current_time_ms, round(sum(s) / sum(qty), 6) AS flow, round(sum(s) FILTER (WHERE back <= 5) / sum(qty) FILTER (WHERE back <= 5), 6) AS flow_fast, round(sum(s) FILTER (WHERE recv_ts_ms >= newest - 2 * {H}) / sum(qty) FILTER (WHERE recv_ts_ms >= newest - 2 * {H}), 6) AS flow_window, round(sum(qty) FILTER (WHERE recv_ts_ms >= newest - 2 * {H}), 6) AS qty_window FROM b GROUP BY ALL"),
         "a4_side_flow": _sql(WIN, f"SELECT asset, venue, current_time_ms, coalesce(sum(qty) FILTER (WHERE current_time_ms - recv_ts_ms < 2 * {H} AND NOT buyer_is_maker), 0) AS bought, coalesce(sum(qty) FILTER (WHERE current_time_ms - recv_ts_ms < 2 * {H} AND buyer_is_maker), 0) AS sold FROM win GROUP BY ALL"),
         "a5_depth_imbalance": _sql(LEVELS, "SELECT asset, venue, seq, round((sum(qty) FILTER (WHERE side = 'bid') - sum(qty) FILTER (WHERE side = 'ask')) / sum(qty), 6) AS obi, round((sum(qty) FILTER (WHERE side = 'bid' AND i < 5) - sum(qty) FILTER (WHERE side = 'ask' AND i < 5)) / sum(qty) FILTER (WHERE i < 5), 6) AS top_obi FROM lv GROUP BY ALL"),
-        "a6_liquidation_signals": _sql("", f"SELECT asset, current_time_ms, round(tanh(coalesce(sum(CASE WHEN is_buy THEN qty ELSE -qty END) FILTER (WHERE recv_ts_ms >= current_time_ms - {H}), 0) / 10.0), 6) AS direction, round(tanh(sum(qty) / 100.0), 6) AS activity, count(*) AS n FROM (SELECT p.t AS current_time_ms, k.* FROM prompts p JOIN ticks k ON k.asset = p.asset AND k.asset = 'error' AND k.recv_ts_ms > p.t - 6 * {H} AND k.recv_ts_ms <= p.t) GROUP BY ALL"),
+        "a6_liquidation_signals": _sql("", f"SELECT asset, current_time_ms, round(tanh(coalesce(sum(CASE WHEN is_buy THEN qty ELSE -qty END) FILTER (WHERE recv_ts_ms >= current_time_ms - {H}), 0) / 10.0), 6) AS direction, round(tanh(sum(qty) / 100.0), 6) AS activity, count(*) AS n FROM (SELECT p.t AS current_time_ms, k.* FROM prompts p JOIN ticks k ON k.asset = p.asset AND k.asset = 'error' AND k.recv_ts_ms >= p.t - 6 * {H} AND k.recv_ts_ms <= p.t) GROUP BY ALL"),
         "a7_depth_bands": _sql(LEVELS + ", anchored AS (SELECT *, 0.5 * (max(price) FILTER (WHERE side = 'bid' AND i = 0) OVER (PARTITION BY seq) + max(price) FILTER (WHERE side = 'ask' AND i = 0) OVER (PARTITION BY seq)) AS anchor FROM lv), banded AS (SELECT *, CASE WHEN side = 'bid' THEN ceil((anchor - price) / 0.05::DOUBLE - 1e-9) - 1 ELSE floor((price - anchor) / 0.05::DOUBLE + 1e-9) END::INT AS band FROM anchored), per AS (SELECT asset, venue, seq, side, band, sum(qty) AS size FROM banded WHERE band BETWEEN 0 AND 99 GROUP BY ALL)", "SELECT asset, venue, side, band, sum(size) AS size, count(*) AS n FROM per GROUP BY ALL"),
         "a9_ewma_vol": _sql(CANDLES + AGED.format(cond="r_one IS NOT NULL"), "SELECT asset, venue, round(sqrt(sum(pow(0.94, age) * r_one * r_one) FILTER (WHERE age < 120) / sum(pow(0.94, age)) FILTER (WHERE age < 120)), 9) AS vol_slow, round(sqrt(sum(pow(0.85, age) * r_one * r_one) FILTER (WHERE age < 90) / sum(pow(0.85, age)) FILTER (WHERE age < 90)), 9) AS vol_fast FROM aged GROUP BY ALL"),
         "a10_book_volatility": _sql(f", w AS (SELECT p.t AS current_time_ms, k.asset, k.venue, k.recv_ts_ms, k.seq, k.micro, max(k.recv_ts_ms) OVER (PARTITION BY p.asset, k.venue, p.t) AS newest FROM prompts p JOIN quotes k ON k.asset = p.asset AND k.recv_ts_ms > p.t - 6 * {H} AND k.recv_ts_ms <= p.t), r AS (SELECT *, ln(micro / lag(micro) OVER (PARTITION BY asset, venue, current_time_ms ORDER BY recv_ts_ms, seq)) AS r FROM w WHERE recv_ts_ms > newest - 5 * {H}) SELECT asset, venue, current_time_ms, count(*) AS n, round(stddev_pop(r) * sqrt(count(r)), 6) AS rv, round(ln(max(micro) / min(micro)), 6) AS rng FROM r GROUP BY ALL HAVING count(*) >= 6"),
@@ -255,8 +255,8 @@ def oracle_sql() -> dict[str, str]:
         "w11_vol_blend_inputs": _sql(CANDLES + AGED.format(cond="true"), "SELECT asset, venue, round(stddev_pop(r_one) * sqrt(10.0), 9) AS rv, round(ln(max(close) FILTER (WHERE age < 10) / min(close) FILTER (WHERE age < 10)), 9) AS range FROM aged WHERE age < 60 GROUP BY ALL"),
         "w12_trade_groups": _sql(GROUPS, "SELECT asset, venue, ts_ms, round(price, 6) AS price, recv_ts_ms, seq, n FROM groups"),
         "w13_price_moves": _sql(MOVES, "SELECT asset, venue, ts_ms, round(price, 6) AS price, round(reference, 6) AS reference, recv_ts_ms FROM moves"),
-        "w14_sequence_gaps": _sql("", "SELECT seq, expected, prev_final_id FROM (SELECT seq, seq - 1 - (seq % 3 = 0)::INT AS prev_final_id, lag(seq) OVER (PARTITION BY seq // 1000 ORDER BY seq) AS expected FROM ticks) WHERE expected <> prev_final_id"),
-        "w15_time_order": _sql("", "SELECT seq, at_ms, before_ms FROM (SELECT seq, at_ms, lag(at_ms) OVER (PARTITION BY seq // 1000 ORDER BY seq) AS before_ms FROM (SELECT seq, recv_ts_ms - seq % 5 * 600000 AS at_ms FROM ticks)) WHERE at_ms < before_ms"),
+        "w14_sequence_gaps": _sql("", "SELECT seq, expected, prev_final_id FROM (SELECT seq, seq - 1 - (seq % 3 = 0)::INT AS prev_final_id, lag(seq) OVER (ORDER BY seq) AS expected FROM ticks) WHERE expected <> prev_final_id"),
+        "w15_time_order": _sql("", "SELECT asset, venue, seq, at_ms, before_ms FROM (SELECT *, lag(at_ms) OVER (PARTITION BY asset, venue ORDER BY seq) AS before_ms FROM (SELECT asset, venue, seq, recv_ts_ms - seq % 5 * 6000000 AS at_ms FROM ticks)) WHERE at_ms < before_ms"),
         "q1_build_prompts": _sql(ALL_PROMPTS, "SELECT asset, current_time_ms, kind, venue FROM built"),
         "q8_anchor_grid": _sql("", f"SELECT unnest(range(min(recv_ts_ms), max(recv_ts_ms), 6 * {H})) AS anchor_ms FROM ticks"),
         "t2_last_closes": _sql(CANDLES, "SELECT asset, venue, open_time_ms, age::INT AS age, round(close, 6) AS close FROM (SELECT *, row_number() OVER (PARTITION BY asset, venue ORDER BY open_time_ms DESC) - 1 AS age FROM candles) WHERE age < 24"),
@@ -266,7 +266,7 @@ def oracle_sql() -> dict[str, str]:
         "t6_best_and_worst": _sql(SCORES + ", s AS (SELECT asset, model, current_time_ms, round(crps, 6) AS crps FROM scores WHERE crps IS NOT NULL), e AS (SELECT *, 'best' AS \"end\", row_number() OVER (PARTITION BY asset, model ORDER BY crps, current_time_ms) AS nth FROM s UNION ALL SELECT *, 'worst', row_number() OVER (PARTITION BY asset, model ORDER BY crps DESC, current_time_ms) FROM s)", "SELECT asset, model, \"end\", nth::INT AS nth, current_time_ms, crps FROM e WHERE nth <= 3"),
         "u1_union_moves": _sql(MOVES, "SELECT asset, recv_ts_ms, venue, round(price, 6) AS price FROM moves"),
         "u3_ingest_merge": _sql(", stored AS (SELECT * FROM ticks WHERE seq % 3 <> 0 AND recv_ts_ms < 1705900000000), s AS (SELECT asset, venue, min(recv_ts_ms) AS lo, max(recv_ts_ms) AS hi FROM stored GROUP BY ALL)", "SELECT asset, venue, recv_ts_ms, seq, 'stored' AS origin FROM stored UNION ALL SELECT t.asset, t.venue, t.recv_ts_ms, t.seq, 'batch' FROM ticks t LEFT JOIN s ON s.asset = t.asset AND s.venue = t.venue WHERE s.lo IS NULL OR t.recv_ts_ms < lo OR t.recv_ts_ms > hi"),
-        "u4_coverage_windows": _sql(CANDLES + ", c AS (SELECT asset, venue, open_time_ms, lead(open_time_ms) OVER (PARTITION BY asset, venue ORDER BY open_time_ms) AS nxt FROM candles WHERE open_time_ms >= 1704067200000 AND open_time_ms < 1706918400000)", f"SELECT * FROM (SELECT asset, venue, 1704067200000 AS from_ms, min(open_time_ms) AS to_ms FROM c GROUP BY ALL UNION ALL SELECT asset, venue, max(open_time_ms) + {H}, 1706918400000 FROM c GROUP BY asset, venue UNION ALL SELECT asset, venue, open_time_ms + {H}, nxt FROM c WHERE nxt IS NOT NULL) WHERE from_ms < to_ms"),
+        "u4_coverage_windows": _sql(CANDLES + ", w AS (SELECT DISTINCT asset, venue FROM candles), c AS (SELECT asset, venue, open_time_ms, lead(open_time_ms) OVER (PARTITION BY asset, venue ORDER BY open_time_ms) AS nxt FROM candles WHERE open_time_ms >= 1704067200000 AND open_time_ms < 1706918400000 AND (asset <> 'view' OR venue <> 'futures'))", f"SELECT * FROM (SELECT w.asset, w.venue, 1704067200000 AS from_ms, coalesce(min(open_time_ms), 1706918400000) AS to_ms FROM w LEFT JOIN c USING (asset, venue) GROUP BY ALL UNION ALL SELECT asset, venue, max(open_time_ms) + {H}, 1706918400000 FROM c GROUP BY asset, venue UNION ALL SELECT asset, venue, open_time_ms + {H}, nxt FROM c WHERE nxt IS NOT NULL) WHERE from_ms < to_ms"),
         "u5_common_prompts": _sql(LABELS, "SELECT asset, current_time_ms FROM answers WHERE model = 'm0' INTERSECT SELECT asset, current_time_ms FROM answers WHERE model = 'm1' INTERSECT SELECT asset, current_time_ms FROM answers WHERE model = 'm2'"),
         "f1_clock_functions": _sql("", "SELECT seq, recv_ts_ms AS ms, strftime(make_timestamp(recv_ts_ms * 1000), '%Y-%m-%dT%H:%M:%S.%g+00:00') AS utc, recv_ts_ms + ((5000 - recv_ts_ms) % 20000 + 20000) % 20000 AS next_slot, CASE WHEN recv_ts_ms % 20000 >= 10250 AND recv_ts_ms % 20000 < 14250 THEN recv_ts_ms - recv_ts_ms % 20000 END AS event_slot, (((recv_ts_ms // 600000 - 576) % 1008 + 1008) % 1008)::INT AS season_slot FROM ticks"),
         "f15_event_coin": _sql("", f"SELECT seq, {COIN} < 0.5 AS taken, {DELAYED} AS delay_ms FROM ticks"),
@@ -275,7 +275,7 @@ def oracle_sql() -> dict[str, str]:
         "s2_normalized_trades": _sql("", "SELECT asset, venue, seq, ts_ms, recv_ts_ms AS event_ts_ms, recv_ts_ms, price, qty, buyer_is_maker FROM ticks WHERE seq % 7 <> 0 AND seq % 5 <> 0 AND seq % 97 <> 0 AND seq % 89 <> 0"),
         "s3_normalized_quotes": _sql("", "SELECT asset, venue, seq, recv_ts_ms, round(bid_price, 6) AS bid_price, bid_qty, round(ask_price, 6) AS ask_price, ask_qty, NULL::BIGINT AS event_ts_ms FROM quotes WHERE seq % 7 <> 0 AND seq % 5 = 0 AND seq % 97 <> 0 AND seq % 89 <> 0"),
         "s6_normalized_liquidations": _sql("", "SELECT asset, venue, seq, ts_ms, recv_ts_ms, price, qty, is_buy FROM ticks WHERE seq % 7 = 0 AND seq % 97 <> 0 AND seq % 89 <> 0"),
-        "s12_score_report": _sql(SCORES, f"SELECT row_number() OVER (ORDER BY current_time_ms)::INT AS test, current_time_ms, strftime(make_timestamp(current_time_ms * 1000), '%Y-%m-%dT%H:%M:%S.%g+00:00') AS start, strftime(make_timestamp((current_time_ms + {H}) * 1000), '%Y-%m-%dT%H:%M:%S.%g+00:00') AS target, '0.500' AS predict_ms, true AS has_realized, crps IS NOT NULL AS has_crps FROM scores WHERE model = 'm1' AND asset = 'click'"),
+        "s12_score_report": _sql(SCORES, f"SELECT asset, model, row_number() OVER (PARTITION BY asset, model ORDER BY current_time_ms)::INT AS test, current_time_ms, strftime(make_timestamp(current_time_ms * 1000), '%Y-%m-%dT%H:%M:%S.%g+00:00') AS start, strftime(make_timestamp((current_time_ms + {H}) * 1000), '%Y-%m-%dT%H:%M:%S.%g+00:00') AS target, '0.500' AS predict_ms, printf('%.6f', realized) AS realized, coalesce(printf('%.6f', crps), '') AS crps FROM scores JOIN (SELECT asset, current_time_ms, realized FROM labels) USING (asset, current_time_ms)"),
         "p7_forecast_violations": _sql(LABELS, f"SELECT asset, current_time_ms, model, CASE current_time_ms // {H} % 5 WHEN 1 THEN 'length' WHEN 2 THEN 'decreasing' WHEN 3 THEN 'not_positive,decreasing' ELSE '' END AS codes FROM answers"),
         "p8_determinism": _sql(LABELS, "SELECT asset, current_time_ms, model, 2 AS n_answers, model <> 'm3' AS same FROM answers"),
         "p10_asset_params": _sql("", "SELECT asset, name, CASE WHEN asset = 'click' AND name = 'REG_A' THEN 0.7 WHEN asset = 'view' AND name = 'WIDTH' THEN 1.2 WHEN name = 'REG_A' THEN 0.62 ELSE 1.0 END::DOUBLE AS value FROM (SELECT DISTINCT asset FROM ticks) CROSS JOIN (VALUES ('REG_A'), ('WIDTH')) v(name)"),
@@ -294,5 +294,7 @@ def oracle_sql() -> dict[str, str]:
         "q3_still_features": _sql(", g AS (SELECT p.asset, p.t AS current_time_ms, round(s.mid, 6) + 0.0::DOUBLE AS mid, least(s.bid_qty, s.ask_qty) AS minq, round(s.ask_price - s.bid_price, 6) AS spread FROM prompts p ASOF JOIN spot s ON p.asset = s.asset AND p.t >= s.recv_ts_ms), c AS (SELECT *, coalesce(mid <> lag(mid) OVER w, false)::INT AS changed, coalesce(mid = lag(mid, 4) OVER w, false)::INT AS still FROM g WINDOW w AS (PARTITION BY asset ORDER BY current_time_ms)), d AS (SELECT *, sum(changed) OVER (w ROWS 23 PRECEDING) AS changes, avg(still) OVER (w ROWS 23 PRECEDING) AS p0, current_time_ms - last_value(CASE WHEN changed = 1 THEN current_time_ms END IGNORE NULLS) OVER (w ROWS UNBOUNDED PRECEDING) AS since FROM c WINDOW w AS (PARTITION BY asset ORDER BY current_time_ms))", "SELECT asset, current_time_ms, round(p0, 6) AS p0book, round(exp(-changes / 6), 6) AS pois, round(ln(1 + since / 1000), 6) AS age, round(ln(1 + minq), 6) AS minq, round(least(spread / 0.05::DOUBLE, 1), 6) AS spread FROM d"),
         "w8_mid_changes": _sql(", g AS (SELECT p.asset, p.t AS current_time_ms, round(f.mid - s.mid, 6) + 0.0::DOUBLE AS basis FROM prompts p ASOF JOIN spot s ON p.asset = s.asset AND p.t >= s.recv_ts_ms ASOF JOIN (SELECT * FROM quotes WHERE venue = 'futures') f ON p.asset = f.asset AND p.t >= f.recv_ts_ms), c AS (SELECT *, coalesce(basis <> lag(basis) OVER w, false)::INT AS changed, coalesce(basis = lag(basis, 5) OVER w, false) AS still FROM g WINDOW w AS (PARTITION BY asset ORDER BY current_time_ms))", "SELECT asset, current_time_ms, changed, sum(changed) OVER (w ROWS 9 PRECEDING)::BIGINT AS changes, still, current_time_ms - last_value(CASE WHEN changed = 1 THEN current_time_ms END IGNORE NULLS) OVER (w ROWS UNBOUNDED PRECEDING) AS since FROM c WINDOW w AS (PARTITION BY asset ORDER BY current_time_ms)"),
         "r5_blend_ladders": _sql(LABELS + ", med AS (SELECT asset, current_time_ms, model, (max(x) FILTER (WHERE i = 50) + max(x) FILTER (WHERE i = 51)) * 0.5 AS m FROM ladder WHERE model IN ('m1', 'm5') GROUP BY ALL), wid AS (SELECT l.asset, l.current_time_ms, l.model, avg(abs(x - m)) AS w FROM ladder l JOIN med USING (asset, current_time_ms, model) GROUP BY ALL), ws AS (SELECT a.asset, a.current_time_ms, least(greatest(1.5 * greatest(0.9 - a.w / b.w, 0), 0), 0.6) AS w FROM wid a JOIN wid b ON a.asset = b.asset AND a.current_time_ms = b.current_time_ms AND a.model = 'm1' AND b.model = 'm5'), v AS (SELECT ws.*, (1 - w) * a.x + w * b.x AS v FROM ws JOIN ladder a ON a.asset = ws.asset AND a.current_time_ms = ws.current_time_ms AND a.model = 'm1' JOIN ladder b ON b.asset = ws.asset AND b.current_time_ms = ws.current_time_ms AND b.model = 'm5' AND b.i = a.i)", "SELECT asset, current_time_ms, round(any_value(w), 6) AS weight, round(sum(v), 4) AS total, round(min(v), 6) AS low, round(max(v), 6) AS high FROM v GROUP BY asset, current_time_ms"),
-        "r10_reshaped_ladders": _sql(LABELS + ", med AS (SELECT asset, current_time_ms, (max(x) FILTER (WHERE i = 50) + max(x) FILTER (WHERE i = 51)) * 0.5 AS m FROM ladder WHERE model = 'm2' GROUP BY ALL), b AS (SELECT l.*, m, avg(abs(x - m)) OVER (PARTITION BY l.asset, l.current_time_ms) AS w, CASE WHEN abs(tau - 0.5) <= 0.25 THEN 0.08 * abs(tau - 0.5) / 0.25 ELSE 0.08 * (0.5 - abs(tau - 0.5)) / 0.25 END AS tent FROM ladder l JOIN med USING (asset, current_time_ms) WHERE model = 'm2'), s AS (SELECT *, x + tent * (x - m) AS c, m + 1.25 * (x - m) AS d, x + 0.1 * w AS e FROM b)", "SELECT asset, current_time_ms, round(max(c) FILTER (WHERE i = 25), 6) AS centre_q25, round(max(d) FILTER (WHERE i = 25), 6) AS wide_q25, round(max(e) FILTER (WHERE i = 25), 6) AS moved_q25, round(avg(abs(c - m)), 6) AS centre_width, round(avg(abs(d - m)), 6) AS wide_width, round(avg(abs(x - m)), 6) AS moved_width FROM s GROUP BY asset, current_time_ms"),
+        "r9_point_mass": _sql(LABELS + ", xs AS (SELECT asset, current_time_ms, model, any_value(price) AS p, list(x ORDER BY i) AS xs, count(*) FILTER (WHERE x < price) / 100.0 * 0.75 AS below FROM ladder GROUP BY ALL), t AS (SELECT xs.*, tau, i, CASE WHEN tau < below THEN tau / 0.75 ELSE (tau - 0.25) / 0.75 END AS t FROM xs CROSS JOIN grid), a AS (SELECT *, least(greatest(t * 100 - 0.5, 0), 99) AS pos, least(floor(least(greatest(t * 100 - 0.5, 0), 99)), 98)::INT AS low FROM t), v AS (SELECT *, xs[low + 1] + (pos - low) * (xs[low + 2] - xs[low + 1]) AS m FROM a), o AS (SELECT *, CASE WHEN tau < below THEN least(m, p) WHEN tau > below + 0.25 THEN greatest(m, p) ELSE p END AS q FROM v)", "SELECT asset, current_time_ms, model, (count(*) FILTER (WHERE q = p))::INT AS n_atom, 0 AS n_bad, round(sum(q), 4) AS total, round(min(q), 6) AS low FROM o GROUP BY asset, current_time_ms, model"),
+        "a15_weighted_bin_means": _sql(CANDLES + AGED.format(cond="r_ten IS NOT NULL") + ", p AS (SELECT asset, venue, abs(r_ten) AS v, max(age) OVER k - age + 1.0 AS w, age FROM aged WHERE age < 480 WINDOW k AS (PARTITION BY asset, venue)), c AS (SELECT *, w / sum(w) OVER k AS share, sum(w) OVER (k ORDER BY v, age DESC ROWS UNBOUNDED PRECEDING) / sum(w) OVER k AS hi FROM p WINDOW k AS (PARTITION BY asset, venue)), b AS (SELECT asset, venue, bin::INT AS bin, sum(v * greatest(least(hi, (bin + 1) / 20.0) - greatest(hi - share, bin / 20.0), 0)) * 20 AS m FROM c CROSS JOIN range(20) r(bin) GROUP BY ALL)", "SELECT asset, venue, bin, round(max(m) OVER (PARTITION BY asset, venue ORDER BY bin), 9) AS mean FROM b"),
+        "r10_reshaped_ladders": _sql(LABELS + ", med AS (SELECT asset, current_time_ms, model, (max(x) FILTER (WHERE i = 50) + max(x) FILTER (WHERE i = 51)) * 0.5 AS m, (max(x) FILTER (WHERE i = 25) + max(x) FILTER (WHERE i = 26)) * 0.5 AS lo, (max(x) FILTER (WHERE i = 75) + max(x) FILTER (WHERE i = 76)) * 0.5 AS hi FROM ladder GROUP BY ALL), b AS (SELECT l.*, m, avg(abs(x - m)) OVER (PARTITION BY l.asset, l.current_time_ms, l.model) AS w, CASE WHEN i <= 11 OR i >= 90 OR i IN (50, 51) THEN 0 WHEN abs(tau - 0.5) <= 0.25 THEN abs(tau - 0.5) / 0.25 ELSE (0.4 - abs(tau - 0.5)) / 0.15 END * CASE WHEN i <= 50 THEN -0.08 * (m - lo) ELSE 0.08 * (hi - m) END AS push FROM ladder l JOIN med USING (asset, current_time_ms, model)), s AS (SELECT *, max(x + push) OVER (PARTITION BY asset, current_time_ms, model ORDER BY i) AS c, m + 1.25 * (x - m) AS d, x + 0.1 * w AS e FROM b)", "SELECT asset, current_time_ms, model, round(max(c) FILTER (WHERE i = 25), 6) AS centre_q25, round(max(d) FILTER (WHERE i = 25), 6) AS wide_q25, round(max(e) FILTER (WHERE i = 25), 6) AS moved_q25, round(avg(abs(c - m)), 6) AS centre_width, round(avg(abs(d - m)), 6) AS wide_width, round(avg(abs(x - m)), 6) AS moved_width FROM s GROUP BY asset, current_time_ms, model"),
     }

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.quotes import to_ms
+from tidemark.operators.prompts import numbered
 
 LEVELS = "array<struct<price:double,qty:double>>"
 VENUE = "struct<trades:array<struct<ts_ms:bigint,event_ts_ms:bigint,recv_ts_ms:bigint,price:double,qty:double,buyer_is_maker:boolean>>,book_ticker:array<struct<recv_ts_ms:bigint,bid_price:double,bid_qty:double,ask_price:double,ask_qty:double>>,liquidations:array<struct<ts_ms:bigint,recv_ts_ms:bigint,price:double,qty:double,is_buy:boolean>>>"
@@ -92,13 +93,17 @@ def write_payloads(payloads: DataFrame, path: str) -> None:
     out.write.mode("append").partitionBy("asset_key", "prompt_ms").json(path)
 
 
-def score_report(scores: DataFrame) -> DataFrame:
-    """The report's eight columns in the order of time; blanks for what is missing."""
-    w = Window.partitionBy().orderBy("current_time_ms")
+def score_report(scores: DataFrame, *, by: list[str] | None = None) -> DataFrame:
+    """The report's eight columns, numbered in the order of time; blanks for what is missing.
+
+    ``by`` names columns (asset, model) of several runs in one table: they stay, and each run has
+    numbers of its own.
+    """
+    by = by or []
     iso = lambda c: F.date_format(F.timestamp_millis(F.col(c)), "yyyy-MM-dd'T'HH:mm:ss.SSS'+00:00'")
-    number = lambda c, p: F.coalesce(F.format_string(f"%.{p}f", F.col(c)), F.lit(""))
-    shown = lambda c, p: F.when(F.col(c).isNull(), "").otherwise(number(c, p))
-    return scores.select(F.row_number().over(w).alias("test"), "current_time_ms", iso("current_time_ms").alias("start"), iso("target_ms").alias("target"), "book_recv_ts_ms", shown("realized", 6).alias("realized"), shown("crps", 6).alias("crps"), shown("predict_ms", 3).alias("predict_ms"))
+    shown = lambda c, p: F.when(F.col(c).isNull(), "").otherwise(F.format_string(f"%.{p}f", F.col(c)))
+    rows = numbered(scores, by=by, ts="current_time_ms", name="test")
+    return rows.select(*by, "test", "current_time_ms", iso("current_time_ms").alias("start"), iso("target_ms").alias("target"), "book_recv_ts_ms", shown("realized", 6).alias("realized"), shown("crps", 6).alias("crps"), shown("predict_ms", 3).alias("predict_ms"))
 
 
 def write_score_csv(scores: DataFrame, path: str) -> None:

@@ -72,6 +72,19 @@ def stream_labels(prompts: DataFrame, quotes: DataFrame, *, horizon_ms: int, del
     return p.join(q, near, "leftOuter").select("asset", "current_time_ms", "seq", "recv_ts_ms", "bid_price", "ask_price")
 
 
+def batch_folders(path: str):
+    """A ``foreachBatch`` that writes each batch to a folder of its own, so a batch that runs again replaces itself.
+
+    Reading ``path`` gives the rows with their ``batch``; of an update stream's rows of one key the
+    latest batch's holds.
+    """
+
+    def write(rows: DataFrame, number: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return write
+
+
 def idempotent_sink(path: str, *, keys: list[str]):
     """A ``foreachBatch`` that appends only rows whose key was never written."""
 
