@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import quotes as Q
 from tidemark.operators import flow
-from tidemark.operators.asof import window_join
+from tidemark.operators.asof import asof_join, chunked, window_join, without_halo
 
 PROMPT = ["asset", "current_time_ms"]
 AT = "current_time_ms"
@@ -69,8 +69,46 @@ def build_features(prompts: DataFrame, *, trades: DataFrame, quotes: DataFrame,
     )
 
 
-def signals(features: DataFrame) -> DataFrame:
-    """The feature table in long form: ``asset, current_time_ms, signal, value``."""
-    names = [c for c in features.columns if c not in PROMPT]
-    pairs = F.array(*[F.struct(F.lit(c).alias("signal"), F.col(c).cast("double").alias("value")) for c in names])
-    return features.select(*PROMPT, F.inline(pairs))
+def _held(candles: DataFrame, *, span: int, within: float, shares: dict[str, int], bar_ms: int) -> DataFrame:
+    """Per asset and bar of the spot candles, the share of the last rolling windows of ``span`` closes that stay within a range."""
+    halo = (max(shares.values()) + span) * bar_ms
+    dealt = chunked(candles.filter("venue = 'spot'").select("asset", "open_time_ms", "close"), keys=["asset"], ts="open_time_ms", seq="open_time_ms", chunk_ms=4 * halo, halo_ms=halo)
+    w = Window.partitionBy("asset", "__chunk").orderBy("open_time_ms")
+    frame = w.rowsBetween(-(span - 1), 0)
+    full = F.count(F.lit(1)).over(frame) == span
+    dealt = dealt.withColumn("held", F.when(full, (F.max("close").over(frame) - F.min("close").over(frame) <= within).cast("double")))
+    return without_halo(dealt.withColumns({n: F.avg("held").over(w.rowsBetween(-(k - 1), 0)) for n, k in shares.items()})).select("asset", (F.col("open_time_ms") + bar_ms).alias("end_ms"), *shares)
+
+
+def still_features(prompts: DataFrame, *, quotes: DataFrame, trades: DataFrame, candles: DataFrame, season: DataFrame, step_ms: int = 100, steps: int = 599, span: int = 100, recent: int = 100, flow_ms: int = 10_000, within: float = 0.004, hold: float = 0.011, hold_bars: dict[str, int], hold_span: int = 11, bar_ms: int = 1000, spread_scale: float = 100.0, chunk_ms: int = 3_600_000) -> DataFrame:
+    """Stillness of each prompt that stands on the grid of ``step_ms`` and has quotes for a span: 13 columns.
+
+    ``p0book`` share of spans of the grid in which the spot mid held; ``pois60`` exp(-changes / 6);
+    ``nchg10, fchg10, fchg60`` log of 1 + changes, ``age`` log of 1 + seconds since the last one (all
+    of the window without one); ``minq`` and ``q_flow`` the touch's size alone and against flow;
+    ``spread`` scaled to at most 1; ``p0range30m, p0range5m`` (named by ``hold_bars``) shares of
+    windows of closes that held; ``seas`` log of the slot's move; ``m0`` the ladder's mass at the
+    price, 0 before there is a ladder.
+    """
+    span_of = prompts.groupBy("asset").agg(F.min(AT).alias("lo"), F.max(AT).alias("hi"))
+    points = span_of.select("asset", F.explode(F.sequence(F.col("lo") - (steps + span) * step_ms, F.col("hi"), F.lit(step_ms).cast("long"))).alias(AT))
+
+    def on_grid(venue: str) -> DataFrame:
+        q = quotes.filter(F.col("venue") == venue).select("asset", "seq", "recv_ts_ms", Q.mid().alias("mid"), "bid_qty", "ask_qty", Q.spread().alias("spread"))
+        g = asof_join(points, q, keys=["asset"], left_ts=AT, right_ts="recv_ts_ms", seq="seq", chunk_ms=chunk_ms).filter("last is not null").select("asset", AT, "last.*")
+        return flow.mid_change_counts(g, keys=["asset"], value="mid", ts=AT, step_ms=step_ms, steps=steps, span=span, within=within, recent=recent)
+
+    s, f = on_grid("spot"), on_grid("futures").select("asset", AT, F.col("changes").alias("f60"), F.col("recent").alias("f10"))
+    sides = flow.side_flow(window_join(prompts.select(*PROMPT), trades.filter("venue = 'spot'"), keys=["asset"], at=AT, ts="recv_ts_ms", window_ms=flow_ms), keys=["asset"], at=AT, window_ms=flow_ms)
+    j = prompts.select(*PROMPT).join(s.filter("still_share is not null"), PROMPT).join(f, PROMPT, "left").join(sides, PROMPT, "left")
+    j = asof_join(j, _held(candles, span=hold_span, within=hold, shares=hold_bars, bar_ms=bar_ms), keys=["asset"], left_ts=AT, right_ts="end_ms", seq="end_ms", chunk_ms=chunk_ms, name="held")
+    j = j.withColumn("slot", Q.season_slot(AT)).join(F.broadcast(season.select("slot", "seas_abs")), "slot", "left")  # at most 1,008 rows
+    none = lambda c: F.coalesce(c, F.lit(0.0))
+    bought, sold = none(F.col("bought")), none(F.col("sold"))
+    age = F.least(F.coalesce(F.col("since") + step_ms, F.lit(steps * step_ms)), F.lit(steps * step_ms)) / 1000
+    ratio = F.least(F.ln((F.col("bid_qty") + 0.001) / (sold + 0.05)), F.ln((F.col("ask_qty") + 0.001) / (bought + 0.05)))
+    return j.select(
+        *PROMPT, F.col("still_share").alias("p0book"), F.exp(-F.col("changes") / 6).alias("pois60"), F.log1p("recent").alias("nchg10"), F.log1p(age).alias("age"), F.log1p(F.greatest(F.least("bid_qty", "ask_qty"), F.lit(0.0))).alias("minq"), ratio.alias("q_flow"),
+        Q.clip(F.col("spread") * spread_scale, 0.0, 1.0).alias("spread"), F.log1p(none(F.col("f10"))).alias("fchg10"), F.log1p(none(F.col("f60"))).alias("fchg60"), *[none(F.col("held")[n]).alias(n) for n in hold_bars],
+        F.when(F.col("seas_abs") > 0, F.ln("seas_abs")).otherwise(0.0).alias("seas"), F.lit(0.0).alias("m0"),
+    )

@@ -184,10 +184,11 @@ def mid_change_counts(grid: DataFrame, *, keys: list[str], value: str, ts: str,
     wide = chunk_ms or 64 * steps * step_ms
     dealt = chunked(grid, keys=keys, ts=ts, seq=ts, chunk_ms=wide, halo_ms=(steps + span) * step_ms)
     w = Window.partitionBy(*keys, "__chunk").orderBy(ts)
-    same = lambda k: F.coalesce(F.abs(F.col(value) - F.lag(value, k).over(w)) <= within, F.lit(False))
-    g = dealt.withColumn("changed", (F.lag(value).over(w).isNotNull() & ~same(1)).cast("int")).withColumn("still", same(span))
+    same = lambda k: F.abs(F.col(value) - F.lag(value, k).over(w)) <= within
+    g = dealt.withColumn("changed", F.coalesce(~same(1), F.lit(False)).cast("int")).withColumn("__held", same(span))
     frame = w.rowsBetween(-(steps - 1), 0)
-    g = g.withColumn("changes", F.sum("changed").over(frame)).withColumn("still_share", F.avg(F.col("still").cast("double")).over(frame))
+    g = g.withColumn("changes", F.sum("changed").over(frame)).withColumn("still_share", F.avg(F.col("__held").cast("double")).over(frame))
+    g = g.withColumn("still", F.coalesce("__held", F.lit(False))).drop("__held")
     if recent:
         g = g.withColumn("recent", F.sum("changed").over(w.rowsBetween(-(recent - 1), 0)))
     g = without_halo(g.withColumn("__c", F.col("__chunk"))).withColumn("__t", F.when(F.col("changed") == 1, F.col(ts)))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import ladders as L
 from tidemark.functions import quotes as Q
 from tidemark.operators import candles as C
-from tidemark.operators import features, flow, forecast, payloads, prompts, scoring
+from tidemark.operators import features, flow, forecast, payloads, prompts, scoring, signals
 from tidemark.operators.asof import asof_join, chunked, window_join, without_halo
 from tidemark.sources import files
 from tidemark.sources import messages as M
@@ -684,8 +684,13 @@ def q2_build_features(spark, sf_dir):
 
 @query
 def q4_build_signals(spark, sf_dir):
-    s = features.signals(feature_table(spark, sf_dir).select("asset", "current_time_ms", "flow", "basis", "liq_dir"))
-    return s.select("asset", "current_time_ms", "signal", r("value").alias("value"))
+    """All 87 signals of the clock prompts; a second of the names is six minutes here."""
+    p = T.clock_prompts(spark, sf_dir)
+    wide = signals.build_signals(
+        p, quotes=T.quotes(spark, sf_dir), trades=T.trades(spark, sf_dir), depth=T.depth(spark, sf_dir), candles=full_candles(spark, sf_dir), liquidations=T.liquidations(spark, sf_dir),
+        unit=360, grid_ms=HOUR // 10, notional=2000.0, bar_ms=HOUR, bars=0.1, least_bars=24, chunk_ms=CHUNK,
+    )
+    return signals.long_form(wide).select("asset", "current_time_ms", "signal", r("value").alias("value"))
 
 
 def batch_forecasts(spark, sf_dir) -> DataFrame:
@@ -757,10 +762,11 @@ def q5_assembled_payloads(spark, sf_dir):
 @query
 def q3_still_features(spark, sf_dir):
     """Stillness of the spot mid on the clock's grid: 13 columns, with a step of an hour for 100 ms and days for minutes."""
-    return features.still_features(
+    f = features.still_features(
         T.clock_prompts(spark, sf_dir), quotes=T.quotes(spark, sf_dir), trades=T.trades(spark, sf_dir), candles=full_candles(spark, sf_dir), season=C.season(moved(spark, sf_dir), move="d_10", slot=Q.season_slot("open_time_ms")),
         step_ms=HOUR, steps=24, span=4, recent=6, flow_ms=6 * HOUR, within=0.005, hold=4.0, hold_bars={"p0range30m": 72, "p0range5m": 24}, hold_span=11, bar_ms=HOUR, spread_scale=20.0, chunk_ms=CHUNK,
     )
+    return f.select("asset", "current_time_ms", *[r(c).alias(c) for c in f.columns[2:]])
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

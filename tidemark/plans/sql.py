@@ -194,6 +194,102 @@ feat AS (
 FEATURE_NAMES = ("price", "mid", "obi", "top_obi", "flow", "flow_fast", *(f"{p}_{c}" for p in "sf" for c in ("imb", "m1", "m3", "rv", "rng", "flow_window", "qty_window")), "basis", "spread_rel", "liq_dir", "liq_hour")
 
 
+STILL = f""",
+pts AS (SELECT asset, unnest(range(min(t) - 28 * {H}, max(t) + 1, {H})) AS t FROM prompts GROUP BY asset),
+gs AS (SELECT p.asset, p.t, s.mid, s.bid_qty, s.ask_qty, greatest(s.ask_price - s.bid_price, 0) AS spread FROM pts p ASOF JOIN spot s ON p.asset = s.asset AND p.t >= s.recv_ts_ms),
+gf AS (SELECT p.asset, p.t, s.mid FROM pts p ASOF JOIN (SELECT * FROM quotes WHERE venue = 'futures') s ON p.asset = s.asset AND p.t >= s.recv_ts_ms),
+cs AS (SELECT *, coalesce(abs(mid - lag(mid) OVER w) > 0.005, false)::INT AS changed, (abs(mid - lag(mid, 4) OVER w) <= 0.005)::INT AS held FROM gs WINDOW w AS (PARTITION BY asset ORDER BY t)),
+cf AS (SELECT *, coalesce(abs(mid - lag(mid) OVER w) > 0.005, false)::INT AS changed FROM gf WINDOW w AS (PARTITION BY asset ORDER BY t)),
+ds AS (
+  SELECT *, sum(changed) OVER (w ROWS 23 PRECEDING) AS n60, sum(changed) OVER (w ROWS 5 PRECEDING) AS n10, avg(held) OVER (w ROWS 23 PRECEDING) AS p0,
+         t - last_value(CASE WHEN changed = 1 THEN t END IGNORE NULLS) OVER (w ROWS UNBOUNDED PRECEDING) AS since FROM cs WINDOW w AS (PARTITION BY asset ORDER BY t)
+),
+df AS (SELECT asset, t, sum(changed) OVER (w ROWS 23 PRECEDING) AS f60, sum(changed) OVER (w ROWS 5 PRECEDING) AS f10 FROM cf WINDOW w AS (PARTITION BY asset ORDER BY t)),
+sf AS (
+  SELECT p.asset, p.t, coalesce(sum(qty) FILTER (WHERE NOT buyer_is_maker), 0) AS bought, coalesce(sum(qty) FILTER (WHERE buyer_is_maker), 0) AS sold
+  FROM prompts p LEFT JOIN spot k ON k.asset = p.asset AND k.recv_ts_ms > p.t - 6 * {H} AND k.recv_ts_ms <= p.t GROUP BY p.asset, p.t
+),
+hw AS (SELECT asset, open_time_ms, CASE WHEN count(*) OVER w = 11 THEN (max(close) OVER w - min(close) OVER w <= 4.0)::INT END AS held FROM filled WHERE venue = 'spot' WINDOW w AS (PARTITION BY asset ORDER BY open_time_ms ROWS 10 PRECEDING)),
+hs AS (SELECT asset, open_time_ms + {H} AS t, avg(held) OVER (w ROWS 71 PRECEDING) AS h30, avg(held) OVER (w ROWS 23 PRECEDING) AS h5 FROM hw WINDOW w AS (PARTITION BY asset ORDER BY open_time_ms))
+"""
+STILL_OUT = f"""
+SELECT p.asset, p.t AS current_time_ms, round(p0, 6) AS p0book, round(exp(-n60 / 6), 6) AS pois60, round(ln(1 + n10), 6) AS nchg10, round(ln(1 + least(coalesce(since + {H}, 24 * {H}), 24 * {H}) / 1000), 6) AS age,
+  round(ln(1 + greatest(least(bid_qty, ask_qty), 0)), 6) AS minq, round(least(ln((bid_qty + 0.001) / (sold + 0.05)), ln((ask_qty + 0.001) / (bought + 0.05))), 6) AS q_flow, round(least(greatest(spread * 20.0, 0), 1), 6) AS spread,
+  round(ln(1 + coalesce(f10, 0)), 6) AS fchg10, round(ln(1 + coalesce(f60, 0)), 6) AS fchg60, round(coalesce(h30, 0), 6) AS p0range30m, round(coalesce(h5, 0), 6) AS p0range5m,
+  round(CASE WHEN seas_abs > 0 THEN ln(seas_abs) ELSE 0 END, 6) AS seas, 0.0 AS m0
+FROM prompts p JOIN ds ON ds.asset = p.asset AND ds.t = p.t AND ds.p0 IS NOT NULL LEFT JOIN df ON df.asset = p.asset AND df.t = p.t LEFT JOIN sf ON sf.asset = p.asset AND sf.t = p.t
+ASOF LEFT JOIN hs ON hs.asset = p.asset AND p.t >= hs.t LEFT JOIN seas ON seas.slot = ((p.t // 600000 - 576) % 1008 + 1008) % 1008
+"""
+
+_CHANGES, _FLOWS, _QUOTES = (250, 500, 1000, 2000, 5000), (500, 2000, 10_000), (1000, 5000, 10_000, 60_000)
+SIGNALS = (
+    f""",
+kq AS (SELECT p.t, p.t - k.recv_ts_ms AS age, k.* FROM prompts p JOIN quotes k ON k.asset = p.asset AND k.recv_ts_ms > p.t - 60000 * 360 AND k.recv_ts_ms <= p.t),
+vq AS (
+  SELECT asset, t, venue, count(*) AS n, min(recv_ts_ms) AS first, arg_max(mid, recv_ts_ms) AS mid, arg_max(micro, recv_ts_ms) AS micro,
+    {", ".join(f"coalesce(arg_max(mid, recv_ts_ms) FILTER (WHERE age >= {w} * 360), arg_min(mid, recv_ts_ms)) AS mid{w}" for w in _CHANGES)},
+    {", ".join(f"(count(*) FILTER (WHERE age < {w} * 360))::DOUBLE AS nbt{w}" for w in _QUOTES)},
+    {", ".join(f"coalesce(max(mid) FILTER (WHERE age < {w}000 * 360) - min(mid) FILTER (WHERE age < {w}000 * 360), 0) AS brng{w}" for w in (10, 60))}
+  FROM kq GROUP BY asset, t, venue
+),
+bk AS (SELECT s.asset, s.t, s AS s, f AS f FROM vq s JOIN vq f ON s.asset = f.asset AND s.t = f.t AND s.venue = 'spot' AND f.venue = 'futures' AND s.n >= 5 AND f.n >= 5),
+gp AS (SELECT asset, unnest(range(min(t) - 60000 * 360 + {H} // 10, max(t) + 1, {H} // 10)) AS g FROM prompts GROUP BY asset),
+gb AS (SELECT gp.asset, gp.g, f.mid - s.mid AS basis FROM gp ASOF JOIN spot s ON gp.asset = s.asset AND gp.g >= s.recv_ts_ms ASOF JOIN (SELECT * FROM quotes WHERE venue = 'futures') f ON gp.asset = f.asset AND gp.g >= f.recv_ts_ms),
+bd AS (
+  SELECT bk.asset, bk.t, any_value(bk.f.mid - bk.s.mid) AS now, {", ".join(f"avg(basis) FILTER (WHERE bk.t - g < {w}000 * 360) AS m{w}" for w in (5, 15, 30, 60))}
+  FROM bk JOIN gb ON gb.asset = bk.asset AND g > bk.t - 60000 * 360 AND g <= bk.t AND g >= greatest(bk.s.first, bk.f.first) GROUP BY bk.asset, bk.t
+),
+kt AS (
+  SELECT asset, t, venue, arg_max(price, recv_ts_ms) AS px, arg_max(CASE WHEN buyer_is_maker THEN -1.0 ELSE 1.0 END, recv_ts_ms) AS side, min(age)::DOUBLE AS last_age,
+    {", ".join(f"coalesce(sum(CASE WHEN buyer_is_maker THEN -qty ELSE qty END) FILTER (WHERE age < {w} * 360), 0) AS flow{w}, coalesce(sum(qty) FILTER (WHERE age < {w} * 360), 0) AS vol{w}, (count(*) FILTER (WHERE age < {w} * 360))::DOUBLE AS n{w}" for w in _FLOWS)},
+    sum(price * qty) FILTER (WHERE age < 10000 * 360) / sum(qty) FILTER (WHERE age < 10000 * 360) AS vwap
+  FROM kq GROUP BY asset, t, venue
+),
+walk AS (SELECT *, sum(price * qty) OVER (PARTITION BY seq, side ORDER BY i) AS total FROM lv),
+dsn AS (
+  SELECT asset, venue, seq, any_value(recv_ts_ms) AS recv_ts_ms,
+    {", ".join(f"(sum(qty) FILTER (WHERE side = 'bid' AND i < {n}) - sum(qty) FILTER (WHERE side = 'ask' AND i < {n})) / sum(qty) FILTER (WHERE i < {n}) AS dimb{n}" for n in (1, 3, 10, 20))},
+    max(price) FILTER (WHERE side = 'ask') - min(price) FILTER (WHERE side = 'bid') AS dspan,
+    abs(coalesce(arg_min(price, i) FILTER (WHERE side = 'bid' AND total >= 2000), min(price) FILTER (WHERE side = 'bid')) - max(price) FILTER (WHERE side = 'bid'))
+      - abs(coalesce(arg_min(price, i) FILTER (WHERE side = 'ask' AND total >= 2000), max(price) FILTER (WHERE side = 'ask')) - min(price) FILTER (WHERE side = 'ask')) AS dthin
+  FROM walk GROUP BY asset, venue, seq
+),
+full_bars AS (SELECT f.asset, f.venue, f.open_time_ms, f.close, coalesce(c.high, f.close) - coalesce(c.low, f.close) AS rng, abs(f.close - lag(f.close, 10) OVER (PARTITION BY f.asset, f.venue ORDER BY f.open_time_ms)) AS move
+  FROM filled f LEFT JOIN candles c USING (asset, venue, open_time_ms)),
+cb AS (
+  SELECT asset, venue, open_time_ms + {H} AS t, row_number() OVER w AS nth, {", ".join(f"avg(move) OVER (w ROWS {w // 10 - 1} PRECEDING) AS mad{w}" for w in (60, 300, 900, 3600))},
+    {", ".join(f"avg(rng) OVER (w ROWS {w // 10 - 1} PRECEDING) AS rng{w}" for w in (10, 60, 300))} FROM full_bars WINDOW w AS (PARTITION BY asset, venue ORDER BY open_time_ms)
+),
+lq AS (
+  SELECT p.asset, p.t, {", ".join(f"coalesce(sum(CASE WHEN is_buy THEN qty ELSE -qty END) FILTER (WHERE p.t - k.recv_ts_ms < {w}000::BIGINT * 360), 0) AS liq_signed{w}, (count(k.seq) FILTER (WHERE p.t - k.recv_ts_ms < {w}000::BIGINT * 360))::DOUBLE AS liq_n{w}" for w in (10, 60, 600))}
+  FROM prompts p LEFT JOIN ticks k ON k.asset = p.asset AND k.asset = 'error' AND k.recv_ts_ms > p.t - 600000::BIGINT * 360 AND k.recv_ts_ms <= p.t GROUP BY p.asset, p.t
+),
+wide AS (
+  SELECT bk.asset, bk.t AS current_time_ms, 0.0::DOUBLE AS venue_fut, {", ".join(f"now - m{w} AS bdev{w}" for w in (5, 15, 30, 60))},
+    {", ".join(f"bk.f.mid - bk.f.mid{w} AS fchg{w}, bk.s.mid - bk.s.mid{w} AS schg{w}, bk.f.mid - bk.f.mid{w} - (bk.s.mid - bk.s.mid{w}) AS lead{w}" for w in _CHANGES)},
+    """
+    + ", ".join(
+        f"bk.{v}.micro - bk.{v}.mid AS {v}_micro_mid, t{v}.px - bk.{v}.micro AS {v}_lastpx_vs_micro, t{v}.side AS {v}_last_side, t{v}.last_age AS {v}_last_age, t{v}.vwap - bk.{v}.micro AS {v}_vwap10_vs_micro, "
+        + ", ".join(f"t{v}.{n}{w} AS {v}_{n}{w}" for w in _FLOWS for n in ("flow", "vol", "n"))
+        + ", "
+        + ", ".join(f"d{v}.{c} AS {v}_{c}" for c in ("dimb1", "dimb3", "dimb10", "dimb20", "dspan", "dthin"))
+        + ", "
+        + ", ".join(f"bk.{v}.{c} AS {v}_{c}" for c in (*[f"nbt{w}" for w in _QUOTES], "brng10", "brng60"))
+        for v in "sf"
+    )
+    + f""",
+    {", ".join(f"c.mad{w} AS c_mad{w}" for w in (60, 300, 900, 3600))}, {", ".join(f"c.rng{w} AS c_rng{w}" for w in (10, 60, 300))}, g.mad60 AS fc_mad60, g.mad300 AS fc_mad300,
+    {", ".join(f"liq_signed{w}, liq_n{w}" for w in (10, 60, 600))}
+  FROM bk LEFT JOIN bd ON bd.asset = bk.asset AND bd.t = bk.t LEFT JOIN kt ts ON ts.asset = bk.asset AND ts.t = bk.t AND ts.venue = 'spot' LEFT JOIN kt tf ON tf.asset = bk.asset AND tf.t = bk.t AND tf.venue = 'futures'
+  LEFT JOIN lq ON lq.asset = bk.asset AND lq.t = bk.t
+  ASOF LEFT JOIN (SELECT * FROM dsn WHERE venue = 'spot') ds ON ds.asset = bk.asset AND bk.t >= ds.recv_ts_ms ASOF LEFT JOIN (SELECT * FROM dsn WHERE venue = 'futures') df ON df.asset = bk.asset AND bk.t >= df.recv_ts_ms
+  ASOF LEFT JOIN (SELECT * FROM cb WHERE venue = 'spot' AND nth >= 24) c ON c.asset = bk.asset AND bk.t >= c.t ASOF LEFT JOIN (SELECT * FROM cb WHERE venue = 'futures' AND nth >= 24) g ON g.asset = bk.asset AND bk.t >= g.t
+)
+"""
+)
+SIGNALS_OUT = "SELECT asset, current_time_ms, signal, round(value, 6) + 0.0::DOUBLE AS value FROM (UNPIVOT wide ON COLUMNS(* EXCLUDE (asset, current_time_ms)) INTO NAME signal VALUE value)"
+
+
 def _sql(ctes: str, body: str = "") -> str:
     return f"WITH RECURSIVE {BASE}{ctes} {body}"
 
@@ -288,10 +384,10 @@ def oracle_sql() -> dict[str, str]:
         "a32_touch_queue_ratio": _sql(f", f AS (SELECT p.asset, p.t, coalesce(sum(qty) FILTER (WHERE NOT buyer_is_maker), 0) AS bought, coalesce(sum(qty) FILTER (WHERE buyer_is_maker), 0) AS sold FROM prompts p JOIN spot k ON k.asset = p.asset AND k.recv_ts_ms > p.t - 6 * {H} AND k.recv_ts_ms <= p.t GROUP BY p.asset, p.t)", "SELECT f.asset, f.t AS current_time_ms, round(ln(1 + least(s.bid_qty, s.ask_qty)), 6) AS minq, round(least(ln((s.bid_qty + 0.001) / (sold + 0.05)), ln((s.ask_qty + 0.001) / (bought + 0.05))), 6) AS q_flow FROM f ASOF JOIN spot s ON f.asset = s.asset AND f.t >= s.recv_ts_ms"),
         "x1_stream_candles": _sql("", f"SELECT asset, venue, recv_ts_ms // {H} * {H} AS open_time_ms, round(arg_min(price, recv_ts_ms), 6) AS open, round(max(price), 6) AS high, round(min(price), 6) AS low, round(arg_max(price, recv_ts_ms), 6) AS close, round(sum(qty), 6) AS volume FROM ticks GROUP BY asset, venue, recv_ts_ms // {H}"),
         "q2_build_features": _sql(FEATURES, "SELECT asset, current_time_ms, stale_ms, " + ", ".join(f"round({c}, 6) + 0.0::DOUBLE AS {c}" for c in FEATURE_NAMES) + " FROM feat"),
-        "q4_build_signals": _sql(FEATURES, "SELECT asset, current_time_ms, signal, round(value, 6) + 0.0::DOUBLE AS value FROM (SELECT asset, current_time_ms, 'flow' AS signal, flow AS value FROM feat UNION ALL SELECT asset, current_time_ms, 'basis', basis FROM feat UNION ALL SELECT asset, current_time_ms, 'liq_dir', liq_dir FROM feat)"),
+        "q4_build_signals": _sql(CANDLES + LEVELS + SIGNALS, SIGNALS_OUT),
         "p5_filter_depth_updates": _sql(f", u AS (SELECT asset, venue, recv_ts_ms, seq * 3 - 2 AS first_id, seq * 3 AS final_id, recv_ts_ms // {D} AS day FROM ticks), s AS (SELECT asset, venue, day, arg_min(final_id, recv_ts_ms) - 1 AS start_id, min(recv_ts_ms) AS t FROM u GROUP BY ALL)", f"SELECT u.asset, u.venue, first_id, final_id, start_id FROM u JOIN s ON u.asset = s.asset AND u.venue = s.venue AND u.day = s.day WHERE final_id >= start_id AND recv_ts_ms <= t + 8 * {H} AND (recv_ts_ms > t + {H} OR (recv_ts_ms > t + 1000 - 2000 AND first_id <= start_id + 1))"),
         "q5_assembled_payloads": _sql(f", n AS (SELECT p.asset, p.t, count(k.seq) FILTER (WHERE venue = 'spot') AS ts, count(k.seq) FILTER (WHERE venue = 'futures') AS tf, count(k.seq) FILTER (WHERE venue = 'spot' AND recv_ts_ms > p.t - 2 * {H}) AS qs, count(k.seq) FILTER (WHERE venue = 'futures' AND recv_ts_ms > p.t - 2 * {H}) AS qf, max(recv_ts_ms) FILTER (WHERE venue = 'spot') AS newest FROM prompts p LEFT JOIN ticks k ON k.asset = p.asset AND k.recv_ts_ms > p.t - 6 * {H} AND k.recv_ts_ms <= p.t GROUP BY p.asset, p.t), m AS (SELECT *, CASE WHEN t % (7 * {H}) = 0 THEN t - 3 * {H} ELSE t END AS c FROM n)", "SELECT asset, c AS current_time_ms, ts::INT AS n_trades_spot, tf::INT AS n_trades_futures, qs::INT AS n_quotes_spot, qf::INT AS n_quotes_futures, asset NOT IN ('click', 'error', 'purchase', 'view') AS bad_asset, coalesce(newest > c, false) AS ahead FROM m"),
-        "q3_still_features": _sql(", g AS (SELECT p.asset, p.t AS current_time_ms, round(s.mid, 6) + 0.0::DOUBLE AS mid, least(s.bid_qty, s.ask_qty) AS minq, round(s.ask_price - s.bid_price, 6) AS spread FROM prompts p ASOF JOIN spot s ON p.asset = s.asset AND p.t >= s.recv_ts_ms), c AS (SELECT *, coalesce(mid <> lag(mid) OVER w, false)::INT AS changed, coalesce(mid = lag(mid, 4) OVER w, false)::INT AS still FROM g WINDOW w AS (PARTITION BY asset ORDER BY current_time_ms)), d AS (SELECT *, sum(changed) OVER (w ROWS 23 PRECEDING) AS changes, avg(still) OVER (w ROWS 23 PRECEDING) AS p0, current_time_ms - last_value(CASE WHEN changed = 1 THEN current_time_ms END IGNORE NULLS) OVER (w ROWS UNBOUNDED PRECEDING) AS since FROM c WINDOW w AS (PARTITION BY asset ORDER BY current_time_ms))", "SELECT asset, current_time_ms, round(p0, 6) AS p0book, round(exp(-changes / 6), 6) AS pois, round(ln(1 + since / 1000), 6) AS age, round(ln(1 + minq), 6) AS minq, round(least(spread / 0.05::DOUBLE, 1), 6) AS spread FROM d"),
+        "q3_still_features": _sql(CANDLES + SEASON + STILL, STILL_OUT),
         "w8_mid_changes": _sql(", g AS (SELECT p.asset, p.t AS current_time_ms, round(f.mid - s.mid, 6) + 0.0::DOUBLE AS basis FROM prompts p ASOF JOIN spot s ON p.asset = s.asset AND p.t >= s.recv_ts_ms ASOF JOIN (SELECT * FROM quotes WHERE venue = 'futures') f ON p.asset = f.asset AND p.t >= f.recv_ts_ms), c AS (SELECT *, coalesce(basis <> lag(basis) OVER w, false)::INT AS changed, coalesce(basis = lag(basis, 5) OVER w, false) AS still FROM g WINDOW w AS (PARTITION BY asset ORDER BY current_time_ms))", "SELECT asset, current_time_ms, changed, sum(changed) OVER (w ROWS 9 PRECEDING)::BIGINT AS changes, still, current_time_ms - last_value(CASE WHEN changed = 1 THEN current_time_ms END IGNORE NULLS) OVER (w ROWS UNBOUNDED PRECEDING) AS since FROM c WINDOW w AS (PARTITION BY asset ORDER BY current_time_ms)"),
         "r5_blend_ladders": _sql(LABELS + ", med AS (SELECT asset, current_time_ms, model, (max(x) FILTER (WHERE i = 50) + max(x) FILTER (WHERE i = 51)) * 0.5 AS m FROM ladder WHERE model IN ('m1', 'm5') GROUP BY ALL), wid AS (SELECT l.asset, l.current_time_ms, l.model, avg(abs(x - m)) AS w FROM ladder l JOIN med USING (asset, current_time_ms, model) GROUP BY ALL), ws AS (SELECT a.asset, a.current_time_ms, least(greatest(1.5 * greatest(0.9 - a.w / b.w, 0), 0), 0.6) AS w FROM wid a JOIN wid b ON a.asset = b.asset AND a.current_time_ms = b.current_time_ms AND a.model = 'm1' AND b.model = 'm5'), v AS (SELECT ws.*, (1 - w) * a.x + w * b.x AS v FROM ws JOIN ladder a ON a.asset = ws.asset AND a.current_time_ms = ws.current_time_ms AND a.model = 'm1' JOIN ladder b ON b.asset = ws.asset AND b.current_time_ms = ws.current_time_ms AND b.model = 'm5' AND b.i = a.i)", "SELECT asset, current_time_ms, round(any_value(w), 6) AS weight, round(sum(v), 4) AS total, round(min(v), 6) AS low, round(max(v), 6) AS high FROM v GROUP BY asset, current_time_ms"),
         "r9_point_mass": _sql(LABELS + ", xs AS (SELECT asset, current_time_ms, model, any_value(price) AS p, list(x ORDER BY i) AS xs, count(*) FILTER (WHERE x < price) / 100.0 * 0.75 AS below FROM ladder GROUP BY ALL), t AS (SELECT xs.*, tau, i, CASE WHEN tau < below THEN tau / 0.75 ELSE (tau - 0.25) / 0.75 END AS t FROM xs CROSS JOIN grid), a AS (SELECT *, least(greatest(t * 100 - 0.5, 0), 99) AS pos, least(floor(least(greatest(t * 100 - 0.5, 0), 99)), 98)::INT AS low FROM t), v AS (SELECT *, xs[low + 1] + (pos - low) * (xs[low + 2] - xs[low + 1]) AS m FROM a), o AS (SELECT *, CASE WHEN tau < below THEN least(m, p) WHEN tau > below + 0.25 THEN greatest(m, p) ELSE p END AS q FROM v)", "SELECT asset, current_time_ms, model, (count(*) FILTER (WHERE q = p))::INT AS n_atom, 0 AS n_bad, round(sum(q), 4) AS total, round(min(q), 6) AS low FROM o GROUP BY asset, current_time_ms, model"),
