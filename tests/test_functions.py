@@ -18,9 +18,9 @@ def test_microprice_and_quotes(spark):
     assert tuple(row) == (100.5, None, 101.0, True, False, False)
 
 
-@pytest.mark.parametrize(("price", "expected"), [(100.01, False), (100.015, True), (100.02, True)])
+@pytest.mark.parametrize(("price", "expected"), [(40.25, False), (39.75, False), (40.3, True), (39.0, True), (40.0, False)])
 def test_moved(spark, price, expected):
-    assert one(spark, Q.moved(F.lit(price), F.lit(100.0), F.lit(0.01)))[0] is expected
+    assert one(spark, Q.moved(F.lit(price), F.lit(40.0), F.lit(0.25)))[0] is expected
 
 
 @pytest.mark.parametrize(("into", "slot"), [(10_249, None), (10_250, SLOT), (14_249, SLOT), (14_250, None)])

@@ -1,7 +1,6 @@
 import random
 
 import pytest
-from pyspark.sql import functions as F
 
 from tidemark.operators import candles as C
 from tidemark.operators import flow, prompts, scoring
@@ -50,18 +49,58 @@ def test_gap_fill_and_moves_do_not_depend_on_chunks(spark):
     assert len(want) == 21 and want[2] == (2000, 0.0, 0.0, 0.0) and want[4][3] == 4.0
 
 
-@pytest.mark.parametrize(
-    ("rows", "moves"),
-    [
-        ([(900, 100.00, 4000), (1000, 100.01, 5000), (1000, 100.01, 5010), (1050, 100.03, 5080), (1100, 100.03, 5200)], [5080]),
-        ([(1000, 100.00, 5000), (1100, 100.01, 5100), (1200, 100.02, 5200), (1300, 100.02, 5300)], [5200]),
-        ([(1000 + i, 100.00 + 0.01 * (i % 2), 5000 + i) for i in range(5)], []),
-    ],
-)
-def test_price_moves(spark, rows, moves):
-    t = spark.createDataFrame([("x", i, *r, 1.0) for i, r in enumerate(rows)], "asset string, seq long, ts_ms long, price double, recv_ts_ms long, qty double")
-    got = prompts.price_moves(prompts.trade_groups(t, keys=["asset"]), keys=["asset"], tick=0.01)
-    assert [r["recv_ts_ms"] for r in got.collect()] == moves
+def test_price_moves_against_a_plain_fold_for_any_chunk(spark):
+    """Walks of two keys over ten days with quiet days, gaps and repeats; the reference outlives chunks."""
+    rnd, rows, want = random.Random(11), [], []
+    for key in "xy":
+        price, reference = 50.0, None
+        for i in range(600):
+            t = i * 1_440_000 + (i // 200) * 90_000_000
+            price += rnd.choice([0, 0, 0.1, -0.1, 0.2, -0.3]) * (rnd.random() < (0.03 if 200 <= i < 400 else 0.6))
+            rows.append((key, i, t, round(price, 1), t + 7))
+            if reference is not None and abs(round(price, 1) - reference) / 0.2 > 1 + 1e-6:
+                want.append((key, t, round(price, 1), reference))
+            if reference is None or (want and want[-1][:2] == (key, t)):
+                reference = round(price, 1)
+    g = spark.createDataFrame(rows, "asset string, seq long, ts_ms long, price double, recv_ts_ms long")
+    for chunk in (7_200_000, 86_400_000, 10**12):
+        got = prompts.price_moves(g, keys=["asset"], tick=0.2, chunk_ms=chunk).collect()
+        assert sorted((r["asset"], r["ts_ms"], r["price"], r["reference"]) for r in got) == sorted(want)
+
+
+def test_groups_take_the_last_price_and_leave_the_open_one(spark):
+    rows = [(700, 20.0, 3), (700, 20.4, 4), (710, 20.1, 5), (725, 21.0, 9)]
+    t = spark.createDataFrame([("x", i, *r) for i, r in enumerate(rows)], "asset string, seq long, ts_ms long, price double, recv_ts_ms long")
+    assert sorted((r["ts_ms"], r["price"], r["recv_ts_ms"], r["n"]) for r in prompts.trade_groups(t, keys=["asset"]).collect()) == [(700, 20.4, 4, 2), (710, 20.1, 5, 1)]
+
+
+def test_numbers_and_gaps_do_not_depend_on_chunks(spark):
+    rows = [(k, t) for k in "ab" for t in (0, 3, 4, 50, 51, 120, 400)]
+    d = spark.createDataFrame(rows, "k string, t long")
+    for chunk in (1, 10, 10**6):
+        got = prompts.numbered(d, by=["k"], ts="t", name="n", chunk_ms=chunk).collect()
+        assert sorted((r["k"], r["n"], r["t"]) for r in got) == sorted((k, i + 1, t) for k in "ab" for i, t in enumerate((0, 3, 4, 50, 51, 120, 400)))
+        gaps = prompts.coverage_windows(d, keys=["k"], ts="t", start=0, end=401, step=1, interior=True, wanted=spark.createDataFrame([("a",), ("c",)], "k string"), chunk_ms=chunk).collect()
+        assert {(r["from_ms"], r["to_ms"]) for r in gaps if r["k"] == "a"} == {(1, 3), (5, 50), (52, 120), (121, 400)} and [(r["from_ms"], r["to_ms"]) for r in gaps if r["k"] == "c"] == [(0, 401)]
+        back = prompts.time_order_violations(spark.createDataFrame([(i, t) for i, t in enumerate((5, 7, 6, 9, 1))], "seq long, ts long"), keys=[], order="seq", ts="ts", chunk=chunk)
+        assert sorted((r["ts"], r["before_ms"]) for r in back.collect()) == [(1, 9), (6, 7)]
+    assert prompts.clock_interval_ms(200) == 200_000
+    for bad in (0, -20, 30):
+        with pytest.raises(ValueError):
+            prompts.clock_interval_ms(bad)
+
+
+def test_newest_rows_and_mid_changes_do_not_depend_on_chunks(spark):
+    rnd = random.Random(7)
+    rows = [("a", i * 10, round(rnd.choice([1.0, 1.0, 1.0, 1.2]), 1)) for i in range(300)]
+    d = spark.createDataFrame(rows, "k string, t long, v double")
+    seen = set()
+    for chunk in (50, 700, 10**6):
+        aged = C.aged(d, keys=["k"], ts="t", newest=37, chunk_ms=chunk).collect()
+        assert sorted((r["age"], r["t"]) for r in aged) == [(i, 2990 - 10 * i) for i in range(37)]
+        c = flow.mid_change_counts(d, keys=["k"], value="v", ts="t", step_ms=10, steps=20, span=5, recent=3, chunk_ms=chunk).collect()
+        seen.add(tuple(sorted((r["t"], r["changes"], r["recent"], r["still"], r["still_share"], r["since"]) for r in c)).__repr__())
+    assert len(seen) == 1
 
 
 def test_field_scores(spark):
@@ -120,4 +159,3 @@ def test_empty_inputs(spark):
     assert prompts.price_moves(prompts.trade_groups(t, keys=["asset"]), keys=["asset"], tick=0.01).count() == 0
     assert C.gap_filled(C.candles_from_trades(t, keys=["asset"]), keys=["asset"]).count() == 0
     assert asof_join(t, t, keys=["asset"], left_ts="ts_ms", right_ts="recv_ts_ms", seq="seq", chunk_ms=10).count() == 0
-    assert F is not None

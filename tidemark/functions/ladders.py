@@ -63,6 +63,26 @@ def widened(q: Column, factor: Column, anchor: Column | None = None, band: float
     return let(q, lambda q: let(median(q), lambda m: F.array_sort(F.transform(q, lambda v: F.when(keep(v), v).otherwise(m + factor * (v - m))))))
 
 
+def live_factor(w: Column, recent: Column, *, power: float, least: float, most: float, narrowest: float) -> Column:
+    """How much a ladder's width ``w`` is to change towards that of recent moves' quantiles: 1 for a
+    ladder too narrow to judge, without recent moves, or within a ten-thousandth of right."""
+    factor = F.least(F.greatest(F.pow(recent / w, F.lit(power)), F.lit(least)), F.lit(most))
+    usable = recent.isNotNull() & (recent > 0) & (w >= narrowest)
+    return F.when(usable & (F.abs(factor - 1) >= 1e-4), factor).otherwise(1.0)
+
+
+def trade_anchored(q: Column, anchor: Column, last_trade: Column, *, share: float, band: float) -> Column:
+    """Prices farther than ``band`` from the anchor move by a share of the last trade's gap to it; in order again."""
+    gap = F.when(last_trade > 0, share * (last_trade - anchor)).otherwise(0.0)
+    return let(F.struct(gap.alias("d"), anchor.alias("a")), lambda g: F.array_sort(F.transform(q, lambda v: F.when(F.abs(v - g["a"]) > band, v + g["d"]).otherwise(v))))
+
+
+def layered(q: Column, price: Column, shift: Column, scale: Column, *, tick: float) -> Column:
+    """Scales and shifts a ladder about the price; prices within half a tick of it stay; in order again."""
+    by = F.struct(price.alias("p"), shift.alias("d"), scale.alias("s"))
+    return let(by, lambda b: F.array_sort(F.transform(q, lambda v: F.when(F.abs(v - b["p"]) > 0.5 * tick, b["p"] + b["s"] * (v - b["p"]) + b["d"]).otherwise(v))))
+
+
 def shifted(q: Column, by: Column) -> Column:
     return let(by, lambda d: F.transform(q, lambda v: v + d))
 

@@ -28,6 +28,57 @@ def regime_width(width: Column, recent: Column, *, a: float = 0.62, b: float = 0
     return F.when(usable, width * Q.clip(a + b * recent / width, a, 1.0)).otherwise(width)
 
 
+def blended_width(width: Column, realized: Column, *, power: float = 0.8) -> Column:
+    """Raises a width that is tighter than recent moves towards them; a wider one stays."""
+    return F.when((width > 0) & (realized > width), width * F.pow(realized / width, F.lit(power))).otherwise(width)
+
+
+def liquidation_width(width: Column, activity: Column, *, gain: float) -> Column:
+    """Widens by the activity of liquidations."""
+    return width * (1 + gain * F.greatest(activity, F.lit(0.0)))
+
+
+def flexed(shift: Column, width: Column, recent: Column, *, pull: float, excess: float, floor: float, power: float, narrowest: float, fade: tuple[float, float]) -> tuple[Column, Column]:
+    """Shift and width after the latest moves (``recent``, their scale): a shift far beyond its width is pulled
+    in, the more the calmer it is, and a width above the recent scale shrinks towards it."""
+    ratio = recent / width
+    usable = (width > 0) & (recent > 0)
+    beyond = F.greatest(F.abs(shift) / width - excess, F.lit(0.0))
+    gain = Q.clip(1 - pull * beyond / Q.clip(ratio, *fade), floor, 1.0)
+    return F.when(usable, shift * gain).otherwise(shift), F.when(usable, width * Q.clip(F.pow(ratio, F.lit(power)), narrowest, 1.0)).otherwise(width)
+
+
+def season_width(width: Column, typical: Column, *, weight: float, most: float) -> Column:
+    """Draws a width towards the slot's typical one, in logarithms, by at most ``most``."""
+    pull = Q.clip(weight * (F.ln(typical) - F.ln(width)), -most, most)
+    return F.when((width > 0) & (typical > 0), width * F.exp(pull)).otherwise(width)
+
+
+def candle_weight(p90: Column, activity: Column, kind: Column, *, pivot: float, scale: float, beta: float, span: Column | float = 1.0) -> Column:
+    """Share of the candles' distribution on a clock prompt, falling with its 90th percentile and activity; 0 on others.
+
+    Saturated at 20 either way: 0 above, 1 below.
+    """
+    by = F.lit(float(span)) if isinstance(span, (int, float)) else span
+    z = (p90 - pivot * by) / (scale * by) + beta * activity
+    share = F.when(z >= 20, 0.0).when(z <= -20, 1.0).otherwise(1 / (1 + F.exp(z)))
+    return F.when((kind == "time") & p90.isNotNull() & ~F.isnan(p90), share).otherwise(0.0)
+
+
+def layer_terms(signals: DataFrame, terms: DataFrame, *, keys: list[str], most: float = 1.5) -> DataFrame:
+    """``keys, shift, scale``: what a table of terms makes of long signals.
+
+    ``signals`` has ``keys, signal, value``; ``terms`` has ``signal, kind, centre, spread, op, coef``,
+    a row each, few of them. A term's value is its signal's robust z (``kind`` as in
+    ``quotes.robust_z``); ``shift`` sums coefficients times values, ``scale`` is exp of that sum for
+    the other terms, held within ``most``. Keys without any term's signal get none.
+    """
+    j = signals.join(F.broadcast(terms), "signal")  # a model's table, some dozens of rows
+    z = F.when(F.col("kind") == "raw", Q.robust_z(F.col("value"), F.col("centre"), F.col("spread"), kind="raw")).when(F.col("kind") == "log1p", Q.robust_z(F.col("value"), F.col("centre"), F.col("spread"), kind="log1p")).otherwise(Q.robust_z(F.col("value"), F.col("centre"), F.col("spread")))
+    part = lambda op: F.coalesce(F.sum(F.when(F.col("op") == op, F.col("coef") * z)), F.lit(0.0))
+    return j.groupBy(*keys).agg(part("shift").alias("shift"), F.exp(Q.clip(part("scale"), -most, most)).alias("scale"))
+
+
 def computed(df: DataFrame, name: str, value: Column) -> DataFrame:
     """``df`` with a column that the optimizer doesn't fold into later ones: Spark fails on a Python
     function of nested lambdas ("Cannot evaluate expression"), not on one of a column."""

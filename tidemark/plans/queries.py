@@ -770,4 +770,6 @@ def q3_still_features(spark, sf_dir):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from tidemark.plans import captures  # noqa: F401  (registers its queries, which build on these)
+
     return dict(REGISTRY)

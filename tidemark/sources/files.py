@@ -9,8 +9,20 @@ from tidemark.functions.quotes import to_ms
 from tidemark.operators.prompts import numbered
 
 LEVELS = "array<struct<price:double,qty:double>>"
-VENUE = "struct<trades:array<struct<ts_ms:bigint,event_ts_ms:bigint,recv_ts_ms:bigint,price:double,qty:double,buyer_is_maker:boolean>>,book_ticker:array<struct<recv_ts_ms:bigint,bid_price:double,bid_qty:double,ask_price:double,ask_qty:double>>,liquidations:array<struct<ts_ms:bigint,recv_ts_ms:bigint,price:double,qty:double,is_buy:boolean>>>"
+SNAPSHOT = f"struct<recv_ts_ms:bigint,update_id:bigint,event_ts_ms:bigint,transaction_ts_ms:bigint,bids:{LEVELS},asks:{LEVELS}>"
+UPDATE = f"struct<recv_ts_ms:bigint,event_ts_ms:bigint,transaction_ts_ms:bigint,first_id:bigint,final_id:bigint,prev_final_id:bigint,bids:{LEVELS},asks:{LEVELS}>"
+#: One venue of a payload: its streams as arrays of rows, two depth snapshots, bands, and the streams' last times.
+STREAMS = {
+    "candles_1s": "array<struct<open_time_ms:bigint,open:double,high:double,low:double,close:double,volume:double>>",
+    "trades": "array<struct<ts_ms:bigint,event_ts_ms:bigint,recv_ts_ms:bigint,price:double,qty:double,buyer_is_maker:boolean>>",
+    "book_ticker": "array<struct<recv_ts_ms:bigint,bid_price:double,bid_qty:double,ask_price:double,ask_qty:double,event_ts_ms:bigint,transaction_ts_ms:bigint>>",
+    "liquidations": "array<struct<ts_ms:bigint,recv_ts_ms:bigint,price:double,qty:double,is_buy:boolean>>",
+    "depth_updates": f"array<{UPDATE}>",
+}
+VENUE = f"struct<symbol:string,complete_history:boolean,{','.join(f'{n}:{k}' for n, k in STREAMS.items())},depth_start:{SNAPSHOT},depth_latest:{SNAPSHOT},depth_bands:struct<anchor_price:double,bucket_usd:double,bids:array<double>,asks:array<double>,recv_ts_ms:bigint>,last_event_times:map<string,bigint>>"
 PAYLOAD = f"schema_version int, asset string, current_time_ms bigint, horizon_seconds int, num_percentiles int, trigger struct<kind:string,venue:string>, venues struct<spot:{VENUE},futures:{VENUE}>"
+SCORING = PAYLOAD.replace(f",depth_updates:array<{UPDATE}>", "")
+BOOK = "current_time_ms bigint, target_ms bigint, recv_ts_ms bigint, bid_price double, bid_qty double, ask_price double, ask_qty double"
 REPORT = ("test", "current_time_ms", "start", "target", "book_recv_ts_ms", "realized", "crps", "predict_ms")
 
 
@@ -80,6 +92,26 @@ def read_payloads(spark: SparkSession, path: str, *, schema: str = PAYLOAD) -> D
     return raw.select("*", folder.alias("folder_ms")).filter("folder_ms is not null")
 
 
+def read_payloads_for_scoring(spark: SparkSession, path: str) -> DataFrame:
+    """Saved payloads with only what a forecast reads: no tape of depth updates is parsed at all."""
+    return read_payloads(spark, path, schema=SCORING)
+
+
+def read_saved_pairs(spark: SparkSession, database: str) -> DataFrame:
+    """``folder_ms, payload, book, readable`` for each complete pair under ``database/asset/ms/``, by folder.
+
+    A pair is a payload and a book in one numbered folder; folders that lack either and those
+    without a number go. A book that is no JSON object is null and not ``readable``: it is
+    counted, never fatal. ``asset`` is the folder's.
+    """
+    at = [F.regexp_extract("_metadata.file_path", r"/([^/]+)/\d+/[^/]*$", 1).alias("asset"), F.regexp_extract("_metadata.file_path", r"/(\d+)/[^/]*$", 1).try_cast("long").alias("folder_ms")]
+    books = spark.read.text(f"{database}/*/*/book.json", wholetext=True).select(*at, F.from_json("value", BOOK).alias("book"), F.ltrim("value").startswith("{").alias("__object"))
+    payloads = spark.read.schema(SCORING).json(f"{database}/*/*/payload.json", multiLine=True)
+    named = payloads.select(*at, F.struct(*payloads.columns).alias("payload"))
+    whole = F.coalesce(F.col("__object") & F.col("book.bid_price").isNotNull(), F.lit(False)) | F.coalesce(F.col("__object") & F.col("book.current_time_ms").isNotNull(), F.lit(False))
+    return named.join(books, ["asset", "folder_ms"]).filter("folder_ms is not null").select("asset", "folder_ms", "payload", F.when(whole, F.col("book")).alias("book"), whole.alias("readable"))
+
+
 def exploded(payloads: DataFrame, *, venue: str, stream: str) -> DataFrame:
     """One stream of one venue as rows of the normalised table."""
     rows = F.posexplode(F.col(f"venues.{venue}.{stream}"))
@@ -87,6 +119,20 @@ def exploded(payloads: DataFrame, *, venue: str, stream: str) -> DataFrame:
     return out.select("asset", "current_time_ms", "venue", "seq", "r.*")
 
 
+def write_documents(rows: DataFrame, root: str, name: str) -> None:
+    """``root/asset/ms/name`` for each row of ``asset, recv_ts_ms, value``: one small file a row, by the session's file system."""
+    spark = rows.sparkSession
+    parts = f"{root}-parts-{name}"
+    rows.write.partitionBy("asset", "recv_ts_ms").text(parts)
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(root).getFileSystem(spark._jsc.hadoopConfiguration())
+    for found in fs.globStatus(path(f"{parts}/*/*/part-*")):
+        at = found.getPath().toString().split("/")
+        folder = f"{root}/{at[-3].partition('=')[2]}/{at[-2].partition('=')[2]}"
+        fs.mkdirs(path(folder))
+        fs.rename(found.getPath(), path(f"{folder}/{name}"))
+
+
 def write_payloads(payloads: DataFrame, path: str) -> None:
     """JSON by asset and prompt."""
     out = payloads.withColumn("prompt_ms", F.col("current_time_ms")).withColumn("asset_key", F.col("asset"))

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tidemark.functions import quotes as Q
+
 
 def timed(ticks: DataFrame, *, delay: str) -> DataFrame:
     return ticks.withColumn("at", F.timestamp_millis("recv_ts_ms")).withWatermark("at", delay)
@@ -63,6 +66,46 @@ def stream_moves(ticks: DataFrame, *, keys: list[str], tick: float, delay: str)
     return timed(ticks.select(*columns), delay=delay).drop("at").groupBy(*keys).applyInPandasWithState(step, schema, "reference double", "append", GroupStateTimeout.NoTimeout)
 
 
+def stream_event_prompts(moves: DataFrame, *, clock: int, opens: int, length: int, chance: float = 0.5, longest_delay: int = 500, delay: str) -> DataFrame:
+    """At most one prompt per asset and slot: the first accepted move in its event window.
+
+    A window of event time holds one row of state per asset and slot, which ends with the
+    watermark. In update mode an earlier move that comes late replaces the prompt.
+    """
+    slot = Q.event_slot("recv_ts_ms", clock=clock, opens=opens, length=length)
+    key = [F.col("asset"), F.col("venue"), F.col("recv_ts_ms")]
+    taken = timed(moves.withColumn("slot", slot).filter(F.col("slot").isNotNull() & Q.event_coin(*key, chance=chance)), delay=delay)
+    due = (F.col("recv_ts_ms") + Q.event_delay_ms(*key, longest=longest_delay)).alias("current_time_ms")
+    first = taken.groupBy("asset", F.window("at", f"{clock} milliseconds"), "slot").agg(F.min_by(F.struct(due, "venue"), F.struct("recv_ts_ms", "venue", "seq")).alias("m"))
+    return first.select("asset", "slot", "m.current_time_ms", "m.venue")
+
+
+def stream_trailing_window(ticks: DataFrame, *, keys: list[str], window_ms: int, delay: str) -> DataFrame:
+    """Each tick with the count and quantity of its key's trailing window (now - window, now], itself included.
+
+    The state of a key is its window's times and quantities, no more; rows of a micro-batch are
+    taken in the order of receipt and ``seq``.
+    """
+    columns = [*keys, "recv_ts_ms", "seq", "qty"]
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in ticks.select(*columns).schema)
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(list(batches)).sort_values(["recv_ts_ms", "seq"])
+        times, sizes = (list(x) for x in state.get) if state.exists else ([], [])
+        held = len(times)
+        times += rows["recv_ts_ms"].tolist()
+        sizes += rows["qty"].tolist()
+        t, total = np.array(times), np.concatenate([[0.0], np.cumsum(sizes)])
+        low = np.searchsorted(t, t - window_ms, side="right")
+        high = np.arange(1, len(t) + 1)
+        out = rows[columns].assign(n=(high - low)[held:], trailing=(total[high] - total[low])[held:])
+        keep = t > t[-1] - window_ms
+        state.update((t[keep].tolist(), np.array(sizes)[keep].tolist()))
+        yield out
+
+    return timed(ticks.select(*columns), delay=delay).drop("at").groupBy(*keys).applyInPandasWithState(step, schema + ", n long, trailing double", "times array<long>, sizes array<double>", "append", GroupStateTimeout.NoTimeout)
+
+
 def stream_labels(prompts: DataFrame, quotes: DataFrame, *, horizon_ms: int, delay: str) -> DataFrame:
     """Each prompt beside the quotes in (now, now + horizon]; without any it comes once with nulls,
     after both watermarks have passed. Take the last quote of each prompt in the sink."""
@@ -72,6 +115,13 @@ def stream_labels(prompts: DataFrame, quotes: DataFrame, *, horizon_ms: int, del
     return p.join(q, near, "leftOuter").select("asset", "current_time_ms", "seq", "recv_ts_ms", "bid_price", "ask_price")
 
 
+def last_label(near: DataFrame) -> DataFrame:
+    """The last quote of each prompt from what ``stream_labels`` gave, nulls for a prompt without any."""
+    values = [c for c in near.columns if c not in ("asset", "current_time_ms")]
+    picked = near.groupBy("asset", "current_time_ms").agg(F.max_by(F.struct(*values), F.struct("recv_ts_ms", "seq")).alias("l"), F.count("seq").alias("__n"))
+    return picked.select("asset", "current_time_ms", *[F.when(F.col("__n") > 0, F.col(f"l.{c}")).alias(c) for c in values])
+
+
 def batch_folders(path: str):
     """A ``foreachBatch`` that writes each batch to a folder of its own, so a batch that runs again replaces itself.
 
