@@ -2,8 +2,6 @@ import random
 import re
 from itertools import combinations
 
-from pyspark.sql import functions as F
-
 from tidemark.llm import near_dup
 from tidemark.llm.components import components
 
@@ -81,4 +79,3 @@ def test_components_of_a_path_and_a_hub(spark):
     found = {r["node"]: r["component"] for r in components(spark.createDataFrame(path + hub, "u long, v long")).collect()}
     assert {found[i] for i in range(41)} == {0} and {found[i] for i in range(100, 150)} == {60}
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
-    assert F is not None

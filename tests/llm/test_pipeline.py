@@ -2,7 +2,7 @@ import random
 
 import corpus_pipeline
 from test_near_dup import brute
-from tidemark.llm import decontam, line_dedup, mixing
+from tidemark.llm import decontam, mixing
 
 SF = "/root/testdata/sf0.001"
 
@@ -23,7 +23,6 @@ def test_stages_work_on_what_came_before(spark):
     assert decontam.contaminated(docs, bench).count() == 0
     mix = mixing.mixed(docs)
     assert out.count() == mix.agg({"__copies": "sum"}).first()[0]
-    assert line_dedup is not None
 
 
 def test_run_gives_the_mix(spark):
