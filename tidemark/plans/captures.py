@@ -9,8 +9,8 @@ from tidemark.functions import ladders as L
 from tidemark.functions import quotes as Q
 from tidemark.operators import candles as C
 from tidemark.operators import forecast
-from tidemark.plans.queries import DAY, HOUR, KEY, all_moves, answers, full_candles, moved, priced, query, r, spot
-from tidemark.scratch import fresh, written
+from tidemark.plans.queries import HOUR, KEY, all_moves, answers, moved, priced, query, r, signal_rows, spot
+from tidemark.scratch import fresh
 from tidemark.sources import files
 from tidemark.sources import messages as M
 from tidemark.sources import ticks as T
@@ -224,10 +224,8 @@ def r12_trade_anchors(spark, sf_dir):
 
 @query
 def r13_layer_terms(spark, sf_dir):
-    from tidemark.plans.queries import q4_build_signals
-
     terms = spark.createDataFrame([("schg5000", "robust", 0.0, 1.5, "shift", 0.05), ("s_dimb3", "raw", 0.0, 1.0, "shift", 0.02), ("s_nbt60000", "log1p", 1.5, 0.7, "scale", 0.1), ("c_mad60", "robust", 1.0, 0.8, "scale", 0.2)], "signal string, kind string, centre double, spread double, op string, coef double")
-    made = forecast.layer_terms(q4_build_signals(spark, sf_dir), terms, keys=["asset", "current_time_ms"])
+    made = forecast.layer_terms(signal_rows(spark, sf_dir), terms, keys=["asset", "current_time_ms"])
     a = answers(spark, sf_dir).filter("model = 'm2'").join(priced(spark, sf_dir), ["asset", "current_time_ms"]).join(made, ["asset", "current_time_ms"])
     q = L.layered(F.col("q"), F.col("price"), F.col("shift"), F.col("scale"), tick=0.01)
     return a.select("asset", "current_time_ms", r("shift").alias("shift"), r("scale").alias("scale"), r(F.get(q, 0)).alias("low"), r(F.get(q, 99)).alias("high"))

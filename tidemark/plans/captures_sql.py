@@ -48,7 +48,7 @@ def oracle_sql() -> dict[str, str]:
         "f8_candle_quotes": _sql(CANDLES, "SELECT asset, venue, open_time_ms, round(close - 0.1::DOUBLE, 6) AS bid_price, round(close + 0.1::DOUBLE, 6) AS ask_price, 2.0 AS ask_qty FROM candles"),
         "f13_widths": _sql(CANDLES + WIDTHS, "SELECT asset, venue, open_time_ms, round(w1, 6) AS blended, round(w2, 6) AS liquidation, round(w3, 6) AS regime, round(w4, 6) AS flexed, round(w5, 6) AS season, round(sh, 6) + 0.0::DOUBLE AS shift FROM m5"),
         "r6_mirrored_bins": _sql(LABELS + f", d AS (SELECT asset, current_time_ms, price, least(greatest(({no} % 7 * 1e-3 - 3e-3) / (25.5 * 1e-4), -1), 1) AS t FROM priced)", "SELECT asset, current_time_ms, 100 AS n, round(price * exp(-50 * 1e-4 * (1 - t)), 6) AS low, round(price * exp(50 * 1e-4 * (1 + t)), 6) AS high, round(0.5 * (price * exp(-1e-4 * (1 - t)) + price * exp(1e-4 * (1 + t))), 6) AS median FROM d"),
-        "r7_mixed_ladders": _sql(LABELS + ", mx AS (SELECT asset, current_time_ms, x, CASE model WHEN 'm1' THEN 0.007 ELSE 0.003 END::DOUBLE AS w, model FROM ladder WHERE model IN ('m1', 'm6')), ok AS (SELECT asset, current_time_ms FROM mx GROUP BY ALL HAVING count(*) = 200), c AS (SELECT *, sum(w) OVER (PARTITION BY asset, current_time_ms ORDER BY x, model ROWS UNBOUNDED PRECEDING) AS hi FROM mx JOIN ok USING (asset, current_time_ms)), q AS (SELECT asset, current_time_ms, tau, min(x) FILTER (WHERE hi >= tau - 1e-9) AS v FROM c CROSS JOIN grid GROUP BY ALL)", "SELECT asset, current_time_ms, round(min(v), 6) AS low, round(max(v), 6) AS high, round(sum(v), 4) AS total FROM q GROUP BY asset, current_time_ms"),
+        "r7_mixed_ladders": _sql(LABELS + ", mx AS (SELECT asset, current_time_ms, x, CASE model WHEN 'm1' THEN 0.007 ELSE 0.003 END::DOUBLE AS w, model FROM ladder WHERE model IN ('m1', 'm6')), ok AS (SELECT asset, current_time_ms FROM mx GROUP BY ALL HAVING count(*) = 200), c AS (SELECT *, sum(w) OVER (PARTITION BY asset, current_time_ms ORDER BY x, model ROWS UNBOUNDED PRECEDING) AS hi FROM mx JOIN ok USING (asset, current_time_ms)), qs AS (SELECT asset, current_time_ms, tau, min(x) FILTER (WHERE hi >= tau - 1e-9) AS v FROM c CROSS JOIN grid GROUP BY ALL)", "SELECT asset, current_time_ms, round(min(v), 6) AS low, round(max(v), 6) AS high, round(sum(v), 4) AS total FROM qs GROUP BY asset, current_time_ms"),
         "r8_candle_weights": _sql(CANDLES + ", z AS (SELECT *, (abs(d_ten) - 1.2) / 0.4 + 0.7 * r_ten * 10 AS z FROM moved WHERE d_ten IS NOT NULL)", f"SELECT asset, venue, open_time_ms, round(CASE WHEN open_time_ms // {H} % 5 = 0 THEN 0 WHEN z >= 20 THEN 0 WHEN z <= -20 THEN 1 ELSE 1 / (1 + exp(z)) END, 6) AS weight FROM z"),
         "r11_live_widths": _sql(LABELS + MED + f", r AS (SELECT *, CASE WHEN {no} % 6 > 0 THEN 0.3::DOUBLE + {no} % 6 * 0.2::DOUBLE END AS recent FROM wid), f AS (SELECT *, least(greatest(sqrt(recent / w), 0.7), 1.4) AS f FROM r), g AS (SELECT *, CASE WHEN recent > 0 AND w >= 0.25 AND abs(f - 1) >= 1e-4 THEN f ELSE 1 END AS factor FROM f)", "SELECT asset, current_time_ms, model, round(factor, 6) AS factor, round(w * factor, 6) AS width FROM g"),
         "r12_trade_anchors": _sql(LABELS + f", s AS (SELECT *, CASE WHEN abs(x - price) > 0.05 THEN x + 0.4::DOUBLE * ({no} % 3 - 1) ELSE x END AS y FROM ladder), o AS (SELECT *, row_number() OVER (PARTITION BY asset, current_time_ms, model ORDER BY y) AS k FROM s)", "SELECT asset, current_time_ms, model, round(min(y), 6) AS low, round(0.5 * (max(y) FILTER (WHERE k = 50) + max(y) FILTER (WHERE k = 51)), 6) AS median, round(sum(y), 4) AS total FROM o GROUP BY asset, current_time_ms, model"),

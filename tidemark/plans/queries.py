@@ -682,15 +682,19 @@ def q2_build_features(spark, sf_dir):
     return f.select("asset", "current_time_ms", *[c if c == "stale_ms" else r(c).alias(c) for c in f.columns[2:]])
 
 
-@query
-def q4_build_signals(spark, sf_dir):
+def signal_rows(spark, sf_dir) -> DataFrame:
     """All 87 signals of the clock prompts; a second of the names is six minutes here."""
     p = T.clock_prompts(spark, sf_dir)
     wide = signals.build_signals(
         p, quotes=T.quotes(spark, sf_dir), trades=T.trades(spark, sf_dir), depth=T.depth(spark, sf_dir), candles=full_candles(spark, sf_dir), liquidations=T.liquidations(spark, sf_dir),
         unit=360, grid_ms=HOUR // 10, notional=2000.0, bar_ms=HOUR, bars=0.1, least_bars=24, chunk_ms=CHUNK,
     )
-    return signals.long_form(wide).select("asset", "current_time_ms", "signal", r("value").alias("value"))
+    return signals.long_form(wide)
+
+
+@query
+def q4_build_signals(spark, sf_dir):
+    return signal_rows(spark, sf_dir).select("asset", "current_time_ms", "signal", r("value").alias("value"))
 
 
 def batch_forecasts(spark, sf_dir) -> DataFrame:
