@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +12,8 @@ from pyspark.sql import functions as F
 #: The word separators of the contracts: space, tab, line feed, vertical tab, form feed, return.
 BLANKS = " \t\n\x0b\x0c\r"
 BLANK_CLASS = r"[\x20\x09-\x0D]+"
+#: Rows of whole texts in one Arrow batch.
+BATCH_ROWS = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,6 +52,20 @@ def dropped(df: DataFrame) -> None:
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def map_texts(df: DataFrame, f: Callable[[Iterator], Iterator], schema) -> DataFrame:
+    """``df.mapInArrow`` for rows that hold whole texts: batches of ``BATCH_ROWS`` rows.
+
+    Spark's own number of rows a batch knows nothing of their length; with thousands of pages a
+    batch, its copies on both sides would crowd out the task's own memory. The session's setting is
+    lowered, never raised.
+    """
+    spark = df.sparkSession
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(rows)) <= BATCH_ROWS:
+        spark.conf.set(rows, str(BATCH_ROWS))
+    return df.mapInArrow(f, schema)
+
+
 def word_count(text: Column) -> Column:
     """How many runs of non-blanks a text has; a null text has none."""
     trimmed = F.btrim(text, F.lit(BLANKS))

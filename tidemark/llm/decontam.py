@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from tidemark.llm.common import code_bytes, written
+from tidemark.llm.common import code_bytes, map_texts, written
 
 #: Characters of test items that one pass holds in a task's memory; more items take more passes.
 BLOCK_CHARS = 1_000_000
@@ -172,7 +172,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id",
                 yield pa.RecordBatch.from_arrays([batch.column("key").take(pa.array(rows, pa.int64())), ids, *(pa.array(p, pa.int64()) for p in places)], ["key", "item", "distance", "start", "end"])
 
         item_type = benchmark.schema[item].dataType
-        hits = docs.select(F.col(key).alias("key"), F.col(text).cast("binary").alias("text")).mapInArrow(search, f"key {kind}, item {item_kind}, distance long, start long, end long")
+        hits = map_texts(docs.select(F.col(key).alias("key"), F.col(text).cast("binary").alias("text")), search, f"key {kind}, item {item_kind}, distance long, start long, end long")
         if n > 1:
             hits = written(hits, "hits")
             sent.unpersist()
@@ -196,7 +196,7 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, *, text: str = "text",
                 keep = [next(matcher.found((raw or b"").decode("utf-8", "replace")), None) is None for raw in code_bytes(batch, text)]
                 yield batch.filter(pa.array(keep, pa.bool_()))
 
-        docs = docs.mapInArrow(clean, docs.schema)
+        docs = map_texts(docs, clean, docs.schema)
         if n > 1:
             docs = written(docs, "clean")
             sent.unpersist()

@@ -12,14 +12,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import BLANK_CLASS, code_bytes
+from tidemark.llm.common import BLANK_CLASS, code_bytes, map_texts
 
 ORDER = 5
 #: Characters that could occur at all; what no model has seen shares this uniform floor.
 ALPHABET = 4096
 LETTER = re.compile(r"[^\W\d_]")
 #: Bytes of words that a task remembers with their scores, and characters that it scores at once.
-REMEMBERED_BYTES, AT_ONCE = 40_000_000, 200_000
+REMEMBERED_BYTES, AT_ONCE = 16_000_000, 50_000
 #: Languages that share a table of n-grams.
 ABREAST = 8
 #: Languages whose counts may be broadcast; beyond, texts are joined with counts by a shuffle.
@@ -294,7 +294,7 @@ def _scores(docs: DataFrame, models: Models) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(lang, pa.string()), pa.array(entropy, pa.float64()), pa.array(chars, pa.int64()), pa.array(score, pa.float64())], ["key", "lang", "entropy", "chars", "score"])
 
     kind = docs.schema["key"].dataType.simpleString()
-    return docs.mapInArrow(predict, f"key {kind}, lang string, entropy double, chars long, score double")
+    return map_texts(docs, predict, f"key {kind}, lang string, entropy double, chars long, score double")
 
 
 def _decided(scorer: Scorer, texts: list[str]) -> tuple[list[str], list[float | None], list[int], list[float]]:
@@ -379,4 +379,4 @@ def accepted_rows(docs: DataFrame, models: Models, *, text: str = "text") -> Dat
                 keep = [h is not None and h <= limits[x][0] + limits[x][1] / max(n, 1) ** 0.5 for x, h, n in zip(lang, entropy, chars, strict=True)]
                 yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return map_texts(docs, keep, docs.schema)

@@ -10,10 +10,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import code_bytes, dropped, hash_pair, written
+from tidemark.llm.common import code_bytes, dropped, hash_pair, map_texts, written
 from tidemark.llm.components import components
 
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 #: Rows of keys that may be broadcast: 8 to 24 bytes each; beyond, the join shuffles.
 BROADCAST_KEYS = 3_000_000
 #: Partners of one set in a block of work, and sets of one shingle that are ranked in one block.
@@ -172,7 +172,7 @@ def signed_documents(docs: DataFrame, *, key: str, text: str, width: int, bands:
 
     kind, names = docs.schema[key].dataType.simpleString(), list(carry)
     picked = docs.select(F.col(key).alias("key"), F.col(text).cast("binary").alias("text"), *[c.alias(n) for n, c in carry.items()])
-    return picked.mapInArrow(sign, f"key {kind}, c1 long, c2 long, n long, bands array<long>, sig binary{''.join(f', {n} long' for n in names)}")
+    return map_texts(picked, sign, f"key {kind}, c1 long, c2 long, n long, bands array<long>, sig binary{''.join(f', {n} long' for n in names)}")
 
 
 def class_sets(docs: DataFrame, *, key: str, text: str, width: int) -> DataFrame:
@@ -184,7 +184,7 @@ def class_sets(docs: DataFrame, *, key: str, text: str, width: int) -> DataFrame
                 digests, found = zip(*document_sets(code_bytes(whole.slice(at, 512), "text"), width), strict=True)
                 yield pa.RecordBatch.from_arrays([*_longs(digests), pa.array([s.astype(np.int64) for s in found], pa.list_(pa.int64()))], ["c1", "c2", "shingles"])
 
-    return docs.select(F.col(text).cast("binary").alias("text")).mapInArrow(sets, "c1 long, c2 long, shingles array<long>")
+    return map_texts(docs.select(F.col(text).cast("binary").alias("text")), sets, "c1 long, c2 long, shingles array<long>")
 
 
 def _parts(lists: pa.ListArray) -> list[np.ndarray]:

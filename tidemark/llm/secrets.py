@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import code_bytes
+from tidemark.llm.common import code_bytes, map_texts
 
 #: Kinds by themselves, then weak ones that count only beside a complementary part.
 BASE = ("assign", "access", "hex")
@@ -104,7 +104,7 @@ def secret_spans(docs: DataFrame, *, key: str = "doc_id", text: str = "text", re
 
     picked = docs.select(F.col(key).alias("key"), F.col(text).cast("binary").alias("text"))
     kind = docs.schema[key].dataType.simpleString()
-    return picked.mapInArrow(scan, f"key {kind}, spans array<struct<kind:string,start:bigint,end:bigint>>").withColumnRenamed("key", key)
+    return map_texts(picked, scan, f"key {kind}, spans array<struct<kind:string,start:bigint,end:bigint>>").withColumnRenamed("key", key)
 
 
 def digest_text(spans: Column) -> Column:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import code_bytes
+from tidemark.llm.common import code_bytes, map_texts
 
 SPACE = "▁"
 RUNS = re.compile(rb" +[^ ]*|[^ ]+")
@@ -124,4 +124,4 @@ def token_counts(docs: DataFrame, *, vocabulary: str, key: str = "doc_id", text:
 
     picked = docs.select(F.col(key).alias("__key"), F.col(text).cast("binary").alias("__text"))
     kind = docs.schema[key].dataType.simpleString()
-    return picked.mapInArrow(counted, f"__key {kind}, n_bytes long, n_tokens long, over_limit boolean").withColumnRenamed("__key", key)
+    return map_texts(picked, counted, f"__key {kind}, n_bytes long, n_tokens long, over_limit boolean").withColumnRenamed("__key", key)
