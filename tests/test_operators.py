@@ -1,9 +1,11 @@
 import random
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.operators import candles as C
-from tidemark.operators import flow, prompts, scoring
+from tidemark.operators import features, flow, payloads, prompts, scoring
 from tidemark.operators.asof import asof_join, window_join
 
 
@@ -159,3 +161,55 @@ def test_empty_inputs(spark):
     assert prompts.price_moves(prompts.trade_groups(t, keys=["asset"]), keys=["asset"], tick=0.01).count() == 0
     assert C.gap_filled(C.candles_from_trades(t, keys=["asset"]), keys=["asset"]).count() == 0
     assert asof_join(t, t, keys=["asset"], left_ts="ts_ms", right_ts="recv_ts_ms", seq="seq", chunk_ms=10).count() == 0
+
+
+def test_reference_price(spark):
+    rows = [(1, 99.0, 100.0, 101.0), (2, 500.0, 100.0, 101.0), (3, None, None, 101.0), (4, float("nan"), float("inf"), None), (5, -1.0, 7.0, None), (6, 202.0, None, 101.0), (7, 300.0, 0.0, 101.0)]
+    df = spark.createDataFrame(rows, "k int, a double, b double, close double")
+    got = df.select("k", features.reference_price([F.col("a"), F.col("b")], F.col("close")).alias("p")).collect()
+    assert {x.k: x.p for x in got} == {1: 99.0, 2: 100.0, 3: 101.0, 4: 1.0, 5: 7.0, 6: 202.0, 7: 101.0}
+
+
+def test_blended_vol(spark):
+    df = spark.createDataFrame([(1, 1.0, 2.0, True), (2, 1.0, 2.0, False), (3, 1.0, 0.0, True), (4, 0.0, 2.0, True)], "k int, s double, f double, whole boolean")
+    got = {x.k: round(x.v, 9) for x in df.select("k", features.blended_vol(F.col("s"), F.col("f"), F.col("whole")).alias("v")).collect()}
+    assert got == {1: 1.4, 2: 1.0, 3: 1.0, 4: 0.8}
+
+
+def test_recent_ofi_against_a_loop(spark):
+    rng = np.random.default_rng(4)
+    ticks = [("a", "spot", i, int(t), 100 + float(p), float(b), 101 + float(p), float(q)) for i, (t, p, b, q) in enumerate(zip(np.sort(rng.integers(0, 60_000, 300)), rng.integers(0, 3, 300), rng.integers(1, 9, 300), rng.integers(1, 9, 300)))]
+    q = spark.createDataFrame(ticks, "asset string, venue string, seq long, recv_ts_ms long, bid_price double, bid_qty double, ask_price double, ask_qty double")
+    at = [500, 3_000, 12_000, 40_000, 59_999]
+    prompts = spark.createDataFrame([("a", t) for t in at], "asset string, current_time_ms long")
+    got = {x.current_time_ms: x.value for x in flow.recent_ofi(prompts, flow.quote_ofi(q, keys=["asset", "venue"], chunk_ms=7_000), window_ms=10_000).collect()}
+    for now in at:
+        w = [t for t in ticks if now - 10_000 < t[3] <= now]
+        late = [i for i in range(1, len(w)) if w[i][3] >= w[-1][3] - 1000]
+        net = gross = 0.0
+        for i in late:
+            (*_, b0, s0, a0, r0), (*_, b, s, a, r) = w[i - 1], w[i]
+            bid = s if b > b0 else -s0 if b < b0 else s - s0
+            ask = r if a < a0 else -r0 if a > a0 else r - r0
+            net, gross = net + bid - ask, gross + abs(bid) + abs(ask)
+        want = net / gross if len(w) >= 8 and len(late) >= 2 and gross else 0.0
+        assert got.get(now, 0.0) == pytest.approx(want)
+
+
+def test_run_report(spark):
+    rows = [("a", t, 0.1 * t, True, True, float(t)) for t in range(1, 25)] + [("a", 30, None, False, False, None), ("b", 1, None, False, False, None)]
+    runs = spark.createDataFrame(rows, "asset string, current_time_ms long, crps double, answered boolean, readable boolean, latency_ms double")
+    got = {x.asset: x for x in scoring.run_report(runs, by=["asset"], budget_ms=12.5).collect()}
+    assert (got["a"].n, got["a"].n_unreadable, got["a"].median_ms, got["a"].max_ms, got["a"].within_budget) == (24, 1, 12.5, 24.0, True)
+    assert got["a"].p95_ms == pytest.approx(23.75) and (got["b"].n, got["b"].n_unreadable) == (None, 1)
+
+
+def test_saved_payload_violations_of_nothing(spark):
+    from tidemark.sources import files
+
+    one = spark.createDataFrame([(5, "x", 1, 10, 100, ("time", None), None)], files.PAYLOAD)
+    judged = payloads.saved_payload_violations(one, assets={"x": ("X", 1.0)}, kinds=("time",))
+    codes = judged.first().codes
+    assert not {"version", "kind", "trigger_venue", "horizon", "percentiles", "asset"} & set(codes)
+    assert {"spot:symbol", "spot:trades:missing", "futures:depth_latest:missing", "spot:depth_bands:missing", "futures:last_event_times"} <= set(codes)
+    assert judged.limit(0).count() == 0

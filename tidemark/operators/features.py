@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import quotes as Q
+from tidemark.operators import candles as C
 from tidemark.operators import flow
 from tidemark.operators.asof import asof_join, chunked, window_join, without_halo
 
@@ -40,24 +43,25 @@ def half(a: Column, b: Column) -> Column:
     return 0.5 * (F.coalesce(a, F.lit(0.0)) + F.coalesce(b, F.lit(0.0)))
 
 
-def build_features(prompts: DataFrame, *, trades: DataFrame, quotes: DataFrame, liquidations: DataFrame, depth: DataFrame, window_ms: int, flow_ms: int, last_n: int, lags: dict[str, int], vol_ms: int, liq_recent_ms: int, liq_unit: float, liq_long_unit: float, least: int = 6) -> DataFrame:
-    """Features of each prompt; what its windows lack is 0, but for the price, which is 1; ``quoted`` says if it is a quote's.
-
-    Each stream is joined to its prompts once, reduced to a row per prompt, and only those rows
-    are joined with each other.
-    """
+def _joined(prompts: DataFrame, *, trades: DataFrame, quotes: DataFrame, liquidations: DataFrame, depth: DataFrame, window_ms: int, flow_ms: int, last_n: int, lags: dict[str, int], vol_ms: int, liq_recent_ms: int, liq_unit: float, liq_long_unit: float, least: int = 6) -> DataFrame:
+    """A row per prompt of what its windows hold, by venue; null where they hold nothing."""
     book = by_venue(book_features(prompts, quotes, window_ms=window_ms, lags=lags, vol_ms=vol_ms, least=least), ["micro", "mid", "spread", "imb", "recv_ts_ms", *lags, "rv", "rng"])
     t = window_join(prompts, trades, keys=["asset"], at=AT, ts="recv_ts_ms", window_ms=window_ms)
     flows = by_venue(flow.trade_flow(t, keys=["asset", "venue"], at=AT, last_n=last_n, window_ms=flow_ms), ["flow", "flow_fast", "flow_window", "qty_window"])
     liq = flow.liquidation_signals(window_join(prompts, liquidations, keys=["asset"], at=AT, ts="recv_ts_ms", window_ms=window_ms), keys=["asset"], at=AT, recent_ms=liq_recent_ms, unit=liq_unit, long_unit=liq_long_unit)
-    d = flow.depth_imbalance(depth).select("asset", "venue", "seq", "recv_ts_ms", "obi", "top_obi")
-    deep = window_join(prompts, d, keys=["asset"], at=AT, ts="recv_ts_ms", window_ms=window_ms).groupBy(*PROMPT, "venue").agg(F.max_by(F.struct("obi", "top_obi"), F.struct("recv_ts_ms", "seq")).alias("d"))
-    deep = by_venue(deep.select(*PROMPT, "venue", "d.*"), ["obi", "top_obi"])
+    d = flow.depth_imbalance(depth).select("asset", "venue", "seq", "recv_ts_ms", "obi", "top_obi", depth_mid().alias("depth_mid"))
+    deep = window_join(prompts, d, keys=["asset"], at=AT, ts="recv_ts_ms", window_ms=window_ms).groupBy(*PROMPT, "venue").agg(F.max_by(F.struct("obi", "top_obi", "depth_mid"), F.struct("recv_ts_ms", "seq")).alias("d"))
+    deep = by_venue(deep.select(*PROMPT, "venue", "d.*"), ["obi", "top_obi", "depth_mid"])
     j = prompts.select(*PROMPT)
     for part in (book, flows, liq.drop("n"), deep):
         j = j.join(part, PROMPT, "left")
+    return j
+
+
+def _selected(j: DataFrame, price: Column, lags: dict[str, int], more: dict[str, Column] | None = None) -> DataFrame:
     zero = lambda c: F.coalesce(F.col(c), F.lit(0.0)).alias(c)
-    price = F.coalesce("s_micro", "s_mid", "f_micro", "f_mid", F.lit(1.0))
+    j = j.withColumn("__price", price)
+    price = F.col("__price")
     venues = [f"{p}_{c}" for p in "sf" for c in ("imb", *lags, "rv", "rng", "flow_window", "qty_window")]
     basis = F.when((F.col("s_micro") > 0) & F.col("f_micro").isNotNull(), (F.col("f_micro") - F.col("s_micro")) / F.col("s_micro")).otherwise(0.0)
     stale = F.greatest(F.col(AT) - F.col("s_recv_ts_ms"), F.col(AT) - F.col("f_recv_ts_ms"))
@@ -66,9 +70,92 @@ def build_features(prompts: DataFrame, *, trades: DataFrame, quotes: DataFrame,
         half(F.col("s_flow"), F.col("f_flow")).alias("flow"), half(F.col("s_flow_fast"), F.col("f_flow_fast")).alias("flow_fast"), *[zero(c) for c in venues], basis.alias("basis"),
         F.coalesce(F.col("s_spread") / price, F.lit(0.0)).alias("spread_rel"), F.coalesce(stale, F.lit(0)).alias("stale_ms"),
         F.coalesce("direction", F.lit(0.0)).alias("liq_dir"), F.coalesce("activity", F.lit(0.0)).alias("liq_hour"), F.coalesce("s_micro", "s_mid", "f_micro", "f_mid").isNotNull().alias("quoted"),
+        *[c.alias(n) for n, c in (more or {}).items()],
     )
 
 
+def build_features(prompts: DataFrame, *, lags: dict[str, int], **sources) -> DataFrame:
+    """Features of each prompt; what its windows lack is 0, but for the price, which is 1; ``quoted`` says if it is a quote's.
+
+    Each stream is joined to its prompts once, reduced to a row per prompt, and only those rows
+    are joined with each other. ``sources`` are the tables and windows of ``_joined``.
+    """
+    return _selected(_joined(prompts, lags=lags, **sources), F.coalesce("s_micro", "s_mid", "f_micro", "f_mid", F.lit(1.0)), lags)
+
+
+def depth_mid() -> Column:
+    """Mid of a snapshot's best levels, or the one side there is; null without either."""
+    best = lambda side: F.when(F.get(side, 0)["price"] > 0, F.get(side, 0)["price"])
+    return F.coalesce(0.5 * (best("bids") + best("asks")), best("bids"), best("asks"))
+
+
+def reference_price(candidates: list[Column], close: Column, *, most: float = 2.0) -> Column:
+    """The first positive, finite candidate within a factor ``most`` of the close; else the close; else 1.
+
+    Without a positive close every positive, finite candidate will do.
+    """
+    ref = F.when((close > 0) & (close < float("inf")), close)
+    fits = lambda p: F.when((p > 0) & (p < float("inf")) & F.coalesce(F.abs(F.ln(p / ref)) <= math.log(most), F.lit(True)), p)
+    return F.coalesce(*[fits(p) for p in candidates], ref, F.lit(1.0))
+
+
+def blended_vol(spot: Column, futures: Column, futures_complete: Column, *, share: float = 0.6) -> Column:
+    """``share`` of the spot's volatility and the rest of the futures'; spot stands in for futures whose history isn't complete or that shows none."""
+    f = F.when(futures_complete, futures).otherwise(spot)
+    return F.when(f > 0, share * spot + (1 - share) * f).otherwise(spot)
+
+
+def candle_tails(prompts: DataFrame, candles: DataFrame, *, bar_ms: int, history: int, steps: dict[str, int], slow: tuple[int, float], fast: tuple[int, float], chunk_bars: int, chunk_ms: int) -> DataFrame:
+    """Per prompt and venue of full candles: last close, log changes by ``steps``, EWMA volatilities, whether the history is complete.
+
+    A bar counts from its end on. ``slow`` and ``fast`` are (bars, decay); weights are by age at
+    the prompt. Changes come from the bars' own table and each prompt takes its last bar's; only
+    the bars of the slow volatility are joined to prompts.
+    """
+    first = candles.groupBy("asset", "venue").agg(F.min("open_time_ms").alias("first_ms"))
+    m = C.moves(candles.select("asset", "venue", "open_time_ms", "close"), keys=["asset", "venue"], steps=steps | {"__1": 1}, bar_ms=bar_ms, chunk_bars=chunk_bars)
+    m = m.withColumn("end_ms", F.col("open_time_ms") + bar_ms).select("asset", "venue", "end_ms", "close", *[f"r_{n}" for n in steps], F.col("r___1").alias("ret"))
+    asked = prompts.select(*PROMPT, F.explode(F.array(F.lit("spot"), F.lit("futures"))).alias("venue"))
+    last = asof_join(asked, m, keys=["asset", "venue"], left_ts=AT, right_ts="end_ms", seq="end_ms", chunk_ms=chunk_ms).filter("last is not null")
+    last = last.select(*PROMPT, "venue", "last.end_ms", "last.close", *[F.col(f"last.r_{n}").alias(n) for n in steps]).join(first, ["asset", "venue"])
+    last = last.withColumn("complete", F.col("end_ms") - F.col("first_ms") >= history * bar_ms).drop("end_ms", "first_ms")
+    w = window_join(prompts.select(*PROMPT), m.filter("ret is not null").select("asset", "venue", "end_ms", "ret"), keys=["asset"], at=AT, ts="end_ms", window_ms=slow[0] * bar_ms)
+    age = F.floor((F.col(AT) - F.col("end_ms")) / bar_ms)
+    vol = lambda n, decay: F.sqrt(C.ewma(F.when(age < n, F.col("ret") * F.col("ret")), age, decay))
+    vols = w.groupBy(*PROMPT, "venue").agg(vol(*slow).alias("vol"), vol(*fast).alias("vol_fast"))
+    return last.join(vols, [*PROMPT, "venue"], "left")
+
+
+def complete_features(prompts: DataFrame, *, candles: DataFrame, lags: dict[str, int], bar_ms: int, history: int, slow: tuple[int, float], fast: tuple[int, float], horizon_bars: int, band_width: float, band_reach: float, band_age_ms: int, chunk_bars: int, chunk_ms: int, **sources) -> DataFrame:
+    """All 36 features (with lags ``m1, m3, m5``) and ``quoted``: those of ``build_features``, with the price by ``reference_price``,
+    and what candles, depth bands and the last spot trade add.
+
+    ``s_last_trade`` and ``band_imb`` are 0 without a trade in the window, or a spot snapshot
+    younger than ``band_age_ms``; bands lie round their own snapshot's mid and are read round the
+    present one.
+    """
+    window_ms, trades, depth = sources["window_ms"], sources["trades"], sources["depth"]
+    j = _joined(prompts, lags=lags, **sources)
+    asked = prompts.select(*PROMPT, F.explode(F.array(F.lit("spot"), F.lit("futures"))).alias("venue"))
+    last = asof_join(asked, trades.select("asset", "venue", "seq", "recv_ts_ms", "price"), keys=["asset", "venue"], left_ts=AT, right_ts="recv_ts_ms", seq="seq", chunk_ms=chunk_ms, max_age_ms=window_ms - 1)
+    j = j.join(by_venue(last.select(*PROMPT, "venue", F.col("last.price").alias("trade")), ["trade"]), PROMPT, "left")
+    tails = candle_tails(prompts, candles, bar_ms=bar_ms, history=history, steps={"c1": 1, "c3": 3, "mom": horizon_bars}, slow=slow, fast=fast, chunk_bars=chunk_bars, chunk_ms=chunk_ms)
+    j = j.join(by_venue(tails, ["close", "c1", "c3", "mom", "vol", "vol_fast", "complete"]), PROMPT, "left")
+    names = ("s_micro", "s_mid", "f_micro", "f_mid", "s_depth_mid", "f_depth_mid", "s_close", "f_close", "s_trade", "f_trade")
+    price = reference_price([F.col(n) for n in names], F.coalesce("s_close", "f_close"))
+    snap = asof_join(j.select(*PROMPT, F.coalesce("s_mid", price).alias("mid")), depth.filter("venue = 'spot'").select("asset", "seq", "recv_ts_ms", "bids", "asks"), keys=["asset"], left_ts=AT, right_ts="recv_ts_ms", seq="seq", chunk_ms=chunk_ms, max_age_ms=band_age_ms)
+    snap = snap.filter("last is not null").select(*PROMPT, "mid", "last.bids", "last.asks").withColumn("anchor", depth_mid())
+    bands = flow.band_imbalance(flow.depth_bands(snap, id_cols=[*PROMPT, "anchor", "mid"], width=band_width), id_cols=PROMPT, width=band_width, reach=band_reach)
+    j = j.join(bands, PROMPT, "left")
+    none = lambda c: F.coalesce(F.col(c), F.lit(0.0))
+    whole = F.coalesce("f_complete", F.lit(False))
+    more = {
+        "vol_1s": blended_vol(none("s_vol"), none("f_vol"), whole), "vol_fast": none("s_vol_fast"), "momentum": half(F.col("s_mom"), F.when(whole, F.col("f_mom")).otherwise(F.col("s_mom"))), "c1": none("s_c1"), "c3": none("s_c3"),
+        "spot_complete": F.coalesce("s_complete", F.lit(False)).cast("double"), "fut_complete": whole.cast("double"), "band_imb": none("band_imb"), "s_last_trade": none("s_trade"),
+    }
+    return _selected(j, price, lags, more)
+
+
 def _held(candles: DataFrame, *, span: int, within: float, shares: dict[str, int], bar_ms: int) -> DataFrame:
     """Per asset and bar of the spot candles, the share of the last rolling windows of ``span`` closes that stay within a range."""
     halo = (max(shares.values()) + span) * bar_ms

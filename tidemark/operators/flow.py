@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import quotes as Q
-from tidemark.operators.asof import chunked, without_halo
+from tidemark.operators.asof import chunked, window_join, without_halo
 
 
 def signed_qty() -> Column:
@@ -67,6 +67,23 @@ def quote_ofi(quotes: DataFrame, *, keys: list[str], chunk_ms: int = 3_600_000)
     return without_halo(e).withColumn("ofi", F.col("bid_event") - F.col("ask_event")).withColumn("gross", F.abs("bid_event") + F.abs("ask_event"))
 
 
+def recent_ofi(prompts: DataFrame, events: DataFrame, *, window_ms: int, recent_ms: int = 1000, least: int = 8, least_recent: int = 3) -> DataFrame:
+    """Per prompt and venue, the net order flow of ``quote_ofi``'s latest events over their gross, in [-1, 1].
+
+    Events count from ``recent_ms`` before the window's last quote, that instant included; the
+    window's first quote has none before it and gives no event. 0 with fewer than ``least`` quotes in
+    the window, ``least_recent`` among the latest (the one before them included), or no change.
+    """
+    w = Window.partitionBy("asset", "current_time_ms", "venue")
+    j = window_join(prompts.select("asset", "current_time_ms"), events.select("asset", "venue", "seq", "recv_ts_ms", "ofi", "gross"), keys=["asset"], at="current_time_ms", ts="recv_ts_ms", window_ms=window_ms)
+    place = F.struct("recv_ts_ms", "seq")
+    j = j.withColumn("newest", F.max("recv_ts_ms").over(w)).withColumn("latest", (F.col("recv_ts_ms") >= F.col("newest") - recent_ms) & (place > F.min(place).over(w)))
+    of = lambda c: F.coalesce(F.sum(F.when(F.col("latest"), F.col(c))), F.lit(0.0))
+    s = j.groupBy("asset", "current_time_ms", "venue").agg(F.count(F.lit(1)).alias("n"), F.count_if("latest").alias("n_recent"), of("ofi").alias("net"), of("gross").alias("gross"))
+    enough = (F.col("n") >= least) & (F.col("n_recent") + 1 >= least_recent) & (F.col("gross") > 0)
+    return s.withColumn("value", F.when(enough, F.col("net") / F.col("gross")).otherwise(0.0))
+
+
 def book_momentum(quotes: DataFrame, *, keys: list[str], lookback_ms: int, lags: dict[str, int], chunk_ms: int = 3_600_000) -> DataFrame:
     """Log change of the microprice since the last tick at least so long ago, within the lookback; else 0.
 

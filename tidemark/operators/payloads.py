@@ -59,3 +59,79 @@ def payload_violations(payloads: DataFrame, *, assets: tuple[str, ...], least_ve
         if "quotes" in c:
             rules.append(F.when(F.exists(c, lambda x: F.coalesce(x["bid_price"] > x["ask_price"], F.lit(False))), f"{c}:crossed"))
     return payloads.withColumn("codes", F.array_compact(F.array(*rules)))
+
+
+def _out_of_order(rows: str, field: str, *, rising: bool) -> Column:
+    """Whether a value lies on the wrong side of the one before it."""
+    t = F.transform(rows, lambda x: x[field])
+    wrong = (lambda b, a: b < a) if rising else (lambda b, a: b > a)
+    return F.exists(F.zip_with(F.slice(t, 2, F.greatest(F.size(t) - 1, F.lit(0))), t, wrong), lambda x: F.coalesce(x, F.lit(False)))
+
+
+def _lacks(rows: str, *fields: str) -> Column:
+    """Whether a row lacks one of the fields."""
+    return F.exists(rows, lambda x: F.coalesce(*[F.when(x[f].isNull(), True) for f in fields], F.lit(False)))
+
+
+def _venue_rules(v: str, symbol: Column, bucket: Column, *, bars: int, bar_ms: int) -> list[tuple[str, Column]]:
+    at = f"venues.{v}"
+    col = lambda name: F.col(f"{at}.{name}")
+    none = lambda c: F.coalesce(c, F.lit(False))
+    futures = v == "futures"
+    rules = [(f"{v}:symbol", symbol.isNotNull() & ~none(col("symbol") == symbol))]
+    needed = {"candles_1s": ("open_time_ms", "open", "high", "low", "close", "volume"), "trades": ("ts_ms", "event_ts_ms", "recv_ts_ms", "price", "qty", "buyer_is_maker"), "book_ticker": ("recv_ts_ms", "bid_price", "bid_qty", "ask_price", "ask_qty"), "liquidations": ("ts_ms", "recv_ts_ms", "price", "qty", "is_buy")}
+    for stream, fields in needed.items():
+        rules.append((f"{v}:{stream}:missing", col(stream).isNull()))
+        rules.append((f"{v}:{stream}:fields", _lacks(f"{at}.{stream}", *fields)))
+        rules.append((f"{v}:{stream}:time_order", _out_of_order(f"{at}.{stream}", fields[0] if stream == "candles_1s" else "recv_ts_ms", rising=True)))
+    opened = F.transform(f"{at}.candles_1s", lambda x: x["open_time_ms"])
+    whole = (F.size(opened) >= bars) & (F.array_max(opened) - F.array_min(opened) >= (bars - 1) * bar_ms)
+    rules.append((f"{v}:complete_history", ~none(col("complete_history") == none(whole))))
+    timed = lambda x: x["event_ts_ms"].isNotNull() & x["transaction_ts_ms"].isNotNull()
+    blank = lambda x: x["event_ts_ms"].isNull() & x["transaction_ts_ms"].isNull()
+    rules.append((f"{v}:book_ticker:times", F.exists(f"{at}.book_ticker", lambda x: ~(timed(x) if futures else blank(x)))))
+    for snap in ("depth_start", "depth_latest"):
+        rules.append((f"{v}:{snap}:missing", col(snap).isNull()))
+        rules.append((f"{v}:{snap}:times", col(snap).isNotNull() & ~(timed(col(snap)) if futures else blank(col(snap)))))
+        for side in ("bids", "asks"):
+            rules.append((f"{v}:{snap}:{side}", col(snap).isNotNull() & F.coalesce(_lacks(f"{at}.{snap}.{side}", "price", "qty"), F.lit(True))))
+            rules.append((f"{v}:{snap}:{side}_order", _out_of_order(f"{at}.{snap}.{side}", "price", rising=side == "asks")))
+    ids = (lambda x: x["transaction_ts_ms"].isNull() | x["prev_final_id"].isNull()) if futures else (lambda x: x["transaction_ts_ms"].isNotNull())
+    rules.append((f"{v}:depth_updates:fields", _lacks(f"{at}.depth_updates", "event_ts_ms")))
+    rules.append((f"{v}:depth_updates:ids", F.exists(f"{at}.depth_updates", ids)))
+    if not futures:
+        rules.append((f"{v}:liquidations:not_empty", F.size(f"{at}.liquidations") > 0))
+    b = lambda name: col(f"depth_bands.{name}")
+    sizes = F.size(F.coalesce(b("bids"), F.array())) + F.size(F.coalesce(b("asks"), F.array()))
+    there = col("depth_bands").isNotNull()
+    rules.append((f"{v}:depth_bands:missing", ~there | b("recv_ts_ms").isNull()))
+    if futures:
+        rules.append((f"{v}:depth_bands:not_empty", (b("recv_ts_ms") != 0) | (sizes > 0)))
+    else:
+        rules.append((f"{v}:depth_bands:not_empty", (b("recv_ts_ms") == 0) & (sizes > 0)))
+        rules.append((f"{v}:depth_bands:shape", (b("recv_ts_ms") != 0) & ~none((F.size(b("bids")) == F.size(b("asks"))) & (b("bucket_usd") > 0))))
+        rules.append((f"{v}:depth_bands:anchor", (b("recv_ts_ms") != 0) & ~none(b("anchor_price") > 0)))
+    rules.append((f"{v}:depth_bands:bucket", there & bucket.isNotNull() & ~none(F.abs(b("bucket_usd") - bucket) <= F.greatest(F.lit(1e-9), 1e-6 * bucket))))
+    times = f"{at}.last_event_times"
+    rules.append((f"{v}:last_event_times", F.col(times).isNull() | F.exists(F.map_values(times), lambda t: t.isNull())))
+    return rules
+
+
+def saved_payload_violations(payloads: DataFrame, *, assets: dict[str, tuple[str, float]], kinds: tuple[str, ...], venues: tuple[str, ...] = ("spot", "futures"), version: int = 5, horizon: int = 10, percentiles: int = 100, bars: int = 3600, bar_ms: int = 1000) -> DataFrame:
+    """Saved payloads (of ``files.PAYLOAD``'s columns) with ``codes``: all rules a row breaks, in order; empty for a good one.
+
+    ``assets`` gives each asset's symbol and width of depth bands. In a typed row a field that
+    was absent is null, so the two are one. A row without venues lacks everything of theirs; of
+    a missing stream only that is said.
+    """
+    known = lambda i: F.coalesce(*[F.when(F.col("asset") == a, F.lit(spec[i])) for a, spec in assets.items()])
+    off = lambda c: ~F.coalesce(c, F.lit(False))
+    kind, venue = F.col("trigger.kind"), F.col("trigger.venue")
+    placed = F.when(kind == "time", venue.isNull()).otherwise(venue.isin(*venues))
+    rules = [
+        ("version", off(F.col("schema_version") >= version)), ("current_time", off(F.col("current_time_ms") > 0)), ("kind", off(kind.isin(*kinds))), ("trigger_venue", kind.isin(*kinds) & off(placed)),
+        ("horizon", off(F.col("horizon_seconds") == horizon)), ("percentiles", off(F.col("num_percentiles") == percentiles)), ("asset", off(F.col("asset").isin(*assets))),
+    ]
+    for v in ("spot", "futures"):
+        rules += _venue_rules(v, known(0), known(1), bars=bars, bar_ms=bar_ms)
+    return payloads.withColumn("codes", F.array_compact(F.array(*[F.when(broken, F.lit(code)) for code, broken in rules])))

@@ -119,6 +119,22 @@ def exclusive_percentile(values: DataFrame, *, by: list[str], value: str, p: flo
     return ends.select(*by, "n", F.when(F.col("n") < least, F.col("top")).otherwise(between).alias("percentile"))
 
 
+def run_report(runs: DataFrame, *, by: list[str], budget_ms: float) -> DataFrame:
+    """``run_summary`` of the readable rows, with ``n_unreadable`` and the latencies against the budget.
+
+    ``runs`` has ``readable`` and ``latency_ms`` beside a score's columns. The 95th percentile is
+    the exclusive one; ``within_budget`` is that the median keeps to the budget. A group without
+    a readable row gives only its count.
+    """
+    good = runs.filter("readable")
+    p95 = exclusive_percentile(good, by=by, value="latency_ms", p=0.95).select(*by, F.col("percentile").alias("p95_ms"))
+    took = good.groupBy(*by).agg(F.percentile("latency_ms", F.lit(0.5)).alias("median_ms"), F.max("latency_ms").alias("max_ms")).withColumn("within_budget", F.col("median_ms") <= budget_ms)
+    out = runs.groupBy(*by).agg(F.count_if(~F.coalesce("readable", F.lit(False))).alias("n_unreadable"))
+    for part in (run_summary(good, by=by), took, p95):
+        out = out.join(part, by, "left")
+    return out
+
+
 def rolling_crps(scores: DataFrame, *, by: list[str], window_ms: int, step_ms: int, least: int) -> DataFrame:
     """Mean CRPS in windows stepped through time; each row goes to the windows that hold it."""
     first = (F.floor(F.col("current_time_ms") / step_ms) - (window_ms // step_ms - 1)) * step_ms

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from tidemark.functions import ladders as L
 from tidemark.functions import quotes as Q
 from tidemark.operators import candles as C
-from tidemark.operators import forecast
-from tidemark.plans.queries import HOUR, KEY, all_moves, answers, moved, priced, query, r, signal_rows, spot
+from tidemark.operators import features, flow, forecast, payloads, scoring
+from tidemark.plans.queries import CHUNK, HOUR, KEY, all_moves, all_scores, answers, full_candles, moved, priced, query, r, signal_rows, spot
 from tidemark.scratch import fresh
 from tidemark.sources import files
 from tidemark.sources import messages as M
@@ -271,3 +271,65 @@ def x10_trailing_window(spark, sf_dir):
     s = streamed(spark, T.trades(spark, sf_dir), "x10-source")
     out = drained(jobs.stream_trailing_window(s, keys=KEY, window_ms=6 * HOUR, delay="1 hour"), "x10")
     return out.select(*KEY, "seq", "n", r("trailing").alias("trailing"))
+
+
+@query
+def q2_all_features(spark, sf_dir):
+    """All 36 features; an hour for a second, and 24 bars for the volatility's 120."""
+    f = features.complete_features(
+        T.clock_prompts(spark, sf_dir), trades=T.trades(spark, sf_dir), quotes=T.quotes(spark, sf_dir), liquidations=T.liquidations(spark, sf_dir), depth=T.depth(spark, sf_dir), candles=full_candles(spark, sf_dir),
+        window_ms=6 * HOUR, flow_ms=2 * HOUR, last_n=5, lags={"m1": HOUR, "m3": 3 * HOUR, "m5": 5 * HOUR}, vol_ms=5 * HOUR, liq_recent_ms=HOUR, liq_unit=10.0, liq_long_unit=100.0, least=3,
+        bar_ms=HOUR, history=600, slow=(24, 0.94), fast=(12, 0.85), horizon_bars=10, band_width=0.05, band_reach=0.1, band_age_ms=4 * HOUR, chunk_bars=48, chunk_ms=CHUNK,
+    ).drop("quoted")
+    return f.select("asset", "current_time_ms", *[c if c == "stale_ms" else r(c).alias(c) for c in f.columns[2:]])
+
+
+@query
+def w4_recent_ofi(spark, sf_dir):
+    o = flow.recent_ofi(T.clock_prompts(spark, sf_dir), flow.quote_ofi(T.quotes(spark, sf_dir), keys=KEY), window_ms=6 * HOUR, recent_ms=2 * HOUR, least=5)
+    return o.select("asset", "current_time_ms", "venue", "n", "n_recent", r("value").alias("value"))
+
+
+@query
+def a19_run_report(spark, sf_dir):
+    """The runs' latencies and readability are made of the prompt's hour and the model's number."""
+    hour, no = F.col("current_time_ms") / HOUR, F.substring("model", 2, 1).cast("int")
+    runs = all_scores(spark, sf_dir).withColumns({"readable": (hour + no) % 13 != 0, "latency_ms": 0.5 + (hour * 7 + no * 3) % 11})
+    out = scoring.run_report(runs, by=["asset", "model"], budget_ms=5.0)
+    return out.select("asset", "model", "n", "n_scored", "n_unreadable", r("crps_mean").alias("crps_mean"), "median_ms", r("p95_ms").alias("p95_ms"), "max_ms", "within_budget")
+
+
+@query
+def p6_payload_rules(spark, sf_dir):
+    """Payloads made of spot ticks, fifteen of sixteen with a fault each; one asset is unknown."""
+    t = T.ticks(spark, sf_dir).filter("venue = 'spot' and seq % 25 = 0")
+    fault = F.floor(F.col("seq") / 25) % 16
+    bad = lambda n, wrong, right: F.when(fault == n, wrong).otherwise(right)
+    at, null = F.col("recv_ts_ms"), F.lit(None).cast("long")
+    level = lambda p: F.struct(p.alias("price"), F.lit(1.0).alias("qty"))
+
+    def venue(name: str):
+        far, near = F.array(level(F.col("bid_price") - 1), level(F.col("bid_price"))), F.array(level(F.col("bid_price")), level(F.col("bid_price") - 1))
+        time = at if name == "futures" else null
+        of = lambda n, wrong, right, v="spot": bad(n, wrong, right) if name == v else right
+        trade = lambda ms, price: F.struct("ts_ms", ms.alias("event_ts_ms"), ms.alias("recv_ts_ms"), price.alias("price"), "qty", "buyer_is_maker")
+        snap = lambda event, bids: F.struct(event.alias("event_ts_ms"), time.alias("transaction_ts_ms"), bids.alias("bids"), F.array(level(F.col("ask_price"))).alias("asks"))
+        sizes = F.array(F.lit(1.0), F.lit(2.0))
+        liq = F.array(F.struct(at.alias("ts_ms"), "recv_ts_ms", "price", "qty", "is_buy"))
+        bands = F.struct(F.lit(100.0).alias("anchor_price"), of(12, F.lit(2.0), F.lit(0.5)).alias("bucket_usd"), sizes.alias("bids"), of(11, F.array(F.lit(1.0)), sizes).alias("asks"), at.alias("recv_ts_ms")) if name == "spot" else F.struct(F.lit(0.0).alias("anchor_price"), F.lit(0.5).alias("bucket_usd"), F.array().cast("array<double>").alias("bids"), F.array().cast("array<double>").alias("asks"), F.lit(0).cast("long").alias("recv_ts_ms"))
+        bars = F.transform(F.array(F.lit(2), F.lit(1)), lambda k: F.struct((at - k * 1000).alias("open_time_ms"), *[F.col("price").alias(c) for c in ("open", "high", "low", "close")], F.col("qty").alias("volume")))
+        return F.struct(
+            of(5, F.lit("?"), F.upper("asset")).alias("symbol"), of(13, F.lit(False), F.lit(True)).alias("complete_history"), bars.alias("candles_1s"),
+            F.array(trade(of(6, at + 5, at - 5), F.col("price")), trade(at, of(15, F.lit(None).cast("double"), F.col("price")))).alias("trades"),
+            F.array(F.struct("recv_ts_ms", "bid_price", "bid_qty", "ask_price", "ask_qty", of(9, at, time).alias("event_ts_ms"), time.alias("transaction_ts_ms"))).alias("book_ticker"),
+            (liq if name == "futures" else F.when(fault == 10, liq).otherwise(F.slice(liq, 1, 0))).alias("liquidations"),
+            F.array(F.struct("recv_ts_ms", at.alias("event_ts_ms"), time.alias("transaction_ts_ms"), of(14, null, time, "futures").alias("prev_final_id"))).alias("depth_updates"),
+            snap(of(8, null, time, "futures"), near).alias("depth_start"), snap(time, of(7, far, near)).alias("depth_latest"), bands.alias("depth_bands"), F.create_map(F.lit("trades"), at).alias("last_event_times"),
+        )
+
+    trigger = F.struct(bad(3, F.lit("other"), F.lit("time")).alias("kind"), bad(4, F.lit("spot"), F.lit(None).cast("string")).alias("venue"))
+    body = F.struct(bad(1, F.lit(4), F.lit(5)).alias("schema_version"), "asset", at.alias("current_time_ms"), bad(2, F.lit(60), F.lit(10)).alias("horizon_seconds"), F.lit(100).alias("num_percentiles"), trigger.alias("trigger"), F.struct(venue("spot").alias("spot"), venue("futures").alias("futures")).alias("venues"))
+    path = fresh(spark, "judged")
+    t.select(F.to_json(body).alias("value")).write.text(path)
+    judged = payloads.saved_payload_violations(spark.read.schema(files.PAYLOAD).json(path), assets={a: (a.upper(), 0.5) for a in ("click", "error", "purchase")}, kinds=("time", "event"), bars=2, bar_ms=1000)
+    return judged.select("asset", "current_time_ms", F.array_join("codes", ",").alias("codes"))

@@ -2,8 +2,73 @@
 
 from __future__ import annotations
 
-from tidemark.plans.sql import ALL_PROMPTS, CANDLES, DELAYED, LABELS, LEVELS, SIGNALS, H, _sql
+from tidemark.plans.sql import ALL_PROMPTS, CANDLES, DELAYED, FEATURE_NAMES, FEATURES, LABELS, LEVELS, SCORES, SIGNALS, H, _sql
 
+ALL_FEATURES = f""",
+b5 AS (SELECT asset, current_time_ms, venue, arg_max(micro, recv_ts_ms) AS micro, arg_max(micro, recv_ts_ms) FILTER (WHERE recv_ts_ms <= newest - 5 * {H}) AS at5 FROM qw GROUP BY ALL),
+m5 AS (SELECT asset, current_time_ms, max(ln(micro / at5)) FILTER (WHERE venue = 'spot') AS s_m5, max(ln(micro / at5)) FILTER (WHERE venue = 'futures') AS f_m5 FROM b5 GROUP BY ALL),
+cm AS (SELECT *, open_time_ms + {H} AS end_ms, (open_time_ms - min(open_time_ms) OVER (PARTITION BY asset, venue)) // {H} + 1 >= 600 AS complete FROM moved),
+ew AS (
+  SELECT p.asset, p.t AS current_time_ms, venue, sqrt(sum(pow(0.94, a) * r_one * r_one) / sum(pow(0.94, a))) AS vol, sqrt(sum(pow(0.85, a) * r_one * r_one) FILTER (WHERE a < 12) / sum(pow(0.85, a)) FILTER (WHERE a < 12)) AS fast
+  FROM (SELECT p.asset, p.t, c.venue, c.r_one, (p.t - c.end_ms) // {H} AS a FROM prompts p JOIN cm c ON c.asset = p.asset AND c.end_ms <= p.t AND c.end_ms > p.t - 24 * {H} WHERE r_one IS NOT NULL) p GROUP BY ALL
+),
+cs AS (SELECT p.asset, p.t, c.* EXCLUDE (asset) FROM prompts p ASOF JOIN (SELECT * FROM cm WHERE venue = 'spot') c ON p.asset = c.asset AND p.t >= c.end_ms),
+cf AS (SELECT p.asset, p.t, c.* EXCLUDE (asset) FROM prompts p ASOF JOIN (SELECT * FROM cm WHERE venue = 'futures') c ON p.asset = c.asset AND p.t >= c.end_ms),
+ts AS (SELECT p.asset, p.t, k.* EXCLUDE (asset, venue) FROM prompts p ASOF JOIN spot k ON p.asset = k.asset AND p.t >= k.recv_ts_ms),
+tg AS (SELECT p.asset, p.t, k.price, k.recv_ts_ms FROM prompts p ASOF JOIN (SELECT * FROM quotes WHERE venue = 'futures') k ON p.asset = k.asset AND p.t >= k.recv_ts_ms),
+parts AS (
+  SELECT f.* EXCLUDE (price, mid, spread_rel), f.mid AS old_mid, pv.s_spread, pv.s_micro, pv.s_mid, pv.f_micro, pv.f_mid, cs.close AS s_close, cf.close AS f_close, coalesce(m5.s_m5, 0) AS s_m5, coalesce(m5.f_m5, 0) AS f_m5,
+    CASE WHEN ts.recv_ts_ms > f.current_time_ms - 6 * {H} THEN ts.price END AS s_trade, CASE WHEN tg.recv_ts_ms > f.current_time_ms - 6 * {H} THEN tg.price END AS f_trade,
+    ts.seq AS band_seq, ts.recv_ts_ms AS band_ms, ts.bid_price, ts.ask_price, coalesce(es.vol, 0) AS sv, coalesce(ef.vol, 0) AS fv, coalesce(es.fast, 0) AS vol_fast, coalesce(cs.r_one, 0) AS c1, coalesce(cs.r_three, 0) AS c3,
+    coalesce(cs.r_ten, 0) AS s_mom, coalesce(cf.r_ten, 0) AS f_mom, coalesce(cs.complete, false) AS s_whole, coalesce(cf.complete, false) AS f_whole
+  FROM feat f JOIN pv USING (asset, current_time_ms) LEFT JOIN m5 USING (asset, current_time_ms)
+  LEFT JOIN cs ON cs.asset = f.asset AND cs.t = f.current_time_ms LEFT JOIN cf ON cf.asset = f.asset AND cf.t = f.current_time_ms
+  LEFT JOIN ts ON ts.asset = f.asset AND ts.t = f.current_time_ms LEFT JOIN tg ON tg.asset = f.asset AND tg.t = f.current_time_ms
+  LEFT JOIN ew es ON es.asset = f.asset AND es.current_time_ms = f.current_time_ms AND es.venue = 'spot' LEFT JOIN ew ef ON ef.asset = f.asset AND ef.current_time_ms = f.current_time_ms AND ef.venue = 'futures'
+),
+refs AS (
+  SELECT *, coalesce(list_filter([s_micro, s_mid, f_micro, f_mid, s_close, f_close, s_trade, f_trade], lambda x: x > 0 AND coalesce(x / coalesce(s_close, f_close) BETWEEN 0.5 AND 2, true))[1], s_close, f_close, 1.0) AS price FROM parts
+),
+mids AS (SELECT *, coalesce(s_mid, price) AS mid, coalesce(s_spread / price, 0) AS spread_rel, 0.5 * (bid_price + ask_price) AS anchor, CASE WHEN f_whole THEN fv ELSE sv END AS fw FROM refs),
+bl AS (
+  SELECT m.asset, m.current_time_ms, anchor, mid, side, unnest(range(20)) AS i, bid_price, ask_price, band_seq FROM mids m CROSS JOIN (VALUES ('bid'), ('ask')) sides(side) WHERE band_ms >= current_time_ms - 4 * {H}
+),
+bb AS (
+  SELECT asset, current_time_ms, side, anchor, mid, (1 + (band_seq + i) % 9)::DOUBLE AS qty,
+    CASE WHEN side = 'bid' THEN ceil((anchor - (bid_price + i * -0.01::DOUBLE)) / 0.05::DOUBLE - 1e-9) - 1 ELSE floor((ask_price + i * 0.01::DOUBLE - anchor) / 0.05::DOUBLE + 1e-9) END::INT AS band FROM bl
+),
+bs AS (
+  SELECT asset, current_time_ms, coalesce(sum(qty) FILTER (WHERE side = 'bid' AND anchor - band * 0.05::DOUBLE > mid - 0.1::DOUBLE AND anchor - (band + 1) * 0.05::DOUBLE < mid), 0) AS b,
+    coalesce(sum(qty) FILTER (WHERE side = 'ask' AND anchor + band * 0.05::DOUBLE < mid + 0.1::DOUBLE AND anchor + (band + 1) * 0.05::DOUBLE > mid), 0) AS a FROM bb WHERE band BETWEEN 0 AND 99 GROUP BY ALL
+),
+whole AS (
+  SELECT m.*, CASE WHEN fw > 0 THEN 0.6 * sv + 0.4 * fw ELSE sv END AS vol_1s, 0.5 * (s_mom + CASE WHEN f_whole THEN f_mom ELSE s_mom END) AS momentum, s_whole::INT::DOUBLE AS spot_complete, f_whole::INT::DOUBLE AS fut_complete,
+    CASE WHEN coalesce(a + b, 0) > 0 THEN (b - a) / (a + b) ELSE 0 END AS band_imb, coalesce(s_trade, 0) AS s_last_trade
+  FROM mids m LEFT JOIN bs USING (asset, current_time_ms)
+)
+"""
+MORE_NAMES = ("s_m5", "f_m5", "vol_1s", "vol_fast", "momentum", "c1", "c3", "spot_complete", "fut_complete", "band_imb", "s_last_trade")
+OFI = f""",
+ev AS (SELECT *, lag(bid_price) OVER w AS bp, lag(bid_qty) OVER w AS bq, lag(ask_price) OVER w AS ap, lag(ask_qty) OVER w AS aq FROM quotes WINDOW w AS (PARTITION BY asset, venue ORDER BY recv_ts_ms, seq)),
+es AS (
+  SELECT *, CASE WHEN bp IS NULL THEN 0 WHEN bid_price > bp THEN bid_qty WHEN bid_price = bp THEN bid_qty - bq ELSE -bq END AS eb,
+    CASE WHEN ap IS NULL THEN 0 WHEN ask_price < ap THEN ask_qty WHEN ask_price = ap THEN ask_qty - aq ELSE -aq END AS ea FROM ev
+),
+ow AS (
+  SELECT p.asset, p.t AS current_time_ms, venue, eb, ea, recv_ts_ms >= max(recv_ts_ms) OVER w - 2 * {H} AND row_number() OVER (w ORDER BY recv_ts_ms, seq) > 1 AS latest
+  FROM prompts p JOIN es k ON k.asset = p.asset AND k.recv_ts_ms > p.t - 6 * {H} AND k.recv_ts_ms <= p.t WINDOW w AS (PARTITION BY p.asset, p.t, venue)
+),
+os AS (SELECT asset, current_time_ms, venue, count(*) AS n, count(*) FILTER (WHERE latest) AS n_recent, sum(eb - ea) FILTER (WHERE latest) AS net, sum(abs(eb) + abs(ea)) FILTER (WHERE latest) AS gross FROM ow GROUP BY ALL)
+"""
+RUNS = """,
+runs AS (SELECT *, (current_time_ms // 3600000 + substr(model, 2)::INT) % 13 <> 0 AS readable, 0.5::DOUBLE + (current_time_ms // 3600000 * 7 + substr(model, 2)::INT * 3) % 11 AS took FROM scores),
+rs AS (
+  SELECT asset, model, count(*) FILTER (WHERE readable) AS n, count(crps) FILTER (WHERE readable) AS n_scored, count(*) FILTER (WHERE NOT readable) AS n_unreadable, avg(crps) FILTER (WHERE readable) AS crps_mean,
+    quantile_cont(took, 0.5) FILTER (WHERE readable) AS median_ms, max(took) FILTER (WHERE readable) AS max_ms, list(took ORDER BY took) FILTER (WHERE readable) AS all_ms FROM runs GROUP BY ALL
+)
+"""
+#: What each fault of ``captures.p6_payload_rules`` breaks.
+FAULTS = {1: "version", 2: "horizon", 3: "kind", 4: "trigger_venue", 5: "spot:symbol", 6: "spot:trades:time_order", 7: "spot:depth_latest:bids_order", 8: "futures:depth_start:times", 9: "spot:book_ticker:times", 10: "spot:liquidations:not_empty", 11: "spot:depth_bands:shape", 12: "spot:depth_bands:bucket", 13: "spot:complete_history", 14: "futures:depth_updates:ids", 15: "spot:trades:fields"}
 #: The files of ``captures.payload_files``: a payload for each of these ticks.
 SAVED = ", saved AS (SELECT * FROM spot WHERE seq % 25 = 0)"
 TRADE_MOVES = """,
@@ -60,4 +125,12 @@ def oracle_sql() -> dict[str, str]:
         "x7_sliding_flow": _sql("", f"SELECT asset, venue, f AS from_ms, f + 6 * {H} AS to_ms, sum(CASE WHEN buyer_is_maker THEN -qty ELSE qty END) AS flow, sum(qty) AS volume, count(*) AS n FROM (SELECT *, unnest(range((recv_ts_ms // (2 * {H}) - 2) * 2 * {H}, recv_ts_ms // (2 * {H}) * 2 * {H} + 1, 2 * {H})) AS f FROM ticks) GROUP BY asset, venue, f"),
         "x8_activity_sessions": _sql(", g AS (SELECT *, (recv_ts_ms - lag(recv_ts_ms) OVER w > 1800000)::INT AS new FROM ticks WINDOW w AS (PARTITION BY asset ORDER BY recv_ts_ms)), s AS (SELECT *, sum(coalesce(new, 0)) OVER (PARTITION BY asset ORDER BY recv_ts_ms) AS k FROM g)", "SELECT asset, min(recv_ts_ms) AS from_ms, max(recv_ts_ms) + 1800000 AS to_ms, count(*) AS n, sum(qty) AS qty FROM s GROUP BY asset, k"),
         "x10_trailing_window": _sql("", f"SELECT asset, venue, seq, count(*) OVER w AS n, round(sum(qty) OVER w, 6) AS trailing FROM ticks WINDOW w AS (PARTITION BY asset, venue ORDER BY recv_ts_ms RANGE BETWEEN {6 * H - 1} PRECEDING AND CURRENT ROW)"),
+        "q2_all_features": _sql(FEATURES + CANDLES + ALL_FEATURES, "SELECT asset, current_time_ms, stale_ms, " + ", ".join(f"round({c}, 6) + 0.0::DOUBLE AS {c}" for c in (*FEATURE_NAMES, *MORE_NAMES)) + " FROM whole"),
+        "w4_recent_ofi": _sql(OFI, "SELECT asset, current_time_ms, venue, n, n_recent, round(CASE WHEN n >= 5 AND n_recent >= 2 AND gross > 0 THEN net / gross ELSE 0 END, 6) + 0.0::DOUBLE AS value FROM os"),
+        "a19_run_report": _sql(SCORES + RUNS, "SELECT asset, model, n, n_scored, n_unreadable, round(crps_mean, 6) AS crps_mean, median_ms, round(CASE WHEN n < 20 THEN max_ms ELSE all_ms[floor(0.95::DOUBLE * (n + 1))::INT] + (0.95::DOUBLE * (n + 1) - floor(0.95::DOUBLE * (n + 1))) * (all_ms[floor(0.95::DOUBLE * (n + 1))::INT + 1] - all_ms[floor(0.95::DOUBLE * (n + 1))::INT]) END, 6) AS p95_ms, max_ms, median_ms <= 5 AS within_budget FROM rs"),
+        "p6_payload_rules": _sql(
+            ", f AS (SELECT asset, recv_ts_ms AS current_time_ms, seq // 25 % 16 AS fault FROM spot WHERE seq % 25 = 0)",
+            "SELECT asset, current_time_ms, concat_ws(',', CASE WHEN fault <= 4 THEN what END, CASE WHEN asset NOT IN ('click', 'error', 'purchase') THEN 'asset' END, CASE WHEN fault > 4 AND (asset IN ('click', 'error', 'purchase') OR fault NOT IN (5, 12)) THEN what END) AS codes FROM f LEFT JOIN (VALUES "
+            + ", ".join(f"({n}, '{code}')" for n, code in FAULTS.items()) + ") w(fault, what) USING (fault)",
+        ),
     }
