@@ -81,5 +81,14 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.select("doc_id", "size", F.col("__source_size").alias("source_size"), F.round("__target", 3).alias("target"), (F.col("__copies") * F.col("__size")).alias("taken"))
 
 
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm import fill_middle
+
+    out = fill_middle.transformed(table(spark, sf_dir, "documents"))
+    chars = [F.length(c).cast("long").alias(f"{c}_chars") for c in ("prefix", "middle")]
+    whole = fill_middle.restored(F.col("output"), F.col("form"))
+    return out.select("doc_id", "n", "form", *chars, F.sha2("output", 256).alias("output_sha256"), F.sha2(whole, 256).alias("restored_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}

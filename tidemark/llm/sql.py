@@ -116,6 +116,34 @@ SELECT r.page_id, r.host, r.path, r.rule, coalesce(by_rule, CASE WHEN s.score >=
 FROM ruled r LEFT JOIN scored s ON s.url = coalesce(r.url, '') CROSS JOIN best
 """
 
+OP13 = r"""
+WITH cut AS (
+  SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || coalesce(doc_id::VARCHAR, '')) AS digest,
+         regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS units
+  FROM documents
+),
+drawn AS (
+  SELECT doc_id, text, units, len(units)::BIGINT AS n, ('0x' || substr(digest, 1, 8))::BIGINT % (len(units) + 1) AS a,
+         ('0x' || substr(digest, 9, 8))::BIGINT % (len(units) + 1) AS b,
+         CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>')
+                OR ('0x' || substr(digest, 17, 8))::BIGINT % 100 >= 50 THEN 'plain'
+              WHEN ('0x' || substr(digest, 25, 8))::BIGINT % 100 < 80 THEN 'spm' ELSE 'psm' END AS form
+  FROM cut
+),
+parts AS (
+  SELECT doc_id, text, n, form, coalesce(array_to_string(units[1:least(a, b)], ''), '') AS prefix,
+         coalesce(array_to_string(units[least(a, b) + 1:greatest(a, b)], ''), '') AS middle,
+         coalesce(array_to_string(units[greatest(a, b) + 1:], ''), '') AS suffix
+  FROM drawn
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+       sha256(CASE form WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+                        WHEN 'spm' THEN '<S>' || suffix || '<P>' || prefix || '<M>' || middle ELSE text END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM parts
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": OP2, "op5_url_filter": OP5, "op10_mixing": OP10}
+    return {"op2_line_dedup": OP2, "op5_url_filter": OP5, "op10_mixing": OP10, "op13_fill_in_middle": OP13}
