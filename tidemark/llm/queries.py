@@ -81,6 +81,12 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.select("doc_id", "size", F.col("__source_size").alias("source_size"), F.round("__target", 3).alias("target"), (F.col("__copies") * F.col("__size")).alias("taken"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.divergence import audited
+
+    return audited(table(spark, sf_dir, "documents"))
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm import fill_middle
 

@@ -116,6 +116,34 @@ SELECT r.page_id, r.host, r.path, r.rule, coalesce(by_rule, CASE WHEN s.score >=
 FROM ruled r LEFT JOIN scored s ON s.url = coalesce(r.url, '') CROSS JOIN best
 """
 
+OP11 = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents
+),
+found AS (SELECT row, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM docs),
+totals AS (SELECT lang, term, count(*) AS total FROM found GROUP BY ALL HAVING count(DISTINCT row) >= 30),
+groups AS (SELECT DISTINCT lang, source FROM docs),
+kinds AS (SELECT g.lang, count(t.term) AS v, coalesce(sum(t.total), 0) AS n FROM (SELECT DISTINCT lang FROM docs) g LEFT JOIN totals t USING (lang) GROUP BY ALL),
+counts AS (SELECT lang, source, term, count(*) AS n FROM found JOIN totals USING (lang, term) GROUP BY ALL),
+sizes AS (SELECT g.lang, g.source, coalesce(sum(c.n), 0) AS n FROM groups g LEFT JOIN counts c USING (lang, source) GROUP BY ALL),
+priced AS (
+  SELECT s.lang, s.source, t.term, coalesce(c.n, 0) AS n,
+         1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 5)) // (s.n + 5 * k.v) AS p,
+         1 + (1000000000::HUGEINT * (t.total + 5)) // (k.n + 5 * k.v) AS q
+  FROM sizes s JOIN kinds k USING (lang) JOIN totals t USING (lang) LEFT JOIN counts c ON c.lang = s.lang AND c.source = s.source AND c.term = t.term
+),
+pairs AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(sum(abs(x.p - y.p)), 0)::BIGINT AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN priced x ON x.lang = a.lang AND x.source = a.source LEFT JOIN priced y ON y.lang = b.lang AND y.source = b.source AND y.term = x.term
+  GROUP BY ALL
+),
+terms AS (SELECT lang, source, 'term' AS part, term AS item, (p - q)::BIGINT AS value FROM priced WHERE n > 0 AND p > q),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank FROM (FROM pairs UNION ALL FROM terms))
+SELECT * FROM ranked WHERE part = 'pair' OR rank <= 50
+"""
+
 OP13 = r"""
 WITH cut AS (
   SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || coalesce(doc_id::VARCHAR, '')) AS digest,
@@ -146,4 +174,4 @@ FROM parts
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": OP2, "op5_url_filter": OP5, "op10_mixing": OP10, "op13_fill_in_middle": OP13}
+    return {"op2_line_dedup": OP2, "op5_url_filter": OP5, "op10_mixing": OP10, "op11_source_divergence": OP11, "op13_fill_in_middle": OP13}
