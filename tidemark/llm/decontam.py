@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -13,6 +14,8 @@ from tidemark.llm.common import code_bytes, map_texts, written
 
 #: Characters of test items that one pass holds in a task's memory; more items take more passes.
 BLOCK_CHARS = 1_000_000
+#: Length of the q-grams that an occurrence must share with its item.
+Q = 4
 
 
 def plain(text: str) -> str:
@@ -20,9 +23,18 @@ def plain(text: str) -> str:
     return " ".join(text.lower().split())
 
 
-def budget(n: int, rate: float, piece: int) -> int:
-    """Edits allowed in an item of ``n`` characters: at most ``rate``, and pieces stay long."""
-    return max(0, min(int(rate * n), n // piece - 1))
+def budget(n: int, rate: float) -> int:
+    """Edits allowed in an item of ``n`` characters."""
+    return int(rate * n + 1e-9)
+
+
+def begins_within_one(part: str, text: str) -> bool:
+    """Whether some prefix of ``text`` is ``part`` with one edit or none."""
+    if text.startswith(part):
+        return True
+    i = next((i for i, (a, b) in enumerate(zip(part, text, strict=False)) if a != b), min(len(part), len(text)))
+    rest = part[i + 1 :]
+    return text.startswith(rest, i + 1) or text.startswith(part[i:], i + 1) or text.startswith(rest, i)
 
 
 def distances(item: str, window: str, most: int) -> tuple[int, int] | None:
@@ -56,24 +68,70 @@ def distances(item: str, window: str, most: int) -> tuple[int, int] | None:
     return (best, end) if best <= most else None
 
 
+@dataclass
+class Item:
+    """A test item as it is searched for: its edits allowed, and its q-grams with how many of them must stay."""
+
+    text: str
+    edits: int
+    grams: list[str]
+    needed: int
+
+    @classmethod
+    def of(cls, text: str, rate: float) -> Item:
+        k = budget(len(text), rate)
+        grams = [text[i : i + Q] for i in range(len(text) - Q + 1)]
+        return cls(text, k, grams, len(grams) - Q * k)  # an edit spoils Q of them at most
+
+    def possible(self, window: str) -> bool:
+        if self.needed <= 0:
+            return True
+        there = {window[i : i + Q] for i in range(len(window) - Q + 1)}
+        return sum(map(there.__contains__, self.grams)) >= self.needed
+
+
+@dataclass
+class Place:
+    """A piece within an item: the item's number, the piece's offset, and the other piece of its pair (None: unpaired)."""
+
+    item: int
+    offset: int
+    other: str | None
+    after: bool
+
+    def holds(self, text: str, start: int, end: int) -> bool:
+        """Whether the other piece of the pair follows, or stands before, with one edit at most."""
+        if self.other is None:
+            return True
+        if self.after:
+            return begins_within_one(self.other, text[end : end + len(self.other) + 1])
+        return begins_within_one(self.other[::-1], text[max(0, start - len(self.other) - 1) : start][::-1])
+
+
 class Matcher:
     """Finds items in texts. Every occurrence within the budget holds one piece unchanged.
 
-    Items shorter than ``short`` must occur as they are and between word borders.
+    An item with k edits allowed is cut into k + 1 pieces, and these are paired (with k even, the last
+    stays alone). If an occurrence doesn't hold the one alone, k - 1 edits fall on k / 2 pairs, else k on
+    (k + 1) / 2: a pair has at most one, so one of its pieces is there unchanged and the other with one
+    edit at most. Hits on a pair are dropped where that fails; what is left must share enough
+    q-grams before distances are computed. Neither test loses an occurrence. Items without edits
+    allowed must occur between word borders.
     """
 
-    def __init__(self, items: list[str], rate: float, piece: int, short: int):
+    def __init__(self, items: list[str], rate: float):
         import ahocorasick
 
-        self.items = []
-        places: dict[str, list[tuple[int, int]]] = {}
-        for number, text in enumerate(items):
-            text = plain(text)
-            k = budget(len(text), rate, piece) if len(text) >= short else 0
-            for p in range(k + 1):
-                a, b = len(text) * p // (k + 1), len(text) * (p + 1) // (k + 1)
-                places.setdefault(text[a:b], []).append((number, a))
-            self.items.append((text, k, len(text) < short))
+        self.items = [Item.of(plain(text), rate) for text in items]
+        places: dict[str, list[Place]] = {}
+        for number, item in enumerate(self.items):
+            n, k = len(item.text), item.edits
+            cuts = [n * p // (k + 1) for p in range(k + 2)]
+            parts = [item.text[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+            for p, part in enumerate(parts):
+                mate = p ^ 1
+                if part:
+                    places.setdefault(part, []).append(Place(number, cuts[p], parts[mate] if mate <= k else None, mate > p))
         self.words = ahocorasick.Automaton()
         for word, where in places.items():
             self.words.add_word(word, (len(word), where))
@@ -82,30 +140,34 @@ class Matcher:
 
     def found(self, text: str) -> Iterator[tuple[int, int, int, int]]:
         """(item's number, distance, start, end) of the best occurrence of each item, in ``plain(text)``."""
-        if not self.items or not text:
+        if not len(self.words) or not text:
             return
         text = plain(text)
         starts: dict[int, set[int]] = {}
         for last, (size, where) in self.words.iter(text):
-            for item, offset in where:
-                starts.setdefault(item, set()).add(last + 1 - size - offset)
-        for item, at in starts.items():
-            wanted, k, whole = self.items[item]
-            if whole:
-                borders = (a for a in sorted(at) if not text[a - 1 : a].isalnum() and not text[a + len(wanted) : a + len(wanted) + 1].isalnum())
+            begin = last + 1 - size
+            for place in where:
+                if place.holds(text, begin, last + 1):
+                    starts.setdefault(place.item, set()).add(begin - place.offset)
+        for number, at in starts.items():
+            item = self.items[number]
+            n, k = len(item.text), item.edits
+            if not k:
+                borders = (a for a in sorted(at) if not text[max(0, a - 1) : a].isalnum() and not text[a + n : a + n + 1].isalnum())
                 if (a := next(borders, None)) is not None:
-                    yield item, 0, a, a + len(wanted)
+                    yield number, 0, a, a + n
                 continue
             best = None
-            for a, b in self._windows(sorted(at), len(wanted), k):
+            for a, b in self._windows(sorted(at), n, k):
                 a = max(0, a)
-                got = distances(wanted, text[a:b], k)
+                window = text[a:b]
+                got = distances(item.text, window, k) if item.possible(window) else None
                 if got and (best is None or got[0] < best[0]):
                     best = (got[0], a + got[1])
             if best:
-                near = text[max(0, best[1] - len(wanted) - k) : best[1]]
-                _, back = distances(wanted[::-1], near[::-1], k)
-                yield item, best[0], best[1] - back, best[1]
+                near = text[max(0, best[1] - n - k) : best[1]]
+                _, back = distances(item.text[::-1], near[::-1], k)
+                yield number, best[0], best[1] - back, best[1]
 
     @staticmethod
     def _windows(starts: list[int], m: int, k: int) -> Iterator[tuple[int, int]]:
@@ -120,8 +182,8 @@ class Matcher:
 
 
 def searchable(text: Column) -> Column:
-    """Whether an item has anything to search for."""
-    return F.coalesce(F.length(F.regexp_replace(text, r"[\s\x1c-\x1f\x85\u00a0]+", "")) > 0, F.lit(False))
+    """Whether an item has anything to search for: a character that is no white space, of ASCII or beyond."""
+    return F.coalesce(F.length(F.regexp_replace(text, r"(?U)[\s\x1c-\x1f]+", "")) > 0, F.lit(False))
 
 
 def unsearchable(benchmark: DataFrame, *, item: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -141,17 +203,18 @@ def _blocks(benchmark: DataFrame, key: str, text: str) -> Iterator[tuple[int, li
         yield n, [r[0] for r in rows], [r[1] for r in rows]
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", rate: float = 0.1, piece: int = 14, short: int = 24) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", rate: float = 0.1) -> DataFrame:
     """``key, item, distance, start, end``: a row for each document and test item found in it.
 
     An item of n characters (lower case, runs of white space as one space) may differ by
-    min(rate * n, n / piece - 1) edits; it is cut into one piece more than that, so some piece
-    is unchanged in every occurrence. All pieces are searched for at once in whole texts; each
-    hit's surroundings are verified with Myers' bit-vectors. ``start`` and ``end`` are places
-    in the text so normalised. Items shorter than ``short`` characters are searched for as whole
-    words, unchanged; null, empty and blank ones match nothing and are what ``unsearchable``
-    lists. Null and empty texts match nothing; repeated items with the same id and text count
-    once; repeated documents each give their rows; ids may be of any type. Empty tables give no rows.
+    floor(rate * n) edits, at any length; it is cut into one piece more than that, so some piece
+    is unchanged in every occurrence. All pieces are searched for at once in whole texts; hits
+    whose neighbouring piece or q-grams rule the item out are dropped, and the surroundings of
+    the others are verified with Myers' bit-vectors. ``start`` and ``end`` are places in the text
+    so normalised. Items too short for an edit must occur as whole words, unchanged; null, empty
+    and blank ones match nothing and are what ``unsearchable`` lists. Null and empty texts match
+    nothing; repeated items with the same id and text count once; repeated documents each give
+    their rows; ids may be of any type. Empty tables give no rows.
 
     The test items are collected a block of a fixed size at a time, one pass over the documents
     for each; with several blocks, each pass is written before the next one is collected.
@@ -164,7 +227,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id",
 
         def search(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             names, items = sent.value
-            matcher = Matcher(items, rate, piece, short)
+            matcher = Matcher(items, rate)
             for batch in batches:
                 hits = [(row, *hit) for row, raw in enumerate(code_bytes(batch, "text")) for hit in matcher.found((raw or b"").decode("utf-8", "replace"))]
                 rows, found, *places = list(zip(*hits, strict=True)) or [()] * 5
@@ -180,7 +243,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id",
     return out.select(F.col("key").alias(key), F.col("item").alias(item), "distance", "start", "end")
 
 
-def decontaminated(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item: str = "item_id", item_text: str = "text", rate: float = 0.1, piece: int = 14, short: int = 24) -> DataFrame:
+def decontaminated(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item: str = "item_id", item_text: str = "text", rate: float = 0.1) -> DataFrame:
     """``docs`` without the rows in which a test item is found, by the rules of ``contaminated``.
 
     Whole rows pass through the search, so nothing is joined or shuffled, keys may be null or
@@ -191,7 +254,7 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, *, text: str = "text",
         sent = sc.broadcast(texts)
 
         def clean(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            matcher = Matcher(sent.value, rate, piece, short)
+            matcher = Matcher(sent.value, rate)
             for batch in batches:
                 keep = [next(matcher.found((raw or b"").decode("utf-8", "replace")), None) is None for raw in code_bytes(batch, text)]
                 yield batch.filter(pa.array(keep, pa.bool_()))
