@@ -12,11 +12,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import BLANK_CLASS, code_bytes, map_texts
+from tidemark.llm.common import BLANK_CLASS, BLANKS, code_bytes, map_texts
 
 ORDER = 5
 #: Characters that could occur at all; what no model has seen shares this uniform floor.
 ALPHABET = 4096
+#: Letters, and numerals that are none (fractions, powers), which ``has_letter`` leaves out.
 LETTER = re.compile(r"[^\W\d_]")
 #: Bytes of words that a task remembers with their scores, and characters that it scores at once.
 REMEMBERED_BYTES, AT_ONCE = 16_000_000, 50_000
@@ -41,6 +42,11 @@ def _codes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
 
 
+def has_letter(text: str) -> bool:
+    """Whether a text holds a character of Unicode's category L."""
+    return any(m[0].isalpha() for m in LETTER.finditer(text))
+
+
 def held_out(key: str) -> Column:
     """Rows kept apart from learning; a null key counts as empty text and so is held out."""
     return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit(""))) % 5 == 0
@@ -100,16 +106,13 @@ class Models:
         tables = [Table.of(models[i : i + ABREAST]) for i in range(0, len(models), ABREAST)]
         return cls([x for x, _ in found], tables, np.tile([np.inf, 0.0], (len(found), 1)))
 
-    def scores(self, words: list[str]) -> np.ndarray:
-        """Summed log2 probability of each word and its end, a column per language.
+    def _bits(self, text: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
+        """log2 probability of each character of ``text``, a column per language; an array a table.
 
-        The character at each place is predicted by the longest n-gram that a language knows;
-        for each order that it lacks, the weight of the context (the n-gram one place before) counts.
+        ``at`` is each character's place in its word. The character is predicted by the longest n-gram
+        that a language knows; for each order that it lacks, the weight of the context (the n-gram one
+        place before) counts.
         """
-        text = _codes("".join(f" {w} " for w in words))
-        lengths = np.array([len(w) + 2 for w in words], np.int64)
-        begin = np.cumsum(lengths) - lengths
-        at = np.arange(len(text)) - np.repeat(begin, lengths)  # characters before in the word, its space included
         deep = [np.flatnonzero(at >= n - 1) for n in range(ORDER + 1)]
         hashes = [None, *[_hashes(text, deep[n], n) for n in range(1, ORDER + 1)]]
         out = []
@@ -129,8 +132,25 @@ class Models:
                 p *= open_
                 total += p
                 open_ &= lacks
-            out.append(np.add.reduceat(total, begin, axis=0, dtype=float))
-        return np.concatenate(out, axis=1)
+            out.append(total)
+        return out
+
+    def scores(self, words: list[str]) -> np.ndarray:
+        """Summed log2 probability of each word and its end, a column per language."""
+        text = _codes("".join(f" {w} " for w in words))
+        lengths = np.array([len(w) + 2 for w in words], np.int64)
+        begin = np.cumsum(lengths) - lengths
+        at = np.arange(len(text)) - np.repeat(begin, lengths)
+        return np.concatenate([np.add.reduceat(t, begin, axis=0, dtype=float) for t in self._bits(text, at)], axis=1)
+
+    def long_score(self, word: str) -> np.ndarray:
+        """``scores`` of one word of any length, in stretches that each see the ``ORDER`` - 1 characters before them."""
+        text, total = _codes(f" {word} "), 0.0
+        for begin in range(0, len(text), AT_ONCE):
+            seen = max(0, begin - ORDER + 1)
+            part = text[seen : begin + AT_ONCE]
+            total = total + np.concatenate([t[begin - seen :].sum(0, dtype=float) for t in self._bits(part, np.arange(len(part)))])
+        return total[None, :]
 
 
 def training_rows(docs: DataFrame, *, key: str, text: str, lang: str, most: int) -> DataFrame:
@@ -245,32 +265,29 @@ class Scorer:
         done, at = [self.table], 0
         while at < len(self.pending):
             words, size = [], 0
-            while at < len(self.pending) and (not words or size < AT_ONCE):
+            while at < len(self.pending) and size < AT_ONCE and len(self.pending[at]) <= AT_ONCE:
                 words.append(self.pending[at].decode("utf-8", "replace"))
                 size += len(words[-1])
                 at += 1
-            if len(words) == 1 and size > 2 * AT_ONCE:
-                done.append(self._long(words[0]))
-            else:
+            if words:
                 done.append(self.models.scores(words))
+            else:  # a long word, always by itself: its score doesn't depend on what stands beside it
+                done.append(self.models.long_score(self.pending[at].decode("utf-8", "replace")))
+                at += 1
         self.table = np.concatenate(done)
         self.pending = []
 
-    def _long(self, word: str) -> np.ndarray:
-        """A word of any length as parts of ``AT_ONCE`` characters, each a word of its own."""
-        parts = [word[i : i + AT_ONCE] for i in range(0, len(word), AT_ONCE)]
-        return sum(self.models.scores([p]) for p in parts)
-
     def cross_entropies(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Bits a character, a row per text, inf for one without words; and its characters (ends of words count as one)."""
+        """Bits a character, a row per text, inf for one without words; and its characters: those of words, and one for each word's end."""
         if self.held > REMEMBERED_BYTES:
             self._fresh()
         look = self.places.__getitem__
         rows, chars = [], np.zeros(len(texts), np.int64)
         for i, text in enumerate(texts):
-            words = text.lower().encode("utf-8", "replace").split()
+            low = text.lower()
+            words = low.encode("utf-8", "replace").split()
             rows.append(np.fromiter(map(look, words), np.int64, len(words)))
-            chars[i] = len(text) - text.count(" ") + len(words)
+            chars[i] = len(low) - sum(map(low.count, BLANKS)) + len(words)
         if self.pending:
             self._scored()
         out = np.full((len(texts), len(self.models.languages)), np.inf)
@@ -304,7 +321,7 @@ def _decided(scorer: Scorer, texts: list[str]) -> tuple[list[str], list[float |
     bits, chars = scorer.cross_entropies(texts)
     lang, entropy, score = [], [], []
     for text, h in zip(texts, bits, strict=True):
-        if not np.isfinite(h).all() or not LETTER.search(text):
+        if not np.isfinite(h).all() or not has_letter(text):
             lang.append("und"), entropy.append(None), score.append(0.0)
             continue
         best = int(h.argmin())  # the first of equal ones: names are sorted
