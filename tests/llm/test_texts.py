@@ -45,6 +45,67 @@ def test_secret_spans(make):
     assert secrets.scan_report(make(rows)).count() == len(rows)
 
 
+def test_base_kinds_against_plain_scans(make):
+    """Random texts of parts of secrets; each kind by a scan character by character."""
+
+    def run(text, at, ok):
+        end = at
+        while end < len(text) and ok(text[end]):
+            end += 1
+        return end
+
+    small = lambda c: c in "0123456789abcdef"
+    value = lambda c: c.isascii() and (c.isalnum() or c in "+/_.=-")
+
+    def brute(text):
+        out, at = [], 0
+        while at < len(text):  # access and hex: whole runs
+            if text.startswith("AKIA", at) and (end := run(text, at + 4, lambda c: c.isascii() and (c.isdigit() or c.isupper()))) > at + 4:
+                out += [("access", at, end)] if end - at >= 20 else []
+                at = end
+            else:
+                at += 1
+        at = 0
+        while at < len(text):
+            end = run(text, at, small)
+            out += [("hex", at, end)] if end - at >= 24 else []
+            at = max(end, at + 1)
+        at = 0
+        while at < len(text):
+            end = None
+            for name in ("password", "passwd", "secret", "token", "api_key", "apikey"):
+                if text[at : at + len(name)].lower() == name and text[at : at + len(name)].isascii():
+                    i = at + len(name)
+                    i += text[i : i + 1] in ("'", '"') and i < len(text)
+                    i = run(text, i, lambda c: c == " ")
+                    if text[i : i + 1] in (":", "=") and i < len(text):
+                        i = run(text, i + 1, lambda c: c == " ")
+                        i += text[i : i + 1] in ("'", '"') and i < len(text)
+                        if (stop := run(text, i, value)) > i:
+                            end = stop
+                            out += [("assign", at, end)] if end - i >= 6 else []
+            at = end or at + 1
+        return sorted(out, key=lambda s: (s[1], secrets.BASE.index(s[0])))
+
+    rnd, found = random.Random(31), 0
+    parts = ["password", "PassWd", "secret", "Token", "api_key", "APIKEY", "'", '"', " ", "=", ":", "AKIA", "ABCD1234EFGH5678", "deadbeef", "0123456789abcdef01234567", "hunter22", "x", "é", "\n", "==", "ſecret"]
+    rows = [(i, "".join(rnd.choice(parts) for _ in range(rnd.randrange(40)))) for i in range(1500)]
+    got = {r["doc_id"]: r for r in secrets.scan_report(make(rows)).collect()}
+    for i, text in rows:
+        want = brute(text)
+        found += len(want)
+        digest = ",".join(f"{k}:{a}:{b}" for k, a, b in want)
+        assert got[i]["base_sha256"] == hashlib.sha256(digest.encode()).hexdigest(), (text, want, got[i]["spans"])
+        assert [got[i][f"n_{k}"] for k in secrets.BASE] == [sum(s[0] == k for s in want) for k in secrets.BASE]
+    assert found > 1000 and secrets.scan_report(make(rows).limit(0)).count() == 0
+
+
+def test_secrets_of_any_length():
+    for n in (32, 126, 128, 129, 150, 5000, 200_000):
+        secret = ("Ab1" * n)[:n]
+        assert secrets.spans_of(f"user: bob\n{secret} end", 200) == [(5, 0, 9), (3, 10, 10 + n)]
+
+
 def test_linking_against_all_pairs():
     rnd = random.Random(3)
     pieces = ["user=bob ", "Zm9vYmFyYmF6cXV4MTIzNDU2Nzg5MEFCQ0RFRg ", "https://a.example/b ", "word " * 20, "\n\n", "AKIA" + "Q1" * 8 + " "]
@@ -111,7 +172,7 @@ def test_benchmark_items_are_found_with_edits(spark, make):
         text = words(rnd.randrange(0, 120))
         if i % 3 == 0:
             key, item = items[i % 12]
-            k = decontam.budget(len(decontam.plain(item)), 0.1, 14)
+            k = decontam.budget(len(decontam.plain(item)), 0.1)
             cut = rnd.randrange(len(text) + 1)
             text = text[:cut] + " " + edits(item, rnd.randrange(0, k + 1), rnd).upper() + " " + text[cut:]
             want.add((i, key))
@@ -139,11 +200,11 @@ def test_decontamination_against_a_full_sweep(spark, make):
     """All items against all texts; edits below, at and above the budget; ids of text; a long text, short items."""
     rnd = random.Random(15)
     words = lambda n: " ".join("".join(rnd.choice("abcde") for _ in range(rnd.randrange(2, 6))) for _ in range(n))
-    items = [(f"i{i}", words(rnd.randrange(7, 20))) for i in range(8)] + [("s1", "Short one"), ("s2", "zq"), ("e", " \n"), ("n", None)]
+    items = [(f"i{i}", words(rnd.randrange(7, 20))) for i in range(8)] + [("s1", "Short one"), ("s2", "zq"), ("e", " \n"), ("w", "\u3000\u2003"), ("n", None)]
     rows = []
     for i in range(40):
         item = items[i % 8][1]
-        k = decontam.budget(len(decontam.plain(item)), 0.1, 14)
+        k = decontam.budget(len(decontam.plain(item)), 0.1)
         rows.append((i, f"{words(6)} {edits(item, max(0, k + i % 5 - 3), rnd)} {words(6)}"))
     rows += [(50, "a short  ONE here"), (51, "ashort one"), (52, "zq"), (53, "zqzq"), (54, "ab " * 100_000 + items[3][1]), (55, None), (56, "")]
     bench = spark.createDataFrame(items, "item_id string, text string").selectExpr("*", "1 key", "2 distance")
@@ -153,14 +214,37 @@ def test_decontamination_against_a_full_sweep(spark, make):
             p, t1 = decontam.plain(item or ""), decontam.plain(t or "")
             if not p or len(t1) > 10_000:
                 continue
-            if len(p) < 24:
+            if len(p) < 10:
                 hit = re.search(rf"(?<![a-z]){re.escape(p)}(?![a-z])", t1) is not None
             else:
-                hit = search_row(p, t1) <= decontam.budget(len(p), 0.1, 14)
+                hit = search_row(p, t1) <= decontam.budget(len(p), 0.1)
             want |= {(i, name)} if hit else set()
     got = {(r["doc_id"], r["item_id"]) for r in decontam.contaminated(make(rows), bench).collect()}
     assert {g for g in got if g[0] != 54} == want and (54, "i3") in got and {(50, "s1"), (52, "s2")} <= got
-    assert {r["item_id"] for r in decontam.unsearchable(bench).collect()} == {"e", "n"}
+    assert {r["item_id"] for r in decontam.unsearchable(bench).collect()} == {"e", "w", "n"}
+
+
+def test_the_whole_budget_is_used():
+    """Items of many lengths against the whole table, with edits up to, at and above a tenth of their length."""
+    rnd = random.Random(25)
+    for n in [*range(1, 60), 80, 100, 140, 300]:
+        item = decontam.plain("".join(rnd.choice("abcdef ") for _ in range(n)) + "x")
+        k = decontam.budget(len(item), 0.1)
+        assert k == len(item) // 10
+        matcher = decontam.Matcher([item], 0.1)
+        for e in {0, k // 2, k, k, k + 1, k + 2}:
+            for _ in range(4):
+                text = decontam.plain("".join(rnd.choice("abcdef ") for _ in range(60)) + edits(item, e, rnd) + "".join(rnd.choice("abcdef ") for _ in range(60)))
+                least = search_row(item, text)
+                got = [h[1] for h in matcher.found(text)]
+                if k:
+                    assert got == ([least] if least <= k else []), (item, text)
+
+
+def test_blank_items_find_nothing(spark, make):
+    bench = spark.createDataFrame([(1, "\u3000"), (2, "\x1c \u2003")], "item_id long, text string")
+    assert decontam.contaminated(make(ODD), bench).count() == 0 and decontam.decontaminated(make(ODD), bench).count() == len(ODD)
+    assert list(decontam.Matcher(["", "\u3000"], 0.1).found("a b")) == []
 
 
 def test_blocks_of_items_find_the_same(spark, make, monkeypatch):
@@ -230,6 +314,22 @@ def test_languages(make, spark):
     assert {r["lang_pred"] for r in langid.identified(docs, none).collect()} == {"und"}
 
 
+def test_long_words_and_layout(make):
+    """A word's score doesn't depend on its company, nor a text's on its line feeds; fractions are no letters."""
+    rnd = random.Random(7)
+    rows = [(i, " ".join(rnd.choice(["kala", "tuna", "rimo"]) for _ in range(20)), "s", "aa") for i in range(200)]
+    models = langid.language_models(make(rows))
+    long = "".join(rnd.choice("kaltunrimo") for _ in range(150_000))
+    alone = langid.Scorer(models).cross_entropies([long])[0]
+    company = langid.Scorer(models).cross_entropies(["tuna rimo", "zz", long, "kala"])[0]
+    assert alone[0, 0] == company[2, 0]
+    assert abs(models.scores([long])[0, 0] - models.long_score(long)[0, 0]) < 1e-6 * abs(models.scores([long])[0, 0])
+    bits, chars = langid.Scorer(models).cross_entropies(["ab cd", "ab\n\n\n\ncd", "\tab  cd "])
+    assert bits[0, 0] == bits[1, 0] == bits[2, 0] and chars.tolist() == [6, 6, 6]
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.identified(make([(1, "½ ²"), (2, "Ⅷ ⅸ"), (3, "½ a"), (4, "漢"), (5, "_ 12")]), models).collect()}
+    assert got == {1: "und", 2: "und", 3: "aa", 4: "aa", 5: "und"}
+
+
 def brute_kneser_ney(texts):
     """ln P of a word's characters by the textbook's recursion over plain dictionaries."""
     raw = Counter(g for t in texts for w in t.lower().split() for p in [f" {w} "] for n in range(1, langid.ORDER + 1) for g in (p[i : i + n] for i in range(len(p) - n + 1)))
