@@ -150,9 +150,10 @@ def test_replayed_book(spark):
 
 
 def test_trade_flow_window_ends_at_last_trade(spark):
-    rows = [("x", 10_000, 1, 1000, 4.0, False), ("x", 10_000, 2, 3000, 1.0, True), ("x", 10_000, 3, 5000, 1.0, False)]
-    j = spark.createDataFrame(rows, "asset string, now long, seq long, recv_ts_ms long, qty double, buyer_is_maker boolean")
-    r = flow.trade_flow(j, keys=["asset"], at="now", last_n=1, window_ms=2000).first()
+    rows = [("x", 1, 1000, 4.0, False), ("x", 2, 3000, 1.0, True), ("x", 3, 5000, 1.0, False), (None, 4, 5000, 9.0, False)]
+    t = spark.createDataFrame(rows, "asset string, seq long, recv_ts_ms long, qty double, buyer_is_maker boolean")
+    p = spark.createDataFrame([("x", 10_000), ("x", 500), (None, 10_000), ("x", None)], "asset string, now long")
+    (r,) = flow.trade_flow(p, t, keys=["asset"], at="now", reach_ms=60_000, last_n=1, window_ms=2000).collect()
     assert r["flow"] == pytest.approx(4 / 6) and r["flow_fast"] == 1.0 and r["flow_window"] == 0.0 and r["qty_window"] == 2.0
 
 

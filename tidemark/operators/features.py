@@ -3,34 +3,56 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import quotes as Q
 from tidemark.operators import candles as C
-from tidemark.operators import flow
-from tidemark.operators.asof import asof_join, chunked, window_join, without_halo
+from tidemark.operators import flow, windows
+from tidemark.operators.asof import asof_join, chunked, without_halo
+from tidemark.operators.windows import Rows, window_stats
 
 PROMPT = ["asset", "current_time_ms"]
 AT = "current_time_ms"
 
 
-def book_features(prompts: DataFrame, quotes: DataFrame, *, window_ms: int, lags: dict[str, int], vol_ms: int, least: int = 6) -> DataFrame:
-    """Per prompt and venue: last quote's measures, momentum against ticks at least so old, volatility and range.
+def book_measure(window_ms: int, lags: dict[str, int], vol_ms: int, least: int) -> tuple[Callable, str]:
+    """Last quote's measures, momentum against ticks at least so old, volatility and range.
 
-    Times count back from the venue's last tick in the window, not from the prompt.
+    Times count back from the last tick in the window, not from the prompt.
     """
-    w = Window.partitionBy(*PROMPT, "venue")
-    j = window_join(prompts, quotes, keys=["asset"], at=AT, ts="recv_ts_ms", window_ms=window_ms)
-    j = j.withColumn("micro", Q.microprice(or_mid=True)).withColumn("newest", F.max("recv_ts_ms").over(w))
-    order = F.struct("recv_ts_ms", "seq")
-    last = F.max_by(F.struct("micro", Q.mid().alias("mid"), Q.spread().alias("spread"), Q.imbalance().alias("imb"), "recv_ts_ms"), order).alias("last")
-    old = [F.max_by(F.when(F.col("recv_ts_ms") <= F.col("newest") - ms, F.col("micro")), F.when(F.col("recv_ts_ms") <= F.col("newest") - ms, order)).alias(f"at_{n}") for n, ms in lags.items()]
-    per = j.groupBy(*PROMPT, "venue").agg(last, *old)
-    change = [F.when((F.col(f"at_{n}") > 0) & (F.col("last.micro") > 0), F.ln(F.col("last.micro") / F.col(f"at_{n}"))).otherwise(0.0).alias(n) for n in lags]
-    vol = flow.book_volatility(j.drop("micro", "newest"), keys=["asset", "venue"], at=AT, window_ms=vol_ms, least=least).drop("n")
-    return per.select(*PROMPT, "venue", "last.*", *change).join(vol, [*PROMPT, "venue"], "left")
+    names, vol = ("micro", "mid", "spread", "imb"), windows.book_volatility(window_ms, vol_ms, least)[0]
+
+    def measure(rows: Rows, at: np.ndarray) -> dict[str, np.ndarray]:
+        lo, hi = rows.window(at, window_ms)
+        some = hi > lo
+        out = {n: rows.pick(n, hi - 1, some) for n in names}
+        newest = rows.ts[np.maximum(hi - 1, 0)]
+        for n, ms in lags.items():
+            old = rows.upto(newest - ms) - 1
+            before = rows.pick("micro", old, some & (old >= lo))
+            known = (before > 0) & (out["micro"] > 0)
+            out[n] = np.log(np.divide(out["micro"], before, out=np.ones(len(at)), where=known))
+        found = vol(rows, at)
+        enough = found.get("there", np.zeros(len(at), bool))
+        return out | {"recv_ts_ms": newest, "there": some} | {n: np.where(enough, found[n], np.nan) if found else np.full(len(at), np.nan) for n in ("rv", "rng")}
+
+    return measure, ", ".join(f"{n} double" for n in (*names, *lags, "rv", "rng")) + ", recv_ts_ms long"
+
+
+def book_features(prompts: DataFrame, quotes: DataFrame, *, window_ms: int, lags: dict[str, int], vol_ms: int, least: int = 6) -> DataFrame:
+    """``book_measure`` per prompt and venue with a quote in the window."""
+    rows = quotes.select("asset", "venue", "seq", "recv_ts_ms", Q.microprice(or_mid=True).alias("micro"), Q.mid().alias("mid"), Q.spread().alias("spread"), Q.imbalance().alias("imb"))
+    measure, gives = book_measure(window_ms, lags, vol_ms, least)
+    return window_stats(per_venue(prompts), rows, keys=["asset", "venue"], at=AT, ts="recv_ts_ms", seq="seq", reach_ms=window_ms, measure=measure, gives=gives)
+
+
+def per_venue(prompts: DataFrame) -> DataFrame:
+    """Each prompt once for spot and once for futures."""
+    return prompts.select(*PROMPT, F.explode(F.array(F.lit("spot"), F.lit("futures"))).alias("venue"))
 
 
 def by_venue(rows: DataFrame, columns: list[str]) -> DataFrame:
@@ -46,12 +68,12 @@ def half(a: Column, b: Column) -> Column:
 def _joined(prompts: DataFrame, *, trades: DataFrame, quotes: DataFrame, liquidations: DataFrame, depth: DataFrame, window_ms: int, flow_ms: int, last_n: int, lags: dict[str, int], vol_ms: int, liq_recent_ms: int, liq_unit: float, liq_long_unit: float, least: int = 6) -> DataFrame:
     """A row per prompt of what its windows hold, by venue; null where they hold nothing."""
     book = by_venue(book_features(prompts, quotes, window_ms=window_ms, lags=lags, vol_ms=vol_ms, least=least), ["micro", "mid", "spread", "imb", "recv_ts_ms", *lags, "rv", "rng"])
-    t = window_join(prompts, trades, keys=["asset"], at=AT, ts="recv_ts_ms", window_ms=window_ms)
-    flows = by_venue(flow.trade_flow(t, keys=["asset", "venue"], at=AT, last_n=last_n, window_ms=flow_ms), ["flow", "flow_fast", "flow_window", "qty_window"])
-    liq = flow.liquidation_signals(window_join(prompts, liquidations, keys=["asset"], at=AT, ts="recv_ts_ms", window_ms=window_ms), keys=["asset"], at=AT, recent_ms=liq_recent_ms, unit=liq_unit, long_unit=liq_long_unit)
+    asked = per_venue(prompts)
+    flows = by_venue(flow.trade_flow(asked, trades, keys=["asset", "venue"], at=AT, reach_ms=window_ms, last_n=last_n, window_ms=flow_ms), ["flow", "flow_fast", "flow_window", "qty_window"])
+    liq = flow.liquidation_signals(prompts, liquidations, keys=["asset"], at=AT, reach_ms=window_ms, recent_ms=liq_recent_ms, unit=liq_unit, long_unit=liq_long_unit)
     d = flow.depth_imbalance(depth).select("asset", "venue", "seq", "recv_ts_ms", "obi", "top_obi", depth_mid().alias("depth_mid"))
-    deep = window_join(prompts, d, keys=["asset"], at=AT, ts="recv_ts_ms", window_ms=window_ms).groupBy(*PROMPT, "venue").agg(F.max_by(F.struct("obi", "top_obi", "depth_mid"), F.struct("recv_ts_ms", "seq")).alias("d"))
-    deep = by_venue(deep.select(*PROMPT, "venue", "d.*"), ["obi", "top_obi", "depth_mid"])
+    deep = asof_join(asked, d, keys=["asset", "venue"], left_ts=AT, right_ts="recv_ts_ms", seq="seq", chunk_ms=4 * window_ms, max_age_ms=window_ms - 1)
+    deep = by_venue(deep.select(*PROMPT, "venue", *[F.col("last")[c].alias(c) for c in ("obi", "top_obi", "depth_mid")]), ["obi", "top_obi", "depth_mid"])
     j = prompts.select(*PROMPT)
     for part in (book, flows, liq.drop("n"), deep):
         j = j.join(part, PROMPT, "left")
@@ -109,20 +131,18 @@ def candle_tails(prompts: DataFrame, candles: DataFrame, *, bar_ms: int, history
     """Per prompt and venue of full candles: last close, log changes by ``steps``, EWMA volatilities, whether the history is complete.
 
     A bar counts from its end on. ``slow`` and ``fast`` are (bars, decay); weights are by age at
-    the prompt. Changes come from the bars' own table and each prompt takes its last bar's; only
-    the bars of the slow volatility are joined to prompts.
+    the prompt. Changes come from the bars' own table and each prompt takes its last bar's.
     """
     first = candles.groupBy("asset", "venue").agg(F.min("open_time_ms").alias("first_ms"))
     m = C.moves(candles.select("asset", "venue", "open_time_ms", "close"), keys=["asset", "venue"], steps=steps | {"__1": 1}, bar_ms=bar_ms, chunk_bars=chunk_bars)
     m = m.withColumn("end_ms", F.col("open_time_ms") + bar_ms).select("asset", "venue", "end_ms", "close", *[f"r_{n}" for n in steps], F.col("r___1").alias("ret"))
-    asked = prompts.select(*PROMPT, F.explode(F.array(F.lit("spot"), F.lit("futures"))).alias("venue"))
+    asked = per_venue(prompts)
     last = asof_join(asked, m, keys=["asset", "venue"], left_ts=AT, right_ts="end_ms", seq="end_ms", chunk_ms=chunk_ms).filter("last is not null")
     last = last.select(*PROMPT, "venue", "last.end_ms", "last.close", *[F.col(f"last.r_{n}").alias(n) for n in steps]).join(first, ["asset", "venue"])
     last = last.withColumn("complete", F.col("end_ms") - F.col("first_ms") >= history * bar_ms).drop("end_ms", "first_ms")
-    w = window_join(prompts.select(*PROMPT), m.filter("ret is not null").select("asset", "venue", "end_ms", "ret"), keys=["asset"], at=AT, ts="end_ms", window_ms=slow[0] * bar_ms)
-    age = F.floor((F.col(AT) - F.col("end_ms")) / bar_ms)
-    vol = lambda n, decay: F.sqrt(C.ewma(F.when(age < n, F.col("ret") * F.col("ret")), age, decay))
-    vols = w.groupBy(*PROMPT, "venue").agg(vol(*slow).alias("vol"), vol(*fast).alias("vol_fast"))
+    returns = m.filter("ret is not null").select("asset", "venue", "end_ms", "ret")
+    measure, gives = windows.recent_average((slow[0], bar_ms), {"vol": slow, "vol_fast": fast})
+    vols = window_stats(asked, returns, keys=["asset", "venue"], at=AT, ts="end_ms", seq="end_ms", reach_ms=slow[0] * bar_ms, measure=measure, gives=gives)
     return last.join(vols, [*PROMPT, "venue"], "left")
 
 
@@ -136,7 +156,7 @@ def complete_features(prompts: DataFrame, *, candles: DataFrame, lags: dict[str,
     """
     window_ms, trades, depth = sources["window_ms"], sources["trades"], sources["depth"]
     j = _joined(prompts, lags=lags, **sources)
-    asked = prompts.select(*PROMPT, F.explode(F.array(F.lit("spot"), F.lit("futures"))).alias("venue"))
+    asked = per_venue(prompts)
     last = asof_join(asked, trades.select("asset", "venue", "seq", "recv_ts_ms", "price"), keys=["asset", "venue"], left_ts=AT, right_ts="recv_ts_ms", seq="seq", chunk_ms=chunk_ms, max_age_ms=window_ms - 1)
     j = j.join(by_venue(last.select(*PROMPT, "venue", F.col("last.price").alias("trade")), ["trade"]), PROMPT, "left")
     tails = candle_tails(prompts, candles, bar_ms=bar_ms, history=history, steps={"c1": 1, "c3": 3, "mom": horizon_bars}, slow=slow, fast=fast, chunk_bars=chunk_bars, chunk_ms=chunk_ms)
@@ -186,7 +206,7 @@ def still_features(prompts: DataFrame, *, quotes: DataFrame, trades: DataFrame,
         return flow.mid_change_counts(g, keys=["asset"], value="mid", ts=AT, step_ms=step_ms, steps=steps, span=span, within=within, recent=recent)
 
     s, f = on_grid("spot"), on_grid("futures").select("asset", AT, F.col("changes").alias("f60"), F.col("recent").alias("f10"))
-    sides = flow.side_flow(window_join(prompts.select(*PROMPT), trades.filter("venue = 'spot'"), keys=["asset"], at=AT, ts="recv_ts_ms", window_ms=flow_ms), keys=["asset"], at=AT, window_ms=flow_ms)
+    sides = flow.side_flow(prompts.select(*PROMPT), trades.filter("venue = 'spot'"), keys=["asset"], at=AT, reach_ms=flow_ms, window_ms=flow_ms)
     j = prompts.select(*PROMPT).join(s.filter("still_share is not null"), PROMPT).join(f, PROMPT, "left").join(sides, PROMPT, "left")
     j = asof_join(j, _held(candles, span=hold_span, within=hold, shares=hold_bars, bar_ms=bar_ms), keys=["asset"], left_ts=AT, right_ts="end_ms", seq="end_ms", chunk_ms=chunk_ms, name="held")
     j = j.withColumn("slot", Q.season_slot(AT)).join(F.broadcast(season.select("slot", "seas_abs")), "slot", "left")  # at most 1,008 rows

@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import quotes as Q
-from tidemark.operators.asof import chunked, window_join, without_halo
+from tidemark.operators import windows
+from tidemark.operators.asof import chunked, without_halo
+from tidemark.operators.windows import window_stats
 
 
 def signed_qty() -> Column:
@@ -14,42 +16,55 @@ def signed_qty() -> Column:
     return F.when(F.col("buyer_is_maker"), -F.col("qty")).otherwise(F.col("qty"))
 
 
-def trade_flow(joined: DataFrame, *, keys: list[str], at: str, last_n: int = 50, window_ms: int = 2000) -> DataFrame:
-    """Signed taker imbalance of the whole window, of its last prints, and of the last
+def _sized(trades: DataFrame, keys: list[str], *more: str) -> DataFrame:
+    return trades.select(*keys, "seq", "recv_ts_ms", signed_qty().alias("signed"), "qty", *more)
+
+
+def _of(prompts: DataFrame, rows: DataFrame, keys: list[str], at: str, reach_ms: int, made: tuple, chunk_ms: int | None) -> DataFrame:
+    measure, gives = made
+    return window_stats(prompts, rows, keys=keys, at=at, ts="recv_ts_ms", seq="seq", reach_ms=reach_ms, measure=measure, gives=gives, chunk_ms=chunk_ms)
+
+
+def trade_flow(prompts: DataFrame, trades: DataFrame, *, keys: list[str], at: str, reach_ms: int, last_n: int = 50, window_ms: int = 2000, chunk_ms: int | None = None) -> DataFrame:
+    """Per prompt with a trade in reach, signed taker imbalance of all its window, of its last prints, and of the last
     milliseconds that end at the last trade (both ends included), with their quantity."""
-    w = Window.partitionBy(*keys, at)
-    ranked = joined.withColumn("back", F.row_number().over(w.orderBy(F.col("recv_ts_ms").desc(), F.col("seq").desc()))).withColumn("newest", F.max("recv_ts_ms").over(w)).withColumn("signed", signed_qty())
-    few, late = F.col("back") <= last_n, F.col("recv_ts_ms") >= F.col("newest") - window_ms
+    return _of(prompts, _sized(trades, keys), keys, at, reach_ms, windows.trade_flow(reach_ms, last_n, window_ms), chunk_ms)
+
 
-    def share(cond: Column | None) -> Column:
-        pick = lambda c: F.sum(F.col(c) if cond is None else F.when(cond, F.col(c)))
-        return Q.ratio(pick("signed"), pick("qty"))
+def tick_counts(prompts: DataFrame, trades: DataFrame, *, keys: list[str], at: str, spans: dict[str, int], chunk_ms: int | None = None) -> DataFrame:
+    """Count, volume, signed flow, price range and VWAP of the trailing windows by name, for prompts with a trade in the longest."""
+    return _of(prompts, _sized(trades, keys, "price"), keys, at, max(spans.values()), windows.tick_counts(spans), chunk_ms)
 
-    return ranked.groupBy(*keys, at).agg(share(None).alias("flow"), share(few).alias("flow_fast"), share(late).alias("flow_window"), F.sum(F.when(late, F.col("qty"))).alias("qty_window"))
 
+def side_flow(prompts: DataFrame, trades: DataFrame, *, keys: list[str], at: str, reach_ms: int, window_ms: int, chunk_ms: int | None = None) -> DataFrame:
+    """What takers bought and sold in (at - window, at], for prompts with a trade in reach."""
+    return _of(prompts, _sized(trades, keys), keys, at, max(reach_ms, window_ms), windows.side_flow(reach_ms, window_ms), chunk_ms)
 
-def tick_counts(joined: DataFrame, *, keys: list[str], at: str, windows: dict[str, int]) -> DataFrame:
-    """Count, volume, signed flow, price range and VWAP of the trailing windows by name."""
-    age = F.col(at) - F.col("recv_ts_ms")
-    out = []
-    for name, ms in windows.items():
-        pick = lambda c, ms=ms: F.when(age < ms, c)
-        out += [F.count(pick(F.lit(1))).alias(f"n_{name}"), F.coalesce(F.sum(pick(F.col("qty"))), F.lit(0.0)).alias(f"vol_{name}"), F.coalesce(F.sum(pick(signed_qty())), F.lit(0.0)).alias(f"flow_{name}"), (F.max(pick(F.col("price"))) - F.min(pick(F.col("price")))).alias(f"range_{name}"), (F.sum(pick(F.col("price") * F.col("qty"))) / F.sum(pick(F.col("qty")))).alias(f"vwap_{name}")]
-    return joined.groupBy(*keys, at).agg(*out)
 
+def liquidation_signals(prompts: DataFrame, liquidations: DataFrame, *, keys: list[str], at: str, reach_ms: int = 3_600_000, recent_ms: int = 10_000, unit: float = 0.25, long_unit: float = 1.0, chunk_ms: int | None = None) -> DataFrame:
+    """Direction of recent liquidations and activity over the reach, both ends included, by tanh; those without a size are left out."""
+    signed = F.when(F.col("is_buy"), F.col("qty")).otherwise(-F.col("qty")).alias("signed")
+    sized = liquidations.filter("qty > 0").select(*keys, "seq", "recv_ts_ms", signed, "qty")
+    return _of(prompts, sized, keys, at, reach_ms, windows.liquidation_signals(reach_ms, recent_ms, unit, long_unit), chunk_ms)
 
-def side_flow(joined: DataFrame, *, keys: list[str], at: str, window_ms: int) -> DataFrame:
-    """What takers bought and sold in (at - window, at]."""
-    recent = F.col(at) - F.col("recv_ts_ms") < window_ms
-    return joined.groupBy(*keys, at).agg(F.coalesce(F.sum(F.when(recent & ~F.col("buyer_is_maker"), F.col("qty"))), F.lit(0.0)).alias("bought"), F.coalesce(F.sum(F.when(recent & F.col("buyer_is_maker"), F.col("qty"))), F.lit(0.0)).alias("sold"))
 
+def liquidation_sums(prompts: DataFrame, liquidations: DataFrame, *, keys: list[str], at: str, spans: dict[str, int], chunk_ms: int | None = None) -> DataFrame:
+    """Signed quantity and count of liquidations in the trailing windows by name, for prompts with one in the longest."""
+    signed = F.when(F.col("is_buy"), F.col("qty")).otherwise(-F.col("qty")).alias("signed")
+    return _of(prompts, liquidations.select(*keys, "seq", "recv_ts_ms", signed), keys, at, max(spans.values()), windows.liquidation_sums(spans), chunk_ms)
 
-def liquidation_signals(joined: DataFrame, *, keys: list[str], at: str, recent_ms: int = 10_000, unit: float = 0.25, long_unit: float = 1.0) -> DataFrame:
-    """Direction of recent liquidations and their activity over the whole window, by tanh."""
-    sized = joined.filter(F.col("qty") > 0)
-    signed = F.when(F.col("is_buy"), F.col("qty")).otherwise(-F.col("qty"))
-    recent = F.col("recv_ts_ms") >= F.col(at) - recent_ms
-    return sized.groupBy(*keys, at).agg(F.tanh(F.coalesce(F.sum(F.when(recent, signed)), F.lit(0.0)) / unit).alias("direction"), F.tanh(F.sum("qty") / long_unit).alias("activity"), F.count(F.lit(1)).alias("n"))
+
+def book_volatility(prompts: DataFrame, quotes: DataFrame, *, keys: list[str], at: str, reach_ms: int, window_ms: int, least: int = 6, most: int | None = None, chunk_ms: int | None = None) -> DataFrame:
+    """Realised volatility and log range of microprices within the window that ends at the last tick, of ``most`` evenly spaced ticks if it holds more."""
+    rows = quotes.select(*keys, "seq", "recv_ts_ms", Q.microprice(or_mid=True).alias("micro"))
+    return _of(prompts, rows, keys, at, reach_ms, windows.book_volatility(reach_ms, window_ms, least, most), chunk_ms)
+
+
+def horizon_pairs(prompts: DataFrame, quotes: DataFrame, *, keys: list[str], at: str, reach_ms: int = 60_000, horizon_ms: int = 10_000, gap_ms: int = 9000, most: int = 1600, least_ticks: int = 80, least_pairs: int = 40, levels: list[float], chunk_ms: int | None = None) -> DataFrame:
+    """Moves of the microprice over the horizon within each prompt's window, from starts thinned to ``most``: their
+    number, sum, and quantiles at ``levels`` less the median; prompts with too few ticks or pairs are left out."""
+    rows = quotes.select(*keys, "seq", "recv_ts_ms", Q.microprice(or_mid=True).alias("micro"))
+    return _of(prompts, rows, keys, at, reach_ms, windows.horizon_pairs(reach_ms, horizon_ms, gap_ms, most, least_ticks, least_pairs, levels), chunk_ms)
 
 
 def quote_ofi(quotes: DataFrame, *, keys: list[str], chunk_ms: int = 3_600_000) -> DataFrame:
@@ -74,14 +89,9 @@ def recent_ofi(prompts: DataFrame, events: DataFrame, *, window_ms: int, recent_
     window's first quote has none before it and gives no event. 0 with fewer than ``least`` quotes in
     the window, ``least_recent`` among the latest (the one before them included), or no change.
     """
-    w = Window.partitionBy("asset", "current_time_ms", "venue")
-    j = window_join(prompts.select("asset", "current_time_ms"), events.select("asset", "venue", "seq", "recv_ts_ms", "ofi", "gross"), keys=["asset"], at="current_time_ms", ts="recv_ts_ms", window_ms=window_ms)
-    place = F.struct("recv_ts_ms", "seq")
-    j = j.withColumn("newest", F.max("recv_ts_ms").over(w)).withColumn("latest", (F.col("recv_ts_ms") >= F.col("newest") - recent_ms) & (place > F.min(place).over(w)))
-    of = lambda c: F.coalesce(F.sum(F.when(F.col("latest"), F.col(c))), F.lit(0.0))
-    s = j.groupBy("asset", "current_time_ms", "venue").agg(F.count(F.lit(1)).alias("n"), F.count_if("latest").alias("n_recent"), of("ofi").alias("net"), of("gross").alias("gross"))
-    enough = (F.col("n") >= least) & (F.col("n_recent") + 1 >= least_recent) & (F.col("gross") > 0)
-    return s.withColumn("value", F.when(enough, F.col("net") / F.col("gross")).otherwise(0.0))
+    asked = prompts.select("asset", "current_time_ms", F.explode(F.array(F.lit("spot"), F.lit("futures"))).alias("venue"))
+    rows = events.select("asset", "venue", "seq", "recv_ts_ms", "ofi", "gross")
+    return _of(asked, rows, ["asset", "venue"], "current_time_ms", window_ms, windows.recent_ofi(window_ms, recent_ms, least, least_recent), None)
 
 
 def book_momentum(quotes: DataFrame, *, keys: list[str], lookback_ms: int, lags: dict[str, int], chunk_ms: int = 3_600_000) -> DataFrame:
@@ -98,15 +108,6 @@ def book_momentum(quotes: DataFrame, *, keys: list[str], lookback_ms: int, lags:
     return without_halo(m)
 
 
-def book_volatility(joined: DataFrame, *, keys: list[str], at: str, window_ms: int, least: int = 6) -> DataFrame:
-    """Realised volatility and log range of microprices within the window that ends at the last tick."""
-    w = Window.partitionBy(*keys, at)
-    m = joined.withColumn("micro", Q.microprice(or_mid=True)).withColumn("newest", F.max("recv_ts_ms").over(w)).filter((F.col("recv_ts_ms") > F.col("newest") - window_ms) & (F.col("micro") > 0))
-    r = m.withColumn("r", F.ln(F.col("micro") / F.lag("micro").over(w.orderBy("recv_ts_ms", "seq"))))
-    rv = F.stddev_pop("r") * F.sqrt(F.count("r"))
-    return r.groupBy(*keys, at).agg(F.count(F.lit(1)).alias("n"), rv.alias("rv"), F.ln(F.max("micro") / F.min("micro")).alias("rng")).filter(F.col("n") >= least)
-
-
 def _size(side: str, n: int | None = None) -> Column:
     levels = F.col(side) if n is None else F.slice(side, 1, n)
     return F.aggregate(levels, F.lit(0.0), lambda s, x: s + x["qty"])

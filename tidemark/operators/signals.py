@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import quotes as Q
 from tidemark.operators import flow
-from tidemark.operators.asof import asof_join, chunked, window_join, without_halo
+from tidemark.operators.asof import asof_join, chunked, without_halo
+from tidemark.operators.windows import Rows, sliced, window_stats
 
 PROMPT, AT = ["asset", "current_time_ms"], "current_time_ms"
 #: Windows of the signals, in the names' own units.
@@ -22,43 +26,91 @@ def _both(rows: DataFrame) -> DataFrame:
     return rows.groupBy(*PROMPT).agg(*[pick(v, c).alias(f"{p}_{c}") for v, p in (("spot", "s"), ("futures", "f")) for c in names])
 
 
-def quote_signals(prompts: DataFrame, quotes: DataFrame, *, unit: int, least: int = 5) -> DataFrame:
-    """Last mid and microprice, mids so long ago (the window's first tick, where it is younger), counts and ranges of the mid."""
-    j = window_join(prompts, quotes, keys=["asset"], at=AT, ts="recv_ts_ms", window_ms=60_000 * unit).withColumn("mid", Q.mid())
-    order, age = F.struct("recv_ts_ms", "seq"), F.col(AT) - F.col("recv_ts_ms")
-    old = [F.coalesce(F.max_by(F.when(age >= w * unit, F.col("mid")), F.when(age >= w * unit, order)), F.min_by("mid", order)).alias(f"mid{w}") for w in CHANGE_MS]
-    counts = [F.count(F.when(age < w * unit, 1)).cast("double").alias(f"nbt{w}") for w in QUOTES_MS]
-    ranges = [F.coalesce(F.max(F.when(age < w * 1000 * unit, F.col("mid"))) - F.min(F.when(age < w * 1000 * unit, F.col("mid"))), F.lit(0.0)).alias(f"brng{w}") for w in RANGE_S]
-    last = F.max_by(F.struct("mid", Q.microprice(or_mid=True).alias("micro")), order).alias("last")
-    per = j.groupBy(*PROMPT, "venue").agg(last, F.count(F.lit(1)).alias("n"), F.min("recv_ts_ms").alias("first"), *old, *counts, *ranges)
-    return _both(per.select(*PROMPT, "venue", "last.mid", "last.micro", *[c for c in per.columns if c not in (*PROMPT, "venue", "last")])).filter(f"s_n >= {least} and f_n >= {least}")
-
-
-def basis_signals(prompts: DataFrame, quotes: DataFrame, books: DataFrame, *, unit: int, grid_ms: int, chunk_ms: int) -> DataFrame:
-    """``bdev``: basis now less its mean on a grid over the last seconds, from where both venues have a tick in the window."""
-    span = prompts.groupBy("asset").agg(F.min(AT).alias("lo"), F.max(AT).alias("hi"))
-    points = span.select("asset", F.explode(F.sequence(F.col("lo") - 60_000 * unit + grid_ms, F.col("hi"), F.lit(grid_ms).cast("long"))).alias("grid_ms"))
-    for venue in ("spot", "futures"):
-        q = quotes.filter(F.col("venue") == venue).select("asset", "seq", "recv_ts_ms", Q.mid().alias("mid"))
-        points = asof_join(points, q, keys=["asset"], left_ts="grid_ms", right_ts="recv_ts_ms", seq="seq", chunk_ms=chunk_ms, name=venue)
-    basis = points.select("asset", "grid_ms", (F.col("futures.mid") - F.col("spot.mid")).alias("basis")).filter("basis is not null")
-    asked = books.select(*PROMPT, F.greatest("s_first", "f_first").alias("first"), (F.col("f_mid") - F.col("s_mid")).alias("now"))
-    j = window_join(asked, basis, keys=["asset"], at=AT, ts="grid_ms", window_ms=60_000 * unit).filter("grid_ms >= first")
-    mean = lambda w: F.avg(F.when(F.col(AT) - F.col("grid_ms") < w * 1000 * unit, F.col("basis")))
-    return j.groupBy(*PROMPT, "now").agg(*[mean(w).alias(f"m{w}") for w in BASIS_S]).select(*PROMPT, *[(F.col("now") - F.col(f"m{w}")).alias(f"bdev{w}") for w in BASIS_S])
-
-
-def trade_signals(prompts: DataFrame, trades: DataFrame, *, unit: int) -> DataFrame:
+def _venues(made: Callable[[Rows, np.ndarray], dict[str, np.ndarray]], reach_ms: int) -> Callable[[Rows, np.ndarray], dict[str, np.ndarray]]:
+    """A measure of both venues' rows from one of a venue's: ``s_`` and ``f_`` before its names, no numbers where a venue has no row in reach."""
+
+    def measure(rows: Rows, at: np.ndarray) -> dict[str, np.ndarray]:
+        out, there = {}, np.zeros(len(at), bool)
+        for p, futures in (("s", 0), ("f", 1)):
+            own = rows.part(rows["futures"] == futures)
+            lo, hi = own.window(at, reach_ms)
+            there |= hi > lo
+            if len(own):
+                out |= {f"{p}_{n}": np.where(hi > lo, v, np.nan) for n, v in made(own, at).items()}
+        return out | {"there": there} if out else {}
+
+    return measure
+
+
+def _both(rows: DataFrame) -> DataFrame:
+    """One row per prompt from one per venue: columns with ``s_`` and ``f_`` before them."""
+    names = [c for c in rows.columns if c not in (*PROMPT, "venue")]
+    pick = lambda v, c: F.max(F.when(F.col("venue") == v, F.col(c)))
+    return rows.groupBy(*PROMPT).agg(*[pick(v, c).alias(f"{p}_{c}") for v, p in (("spot", "s"), ("futures", "f")) for c in names])
+
+
+def quote_measure(unit: int, grid_ms: int, least: int) -> tuple[Callable, str]:
+    """Last mid and microprice, mids so long ago (the window's first tick, where it is younger), counts and ranges of
+    the mid, per venue; and ``bdev``: basis now less its mean on a grid of ``grid_ms`` back from the prompt, from where both venues
+    have a tick in the window. Prompts need ``least`` quotes of both."""
+    reach = 60_000 * unit
+
+    def of_venue(rows: Rows, at: np.ndarray) -> dict[str, np.ndarray]:
+        lo, hi = rows.window(at, reach)
+        some = hi > lo
+        high, low = rows.extremes(rows["mid"], np.fmax), rows.extremes(rows["mid"], np.fmin)
+        out = {"mid": rows.pick("mid", hi - 1, some), "micro": rows.pick("micro", hi - 1, some), "n": hi - lo, "first": rows.pick("recv_ts_ms", lo, some)}
+        for w in CHANGE_MS:
+            out[f"mid{w}"] = rows.pick("mid", np.maximum(lo, rows.upto(at - w * unit) - 1), some)
+        for w in QUOTES_MS:
+            out[f"nbt{w}"] = hi - np.maximum(lo, rows.upto(at - w * unit))
+        for w in RANGE_S:
+            since = np.maximum(lo, rows.upto(at - w * 1000 * unit))
+            out[f"brng{w}"] = np.nan_to_num(high(since, hi) - low(since, hi))
+        return out
+
+    both, names = _venues(of_venue, reach), ("mid", "micro", *[f"mid{w}" for w in CHANGE_MS], *[f"nbt{w}" for w in QUOTES_MS], *[f"brng{w}" for w in RANGE_S])
+
+    def measure(rows: Rows, at: np.ndarray) -> dict[str, np.ndarray]:
+        out = both(rows, at)
+        if "s_n" not in out or "f_n" not in out:
+            return {}
+        there = (out.pop("s_n") >= least) & (out.pop("f_n") >= least)
+        first = np.maximum(out.pop("s_first"), out.pop("f_first"))
+        spot, futures = (rows.part(rows["futures"] == k) for k in (0, 1))
+        back, means = np.arange(reach // grid_ms) * grid_ms, np.full((len(BASIS_S), len(at)), np.nan)
+        for part in sliced(len(at), len(back)):
+            grid = at[part][:, None] - back
+            s, f = (v.upto(grid.ravel()).reshape(grid.shape) - 1 for v in (spot, futures))
+            basis = futures["mid"][np.maximum(f, 0)] - spot["mid"][np.maximum(s, 0)]
+            known = grid >= first[part][:, None]
+            for i, w in enumerate(BASIS_S):
+                mine = known & (back < w * 1000 * unit)
+                n = mine.sum(1)
+                means[i, part] = np.divide(np.where(mine, basis, 0.0).sum(1), n, out=np.full(len(n), np.nan), where=n > 0)
+        now = out["f_mid"] - out["s_mid"]
+        return out | {f"bdev{w}": now - means[i] for i, w in enumerate(BASIS_S)} | {"there": there}
+
+    return measure, ", ".join(f"{c} double" for c in (*[f"{p}_{n}" for p in "sf" for n in names], *[f"bdev{w}" for w in BASIS_S]))
+
+
+def trade_measure(unit: int) -> tuple[Callable, str]:
     """Last trade, and flow, volume, count and VWAP of the last milliseconds, per venue."""
-    j = window_join(prompts, trades, keys=["asset"], at=AT, ts="recv_ts_ms", window_ms=60_000 * unit)
-    age, signed = F.col(AT) - F.col("recv_ts_ms"), flow.signed_qty()
-    sums = [c for w in FLOW_MS for c in (F.coalesce(F.sum(F.when(age < w * unit, signed)), F.lit(0.0)).alias(f"flow{w}"), F.coalesce(F.sum(F.when(age < w * unit, F.col("qty"))), F.lit(0.0)).alias(f"vol{w}"), F.count(F.when(age < w * unit, 1)).cast("double").alias(f"n{w}"))]
-    paid = F.sum(F.when(age < 10_000 * unit, F.col("price") * F.col("qty")))
-    last = F.max_by(F.struct("price", "buyer_is_maker", "recv_ts_ms"), F.struct("recv_ts_ms", "seq")).alias("l")
-    per = j.groupBy(*PROMPT, "venue").agg(last, paid.alias("paid"), *sums)
-    side = F.when(F.col("l.buyer_is_maker"), -1.0).otherwise(1.0)
-    vwap = F.when(F.col("vol10000") > 0, F.col("paid") / F.col("vol10000"))
-    return _both(per.select(*PROMPT, "venue", F.col("l.price").alias("lastpx"), side.alias("last_side"), (F.col(AT) - F.col("l.recv_ts_ms")).cast("double").alias("last_age"), vwap.alias("vwap10"), *[f"{n}{w}" for w in FLOW_MS for n in ("flow", "vol", "n")]))
+    reach = 60_000 * unit
+
+    def of_venue(rows: Rows, at: np.ndarray) -> dict[str, np.ndarray]:
+        lo, hi = rows.window(at, reach)
+        some = hi > lo
+        signed, qty, paid = rows.sums(rows["signed"]), rows.sums(rows["qty"]), rows.sums(rows["price"] * rows["qty"])
+        out = {"lastpx": rows.pick("price", hi - 1, some), "last_side": np.where(rows.pick("maker", hi - 1, some) > 0, -1.0, 1.0), "last_age": at - rows.pick("recv_ts_ms", hi - 1, some)}
+        for w in FLOW_MS:
+            since = rows.upto(at - w * unit)
+            out |= {f"flow{w}": signed(since, hi), f"vol{w}": qty(since, hi), f"n{w}": hi - since}
+        vol = out["vol10000"]
+        return out | {"vwap10": np.divide(paid(rows.upto(at - 10_000 * unit), hi), vol, out=np.full(len(at), np.nan), where=vol > 0)}
+
+    names = ("lastpx", "last_side", "last_age", "vwap10", *[f"{n}{w}" for w in FLOW_MS for n in ("flow", "vol", "n")])
+    return _venues(of_venue, reach), ", ".join(f"{p}_{n} double" for p in "sf" for n in names)
 
 
 def depth_signals(prompts: DataFrame, depth: DataFrame, *, notional: float, chunk_ms: int) -> DataFrame:
@@ -67,10 +119,12 @@ def depth_signals(prompts: DataFrame, depth: DataFrame, *, notional: float, chun
     dimb = [((size("bids", n) - size("asks", n)) / F.greatest(size("bids", n) + size("asks", n), F.lit(1e-12))).alias(f"dimb{n}") for n in LEVELS]
     span = F.element_at("asks", -1)["price"] - F.element_at("bids", -1)["price"]
     small = flow.walked_book(depth.filter("size(bids) > 0 and size(asks) > 0"), notional=notional).select("asset", "venue", "seq", "recv_ts_ms", *dimb, span.alias("dspan"), F.col("gap").alias("dthin"))
-    out = prompts.select(*PROMPT)
-    for venue, p in (("spot", "s"), ("futures", "f")):
-        out = asof_join(out, small.filter(F.col("venue") == venue).drop("venue"), keys=["asset"], left_ts=AT, right_ts="recv_ts_ms", seq="seq", chunk_ms=chunk_ms, name=p)
-    return out.select(*PROMPT, *[F.col(f"{p}.{c}").alias(f"{p}_{c}") for p in "sf" for c in (*[f"dimb{n}" for n in LEVELS], "dspan", "dthin")])
+    last = asof_join(_asked(prompts), small, keys=["asset", "venue"], left_ts=AT, right_ts="recv_ts_ms", seq="seq", chunk_ms=chunk_ms)
+    return _both(last.select(*PROMPT, "venue", *[F.col("last")[c].alias(c) for c in (*[f"dimb{n}" for n in LEVELS], "dspan", "dthin")]))
+
+
+def _asked(prompts: DataFrame) -> DataFrame:
+    return prompts.select(*PROMPT, F.explode(F.array(F.lit("spot"), F.lit("futures"))).alias("venue"))
 
 
 def candle_signals(prompts: DataFrame, candles: DataFrame, *, bar_ms: int, bars: float, least: int, chunk_ms: int) -> DataFrame:
@@ -83,31 +137,26 @@ def candle_signals(prompts: DataFrame, candles: DataFrame, *, bar_ms: int, bars:
     over = lambda c, k: F.avg(c).over(w.rowsBetween(-(n(k) - 1), 0))
     rows = without_halo(dealt.withColumn("nth", F.count(F.lit(1)).over(w.rowsBetween(-(least - 1), 0))).withColumns({f"mad{k}": over("move", k) for k in MOVE_BARS} | {f"rng{k}": over("range", k) for k in RANGE_BARS}))
     rows = rows.filter(F.col("nth") >= least).withColumn("end_ms", F.col("open_time_ms") + bar_ms)
-    out = prompts.select(*PROMPT)
-    for venue, p, names in (("spot", "c", [*[f"mad{k}" for k in MOVE_BARS], *[f"rng{k}" for k in RANGE_BARS]]), ("futures", "fc", [f"mad{k}" for k in FUTURES_BARS])):
-        own = rows.filter(F.col("venue") == venue).select("asset", "end_ms", *names)
-        out = asof_join(out, own, keys=["asset"], left_ts=AT, right_ts="end_ms", seq="end_ms", chunk_ms=chunk_ms, name=f"__{p}")
-        out = out.select(*[c for c in out.columns if c != f"__{p}"], *[F.col(f"__{p}")[c].alias(f"{p}_{c}") for c in names])
-    return out
-
-
-def liquidation_sums(prompts: DataFrame, liquidations: DataFrame, *, unit: int) -> DataFrame:
-    """Signed quantity and count of liquidations in the last seconds."""
-    j = window_join(prompts, liquidations, keys=["asset"], at=AT, ts="recv_ts_ms", window_ms=LIQ_S[-1] * 1000 * unit)
-    age, signed = F.col(AT) - F.col("recv_ts_ms"), F.when(F.col("is_buy"), F.col("qty")).otherwise(-F.col("qty"))
-    return j.groupBy(*PROMPT).agg(*[c for w in LIQ_S for c in (F.coalesce(F.sum(F.when(age < w * 1000 * unit, signed)), F.lit(0.0)).alias(f"liq_signed{w}"), F.count(F.when(age < w * 1000 * unit, 1)).cast("double").alias(f"liq_n{w}"))])
+    names = [*[f"mad{k}" for k in MOVE_BARS], *[f"rng{k}" for k in RANGE_BARS]]
+    last = asof_join(_asked(prompts), rows.select("asset", "venue", "end_ms", *names), keys=["asset", "venue"], left_ts=AT, right_ts="end_ms", seq="end_ms", chunk_ms=chunk_ms)
+    both = _both(last.select(*PROMPT, "venue", *[F.col("last")[n].alias(n) for n in names]))
+    return both.select(*PROMPT, *[F.col(f"s_{n}").alias(f"c_{n}") for n in names], *[F.col(f"f_mad{k}").alias(f"fc_mad{k}") for k in FUTURES_BARS])
 
 
 def build_signals(prompts: DataFrame, *, quotes: DataFrame, trades: DataFrame, depth: DataFrame, candles: DataFrame, liquidations: DataFrame, unit: int = 1, grid_ms: int = 100, notional: float = 25_000.0, bar_ms: int = 1000, bars: float = 1.0, least_bars: int = 120, chunk_ms: int = 3_600_000) -> DataFrame:
     """One row per prompt and its 87 signals; null where a stream has nothing to say.
 
-    Prompts need five quotes of both venues in the window. Each stream is joined to its prompts
-    once and reduced to a row per prompt; ``unit`` stretches all windows in time.
+    Prompts need five quotes of both venues in the window. Each stream meets its prompts once, by
+    ``window_stats`` or as of, and gives a row per prompt; ``unit`` stretches all windows in time.
     """
     p = prompts.select(*PROMPT, *[c for c in ("venue",) if c in prompts.columns])
-    at = prompts.select(*PROMPT)
-    book = quote_signals(at, quotes, unit=unit)
-    parts = [basis_signals(at, quotes, book, unit=unit, grid_ms=grid_ms, chunk_ms=chunk_ms), trade_signals(at, trades, unit=unit), depth_signals(at, depth, notional=notional, chunk_ms=chunk_ms), candle_signals(at, candles, bar_ms=bar_ms, bars=bars, least=least_bars, chunk_ms=chunk_ms), liquidation_sums(at, liquidations, unit=unit)]
+    at, futures = prompts.select(*PROMPT), (F.col("venue") == "futures").cast("int").alias("futures")
+    ticks = quotes.filter("venue in ('spot', 'futures')").select("asset", "seq", "recv_ts_ms", futures, Q.mid().alias("mid"), Q.microprice(or_mid=True).alias("micro"))
+    dealt = trades.filter("venue in ('spot', 'futures')").select("asset", "seq", "recv_ts_ms", futures, "price", "qty", flow.signed_qty().alias("signed"), F.col("buyer_is_maker").cast("int").alias("maker"))
+    made = lambda rows, measure, gives: window_stats(at, rows, keys=["asset"], at=AT, ts="recv_ts_ms", seq="seq", reach_ms=60_000 * unit, measure=measure, gives=gives)
+    book = made(ticks, *quote_measure(unit, grid_ms, 5))
+    liq = flow.liquidation_sums(at, liquidations, keys=["asset"], at=AT, spans={str(w): w * 1000 * unit for w in LIQ_S})
+    parts = [made(dealt, *trade_measure(unit)), depth_signals(at, depth, notional=notional, chunk_ms=chunk_ms), candle_signals(at, candles, bar_ms=bar_ms, bars=bars, least=least_bars, chunk_ms=chunk_ms), liq]
     j = p.withColumnRenamed("venue", "__venue") if "venue" in p.columns else p.withColumn("__venue", F.lit(None).cast("string"))
     j = j.join(book, PROMPT)
     for part in parts:

@@ -77,6 +77,17 @@ def trade_window(spark: SparkSession, sf_dir: str, hours: int = 6) -> DataFrame:
     return window_join(T.clock_prompts(spark, sf_dir), T.trades(spark, sf_dir), keys=["asset"], at="current_time_ms", ts="recv_ts_ms", window_ms=hours * HOUR)
 
 
+def venue_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return features.per_venue(T.clock_prompts(spark, sf_dir))
+
+
+def latest_trades(spark: SparkSession, sf_dir: str, hours: int = 6) -> DataFrame:
+    """Clock prompts and venues with the last trade of the hours before."""
+    t = T.trades(spark, sf_dir)
+    last = asof_join(venue_prompts(spark, sf_dir), t, keys=KEY, left_ts="current_time_ms", right_ts="recv_ts_ms", seq="seq", chunk_ms=CHUNK, max_age_ms=hours * HOUR - 1)
+    return last.filter("last is not null")
+
+
 def hour_candles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.candles_from_trades(T.trades(spark, sf_dir), keys=KEY, bar_ms=HOUR)
 
@@ -114,7 +125,7 @@ def p12_moved_trades(spark, sf_dir):
 
 @query
 def p14_staleness(spark, sf_dir):
-    last = trade_window(spark, sf_dir).groupBy("asset", "current_time_ms", "venue").agg(F.max("recv_ts_ms").alias("t"))
+    last = latest_trades(spark, sf_dir).select("asset", "current_time_ms", "venue", F.col("last.recv_ts_ms").alias("t"))
     m = last.groupBy("asset", "current_time_ms").agg(F.map_from_entries(F.collect_list(F.struct("venue", "t"))).alias("times"))
     return m.select("asset", "current_time_ms", Q.staleness_ms("current_time_ms", F.col("times")).alias("stale_ms"), F.size("times").alias("n_streams"))
 
@@ -159,6 +170,24 @@ def j6_horizon_pairs(spark, sf_dir):
     return good.select("asset", "start", F.col("last.seq").alias("end"), r(F.col("last.micro") - F.col("micro_0")).alias("move"))
 
 
+def window_moves(spark, sf_dir) -> DataFrame:
+    """Moves over three hours within the two days before each prompt, from sixteen starts at most."""
+    levels = [float(x) for x in L.GRID]
+    return flow.horizon_pairs(
+        T.clock_prompts(spark, sf_dir), spot(spark, sf_dir), keys=["asset"], at="current_time_ms", reach_ms=48 * HOUR, horizon_ms=3 * HOUR, gap_ms=2 * HOUR, most=16, least_ticks=20, least_pairs=8, levels=levels,
+    )
+
+
+@query
+def j6_window_pairs(spark, sf_dir):
+    return window_moves(spark, sf_dir).select("asset", "current_time_ms", "n_ticks", "n_pairs", r("total").alias("total"))
+
+
+@query
+def a14_window_offsets(spark, sf_dir):
+    return window_moves(spark, sf_dir).select("asset", "current_time_ms", F.posexplode("q").alias("i", "v")).select("asset", "current_time_ms", "i", r("v", 9).alias("offset"))
+
+
 @query
 def j7_basis_grid(spark, sf_dir):
     out = T.clock_prompts(spark, sf_dir)
@@ -211,13 +240,13 @@ def a2_upsert_candles(spark, sf_dir):
 
 @query
 def a3_trade_flow(spark, sf_dir):
-    f = flow.trade_flow(trade_window(spark, sf_dir), keys=["asset", "venue"], at="current_time_ms", last_n=5, window_ms=2 * HOUR)
+    f = flow.trade_flow(venue_prompts(spark, sf_dir), T.trades(spark, sf_dir), keys=KEY, at="current_time_ms", reach_ms=6 * HOUR, last_n=5, window_ms=2 * HOUR)
     return f.select("asset", "venue", "current_time_ms", *[r(c).alias(c) for c in ("flow", "flow_fast", "flow_window", "qty_window")])
 
 
 @query
 def a4_side_flow(spark, sf_dir):
-    return flow.side_flow(trade_window(spark, sf_dir), keys=["asset", "venue"], at="current_time_ms", window_ms=2 * HOUR)
+    return flow.side_flow(venue_prompts(spark, sf_dir), T.trades(spark, sf_dir), keys=KEY, at="current_time_ms", reach_ms=6 * HOUR, window_ms=2 * HOUR).select("asset", "venue", "current_time_ms", "bought", "sold")
 
 
 @query
@@ -227,8 +256,7 @@ def a5_depth_imbalance(spark, sf_dir):
 
 @query
 def a6_liquidation_signals(spark, sf_dir):
-    w = window_join(T.clock_prompts(spark, sf_dir), T.liquidations(spark, sf_dir), keys=["asset"], at="current_time_ms", ts="recv_ts_ms", window_ms=6 * HOUR + 1)  # both ends count
-    s = flow.liquidation_signals(w, keys=["asset"], at="current_time_ms", recent_ms=HOUR, unit=10.0, long_unit=100.0)
+    s = flow.liquidation_signals(T.clock_prompts(spark, sf_dir), T.liquidations(spark, sf_dir), keys=["asset"], at="current_time_ms", reach_ms=6 * HOUR, recent_ms=HOUR, unit=10.0, long_unit=100.0)
     return s.select("asset", "current_time_ms", r("direction").alias("direction"), r("activity").alias("activity"), "n")
 
 
@@ -246,8 +274,13 @@ def a9_ewma_vol(spark, sf_dir):
 
 @query
 def a10_book_volatility(spark, sf_dir):
-    w = window_join(T.clock_prompts(spark, sf_dir), T.quotes(spark, sf_dir), keys=["asset"], at="current_time_ms", ts="recv_ts_ms", window_ms=6 * HOUR)
-    b = flow.book_volatility(w, keys=["asset", "venue"], at="current_time_ms", window_ms=5 * HOUR)
+    b = flow.book_volatility(venue_prompts(spark, sf_dir), T.quotes(spark, sf_dir), keys=KEY, at="current_time_ms", reach_ms=6 * HOUR, window_ms=5 * HOUR)
+    return b.select("asset", "venue", "current_time_ms", "n", r("rv").alias("rv"), r("rng").alias("rng"))
+
+
+@query
+def a10_thinned_volatility(spark, sf_dir):
+    b = flow.book_volatility(venue_prompts(spark, sf_dir), T.quotes(spark, sf_dir), keys=KEY, at="current_time_ms", reach_ms=48 * HOUR, window_ms=40 * HOUR, most=16)
     return b.select("asset", "venue", "current_time_ms", "n", r("rv").alias("rv"), r("rng").alias("rng"))
 
 
@@ -329,13 +362,13 @@ def a25_trigger_mix(spark, sf_dir):
 
 @query
 def a26_tick_counts(spark, sf_dir):
-    t = flow.tick_counts(trade_window(spark, sf_dir), keys=["asset", "venue"], at="current_time_ms", windows={"1h": HOUR, "6h": 6 * HOUR})
+    t = flow.tick_counts(venue_prompts(spark, sf_dir), T.trades(spark, sf_dir), keys=KEY, at="current_time_ms", spans={"1h": HOUR, "6h": 6 * HOUR})
     return t.select("asset", "venue", "current_time_ms", *[r(c, 9).alias(c) if c[0] in "rv" else c for c in t.columns[3:]])
 
 
 @query
 def a31_robust_center_scale(spark, sf_dir):
-    t = flow.tick_counts(trade_window(spark, sf_dir), keys=["asset", "venue"], at="current_time_ms", windows={"6h": 6 * HOUR})
+    t = flow.tick_counts(venue_prompts(spark, sf_dir), T.trades(spark, sf_dir), keys=KEY, at="current_time_ms", spans={"6h": 6 * HOUR})
     long = t.select("venue", F.stack(F.lit(3), F.lit("n"), F.col("n_6h").cast("double"), F.lit("flow"), F.col("flow_6h"), F.lit("range"), F.col("range_6h")).alias("signal", "value"))
     centre = long.groupBy("venue", "signal").agg(F.percentile("value", F.lit(0.5)).alias("centre"))
     back = long.join(centre, ["venue", "signal"]).groupBy("venue", "signal", "centre").agg(F.avg(F.abs(F.col("value") - F.col("centre"))).alias("scale"))
@@ -515,7 +548,7 @@ def f15_event_coin(spark, sf_dir):
 
 @query
 def f10_signal_scores(spark, sf_dir):
-    t = flow.tick_counts(trade_window(spark, sf_dir), keys=["asset", "venue"], at="current_time_ms", windows={"6h": 6 * HOUR})
+    t = flow.tick_counts(venue_prompts(spark, sf_dir), T.trades(spark, sf_dir), keys=KEY, at="current_time_ms", spans={"6h": 6 * HOUR})
     z = Q.robust_z(F.col("flow_6h"), F.lit(0.5), F.lit(8.0))
     z1 = Q.robust_z(F.col("n_6h").cast("double"), F.lit(1.5), F.lit(0.7), kind="log1p")
     return t.select("asset", "venue", "current_time_ms", r(z).alias("z"), r(z1).alias("z_log"), r(Q.logistic(0.2, [z, z1], [1.5, -0.7])).alias("p"), r(Q.log_blend(0.1, [F.col("vol_6h"), F.col("range_6h")], [0.4, 0.3], 1e-3)).alias("blend"))
@@ -597,8 +630,7 @@ def p10_asset_params(spark, sf_dir):
 
 @query
 def t1_latest_rows(spark, sf_dir):
-    w = trade_window(spark, sf_dir).groupBy("asset", "venue", "current_time_ms").agg(F.max_by(F.struct("seq", "price", "recv_ts_ms"), F.struct("recv_ts_ms", "seq")).alias("l"))
-    return w.select("asset", "venue", "current_time_ms", F.col("l.seq").alias("seq"), F.col("l.price").alias("price"), F.col("l.recv_ts_ms").alias("recv_ts_ms"))
+    return latest_trades(spark, sf_dir).select("asset", "venue", "current_time_ms", "last.seq", "last.price", "last.recv_ts_ms")
 
 
 @query
@@ -639,18 +671,14 @@ def a8_band_imbalance(spark, sf_dir):
 
 @query
 def a30_liquidation_sums(spark, sf_dir):
-    w = window_join(T.clock_prompts(spark, sf_dir), T.liquidations(spark, sf_dir), keys=["asset"], at="current_time_ms", ts="recv_ts_ms", window_ms=6 * HOUR)
-    signed, age = F.when(F.col("is_buy"), F.col("qty")).otherwise(-F.col("qty")), F.col("current_time_ms") - F.col("recv_ts_ms")
-    out = [c for h in (1, 6) for c in (F.coalesce(F.sum(F.when(age < h * HOUR, signed)), F.lit(0.0)).alias(f"liq_signed_{h}h"), F.count(F.when(age < h * HOUR, 1)).alias(f"liq_n_{h}h"))]
-    return w.groupBy("asset", "current_time_ms").agg(*out)
+    return flow.liquidation_sums(T.clock_prompts(spark, sf_dir), T.liquidations(spark, sf_dir), keys=["asset"], at="current_time_ms", spans={"_1h": HOUR, "_6h": 6 * HOUR})
 
 
 @query
 def a32_touch_queue_ratio(spark, sf_dir):
     q = spot(spark, sf_dir)
     at = asof_join(T.clock_prompts(spark, sf_dir), q, keys=["asset"], left_ts="current_time_ms", right_ts="recv_ts_ms", seq="seq", chunk_ms=CHUNK)
-    w = window_join(T.clock_prompts(spark, sf_dir), T.trades(spark, sf_dir).filter("venue = 'spot'"), keys=["asset"], at="current_time_ms", ts="recv_ts_ms", window_ms=6 * HOUR)
-    f = flow.side_flow(w, keys=["asset"], at="current_time_ms", window_ms=6 * HOUR)
+    f = flow.side_flow(T.clock_prompts(spark, sf_dir), T.trades(spark, sf_dir).filter("venue = 'spot'"), keys=["asset"], at="current_time_ms", reach_ms=6 * HOUR, window_ms=6 * HOUR)
     j = at.join(f, ["asset", "current_time_ms"]).filter("last is not null")
     bid, ask = F.col("last.bid_qty"), F.col("last.ask_qty")
     ratio = F.least(F.ln((bid + 0.001) / (F.col("sold") + 0.05)), F.ln((ask + 0.001) / (F.col("bought") + 0.05)))

@@ -45,6 +45,35 @@ answers AS (SELECT p.*, model_no, model FROM priced p CROSS JOIN models WHERE (c
 ladder AS (SELECT a.*, i, tau, price + (model_no - 3) * 0.05::DOUBLE + (0.2::DOUBLE + 0.1::DOUBLE * model_no) * z AS x FROM answers a CROSS JOIN z)
 """
 
+#: The two days before each prompt: spot quotes numbered, every ceil(n / 16)-th a start, its end the last row three hours on.
+PAIRS = f""",
+w AS (
+  SELECT p.asset, p.t, k.recv_ts_ms AS ms, k.micro, row_number() OVER (PARTITION BY p.asset, p.t ORDER BY k.recv_ts_ms, k.seq) - 1 AS i, count(*) OVER (PARTITION BY p.asset, p.t) AS n
+  FROM prompts p JOIN spot k ON k.asset = p.asset AND k.recv_ts_ms > p.t - 48 * {H} AND k.recv_ts_ms <= p.t
+),
+ends AS (
+  SELECT a.asset, a.t, a.n, a.i, max(b.i) AS j FROM w a JOIN w b ON a.asset = b.asset AND a.t = b.t AND b.ms <= a.ms + 3 * {H}
+  WHERE a.i % ceil(a.n / 16.0)::INT = 0 GROUP BY ALL
+),
+pairs AS (
+  SELECT e.asset, e.t, e.n, y.micro - x.micro AS move FROM ends e JOIN w x ON x.asset = e.asset AND x.t = e.t AND x.i = e.i
+  JOIN w y ON y.asset = e.asset AND y.t = e.t AND y.i = e.j WHERE e.j > e.i AND y.ms - x.ms >= 2 * {H}
+),
+kept AS (SELECT asset, t AS current_time_ms, n AS n_ticks, count(*) AS n_pairs, sum(move) AS total, list(move) AS moves FROM pairs WHERE n >= 20 GROUP BY ALL HAVING count(*) >= 8)
+"""
+
+#: Quotes of the last 40 of 48 hours, at most 16 of them: evenly spaced, both ends included.
+THINNED = f""",
+w AS (
+  SELECT p.asset, k.venue, p.t, k.recv_ts_ms AS ms, k.seq, k.micro, max(k.recv_ts_ms) OVER (PARTITION BY p.asset, k.venue, p.t) AS newest
+  FROM prompts p JOIN quotes k ON k.asset = p.asset AND k.recv_ts_ms > p.t - 48 * {H} AND k.recv_ts_ms <= p.t
+),
+m AS (SELECT asset, venue, t, micro, row_number() OVER o - 1 AS i, count(*) OVER (PARTITION BY asset, venue, t) AS n FROM w WHERE ms > newest - 40 * {H} WINDOW o AS (PARTITION BY asset, venue, t ORDER BY ms, seq)),
+wanted AS (SELECT DISTINCT asset, venue, t, CASE WHEN k = 15 THEN n - 1 ELSE floor(k * ((n - 1) / 15.0::DOUBLE))::BIGINT END AS i, k FROM (SELECT DISTINCT asset, venue, t, n FROM m WHERE n > 16) c CROSS JOIN range(16) g(k)),
+picked AS (SELECT asset, venue, t, i, i AS k, micro FROM m WHERE n <= 16 UNION ALL SELECT asset, venue, t, i, k, micro FROM m JOIN wanted USING (asset, venue, t, i)),
+steps AS (SELECT *, ln(micro / lag(micro) OVER (PARTITION BY asset, venue, t ORDER BY k)) AS r FROM picked)
+"""
+
 SCORES = (
     LABELS
     + """,
@@ -327,6 +356,9 @@ def oracle_sql() -> dict[str, str]:
         "a7_depth_bands": _sql(LEVELS + ", anchored AS (SELECT *, 0.5 * (max(price) FILTER (WHERE side = 'bid' AND i = 0) OVER (PARTITION BY seq) + max(price) FILTER (WHERE side = 'ask' AND i = 0) OVER (PARTITION BY seq)) AS anchor FROM lv), banded AS (SELECT *, CASE WHEN side = 'bid' THEN ceil((anchor - price) / 0.05::DOUBLE - 1e-9) - 1 ELSE floor((price - anchor) / 0.05::DOUBLE + 1e-9) END::INT AS band FROM anchored), per AS (SELECT asset, venue, seq, side, band, sum(qty) AS size FROM banded WHERE band BETWEEN 0 AND 99 GROUP BY ALL)", "SELECT asset, venue, side, band, sum(size) AS size, count(*) AS n FROM per GROUP BY ALL"),
         "a9_ewma_vol": _sql(CANDLES + AGED.format(cond="r_one IS NOT NULL"), "SELECT asset, venue, round(sqrt(sum(pow(0.94, age) * r_one * r_one) FILTER (WHERE age < 120) / sum(pow(0.94, age)) FILTER (WHERE age < 120)), 9) AS vol_slow, round(sqrt(sum(pow(0.85, age) * r_one * r_one) FILTER (WHERE age < 90) / sum(pow(0.85, age)) FILTER (WHERE age < 90)), 9) AS vol_fast FROM aged GROUP BY ALL"),
         "a10_book_volatility": _sql(f", w AS (SELECT p.t AS current_time_ms, k.asset, k.venue, k.recv_ts_ms, k.seq, k.micro, max(k.recv_ts_ms) OVER (PARTITION BY p.asset, k.venue, p.t) AS newest FROM prompts p JOIN quotes k ON k.asset = p.asset AND k.recv_ts_ms > p.t - 6 * {H} AND k.recv_ts_ms <= p.t), r AS (SELECT *, ln(micro / lag(micro) OVER (PARTITION BY asset, venue, current_time_ms ORDER BY recv_ts_ms, seq)) AS r FROM w WHERE recv_ts_ms > newest - 5 * {H}) SELECT asset, venue, current_time_ms, count(*) AS n, round(stddev_pop(r) * sqrt(count(r)), 6) AS rv, round(ln(max(micro) / min(micro)), 6) AS rng FROM r GROUP BY ALL HAVING count(*) >= 6"),
+        "a10_thinned_volatility": _sql(THINNED, "SELECT asset, venue, t AS current_time_ms, count(*) AS n, round(stddev_pop(r) * sqrt(count(r)), 6) + 0.0::DOUBLE AS rv, round(ln(max(micro) / min(micro)), 6) + 0.0::DOUBLE AS rng FROM steps GROUP BY ALL HAVING count(*) >= 6"),
+        "j6_window_pairs": _sql(PAIRS, "SELECT asset, current_time_ms, n_ticks, n_pairs, round(total, 6) + 0.0::DOUBLE AS total FROM kept"),
+        "a14_window_offsets": _sql(PAIRS, "SELECT asset, current_time_ms, (i - 1)::INT AS i, round(quantile - middle, 9) + 0.0::DOUBLE AS offset FROM (SELECT asset, current_time_ms, unnest(range(1, 101)) AS i, unnest(list_aggregate(moves, 'quantile_cont', list_transform(range(1, 101), lambda x: (2 * x - 1) / 200.0::DOUBLE))) AS quantile, list_aggregate(moves, 'quantile_cont', 0.5) AS middle FROM kept)"),
         "a12_hour_stats": _sql(CANDLES + ", m AS (SELECT asset, venue, d_ten AS d, quantile_cont(d_ten, 0.5) OVER w AS median FROM moved WHERE d_ten IS NOT NULL WINDOW w AS (PARTITION BY asset, venue))", "SELECT asset, venue, count(*) AS n, round(any_value(median), 6) AS median, round(avg(abs(d - median)), 6) AS mad, round(CASE WHEN quantile_cont(abs(d), 0.5) > 1e-6 AND count(*) >= 50 THEN quantile_cont(abs(d), 0.99) / quantile_cont(abs(d), 0.5) ELSE 1e9 END, 6) AS jump_ratio FROM m GROUP BY ALL"),
         "a14_quantile_offsets": _sql(CANDLES + ", qs AS (SELECT asset, venue, quantile_cont(d_ten, 0.5) AS median, quantile_cont(d_ten, [" + ", ".join(f"{(2 * i - 1) / 200}" for i in range(1, 101)) + "]) AS q FROM moved WHERE d_ten IS NOT NULL GROUP BY ALL)", "SELECT asset, venue, i::INT AS i, round(v - median, 6) AS \"offset\" FROM (SELECT asset, venue, median, unnest(q) AS v, unnest(range(100)) AS i FROM qs)"),
         "a16_activity_ratio": _sql(CANDLES + AGED.format(cond="r_ten IS NOT NULL"), "SELECT asset, venue, round(ln((1e-6 + avg(abs(r_ten)) FILTER (WHERE age < 60)) / (1e-6 + avg(abs(r_ten)) FILTER (WHERE age < 480))), 6) AS activity FROM aged GROUP BY ALL"),
