@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import candles as C
-from tidemark.operators import features, flow, payloads, prompts, scoring
+from tidemark.operators import features, flow, payloads, prompts, quantiles, scoring
 from tidemark.operators.asof import asof_join, window_join
 
 
@@ -139,7 +139,7 @@ def test_ingest_merge_and_coverage(spark):
 
 def test_exclusive_percentile(spark):
     s = spark.range(1, 101).selectExpr("'x' k", "double(id) v").union(spark.range(5).selectExpr("'y'", "double(id)"))
-    got = {r["k"]: r["percentile"] for r in scoring.exclusive_percentile(s, by=["k"], value="v", p=0.95).collect()}
+    got = {r["k"]: r["percentile"] for r in quantiles.exclusive_percentile(s, by=["k"], value="v", p=0.95).collect()}
     assert got["x"] == pytest.approx(95.95) and got["y"] == 4.0
 
 

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.asof import chunked, without_halo
+from tidemark.operators.quantiles import quantiles, with_groups
+from tidemark.scratch import written
 
 
 def candles_from_trades(trades: DataFrame, *, keys: list[str], ts: str = "ts_ms", seq: str = "seq", bar_ms: int = 1000, since_ms: int | None = None) -> DataFrame:
@@ -84,9 +86,12 @@ def aged(rows: DataFrame, *, keys: list[str], ts: str, newest: int, chunk_ms: in
 
 def hour_stats(moved: DataFrame, *, keys: list[str], move: str) -> DataFrame:
     """Mean absolute deviation from the median, and p99 over the median of absolute moves."""
-    m = moved.filter(F.col(move).isNotNull())
-    mid = m.groupBy(*keys).agg(F.percentile(move, F.lit(0.5)).alias("median"), F.percentile(F.abs(move), F.lit(0.5)).alias("typical"), F.percentile(F.abs(move), F.lit(0.99)).alias("extreme"), F.count(F.lit(1)).alias("n"))
-    back = m.join(mid, keys).groupBy(*keys).agg(F.avg(F.abs(F.col(move) - F.col("median"))).alias("mad"))
+    m = written(moved.filter(F.col(move).isNotNull()).select(*keys, F.col(move).cast("double").alias("__m")), "moves")
+    kinds = m.select(*keys, F.explode(F.array(F.struct(F.lit(False).alias("size"), F.col("__m").alias("v")), F.struct(F.lit(True).alias("size"), F.abs("__m").alias("v")))).alias("__k"))
+    both = quantiles(kinds.select(*keys, "__k.*"), by=[*keys, "size"], value="v", levels=[0.5, 0.99])
+    of = lambda size, i: F.max(F.when(F.col("size") == size, F.get("q", F.lit(i))))
+    mid = written(both.groupBy(*keys).agg(F.max("n").alias("n"), of(False, 0).alias("median"), of(True, 0).alias("typical"), of(True, 1).alias("extreme")), "medians")
+    back = with_groups(m, mid.select(*keys, "median"), keys).groupBy(*keys).agg(F.avg(F.abs(F.col("__m") - F.col("median"))).alias("mad"))
     jump = F.when((F.col("typical") > 1e-6) & (F.col("n") >= 50), F.col("extreme") / F.col("typical")).otherwise(1e9)
     return mid.join(back, keys).select(*keys, "n", "median", "mad", jump.alias("jump_ratio"))
 

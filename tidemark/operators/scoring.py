@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from tidemark.functions import ladders as L
 from tidemark.functions import quotes as Q
 from tidemark.operators.asof import asof_join
+from tidemark.operators.quantiles import exclusive_percentile, quantiles
+from tidemark.scratch import written
 
 
 def label_quotes(prompts: DataFrame, quotes: DataFrame, *, keys: list[str], horizon_ms: int, chunk_ms: int) -> DataFrame:
@@ -100,23 +102,12 @@ def reward_split(board: DataFrame, *, pool: float, shares: tuple[float, ...]) ->
 
 def run_summary(scores: DataFrame, *, by: list[str]) -> DataFrame:
     """Counts and CRPS statistics of all prompts and of those scored."""
+    s = written(scores.select(*by, "current_time_ms", "crps"), "scores")
     n = F.count("crps")
-    return scores.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), n.alias("n_scored"), (F.count(F.lit(1)) - n).alias("n_dropped"), F.avg("crps").alias("crps_mean"), F.percentile("crps", F.lit(0.5)).alias("crps_median"), F.min("crps").alias("crps_min"), F.max("crps").alias("crps_max"), F.min("current_time_ms").alias("first_ms"), F.max("current_time_ms").alias("last_ms"))
-
-
-def exclusive_percentile(values: DataFrame, *, by: list[str], value: str, p: float, least: int = 20) -> DataFrame:
-    """Percentile at position p * (n + 1), between neighbours; the largest value if n is under ``least``.
-
-    Values are ranked per group by a window; only the two neighbours are kept.
-    """
-    w = Window.partitionBy(*by).orderBy(value)
-    r = values.filter(F.col(value).isNotNull()).withColumn("i", F.row_number().over(w)).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(*by)))
-    pos = F.lit(p) * (F.col("n") + 1)
-    lo = F.least(F.greatest(F.floor(pos), F.lit(1)), F.col("n") - 1)
-    ends = r.groupBy(*by).agg(F.first("n").alias("n"), F.max(F.when(F.col("i") == lo, F.col(value))).alias("a"), F.max(F.when(F.col("i") == lo + 1, F.col(value))).alias("b"), F.max(value).alias("top"))
-    lo_n = F.least(F.greatest(F.floor(F.lit(p) * (F.col("n") + 1)), F.lit(1)), F.col("n") - 1)
-    between = F.col("a") + (F.lit(p) * (F.col("n") + 1) - lo_n) * (F.col("b") - F.col("a"))
-    return ends.select(*by, "n", F.when(F.col("n") < least, F.col("top")).otherwise(between).alias("percentile"))
+    sums = s.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), n.alias("n_scored"), (F.count(F.lit(1)) - n).alias("n_dropped"), F.avg("crps").alias("crps_mean"), F.min("crps").alias("crps_min"), F.max("crps").alias("crps_max"), F.min("current_time_ms").alias("first_ms"), F.max("current_time_ms").alias("last_ms"))
+    median = quantiles(s, by=by, value="crps", levels=[0.5]).select(*[F.col(c).alias(f"__{c}") for c in by], F.get("q", F.lit(0)).alias("crps_median"))
+    same = [sums[c].eqNullSafe(median[f"__{c}"]) for c in by]
+    return sums.join(median, same, "left").select(*by, "n", "n_scored", "n_dropped", "crps_mean", "crps_median", "crps_min", "crps_max", "first_ms", "last_ms")
 
 
 def run_report(runs: DataFrame, *, by: list[str], budget_ms: float) -> DataFrame:
@@ -126,11 +117,13 @@ def run_report(runs: DataFrame, *, by: list[str], budget_ms: float) -> DataFrame
     the exclusive one; ``within_budget`` is that the median keeps to the budget. A group without
     a readable row gives only its count.
     """
+    runs = written(runs.select(*by, "current_time_ms", "crps", "readable", "latency_ms"), "runs")
     good = runs.filter("readable")
     p95 = exclusive_percentile(good, by=by, value="latency_ms", p=0.95).select(*by, F.col("percentile").alias("p95_ms"))
-    took = good.groupBy(*by).agg(F.percentile("latency_ms", F.lit(0.5)).alias("median_ms"), F.max("latency_ms").alias("max_ms")).withColumn("within_budget", F.col("median_ms") <= budget_ms)
+    median = quantiles(good, by=by, value="latency_ms", levels=[0.5]).select(*by, F.get("q", F.lit(0)).alias("median_ms"), (F.get("q", F.lit(0)) <= budget_ms).alias("within_budget"))
+    most = good.groupBy(*by).agg(F.max("latency_ms").alias("max_ms"))
     out = runs.groupBy(*by).agg(F.count_if(~F.coalesce("readable", F.lit(False))).alias("n_unreadable"))
-    for part in (run_summary(good, by=by), took, p95):
+    for part in (run_summary(good, by=by), median, most, p95):
         out = out.join(part, by, "left")
     return out
 

@@ -17,6 +17,7 @@ from tidemark.functions import quotes as Q
 from tidemark.operators import candles as C
 from tidemark.operators import features, flow, forecast, payloads, prompts, scoring, signals
 from tidemark.operators.asof import asof_join, chunked, window_join, without_halo
+from tidemark.operators.quantiles import exclusive_percentile, quantiles, robust_center_scale
 from tidemark.sources import files
 from tidemark.sources import messages as M
 from tidemark.sources import ticks as T
@@ -293,8 +294,8 @@ def a12_hour_stats(spark, sf_dir):
 @query
 def a14_quantile_offsets(spark, sf_dir):
     m = moved(spark, sf_dir).filter("d_10 is not null")
-    q = m.groupBy(*KEY).agg(F.percentile("d_10", F.array(*map(F.lit, L.GRID))).alias("q"), F.percentile("d_10", F.lit(0.5)).alias("median"))
-    return q.select(*KEY, "median", F.posexplode("q").alias("i", "v")).select(*KEY, "i", r(F.col("v") - F.col("median")).alias("offset"))
+    q = quantiles(m, by=KEY, value="d_10", levels=[0.5, *map(float, L.GRID)])
+    return q.select(*KEY, F.get("q", F.lit(0)).alias("median"), F.posexplode(F.slice("q", 2, L.N)).alias("i", "v")).select(*KEY, "i", r(F.col("v") - F.col("median")).alias("offset"))
 
 
 @query
@@ -322,7 +323,7 @@ def run_summary(spark, sf_dir):
 
 @query
 def a19_exclusive_p95(spark, sf_dir):
-    p = scoring.exclusive_percentile(all_scores(spark, sf_dir), by=["asset", "model"], value="crps", p=0.95)
+    p = exclusive_percentile(all_scores(spark, sf_dir), by=["asset", "model"], value="crps", p=0.95)
     return p.withColumn("percentile", r("percentile"))
 
 
@@ -370,9 +371,7 @@ def a26_tick_counts(spark, sf_dir):
 def a31_robust_center_scale(spark, sf_dir):
     t = flow.tick_counts(venue_prompts(spark, sf_dir), T.trades(spark, sf_dir), keys=KEY, at="current_time_ms", spans={"6h": 6 * HOUR})
     long = t.select("venue", F.stack(F.lit(3), F.lit("n"), F.col("n_6h").cast("double"), F.lit("flow"), F.col("flow_6h"), F.lit("range"), F.col("range_6h")).alias("signal", "value"))
-    centre = long.groupBy("venue", "signal").agg(F.percentile("value", F.lit(0.5)).alias("centre"))
-    back = long.join(centre, ["venue", "signal"]).groupBy("venue", "signal", "centre").agg(F.avg(F.abs(F.col("value") - F.col("centre"))).alias("scale"))
-    return back.select("venue", "signal", r("centre").alias("centre"), r("scale").alias("scale"))
+    return robust_center_scale(long, by=["venue", "signal"], value="value").select("venue", "signal", r("centre").alias("centre"), r("scale").alias("scale"))
 
 
 @query
