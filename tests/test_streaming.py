@@ -52,25 +52,88 @@ def test_moves_keep_state_across_batches(spark, source, tmp_path):
     assert {r["seq"] for r in got.collect()} == want and want
 
 
+def slices(spark, df, path, ts, cuts):
+    """Files in the order of time, one a micro-batch, and a late row that closes what waits."""
+    for lo, hi in zip(cuts, cuts[1:]):
+        df.filter(F.col(ts).between(lo, hi - 1)).coalesce(1).write.mode("append").parquet(path)
+    for late in (10**11, 2 * 10**11):
+        spark.range(1).select(*[F.lit(cuts[-1] + late if f.name == ts else "" if f.name == "asset" else None).cast(f.dataType).alias(f.name) for f in df.schema]).write.mode("append").parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def test_labels_are_one_row_a_prompt(spark, tmp_path):
+    """Prompts with quotes in the window, on its ends, and without any; the last one waits for the watermarks."""
+    p = spark.createDataFrame([("a", t) for t in range(10_000, 100_000, 10_000)] + [("b", 5_000)], "asset string, current_time_ms long")
+    q = spark.createDataFrame([("a", i, t, 1.0 + i, 2.0) for i, t in enumerate((10_000, 12_000, 15_000, 15_001, 20_000, 47_000, 49_999, 96_000))], "asset string, seq long, recv_ts_ms long, bid_price double, ask_price double")
+    cuts = [0, 25_000, 60_000, 100_000]
+    stream = jobs.stream_labels(slices(spark, p, str(tmp_path / "p"), "current_time_ms", cuts), slices(spark, q, str(tmp_path / "q"), "recv_ts_ms", cuts), horizon_ms=5000, delay="5 seconds")
+    got = [r for r in drained(spark, stream, tmp_path).collect() if r["asset"]]
+    assert {(r["asset"], r["current_time_ms"]): r["seq"] for r in got} == {("a", t): {10_000: 2}.get(t) for t in range(10_000, 100_000, 10_000)} | {("b", 5_000): None}
+    assert len(got) == 10
+
+
+def test_group_moves_equal_the_batch(spark, source, tmp_path):
+    from tidemark.operators import prompts
+
+    t = spark.read.parquet(source)
+    got = drained(spark, jobs.stream_group_moves(read(spark, source), keys=T.KEY, tick=0.5, delay="1 hour"), tmp_path)
+    want = prompts.price_moves(prompts.trade_groups(t, keys=T.KEY), keys=T.KEY, tick=0.5).select(*got.columns)
+    assert got.exceptAll(want).count() == 0 and got.count() == want.count() > 0
+
+
+def test_retention_holds_lifetimes_only(spark, tmp_path):
+    """Two hours of ticks, four a second: windows at prompts are right and state stays as small as the lifetimes."""
+    lives = {"trades": 70_000, "depth": 180_000}
+    ticks = [("a", "trades" if i % 4 else "depth", i * 250, float(i % 5)) for i in range(1, 7200 * 4)]
+    asked = [("a", jobs.PROMPT, t, 0.0) for t in range(30_000, 7_200_000, 60_000)]
+    df = spark.createDataFrame(ticks + asked, "asset string, stream string, recv_ts_ms long, size double")
+    s = slices(spark, df, str(tmp_path / "s"), "recv_ts_ms", list(range(0, 7_200_001, 900_000)))
+    name, partitions = "spark.sql.streaming.stateStore.providerClass", "spark.sql.shuffle.partitions"
+    before = spark.conf.get(name), spark.conf.get(partitions)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    spark.conf.set(partitions, "1")
+    try:
+        q = jobs.retained(s, keys=["asset"], lifetimes=lives, delay="1 second").writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start()
+        q.awaitTermination()
+    finally:
+        spark.conf.set(name, before[0])
+        spark.conf.set(partitions, before[1])
+    got = {r["current_time_ms"]: r for r in spark.read.parquet(str(tmp_path / "out")).collect() if r["asset"]}
+    assert sorted(got) == [t for _, _, t, _ in asked]
+    for t, r in got.items():
+        for stream, life in lives.items():
+            inside = [x for _, s, at, x in ticks if s == stream and t - life < at <= t]
+            assert (r[f"n_{stream}"], r[f"size_{stream}"]) == (len(inside), sum(inside))
+    rows = [p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p["stateOperators"]]
+    assert max(rows) < 200 and rows[-1] <= 8  # buckets, prompts and timers: a slice's and a lifetime's; then swept
+
+
 def test_flow_sessions_and_samples_in_batch(spark, source):
     t = spark.read.parquet(source)
     assert jobs.sliding_flow(t, keys=T.KEY, window="2 hours", step="1 hour", delay="1 hour").agg(F.sum("n")).first()[0] == 2 * t.count()
     assert jobs.activity_sessions(t, keys=["asset"], gap="1 hour", delay="1 hour").agg(F.sum("n")).first()[0] == t.count()
-    d = t.withColumn("update_id", F.col("seq"))
+    d = t.withColumns({"update_id": F.col("seq"), "bids": F.array(), "asks": F.array()})
     assert jobs.depth_samples(d, keys=T.KEY, every="1 hour", delay="1 hour").count() == C.candles_from_trades(t, keys=T.KEY, ts="recv_ts_ms", bar_ms=T.HOUR).count()
 
 
-def test_labels_in_batch(spark, source):
-    q = spark.read.parquet(source).filter("venue = 'spot'").select("asset", "seq", "recv_ts_ms", "bid_price", "ask_price")
-    p = T.clock_prompts(spark, SF)
-    got = jobs.stream_labels(p, q, horizon_ms=T.HOUR, delay="1 hour")
-    assert got.select("asset", "current_time_ms").distinct().count() == p.count()
-    near = got.filter("seq is not null")
-    assert near.filter(f"recv_ts_ms <= current_time_ms or recv_ts_ms > current_time_ms + {T.HOUR}").count() == 0 and near.count() > 0
-
-
-def test_sink_writes_a_key_once(spark, tmp_path):
-    write = jobs.idempotent_sink(f"file://{tmp_path}/sink", keys=["k"])
-    a = spark.createDataFrame([(1, "a"), (1, "b")], "k long, v string")
-    write(a, 0), write(a.union(spark.createDataFrame([(2, "c")], a.schema)), 1)
-    assert sorted(r["k"] for r in spark.read.parquet(f"file://{tmp_path}/sink").collect()) == [1, 2]
+def test_a_batch_that_runs_again_changes_nothing(spark, tmp_path):
+    """Keys come once through the stream; a half-written batch is replaced, and older batches aren't touched or read."""
+    t = spark.createDataFrame([("a", i, 1000 + i * 1000) for i in range(60)], "asset string, seq long, recv_ts_ms long")
+    again = t.filter("seq % 4 = 0").withColumn("recv_ts_ms", F.col("recv_ts_ms") + 5000)
+    s = slices(spark, t.union(again).union(t.filter("seq % 7 = 0")), str(tmp_path / "s"), "recv_ts_ms", [0, 21_000, 41_000, 67_000])
+    out, seen = f"file://{tmp_path}/sink", []
+    write = jobs.batch_folders(out)
+
+    def twice(rows, number):
+        rows.persist()
+        write(rows.limit(2), number)
+        write(rows, number)
+        seen.append(number)
+        rows.unpersist()
+
+    jobs.once(s, keys=["asset", "seq"], delay="10 seconds").writeStream.foreachBatch(twice).option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start().awaitTermination()
+    got = [r["seq"] for r in spark.read.parquet(out).collect() if r["asset"]]
+    assert sorted(got) == list(range(60)) and len(seen) >= 3
+    write(spark.createDataFrame([("a", 999, 0)], t.schema), 0)
+    after = spark.read.parquet(out).filter("batch > 0 and asset = 'a'").count()
+    assert after == len(got) - len([x for x in got if x < 20])

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -124,29 +128,35 @@ def depth_imbalance(snapshots: DataFrame, *, top: int = 5) -> DataFrame:
 def depth_bands(snapshots: DataFrame, *, id_cols: list[str], width: float, bands: int = 100) -> DataFrame:
     """Sizes by side and band of fixed width from the mid, one row for each band that has any.
 
-    A snapshot is one row, so its levels, best first, are folded to runs of one band within the
-    row; nothing is shuffled.
+    A snapshot is one row and gives its own bands, so nothing is shuffled: levels of an Arrow batch are
+    flat arrays of prices and sizes, counted by row and band at once. A snapshot without a best level on both
+    sides has no mid and no bands; levels out of the bands, or without a size, are dropped.
     """
     anchor = 0.5 * (F.get("bids", 0)["price"] + F.get("asks", 0)["price"])
-    s = snapshots.select(*id_cols, "bids", "asks", anchor.alias("__anchor"))
-
-    def runs(side: str) -> Column:
-        off = (lambda p: F.col("__anchor") - p) if side == "bids" else (lambda p: p - F.col("__anchor"))
-        band = lambda p: F.ceil(off(p) / width - 1e-9) - 1 if side == "bids" else F.floor(off(p) / width + 1e-9)
-        best = F.array_sort(F.transform(side, lambda x: F.struct(band(x["price"]).cast("int").alias("band"), x["qty"].alias("size"))))
-        inside = F.filter(best, lambda x: x["band"].between(0, bands - 1) & (x["size"] > 0))
-
-        def add(done: Column, x: Column) -> Column:
-            last = F.get(done, F.size(done) - 1)
-            grown = F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(F.struct(x["band"].alias("band"), (last["size"] + x["size"]).alias("size"))))
-            return F.when(last["band"] == x["band"], grown).otherwise(F.concat(done, F.array(x)))
-
-        return F.aggregate(inside, F.array().cast("array<struct<band:int,size:double>>"), add)
-
-    def named(side: str, name: str) -> Column:
-        return F.transform(runs(side), lambda x: F.struct(F.lit(name).alias("side"), x["band"].alias("band"), x["size"].alias("size")))
-
-    return s.select(*id_cols, F.inline(F.concat(named("bids", "bid"), named("asks", "ask"))))
+    part = lambda side, c: F.transform(side, lambda x: x[c].cast("double"))
+    flat = {f"__{side}_{c}": part(f"{side}s", c) for side in ("bid", "ask") for c in ("price", "qty")}
+    s = snapshots.select(*id_cols, anchor.cast("double").alias("__anchor"), *[v.alias(n) for n, v in flat.items()]).filter("__anchor is not null")
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            mids, found = batch.column("__anchor").to_numpy(), []
+            for name, side in (("bid", 1.0), ("ask", -1.0)):
+                lists = batch.column(f"__{name}_price")
+                row = np.repeat(np.arange(len(mids)), lists.value_lengths().to_numpy())
+                price, size = (batch.column(f"__{name}_{c}").flatten().to_numpy(zero_copy_only=False) for c in ("price", "qty"))
+                off = side * (mids[row] - price) / width
+                band = np.ceil(off - 1e-9) - 1 if name == "bid" else np.floor(off + 1e-9)
+                inside = (band >= 0) & (band < bands) & (size > 0)
+                place = row[inside] * bands + band[inside].astype(np.int64)
+                sums = np.bincount(place, size[inside], minlength=0)
+                some = np.flatnonzero(sums)
+                found.append((some // bands, [name] * len(some), some % bands, sums[some]))
+            rows, sides, places, sums = (np.concatenate([f[i] for f in found]) for i in range(4))
+            ids = [batch.column(c).take(pa.array(rows)) for c in id_cols]
+            yield pa.RecordBatch.from_arrays([*ids, pa.array(sides, pa.string()), pa.array(places, pa.int32()), pa.array(sums)], [*id_cols, "side", "band", "size"])
+
+    own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in s.select(*id_cols).schema)
+    return s.mapInArrow(summed, f"{own}, side string, band int, size double")
 
 
 def band_imbalance(bands: DataFrame, *, id_cols: list[str], width: float, reach: float) -> DataFrame:

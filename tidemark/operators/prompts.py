@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -24,26 +25,61 @@ def trade_groups(trades: DataFrame, *, keys: list[str], ts: str = "ts_ms", open_
     return groups.join(last, keys).filter(F.col(ts) < F.col("__last")).drop("__last")
 
 
-def _fold(prices, reference: float | None, tick: float) -> tuple[list[bool], list[float | None], float | None]:
-    """Which prices are moves, the reference before each, and the one after all."""
-    moves, before = [], []
-    for price in prices:
-        move = reference is not None and abs(price - reference) / tick > 1 + 1e-6
-        moves.append(move)
-        before.append(reference)
-        if move or reference is None:
-            reference = float(price)
-    return moves, before, reference
+def fold_moves(prices: np.ndarray, reference: float | None, tick: float) -> tuple[np.ndarray, list[float], float | None]:
+    """Places of the moves, the reference before each, and the one after all."""
+    moves, before, most = [], [], 1 + 1e-6
+    for i, price in enumerate(prices.tolist()):
+        if reference is None:
+            reference = price
+        elif abs(price - reference) / tick > most:
+            moves.append(i)
+            before.append(reference)
+            reference = price
+    return np.array(moves, np.int64), before, reference
+
+
+def fold_ends(prices: np.ndarray, tick: float) -> tuple[list[float], list[float], float]:
+    """How the fold of a chunk ends for every reference it may start from.
+
+    From a start r the first move is at the first price beyond a tick of r, and that is always a new
+    highest or lowest price so far. So the highs and lows, until they are so far apart that any start
+    has moved, decide with the reference that the fold ends with from there: the first of these
+    prices that is a move from r names the end, and without one r stays. Also the end without a start.
+    """
+    values, most = prices.tolist(), 1 + 1e-6
+    records, low, high = [], np.inf, -np.inf
+    for i, p in enumerate(values):
+        if p < low or p > high:
+            records.append(i)
+            low, high = min(low, p), max(high, p)
+            if (high - low) / tick > 2.5:
+                break
+    ends: dict[int, float] = {}
+
+    def end(i: int) -> float:
+        """The reference after all if the price at ``i`` became it; folds that meet share their end."""
+        path, reference = [i], values[i]
+        for j in range(i + 1, len(values)):
+            if abs(values[j] - reference) / tick > most:
+                if j in ends:
+                    reference = ends[j]
+                    break
+                path.append(j)
+                reference = values[j]
+        ends.update(dict.fromkeys(path, reference))
+        return reference
+
+    reached = [ends[i] if i in ends else end(i) for i in reversed(records)][::-1]
+    return [values[i] for i in records], reached, reached[0]
 
 
 def price_moves(groups: DataFrame, *, keys: list[str], tick: float, ts: str = "ts_ms", chunk_ms: int = 86_400_000) -> DataFrame:
     """Groups more than one tick from the reference, which they then become; a key's first group is its first reference.
 
     The fold depends on its path and a handful of keys hold all groups, so it runs per key and
-    chunk of time, a day by default. Each chunk is folded from a guess first; then the chunks
-    whose start is not what the chunk before ended with are folded anew, until none is left. Folds
-    from different starts meet after a few moves, so few chunks take a second pass; the result
-    doesn't depend on ``chunk_ms``. Only a row per chunk sees a window per key. Null keys are
+    chunk of time, a day by default. First each chunk tells how it ends for any start (``fold_ends``, a few
+    prices); these are put together in the order of time, a short row a chunk; then each chunk is
+    folded once from its true start. The result doesn't depend on ``chunk_ms``. Null keys are
     left out; an empty table gives no rows.
     """
     dealt = written(groups.dropna(subset=keys).withColumn("__chunk", F.floor(F.col(ts) / chunk_ms).cast("long")), "groups")
@@ -51,30 +87,30 @@ def price_moves(groups: DataFrame, *, keys: list[str], tick: float, ts: str = "t
 
     def ended(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values([ts, "seq"], kind="stable")
-        start = pdf["__start"].iloc[0]
-        end = _fold(pdf["price"].to_numpy(), None if pd.isna(start) else start, tick)[2]
-        return pdf[[*keys, "__chunk", "__start"]].head(1).assign(__end=end)
-
-    def ends(of: DataFrame) -> DataFrame:
-        return of.groupBy(*keys, "__chunk").applyInPandas(ended, f"{names}, __chunk long, __start double, __end double")
-
-    state = written(ends(dealt.select(*keys, "__chunk", ts, "seq", "price", F.lit(None).cast("double").alias("__start"))), "folds")
-    while True:
-        wanted = F.lag("__end").over(Window.partitionBy(*keys).orderBy("__chunk"))
-        wrong = written(state.withColumn("__want", wanted).filter(~F.col("__want").eqNullSafe(F.col("__start"))).select(*keys, "__chunk", F.col("__want").alias("__start")), "starts")
-        if not wrong.take(1):
-            break
-        new = ends(dealt.select(*keys, "__chunk", ts, "seq", "price").join(wrong, [*keys, "__chunk"]))
-        state = written(state.join(wrong, [*keys, "__chunk"], "left_anti").unionByName(new), "folds")
+        prices, ends, first = fold_ends(pdf["price"].to_numpy(), tick)
+        return pdf[[*keys, "__chunk"]].head(1).assign(prices=[prices], ends=[ends], first=first)
+
+    def chained(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, starts, reference = pdf.sort_values("__chunk"), [], None
+        for prices, ends, first in zip(pdf["prices"], pdf["ends"], pdf["first"], strict=True):
+            starts.append(reference)
+            if reference is None:
+                reference = first
+            else:
+                reference = next((e for p, e in zip(prices, ends, strict=True) if abs(p - reference) / tick > 1 + 1e-6), reference)
+        return pdf[[*keys, "__chunk"]].assign(__start=np.array(starts, float))
+
+    ends = dealt.select(*keys, "__chunk", ts, "seq", "price").groupBy(*keys, "__chunk").applyInPandas(ended, f"{names}, __chunk long, prices array<double>, ends array<double>, first double")
+    starts = written(ends.groupBy(*keys).applyInPandas(chained, f"{names}, __chunk long, __start double"), "starts")
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values([ts, "seq"], kind="stable")
         start = pdf["__start"].iloc[0]
-        moves, before, _ = _fold(pdf["price"].to_numpy(), None if pd.isna(start) else start, tick)
-        return pdf.assign(reference=before)[moves].drop(columns=["__start", "__chunk"])
+        moves, before, _ = fold_moves(pdf["price"].to_numpy(), None if pd.isna(start) else start, tick)
+        return pdf.iloc[moves].assign(reference=np.array(before, float)).drop(columns=["__start", "__chunk"])
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in groups.schema) + ", reference double"
-    return dealt.join(state.select(*keys, "__chunk", "__start"), [*keys, "__chunk"]).groupBy(*keys, "__chunk").applyInPandas(fold, schema)
+    return dealt.join(starts, [*keys, "__chunk"]).groupBy(*keys, "__chunk").applyInPandas(fold, schema)
 
 
 def event_prompts(moves: DataFrame, *, clock: int, opens: int, length: int, chance: float = 0.5, longest_delay: int = 500) -> DataFrame:

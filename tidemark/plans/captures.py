@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,18 +27,48 @@ def lines(df: DataFrame, name: str, *columns: str) -> str:
     return path
 
 
-def streamed(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
-    """A table as a stream of its files."""
-    path = fresh(spark, name)
-    df.write.parquet(path)
-    return spark.readStream.schema(df.schema).parquet(path)
+def streamed(spark: SparkSession, df: DataFrame, name: str, *, ts: str = "recv_ts_ms", slices: int = 3, beat: bool = False) -> DataFrame:
+    """A table as a stream of its files, one a micro-batch: slices of time, written one after the other.
+
+    With ``beat`` two last files hold a row without an asset each, a year on and more: the first closes what waits for
+    the watermark, the second what an operator behind another one waits for.
+    """
+    path, span = fresh(spark, name), df.agg(F.min(ts), F.max(ts)).first()
+    cuts = [span[0] + (span[1] + 1 - span[0]) * i // slices for i in range(slices + 1)] if span[0] is not None else []
+    for lo, hi in zip(cuts, cuts[1:], strict=False):
+        df.filter(F.col(ts).between(lo, hi - 1)).repartition(1).write.mode("append").parquet(path)
+    if beat:
+        for days in (366, 400):
+            late = [F.lit(cuts[-1] + days * 24 * HOUR if f.name == ts else "" if f.name == "asset" else None).cast(f.dataType).alias(f.name) for f in df.schema]
+            spark.range(1).select(*late).write.mode("append").parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+@contextmanager
+def settings(spark: SparkSession, **values: str) -> Iterator[None]:
+    """Settings of the session for the streams started within."""
+    names = {f"spark.sql.{k.replace('__', '.')}": v for k, v in values.items()}
+    before = {k: spark.conf.get(k, None) for k in names}
+    for k, v in names.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+#: The state store that timers and map states need.
+ROCKS_DB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def drained(df: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """What a stream gives until its source is read, from folders of batches."""
+    """What a stream gives until its source is read, from folders of batches; a handful of keys need few partitions of state."""
     spark = df.sparkSession
     out, check = fresh(spark, name), fresh(spark, f"{name}-checkpoint")
-    df.writeStream.foreachBatch(jobs.batch_folders(out)).option("checkpointLocation", check).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
+    few = str(min(int(spark.conf.get("spark.sql.shuffle.partitions")), 8))
+    with settings(spark, shuffle__partitions=few):
+        df.writeStream.foreachBatch(jobs.batch_folders(out)).option("checkpointLocation", check).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(out)
 
 
@@ -244,26 +277,80 @@ def x3_stream_event_prompts(spark, sf_dir):
     return C.upsert(rows, keys=["asset", "slot"], seq="batch").select("asset", "current_time_ms", "venue", "slot")
 
 
+@query
+def x2_group_moves(spark, sf_dir):
+    s = streamed(spark, T.trades(spark, sf_dir), "x2-source")
+    return drained(jobs.stream_group_moves(s, keys=KEY, tick=0.5, delay="1 hour"), "x2").select(*KEY, "ts_ms", r("price").alias("price"), r("reference").alias("reference"), "recv_ts_ms")
+
+
 @query
 def x4_stream_labels(spark, sf_dir):
-    near = jobs.stream_labels(T.clock_prompts(spark, sf_dir), spot(spark, sf_dir).drop("bid_qty", "ask_qty"), horizon_ms=HOUR, delay="1 hour")
-    return jobs.last_label(near).select("asset", "current_time_ms", "seq", "recv_ts_ms")
+    """One row a prompt from a running stream: an outer interval join and an aggregation behind it."""
+    p = streamed(spark, T.clock_prompts(spark, sf_dir), "x4-prompts", ts="current_time_ms", beat=True)
+    q = streamed(spark, spot(spark, sf_dir).drop("bid_qty", "ask_qty"), "x4-quotes", beat=True)
+    out = drained(jobs.stream_labels(p, q, horizon_ms=HOUR, delay="1 hour"), "x4").filter("asset <> ''")
+    return out.select("asset", "current_time_ms", "seq", "recv_ts_ms")
+
+
+@query
+def x5_retention(spark, sf_dir):
+    """What each stream's lifetime holds at every prompt, from state that timers and the watermark empty."""
+    t = T.ticks(spark, sf_dir)
+    kinds = F.array(F.lit("trades"), F.lit("quotes"), F.when(F.col("asset") == "error", F.lit("liquidations")))
+    ticks = t.select(*KEY, F.explode(F.array_compact(kinds)).alias("stream"), "recv_ts_ms", F.when(F.col("stream") == "quotes", F.col("bid_qty")).otherwise(F.col("qty")).alias("size"))
+    asked = T.clock_prompts(spark, sf_dir).withColumn("venue", F.explode(F.array(F.lit("spot"), F.lit("futures"))))
+    rows = ticks.unionByName(asked.select(*KEY, F.lit(jobs.PROMPT).alias("stream"), F.col("current_time_ms").alias("recv_ts_ms"), F.lit(0.0).alias("size")))
+    s = streamed(spark, rows, "x5-source", beat=True)
+    with settings(spark, streaming__stateStore__providerClass=ROCKS_DB):
+        out = drained(jobs.retained(s, keys=KEY, lifetimes={"trades": 2 * HOUR, "quotes": 5 * HOUR, "liquidations": 48 * HOUR}, delay="1 hour"), "x5")
+    return out.filter("asset <> ''").drop("batch")
 
 
 @query
 def x6_depth_samples(spark, sf_dir):
-    d = T.depth(spark, sf_dir).select(*KEY, "seq", "recv_ts_ms", "update_id")
-    return jobs.depth_samples(d, keys=KEY, every="6 hours", delay="1 hour")
+    d = T.depth(spark, sf_dir).select(*KEY, "seq", "recv_ts_ms", "update_id", "bids", "asks")
+    s = streamed(spark, d, "x6-source", beat=True)
+    return drained(jobs.depth_samples(s, keys=KEY, every="6 hours", delay="1 hour"), "x6").filter("asset <> ''").select(*KEY, "from_ms", "update_id")
+
+
+@query
+def x6_band_samples(spark, sf_dir):
+    """Bands of every fourth sample, folded within the stream."""
+    d = T.depth(spark, sf_dir).select(*KEY, "seq", "recv_ts_ms", "update_id", "bids", "asks")
+    samples = jobs.depth_samples(streamed(spark, d, "x6-source", beat=True), keys=KEY, every="6 hours", delay="1 hour")
+    out = drained(jobs.band_samples(samples, keys=KEY, every_ms=6 * HOUR, nth=4, width=0.05), "x6-bands")
+    return out.filter("asset <> ''").select(*KEY, "from_ms", "side", "band", r("size").alias("size"))
 
 
 @query
 def x7_sliding_flow(spark, sf_dir):
-    return jobs.sliding_flow(T.trades(spark, sf_dir), keys=KEY, window="6 hours", step="2 hours", delay="1 hour")
+    s = streamed(spark, T.trades(spark, sf_dir), "x7-source", beat=True)
+    return drained(jobs.sliding_flow(s, keys=KEY, window="6 hours", step="2 hours", delay="1 hour"), "x7").filter("asset <> ''").drop("batch")
 
 
 @query
 def x8_activity_sessions(spark, sf_dir):
-    return jobs.activity_sessions(T.trades(spark, sf_dir), keys=["asset"], gap="30 minutes", delay="1 hour")
+    s = streamed(spark, T.trades(spark, sf_dir), "x8-source", beat=True)
+    return drained(jobs.activity_sessions(s, keys=["asset"], gap="30 minutes", delay="1 hour"), "x8").filter("asset <> ''").drop("batch")
+
+
+@query
+def x9_once(spark, sf_dir):
+    """Trades that come twice or thrice, in one file or two, written once; the last batch is then run again."""
+    t = T.trades(spark, sf_dir).select(*KEY, "seq", "recv_ts_ms")
+    again = t.filter("seq % 3 = 0").withColumn("recv_ts_ms", F.col("recv_ts_ms") + HOUR)
+    s = streamed(spark, t.union(t.filter("seq % 5 = 0")).union(again), "x9-source")
+    out, check = fresh(spark, "x9"), fresh(spark, "x9-checkpoint")
+    write = jobs.batch_folders(out)
+
+    def twice(rows: DataFrame, number: int) -> None:
+        rows.persist()
+        write(rows.limit(3), number)  # a batch that was cut short,
+        write(rows, number)  # and runs again
+        rows.unpersist()
+
+    jobs.once(s, keys=[*KEY, "seq"], delay="3 hours").writeStream.foreachBatch(twice).option("checkpointLocation", check).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(out).select(*KEY, "seq")
 
 
 @query

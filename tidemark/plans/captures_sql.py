@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.plans.sql import ALL_PROMPTS, CANDLES, DELAYED, FEATURE_NAMES, FEATURES, LABELS, LEVELS, SCORES, SIGNALS, H, _sql
+from tidemark.plans.sql import ALL_PROMPTS, CANDLES, DELAYED, FEATURE_NAMES, FEATURES, LABELS, LEVELS, MOVES, SCORES, SIGNALS, H, _sql
 
 ALL_FEATURES = f""",
 b5 AS (SELECT asset, current_time_ms, venue, arg_max(micro, recv_ts_ms) AS micro, arg_max(micro, recv_ts_ms) FILTER (WHERE recv_ts_ms <= newest - 5 * {H}) AS at5 FROM qw GROUP BY ALL),
@@ -93,6 +93,30 @@ MED = ", med AS (SELECT asset, current_time_ms, model, any_value(price) AS p, (m
 Z6 = "CASE WHEN {v} IS NOT NULL THEN least(greatest(({v} - {c}) / {d}, -6.0), 6.0) / 3 END"
 
 
+#: Rows of each stream's lifetime at every prompt and venue.
+RETAINED = f""",
+asked AS (SELECT asset, t, unnest(['spot', 'futures']) AS venue FROM prompts),
+held AS (
+  SELECT p.asset, p.venue, p.t AS current_time_ms,
+    count(k.seq) FILTER (WHERE k.recv_ts_ms > p.t - 2 * {H}) AS n_trades, coalesce(sum(k.qty) FILTER (WHERE k.recv_ts_ms > p.t - 2 * {H}), 0) AS size_trades,
+    count(k.seq) FILTER (WHERE k.recv_ts_ms > p.t - 5 * {H}) AS n_quotes, coalesce(sum(k.bid_qty) FILTER (WHERE k.recv_ts_ms > p.t - 5 * {H}), 0) AS size_quotes,
+    count(k.seq) FILTER (WHERE k.asset = 'error') AS n_liquidations, coalesce(sum(k.qty) FILTER (WHERE k.asset = 'error'), 0) AS size_liquidations
+  FROM asked p LEFT JOIN quotes k ON k.asset = p.asset AND k.venue = p.venue AND k.recv_ts_ms > p.t - 48 * {H} AND k.recv_ts_ms <= p.t
+  GROUP BY ALL
+)
+"""
+
+#: The last snapshot of each six hours, every fourth of them, by bands round its mid.
+BAND_SAMPLES = f""",
+lasts AS (SELECT asset, venue, recv_ts_ms // (6 * {H}) * 6 * {H} AS from_ms, arg_max(seq, recv_ts_ms) AS seq FROM ticks GROUP BY ALL),
+due AS (SELECT * FROM lasts WHERE from_ms % (24 * {H}) = 0),
+levels AS (SELECT d.asset, d.venue, d.from_ms, l.side, l.price, l.qty, q.mid FROM due d JOIN lv l USING (seq) JOIN quotes q USING (seq)),
+placed AS (
+  SELECT *, CASE WHEN side = 'bid' THEN ceil((mid - price) / 0.05::DOUBLE - 1e-9) - 1 ELSE floor((price - mid) / 0.05::DOUBLE + 1e-9) END::INT AS band FROM levels
+)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     no = f"(current_time_ms // {H})"
     return {
@@ -122,6 +146,10 @@ def oracle_sql() -> dict[str, str]:
         "x3_stream_event_prompts": _sql(ALL_PROMPTS, "SELECT asset, current_time_ms, venue, slot FROM (SELECT asset, recv_ts_ms + " + DELAYED + " AS current_time_ms, venue, slot FROM taken QUALIFY row_number() OVER (PARTITION BY asset, slot ORDER BY recv_ts_ms, venue, seq) = 1)"),
         "x4_stream_labels": _sql(LABELS, "SELECT asset, current_time_ms, quote AS seq, recv_ts_ms FROM labels"),
         "x6_depth_samples": _sql("", f"SELECT asset, venue, recv_ts_ms // (6 * {H}) * 6 * {H} AS from_ms, arg_max(seq, recv_ts_ms) AS update_id FROM ticks GROUP BY ALL"),
+        "x2_group_moves": _sql(MOVES, "SELECT asset, venue, ts_ms, round(price, 6) AS price, round(reference, 6) AS reference, recv_ts_ms FROM moves"),
+        "x5_retention": _sql(RETAINED, "SELECT asset, venue, current_time_ms, n_trades, size_trades, n_quotes, size_quotes, n_liquidations, size_liquidations FROM held"),
+        "x6_band_samples": _sql(LEVELS + BAND_SAMPLES, "SELECT asset, venue, from_ms, side, band, round(sum(qty), 6) AS size FROM placed WHERE band BETWEEN 0 AND 99 GROUP BY ALL"),
+        "x9_once": _sql("", "SELECT DISTINCT asset, venue, seq FROM ticks"),
         "x7_sliding_flow": _sql("", f"SELECT asset, venue, f AS from_ms, f + 6 * {H} AS to_ms, sum(CASE WHEN buyer_is_maker THEN -qty ELSE qty END) AS flow, sum(qty) AS volume, count(*) AS n FROM (SELECT *, unnest(range((recv_ts_ms // (2 * {H}) - 2) * 2 * {H}, recv_ts_ms // (2 * {H}) * 2 * {H} + 1, 2 * {H})) AS f FROM ticks) GROUP BY asset, venue, f"),
         "x8_activity_sessions": _sql(", g AS (SELECT *, (recv_ts_ms - lag(recv_ts_ms) OVER w > 1800000)::INT AS new FROM ticks WINDOW w AS (PARTITION BY asset ORDER BY recv_ts_ms)), s AS (SELECT *, sum(coalesce(new, 0)) OVER (PARTITION BY asset ORDER BY recv_ts_ms) AS k FROM g)", "SELECT asset, min(recv_ts_ms) AS from_ms, max(recv_ts_ms) + 1800000 AS to_ms, count(*) AS n, sum(qty) AS qty FROM s GROUP BY asset, k"),
         "x10_trailing_window": _sql("", f"SELECT asset, venue, seq, count(*) OVER w AS n, round(sum(qty) OVER w, 6) AS trailing FROM ticks WINDOW w AS (PARTITION BY asset, venue ORDER BY recv_ts_ms RANGE BETWEEN {6 * H - 1} PRECEDING AND CURRENT ROW)"),

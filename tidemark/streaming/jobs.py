@@ -9,8 +9,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from tidemark.functions import quotes as Q
+from tidemark.operators import flow
+from tidemark.operators.prompts import fold_moves
 
 
 def timed(ticks: DataFrame, *, delay: str) -> DataFrame:
@@ -38,9 +41,16 @@ def activity_sessions(ticks: DataFrame, *, keys: list[str], gap: str, delay: str
 
 
 def depth_samples(snapshots: DataFrame, *, keys: list[str], every: str, delay: str) -> DataFrame:
-    """The last snapshot of each interval."""
-    s = timed(snapshots, delay=delay).groupBy(*keys, F.window("at", every)).agg(F.max_by("update_id", F.struct("recv_ts_ms", "seq")).alias("update_id"))
-    return s.select(*keys, F.unix_millis("window.start").alias("from_ms"), "update_id")
+    """The last snapshot of each interval, with its levels."""
+    whole = F.struct("update_id", "bids", "asks")
+    s = timed(snapshots, delay=delay).groupBy(*keys, F.window("at", every)).agg(F.max_by(whole, F.struct("recv_ts_ms", "seq")).alias("s"))
+    return s.select(*keys, F.unix_millis("window.start").alias("from_ms"), "s.*")
+
+
+def band_samples(samples: DataFrame, *, keys: list[str], every_ms: int, nth: int, width: float, bands: int = 100) -> DataFrame:
+    """Sizes by side and band of every ``nth`` sample on the clock, a row a band; a row's own work, so it streams."""
+    due = samples.filter(F.col("from_ms") % (every_ms * nth) == 0)
+    return flow.depth_bands(due, id_cols=[*keys, "from_ms"], width=width, bands=bands)
 
 
 def stream_moves(ticks: DataFrame, *, keys: list[str], tick: float, delay: str) -> DataFrame:
@@ -66,6 +76,33 @@ def stream_moves(ticks: DataFrame, *, keys: list[str], tick: float, delay: str)
     return timed(ticks.select(*columns), delay=delay).drop("at").groupBy(*keys).applyInPandasWithState(step, schema, "reference double", "append", GroupStateTimeout.NoTimeout)
 
 
+def stream_group_moves(trades: DataFrame, *, keys: list[str], tick: float, delay: str) -> DataFrame:
+    """Moves over groups of one exchange time, with the reference before each: ``operators.prompts`` as a stream.
+
+    A group is closed by the first trade of a later exchange time. The state of a key is its open group and
+    its reference; a micro-batch's closed groups are cut by array and folded once.
+    """
+    columns = [*keys, "ts_ms", "recv_ts_ms", "seq", "price"]
+    kinds = {f.name: f.dataType.simpleString() for f in trades.select(*columns).schema}
+    schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", ts_ms long, recv_ts_ms long, price double, reference double"
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(list(batches)).sort_values(["ts_ms", "seq"])
+        ts, recv, price = (rows[c].to_numpy() for c in ("ts_ms", "recv_ts_ms", "price"))
+        reference = None
+        if state.exists:
+            open_ts, open_recv, open_price, reference = state.get
+            ts, recv, price = np.append(open_ts, ts), np.append(open_recv, recv), np.append(open_price, price)
+        last = np.flatnonzero(ts[1:] != ts[:-1])  # each closed group's last trade
+        moves, before, reference = fold_moves(price[last], reference, tick)
+        state.update((int(ts[-1]), int(recv[-1]), float(price[-1]), reference))
+        at = last[moves]
+        yield pd.DataFrame({**dict(zip(keys, key, strict=True)), "ts_ms": ts[at], "recv_ts_ms": recv[at], "price": price[at], "reference": np.array(before, float)})
+
+    rows = timed(trades.select(*columns), delay=delay).drop("at")
+    return rows.groupBy(*keys).applyInPandasWithState(step, schema, "ts_ms long, recv_ts_ms long, price double, reference double", "append", GroupStateTimeout.NoTimeout)
+
+
 def stream_event_prompts(moves: DataFrame, *, clock: int, opens: int, length: int, chance: float = 0.5, longest_delay: int = 500, delay: str) -> DataFrame:
     """At most one prompt per asset and slot: the first accepted move in its event window.
 
@@ -107,19 +144,97 @@ def stream_trailing_window(ticks: DataFrame, *, keys: list[str], window_ms: int,
 
 
 def stream_labels(prompts: DataFrame, quotes: DataFrame, *, horizon_ms: int, delay: str) -> DataFrame:
-    """Each prompt beside the quotes in (now, now + horizon]; without any it comes once with nulls,
-    after both watermarks have passed. Take the last quote of each prompt in the sink."""
+    """One row a prompt: its last quote in (now, now + horizon], nulls if there is none.
+
+    An outer interval join gives each prompt its quotes, or itself alone once both watermarks have
+    passed; a second stateful operator behind it keeps the last one, and gives it when the join's
+    output watermark has passed the prompt. A repeated prompt gives one row.
+    """
     p = prompts.withColumn("p_at", F.timestamp_millis("current_time_ms")).withWatermark("p_at", delay).alias("p")
     q = quotes.withColumnRenamed("asset", "q_asset").withColumn("q_at", F.timestamp_millis("recv_ts_ms")).withWatermark("q_at", delay).alias("q")
     near = (F.col("asset") == F.col("q_asset")) & (F.col("q_at") > F.col("p_at")) & (F.col("q_at") <= F.col("p_at") + F.expr(f"interval {horizon_ms} milliseconds"))
-    return p.join(q, near, "leftOuter").select("asset", "current_time_ms", "seq", "recv_ts_ms", "bid_price", "ask_price")
+    values = [c for c in quotes.columns if c != "asset"]
+    last = F.max_by(F.struct(*values), F.struct("recv_ts_ms", "seq")).alias("l")
+    return p.join(q, near, "leftOuter").groupBy("asset", "current_time_ms", "p_at").agg(last).select("asset", "current_time_ms", "l.*")
+
 
+class Retention(StatefulProcessor):
+    """What each stream's lifetime holds at a prompt; rows are kept in quarters of their lifetime and go by these.
+
+    A prompt waits for the watermark by a timer. Rows that no prompt to come can reach go: those a
+    lifetime before the watermark, or before the earliest prompt that still waits.
+    """
 
-def last_label(near: DataFrame) -> DataFrame:
-    """The last quote of each prompt from what ``stream_labels`` gave, nulls for a prompt without any."""
-    values = [c for c in near.columns if c not in ("asset", "current_time_ms")]
-    picked = near.groupBy("asset", "current_time_ms").agg(F.max_by(F.struct(*values), F.struct("recv_ts_ms", "seq")).alias("l"), F.count("seq").alias("__n"))
-    return picked.select("asset", "current_time_ms", *[F.when(F.col("__n") > 0, F.col(f"l.{c}")).alias(c) for c in values])
+    def __init__(self, lifetimes: dict[str, int], keys: list[str]):
+        self.lifetimes, self.keys = lifetimes, keys
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.buckets = handle.getMapState("buckets", "stream string, bucket long", "times array<long>, sizes array<double>")
+        self.waiting = handle.getMapState("waiting", "at long", "n long")
+
+    def close(self) -> None:
+        pass
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        given = pd.concat(list(rows))
+        for at, n in given.loc[given["stream"] == PROMPT, "recv_ts_ms"].value_counts().items():
+            self.waiting.updateValue((int(at),), (int(n),))
+            self.handle.registerTimer(int(at))
+        held = set(self.buckets.keys())
+        ticks = given[given["stream"].isin(self.lifetimes)]
+        for (stream, bucket), own in ticks.groupby(["stream", ticks["recv_ts_ms"] // ticks["stream"].map(self._width)]):
+            place = (stream, int(bucket))
+            times, sizes = self.buckets.getValue(place) if place in held else ((), ())
+            self.buckets.updateValue(place, ([*times, *own["recv_ts_ms"].tolist()], [*sizes, *own["size"].tolist()]))
+        if len(ticks):  # a key that falls silent is swept when its rows have outlived all prompts
+            self.handle.registerTimer(int(ticks["recv_ts_ms"].max()) + 2 * max(self.lifetimes.values()))
+        self._forget(timerValues.getCurrentWatermarkInMs())
+        yield from ()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        at = expiredTimerInfo.getExpiryTimeInMs()
+        if not self.waiting.containsKey((at,)):
+            self._forget(timerValues.getCurrentWatermarkInMs())
+            return
+        row = dict(zip(self.keys, key, strict=True)) | {"current_time_ms": at}
+        for stream, life in self.lifetimes.items():
+            n, size, width = 0, 0.0, self._width(stream)
+            for bucket in range((at - life) // width, at // width + 1):
+                found = self.buckets.getValue((stream, bucket))
+                if found is not None:
+                    times, sizes = map(np.array, found)
+                    inside = (times > at - life) & (times <= at)
+                    n, size = n + int(inside.sum()), size + float(sizes[inside].sum())
+            row |= {f"n_{stream}": n, f"size_{stream}": size}
+        self.waiting.removeKey((at,))
+        yield pd.DataFrame([row])
+
+    def _forget(self, watermark: int) -> None:
+        since = min([watermark, *(at for (at,) in self.waiting.keys())])
+        for stream, bucket in list(self.buckets.keys()):
+            if (bucket + 1) * self._width(stream) <= since - self.lifetimes[stream]:
+                self.buckets.removeKey((stream, bucket))
+
+    def _width(self, stream: str) -> int:
+        return max(self.lifetimes[stream] // 4, 1)
+
+
+#: The name of prompts among the streams.
+PROMPT = "prompt"
+
+
+def retained(rows: DataFrame, *, keys: list[str], lifetimes: dict[str, int], delay: str) -> DataFrame:
+    """Per prompt the number and summed size of each stream's rows in (now - lifetime, now], once the watermark has passed it.
+
+    ``rows`` is a union of streams: ``keys``, ``stream`` (``prompt`` or a name of ``lifetimes``), ``recv_ts_ms``, ``size``. State
+    holds the lifetimes' rows and no more; prompts that come behind the watermark are dropped.
+    Needs the RocksDB state store.
+    """
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", current_time_ms long, " + ", ".join(f"n_{s} long, size_{s} double" for s in lifetimes)
+    grouped = timed(rows.select(*keys, "stream", "recv_ts_ms", "size"), delay=delay).groupBy(*keys)
+    return grouped.transformWithStateInPandas(statefulProcessor=Retention(lifetimes, keys), outputStructType=schema, outputMode="append", timeMode="eventTime")
 
 
 def batch_folders(path: str):
@@ -135,15 +250,10 @@ def batch_folders(path: str):
     return write
 
 
-def idempotent_sink(path: str, *, keys: list[str]):
-    """A ``foreachBatch`` that appends only rows whose key was never written."""
-
-    def write(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        new = batch.dropDuplicates(keys)
-        fs_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-        if fs_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(fs_path):
-            new = new.join(spark.read.parquet(path).select(*keys), keys, "left_anti")
-        new.write.mode("append").parquet(path)
+def once(rows: DataFrame, *, keys: list[str], delay: str) -> DataFrame:
+    """Rows whose key came within ``delay`` before are left out; the state of a key ends with the watermark.
 
-    return write
+    With ``batch_folders`` behind it a prompt is written once: keys are told apart by state, not by reading
+    the sink, and a batch that failed half-way overwrites its own folder when it runs again.
+    """
+    return timed(rows, delay=delay).dropDuplicatesWithinWatermark(keys).drop("at")
