@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -125,38 +125,57 @@ def depth_imbalance(snapshots: DataFrame, *, top: int = 5) -> DataFrame:
     return snapshots.withColumn("obi", F.when(has, full).otherwise(0.0)).withColumn("top_obi", F.when(has, best).otherwise(0.0))
 
 
-def depth_bands(snapshots: DataFrame, *, id_cols: list[str], width: float, bands: int = 100) -> DataFrame:
-    """Sizes by side and band of fixed width from the mid, one row for each band that has any.
+def _banded(snapshots: DataFrame, keep: list[str], width: float, bands: int, give: Callable, columns: str) -> DataFrame:
+    """Snapshots with a mid, their levels as flat arrays of an Arrow batch, counted by row, side and band at once.
 
-    A snapshot is one row and gives its own bands, so nothing is shuffled: levels of an Arrow batch are
-    flat arrays of prices and sizes, counted by row and band at once. A snapshot without a best level on both
-    sides has no mid and no bands; levels out of the bands, or without a size, are dropped.
+    ``give`` makes the columns beside ``keep`` of (rows x 2 x bands) sizes and says which rows they are of.
     """
     anchor = 0.5 * (F.get("bids", 0)["price"] + F.get("asks", 0)["price"])
     part = lambda side, c: F.transform(side, lambda x: x[c].cast("double"))
     flat = {f"__{side}_{c}": part(f"{side}s", c) for side in ("bid", "ask") for c in ("price", "qty")}
-    s = snapshots.select(*id_cols, anchor.cast("double").alias("__anchor"), *[v.alias(n) for n, v in flat.items()]).filter("__anchor is not null")
+    s = snapshots.select(*keep, anchor.cast("double").alias("__anchor"), *[v.alias(n) for n, v in flat.items()]).filter("__anchor is not null")
 
-    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            mids, found = batch.column("__anchor").to_numpy(), []
-            for name, side in (("bid", 1.0), ("ask", -1.0)):
-                lists = batch.column(f"__{name}_price")
-                row = np.repeat(np.arange(len(mids)), lists.value_lengths().to_numpy())
+            mids = batch.column("__anchor").to_numpy()
+            sizes = np.zeros((len(mids), 2, bands))
+            for i, (name, side) in enumerate((("bid", 1.0), ("ask", -1.0))):
+                row = np.repeat(np.arange(len(mids)), batch.column(f"__{name}_price").value_lengths().to_numpy())
                 price, size = (batch.column(f"__{name}_{c}").flatten().to_numpy(zero_copy_only=False) for c in ("price", "qty"))
                 off = side * (mids[row] - price) / width
                 band = np.ceil(off - 1e-9) - 1 if name == "bid" else np.floor(off + 1e-9)
                 inside = (band >= 0) & (band < bands) & (size > 0)
-                place = row[inside] * bands + band[inside].astype(np.int64)
-                sums = np.bincount(place, size[inside], minlength=0)
-                some = np.flatnonzero(sums)
-                found.append((some // bands, [name] * len(some), some % bands, sums[some]))
-            rows, sides, places, sums = (np.concatenate([f[i] for f in found]) for i in range(4))
-            ids = [batch.column(c).take(pa.array(rows)) for c in id_cols]
-            yield pa.RecordBatch.from_arrays([*ids, pa.array(sides, pa.string()), pa.array(places, pa.int32()), pa.array(sums)], [*id_cols, "side", "band", "size"])
-
-    own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in s.select(*id_cols).schema)
-    return s.mapInArrow(summed, f"{own}, side string, band int, size double")
+                sizes[:, i] = np.bincount(row[inside] * bands + band[inside].astype(np.int64), size[inside], minlength=len(mids) * bands).reshape(-1, bands)
+            rows, made = give(sizes, mids)
+            yield pa.RecordBatch.from_arrays([*[batch.column(c).take(pa.array(rows)) for c in keep], *made.values()], [*keep, *made])
+
+    own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in s.select(*keep).schema)
+    return s.mapInArrow(counted, f"{own}, {columns}")
+
+
+def depth_bands(snapshots: DataFrame, *, id_cols: list[str], width: float, bands: int = 100) -> DataFrame:
+    """Sizes by side and band of fixed width from the mid, one row for each band that has any.
+
+    A snapshot is one row and gives its own bands, so nothing is shuffled. One without a best level on both
+    sides has no mid and no bands; levels out of the bands, or without a size, are dropped.
+    """
+
+    def rows(sizes: np.ndarray, _: np.ndarray) -> tuple[np.ndarray, dict[str, pa.Array]]:
+        row, side, band = np.nonzero(sizes)
+        return row, {"side": pa.array(np.array(["bid", "ask"])[side].tolist(), pa.string()), "band": pa.array(band, pa.int32()), "size": pa.array(sizes[row, side, band])}
+
+    return _banded(snapshots, id_cols, width, bands, rows, "side string, band int, size double")
+
+
+def dense_bands(snapshots: DataFrame, *, id_cols: list[str], width: float, bands: int = 100) -> DataFrame:
+    """``depth_bands`` as two arrays of ``bands`` sizes a snapshot, with the mid they lie round; zeros where nothing is."""
+
+    def arrays(sizes: np.ndarray, mids: np.ndarray) -> tuple[np.ndarray, dict[str, pa.Array]]:
+        offsets = pa.array(np.arange(len(mids) + 1) * bands, pa.int32())
+        sides = [pa.ListArray.from_arrays(offsets, pa.array(np.ascontiguousarray(sizes[:, i]).ravel())) for i in (0, 1)]
+        return np.arange(len(mids)), {"anchor": pa.array(mids), "bid_bands": sides[0], "ask_bands": sides[1]}
+
+    return _banded(snapshots, id_cols, width, bands, arrays, "anchor double, bid_bands array<double>, ask_bands array<double>")
 
 
 def band_imbalance(bands: DataFrame, *, id_cols: list[str], width: float, reach: float) -> DataFrame:

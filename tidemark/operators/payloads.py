@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from tidemark.operators.asof import window_join
+from tidemark.scratch import written
+from tidemark.sources.files import PAYLOAD
 
 PROMPT = ["asset", "current_time_ms"]
 
@@ -21,44 +23,88 @@ def filter_depth_updates(updates: DataFrame, starts: DataFrame, *, keys: list[st
     return j.filter((F.col("final_id") >= F.col("start_id")) & (F.col("recv_ts_ms") <= F.col("hi_ms")) & (inside | bridge))
 
 
-def assembled(prompts: DataFrame, streams: dict[str, DataFrame], *, windows: dict[str, int], version: int = 5) -> DataFrame:
-    """One nested row per prompt: each stream's window by venue, oldest first.
-
-    For export only: a row holds its windows whole, and windows bound its size.
+#: The rows of a payload's streams, in the order of ``files.VENUE``'s fields; ``at`` is when a prompt can see them.
+STREAM_FIELDS = {
+    "candles_1s": ("open_time_ms", "open", "high", "low", "close", "volume"),
+    "trades": ("ts_ms", "event_ts_ms", "recv_ts_ms", "price", "qty", "buyer_is_maker"),
+    "book_ticker": ("recv_ts_ms", "bid_price", "bid_qty", "ask_price", "ask_qty", "event_ts_ms", "transaction_ts_ms"),
+    "liquidations": ("ts_ms", "recv_ts_ms", "price", "qty", "is_buy"),
+    "depth_updates": ("recv_ts_ms", "event_ts_ms", "transaction_ts_ms", "first_id", "final_id", "prev_final_id", "bids", "asks"),
+    "depth": ("recv_ts_ms", "update_id", "event_ts_ms", "transaction_ts_ms", "bids", "asks"),
+    "bands": ("anchor_price", "bids", "asks", "recv_ts_ms"),
+}
+
+
+def _tagged(streams: dict[str, DataFrame], lives: dict[str, int], width_ms: int) -> DataFrame:
+    """All streams as one table: ``asset, venue, at, seq, life``, a struct column a stream, null but for the row's own,
+    and the buckets of time whose prompts can see the row."""
+    parts, kinds = [], {}
+    for name, rows in streams.items():
+        body = F.struct(*STREAM_FIELDS[name])
+        kinds[name] = rows.select(body.alias(name)).schema[name].dataType
+        parts.append((name, rows.select("asset", "venue", F.col("at"), "seq", F.lit(lives[name]).cast("long").alias("life"), body.alias("__row"))))
+    out = None
+    for name, part in parts:
+        own = part.select("asset", "venue", "at", "seq", "life", *[(F.col("__row") if n == name else F.lit(None).cast(k)).alias(n) for n, k in kinds.items()])
+        out = own if out is None else out.unionByName(own)
+    seen = F.sequence(F.floor(F.col("at") / width_ms), F.floor((F.col("at") + F.col("life") - 1) / width_ms))
+    return out.withColumn("__bucket", F.explode(seen))
+
+
+def whole_payloads(prompts: DataFrame, streams: dict[str, DataFrame], *, assets: dict[str, tuple[str, float]], lives: dict[str, int], bars: int = 3600, bar_ms: int = 1000, back_ms: int = 60_000, tolerance_ms: int = 1500, bridge_ms: int = 2000, version: int = 5, horizon: int = 10, percentiles: int = 100) -> DataFrame:
+    """One nested row of ``files.PAYLOAD``'s columns per prompt (``asset, current_time_ms, kind, venue``).
+
+    ``streams`` names tables of ``STREAM_FIELDS`` beside ``asset, venue, at, seq``: what a prompt sees of each is the rows
+    with ``at`` in (now - life, now], by ``at`` and ``seq``. Of ``depth`` it gets the last snapshot, and the nearest to
+    ``back_ms`` before (ties to the earlier, none beyond ``tolerance_ms``); of ``depth_updates`` those that go on from that
+    one's id, within ``back_ms`` or as the bridge to it; of ``bands`` the last. A prompt without any row gets empty arrays.
+
+    The streams are one tagged union that meets the prompts once, by asset and bucket of time, and is
+    folded in one aggregation a prompt. For export: a row holds its windows whole, whose size the lives bound.
     """
-    out = prompts.select(F.lit(version).alias("schema_version"), *PROMPT)
-    for name, stream in streams.items():
-        rows = [c for c in stream.columns if c not in ("asset", "venue", "seq")]
-        j = window_join(prompts.select(*PROMPT), stream, keys=["asset"], at="current_time_ms", ts="recv_ts_ms", window_ms=windows[name])
-        row = F.struct("recv_ts_ms", "seq", F.struct(*rows).alias("r"))
-        sides = [F.transform(F.array_sort(F.collect_list(F.when(F.col("venue") == v, row))), lambda x: x["r"]).alias(f"{name}_{v}") for v in ("spot", "futures")]
-        out = out.join(j.groupBy(*PROMPT).agg(*sides), PROMPT, "left")
-    empty = {c: F.coalesce(F.col(c), F.array().cast(out.schema[c].dataType)) for c in out.columns if c.rsplit("_", 1)[-1] in ("spot", "futures")}
-    return out.withColumns(empty)
-
-
-def _falls(rows: str, field: str) -> Column:
-    t = F.transform(rows, lambda x: x[field])
-    return F.exists(F.zip_with(F.slice(t, 2, F.greatest(F.size(t) - 1, F.lit(0))), t, lambda b, a: b < a), lambda x: F.coalesce(x, F.lit(False)))
-
+    width = min(lives.values())
+    p = prompts.select(F.monotonically_increasing_id().alias("__id"), *PROMPT, "kind", F.col("venue").alias("__venue"))
+    p = written(p, "prompts").withColumn("__bucket", F.floor(F.col("current_time_ms") / width))
+    seen = (F.col("at") <= F.col("current_time_ms")) & (F.col("at") > F.col("current_time_ms") - F.col("life"))
+    j = p.join(_tagged(streams, lives, width), ["asset", "__bucket"]).filter(seen)
+    place = F.struct("at", "seq")
+    made = []
+    for v in ("spot", "futures"):
+        mine = F.col("venue") == v
+        for name in STREAM_FIELDS:
+            if name not in ("depth", "bands"):
+                rows = F.array_sort(F.collect_list(F.when(mine & F.col(name).isNotNull(), F.struct("at", "seq", F.col(name).alias("row")))))
+                made.append(F.transform(rows, lambda x: x["row"]).alias(f"{v}_{name}"))
+        snap, off = mine & F.col("depth").isNotNull(), F.abs(F.col("at") - (F.col("current_time_ms") - back_ms))
+        nearest = F.min_by(F.when(snap, F.col("depth")), F.when(snap, F.struct(off.alias("off"), "at", "seq")))
+        made += [F.max_by(F.when(snap, F.col("depth")), F.when(snap, place)).alias(f"{v}_latest"), nearest.alias(f"{v}_start"), F.min(F.when(snap, off)).alias(f"{v}_off")]
+        banded = mine & F.col("bands").isNotNull()
+        made.append(F.max_by(F.when(banded, F.col("bands")), F.when(banded, place)).alias(f"{v}_bands"))
+        times = [F.struct(F.lit(n), F.max(F.when(mine & F.col(n).isNotNull(), F.col("at")))) for n in STREAM_FIELDS]
+        made.append(F.map_from_entries(F.filter(F.array(*times), lambda e: e["col2"].isNotNull())).alias(f"{v}_times"))
+    per = j.groupBy("__id").agg(*made)
+    full = p.drop("__bucket").join(per, "__id", "left")
+    known = lambda i: F.coalesce(*[F.when(F.col("asset") == a, F.lit(spec[i])) for a, spec in assets.items()])
 
-def payload_violations(payloads: DataFrame, *, assets: tuple[str, ...], least_version: int = 5, max_age: dict[str, int] | None = None) -> DataFrame:
-    """``payloads`` with ``codes``: the rules each row breaks, in order; empty for a good one."""
-    streams = [c for c in payloads.columns if c.rsplit("_", 1)[-1] in ("spot", "futures")]
-    rules = [
-        F.when(F.coalesce(F.col("schema_version") < least_version, F.lit(True)), "version"),
-        F.when(~F.coalesce(F.col("asset").isin(*assets), F.lit(False)), "asset"),
-        F.when(F.coalesce(F.col("current_time_ms") <= 0, F.lit(True)), "current_time"),
-    ]
-    for c in streams:
-        rules.append(F.when(F.col(c).isNull(), f"{c}:missing"))
-        rules.append(F.when(_falls(c, "recv_ts_ms"), f"{c}:time_order"))
-        rules.append(F.when(F.exists(c, lambda x: x["recv_ts_ms"] > F.col("current_time_ms")), f"{c}:future"))
-        if "trades" in c:
-            rules.append(F.when(F.exists(c, lambda x: ~F.coalesce((x["price"] > 0) & (x["qty"] >= 0), F.lit(False))), f"{c}:price"))
-        if "quotes" in c:
-            rules.append(F.when(F.exists(c, lambda x: F.coalesce(x["bid_price"] > x["ask_price"], F.lit(False))), f"{c}:crossed"))
-    return payloads.withColumn("codes", F.array_compact(F.array(*rules)))
+    def side(v: str) -> Column:
+        col = lambda n: F.coalesce(F.col(f"{v}_{n}"), F.array().cast(per.schema[f"{v}_{n}"].dataType))
+        opened = F.transform(col("candles_1s"), lambda x: x["open_time_ms"])
+        complete = (F.size(opened) >= bars) & (F.array_max(opened) - F.array_min(opened) >= (bars - 1) * bar_ms)
+        start = F.when(F.col(f"{v}_off") <= tolerance_ms, F.col(f"{v}_start"))
+        recent = lambda u: u["recv_ts_ms"] > F.col("current_time_ms") - back_ms
+        bridge = lambda u: (u["recv_ts_ms"] > start["recv_ts_ms"] - bridge_ms) & (u["first_id"] <= start["update_id"] + 1)
+        updates = F.filter(col("depth_updates"), lambda u: F.coalesce((u["final_id"] >= start["update_id"]) & (recent(u) | bridge(u)), F.lit(False)))
+        b = F.col(f"{v}_bands")
+        none = F.array().cast("array<double>")
+        bands = F.struct(F.coalesce(b["anchor_price"], F.lit(0.0)), known(1), F.coalesce(b["bids"], none), F.coalesce(b["asks"], none), F.coalesce(b["recv_ts_ms"], F.lit(0).cast("long")))
+        times = F.coalesce(F.col(f"{v}_times"), F.create_map().cast("map<string,bigint>"))
+        return F.struct(known(0), F.coalesce(complete, F.lit(False)), *[updates if n == "depth_updates" else col(n) for n in STREAM_FIELDS if n not in ("depth", "bands")], start, F.col(f"{v}_latest"), bands, times)
+
+    venues = F.struct(side("spot").alias("spot"), side("futures").alias("futures"))
+    trigger = F.struct("kind", F.col("__venue").alias("venue"))
+    numbers = [F.lit(n).cast("int").alias(c) for n, c in ((horizon, "horizon_seconds"), (percentiles, "num_percentiles"))]
+    kinds = StructType.fromDDL(PAYLOAD)
+    return full.select(F.lit(version).cast("int").alias("schema_version"), *PROMPT, *numbers, trigger.cast(kinds["trigger"].dataType).alias("trigger"), venues.cast(kinds["venues"].dataType).alias("venues"))
 
 
 def _out_of_order(rows: str, field: str, *, rising: bool) -> Column:

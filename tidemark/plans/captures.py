@@ -371,6 +371,55 @@ def q2_all_features(spark, sf_dir):
     return f.select("asset", "current_time_ms", *[c if c == "stale_ms" else r(c).alias(c) for c in f.columns[2:]])
 
 
+def payload_streams(spark, sf_dir) -> dict[str, DataFrame]:
+    """The payload's streams, made of ticks: futures rows carry exchange times, spot rows don't."""
+    t, null = T.ticks(spark, sf_dir), F.lit(None).cast("long")
+    at, futures = F.col("recv_ts_ms"), F.col("venue") == "futures"
+    place, timed = [F.col("asset"), F.col("venue"), at.alias("at"), F.col("seq")], F.when(futures, at)
+    d = T.depth(spark, sf_dir)
+    bands = flow.dense_bands(d.filter(~futures), id_cols=[*KEY, "seq", "recv_ts_ms"], width=0.05)
+    bars = full_candles(spark, sf_dir).withColumns({"at": F.col("open_time_ms") + HOUR, "seq": F.lit(0).cast("long")})
+    none = F.array().cast(files.LEVELS)
+    return {
+        "candles_1s": bars,
+        "trades": t.select(*place, "ts_ms", at.alias("event_ts_ms"), "recv_ts_ms", "price", "qty", "buyer_is_maker"),
+        "book_ticker": t.select(*place, "recv_ts_ms", "bid_price", "bid_qty", "ask_price", "ask_qty", timed.alias("event_ts_ms"), timed.alias("transaction_ts_ms")),
+        "liquidations": t.filter(futures & (F.col("asset") == "error")).select(*place, "ts_ms", "recv_ts_ms", "price", "qty", "is_buy"),
+        "depth_updates": t.select(*place, "recv_ts_ms", at.alias("event_ts_ms"), timed.alias("transaction_ts_ms"), (F.col("seq") * 3 - 2).alias("first_id"), (F.col("seq") * 3).alias("final_id"), F.when(futures, F.col("seq") * 3 - 3).alias("prev_final_id"), none.alias("bids"), none.alias("asks")),
+        "depth": d.select(*place, "recv_ts_ms", (F.col("seq") * 3 - 1).alias("update_id"), timed.alias("event_ts_ms"), timed.alias("transaction_ts_ms"), "bids", "asks"),
+        "bands": bands.select(*place, F.col("anchor").alias("anchor_price"), F.col("bid_bands").alias("bids"), F.col("ask_bands").alias("asks"), null.alias("x"), "recv_ts_ms").drop("x"),
+    }
+
+
+@query
+def q5_whole_payloads(spark, sf_dir):
+    """Whole payloads of the clock prompts, and what the rules of saved payloads say of them; an hour for a second."""
+    p = T.clock_prompts(spark, sf_dir).select("asset", "current_time_ms", F.lit("time").alias("kind"), F.lit(None).cast("string").alias("venue"))
+    assets = {a: (a.upper(), 0.05) for a in ("click", "error", "purchase", "signup", "view")}
+    lives = {"candles_1s": 48 * HOUR, "trades": 6 * HOUR, "book_ticker": 6 * HOUR, "liquidations": 48 * HOUR, "depth_updates": 24 * HOUR, "depth": 24 * HOUR, "bands": 6 * HOUR}
+    w = payloads.whole_payloads(p, payload_streams(spark, sf_dir), assets=assets, lives=lives, bars=48, bar_ms=HOUR, back_ms=12 * HOUR, tolerance_ms=4 * HOUR, bridge_ms=6 * HOUR)
+    judged = payloads.saved_payload_violations(w, assets=assets, kinds=("time", "event"), bars=48, bar_ms=HOUR)
+    sizes = [F.size(f"venues.{v}.{s}").alias(f"{v}_{s}") for v in ("spot", "futures") for s in ("candles_1s", "trades", "book_ticker", "liquidations", "depth_updates")]
+    ids = [F.col(f"venues.{v}.{d}.update_id").alias(f"{v}_{d}") for v in ("spot", "futures") for d in ("depth_start", "depth_latest")]
+    bands = F.aggregate("venues.spot.depth_bands.bids", F.lit(0.0), lambda s, x: s + x)
+    return judged.select("asset", "current_time_ms", *sizes, *ids, F.col("venues.spot.complete_history").alias("complete"), r(bands).alias("bid_bands"), F.array_join("codes", ",").alias("codes"))
+
+
+@query
+def q5_assembled_payloads(spark, sf_dir):
+    """Sizes of the windows, and what the rules say where the prompt's time is set back behind its rows."""
+    p = T.clock_prompts(spark, sf_dir).select("asset", "current_time_ms", F.lit("time").alias("kind"), F.lit(None).cast("string").alias("venue"))
+    assets = {a: (a.upper(), 0.05) for a in ("click", "error", "purchase", "view")}
+    lives = {n: (2 if n == "book_ticker" else 6) * HOUR for n in payloads.STREAM_FIELDS}
+    w = payloads.whole_payloads(p, payload_streams(spark, sf_dir), assets=assets, lives=lives, bars=6, bar_ms=HOUR, back_ms=3 * HOUR, tolerance_ms=HOUR, bridge_ms=HOUR)
+    at = F.col("current_time_ms")
+    w = w.withColumn("current_time_ms", F.when(at % (7 * HOUR) == 0, at - 3 * HOUR).otherwise(at))
+    v = payloads.saved_payload_violations(w, assets=assets, kinds=("time", "event"), bars=6, bar_ms=HOUR)
+    sizes = [F.size(f"venues.{v}.{s}").alias(f"n_{n}_{v}") for n, s in (("trades", "trades"), ("quotes", "book_ticker")) for v in ("spot", "futures")]
+    ahead = F.exists("venues.spot.trades", lambda x: x["recv_ts_ms"] > F.col("current_time_ms"))
+    return v.select("asset", "current_time_ms", *sizes, F.array_contains("codes", "asset").alias("bad_asset"), ahead.alias("ahead"))
+
+
 @query
 def w4_recent_ofi(spark, sf_dir):
     o = flow.recent_ofi(T.clock_prompts(spark, sf_dir), flow.quote_ofi(T.quotes(spark, sf_dir), keys=KEY), window_ms=6 * HOUR, recent_ms=2 * HOUR, least=5)

@@ -106,6 +106,36 @@ held AS (
 )
 """
 
+#: What a prompt sees of each stream: sizes, the pair of snapshots, the diffs that go on from it, bands, and what is missing.
+WHOLE = f""",
+asked AS (SELECT asset, t, unnest(['spot', 'futures']) AS venue FROM prompts),
+seen AS (SELECT a.*, k.seq, k.recv_ts_ms AS ms, abs(k.recv_ts_ms - (a.t - 12 * {H})) AS off FROM asked a LEFT JOIN ticks k ON k.asset = a.asset AND k.venue = a.venue AND k.recv_ts_ms > a.t - 48 * {H} AND k.recv_ts_ms <= a.t),
+pair AS (
+  SELECT asset, t, venue, count(seq) FILTER (WHERE ms > t - 6 * {H}) AS n, count(seq) FILTER (WHERE asset = 'error' AND venue = 'futures') AS liq,
+    max(seq * 3 - 1) FILTER (WHERE ms > t - 24 * {H}) AS latest, arg_min(seq * 3 - 1, off * 1000000 + seq) FILTER (WHERE ms > t - 24 * {H}) AS near,
+    arg_min(ms, off * 1000000 + seq) FILTER (WHERE ms > t - 24 * {H}) AS near_ms, min(off) FILTER (WHERE ms > t - 24 * {H}) AS off, max(seq) FILTER (WHERE ms > t - 6 * {H}) AS band_seq
+  FROM seen GROUP BY ALL
+),
+started AS (SELECT * EXCLUDE (near), CASE WHEN off <= 4 * {H} THEN near END AS start FROM pair),
+diffs AS (
+  SELECT s.asset, s.t, s.venue, count(k.seq) AS n FROM started s LEFT JOIN seen k ON k.asset = s.asset AND k.t = s.t AND k.venue = s.venue AND k.ms > s.t - 24 * {H} AND k.seq * 3 >= s.start
+    AND (k.ms > s.t - 12 * {H} OR (k.ms > s.near_ms - 6 * {H} AND k.seq * 3 - 2 <= s.start + 1)) GROUP BY ALL
+),
+cs AS (SELECT a.asset, a.t, a.venue, count(f.open_time_ms) AS n, max(f.open_time_ms) - min(f.open_time_ms) AS span FROM asked a LEFT JOIN filled f ON f.asset = a.asset AND f.venue = a.venue AND f.open_time_ms + {H} > a.t - 48 * {H} AND f.open_time_ms + {H} <= a.t GROUP BY ALL),
+bands AS (
+  SELECT l.seq, sum(l.qty) AS size FROM lv l JOIN quotes q USING (seq) WHERE l.side = 'bid' AND ceil((q.mid - l.price) / 0.05::DOUBLE - 1e-9) - 1 BETWEEN 0 AND 99 GROUP BY ALL
+),
+per AS (SELECT s.*, d.n AS updates, c.n AS bars, coalesce(c.n >= 48 AND c.span >= 47 * {H}, false) AS complete FROM started s JOIN diffs d USING (asset, t, venue) JOIN cs c USING (asset, t, venue)),
+whole AS (
+  SELECT s.asset, s.t AS current_time_ms, s.bars AS spot_candles_1s, s.n AS spot_trades, s.n AS spot_book_ticker, 0 AS spot_liquidations, s.updates AS spot_depth_updates,
+    f.bars AS futures_candles_1s, f.n AS futures_trades, f.n AS futures_book_ticker, f.liq AS futures_liquidations, f.updates AS futures_depth_updates,
+    s.start AS spot_depth_start, s.latest AS spot_depth_latest, f.start AS futures_depth_start, f.latest AS futures_depth_latest, s.complete, round(coalesce(b.size, 0), 6) AS bid_bands,
+    concat_ws(',', CASE WHEN s.start IS NULL THEN 'spot:depth_start:missing' END, CASE WHEN s.latest IS NULL THEN 'spot:depth_latest:missing' END,
+      CASE WHEN f.start IS NULL THEN 'futures:depth_start:missing' END, CASE WHEN f.latest IS NULL THEN 'futures:depth_latest:missing' END) AS codes
+  FROM per s JOIN per f ON s.asset = f.asset AND s.t = f.t AND s.venue = 'spot' AND f.venue = 'futures' LEFT JOIN bands b ON b.seq = s.band_seq
+)
+"""
+
 #: The last snapshot of each six hours, every fourth of them, by bands round its mid.
 BAND_SAMPLES = f""",
 lasts AS (SELECT asset, venue, recv_ts_ms // (6 * {H}) * 6 * {H} AS from_ms, arg_max(seq, recv_ts_ms) AS seq FROM ticks GROUP BY ALL),
@@ -149,6 +179,7 @@ def oracle_sql() -> dict[str, str]:
         "x2_group_moves": _sql(MOVES, "SELECT asset, venue, ts_ms, round(price, 6) AS price, round(reference, 6) AS reference, recv_ts_ms FROM moves"),
         "x5_retention": _sql(RETAINED, "SELECT asset, venue, current_time_ms, n_trades, size_trades, n_quotes, size_quotes, n_liquidations, size_liquidations FROM held"),
         "x6_band_samples": _sql(LEVELS + BAND_SAMPLES, "SELECT asset, venue, from_ms, side, band, round(sum(qty), 6) AS size FROM placed WHERE band BETWEEN 0 AND 99 GROUP BY ALL"),
+        "q5_whole_payloads": _sql(CANDLES + LEVELS + WHOLE, "SELECT * FROM whole"),
         "x9_once": _sql("", "SELECT DISTINCT asset, venue, seq FROM ticks"),
         "x7_sliding_flow": _sql("", f"SELECT asset, venue, f AS from_ms, f + 6 * {H} AS to_ms, sum(CASE WHEN buyer_is_maker THEN -qty ELSE qty END) AS flow, sum(qty) AS volume, count(*) AS n FROM (SELECT *, unnest(range((recv_ts_ms // (2 * {H}) - 2) * 2 * {H}, recv_ts_ms // (2 * {H}) * 2 * {H} + 1, 2 * {H})) AS f FROM ticks) GROUP BY asset, venue, f"),
         "x8_activity_sessions": _sql(", g AS (SELECT *, (recv_ts_ms - lag(recv_ts_ms) OVER w > 1800000)::INT AS new FROM ticks WINDOW w AS (PARTITION BY asset ORDER BY recv_ts_ms)), s AS (SELECT *, sum(coalesce(new, 0)) OVER (PARTITION BY asset ORDER BY recv_ts_ms) AS k FROM g)", "SELECT asset, min(recv_ts_ms) AS from_ms, max(recv_ts_ms) + 1800000 AS to_ms, count(*) AS n, sum(qty) AS qty FROM s GROUP BY asset, k"),

@@ -783,13 +783,6 @@ def p5_filter_depth_updates(spark, sf_dir):
     return payloads.filter_depth_updates(u, starts, keys=[*KEY, "day"]).select(*KEY, "first_id", "final_id", "start_id")
 
 
-@query
-def q5_assembled_payloads(spark, sf_dir):
-    p = payloads.assembled(T.clock_prompts(spark, sf_dir), {"trades": T.trades(spark, sf_dir), "quotes": T.quotes(spark, sf_dir)}, windows={"trades": 6 * HOUR, "quotes": 2 * HOUR})
-    v = payloads.payload_violations(p.withColumn("current_time_ms", F.when(F.col("current_time_ms") % (7 * HOUR) == 0, F.col("current_time_ms") - 3 * HOUR).otherwise(F.col("current_time_ms"))), assets=("click", "error", "purchase", "view"))
-    return v.select("asset", "current_time_ms", *[F.size(c).alias(f"n_{c}") for c in ("trades_spot", "trades_futures", "quotes_spot", "quotes_futures")], F.array_contains("codes", "asset").alias("bad_asset"), F.array_contains("codes", "trades_spot:future").alias("ahead"))
-
-
 @query
 def q3_still_features(spark, sf_dir):
     """Stillness of the spot mid on the clock's grid: 13 columns, with a step of an hour for 100 ms and days for minutes."""
