@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -77,3 +78,33 @@ def test_mixture_of_equal_ladders_is_the_ladder(spark):
 def test_robust_z_and_logistic(spark):
     row = one(spark, Q.robust_z(F.lit(100.0), F.lit(0.0), F.lit(1.0)), Q.robust_z(F.lit(None).cast("double"), F.lit(0.0), F.lit(1.0)), Q.logistic(0.0, [F.lit(0.0)], [1.0]))
     assert tuple(row) == (2.0, 0.0, 0.5)
+
+
+def test_mixture_quantiles():
+    z = np.array(L.mixture_z())
+    cdf = lambda x, b: np.where(x < 0, 0.5 * np.exp(x / b), 1 - 0.5 * np.exp(-x / b))
+    assert np.allclose(0.85 * cdf(z, 1.0) + 0.15 * cdf(z, 3.0), L.GRID, atol=1e-12) and (np.diff(z) > 0).all()
+    assert np.allclose(L.mixture_z(share=0.0), L.laplace_z())
+
+
+def test_still_mixtures_against_a_fine_mixture():
+    """A million draws' worth of levels of the reshaped ladder beside the point, against the inverted lines."""
+    rng = np.random.default_rng(6)
+    for mass, widen, shift, hole in ((0.3, 0.5, 0.4, 0.2), (0.05, 0.0, 0.0, 0.0), (0.8, 0.2, 0.0, 1.0)):
+        x = np.sort(100 + rng.normal(0, 1, (4, L.N)), axis=1)
+        price = np.array([100.0, 99.5, 90.0, 120.0])
+        width = np.abs(x - 0.5 * (x[:, 49:50] + x[:, 50:51])).mean(1)
+        got = L.still_rows(x, price, np.full(4, mass), width, widen=widen, shift=shift, hole=hole)
+        for row, px, w, out in zip(x, price, width, got, strict=True):
+            middle = 0.5 * (row[49] + row[50])
+            off = shift * mass / (1 - mass) * (middle - px)
+            r = row + off + widen * mass * (row - middle)
+            if hole:
+                d = np.abs(r - px)
+                r = px + np.sign(r - px) * (d + hole * w * (1 - np.exp(-d / (hole * w))))
+            fine = np.interp((np.arange(200_000) + 0.5) / 200_000, L.GRID, r)
+            both = np.sort(np.concatenate([fine, np.full(round(200_000 * mass / (1 - mass)), px)]))
+            want = both[(np.array(L.GRID) * len(both)).astype(int)]
+            assert np.abs(out - want).max() < 2e-3 and (np.diff(out) >= 0).all()
+            if 95 < px < 105:
+                assert abs((out == px).mean() - mass) <= 0.011

@@ -22,6 +22,21 @@ def laplace_z(n: int = N) -> list[float]:
     return [math.copysign(-math.log(1 - 2 * abs(t - 0.5)), t - 0.5) for t in levels]
 
 
+def mixture_z(share: float = 0.15, ratio: float = 3.0, n: int = N) -> list[float]:
+    """Quantiles of (1 - share) Laplace(1) + share Laplace(ratio) on the centred grid, all levels halved at once.
+
+    The lower half is found between where the wider part alone would put it and 0, the upper half is its mirror.
+    """
+    levels = (2 * np.arange(1, n // 2 + 1) - 1) / (2 * n)
+    low, high = np.full(n // 2, ratio * math.log(2 / (2 * n))), np.zeros(n // 2)
+    for _ in range(80):
+        mid = 0.5 * (low + high)
+        below = 0.5 * ((1 - share) * np.exp(mid) + share * np.exp(mid / ratio)) < levels
+        low, high = np.where(below, mid, low), np.where(below, high, mid)
+    half = 0.5 * (low + high)
+    return [*half.tolist(), *(-half[::-1]).tolist()]
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` of a value that is computed once for the row, not for every price."""
     return F.get(F.transform(F.array(value), body), 0)
@@ -202,3 +217,61 @@ def with_point_mass(q: Column, price: Column, mass: Column) -> Column:
             yield pd.Series(list(np.where(use[:, None], out, x)))
 
     return put(q, price, mass)
+
+
+def quantile_rows(x: np.ndarray, level: np.ndarray) -> np.ndarray:
+    """Each ladder's prices at levels of its own, straight between its grid's, its ends beyond."""
+    at = np.clip(level * N - 0.5, 0, N - 1)
+    low = np.minimum(at.astype(int), N - 2)
+    part = at - low
+    return np.take_along_axis(x, low, 1) * (1 - part) + np.take_along_axis(x, low + 1, 1) * part
+
+
+def still_rows(x: np.ndarray, price: np.ndarray, mass: np.ndarray, width: np.ndarray, *, widen: float, shift: float, hole: float) -> np.ndarray:
+    """Quantiles of ``mass`` at the price and the rest on a reshaped ladder, a row each; as ``still_mixed`` says."""
+    p, px = mass[:, None], price[:, None]
+    keep = 1 - p
+    middle = 0.5 * (x[:, N // 2 - 1 : N // 2] + x[:, N // 2 : N // 2 + 1])
+    off = shift * p / keep * (middle - px)
+    r = x + off
+    r = r + widen * p * (r - (middle + off))
+    h = np.maximum(hole * width, 0)[:, None]
+    away = np.abs(r - px)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        pushed = px + np.sign(r - px) * (away + h * (1 - np.exp(-away / h)))
+    r = np.where(h > 0, pushed, r)
+    k = (r < px).sum(1)
+    inside = (k > 0) & (k < N)
+    below, above = (np.take_along_axis(r, np.clip(i, 0, N - 1)[:, None], 1)[:, 0] for i in (k - 1, k))
+    part = np.divide(price - below, above - below, out=np.zeros(len(k)), where=inside & (above > below))
+    left = np.where(inside, (2 * k - 1) / (2 * N) + np.clip(part, 0, 1) / N, np.where(k > 0, 1.0, 0.0))
+    levels, first = np.array(GRID)[None, :], keep[:, 0] * left
+    low = quantile_rows(r, levels / keep)
+    high = quantile_rows(r, (levels - p) / keep)
+    out = np.where(levels < first[:, None], low, np.where(levels <= (first + mass)[:, None], px, high))
+    return np.maximum.accumulate(out, axis=1)
+
+
+def still_mixed(q: Column, price: Column, mass: Column, width: Column, *, widen: float, shift: float, hole: float) -> Column:
+    """The ladder of a price that stays with probability ``mass``: a point at the price, and the rest reshaped.
+
+    The rest is moved off the price by ``shift`` * mass / (1 - mass) of the median's own distance, so that
+    the mean survives the point; widened about its median by 1 + ``widen`` * mass; and pushed out of a hole of about
+    ``hole`` * ``width`` round the price. Quantiles are the mixture's, inverted in straight lines, never falling. A
+    mass of 0 or below, 1 or above, or none leaves the ladder as it is.
+    """
+
+    @F.pandas_udf("array<double>")
+    def mix(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for q, price, mass, width in batches:
+            x, m = _rows(q), mass.to_numpy(float)
+            use = (m > 0) & (m < 1)
+            out = still_rows(x, price.to_numpy(float), np.where(use, m, 0.5), width.to_numpy(float), widen=widen, shift=shift, hole=hole)
+            yield pd.Series(list(np.where(use[:, None], out, x)))
+
+    return mix(q, price, mass, width)
+
+
+def empirical(price: Column, offsets: Column) -> Column:
+    """The price and centred quantiles of recent moves beside it, above the floor and never falling; null without offsets."""
+    return F.when(offsets.isNotNull(), rising(F.transform(offsets, lambda v: price + v)))

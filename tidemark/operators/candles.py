@@ -113,3 +113,23 @@ def season(moved: DataFrame, *, move: str, slot: Column) -> DataFrame:
     by_hour = per.withColumn("hour", hour)
     usual = by_hour.filter(weekday).groupBy("hour").agg((F.sum(F.col("seas_abs") * F.col("n")) / F.sum("n")).alias("usual"))
     return by_hour.join(F.broadcast(usual), "hour", "left").select("slot", "n", "seas_abs", F.when(F.col("usual") > 0, F.col("seas_abs") / F.col("usual")).alias("seas_rel"))
+
+
+def hour_autocorrelation(moved: DataFrame, *, keys: list[str], move: str, bar_ms: int = 1000, chunk_bars: int = 3600, hour: Column | None = None) -> DataFrame:
+    """``hour, n, lag1``: correlation of each move with the key's one a bar before, by hour of the day (UTC) of the later one.
+
+    Rows are dealt by key and chunk with one bar of halo; a chunk gives moment sums by hour, and these are
+    merged, so neither keys nor hours meet in one task. Null without spread on either side.
+    """
+    rows = moved.filter(F.col(move).isNotNull()).select(*keys, "open_time_ms", F.col(move).alias("__y"))
+    dealt = chunked(rows, keys=keys, ts="open_time_ms", seq="open_time_ms", chunk_ms=chunk_bars * bar_ms, halo_ms=bar_ms)
+    w = Window.partitionBy(*keys, "__chunk").orderBy("open_time_ms").rangeBetween(-bar_ms, -bar_ms)
+    pairs = without_halo(dealt.withColumn("__x", F.first("__y").over(w))).filter("__x is not null")
+    hour = F.floor(F.col("open_time_ms") / 3_600_000) % 24 if hour is None else hour
+    x, y = F.col("__x"), F.col("__y")
+    sums = {"n": F.count(F.lit(1)), "x": F.sum(x), "y": F.sum(y), "xy": F.sum(x * y), "xx": F.sum(x * x), "yy": F.sum(y * y)}
+    s = pairs.groupBy(hour.cast("int").alias("hour")).agg(*[c.alias(f"__s{n}") for n, c in sums.items()])
+    of = lambda n: F.col(f"__s{n}")
+    spread = lambda a: of(a + a) - of(a) * of(a) / of("n")
+    both = (of("xy") - of("x") * of("y") / of("n")) / F.sqrt(F.when((spread("x") > 0) & (spread("y") > 0), spread("x") * spread("y")))
+    return s.select("hour", of("n").alias("n"), both.alias("lag1"))

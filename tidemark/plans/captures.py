@@ -12,7 +12,7 @@ from tidemark.functions import ladders as L
 from tidemark.functions import quotes as Q
 from tidemark.operators import candles as C
 from tidemark.operators import features, flow, forecast, payloads, scoring
-from tidemark.plans.queries import CHUNK, HOUR, KEY, all_moves, all_scores, answers, full_candles, moved, priced, query, r, signal_rows, spot
+from tidemark.plans.queries import CHUNK, HOUR, KEY, all_moves, all_scores, answers, full_candles, moved, priced, query, r, signal_rows, spot, window_moves
 from tidemark.scratch import fresh
 from tidemark.sources import files
 from tidemark.sources import messages as M
@@ -216,6 +216,31 @@ def f13_widths(spark, sf_dir):
     return m.select(*KEY, "open_time_ms", *[r(c).alias(n) for n, c in {"blended": w1, "liquidation": w2, "regime": w3, "flexed": w4, "season": w5, "shift": shift}.items()])
 
 
+@query
+def r1_mixture_ladders(spark, sf_dir):
+    """Ladders of the mixture of two Laplace distributions, its quantiles found by halving."""
+    a = priced(spark, sf_dir).withColumn("w", 0.2 + F.col("current_time_ms") / HOUR % 9 / 10)
+    q = L.ladder(F.col("price"), F.lit(0.05), F.col("w"), L.mixture_z())
+    a = forecast.computed(a, "q", q)
+    return a.select("asset", "current_time_ms", *[r(F.get("q", F.lit(i))).alias(f"q{i}") for i in (0, 1, 24, 49, 50, 98, 99)], r(L.width(F.col("q"))).alias("width"))
+
+
+@query
+def r9_still_mixtures(spark, sf_dir):
+    a = answers(spark, sf_dir).join(priced(spark, sf_dir), ["asset", "current_time_ms"]).withColumn("mass", 0.1 + F.substring("model", 2, 1).cast("int") * 0.1)
+    a = forecast.computed(a, "w", L.width(F.col("q")))
+    a = forecast.computed(a, "q", L.still_mixed(F.col("q"), F.col("price"), F.col("mass"), F.col("w"), widen=0.5, shift=0.3, hole=0.2))
+    return a.select("asset", "current_time_ms", "model", F.size(F.filter("q", lambda v: v == F.col("price"))).alias("n_atom"), *[r(F.get("q", F.lit(i))).alias(f"q{i}") for i in (0, 30, 60, 99)], r(F.aggregate("q", F.lit(0.0), lambda s, v: s + v), 4).alias("total"))
+
+
+@query
+def r15_empirical_ladders(spark, sf_dir):
+    m = window_moves(spark, sf_dir).select("asset", "current_time_ms", F.col("q").alias("offsets"))
+    a = priced(spark, sf_dir).join(m, ["asset", "current_time_ms"], "left")
+    a = forecast.computed(a, "q", L.empirical(F.col("price"), F.col("offsets"))).filter("q is not null")
+    return a.select("asset", "current_time_ms", r(F.get("q", F.lit(0)), 9).alias("low"), r(F.get("q", F.lit(99)), 9).alias("high"), r(F.aggregate("q", F.lit(0.0), lambda s, v: s + v), 4).alias("total"))
+
+
 @query
 def r6_mirrored_bins(spark, sf_dir):
     p = priced(spark, sf_dir)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.plans.sql import ALL_PROMPTS, CANDLES, DELAYED, FEATURE_NAMES, FEATURES, LABELS, LEVELS, MOVES, SCORES, SIGNALS, H, _sql
+from tidemark.plans.sql import ALL_PROMPTS, CANDLES, DELAYED, FEATURE_NAMES, FEATURES, LABELS, LEVELS, MOVES, PAIRS, SCORES, SIGNALS, H, _sql
 
 ALL_FEATURES = f""",
 b5 AS (SELECT asset, current_time_ms, venue, arg_max(micro, recv_ts_ms) AS micro, arg_max(micro, recv_ts_ms) FILTER (WHERE recv_ts_ms <= newest - 5 * {H}) AS at5 FROM qw GROUP BY ALL),
@@ -106,6 +106,39 @@ held AS (
 )
 """
 
+#: Quantiles of .85 Laplace(1) + .15 Laplace(3): sixty halvings of each level below a half, and their mirror.
+MIXTURE = f""",
+halving(i, tau, lo, hi, step) AS (
+  SELECT i, tau, -30.0::DOUBLE, 0.0::DOUBLE, 0 FROM grid WHERE i <= 50
+  UNION ALL
+  SELECT i, tau, CASE WHEN 0.5 * (0.85 * exp((lo + hi) / 2) + 0.15 * exp((lo + hi) / 6)) < tau THEN (lo + hi) / 2 ELSE lo END,
+    CASE WHEN 0.5 * (0.85 * exp((lo + hi) / 2) + 0.15 * exp((lo + hi) / 6)) < tau THEN hi ELSE (lo + hi) / 2 END, step + 1 FROM halving WHERE step < 70
+),
+mz AS (SELECT i, (lo + hi) / 2 AS mz FROM halving WHERE step = 70 UNION ALL SELECT 101 - i, -(lo + hi) / 2 FROM halving WHERE step = 70),
+mixed AS (SELECT asset, current_time_ms, i, price + 0.05::DOUBLE + (0.2::DOUBLE + current_time_ms // {H} % 9 / 10.0::DOUBLE) * mz AS x FROM priced CROSS JOIN mz),
+middle AS (SELECT asset, current_time_ms, 0.5 * (max(x) FILTER (WHERE i = 50) + max(x) FILTER (WHERE i = 51)) AS m FROM mixed GROUP BY ALL)
+"""
+
+#: A point at the price of mass .1 to .8, and the ladder moved off it, widened and hollowed.
+STILL = """,
+mid AS (SELECT asset, current_time_ms, model, any_value(price) AS px, any_value(model_no) * 0.1::DOUBLE + 0.1::DOUBLE AS p, 0.5 * (max(x) FILTER (WHERE i = 50) + max(x) FILTER (WHERE i = 51)) AS m FROM ladder GROUP BY ALL),
+wide AS (SELECT asset, current_time_ms, model, avg(abs(x - m)) * 0.2::DOUBLE AS h FROM ladder JOIN mid USING (asset, current_time_ms, model) GROUP BY ALL),
+moved1 AS (
+  SELECT l.asset, l.current_time_ms, l.model, i, tau, px, p, h, x + 0.3::DOUBLE * p / (1 - p) * (m - px) AS a, m + 0.3::DOUBLE * p / (1 - p) * (m - px) AS m1
+  FROM ladder l JOIN mid USING (asset, current_time_ms, model) JOIN wide USING (asset, current_time_ms, model)
+),
+moved2 AS (SELECT *, a + 0.5::DOUBLE * p * (a - m1) AS b FROM moved1),
+hollow AS (SELECT *, px + sign(b - px) * (abs(b - px) + h * (1 - exp(-abs(b - px) / h))) AS r FROM moved2),
+rows AS (SELECT asset, current_time_ms, model, any_value(px) AS px, any_value(p) AS p, list(r ORDER BY i) AS xs, (count(*) FILTER (WHERE r < px))::INT AS k FROM hollow GROUP BY ALL),
+lefts AS (
+  SELECT *, CASE WHEN k = 0 THEN 0 WHEN k = 100 THEN 1 ELSE (2 * k - 1) / 200.0::DOUBLE + least(greatest((px - xs[k]) / (xs[k + 1] - xs[k]), 0), 1) / 100.0::DOUBLE END AS l FROM rows
+),
+levels AS (SELECT f.*, i, tau, (1 - p) * l AS t1, CASE WHEN tau < (1 - p) * l THEN tau / (1 - p) ELSE (tau - p) / (1 - p) END AS t FROM lefts f CROSS JOIN grid),
+places AS (SELECT *, least(greatest(t * 100 - 0.5, 0), 99) AS pos, least(floor(least(greatest(t * 100 - 0.5, 0), 99)), 98)::INT AS low FROM levels),
+raw AS (SELECT *, CASE WHEN tau >= t1 AND tau <= t1 + p THEN px ELSE xs[low + 1] * (1 - (pos - low)) + xs[low + 2] * (pos - low) END AS v FROM places),
+still AS (SELECT asset, current_time_ms, model, i, px, max(v) OVER (PARTITION BY asset, current_time_ms, model ORDER BY i) AS v FROM raw)
+"""
+
 #: What a prompt sees of each stream: sizes, the pair of snapshots, the diffs that go on from it, bands, and what is missing.
 WHOLE = f""",
 asked AS (SELECT asset, t, unnest(['spot', 'futures']) AS venue FROM prompts),
@@ -180,6 +213,11 @@ def oracle_sql() -> dict[str, str]:
         "x5_retention": _sql(RETAINED, "SELECT asset, venue, current_time_ms, n_trades, size_trades, n_quotes, size_quotes, n_liquidations, size_liquidations FROM held"),
         "x6_band_samples": _sql(LEVELS + BAND_SAMPLES, "SELECT asset, venue, from_ms, side, band, round(sum(qty), 6) AS size FROM placed WHERE band BETWEEN 0 AND 99 GROUP BY ALL"),
         "q5_whole_payloads": _sql(CANDLES + LEVELS + WHOLE, "SELECT * FROM whole"),
+        "r1_mixture_ladders": _sql(LABELS + MIXTURE, "SELECT asset, current_time_ms, " + ", ".join(f"round(max(x) FILTER (WHERE i = {i + 1}), 6) AS q{i}" for i in (0, 1, 24, 49, 50, 98, 99)) + ", round(avg(abs(x - m)), 6) AS width FROM mixed JOIN middle USING (asset, current_time_ms) GROUP BY ALL"),
+        "r9_still_mixtures": _sql(LABELS + STILL, "SELECT asset, current_time_ms, model, (count(*) FILTER (WHERE v = px))::INT AS n_atom, " + ", ".join(f"round(max(v) FILTER (WHERE i = {i + 1}), 6) AS q{i}" for i in (0, 30, 60, 99)) + ", round(sum(v), 4) AS total FROM still GROUP BY ALL"),
+        "r15_empirical_ladders": _sql(LABELS + PAIRS, "SELECT asset, current_time_ms, round(min(x), 9) AS low, round(max(x), 9) AS high, round(sum(x), 4) AS total FROM (SELECT asset, current_time_ms, price + unnest(list_aggregate(moves, 'quantile_cont', list_transform(range(1, 101), lambda v: (2 * v - 1) / 200.0::DOUBLE))) - list_aggregate(moves, 'quantile_cont', 0.5) AS x FROM kept JOIN priced USING (asset, current_time_ms)) GROUP BY ALL"),
+        "a24_hour_autocorrelation": _sql(CANDLES + ", l AS (SELECT *, lag(d_ten) OVER (PARTITION BY asset, venue ORDER BY open_time_ms) AS x FROM moved)", f"SELECT (open_time_ms // {H} % 24)::INT AS hour, count(*) AS n, round(corr(d_ten, x), 6) AS lag1 FROM l WHERE d_ten IS NOT NULL AND x IS NOT NULL GROUP BY ALL"),
+        "a25_trigger_rates": _sql(ALL_PROMPTS, f"SELECT asset, kind, count(*) AS n, round(count(*) / any_value(total), 6) AS share, round(count(*) / any_value(hours), 6) AS an_hour FROM built JOIN (SELECT asset, count(*) AS total, (max(current_time_ms) - min(current_time_ms)) / {H}.0::DOUBLE AS hours FROM built GROUP BY asset) s USING (asset) GROUP BY asset, kind"),
         "x9_once": _sql("", "SELECT DISTINCT asset, venue, seq FROM ticks"),
         "x7_sliding_flow": _sql("", f"SELECT asset, venue, f AS from_ms, f + 6 * {H} AS to_ms, sum(CASE WHEN buyer_is_maker THEN -qty ELSE qty END) AS flow, sum(qty) AS volume, count(*) AS n FROM (SELECT *, unnest(range((recv_ts_ms // (2 * {H}) - 2) * 2 * {H}, recv_ts_ms // (2 * {H}) * 2 * {H} + 1, 2 * {H})) AS f FROM ticks) GROUP BY asset, venue, f"),
         "x8_activity_sessions": _sql(", g AS (SELECT *, (recv_ts_ms - lag(recv_ts_ms) OVER w > 1800000)::INT AS new FROM ticks WINDOW w AS (PARTITION BY asset ORDER BY recv_ts_ms)), s AS (SELECT *, sum(coalesce(new, 0)) OVER (PARTITION BY asset ORDER BY recv_ts_ms) AS k FROM g)", "SELECT asset, min(recv_ts_ms) AS from_ms, max(recv_ts_ms) + 1800000 AS to_ms, count(*) AS n, sum(qty) AS qty FROM s GROUP BY asset, k"),

@@ -356,6 +356,21 @@ def a24_season_table(spark, sf_dir):
     return s.select("slot", "n", r("seas_abs").alias("seas_abs"), r("seas_rel").alias("seas_rel"))
 
 
+@query
+def a24_hour_autocorrelation(spark, sf_dir):
+    a = C.hour_autocorrelation(moved(spark, sf_dir), keys=KEY, move="d_10", bar_ms=HOUR, chunk_bars=48)
+    return a.select("hour", "n", r("lag1").alias("lag1"))
+
+
+@query
+def a25_trigger_rates(spark, sf_dir):
+    """Prompts by kind an hour, from each asset's first prompt to its last."""
+    p = q1_build_prompts(spark, sf_dir)
+    span = p.groupBy("asset").agg(((F.max("current_time_ms") - F.min("current_time_ms")) / HOUR).alias("hours"))
+    per = scoring.trigger_mix(p).join(span, "asset")  # a row an asset
+    return per.select("asset", "kind", "n", r("share").alias("share"), r(F.when(F.col("hours") > 0, F.col("n") / F.col("hours"))).alias("an_hour"))
+
+
 @query
 def a25_trigger_mix(spark, sf_dir):
     return scoring.trigger_mix(q1_build_prompts(spark, sf_dir)).withColumn("share", r("share"))
