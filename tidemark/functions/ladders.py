@@ -159,37 +159,45 @@ def _rows(q: pd.Series) -> np.ndarray:
     return np.array([np.full(N, np.nan) if v is None or len(v) != N else np.asarray(v, float) for v in q]).reshape(-1, N)
 
 
+def sanitized_rows(x: np.ndarray) -> np.ndarray:
+    """``sanitized`` of ladders, a row each."""
+    x = np.nan_to_num(x, nan=FLOOR, posinf=1e16, neginf=FLOOR)
+    x = np.maximum.accumulate(np.maximum(x, FLOOR), axis=1)
+    flat = np.diff(x, axis=1) <= 0
+    x[:, 1:] += np.cumsum(np.where(flat, STEP, 0.0), axis=1)
+    return x
+
+
 def sanitized(q: Column) -> Column:
     """Ladders above a floor, never falling, ties apart by tiny steps; not-finite values scrubbed."""
 
     @F.pandas_udf("array<double>")
     def sanitize(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for q in batches:
-            x = np.nan_to_num(_rows(q), nan=FLOOR, posinf=1e16, neginf=FLOOR)
-            x = np.maximum.accumulate(np.maximum(x, FLOOR), axis=1)
-            flat = np.diff(x, axis=1) <= 0
-            x[:, 1:] += np.cumsum(np.where(flat, STEP, 0.0), axis=1)
-            yield pd.Series(list(x))
+            yield pd.Series(list(sanitized_rows(_rows(q))))
 
     return sanitize(q)
 
 
+def mixed_rows(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """``mixed`` of ladders, a row each."""
+    both = np.concatenate([x, y], axis=1)
+    order = np.argsort(both, axis=1, kind="stable")
+    mass = np.concatenate([np.repeat((1 - w)[:, None] / N, N, 1), np.repeat(w[:, None] / N, N, 1)], axis=1)
+    values, total = np.take_along_axis(both, order, 1), np.cumsum(np.take_along_axis(mass, order, 1), axis=1)
+    # The first place whose mass reaches each level: rows are set apart by whole numbers and searched as one.
+    rows, levels = np.arange(len(total))[:, None], np.array(GRID)
+    at = np.searchsorted((total / total[:, -1:] * 0.999 + rows).ravel(), ((levels - 1e-12) * 0.999 + rows).ravel()).reshape(len(total), N) - rows * 2 * N
+    return np.take_along_axis(values, np.minimum(at, 2 * N - 1), 1)
+
+
 def mixed(a: Column, b: Column, weight: Column) -> Column:
     """Quantiles of the mixture of two ladders, each price of either an atom of equal mass."""
 
     @F.pandas_udf("array<double>")
     def mix(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        levels = np.array(GRID)
         for a, b, w in batches:
-            x, y, w = _rows(a), _rows(b), w.to_numpy(float)
-            both = np.concatenate([x, y], axis=1)
-            order = np.argsort(both, axis=1, kind="stable")
-            mass = np.concatenate([np.repeat((1 - w)[:, None] / N, N, 1), np.repeat(w[:, None] / N, N, 1)], axis=1)
-            values, total = np.take_along_axis(both, order, 1), np.cumsum(np.take_along_axis(mass, order, 1), axis=1)
-            # The first place whose mass reaches each level: rows are set apart by whole numbers and searched as one.
-            rows = np.arange(len(total))[:, None]
-            at = np.searchsorted((total / total[:, -1:] * 0.999 + rows).ravel(), ((levels - 1e-12) * 0.999 + rows).ravel()).reshape(len(total), N) - rows * 2 * N
-            yield pd.Series(list(np.take_along_axis(values, np.minimum(at, 2 * N - 1), 1)))
+            yield pd.Series(list(mixed_rows(_rows(a), _rows(b), w.to_numpy(float))))
 
     return mix(a, b, weight)
 

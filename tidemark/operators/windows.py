@@ -325,3 +325,54 @@ def recent_average(reach: tuple[int, int], decays: dict[str, tuple[int, float]])
         return out | {"there": hi > lo}
 
     return measure, ", ".join(f"{n} double" for n in decays)
+
+
+def slice_means(values: np.ndarray, weights: np.ndarray, bins: int) -> np.ndarray:
+    """A15 for rows: means of the equal slices of weight of each row's sorted values, never falling; weight 0 is absent."""
+    order = np.argsort(np.where(weights > 0, values, np.inf), axis=1)
+    v, w = np.take_along_axis(np.nan_to_num(values), order, 1), np.take_along_axis(weights, order, 1)
+    whole = w.sum(1, keepdims=True)
+    out = np.zeros((len(v), bins))
+    for i in np.flatnonzero(whole[:, 0] > 0):
+        edge, area = np.concatenate([[0.0], np.cumsum(w[i]) / whole[i]]), np.concatenate([[0.0], np.cumsum(v[i] * w[i]) / whole[i]])
+        out[i] = np.maximum.accumulate(np.diff(np.interp(np.linspace(0, 1, bins + 1), edge, area)) * bins)
+    return np.maximum(out, 0.0)
+
+
+def hour_parts(bars: int, bar_ms: int, *, step: int, short: int, half: int, quick: int, bins: int, decay: float, least: int = 20, jump: float = 0.99, eps: float = 1e-6) -> tuple[Measure, str]:
+    """What the closes of a prompt's trailing ``bars`` say: A12, A13, A15, A16, W10 and W11 at once.
+
+    Of moves over ``step`` bars: ``mad`` their mean distance from the median in logs, ``ewma`` the weighted mean size,
+    ``jump_ratio`` the ``jump`` quantile over the median of the sizes in price (1e9 without 50 closes or a median); of the last
+    ``half`` sizes in logs the means of ``bins`` slices of recency weight, ``p90`` and ``activity`` (the last ``quick`` against all).
+    ``rv`` is the deviation of the last ``short`` single returns over root of ``step`` bars, ``rng`` the log range of the last
+    ``step`` closes. Null where the closes are too few. Column close, by the bar's end.
+    """
+    names = ("mad", "ewma", "jump_ratio", "rv", "rng", "p90", "activity")
+
+    def measure(rows: Rows, at: np.ndarray) -> dict[str, np.ndarray]:
+        lo, hi = rows.window(at, bars * bar_ms)
+        out = {n: np.full(len(at), np.nan) for n in names}
+        slices: list = [None] * len(at)
+        logs = np.log(np.where(rows["close"] > 0, rows["close"], np.nan))
+        for i in np.flatnonzero(hi - lo > step):
+            c, x = rows["close"][lo[i] : hi[i]], logs[lo[i] : hi[i]]
+            moves, n = x[step:] - x[:-step], hi[i] - lo[i]
+            sizes = np.abs(moves)
+            weight = decay ** np.arange(len(sizes))[::-1].astype(float)
+            out["mad"][i] = np.abs(moves - np.median(moves)).mean()
+            out["ewma"][i] = (weight * sizes).sum() / weight.sum()
+            out["rng"][i] = np.log(c[-step:].max() / c[-step:].min())
+            if n > short:
+                out["rv"][i] = np.diff(x[-short - 1 :]).std() * np.sqrt(step)
+            steps = np.abs(c[step:] - c[:-step])
+            typical = np.median(steps)
+            out["jump_ratio"][i] = np.quantile(steps, jump) / typical if n >= 50 and typical > 1e-6 else 1e9
+            if n >= step + least:
+                last = sizes[-half:]
+                slices[i] = slice_means(last[None, :], np.arange(1.0, len(last) + 1)[None, :], bins)[0]
+                out["p90"][i] = np.quantile(last, 0.9)
+                out["activity"][i] = np.log((eps + last[-quick:].mean()) / (eps + last.mean())) if len(last) >= quick else 0.0
+        return out | {"n_closes": hi - lo, "bins": np.array([*slices, None], object)[:-1], "there": hi > lo}
+
+    return measure, ", ".join(f"{n} double" for n in names) + ", n_closes long, bins array<double>"

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from tidemark.functions import ladders as L
 from tidemark.functions import quotes as Q
 from tidemark.operators import candles as C
-from tidemark.operators import features, flow, forecast, payloads, scoring
-from tidemark.plans.queries import CHUNK, HOUR, KEY, all_moves, all_scores, answers, full_candles, moved, priced, query, r, signal_rows, spot, window_moves
+from tidemark.operators import flow, forecast, payloads, scoring
+from tidemark.plans.queries import CHUNK, HOUR, KEY, all_moves, all_scores, answers, complete_features, full_candles, moved, priced, query, r, signal_rows, spot, window_moves
 from tidemark.scratch import fresh
 from tidemark.sources import files
 from tidemark.sources import messages as M
@@ -388,11 +388,7 @@ def x10_trailing_window(spark, sf_dir):
 @query
 def q2_all_features(spark, sf_dir):
     """All 36 features; an hour for a second, and 24 bars for the volatility's 120."""
-    f = features.complete_features(
-        T.clock_prompts(spark, sf_dir), trades=T.trades(spark, sf_dir), quotes=T.quotes(spark, sf_dir), liquidations=T.liquidations(spark, sf_dir), depth=T.depth(spark, sf_dir), candles=full_candles(spark, sf_dir),
-        window_ms=6 * HOUR, flow_ms=2 * HOUR, last_n=5, lags={"m1": HOUR, "m3": 3 * HOUR, "m5": 5 * HOUR}, vol_ms=5 * HOUR, liq_recent_ms=HOUR, liq_unit=10.0, liq_long_unit=100.0, least=3,
-        bar_ms=HOUR, history=600, slow=(24, 0.94), fast=(12, 0.85), horizon_bars=10, band_width=0.05, band_reach=0.1, band_age_ms=4 * HOUR, chunk_bars=48, chunk_ms=CHUNK,
-    ).drop("quoted")
+    f = complete_features(spark, sf_dir, T.clock_prompts(spark, sf_dir)).drop("quoted")
     return f.select("asset", "current_time_ms", *[c if c == "stale_ms" else r(c).alias(c) for c in f.columns[2:]])
 
 

@@ -106,6 +106,25 @@ held AS (
 )
 """
 
+#: The 120 spot bars before each prompt: moves over ten, slices of recency weight, deviations and ratios.
+HOURS = f""",
+b AS (SELECT p.asset, p.t, f.close, row_number() OVER w AS i, count(*) OVER (PARTITION BY p.asset, p.t) AS n FROM prompts p JOIN filled f ON f.asset = p.asset AND f.venue = 'spot' AND f.open_time_ms + {H} > p.t - 120 * {H} AND f.open_time_ms + {H} <= p.t WINDOW w AS (PARTITION BY p.asset, p.t ORDER BY f.open_time_ms)),
+s AS (SELECT *, n - i AS back, ln(close / lag(close, 10) OVER w) AS m, close - lag(close, 10) OVER w AS d, ln(close / lag(close) OVER w) AS one FROM b WINDOW w AS (PARTITION BY asset, t ORDER BY i)),
+o AS (SELECT *, median(m) OVER (PARTITION BY asset, t) AS mid FROM s),
+agg AS (
+  SELECT asset, t, any_value(n) AS n, avg(abs(m - mid)) AS mad, sum(pow(0.98, back) * abs(m)) / sum(pow(0.98, back)) FILTER (WHERE m IS NOT NULL) AS ewma,
+    CASE WHEN any_value(n) > 60 THEN stddev_pop(one) FILTER (WHERE back < 60) * sqrt(10) END AS rv, ln(max(close) FILTER (WHERE back < 10) / min(close) FILTER (WHERE back < 10)) AS rng,
+    CASE WHEN any_value(n) >= 50 AND median(abs(d)) > 1e-6 THEN quantile_cont(abs(d), 0.99) / median(abs(d)) ELSE 1e9 END AS jump_ratio,
+    CASE WHEN any_value(n) >= 30 THEN quantile_cont(abs(m), 0.9) FILTER (WHERE back < 90) END AS p90,
+    CASE WHEN any_value(n) >= 30 THEN CASE WHEN count(m) >= 20 THEN ln((1e-6 + avg(abs(m)) FILTER (WHERE back < 20)) / (1e-6 + avg(abs(m)) FILTER (WHERE back < 90))) ELSE 0 END END AS activity
+  FROM o GROUP BY ALL HAVING any_value(n) > 10
+),
+half AS (SELECT asset, t, abs(m) AS v, (row_number() OVER (PARTITION BY asset, t ORDER BY i))::DOUBLE AS w FROM s WHERE m IS NOT NULL AND back < 90 AND n >= 30),
+mass AS (SELECT asset, t, v, w / sum(w) OVER (PARTITION BY asset, t) AS w, sum(w) OVER (PARTITION BY asset, t ORDER BY v, w ROWS UNBOUNDED PRECEDING) / sum(w) OVER (PARTITION BY asset, t) AS upto FROM half),
+slices AS (SELECT asset, t, k, 50 * sum(v * greatest(least(upto, (k + 1) / 50.0::DOUBLE) - greatest(upto - w, k / 50.0::DOUBLE), 0)) AS mean FROM mass CROSS JOIN range(50) g(k) GROUP BY ALL),
+rising AS (SELECT asset, t, k, max(mean) OVER (PARTITION BY asset, t ORDER BY k) AS mean FROM slices)
+"""
+
 #: Quantiles of .85 Laplace(1) + .15 Laplace(3): sixty halvings of each level below a half, and their mirror.
 MIXTURE = f""",
 halving(i, tau, lo, hi, step) AS (
@@ -218,6 +237,7 @@ def oracle_sql() -> dict[str, str]:
         "r15_empirical_ladders": _sql(LABELS + PAIRS, "SELECT asset, current_time_ms, round(min(x), 9) AS low, round(max(x), 9) AS high, round(sum(x), 4) AS total FROM (SELECT asset, current_time_ms, price + unnest(list_aggregate(moves, 'quantile_cont', list_transform(range(1, 101), lambda v: (2 * v - 1) / 200.0::DOUBLE))) - list_aggregate(moves, 'quantile_cont', 0.5) AS x FROM kept JOIN priced USING (asset, current_time_ms)) GROUP BY ALL"),
         "a24_hour_autocorrelation": _sql(CANDLES + ", l AS (SELECT *, lag(d_ten) OVER (PARTITION BY asset, venue ORDER BY open_time_ms) AS x FROM moved)", f"SELECT (open_time_ms // {H} % 24)::INT AS hour, count(*) AS n, round(corr(d_ten, x), 6) AS lag1 FROM l WHERE d_ten IS NOT NULL AND x IS NOT NULL GROUP BY ALL"),
         "a25_trigger_rates": _sql(ALL_PROMPTS, f"SELECT asset, kind, count(*) AS n, round(count(*) / any_value(total), 6) AS share, round(count(*) / any_value(hours), 6) AS an_hour FROM built JOIN (SELECT asset, count(*) AS total, (max(current_time_ms) - min(current_time_ms)) / {H}.0::DOUBLE AS hours FROM built GROUP BY asset) s USING (asset) GROUP BY asset, kind"),
+        "a15_prompt_hours": _sql(CANDLES + HOURS, "SELECT asset, t AS current_time_ms, n AS n_closes, " + ", ".join(f"round({c}, 9) AS {c}" for c in ("mad", "ewma", "rv", "rng", "p90", "activity")) + ", round(jump_ratio, 6) AS jump_ratio, " + ", ".join(f"round(bin{i}, 9) AS bin{i}" for i in (0, 10, 25, 40, 49)) + " FROM agg LEFT JOIN (SELECT asset, t, " + ", ".join(f"max(mean) FILTER (WHERE k = {i}) AS bin{i}" for i in (0, 10, 25, 40, 49)) + " FROM rising GROUP BY ALL) USING (asset, t)"),
         "x9_once": _sql("", "SELECT DISTINCT asset, venue, seq FROM ticks"),
         "x7_sliding_flow": _sql("", f"SELECT asset, venue, f AS from_ms, f + 6 * {H} AS to_ms, sum(CASE WHEN buyer_is_maker THEN -qty ELSE qty END) AS flow, sum(qty) AS volume, count(*) AS n FROM (SELECT *, unnest(range((recv_ts_ms // (2 * {H}) - 2) * 2 * {H}, recv_ts_ms // (2 * {H}) * 2 * {H} + 1, 2 * {H})) AS f FROM ticks) GROUP BY asset, venue, f"),
         "x8_activity_sessions": _sql(", g AS (SELECT *, (recv_ts_ms - lag(recv_ts_ms) OVER w > 1800000)::INT AS new FROM ticks WINDOW w AS (PARTITION BY asset ORDER BY recv_ts_ms)), s AS (SELECT *, sum(coalesce(new, 0)) OVER (PARTITION BY asset ORDER BY recv_ts_ms) AS k FROM g)", "SELECT asset, min(recv_ts_ms) AS from_ms, max(recv_ts_ms) + 1800000 AS to_ms, count(*) AS n, sum(qty) AS qty FROM s GROUP BY asset, k"),

@@ -6,7 +6,6 @@ apart, so windows are given in hours.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -15,13 +14,13 @@ from pyspark.sql import functions as F
 from tidemark.functions import ladders as L
 from tidemark.functions import quotes as Q
 from tidemark.operators import candles as C
-from tidemark.operators import features, flow, forecast, payloads, prompts, scoring, signals
+from tidemark.operators import chain, features, flow, forecast, payloads, prompts, scoring, signals, windows
 from tidemark.operators.asof import asof_join, chunked, window_join, without_halo
 from tidemark.operators.quantiles import exclusive_percentile, quantiles, robust_center_scale
 from tidemark.sources import files
 from tidemark.sources import messages as M
 from tidemark.sources import ticks as T
-from tidemark.scratch import fresh
+from tidemark.scratch import fresh, written
 from tidemark.streaming import jobs
 
 HOUR, DAY = T.HOUR, 86_400_000
@@ -171,11 +170,11 @@ def j6_horizon_pairs(spark, sf_dir):
     return good.select("asset", "start", F.col("last.seq").alias("end"), r(F.col("last.micro") - F.col("micro_0")).alias("move"))
 
 
-def window_moves(spark, sf_dir) -> DataFrame:
+def window_moves(spark, sf_dir, prompts: DataFrame | None = None) -> DataFrame:
     """Moves over three hours within the two days before each prompt, from sixteen starts at most."""
     levels = [float(x) for x in L.GRID]
     return flow.horizon_pairs(
-        T.clock_prompts(spark, sf_dir), spot(spark, sf_dir), keys=["asset"], at="current_time_ms", reach_ms=48 * HOUR, horizon_ms=3 * HOUR, gap_ms=2 * HOUR, most=16, least_ticks=20, least_pairs=8, levels=levels,
+        T.clock_prompts(spark, sf_dir) if prompts is None else prompts, spot(spark, sf_dir), keys=["asset"], at="current_time_ms", reach_ms=48 * HOUR, horizon_ms=3 * HOUR, gap_ms=2 * HOUR, most=16, least_ticks=20, least_pairs=8, levels=levels,
     )
 
 
@@ -739,41 +738,67 @@ def q4_build_signals(spark, sf_dir):
     return signal_rows(spark, sf_dir).select("asset", "current_time_ms", "signal", r("value").alias("value"))
 
 
+#: Weights that a fit would bring, for an hour as a second.
+CHAIN = chain.Settings(
+    shift_weights={"basis": 0.02, "flow": 5e-4, "flow_fast": 2e-4, "momentum": 0.05, "c1": 0.1, "in_imb": 2e-4, "in_imb_vol": 0.05, "in_basis_vol": 0.1},
+    size_weights={"in_vol": 0.4, "in_fast": 0.2, "in_rv": 0.3, "in_rng": 0.1, "in_abs_c1": 0.1, "in_f_qty_log": 1e-4, "in_stale": 1e-9, "in_one": 1e-3},
+    widths=(0.02, 20.0),
+)
+
+
+def complete_features(spark, sf_dir, p: DataFrame) -> DataFrame:
+    """All 36 features; an hour for a second, and 24 bars for the volatility's 120."""
+    return features.complete_features(
+        p, trades=T.trades(spark, sf_dir), quotes=T.quotes(spark, sf_dir), liquidations=T.liquidations(spark, sf_dir), depth=T.depth(spark, sf_dir), candles=full_candles(spark, sf_dir),
+        window_ms=6 * HOUR, flow_ms=2 * HOUR, last_n=5, lags={"m1": HOUR, "m3": 3 * HOUR, "m5": 5 * HOUR}, vol_ms=5 * HOUR, liq_recent_ms=HOUR, liq_unit=10.0, liq_long_unit=100.0, least=3,
+        bar_ms=HOUR, history=600, slow=(24, 0.94), fast=(12, 0.85), horizon_bars=10, band_width=0.05, band_reach=0.1, band_age_ms=4 * HOUR, chunk_bars=48, chunk_ms=CHUNK,
+    )
+
+
+def prompt_hours(spark, sf_dir, p: DataFrame) -> DataFrame:
+    """What the closes of the 120 spot bars before each prompt say."""
+    c = full_candles(spark, sf_dir).filter("venue = 'spot'").select("asset", (F.col("open_time_ms") + HOUR).alias("end_ms"), "close")
+    measure, gives = windows.hour_parts(120, HOUR, step=10, short=60, half=90, quick=20, bins=chain.BINS, decay=0.98)
+    return windows.window_stats(p, c, keys=["asset"], at="current_time_ms", ts="end_ms", seq="end_ms", reach_ms=120 * HOUR, measure=measure, gives=gives)
+
+
 def batch_forecasts(spark, sf_dir) -> DataFrame:
-    """Ladders of all clock prompts; those without a quote get the wide fallback.
-
-    In the blueprint's order: R3's shift, R4's regime width, R1, R5 against a ladder of the recent
-    volatility, R6 and R7 with exponential levels of it, R9, R11, R2. R10 and R12 are for event
-    prompts, of which there are none here.
-    """
-    f = feature_table(spark, sf_dir)
-    f = f.withColumn("shift", forecast.linear({"flow": 0.05, "basis": 2.0})).withColumn("recent", F.col("price") * F.when(F.col("s_rv") > 0, F.col("s_rv")).otherwise(F.col("f_rv")) / 5**0.5)
-    f = f.withColumn("wide", F.when(F.col("quoted"), forecast.regime_width(0.2 + F.abs("flow") * 0.1, F.col("recent"))))
-    price, recent, moves = F.col("price"), F.col("recent"), F.col("recent") > 0
-    levels = F.array(*[F.lit(-math.log(1 - (k + 0.5) / 50)) for k in range(50)])
-    bins = F.transform(levels, lambda v: v * recent / price)
-    f = forecast.computed(f, "candle", L.mirrored(bins, price, F.col("shift") / price))
-    steps = [
-        lambda q: L.blended(q, L.ladder(price, F.lit(0.0), recent, L.laplace_z()), F.when(moves, L.blend_weight(recent / F.col("wide"), slope=1.5, pivot=0.9, cap=0.6)).otherwise(0.0)),
-        lambda q: L.mixed(q, F.col("candle"), F.when(moves, 0.25).otherwise(0.0)),
-        lambda q: L.with_point_mass(q, price, F.when(F.col("s_m1") == 0, 0.25).otherwise(0.05)),
-        lambda q: L.widened(q, F.lit(1.05), price, 0.005),
-    ]
-    return forecast.forecast_batch(f, shift=F.col("shift"), width=F.col("wide"), steps=steps)
+    """Ladders of all prompts, of the clock and of events, by the whole chain; those without a quote get the wide fallback."""
+    keys = ["asset", "current_time_ms"]
+    p = written(q1_build_prompts(spark, sf_dir), "prompts")
+    at = p.select(*keys)
+    hours = prompt_hours(spark, sf_dir, at).withColumnsRenamed({"rv": "hour_rv", "rng": "hour_rng"})
+    offsets = window_moves(spark, sf_dir, at).select(*keys, F.col("q").alias("offsets"))
+    ofi = flow.recent_ofi(at, flow.quote_ofi(spot(spark, sf_dir).withColumn("venue", F.lit("spot")), keys=KEY), window_ms=6 * HOUR, recent_ms=2 * HOUR, least=5).select(*keys, F.col("value").alias("ofi"))
+    taker = flow.side_flow(at, T.trades(spark, sf_dir).filter("venue = 'futures'"), keys=["asset"], at="current_time_ms", reach_ms=2 * HOUR, window_ms=2 * HOUR).select(*keys, ((F.col("bought") - F.col("sold")) / 8.0).alias("flow_z"))
+    rows = chain.with_parts(complete_features(spark, sf_dir, at), [p.select(*keys, "kind"), hours, offsets, ofi, taker], keys)
+    season = C.season(moved(spark, sf_dir), move="r_10", slot=Q.season_slot("open_time_ms"))
+    rows = chain.season_columns(rows, season, "current_time_ms").withColumns({"mass": F.when(F.col("s_m1") == 0, 0.25).otherwise(0.05), "move_z": F.col("f_m1") * 200})
+    return chain.forecasts(rows, CHAIN, keys=[*keys, "kind"])
 
 
 @query
 def q6_backtest(spark, sf_dir):
-    q = batch_forecasts(spark, sf_dir).select("asset", "current_time_ms", F.lit("linear").alias("model"), "q")
-    s = scoring.run_summary(scoring.scored(q, labelled(spark, sf_dir)), by=["asset", "model"])
-    return s.select("asset", "model", "n", "n_scored", r("crps_mean").alias("crps_mean"), r("crps_max").alias("crps_max"))
+    """Forecasts of all prompts judged, scored against their labels and summed up by kind of prompt."""
+    f = written(batch_forecasts(spark, sf_dir).withColumn("model", F.concat(F.lit("chain-"), "kind")).drop("kind"), "forecasts")
+    labels = scoring.label_quotes(f.select("asset", "current_time_ms"), spot(spark, sf_dir), keys=["asset"], horizon_ms=HOUR, chunk_ms=CHUNK).withColumn("realized", scoring.realized("label", "target_ms", live_ms=HOUR))
+    s = scoring.run_summary(scoring.scored(f, labels), by=["asset", "model"])
+    return s.select("asset", "model", "n", "n_scored", *[r(c).alias(c) for c in ("crps_mean", "crps_median", "crps_max")])
 
 
 @query
 def r14_forecast_batch(spark, sf_dir):
     f = batch_forecasts(spark, sf_dir)
     q = F.col("q")
-    return f.select("asset", "current_time_ms", r(L.median(q)).alias("median"), r(L.width(q)).alias("width"), F.size(L.violations(q)).alias("n_bad"))
+    return f.select("asset", "current_time_ms", "kind", r(L.median(q)).alias("median"), r(L.width(q)).alias("width"), F.size(L.violations(q)).alias("n_bad"))
+
+
+@query
+def a15_prompt_hours(spark, sf_dir):
+    h = prompt_hours(spark, sf_dir, T.clock_prompts(spark, sf_dir)).filter("n_closes > 10")
+    stats = [r(c, 9).alias(c) for c in ("mad", "ewma", "rv", "rng", "p90", "activity")]
+    bins = [r(F.get("bins", F.lit(i)), 9).alias(f"bin{i}") for i in (0, 10, 25, 40, 49)]
+    return h.select("asset", "current_time_ms", "n_closes", *stats, r("jump_ratio").alias("jump_ratio"), *bins)
 
 
 @query
