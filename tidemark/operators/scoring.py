@@ -100,6 +100,17 @@ def reward_split(board: DataFrame, *, pool: float, shares: tuple[float, ...]) ->
     return board.withColumn("reward", share * pool / n)
 
 
+def rank_models(prompts: DataFrame, models: DataFrame, answers: DataFrame, labels: DataFrame, *, pool: float, shares: tuple[float, ...]) -> DataFrame:
+    """The whole ranking in one lineage: ``asset, model, score, n_prompts, rank, reward``.
+
+    Every model is beside every prompt, its answer is judged and scored, non-answers are charged, the prompt's best
+    is subtracted, and models that answered an asset at least once are ranked and paid within it. Prompts move once
+    for the models' grid, scores once by prompt and once by model.
+    """
+    grid = prompt_model_grid(prompts.select("asset", "current_time_ms"), models, answers)
+    return reward_split(leaderboard(field_scores(scored(grid, labels))), pool=pool, shares=shares)
+
+
 def run_summary(scores: DataFrame, *, by: list[str]) -> DataFrame:
     """Counts and CRPS statistics of all prompts and of those scored."""
     s = written(scores.select(*by, "current_time_ms", "crps"), "scores")

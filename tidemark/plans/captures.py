@@ -12,7 +12,8 @@ from tidemark.functions import ladders as L
 from tidemark.functions import quotes as Q
 from tidemark.operators import candles as C
 from tidemark.operators import flow, forecast, payloads, scoring
-from tidemark.plans.queries import CHUNK, HOUR, KEY, all_moves, all_scores, answers, complete_features, full_candles, moved, priced, query, r, signal_rows, spot, window_moves
+from tidemark.plans import fixtures
+from tidemark.plans.queries import CHUNK, HOUR, KEY, all_moves, all_scores, answers, complete_features, full_candles, moved, partnered, priced, query, r, signal_rows, spot, window_moves
 from tidemark.scratch import fresh
 from tidemark.sources import files
 from tidemark.sources import messages as M
@@ -91,44 +92,28 @@ def s5_klines(spark, sf_dir):
     return M.normalize_klines(M.read_raw_messages(raw), keep=KEY).select(*KEY, "open_time_ms", *[r(c).alias(c) for c in ("open", "high", "low", "close", "volume")], "closed")
 
 
-def payload_files(spark: SparkSession, sf_dir: str) -> str:
-    """A database of pairs: a payload and a label book for each spot tick that a number divides, some books broken or absent."""
-    root = fresh(spark, "database")
-    t = T.ticks(spark, sf_dir).filter("venue = 'spot' and seq % 25 = 0")
-    trade = F.struct("ts_ms", F.col("recv_ts_ms").alias("event_ts_ms"), "recv_ts_ms", "price", "qty", "buyer_is_maker")
-    quote = F.struct("recv_ts_ms", "bid_price", "bid_qty", "ask_price", "ask_qty")
-    spot_ = F.struct(F.array(trade).alias("trades"), F.array(quote, quote).alias("book_ticker"), F.array(F.struct(F.lit(1).alias("first_id"))).alias("depth_updates"))
-    body = F.struct(F.lit(5).alias("schema_version"), "asset", F.col("recv_ts_ms").alias("current_time_ms"), F.struct(spot_.alias("spot"), F.struct(F.array(trade).alias("trades")).alias("futures")).alias("venues"), F.lit("x").alias("unknown"))
-    book = F.struct(F.col("recv_ts_ms").alias("current_time_ms"), (F.col("recv_ts_ms") + 1).alias("recv_ts_ms"), "bid_price", "bid_qty", "ask_price", "ask_qty")
-    rows = t.select("asset", "recv_ts_ms", "seq", F.to_json(body).alias("payload"), F.when(F.col("seq") % 100 == 0, "\x00\x00").otherwise(F.to_json(book)).alias("book"))
-    # Folders of a file each, as captures have them: named by asset and instant below the root.
-    for name, kept in (("payload", rows), ("book", rows.filter("seq % 75 <> 0"))):
-        files.write_documents(kept.select("asset", "recv_ts_ms", F.col(name).alias("value")), root, f"{name}.json")
-    return root
-
-
 @query
 def s7_payloads(spark, sf_dir):
-    p = files.read_payloads(spark, payload_files(spark, sf_dir) + "/*/*/payload.json")
+    p = files.read_payloads(spark, fixtures.payload_files(spark, sf_dir) + "/*/*/kind=payload")
     return p.select("asset", "folder_ms", "schema_version", F.size("venues.spot.depth_updates").alias("n_updates"), F.size(F.coalesce("venues.futures.liquidations", F.array())).alias("n_liquidations"), F.col("_corrupt_record").isNotNull().alias("corrupt"))
 
 
 @query
 def s8_payloads_for_scoring(spark, sf_dir):
-    p = files.read_payloads_for_scoring(spark, payload_files(spark, sf_dir) + "/*/*/payload.json")
+    p = files.read_payloads_for_scoring(spark, fixtures.payload_files(spark, sf_dir) + "/*/*/kind=payload")
     kept = "depth_updates" in p.select("venues.spot.*").columns
     return p.select("asset", "folder_ms", F.lit(kept).alias("has_updates"), r(F.get("venues.spot.trades", 0)["price"]).alias("price"), F.size("venues.spot.book_ticker").alias("n_quotes"))
 
 
 @query
 def s9_saved_pairs(spark, sf_dir):
-    p = files.read_saved_pairs(spark, payload_files(spark, sf_dir))
+    p = files.read_saved_pairs(spark, fixtures.payload_files(spark, sf_dir), payload="kind=payload", book="kind=book")
     return p.select("asset", "folder_ms", "readable", r(Q.microprice("book.bid_price", "book.bid_qty", "book.ask_price", "book.ask_qty")).alias("micro"), F.size("payload.venues.spot.trades").alias("n_trades"))
 
 
 @query
 def s10_exploded_payloads(spark, sf_dir):
-    p = files.read_payloads(spark, payload_files(spark, sf_dir) + "/*/*/payload.json")
+    p = files.read_payloads(spark, fixtures.payload_files(spark, sf_dir) + "/*/*/kind=payload")
     both = files.exploded(p, venue="spot", stream="trades").unionByName(files.exploded(p, venue="futures", stream="trades"))
     quotes = files.exploded(p, venue="spot", stream="book_ticker").select("asset", "current_time_ms", "venue", "seq", F.lit("quote").alias("stream"), r("bid_price").alias("price"))
     return both.select("asset", "current_time_ms", "venue", "seq", F.lit("trade").alias("stream"), r("price").alias("price")).union(quotes)
@@ -136,9 +121,9 @@ def s10_exploded_payloads(spark, sf_dir):
 
 @query
 def s11_written_payloads(spark, sf_dir):
-    p = files.read_payloads(spark, payload_files(spark, sf_dir) + "/*/*/payload.json").drop("folder_ms", "_corrupt_record")
+    p = files.read_payloads(spark, fixtures.payload_files(spark, sf_dir) + "/*/*/kind=payload").drop("folder_ms", "_corrupt_record")
     path = fresh(spark, "payloads")
-    files.write_payloads(p.filter("asset = 'click'"), path)
+    files.write_payloads(p, path)
     back = spark.read.schema(files.PAYLOAD).json(path)
     return back.select("asset", "current_time_ms", F.size("venues.spot.trades").alias("n_trades"), F.col("schema_version"))
 
@@ -154,7 +139,7 @@ def s13_trades_csv(spark, sf_dir):
 
 @query
 def s14_depth_csv(spark, sf_dir):
-    d = T.depth(spark, sf_dir).filter("seq % 5 = 0")
+    d = fixtures.depth(spark, sf_dir)
     side = lambda n: d.select("recv_ts_ms", F.lit("-").alias("recv_ts_utc"), "update_id", F.lit(None).cast("long").alias("event_ts_ms"), F.lit(None).cast("long").alias("transaction_ts_ms"), F.lit(n).alias("side"), F.posexplode(f"{n}s").alias("level", "x")).select("recv_ts_ms", "recv_ts_utc", "update_id", "event_ts_ms", "transaction_ts_ms", "side", "level", "x.price", "x.qty")
     path = fresh(spark, "depth")
     side("bid").union(side("ask")).write.csv(path, header=True)
@@ -164,7 +149,7 @@ def s14_depth_csv(spark, sf_dir):
 
 @query
 def s15_kline_archive(spark, sf_dir):
-    c = C.candles_from_trades(T.trades(spark, sf_dir).filter("venue = 'spot'"), keys=KEY, bar_ms=HOUR)
+    c = C.candles_from_trades(T.trades(spark, sf_dir), keys=KEY, bar_ms=HOUR)
     path = lines(c.withColumn("t", F.col("open_time_ms") * 1000).union(c.withColumn("t", F.col("open_time_ms"))).withColumn("t", F.col("t").cast("string")).union(c.limit(1).withColumn("t", F.lit("open_time"))), "klines", "t", "open", "high", "low", "close", "volume")
     return files.read_kline_archive(spark, path).groupBy("open_time_ms").agg(F.count(F.lit(1)).alias("n"), r(F.sum("close"), 4).alias("close"), r(F.max("high")).alias("high"))
 
@@ -252,9 +237,8 @@ def r6_mirrored_bins(spark, sf_dir):
 @query
 def r7_mixed_ladders(spark, sf_dir):
     a = answers(spark, sf_dir)
-    x, y = (a.filter(F.col("model") == m).select("asset", "current_time_ms", F.col("q").alias(n)) for m, n in (("m1", "a"), ("m6", "b")))
-    j = forecast.computed(x.join(y, ["asset", "current_time_ms"]), "q", L.mixed(F.col("a"), F.col("b"), F.lit(0.3)))
-    return j.select("asset", "current_time_ms", r(F.get("q", 0)).alias("low"), r(F.get("q", 99)).alias("high"), r(F.aggregate("q", F.lit(0.0), lambda s, v: s + v), 4).alias("total"))
+    j = forecast.computed(partnered(a), "q", L.mixed(F.col("a"), F.col("b"), F.lit(0.3)))
+    return j.select("asset", "current_time_ms", "model", r(F.get("q", 0)).alias("low"), r(F.get("q", 99)).alias("high"), r(F.aggregate("q", F.lit(0.0), lambda s, v: s + v), 4).alias("total"))
 
 
 @query
@@ -284,9 +268,9 @@ def r12_trade_anchors(spark, sf_dir):
 def r13_layer_terms(spark, sf_dir):
     terms = spark.createDataFrame([("schg5000", "robust", 0.0, 1.5, "shift", 0.05), ("s_dimb3", "raw", 0.0, 1.0, "shift", 0.02), ("s_nbt60000", "log1p", 1.5, 0.7, "scale", 0.1), ("c_mad60", "robust", 1.0, 0.8, "scale", 0.2)], "signal string, kind string, centre double, spread double, op string, coef double")
     made = forecast.layer_terms(signal_rows(spark, sf_dir), terms, keys=["asset", "current_time_ms"])
-    a = answers(spark, sf_dir).filter("model = 'm2'").join(priced(spark, sf_dir), ["asset", "current_time_ms"]).join(made, ["asset", "current_time_ms"])
+    a = answers(spark, sf_dir).join(priced(spark, sf_dir), ["asset", "current_time_ms"]).join(made, ["asset", "current_time_ms"])
     q = L.layered(F.col("q"), F.col("price"), F.col("shift"), F.col("scale"), tick=0.01)
-    return a.select("asset", "current_time_ms", r("shift").alias("shift"), r("scale").alias("scale"), r(F.get(q, 0)).alias("low"), r(F.get(q, 99)).alias("high"))
+    return a.select("asset", "current_time_ms", "model", r("shift").alias("shift"), r("scale").alias("scale"), r(F.get(q, 0)).alias("low"), r(F.get(q, 99)).alias("high"))
 
 
 @query
@@ -333,7 +317,7 @@ def x5_retention(spark, sf_dir):
 
 @query
 def x6_depth_samples(spark, sf_dir):
-    d = T.depth(spark, sf_dir).select(*KEY, "seq", "recv_ts_ms", "update_id", "bids", "asks")
+    d = fixtures.depth(spark, sf_dir).select(*KEY, "seq", "recv_ts_ms", "update_id", "bids", "asks")
     s = streamed(spark, d, "x6-source", beat=True)
     return drained(jobs.depth_samples(s, keys=KEY, every="6 hours", delay="1 hour"), "x6").filter("asset <> ''").select(*KEY, "from_ms", "update_id")
 
@@ -341,7 +325,7 @@ def x6_depth_samples(spark, sf_dir):
 @query
 def x6_band_samples(spark, sf_dir):
     """Bands of every fourth sample, folded within the stream."""
-    d = T.depth(spark, sf_dir).select(*KEY, "seq", "recv_ts_ms", "update_id", "bids", "asks")
+    d = fixtures.depth(spark, sf_dir).select(*KEY, "seq", "recv_ts_ms", "update_id", "bids", "asks")
     samples = jobs.depth_samples(streamed(spark, d, "x6-source", beat=True), keys=KEY, every="6 hours", delay="1 hour")
     out = drained(jobs.band_samples(samples, keys=KEY, every_ms=6 * HOUR, nth=4, width=0.05), "x6-bands")
     return out.filter("asset <> ''").select(*KEY, "from_ms", "side", "band", r("size").alias("size"))
@@ -397,7 +381,7 @@ def payload_streams(spark, sf_dir) -> dict[str, DataFrame]:
     t, null = T.ticks(spark, sf_dir), F.lit(None).cast("long")
     at, futures = F.col("recv_ts_ms"), F.col("venue") == "futures"
     place, timed = [F.col("asset"), F.col("venue"), at.alias("at"), F.col("seq")], F.when(futures, at)
-    d = T.depth(spark, sf_dir)
+    d = fixtures.depth(spark, sf_dir)
     bands = flow.dense_bands(d.filter(~futures), id_cols=[*KEY, "seq", "recv_ts_ms"], width=0.05)
     bars = full_candles(spark, sf_dir).withColumns({"at": F.col("open_time_ms") + HOUR, "seq": F.lit(0).cast("long")})
     none = F.array().cast(files.LEVELS)
@@ -458,9 +442,9 @@ def a19_run_report(spark, sf_dir):
 
 @query
 def p6_payload_rules(spark, sf_dir):
-    """Payloads made of spot ticks, fifteen of sixteen with a fault each; one asset is unknown."""
-    t = T.ticks(spark, sf_dir).filter("venue = 'spot' and seq % 25 = 0")
-    fault = F.floor(F.col("seq") / 25) % 16
+    """A payload of each tick, fifteen of sixteen with a fault each; two assets are unknown."""
+    t = T.ticks(spark, sf_dir)
+    fault = F.col("seq") % 16
     bad = lambda n, wrong, right: F.when(fault == n, wrong).otherwise(right)
     at, null = F.col("recv_ts_ms"), F.lit(None).cast("long")
     level = lambda p: F.struct(p.alias("price"), F.lit(1.0).alias("qty"))

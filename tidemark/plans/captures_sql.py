@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.plans.sql import ALL_PROMPTS, CANDLES, DELAYED, FEATURE_NAMES, FEATURES, LABELS, LEVELS, MOVES, PAIRS, SCORES, SIGNALS, H, _sql
+from tidemark.plans.sql import ALL_PROMPTS, CANDLES, DELAYED, FEATURE_NAMES, FEATURES, LABELS, LEVELS, MOVES, PAIRS, SCORES, SIGNALS, D, H, _sql
 
 ALL_FEATURES = f""",
 b5 AS (SELECT asset, current_time_ms, venue, arg_max(micro, recv_ts_ms) AS micro, arg_max(micro, recv_ts_ms) FILTER (WHERE recv_ts_ms <= newest - 5 * {H}) AS at5 FROM qw GROUP BY ALL),
@@ -69,8 +69,13 @@ rs AS (
 """
 #: What each fault of ``captures.p6_payload_rules`` breaks.
 FAULTS = {1: "version", 2: "horizon", 3: "kind", 4: "trigger_venue", 5: "spot:symbol", 6: "spot:trades:time_order", 7: "spot:depth_latest:bids_order", 8: "futures:depth_start:times", 9: "spot:book_ticker:times", 10: "spot:liquidations:not_empty", 11: "spot:depth_bands:shape", 12: "spot:depth_bands:bucket", 13: "spot:complete_history", 14: "futures:depth_updates:ids", 15: "spot:trades:fields"}
-#: The files of ``captures.payload_files``: a payload for each of these ticks.
-SAVED = ", saved AS (SELECT * FROM spot WHERE seq % 25 = 0)"
+#: The files of ``fixtures.payload_files``: a payload for each asset and day that has ticks.
+SAVED = f""",
+saved AS (
+  SELECT asset, ts_ms // {D} * {D} + {D} AS folder_ms, count(*) FILTER (WHERE venue = 'spot') AS n, arg_min(price, seq) FILTER (WHERE venue = 'spot') AS price, arg_max(micro, seq) FILTER (WHERE venue = 'spot') AS micro
+  FROM quotes GROUP BY ALL
+)
+"""
 TRADE_MOVES = """,
 nt AS (SELECT *, row_number() OVER (PARTITION BY asset, venue ORDER BY recv_ts_ms, seq) AS nth FROM ticks),
 tf AS (
@@ -204,14 +209,14 @@ def oracle_sql() -> dict[str, str]:
     return {
         "s4_depth_updates": _sql("", "SELECT asset, venue, seq, recv_ts_ms AS event_ts_ms, seq * 2 - 1 AS first_id, seq * 2 AS final_id, CASE WHEN venue = 'futures' THEN seq * 2 - 2 ELSE coalesce(lag(seq * 2) OVER (PARTITION BY asset, venue ORDER BY seq), seq * 2 - 2) END AS prev_final_id, 2 AS n_bids, round(bid_price + 1, 6) AS second_bid, ask_qty FROM quotes"),
         "s5_klines": _sql(CANDLES, "SELECT asset, venue, open_time_ms, round(open, 6) AS open, round(high, 6) AS high, round(low, 6) AS low, round(close, 6) AS close, round(volume, 6) AS volume, true AS closed FROM candles"),
-        "s7_payloads": _sql(SAVED, "SELECT asset, recv_ts_ms AS folder_ms, 5 AS schema_version, 1 AS n_updates, 0 AS n_liquidations, false AS corrupt FROM saved"),
-        "s8_payloads_for_scoring": _sql(SAVED, "SELECT asset, recv_ts_ms AS folder_ms, false AS has_updates, round(price, 6) AS price, 2 AS n_quotes FROM saved"),
-        "s9_saved_pairs": _sql(SAVED, "SELECT asset, recv_ts_ms AS folder_ms, seq % 100 <> 0 AS readable, CASE WHEN seq % 100 <> 0 THEN round(micro, 6) END AS micro, 1 AS n_trades FROM saved WHERE seq % 75 <> 0"),
-        "s10_exploded_payloads": _sql(SAVED, "SELECT asset, recv_ts_ms AS current_time_ms, v AS venue, 0 AS seq, 'trade' AS stream, round(price, 6) AS price FROM saved CROSS JOIN (VALUES ('spot'), ('futures')) t(v) UNION ALL SELECT asset, recv_ts_ms, 'spot', i::INT, 'quote', round(bid_price, 6) FROM saved CROSS JOIN range(2) r(i)"),
-        "s11_written_payloads": _sql(SAVED, "SELECT asset, recv_ts_ms AS current_time_ms, 1 AS n_trades, 5 AS schema_version FROM saved WHERE asset = 'click'"),
+        "s7_payloads": _sql(SAVED, "SELECT asset, folder_ms, 5 AS schema_version, 1 AS n_updates, 0 AS n_liquidations, false AS corrupt FROM saved"),
+        "s8_payloads_for_scoring": _sql(SAVED, "SELECT asset, folder_ms, false AS has_updates, round(price, 6) AS price, n AS n_quotes FROM saved"),
+        "s9_saved_pairs": _sql(SAVED, f"SELECT asset, folder_ms, folder_ms // {D} % 7 <> 0 AS readable, CASE WHEN folder_ms // {D} % 7 <> 0 THEN round(micro, 6) END AS micro, n AS n_trades FROM saved WHERE folder_ms // {D} % 5 <> 0 AND n > 0"),
+        "s10_exploded_payloads": _sql(", placed AS (SELECT *, (row_number() OVER (PARTITION BY asset, venue, ts_ms // 86400000 ORDER BY seq) - 1)::INT AS i FROM quotes)", f"SELECT asset, ts_ms // {D} * {D} + {D} AS current_time_ms, venue, i AS seq, 'trade' AS stream, round(price, 6) AS price FROM placed UNION ALL SELECT asset, ts_ms // {D} * {D} + {D}, venue, i, 'quote', round(bid_price, 6) FROM placed WHERE venue = 'spot'"),
+        "s11_written_payloads": _sql(SAVED, "SELECT asset, folder_ms AS current_time_ms, n AS n_trades, 5 AS schema_version FROM saved"),
         "s13_trades_csv": _sql("", "SELECT seq, recv_ts_ms AS ts_ms, round(price, 6) AS price, qty, buyer_is_maker FROM ticks"),
-        "s14_depth_csv": _sql("", "SELECT recv_ts_ms, seq AS update_id, 20 AS n_bids, round(bid_price, 6) AS bid, round(ask_price + 0.19::DOUBLE, 6) AS last_ask, true AS no_event FROM quotes WHERE seq % 5 = 0"),
-        "s15_kline_archive": _sql(CANDLES, "SELECT open_time_ms, count(*) * 2 AS n, round(sum(close) * 2, 4) AS close, round(max(high), 6) AS high FROM candles WHERE venue = 'spot' GROUP BY open_time_ms"),
+        "s14_depth_csv": _sql("", "SELECT recv_ts_ms, seq AS update_id, 20 AS n_bids, round(bid_price, 6) AS bid, round(ask_price + 0.19::DOUBLE, 6) AS last_ask, true AS no_event FROM quotes"),
+        "s15_kline_archive": _sql(CANDLES, "SELECT open_time_ms, count(*) * 2 AS n, round(sum(close) * 2, 4) AS close, round(max(high), 6) AS high FROM candles GROUP BY open_time_ms"),
         "s16_book_depth_archive": _sql(", s AS (SELECT recv_ts_ms - recv_ts_ms % 1000 AS recv_ts_ms, price, qty FROM ticks)", "SELECT recv_ts_ms, 2 * count(*)::INT AS n_bids, round(min(price) - 1, 6) AS bid, round(min(price) + 1, 6) AS ask FROM s GROUP BY recv_ts_ms"),
         "s17_book_ticker_archive": _sql("", "SELECT seq AS update_id, recv_ts_ms + 7 AS recv_ts_ms, recv_ts_ms AS transaction_ts_ms, round(bid_price, 6) AS bid_price, ask_qty FROM quotes"),
         "s18_kept_captures": _sql("", "SELECT recv_ts_ms::VARCHAR AS folder FROM ticks WHERE seq % 13 <> 0 AND recv_ts_ms >= 1706000000000 - 7 * 86400000"),
@@ -219,11 +224,16 @@ def oracle_sql() -> dict[str, str]:
         "f8_candle_quotes": _sql(CANDLES, "SELECT asset, venue, open_time_ms, round(close - 0.1::DOUBLE, 6) AS bid_price, round(close + 0.1::DOUBLE, 6) AS ask_price, 2.0 AS ask_qty FROM candles"),
         "f13_widths": _sql(CANDLES + WIDTHS, "SELECT asset, venue, open_time_ms, round(w1, 6) AS blended, round(w2, 6) AS liquidation, round(w3, 6) AS regime, round(w4, 6) AS flexed, round(w5, 6) AS season, round(sh, 6) + 0.0::DOUBLE AS shift FROM m5"),
         "r6_mirrored_bins": _sql(LABELS + f", d AS (SELECT asset, current_time_ms, price, least(greatest(({no} % 7 * 1e-3 - 3e-3) / (25.5 * 1e-4), -1), 1) AS t FROM priced)", "SELECT asset, current_time_ms, 100 AS n, round(price * exp(-50 * 1e-4 * (1 - t)), 6) AS low, round(price * exp(50 * 1e-4 * (1 + t)), 6) AS high, round(0.5 * (price * exp(-1e-4 * (1 - t)) + price * exp(1e-4 * (1 + t))), 6) AS median FROM d"),
-        "r7_mixed_ladders": _sql(LABELS + ", mx AS (SELECT asset, current_time_ms, x, CASE model WHEN 'm1' THEN 0.007 ELSE 0.003 END::DOUBLE AS w, model FROM ladder WHERE model IN ('m1', 'm6')), ok AS (SELECT asset, current_time_ms FROM mx GROUP BY ALL HAVING count(*) = 200), c AS (SELECT *, sum(w) OVER (PARTITION BY asset, current_time_ms ORDER BY x, model ROWS UNBOUNDED PRECEDING) AS hi FROM mx JOIN ok USING (asset, current_time_ms)), qs AS (SELECT asset, current_time_ms, tau, min(x) FILTER (WHERE hi >= tau - 1e-9) AS v FROM c CROSS JOIN grid GROUP BY ALL)", "SELECT asset, current_time_ms, round(min(v), 6) AS low, round(max(v), 6) AS high, round(sum(v), 4) AS total FROM qs GROUP BY asset, current_time_ms"),
+        "r7_mixed_ladders": _sql(
+            LABELS + ", mx AS (SELECT asset, current_time_ms, model, x, 0.007::DOUBLE AS w, 0 AS side FROM ladder UNION ALL SELECT asset, current_time_ms, 'm' || (model_no + 4) % 8, x, 0.003::DOUBLE, 1 FROM ladder), "
+            "ok AS (SELECT asset, current_time_ms, model FROM mx GROUP BY ALL HAVING count(*) = 200), c AS (SELECT *, sum(w) OVER (PARTITION BY asset, current_time_ms, model ORDER BY x, side ROWS UNBOUNDED PRECEDING) AS hi FROM mx JOIN ok USING (asset, current_time_ms, model)), "
+            "qs AS (SELECT asset, current_time_ms, model, tau, min(x) FILTER (WHERE hi >= tau - 1e-9) AS v FROM c CROSS JOIN grid GROUP BY ALL)",
+            "SELECT asset, current_time_ms, model, round(min(v), 6) AS low, round(max(v), 6) AS high, round(sum(v), 4) AS total FROM qs GROUP BY asset, current_time_ms, model",
+        ),
         "r8_candle_weights": _sql(CANDLES + ", z AS (SELECT *, (abs(d_ten) - 1.2) / 0.4 + 0.7 * r_ten * 10 AS z FROM moved WHERE d_ten IS NOT NULL)", f"SELECT asset, venue, open_time_ms, round(CASE WHEN open_time_ms // {H} % 5 = 0 THEN 0 WHEN z >= 20 THEN 0 WHEN z <= -20 THEN 1 ELSE 1 / (1 + exp(z)) END, 6) AS weight FROM z"),
         "r11_live_widths": _sql(LABELS + MED + f", r AS (SELECT *, CASE WHEN {no} % 6 > 0 THEN 0.3::DOUBLE + {no} % 6 * 0.2::DOUBLE END AS recent FROM wid), f AS (SELECT *, least(greatest(sqrt(recent / w), 0.7), 1.4) AS f FROM r), g AS (SELECT *, CASE WHEN recent > 0 AND w >= 0.25 AND abs(f - 1) >= 1e-4 THEN f ELSE 1 END AS factor FROM f)", "SELECT asset, current_time_ms, model, round(factor, 6) AS factor, round(w * factor, 6) AS width FROM g"),
         "r12_trade_anchors": _sql(LABELS + f", s AS (SELECT *, CASE WHEN abs(x - price) > 0.05 THEN x + 0.4::DOUBLE * ({no} % 3 - 1) ELSE x END AS y FROM ladder), o AS (SELECT *, row_number() OVER (PARTITION BY asset, current_time_ms, model ORDER BY y) AS k FROM s)", "SELECT asset, current_time_ms, model, round(min(y), 6) AS low, round(0.5 * (max(y) FILTER (WHERE k = 50) + max(y) FILTER (WHERE k = 51)), 6) AS median, round(sum(y), 4) AS total FROM o GROUP BY asset, current_time_ms, model"),
-        "r13_layer_terms": _sql(CANDLES + LEVELS + SIGNALS + LABELS + f", k AS (SELECT asset, current_time_ms, 0.05 * coalesce({Z6.format(v='schg5000', c='0.0', d='1.5')}, 0) + 0.02 * coalesce(s_dimb3, 0) AS shift, exp(least(greatest(0.1 * coalesce({Z6.format(v='ln(1 + s_nbt60000)', c='1.5', d='0.7')}, 0) + 0.2 * coalesce({Z6.format(v='c_mad60', c='1.0', d='0.8')}, 0), -1.5), 1.5)) AS scale FROM wide), y AS (SELECT l.asset, l.current_time_ms, shift, scale, CASE WHEN abs(x - price) > 0.005 THEN price + scale * (x - price) + shift ELSE x END AS y FROM ladder l JOIN k ON k.asset = l.asset AND k.current_time_ms = l.current_time_ms WHERE model = 'm2')", "SELECT asset, current_time_ms, round(any_value(shift), 6) + 0.0::DOUBLE AS shift, round(any_value(scale), 6) AS scale, round(min(y), 6) AS low, round(max(y), 6) AS high FROM y GROUP BY asset, current_time_ms"),
+        "r13_layer_terms": _sql(CANDLES + LEVELS + SIGNALS + LABELS + f", k AS (SELECT asset, current_time_ms, 0.05 * coalesce({Z6.format(v='schg5000', c='0.0', d='1.5')}, 0) + 0.02 * coalesce(s_dimb3, 0) AS shift, exp(least(greatest(0.1 * coalesce({Z6.format(v='ln(1 + s_nbt60000)', c='1.5', d='0.7')}, 0) + 0.2 * coalesce({Z6.format(v='c_mad60', c='1.0', d='0.8')}, 0), -1.5), 1.5)) AS scale FROM wide), y AS (SELECT l.asset, l.current_time_ms, l.model, shift, scale, CASE WHEN abs(x - price) > 0.005 THEN price + scale * (x - price) + shift ELSE x END AS y FROM ladder l JOIN k ON k.asset = l.asset AND k.current_time_ms = l.current_time_ms)", "SELECT asset, current_time_ms, model, round(any_value(shift), 6) + 0.0::DOUBLE AS shift, round(any_value(scale), 6) AS scale, round(min(y), 6) AS low, round(max(y), 6) AS high FROM y GROUP BY asset, current_time_ms, model"),
         "x2_stream_moves": _sql(TRADE_MOVES, "SELECT asset, venue, recv_ts_ms, seq, round(price, 6) AS price FROM tf WHERE move"),
         "x3_stream_event_prompts": _sql(ALL_PROMPTS, "SELECT asset, current_time_ms, venue, slot FROM (SELECT asset, recv_ts_ms + " + DELAYED + " AS current_time_ms, venue, slot FROM taken QUALIFY row_number() OVER (PARTITION BY asset, slot ORDER BY recv_ts_ms, venue, seq) = 1)"),
         "x4_stream_labels": _sql(LABELS, "SELECT asset, current_time_ms, quote AS seq, recv_ts_ms FROM labels"),
@@ -246,7 +256,7 @@ def oracle_sql() -> dict[str, str]:
         "w4_recent_ofi": _sql(OFI, "SELECT asset, current_time_ms, venue, n, n_recent, round(CASE WHEN n >= 5 AND n_recent >= 2 AND gross > 0 THEN net / gross ELSE 0 END, 6) + 0.0::DOUBLE AS value FROM os"),
         "a19_run_report": _sql(SCORES + RUNS, "SELECT asset, model, n, n_scored, n_unreadable, round(crps_mean, 6) AS crps_mean, median_ms, round(CASE WHEN n < 20 THEN max_ms ELSE all_ms[floor(0.95::DOUBLE * (n + 1))::INT] + (0.95::DOUBLE * (n + 1) - floor(0.95::DOUBLE * (n + 1))) * (all_ms[floor(0.95::DOUBLE * (n + 1))::INT + 1] - all_ms[floor(0.95::DOUBLE * (n + 1))::INT]) END, 6) AS p95_ms, max_ms, median_ms <= 5 AS within_budget FROM rs"),
         "p6_payload_rules": _sql(
-            ", f AS (SELECT asset, recv_ts_ms AS current_time_ms, seq // 25 % 16 AS fault FROM spot WHERE seq % 25 = 0)",
+            ", f AS (SELECT asset, recv_ts_ms AS current_time_ms, seq % 16 AS fault FROM ticks)",
             "SELECT asset, current_time_ms, concat_ws(',', CASE WHEN fault <= 4 THEN what END, CASE WHEN asset NOT IN ('click', 'error', 'purchase') THEN 'asset' END, CASE WHEN fault > 4 AND (asset IN ('click', 'error', 'purchase') OR fault NOT IN (5, 12)) THEN what END) AS codes FROM f LEFT JOIN (VALUES "
             + ", ".join(f"({n}, '{code}')" for n, code in FAULTS.items()) + ") w(fault, what) USING (fault)",
         ),

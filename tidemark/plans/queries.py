@@ -20,6 +20,7 @@ from tidemark.operators.quantiles import exclusive_percentile, quantiles, robust
 from tidemark.sources import files
 from tidemark.sources import messages as M
 from tidemark.sources import ticks as T
+from tidemark.plans import fixtures
 from tidemark.scratch import fresh, written
 from tidemark.streaming import jobs
 
@@ -156,7 +157,7 @@ def j4_prompt_windows(spark, sf_dir):
 
 @query
 def j5_depth_pairs(spark, sf_dir):
-    d = T.depth(spark, sf_dir).filter("venue = 'spot'").select("asset", "seq", "recv_ts_ms", "update_id")
+    d = fixtures.depth(spark, sf_dir).filter("venue = 'spot'").select("asset", "seq", "recv_ts_ms", "update_id")
     w = window_join(T.clock_prompts(spark, sf_dir), d, keys=["asset"], at="current_time_ms", ts="recv_ts_ms", window_ms=12 * HOUR)
     return flow.depth_pairs(w, keys=["asset"], at="current_time_ms", back_ms=6 * HOUR, tolerance_ms=HOUR)
 
@@ -251,7 +252,7 @@ def a4_side_flow(spark, sf_dir):
 
 @query
 def a5_depth_imbalance(spark, sf_dir):
-    return flow.depth_imbalance(T.depth(spark, sf_dir)).select(*KEY, "seq", r("obi").alias("obi"), r("top_obi").alias("top_obi"))
+    return flow.depth_imbalance(fixtures.depth(spark, sf_dir)).select(*KEY, "seq", r("obi").alias("obi"), r("top_obi").alias("top_obi"))
 
 
 @query
@@ -262,7 +263,7 @@ def a6_liquidation_signals(spark, sf_dir):
 
 @query
 def a7_depth_bands(spark, sf_dir):
-    return flow.depth_bands(T.depth(spark, sf_dir), id_cols=[*KEY, "seq"], width=0.05).groupBy(*KEY, "side", "band").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n"))
+    return flow.depth_bands(fixtures.depth(spark, sf_dir), id_cols=[*KEY, "seq"], width=0.05).groupBy(*KEY, "side", "band").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n"))
 
 
 @query
@@ -338,6 +339,12 @@ def a21_reward_split(spark, sf_dir):
     return scoring.reward_split(b, pool=1000.0, shares=(0.5, 0.3, 0.2)).select("asset", "model", "rank", r("reward").alias("reward"))
 
 
+@query
+def q7_rank_models(spark, sf_dir):
+    b = scoring.rank_models(priced(spark, sf_dir), models(spark), answers(spark, sf_dir), labelled(spark, sf_dir), pool=1000.0, shares=(0.5, 0.3, 0.2))
+    return b.select("asset", "model", r("score").alias("score"), "n_prompts", "rank", r("reward").alias("reward"))
+
+
 @query
 def a22_rolling_crps(spark, sf_dir):
     s = scoring.rolling_crps(all_scores(spark, sf_dir), by=["asset", "model"], window_ms=DAY, step_ms=6 * HOUR, least=10)
@@ -481,7 +488,7 @@ def t2_last_closes(spark, sf_dir):
 
 
 def levels(spark, sf_dir) -> DataFrame:
-    d = T.depth(spark, sf_dir)
+    d = fixtures.depth(spark, sf_dir)
     return d.select(*KEY, "seq", F.lit("bid").alias("side"), F.inline("bids")).union(d.select(*KEY, "seq", F.lit("ask"), F.inline("asks")))
 
 
@@ -493,7 +500,7 @@ def t3_top_levels(spark, sf_dir):
 
 @query
 def t4_walk_the_book(spark, sf_dir):
-    w = flow.walked_book(T.depth(spark, sf_dir), notional=2000.0)
+    w = flow.walked_book(fixtures.depth(spark, sf_dir), notional=2000.0)
     return w.select(*KEY, "seq", *[r(c).alias(c) for c in ("bid_walk", "ask_walk", "gap")])
 
 
@@ -539,7 +546,7 @@ def u4_coverage_windows(spark, sf_dir):
 def u5_common_prompts(spark, sf_dir):
     a = answers(spark, sf_dir)
     out = None
-    for i in range(3):
+    for i in range(8):
         own = a.filter(F.col("model") == f"m{i}").select("asset", "current_time_ms")
         out = own if out is None else out.intersect(own)
     return out
@@ -574,14 +581,20 @@ def r1_ladders(spark, sf_dir):
     return a.select("asset", "current_time_ms", "model", r(F.get(q, 0)).alias("q_first"), r(F.get(q, 99)).alias("q_last"), r(L.median(q)).alias("median"), r(L.width(q)).alias("width"), F.size(L.violations(q)).alias("n_bad"))
 
 
+def partnered(a: DataFrame) -> DataFrame:
+    """Each model's ladder ``a`` beside that of the model four numbers on, ``b``."""
+    no = F.substring("model", 2, 1).cast("int")
+    other = a.select("asset", "current_time_ms", F.concat(F.lit("m"), (no + 4) % 8).alias("model"), F.col("q").alias("b"))
+    return a.withColumnRenamed("q", "a").join(other, ["asset", "current_time_ms", "model"])
+
+
 @query
 def r5_blend_ladders(spark, sf_dir):
     a = answers(spark, sf_dir)
-    x, y = (a.filter(F.col("model") == m).select("asset", "current_time_ms", F.col("q").alias(n)) for m, n in (("m1", "a"), ("m5", "b")))
-    j = x.join(y, ["asset", "current_time_ms"])
+    j = partnered(a)
     w = L.blend_weight(L.width(F.col("a")) / L.width(F.col("b")), slope=1.5, pivot=0.9, cap=0.6)
-    out = j.select("asset", "current_time_ms", r(w).alias("weight"), F.posexplode(L.blended(F.col("a"), F.col("b"), w)).alias("i", "v"))
-    return out.groupBy("asset", "current_time_ms", "weight").agg(r(F.sum("v"), 4).alias("total"), r(F.min("v")).alias("low"), r(F.max("v")).alias("high"))
+    out = j.select("asset", "current_time_ms", "model", r(w).alias("weight"), F.posexplode(L.blended(F.col("a"), F.col("b"), w)).alias("i", "v"))
+    return out.groupBy("asset", "current_time_ms", "model", "weight").agg(r(F.sum("v"), 4).alias("total"), r(F.min("v")).alias("low"), r(F.max("v")).alias("high"))
 
 
 @query
@@ -592,7 +605,7 @@ def r10_reshaped_ladders(spark, sf_dir):
 
 
 def messages(spark, sf_dir) -> DataFrame:
-    return M.read_raw_messages(M.raw_from_ticks(T.ticks(spark, sf_dir)))
+    return M.read_raw_messages(fixtures.raw_from_ticks(T.ticks(spark, sf_dir)))
 
 
 @query
@@ -676,7 +689,7 @@ def w16_prompt_spacing(spark, sf_dir):
 
 @query
 def a8_band_imbalance(spark, sf_dir):
-    d = T.depth(spark, sf_dir)
+    d = fixtures.depth(spark, sf_dir)
     bands = flow.depth_bands(d, id_cols=[*KEY, "seq"], width=0.05)
     anchors = d.select("seq", (0.5 * (F.get("bids", 0)["price"] + F.get("asks", 0)["price"])).alias("anchor"), (F.get("bids", 0)["price"] + 0.004).alias("mid"))
     return flow.band_imbalance(bands.join(anchors, "seq"), id_cols=[*KEY, "seq"], width=0.05, reach=0.1).select(*KEY, "seq", r("band_imb").alias("band_imb"))
@@ -712,7 +725,7 @@ def x1_stream_candles(spark, sf_dir):
 
 def feature_table(spark, sf_dir) -> DataFrame:
     return features.build_features(
-        T.clock_prompts(spark, sf_dir), trades=T.trades(spark, sf_dir), quotes=T.quotes(spark, sf_dir), liquidations=T.liquidations(spark, sf_dir), depth=T.depth(spark, sf_dir),
+        T.clock_prompts(spark, sf_dir), trades=T.trades(spark, sf_dir), quotes=T.quotes(spark, sf_dir), liquidations=T.liquidations(spark, sf_dir), depth=fixtures.depth(spark, sf_dir),
         window_ms=6 * HOUR, flow_ms=2 * HOUR, last_n=5, lags={"m1": HOUR, "m3": 3 * HOUR}, vol_ms=5 * HOUR, liq_recent_ms=HOUR, liq_unit=10.0, liq_long_unit=100.0, least=3,
     )
 
@@ -727,7 +740,7 @@ def signal_rows(spark, sf_dir) -> DataFrame:
     """All 87 signals of the clock prompts; a second of the names is six minutes here."""
     p = T.clock_prompts(spark, sf_dir)
     wide = signals.build_signals(
-        p, quotes=T.quotes(spark, sf_dir), trades=T.trades(spark, sf_dir), depth=T.depth(spark, sf_dir), candles=full_candles(spark, sf_dir), liquidations=T.liquidations(spark, sf_dir),
+        p, quotes=T.quotes(spark, sf_dir), trades=T.trades(spark, sf_dir), depth=fixtures.depth(spark, sf_dir), candles=full_candles(spark, sf_dir), liquidations=T.liquidations(spark, sf_dir),
         unit=360, grid_ms=HOUR // 10, notional=2000.0, bar_ms=HOUR, bars=0.1, least_bars=24, chunk_ms=CHUNK,
     )
     return signals.long_form(wide)
@@ -749,7 +762,7 @@ CHAIN = chain.Settings(
 def complete_features(spark, sf_dir, p: DataFrame) -> DataFrame:
     """All 36 features; an hour for a second, and 24 bars for the volatility's 120."""
     return features.complete_features(
-        p, trades=T.trades(spark, sf_dir), quotes=T.quotes(spark, sf_dir), liquidations=T.liquidations(spark, sf_dir), depth=T.depth(spark, sf_dir), candles=full_candles(spark, sf_dir),
+        p, trades=T.trades(spark, sf_dir), quotes=T.quotes(spark, sf_dir), liquidations=T.liquidations(spark, sf_dir), depth=fixtures.depth(spark, sf_dir), candles=full_candles(spark, sf_dir),
         window_ms=6 * HOUR, flow_ms=2 * HOUR, last_n=5, lags={"m1": HOUR, "m3": 3 * HOUR, "m5": 5 * HOUR}, vol_ms=5 * HOUR, liq_recent_ms=HOUR, liq_unit=10.0, liq_long_unit=100.0, least=3,
         bar_ms=HOUR, history=600, slow=(24, 0.94), fast=(12, 0.85), horizon_bars=10, band_width=0.05, band_reach=0.1, band_age_ms=4 * HOUR, chunk_bars=48, chunk_ms=CHUNK,
     )

@@ -367,6 +367,7 @@ def oracle_sql() -> dict[str, str]:
         "run_summary": _sql(SCORES, f"SELECT asset, model, {stats} FROM scores GROUP BY ALL"),
         "a19_exclusive_p95": _sql(SCORES + ", o AS (SELECT asset, model, crps, row_number() OVER (PARTITION BY asset, model ORDER BY crps) AS i, count(*) OVER (PARTITION BY asset, model) AS n FROM scores WHERE crps IS NOT NULL)", "SELECT asset, model, n, round(CASE WHEN n < 20 THEN max(crps) ELSE max(crps) FILTER (WHERE i = lo) + (0.95::DOUBLE * (n + 1) - any_value(lo)) * (max(crps) FILTER (WHERE i = lo + 1) - max(crps) FILTER (WHERE i = lo)) END, 6) AS percentile FROM (SELECT *, least(greatest(floor(0.95::DOUBLE * (n + 1)), 1), n - 1) AS lo FROM o) GROUP BY asset, model, n"),
         "a20_leaderboard": _sql(SCORES + "," + board, "SELECT asset, model, round(score, 6) AS score, n_prompts, rank::INT AS rank FROM ranked"),
+        "q7_rank_models": _sql(SCORES + "," + board, "SELECT asset, model, round(score, 6) AS score, n_prompts, rank::INT AS rank, round(CASE rank WHEN 1 THEN 0.5 WHEN 2 THEN 0.3 WHEN 3 THEN 0.2 ELSE 0 END * 1000.0 / (SELECT count(DISTINCT asset) FROM ranked), 6) AS reward FROM ranked"),
         "a21_reward_split": _sql(SCORES + "," + board, "SELECT asset, model, rank::INT AS rank, round(CASE rank WHEN 1 THEN 0.5 WHEN 2 THEN 0.3 WHEN 3 THEN 0.2 ELSE 0 END * 1000.0 / (SELECT count(DISTINCT asset) FROM ranked), 6) AS reward FROM ranked"),
         "a22_rolling_crps": _sql(SCORES, f"SELECT asset, model, window_ms, count(*) AS n, round(avg(crps), 6) AS crps_mean FROM (SELECT asset, model, crps, unnest(range((current_time_ms // (6 * {H}) - 3) * 6 * {H}, current_time_ms // (6 * {H}) * 6 * {H} + 1, 6 * {H})) AS window_ms FROM scores WHERE crps IS NOT NULL) GROUP BY ALL HAVING count(*) >= 10"),
         "a23_split_eval": _sql(SCORES, "SELECT split, asset, count(*) AS n, round(avg(crps), 6) AS crps_mean FROM (SELECT *, CASE WHEN current_time_ms < 1705363200000 THEN 'fit' ELSE 'held' END AS split FROM scores WHERE crps IS NOT NULL) GROUP BY ROLLUP (split, asset)"),
@@ -395,7 +396,7 @@ def oracle_sql() -> dict[str, str]:
         "u1_union_moves": _sql(MOVES, "SELECT asset, recv_ts_ms, venue, round(price, 6) AS price FROM moves"),
         "u3_ingest_merge": _sql(", stored AS (SELECT * FROM ticks WHERE seq % 3 <> 0 AND recv_ts_ms < 1705900000000), s AS (SELECT asset, venue, min(recv_ts_ms) AS lo, max(recv_ts_ms) AS hi FROM stored GROUP BY ALL)", "SELECT asset, venue, recv_ts_ms, seq, 'stored' AS origin FROM stored UNION ALL SELECT t.asset, t.venue, t.recv_ts_ms, t.seq, 'batch' FROM ticks t LEFT JOIN s ON s.asset = t.asset AND s.venue = t.venue WHERE s.lo IS NULL OR t.recv_ts_ms < lo OR t.recv_ts_ms > hi"),
         "u4_coverage_windows": _sql(CANDLES + ", w AS (SELECT DISTINCT asset, venue FROM candles), c AS (SELECT asset, venue, open_time_ms, lead(open_time_ms) OVER (PARTITION BY asset, venue ORDER BY open_time_ms) AS nxt FROM candles WHERE open_time_ms >= 1704067200000 AND open_time_ms < 1706918400000 AND (asset <> 'view' OR venue <> 'futures'))", f"SELECT * FROM (SELECT w.asset, w.venue, 1704067200000 AS from_ms, coalesce(min(open_time_ms), 1706918400000) AS to_ms FROM w LEFT JOIN c USING (asset, venue) GROUP BY ALL UNION ALL SELECT asset, venue, max(open_time_ms) + {H}, 1706918400000 FROM c GROUP BY asset, venue UNION ALL SELECT asset, venue, open_time_ms + {H}, nxt FROM c WHERE nxt IS NOT NULL) WHERE from_ms < to_ms"),
-        "u5_common_prompts": _sql(LABELS, "SELECT asset, current_time_ms FROM answers WHERE model = 'm0' INTERSECT SELECT asset, current_time_ms FROM answers WHERE model = 'm1' INTERSECT SELECT asset, current_time_ms FROM answers WHERE model = 'm2'"),
+        "u5_common_prompts": _sql(LABELS, "SELECT asset, current_time_ms FROM answers GROUP BY ALL HAVING count(DISTINCT model) = 8"),
         "f1_clock_functions": _sql("", "SELECT seq, recv_ts_ms AS ms, strftime(make_timestamp(recv_ts_ms * 1000), '%Y-%m-%dT%H:%M:%S.%g+00:00') AS utc, recv_ts_ms + ((5000 - recv_ts_ms) % 20000 + 20000) % 20000 AS next_slot, CASE WHEN recv_ts_ms % 20000 >= 10250 AND recv_ts_ms % 20000 < 14250 THEN recv_ts_ms - recv_ts_ms % 20000 END AS event_slot, (((recv_ts_ms // 600000 - 576) % 1008 + 1008) % 1008)::INT AS season_slot FROM ticks"),
         "f15_event_coin": _sql("", f"SELECT seq, {COIN} < 0.5 AS taken, {DELAYED} AS delay_ms FROM ticks"),
         "f10_signal_scores": _sql(WIN + COUNTS + f", zs AS (SELECT *, {z} AS z, {z1} AS z1 FROM counts)", "SELECT asset, venue, current_time_ms, round(z, 6) AS z, round(z1, 6) AS z_log, round(1 / (1 + exp(-(0.2 + z * 1.5 + z1 * -0.7))), 6) AS p, round(exp(0.1 + 0.4 * ln(greatest(vol_6h, 1e-3)) + 0.3 * ln(greatest(range_6h, 1e-3))), 6) AS blend FROM zs"),
@@ -421,7 +422,7 @@ def oracle_sql() -> dict[str, str]:
         "q5_assembled_payloads": _sql(f", n AS (SELECT p.asset, p.t, count(k.seq) FILTER (WHERE venue = 'spot') AS ts, count(k.seq) FILTER (WHERE venue = 'futures') AS tf, count(k.seq) FILTER (WHERE venue = 'spot' AND recv_ts_ms > p.t - 2 * {H}) AS qs, count(k.seq) FILTER (WHERE venue = 'futures' AND recv_ts_ms > p.t - 2 * {H}) AS qf, max(recv_ts_ms) FILTER (WHERE venue = 'spot') AS newest FROM prompts p LEFT JOIN ticks k ON k.asset = p.asset AND k.recv_ts_ms > p.t - 6 * {H} AND k.recv_ts_ms <= p.t GROUP BY p.asset, p.t), m AS (SELECT *, CASE WHEN t % (7 * {H}) = 0 THEN t - 3 * {H} ELSE t END AS c FROM n)", "SELECT asset, c AS current_time_ms, ts::INT AS n_trades_spot, tf::INT AS n_trades_futures, qs::INT AS n_quotes_spot, qf::INT AS n_quotes_futures, asset NOT IN ('click', 'error', 'purchase', 'view') AS bad_asset, coalesce(newest > c, false) AS ahead FROM m"),
         "q3_still_features": _sql(CANDLES + SEASON + STILL, STILL_OUT),
         "w8_mid_changes": _sql(", g AS (SELECT p.asset, p.t AS current_time_ms, round(f.mid - s.mid, 6) + 0.0::DOUBLE AS basis FROM prompts p ASOF JOIN spot s ON p.asset = s.asset AND p.t >= s.recv_ts_ms ASOF JOIN (SELECT * FROM quotes WHERE venue = 'futures') f ON p.asset = f.asset AND p.t >= f.recv_ts_ms), c AS (SELECT *, coalesce(basis <> lag(basis) OVER w, false)::INT AS changed, coalesce(basis = lag(basis, 5) OVER w, false) AS still FROM g WINDOW w AS (PARTITION BY asset ORDER BY current_time_ms))", "SELECT asset, current_time_ms, changed, sum(changed) OVER (w ROWS 9 PRECEDING)::BIGINT AS changes, still, current_time_ms - last_value(CASE WHEN changed = 1 THEN current_time_ms END IGNORE NULLS) OVER (w ROWS UNBOUNDED PRECEDING) AS since FROM c WINDOW w AS (PARTITION BY asset ORDER BY current_time_ms)"),
-        "r5_blend_ladders": _sql(LABELS + ", med AS (SELECT asset, current_time_ms, model, (max(x) FILTER (WHERE i = 50) + max(x) FILTER (WHERE i = 51)) * 0.5 AS m FROM ladder WHERE model IN ('m1', 'm5') GROUP BY ALL), wid AS (SELECT l.asset, l.current_time_ms, l.model, avg(abs(x - m)) AS w FROM ladder l JOIN med USING (asset, current_time_ms, model) GROUP BY ALL), ws AS (SELECT a.asset, a.current_time_ms, least(greatest(1.5 * greatest(0.9 - a.w / b.w, 0), 0), 0.6) AS w FROM wid a JOIN wid b ON a.asset = b.asset AND a.current_time_ms = b.current_time_ms AND a.model = 'm1' AND b.model = 'm5'), v AS (SELECT ws.*, (1 - w) * a.x + w * b.x AS v FROM ws JOIN ladder a ON a.asset = ws.asset AND a.current_time_ms = ws.current_time_ms AND a.model = 'm1' JOIN ladder b ON b.asset = ws.asset AND b.current_time_ms = ws.current_time_ms AND b.model = 'm5' AND b.i = a.i)", "SELECT asset, current_time_ms, round(any_value(w), 6) AS weight, round(sum(v), 4) AS total, round(min(v), 6) AS low, round(max(v), 6) AS high FROM v GROUP BY asset, current_time_ms"),
+        "r5_blend_ladders": _sql(LABELS + ", med AS (SELECT asset, current_time_ms, model, (max(x) FILTER (WHERE i = 50) + max(x) FILTER (WHERE i = 51)) * 0.5 AS m FROM ladder GROUP BY ALL), wid AS (SELECT *, substr(model, 2)::INT AS no FROM (SELECT l.asset, l.current_time_ms, l.model, avg(abs(x - m)) AS w FROM ladder l JOIN med USING (asset, current_time_ms, model) GROUP BY ALL)), ws AS (SELECT a.asset, a.current_time_ms, a.model, b.model AS other, least(greatest(1.5 * greatest(0.9 - a.w / b.w, 0), 0), 0.6) AS w FROM wid a JOIN wid b ON a.asset = b.asset AND a.current_time_ms = b.current_time_ms AND a.no = (b.no + 4) % 8), v AS (SELECT ws.*, (1 - w) * a.x + w * b.x AS v FROM ws JOIN ladder a ON a.asset = ws.asset AND a.current_time_ms = ws.current_time_ms AND a.model = ws.model JOIN ladder b ON b.asset = ws.asset AND b.current_time_ms = ws.current_time_ms AND b.model = ws.other AND b.i = a.i)", "SELECT asset, current_time_ms, model, round(any_value(w), 6) AS weight, round(sum(v), 4) AS total, round(min(v), 6) AS low, round(max(v), 6) AS high FROM v GROUP BY asset, current_time_ms, model"),
         "r9_point_mass": _sql(LABELS + ", xs AS (SELECT asset, current_time_ms, model, any_value(price) AS p, list(x ORDER BY i) AS xs, count(*) FILTER (WHERE x < price) / 100.0 * 0.75 AS below FROM ladder GROUP BY ALL), t AS (SELECT xs.*, tau, i, CASE WHEN tau < below THEN tau / 0.75 ELSE (tau - 0.25) / 0.75 END AS t FROM xs CROSS JOIN grid), a AS (SELECT *, least(greatest(t * 100 - 0.5, 0), 99) AS pos, least(floor(least(greatest(t * 100 - 0.5, 0), 99)), 98)::INT AS low FROM t), v AS (SELECT *, xs[low + 1] + (pos - low) * (xs[low + 2] - xs[low + 1]) AS m FROM a), o AS (SELECT *, CASE WHEN tau < below THEN least(m, p) WHEN tau > below + 0.25 THEN greatest(m, p) ELSE p END AS q FROM v)", "SELECT asset, current_time_ms, model, (count(*) FILTER (WHERE q = p))::INT AS n_atom, 0 AS n_bad, round(sum(q), 4) AS total, round(min(q), 6) AS low FROM o GROUP BY asset, current_time_ms, model"),
         "a15_weighted_bin_means": _sql(CANDLES + AGED.format(cond="r_ten IS NOT NULL") + ", p AS (SELECT asset, venue, abs(r_ten) AS v, max(age) OVER k - age + 1.0 AS w, age FROM aged WHERE age < 480 WINDOW k AS (PARTITION BY asset, venue)), c AS (SELECT *, w / sum(w) OVER k AS share, sum(w) OVER (k ORDER BY v, age DESC ROWS UNBOUNDED PRECEDING) / sum(w) OVER k AS hi FROM p WINDOW k AS (PARTITION BY asset, venue)), b AS (SELECT asset, venue, bin::INT AS bin, sum(v * greatest(least(hi, (bin + 1) / 20.0) - greatest(hi - share, bin / 20.0), 0)) * 20 AS m FROM c CROSS JOIN range(20) r(bin) GROUP BY ALL)", "SELECT asset, venue, bin, round(max(m) OVER (PARTITION BY asset, venue ORDER BY bin), 9) AS mean FROM b"),
         "r10_reshaped_ladders": _sql(LABELS + ", med AS (SELECT asset, current_time_ms, model, (max(x) FILTER (WHERE i = 50) + max(x) FILTER (WHERE i = 51)) * 0.5 AS m, (max(x) FILTER (WHERE i = 25) + max(x) FILTER (WHERE i = 26)) * 0.5 AS lo, (max(x) FILTER (WHERE i = 75) + max(x) FILTER (WHERE i = 76)) * 0.5 AS hi FROM ladder GROUP BY ALL), b AS (SELECT l.*, m, avg(abs(x - m)) OVER (PARTITION BY l.asset, l.current_time_ms, l.model) AS w, CASE WHEN i <= 11 OR i >= 90 OR i IN (50, 51) THEN 0 WHEN abs(tau - 0.5) <= 0.25 THEN abs(tau - 0.5) / 0.25 ELSE (0.4 - abs(tau - 0.5)) / 0.15 END * CASE WHEN i <= 50 THEN -0.08 * (m - lo) ELSE 0.08 * (hi - m) END AS push FROM ladder l JOIN med USING (asset, current_time_ms, model)), s AS (SELECT *, max(x + push) OVER (PARTITION BY asset, current_time_ms, model ORDER BY i) AS c, m + 1.25 * (x - m) AS d, x + 0.1 * w AS e FROM b)", "SELECT asset, current_time_ms, model, round(max(c) FILTER (WHERE i = 25), 6) AS centre_q25, round(max(d) FILTER (WHERE i = 25), 6) AS wide_q25, round(max(e) FILTER (WHERE i = 25), 6) AS moved_q25, round(avg(abs(c - m)), 6) AS centre_width, round(avg(abs(d - m)), 6) AS wide_width, round(avg(abs(x - m)), 6) AS moved_width FROM s GROUP BY asset, current_time_ms, model"),

@@ -82,14 +82,20 @@ def book_from_candles(candles: DataFrame, *, spread: Column, bid_qty: Column, as
     return candles.select("*", (F.col("close") - spread / 2).alias("bid_price"), (F.col("close") + spread / 2).alias("ask_price"), bid_qty.alias("bid_qty"), ask_qty.alias("ask_qty"))
 
 
+def _folder() -> list[Column]:
+    """The asset and the instant that a file's folders name."""
+    path, end = F.col("_metadata.file_path"), r"(?:[a-z_]+=)?(\d+)/(?:kind=[a-z]+/)?[^/]*$"
+    return [F.regexp_extract(path, r"/(?:[a-z_]+=)?([^/=]+)/" + end, 1).alias("asset"), F.regexp_extract(path, "/" + end, 1).try_cast("long").alias("folder_ms")]
+
+
 def read_payloads(spark: SparkSession, path: str, *, schema: str = PAYLOAD) -> DataFrame:
     """Saved payloads, one JSON a file; fields that came later are empty when absent, unknown ones dropped.
 
-    The prompt's folder (``.../asset/ms/``) gives ``folder_ms``; rows of other folders go.
+    The prompt's folder (``.../asset/ms/``, or named by partition, ``asset=../folder_ms=../kind=..``) gives
+    ``folder_ms``; rows of other folders go.
     """
     raw = spark.read.schema(schema + ", _corrupt_record string").option("mode", "PERMISSIVE").json(path, multiLine=True)
-    folder = F.regexp_extract(F.col("_metadata.file_path"), r"/(\d+)/[^/]*$", 1).try_cast("long")
-    return raw.select("*", folder.alias("folder_ms")).filter("folder_ms is not null")
+    return raw.select("*", _folder()[1].alias("folder_ms")).filter("folder_ms is not null")
 
 
 def read_payloads_for_scoring(spark: SparkSession, path: str) -> DataFrame:
@@ -97,16 +103,18 @@ def read_payloads_for_scoring(spark: SparkSession, path: str) -> DataFrame:
     return read_payloads(spark, path, schema=SCORING)
 
 
-def read_saved_pairs(spark: SparkSession, database: str) -> DataFrame:
+def read_saved_pairs(spark: SparkSession, database: str, *, payload: str = "payload.json", book: str = "book.json") -> DataFrame:
     """``folder_ms, payload, book, readable`` for each complete pair under ``database/asset/ms/``, by folder.
 
+    ``payload`` and ``book`` name the files, or folders of kinds, within.
+
     A pair is a payload and a book in one numbered folder; folders that lack either and those
     without a number go. A book that is no JSON object is null and not ``readable``: it is
     counted, never fatal. ``asset`` is the folder's.
     """
-    at = [F.regexp_extract("_metadata.file_path", r"/([^/]+)/\d+/[^/]*$", 1).alias("asset"), F.regexp_extract("_metadata.file_path", r"/(\d+)/[^/]*$", 1).try_cast("long").alias("folder_ms")]
-    books = spark.read.text(f"{database}/*/*/book.json", wholetext=True).select(*at, F.from_json("value", BOOK).alias("book"), F.ltrim("value").startswith("{").alias("__object"))
-    payloads = spark.read.schema(SCORING).json(f"{database}/*/*/payload.json", multiLine=True)
+    at = _folder()
+    books = spark.read.text(f"{database}/*/*/{book}", wholetext=True).select(*at, F.from_json("value", BOOK).alias("book"), F.ltrim("value").startswith("{").alias("__object"))
+    payloads = spark.read.schema(SCORING).json(f"{database}/*/*/{payload}", multiLine=True)
     named = payloads.select(*at, F.struct(*payloads.columns).alias("payload"))
     whole = F.coalesce(F.col("__object") & F.col("book.bid_price").isNotNull(), F.lit(False)) | F.coalesce(F.col("__object") & F.col("book.current_time_ms").isNotNull(), F.lit(False))
     return named.join(books, ["asset", "folder_ms"]).filter("folder_ms is not null").select("asset", "folder_ms", "payload", F.when(whole, F.col("book")).alias("book"), whole.alias("readable"))
@@ -119,20 +127,6 @@ def exploded(payloads: DataFrame, *, venue: str, stream: str) -> DataFrame:
     return out.select("asset", "current_time_ms", "venue", "seq", "r.*")
 
 
-def write_documents(rows: DataFrame, root: str, name: str) -> None:
-    """``root/asset/ms/name`` for each row of ``asset, recv_ts_ms, value``: one small file a row, by the session's file system."""
-    spark = rows.sparkSession
-    parts = f"{root}-parts-{name}"
-    rows.write.partitionBy("asset", "recv_ts_ms").text(parts)
-    path = spark._jvm.org.apache.hadoop.fs.Path
-    fs = path(root).getFileSystem(spark._jsc.hadoopConfiguration())
-    for found in fs.globStatus(path(f"{parts}/*/*/part-*")):
-        at = found.getPath().toString().split("/")
-        folder = f"{root}/{at[-3].partition('=')[2]}/{at[-2].partition('=')[2]}"
-        fs.mkdirs(path(folder))
-        fs.rename(found.getPath(), path(f"{folder}/{name}"))
-
-
 def write_payloads(payloads: DataFrame, path: str) -> None:
     """JSON by asset and prompt."""
     out = payloads.withColumn("prompt_ms", F.col("current_time_ms")).withColumn("asset_key", F.col("asset"))

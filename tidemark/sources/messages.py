@@ -89,19 +89,5 @@ def normalize_liquidations(m: DataFrame, *, keep: list[str]) -> DataFrame:
     return o.select(*keep, F.coalesce(to_ms("o.T"), _ms("event_time"), F.col("recv_ts_ms")).alias("ts_ms"), "recv_ts_ms", first("o.ap", "o.p").alias("price"), first("o.z", "o.q").alias("qty"), (F.upper("o.S") == "BUY").alias("is_buy"))
 
 
-def raw_from_ticks(ticks: DataFrame) -> DataFrame:
-    """Ticks as raw messages, ``value`` beside ``asset, venue, seq, recv_ts_ms``: trades by default,
-    each fifth a quote, each seventh a liquidation, some wrapped in envelopes, some broken."""
-    s = F.col("seq")
-    num = lambda c: F.format_string("%.4f", F.col(c))
-    trade = F.to_json(F.struct(F.lit("aggTrade").alias("e"), F.col("recv_ts_ms").alias("E"), (F.col("ts_ms") * 1000).alias("T"), num("price").alias("p"), num("qty").alias("q"), F.col("buyer_is_maker").alias("m")))
-    quote = F.to_json(F.struct(num("bid_price").alias("b"), num("bid_qty").alias("B"), num("ask_price").alias("a"), num("ask_qty").alias("A")))
-    order = F.struct(F.when(F.col("is_buy"), "BUY").otherwise("SELL").alias("S"), num("price").alias("p"), F.lit("0").alias("ap"), num("qty").alias("q"), F.col("ts_ms").alias("T"))
-    liq = F.to_json(F.struct(F.lit("forceOrder").alias("e"), F.col("recv_ts_ms").alias("E"), order.alias("o")))
-    body = F.when(s % 7 == 0, liq).when(s % 5 == 0, quote).otherwise(trade)
-    value = F.when(s % 97 == 0, "{broken").when(s % 89 == 0, '{"result":null,"id":1}').when(s % 3 == 0, F.concat(F.lit('{"stream":"s","data":'), body, F.lit("}"))).otherwise(body)
-    return ticks.select("asset", "venue", "seq", "recv_ts_ms", value.alias("value"))
-
-
 def read_text(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path)

@@ -50,16 +50,6 @@ def liquidations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ticks(spark, sf_dir).filter("asset = 'error'").select("asset", "seq", "recv_ts_ms", "price", "qty", "is_buy")
 
 
-def depth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Snapshots with 20 levels a side, best first."""
-    t = ticks(spark, sf_dir)
-
-    def side(touch: str, step: float):
-        return F.transform(F.sequence(F.lit(0), F.lit(19)), lambda i: F.struct((F.col(touch) + i * F.lit(step)).alias("price"), (1 + (F.col("seq") + i) % 9).cast("double").alias("qty")))
-
-    return t.select(*KEY, "seq", "recv_ts_ms", F.col("seq").alias("update_id"), side("bid_price", -0.01).alias("bids"), side("ask_price", 0.01).alias("asks"))
-
-
 def clock_prompts(spark: SparkSession, sf_dir: str, *, clock: int = HOUR) -> DataFrame:
     """Prompts of each asset on the clock, from its first tick to its last."""
     span = ticks(spark, sf_dir).groupBy("asset").agg(F.min("recv_ts_ms").alias("lo"), F.max("recv_ts_ms").alias("hi"))
