@@ -65,10 +65,18 @@ def gram_ratios(urls: DataFrame) -> DataFrame:
     orders = F.explode(F.sequence(F.lit(1), F.lit(ORDER))).alias("n")
     shorter = full.filter("a + b > 0").select("a", "b", "gram", orders).select("n", F.expr(f"substring(gram, {ORDER + 1} - n, n)").alias("part"), "a", "b")
     counts = written(shorter.groupBy("n", "part").agg(F.sum("a").alias("a"), F.sum("b").alias("b")), "counts")
-    before = counts.groupBy("n", F.expr("substring(part, 1, n - 1)").alias("before")).agg(F.sum("a").alias("ta"), F.sum("b").alias("tb"), F.sum((F.col("a") > 0).cast("long")).alias("ua"), F.sum((F.col("b") > 0).cast("long")).alias("ub"))
-    asked = full.select("gram", orders).withColumn("part", F.expr(f"substring(gram, {ORDER + 1} - n, n)")).withColumn("before", F.expr("substring(part, 1, n - 1)"))
-    found = asked.join(counts, ["n", "part"], "left").join(before, ["n", "before"], "left")
-    steps = found.groupBy("gram").agg(F.sort_array(F.collect_list(F.struct("n", *[F.coalesce(c, F.lit(0)).cast("double").alias(c) for c in ("a", "ta", "ua", "b", "tb", "ub")]))).alias("steps"))
+    sums = [F.sum("a").alias("ta"), F.sum("b").alias("tb"), F.sum((F.col("a") > 0).cast("long")).alias("ua"), F.sum((F.col("b") > 0).cast("long")).alias("ub")]
+    before = written(counts.groupBy("n", F.expr("substring(part, 1, n - 1)").alias("before")).agg(*sums), "contexts")
+    steps = full.select("gram")
+    for n in range(1, ORDER + 1):
+        # Grams are distinct, so few end in one part of three characters or more; shorter parts, which many share, are few.
+        own, context = _small(counts.filter(F.col("n") == n)), _small(before.filter(F.col("n") == n))
+        own = own.select(F.col("part").alias(f"__part{n}"), F.struct("a", "b").alias(f"__own{n}"))
+        context = context.select(F.col("before").alias(f"__before{n}"), F.struct("ta", "ua", "tb", "ub").alias(f"__context{n}"))
+        steps = steps.join(own, F.expr(f"substring(gram, {ORDER + 1 - n}, {n})") == F.col(f"__part{n}"), "left")
+        steps = steps.join(context, F.expr(f"substring(gram, {ORDER + 1 - n}, {n - 1})") == F.col(f"__before{n}"), "left").drop(f"__part{n}", f"__before{n}")
+    number = lambda n, c: F.coalesce(F.col(f"__own{n}" if c in "ab" else f"__context{n}")[c], F.lit(0)).cast("double").alias(c)
+    steps = steps.select("gram", F.array(*[F.struct(*[number(n, c) for c in ("a", "ta", "ua", "b", "tb", "ub")]) for n in range(1, ORDER + 1)]).alias("steps"))
 
     def chance(c: str, t: str, u: str) -> Column:
         return F.aggregate("steps", F.lit(1 / ALPHABET), lambda p, s: F.when(s[t] > 0, (s[c] + s[u] * p) / (s[t] + s[u])).otherwise(p))
@@ -77,6 +85,11 @@ def gram_ratios(urls: DataFrame) -> DataFrame:
     return steps.select("gram", F.round(ratio * UNIT).cast("long").alias("ratio"))
 
 
+def _small(df: DataFrame) -> DataFrame:
+    """``df`` broadcast if it has at most ``BROADCAST_GRAMS`` rows."""
+    return F.broadcast(df) if df.count() <= BROADCAST_GRAMS else df
+
+
 def best_cut(scored: DataFrame) -> float | None:
     """The score from which URLs are accepted, by the errors on ``scored`` (``__class, __score``); None if a class lacks.
 
@@ -106,9 +119,7 @@ def judged(pages: DataFrame, *, url: str = "url", rules: tuple[tuple[str, str],
     fifth = md5_number(F.lit("calibrate"), F.col("__url")) % 5 == 0
     urls = named.groupBy(F.col("__u").alias("__url")).agg(F.first("__by_rule").alias("__class"))
     urls = written(urls.withColumn("__learn", F.col("__class").isNotNull() & ~fifth), "urls")
-    ratios = written(gram_ratios(urls), "ratios")
-    if ratios.count() <= BROADCAST_GRAMS:
-        ratios = F.broadcast(ratios)
+    ratios = _small(written(gram_ratios(urls), "ratios"))
     sums = _grams(urls, "__url").join(ratios, "gram").groupBy("__url").agg(F.sum("ratio").alias("sum"), F.count(F.lit(1)).alias("n"))
     scored = written(sums.select("__url", (F.col("sum") / F.col("n") / UNIT).alias("__score")).join(urls, "__url"), "scores")
     known = scored.filter(F.col("__class").isNotNull())
