@@ -185,6 +185,12 @@ def test_hours_without_enough_closes():
     assert (np.diff(got["bins"][4]) >= 0).all()
 
 
+def test_futures_stand_in_for_short_spot_hours(spark):
+    rows = [("a", "spot", 50, 1.0), ("a", "futures", 90, 2.0), ("b", "spot", 39, 1.0), ("b", "futures", 40, 2.0), ("c", "spot", 10, 1.0), ("c", "futures", 39, 2.0), ("d", "futures", 5, 2.0)]
+    got = chain.preferred_hours(spark.createDataFrame(rows, "asset string, venue string, n_closes long, mad double"), ["asset"]).collect()
+    assert {r["asset"]: r["venue"] for r in got} == {"a": "spot", "b": "futures", "c": "spot", "d": "futures"}
+
+
 def test_a_users_model(spark):
     rows = spark.createDataFrame([("a", 100.0), ("b", -1.0), ("c", 50.0)], "asset string, price double")
 

@@ -108,3 +108,12 @@ def test_still_mixtures_against_a_fine_mixture():
             assert np.abs(out - want).max() < 2e-3 and (np.diff(out) >= 0).all()
             if 95 < px < 105:
                 assert abs((out == px).mean() - mass) <= 0.011
+
+
+def test_robust_z_kinds(spark):
+    nan, inf, one_ = float("nan"), float("inf"), F.lit(1.0)
+    of = lambda v, kind, **k: Q.robust_z(F.lit(v).cast("double"), F.lit(1.0), F.lit(2.0), kind=kind, **k)
+    row = one(spark, of(3.0, "robust"), of(100.0, "robust"), of(nan, "robust"), of(nan, "raw"), of(inf, "raw"), of(None, "raw"), of(-0.5, "raw"))
+    assert tuple(row) == (pytest.approx(1 / 3), 2.0, 0.0, 0.0, 0.0, 0.0, -0.5)
+    row = one(spark, of(np.e**2 - 1, "log1p"), of(np.e**3 * 2, "log_width", width=F.lit(2.0)), of(-1.0, "log_width", width=one_), of(1.0, "log_width", width=F.lit(0.0)), Q.robust_z(one_, one_, F.lit(0.0)))
+    assert tuple(row) == (pytest.approx(1 / 6), pytest.approx(1 / 3), -2.0, 0.0, 0.0)

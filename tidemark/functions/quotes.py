@@ -62,12 +62,20 @@ def clip(x: Column, lo, hi) -> Column:
     return F.when(x < lo, F.lit(lo)).when(x > hi, F.lit(hi)).otherwise(x)
 
 
-def robust_z(value: Column, centre: Column, scale: Column, *, kind: str = "robust") -> Column:
-    """(v - c) / d within 6 either way, over 3; logs first where asked; 0 where not finite."""
+def robust_z(value: Column, centre: Column, scale: Column, *, kind: str = "robust", width: Column | None = None) -> Column:
+    """(v - c) / d within 6 either way, over 3, and 0 where the value isn't finite.
+
+    ``kind`` says what v is: the value (``robust``), log(1 + value) above 0 (``log1p``), or the log of the value over
+    the ladder's ``width`` (``log_width``); ``raw`` is the value itself without centre and scale.
+    """
     if kind == "raw":
-        return F.coalesce(value, F.lit(0.0))
-    v = F.log1p(F.greatest(value, F.lit(0.0))) if kind == "log1p" else value
-    z = clip((v - centre) / scale, -6.0, 6.0) / 3
+        return F.when(F.abs(value) < float("inf"), value).otherwise(0.0)
+    v = F.when(F.abs(value) < float("inf"), value)
+    if kind == "log1p":
+        v = F.log1p(F.greatest(F.coalesce(v, F.lit(0.0)), F.lit(0.0)))
+    elif kind == "log_width":
+        v = F.when((width > 0) & v.isNotNull(), F.ln(F.greatest(v, F.lit(1e-12)) / width))
+    z = clip((v - centre) / F.when(scale != 0, scale), -6.0, 6.0) / 3
     return F.when(z.isNull() | F.isnan(z), 0.0).otherwise(z)
 
 

@@ -216,6 +216,14 @@ def forecasts(rows: DataFrame, s: Settings, *, keys: list[str]) -> DataFrame:
     return picked.mapInArrow(run, f"{schema}, q array<double>")
 
 
+def preferred_hours(hours: DataFrame, keys: list[str], *, least: int = 40) -> DataFrame:
+    """Of each prompt's hours by ``venue`` the spot's; the futures' where only those have ``least`` closes."""
+    enough = F.col("n_closes") >= least
+    rank = F.when(enough, F.when(F.col("venue") == "spot", 3).otherwise(2)).otherwise((F.col("venue") == "spot").cast("int"))
+    columns = [c for c in hours.columns if c not in keys]
+    return hours.groupBy(*keys).agg(F.max_by(F.struct(*columns), rank).alias("h")).select(*keys, "h.*")
+
+
 def with_parts(features: DataFrame, parts: list[DataFrame], keys: list[str]) -> DataFrame:
     """``features`` with the columns of each part, null where it has no row."""
     for part in parts:

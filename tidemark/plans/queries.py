@@ -769,10 +769,10 @@ def complete_features(spark, sf_dir, p: DataFrame) -> DataFrame:
 
 
 def prompt_hours(spark, sf_dir, p: DataFrame) -> DataFrame:
-    """What the closes of the 120 spot bars before each prompt say."""
-    c = full_candles(spark, sf_dir).filter("venue = 'spot'").select("asset", (F.col("open_time_ms") + HOUR).alias("end_ms"), "close")
+    """What the closes of the 120 bars before each prompt say, by venue."""
+    c = full_candles(spark, sf_dir).select(*KEY, (F.col("open_time_ms") + HOUR).alias("end_ms"), "close")
     measure, gives = windows.hour_parts(120, HOUR, step=10, short=60, half=90, quick=20, bins=chain.BINS, decay=0.98)
-    return windows.window_stats(p, c, keys=["asset"], at="current_time_ms", ts="end_ms", seq="end_ms", reach_ms=120 * HOUR, measure=measure, gives=gives)
+    return windows.window_stats(features.per_venue(p), c, keys=KEY, at="current_time_ms", ts="end_ms", seq="end_ms", reach_ms=120 * HOUR, measure=measure, gives=gives)
 
 
 def batch_forecasts(spark, sf_dir) -> DataFrame:
@@ -780,7 +780,7 @@ def batch_forecasts(spark, sf_dir) -> DataFrame:
     keys = ["asset", "current_time_ms"]
     p = written(q1_build_prompts(spark, sf_dir), "prompts")
     at = p.select(*keys)
-    hours = prompt_hours(spark, sf_dir, at).withColumnsRenamed({"rv": "hour_rv", "rng": "hour_rng"})
+    hours = chain.preferred_hours(prompt_hours(spark, sf_dir, at), keys).drop("venue").withColumnsRenamed({"rv": "hour_rv", "rng": "hour_rng"})
     offsets = window_moves(spark, sf_dir, at).select(*keys, F.col("q").alias("offsets"))
     ofi = flow.recent_ofi(at, flow.quote_ofi(spot(spark, sf_dir).withColumn("venue", F.lit("spot")), keys=KEY), window_ms=6 * HOUR, recent_ms=2 * HOUR, least=5).select(*keys, F.col("value").alias("ofi"))
     taker = flow.side_flow(at, T.trades(spark, sf_dir).filter("venue = 'futures'"), keys=["asset"], at="current_time_ms", reach_ms=2 * HOUR, window_ms=2 * HOUR).select(*keys, ((F.col("bought") - F.col("sold")) / 8.0).alias("flow_z"))
@@ -808,7 +808,7 @@ def r14_forecast_batch(spark, sf_dir):
 
 @query
 def a15_prompt_hours(spark, sf_dir):
-    h = prompt_hours(spark, sf_dir, T.clock_prompts(spark, sf_dir)).filter("n_closes > 10")
+    h = prompt_hours(spark, sf_dir, T.clock_prompts(spark, sf_dir)).filter("n_closes > 10 and venue = 'spot'")
     stats = [r(c, 9).alias(c) for c in ("mad", "ewma", "rv", "rng", "p90", "activity")]
     bins = [r(F.get("bins", F.lit(i)), 9).alias(f"bin{i}") for i in (0, 10, 25, 40, 49)]
     return h.select("asset", "current_time_ms", "n_closes", *stats, r("jump_ratio").alias("jump_ratio"), *bins)
