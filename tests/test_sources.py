@@ -16,7 +16,7 @@ KEEP = ["asset", "venue", "seq"]
 def test_messages(spark):
     m = raw(
         spark,
-        {"e": "aggTrade", "T": 1_787_097_600_000_000, "E": 7, "p": "10.5", "q": "2", "m": True},
+        {"e": "aggTrade", "T": 1_736_424_305_125_000, "E": 7, "p": "10.5", "q": "2", "m": True},
         {"stream": "x@bookTicker", "data": {"b": "1", "B": "2", "a": "3", "A": "4", "u": 9}},
         {"e": "depthUpdate", "E": 1, "U": 5, "u": 7, "pu": 4, "b": [["99", "1"]], "a": []},
         {"e": "forceOrder", "E": 950, "o": {"S": "SELL", "p": "100", "ap": "99.5", "q": "1", "z": ".4", "T": 900}},
@@ -26,7 +26,7 @@ def test_messages(spark):
         "[1, 2]",
     ).cache()
     t = messages.normalize_trades(m, keep=KEEP).first()
-    assert (t["ts_ms"], t["price"], t["qty"], t["buyer_is_maker"], t["seq"]) == (1_787_097_600_000, 10.5, 2.0, True, 0)
+    assert (t["ts_ms"], t["price"], t["qty"], t["buyer_is_maker"], t["seq"]) == (1_736_424_305_125, 10.5, 2.0, True, 0)
     q = messages.normalize_book_ticker(m, keep=KEEP).collect()
     assert [(r["bid_price"], r["ask_qty"], r["event_ts_ms"], r["seq"]) for r in q] == [(1.0, 4.0, None, 1)]
     d = messages.normalize_depth_updates(m, keep=KEEP).first()
@@ -44,10 +44,10 @@ def test_chained_ids(spark):
 
 
 def test_archives(spark, tmp_path):
-    (tmp_path / "t.csv").write_text("agg_trade_id,ts_ms,ts_utc,price,qty,buyer_is_maker\n1,1000,x,10.0,1.5,True\n2,1001,x,11.0,2.5,false\n3,1002,x,12.0,1,1\n")
-    assert [(r["price"], r["buyer_is_maker"]) for r in files.read_trades_csv(spark, str(tmp_path / "t.csv")).sort("seq").collect()] == [(10.0, True), (11.0, False), (12.0, True)]
-    (tmp_path / "k.csv").write_text("open_time,open,high,low,close,volume\n1787097600000000,1,2,0.5,1.5,9\n")
-    assert [tuple(r) for r in files.read_kline_archive(spark, str(tmp_path / "k.csv")).collect()] == [(1_787_097_600_000, 1.0, 2.0, 0.5, 1.5, 9.0)]
+    (tmp_path / "t.csv").write_text("agg_trade_id,ts_ms,ts_utc,price,qty,buyer_is_maker\n41,7300,x,31.25,0.5,1\n42,7310,x,31.5,3,False\n43,7330,x,31.75,2.25,true\n44,7340,x,32,6,0\n")
+    assert [(r["price"], r["buyer_is_maker"]) for r in files.read_trades_csv(spark, str(tmp_path / "t.csv")).sort("seq").collect()] == [(31.25, True), (31.5, False), (31.75, True), (32.0, False)]
+    (tmp_path / "k.csv").write_text("open_time,open,high,low,close,volume\n1736424305125000,1,2,0.5,1.5,9\n")
+    assert [tuple(r) for r in files.read_kline_archive(spark, str(tmp_path / "k.csv")).collect()] == [(1_736_424_305_125, 1.0, 2.0, 0.5, 1.5, 9.0)]
     (tmp_path / "d.csv").write_text("timestamp,percentage,depth,notional\n2024-01-01 00:00:05,-1,2,198\n2024-01-01 00:00:05,1,2,202\n2024-01-01 00:00:05,-2,1,98\n")
     b = files.book_from_percent_levels(files.read_book_depth_archive(spark, str(tmp_path / "d.csv"))).first()
     assert b["recv_ts_ms"] == 1_704_067_205_000 and [x["price"] for x in b["bids"]] == [99.0, 98.0] and b["asks"][0]["price"] == 101.0
@@ -79,3 +79,14 @@ def test_retention_edges(spark):
     c = spark.createDataFrame([(str(now - week - 1),), (str(now - week),), ("notes",), (str(now),)], "folder string")
     assert {r[0] for r in files.kept_captures(c, now_ms=now).collect()} == {str(now - week), str(now)}
     assert F is not None
+
+
+def test_pruning_deletes_old_folders_only(spark, tmp_path):
+    root = tmp_path / "captures"
+    for name in ("1000", "folder_ms=1999", "2000", "2001", "notes", "12x"):
+        (root / "a" / name).mkdir(parents=True)
+        (root / "a" / name / "payload.json").write_text("{}")
+    (root / "a" / "500").write_text("a file")
+    assert files.prune_captures(spark, f"file://{root}", now_ms=3000, keep_ms=1000) == 2
+    assert sorted(p.name for p in (root / "a").iterdir()) == ["12x", "2000", "2001", "500", "notes"]
+    assert files.prune_captures(spark, f"file://{root}/none", now_ms=3000) == 0

@@ -175,6 +175,14 @@ def s18_kept_captures(spark, sf_dir):
     return files.kept_captures(t, now_ms=1_706_000_000_000)
 
 
+@query
+def s18_pruned_captures(spark, sf_dir):
+    """What is left of the saved captures when those older than ten days are deleted."""
+    root = fixtures.payload_files(spark, sf_dir)
+    files.prune_captures(spark, root, now_ms=1_706_054_400_000, keep_ms=240 * HOUR)
+    return files.read_payloads(spark, root + "/*/*/kind=payload").select("asset", "folder_ms")
+
+
 @query
 def f7_tick_sizes(spark, sf_dir):
     t = T.ticks(spark, sf_dir).select("seq", F.when(F.col("seq") % 3 == 0, F.format_string('{"filters":[{"filterType":"LOT_SIZE","tickSize":"9"},{"filterType":"PRICE_FILTER","tickSize":"0.0%d"}]}', F.col("seq") % 9 + 1)).when(F.col("seq") % 3 == 1, "{broken").alias("info"), F.lit(0.5).alias("fallback"))

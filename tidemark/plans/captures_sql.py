@@ -248,6 +248,7 @@ def oracle_sql() -> dict[str, str]:
         "a24_hour_autocorrelation": _sql(CANDLES + ", l AS (SELECT *, lag(d_ten) OVER (PARTITION BY asset, venue ORDER BY open_time_ms) AS x FROM moved)", f"SELECT (open_time_ms // {H} % 24)::INT AS hour, count(*) AS n, round(corr(d_ten, x), 6) AS lag1 FROM l WHERE d_ten IS NOT NULL AND x IS NOT NULL GROUP BY ALL"),
         "a25_trigger_rates": _sql(ALL_PROMPTS, f"SELECT asset, kind, count(*) AS n, round(count(*) / any_value(total), 6) AS share, round(count(*) / any_value(hours), 6) AS an_hour FROM built JOIN (SELECT asset, count(*) AS total, (max(current_time_ms) - min(current_time_ms)) / {H}.0::DOUBLE AS hours FROM built GROUP BY asset) s USING (asset) GROUP BY asset, kind"),
         "a15_prompt_hours": _sql(CANDLES + HOURS, "SELECT asset, t AS current_time_ms, n AS n_closes, " + ", ".join(f"round({c}, 9) AS {c}" for c in ("mad", "ewma", "rv", "rng", "p90", "activity")) + ", round(jump_ratio, 6) AS jump_ratio, " + ", ".join(f"round(bin{i}, 9) AS bin{i}" for i in (0, 10, 25, 40, 49)) + " FROM agg LEFT JOIN (SELECT asset, t, " + ", ".join(f"max(mean) FILTER (WHERE k = {i}) AS bin{i}" for i in (0, 10, 25, 40, 49)) + " FROM rising GROUP BY ALL) USING (asset, t)"),
+        "s18_pruned_captures": _sql(SAVED, f"SELECT asset, folder_ms FROM saved WHERE folder_ms >= 1706054400000 - 240 * {H}"),
         "x9_once": _sql("", "SELECT DISTINCT asset, venue, seq FROM ticks"),
         "x7_sliding_flow": _sql("", f"SELECT asset, venue, f AS from_ms, f + 6 * {H} AS to_ms, sum(CASE WHEN buyer_is_maker THEN -qty ELSE qty END) AS flow, sum(qty) AS volume, count(*) AS n FROM (SELECT *, unnest(range((recv_ts_ms // (2 * {H}) - 2) * 2 * {H}, recv_ts_ms // (2 * {H}) * 2 * {H} + 1, 2 * {H})) AS f FROM ticks) GROUP BY asset, venue, f"),
         "x8_activity_sessions": _sql(", g AS (SELECT *, (recv_ts_ms - lag(recv_ts_ms) OVER w > 1800000)::INT AS new FROM ticks WINDOW w AS (PARTITION BY asset ORDER BY recv_ts_ms)), s AS (SELECT *, sum(coalesce(new, 0)) OVER (PARTITION BY asset ORDER BY recv_ts_ms) AS k FROM g)", "SELECT asset, min(recv_ts_ms) AS from_ms, max(recv_ts_ms) + 1800000 AS to_ms, count(*) AS n, sum(qty) AS qty FROM s GROUP BY asset, k"),

@@ -154,3 +154,18 @@ def kept_captures(captures: DataFrame, *, now_ms: int, keep_ms: int = 7 * 86_400
     """Captures not older than the retention; the edge stays; folders without a number are none."""
     ms = F.col("folder").try_cast("long")
     return captures.filter(ms.isNotNull() & (ms >= now_ms - keep_ms))
+
+
+def prune_captures(spark: SparkSession, database: str, *, now_ms: int, keep_ms: int = 7 * 86_400_000) -> int:
+    """Deletes the folders ``database/asset/ms`` older than the retention, as ``kept_captures`` judges them; how many went.
+
+    The session's file system does it, a call a folder; the edge and folders without a number stay.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(database).getFileSystem(spark._jsc.hadoopConfiguration())
+    gone = 0
+    for found in fs.globStatus(path(f"{database}/*/*")) or []:
+        name = found.getPath().getName().rpartition("=")[2]
+        if found.isDirectory() and name.isdecimal() and int(name) < now_ms - keep_ms:
+            gone += bool(fs.delete(found.getPath(), True))
+    return gone
