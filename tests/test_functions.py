@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import ladders as L
 from tidemark.functions import quotes as Q
 
-SLOT = 1_787_208_000_000
+SLOT = 1_736_424_300_000
 
 
 def one(spark, *cols):
@@ -30,8 +30,8 @@ def test_event_slot(spark, into, slot):
 
 
 def test_clocks(spark):
-    row = one(spark, Q.next_slot(F.lit(SLOT + 1), clock=20_000), Q.next_slot(F.lit(SLOT), clock=20_000), Q.to_ms(F.lit(1_787_097_600_000_000)), Q.to_ms(F.lit(1_787_097_600_000)), Q.season_slot(F.lit(4 * 86_400_000)), Q.season_slot(F.lit(9 * 86_400_000)), Q.ms_to_utc(F.lit(1)))
-    assert tuple(row) == (SLOT + 20_000, SLOT, 1_787_097_600_000, 1_787_097_600_000, 0, 720, "1970-01-01T00:00:00.001+00:00")
+    row = one(spark, Q.next_slot(F.lit(SLOT + 1), clock=20_000), Q.next_slot(F.lit(SLOT), clock=20_000), Q.to_ms(F.lit(1_736_424_305_125_000)), Q.to_ms(F.lit(1_736_424_305_125)), Q.season_slot(F.lit(4 * 86_400_000)), Q.season_slot(F.lit(9 * 86_400_000)), Q.ms_to_utc(F.lit(1)))
+    assert tuple(row) == (SLOT + 20_000, SLOT, 1_736_424_305_125, 1_736_424_305_125, 0, 720, "1970-01-01T00:00:00.001+00:00")
 
 
 def test_tick_size(spark):
