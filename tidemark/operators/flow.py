@@ -45,7 +45,10 @@ def side_flow(prompts: DataFrame, trades: DataFrame, *, keys: list[str], at: str
     return _of(prompts, _sized(trades, keys), keys, at, max(reach_ms, window_ms), windows.side_flow(reach_ms, window_ms), chunk_ms)
 
 
-def liquidation_signals(prompts: DataFrame, liquidations: DataFrame, *, keys: list[str], at: str, reach_ms: int = 3_600_000, recent_ms: int = 10_000, unit: float = 0.25, long_unit: float = 1.0, chunk_ms: int | None = None) -> DataFrame:
+def liquidation_signals(
+    prompts: DataFrame, liquidations: DataFrame, *, keys: list[str], at: str, reach_ms: int = 3_600_000, recent_ms: int = 10_000,
+    unit: float = 0.25, long_unit: float = 1.0, chunk_ms: int | None = None,
+) -> DataFrame:
     """Direction of recent liquidations and activity over the reach, both ends included, by tanh; those without a size are left out."""
     signed = F.when(F.col("is_buy"), F.col("qty")).otherwise(-F.col("qty")).alias("signed")
     sized = liquidations.filter("qty > 0").select(*keys, "seq", "recv_ts_ms", signed, "qty")
@@ -64,7 +67,10 @@ def book_volatility(prompts: DataFrame, quotes: DataFrame, *, keys: list[str], a
     return _of(prompts, rows, keys, at, reach_ms, windows.book_volatility(reach_ms, window_ms, least, most), chunk_ms)
 
 
-def horizon_pairs(prompts: DataFrame, quotes: DataFrame, *, keys: list[str], at: str, reach_ms: int = 60_000, horizon_ms: int = 10_000, gap_ms: int = 9000, most: int = 1600, least_ticks: int = 80, least_pairs: int = 40, levels: list[float], chunk_ms: int | None = None) -> DataFrame:
+def horizon_pairs(
+    prompts: DataFrame, quotes: DataFrame, *, keys: list[str], at: str, levels: list[float], reach_ms: int = 60_000, horizon_ms: int = 10_000,
+    gap_ms: int = 9000, most: int = 1600, least_ticks: int = 80, least_pairs: int = 40, chunk_ms: int | None = None,
+) -> DataFrame:
     """Moves of the microprice over the horizon within each prompt's window, from starts thinned to ``most``: their
     number, sum, and quantiles at ``levels`` less the median; prompts with too few ticks or pairs are left out."""
     rows = quotes.select(*keys, "seq", "recv_ts_ms", Q.microprice(or_mid=True).alias("micro"))

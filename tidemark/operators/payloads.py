@@ -51,7 +51,10 @@ def _tagged(streams: dict[str, DataFrame], lives: dict[str, int], width_ms: int)
     return out.withColumn("__bucket", F.explode(seen))
 
 
-def whole_payloads(prompts: DataFrame, streams: dict[str, DataFrame], *, assets: dict[str, tuple[str, float]], lives: dict[str, int], bars: int = 3600, bar_ms: int = 1000, back_ms: int = 60_000, tolerance_ms: int = 1500, bridge_ms: int = 2000, version: int = 5, horizon: int = 10, percentiles: int = 100) -> DataFrame:
+def whole_payloads(
+    prompts: DataFrame, streams: dict[str, DataFrame], *, assets: dict[str, tuple[str, float]], lives: dict[str, int], bars: int = 3600, bar_ms: int = 1000,
+    back_ms: int = 60_000, tolerance_ms: int = 1500, bridge_ms: int = 2000, version: int = 5, horizon: int = 10, percentiles: int = 100,
+) -> DataFrame:
     """One nested row of ``files.PAYLOAD``'s columns per prompt (``asset, current_time_ms, kind, venue``).
 
     ``streams`` names tables of ``STREAM_FIELDS`` beside ``asset, venue, at, seq``: what a prompt sees of each is the rows
@@ -96,9 +99,11 @@ def whole_payloads(prompts: DataFrame, streams: dict[str, DataFrame], *, assets:
         updates = F.filter(col("depth_updates"), lambda u: F.coalesce((u["final_id"] >= start["update_id"]) & (recent(u) | bridge(u)), F.lit(False)))
         b = F.col(f"{v}_bands")
         none = F.array().cast("array<double>")
-        bands = F.struct(F.coalesce(b["anchor_price"], F.lit(0.0)), known(1), F.coalesce(b["bids"], none), F.coalesce(b["asks"], none), F.coalesce(b["recv_ts_ms"], F.lit(0).cast("long")))
+        sizes = [F.coalesce(b[n], none) for n in ("bids", "asks")]
+        bands = F.struct(F.coalesce(b["anchor_price"], F.lit(0.0)), known(1), *sizes, F.coalesce(b["recv_ts_ms"], F.lit(0).cast("long")))
         times = F.coalesce(F.col(f"{v}_times"), F.create_map().cast("map<string,bigint>"))
-        return F.struct(known(0), F.coalesce(complete, F.lit(False)), *[updates if n == "depth_updates" else col(n) for n in STREAM_FIELDS if n not in ("depth", "bands")], start, F.col(f"{v}_latest"), bands, times)
+        rows = [updates if n == "depth_updates" else col(n) for n in STREAM_FIELDS if n not in ("depth", "bands")]
+        return F.struct(known(0), F.coalesce(complete, F.lit(False)), *rows, start, F.col(f"{v}_latest"), bands, times)
 
     venues = F.struct(side("spot").alias("spot"), side("futures").alias("futures"))
     trigger = F.struct("kind", F.col("__venue").alias("venue"))

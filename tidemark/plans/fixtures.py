@@ -45,10 +45,12 @@ def payload_files(spark: SparkSession, sf_dir: str) -> str:
     last = F.max_by(F.struct("recv_ts_ms", "bid_price", "bid_qty", "ask_price", "ask_qty"), F.when(F.col("venue") == "spot", F.col("seq")))
     per = t.groupBy("asset", ((F.floor(F.col("ts_ms") / DAY) + 1) * DAY).cast("long").alias("folder_ms")).agg(held("spot", trade).alias("st"), held("spot", quote).alias("sq"), held("futures", trade).alias("ft"), last.alias("last"))
     spot = F.struct(F.col("st").alias("trades"), F.col("sq").alias("book_ticker"), F.array(F.struct(F.lit(1).alias("first_id"))).alias("depth_updates"))
-    body = F.struct(F.lit(5).alias("schema_version"), "asset", F.col("folder_ms").alias("current_time_ms"), F.struct(spot.alias("spot"), F.struct(F.col("ft").alias("trades")).alias("futures")).alias("venues"), F.lit("x").alias("unknown"))
+    venues = F.struct(spot.alias("spot"), F.struct(F.col("ft").alias("trades")).alias("futures")).alias("venues")
+    body = F.struct(F.lit(5).alias("schema_version"), "asset", F.col("folder_ms").alias("current_time_ms"), venues, F.lit("x").alias("unknown"))
     book = F.struct(F.col("folder_ms").alias("current_time_ms"), "last.*")
     day = F.col("folder_ms") / DAY
-    both = F.array(F.struct(F.lit("payload").alias("kind"), F.to_json(body).alias("value")), F.struct(F.lit("book").alias("kind"), F.when(day % 7 == 0, "\x00\x00").otherwise(F.to_json(book)).alias("value")))
+    books = F.when(day % 7 == 0, "\x00\x00").otherwise(F.to_json(book))
+    both = F.array(*[F.struct(F.lit(kind).alias("kind"), value.alias("value")) for kind, value in (("payload", F.to_json(body)), ("book", books))])
     rows = per.select("asset", "folder_ms", "last", F.inline(both)).filter((F.col("kind") == "payload") | ((day % 5 != 0) & F.col("last").isNotNull()))
     rows.select("asset", "folder_ms", "kind", "value").write.partitionBy("asset", "folder_ms", "kind").text(root)
     return root

@@ -100,7 +100,8 @@ def stream_group_moves(trades: DataFrame, *, keys: list[str], tick: float, delay
         yield pd.DataFrame({**dict(zip(keys, key, strict=True)), "ts_ms": ts[at], "recv_ts_ms": recv[at], "price": price[at], "reference": np.array(before, float)})
 
     rows = timed(trades.select(*columns), delay=delay).drop("at")
-    return rows.groupBy(*keys).applyInPandasWithState(step, schema, "ts_ms long, recv_ts_ms long, price double, reference double", "append", GroupStateTimeout.NoTimeout)
+    held = "ts_ms long, recv_ts_ms long, price double, reference double"
+    return rows.groupBy(*keys).applyInPandasWithState(step, schema, held, "append", GroupStateTimeout.NoTimeout)
 
 
 def stream_event_prompts(moves: DataFrame, *, clock: int, opens: int, length: int, chance: float = 0.5, longest_delay: int = 500, delay: str) -> DataFrame:
