@@ -1,7 +1,10 @@
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import ladders as L
-from tidemark.plans import queries
+from tidemark.operators import chain
+from tidemark.plans import fixtures, queries
 from tidemark.sources import ticks as T
 
 
@@ -14,8 +17,11 @@ def test_batch_keeps_prompts_without_quotes_and_cheap_assets(spark, monkeypatch)
     given = {"quotes": q, "trades": t, "liquidations": t.selectExpr("asset", "seq", "recv_ts_ms", "price", "qty", "true is_buy").limit(0), "depth": q.select("asset", "venue", "seq", "recv_ts_ms", side("bid"), side("ask"))}
     given["clock_prompts"] = spark.createDataFrame([("a", 8 * T.HOUR), ("a", 40 * T.HOUR)], "asset string, current_time_ms long")
     for name, df in given.items():
-        monkeypatch.setattr(T, name, lambda spark, sf_dir, df=df: df)
-    rows = queries.batch_forecasts(spark, "").select("current_time_ms", "price", "quoted", "q", L.violations(F.col("q")).alias("bad")).sort("current_time_ms").collect()
-    assert [(r["quoted"], r["bad"]) for r in rows] == [(True, []), (False, [])]
-    assert 0.5 < rows[0]["price"] < 0.56 and sum(abs(v - rows[0]["price"]) < 1e-9 for v in rows[0]["q"]) >= 5
-    assert rows[1]["price"] == 1.0 and abs(rows[1]["q"][49] + rows[1]["q"][50] - 2) < 1e-9 and rows[1]["q"][-1] > 1.04
+        monkeypatch.setattr(fixtures if name == "depth" else T, name, lambda spark, sf_dir, df=df: df)
+    found = queries.batch_forecasts(spark, "").select("current_time_ms", "kind", "q", L.violations(F.col("q")).alias("bad")).sort("current_time_ms").collect()
+    assert [(r["current_time_ms"], r["kind"], r["bad"]) for r in found] == [(8 * T.HOUR, "time", []), (40 * T.HOUR, "time", [])]
+    live, wide = (np.array(r["q"]) for r in found)
+    price = (0.52 * 2.0 + 0.54 * 1.0) / 3  # the last quote's microprice: the thinner side counts
+    assert (np.abs(live - price) < 1e-9).sum() >= 5
+    middle = 0.5 * (wide[49] + wide[50])
+    assert 0.5 <= middle <= 0.53 and np.abs(wide - middle).mean() == pytest.approx(queries.CHAIN.fallback * middle * chain.Z_ABS, rel=1e-6)
