@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from tidemark.operators import windows
 from tidemark.scratch import written
 from tidemark.sources.files import PAYLOAD
 
@@ -35,25 +38,48 @@ STREAM_FIELDS = {
 }
 
 
+#: Streams of which a prompt gets single snapshots.
+SNAPSHOTS = ("depth", "bands")
+
+
+def _picked(prompts: DataFrame, streams: dict[str, DataFrame], lives: dict[str, int], made: dict[str, Callable[[DataFrame], DataFrame]], back_ms: int) -> DataFrame:
+    """A row a prompt, venue and place (``depth_latest``, ``depth_start``, ``bands_latest``) with that snapshot as ``depth`` or ``bands``.
+
+    Places are found on instants and ``seq`` alone; the snapshots found, few and each once, are then looked up and made.
+    """
+    asked = prompts.select(*PROMPT).distinct().withColumn("venue", F.explode(F.array(F.lit("spot"), F.lit("futures"))))
+    place = ["asset", "venue", "at", "seq"]
+    out = None
+    for name in SNAPSHOTS:
+        measure, gives = windows.snapshots(lives[name], back_ms)
+        found = windows.window_stats(asked, streams[name].select(*place), keys=["asset", "venue"], at="current_time_ms", ts="at", seq="seq", reach_ms=lives[name], measure=measure, gives=gives)
+        each = F.array(*[F.struct(F.lit(f"{name}_{w}").alias("place"), F.col(f"{w}_at").alias("at"), F.col(f"{w}_seq").alias("seq"), F.col("off").alias("off")) for w in (("latest", "start") if name == "depth" else ("latest",))])
+        found = written(found.select(*PROMPT, "venue", F.inline(each)), "places")
+        rows = streams[name].join(found.select(*place).distinct(), place).dropDuplicates(place)
+        rows = made[name](rows) if name in made else rows
+        rows = written(rows.select(*place, F.struct(*STREAM_FIELDS[name]).alias(name)), "snapshots")
+        own = found.join(rows, place)
+        out = own if out is None else out.unionByName(own, allowMissingColumns=True)
+    return out
+
+
 def _tagged(streams: dict[str, DataFrame], lives: dict[str, int], width_ms: int) -> DataFrame:
-    """All streams as one table: ``asset, venue, at, seq, life``, a struct column a stream, null but for the row's own,
-    and the buckets of time whose prompts can see the row."""
-    parts, kinds = [], {}
-    for name, rows in streams.items():
-        body = F.struct(*STREAM_FIELDS[name])
-        kinds[name] = rows.select(body.alias(name)).schema[name].dataType
-        parts.append((name, rows.select("asset", "venue", F.col("at"), "seq", F.lit(lives[name]).cast("long").alias("life"), body.alias("__row"))))
+    """All streams but snapshots as one table: ``asset, venue, at, seq, life``, a struct column a stream, null but for the
+    row's own, and the buckets of time whose prompts can see the row."""
+    kinds = {n: rows.select(F.struct(*STREAM_FIELDS[n]).alias(n)).schema[n].dataType for n, rows in streams.items() if n not in SNAPSHOTS}
     out = None
-    for name, part in parts:
-        own = part.select("asset", "venue", "at", "seq", "life", *[(F.col("__row") if n == name else F.lit(None).cast(k)).alias(n) for n, k in kinds.items()])
+    for name in kinds:
+        rows = streams[name].select("asset", "venue", F.col("at"), "seq", F.lit(lives[name]).cast("long").alias("life"), F.struct(*STREAM_FIELDS[name]).alias("__row"))
+        own = rows.select("asset", "venue", "at", "seq", "life", *[(F.col("__row") if n == name else F.lit(None).cast(k)).alias(n) for n, k in kinds.items()])
         out = own if out is None else out.unionByName(own)
     seen = F.sequence(F.floor(F.col("at") / width_ms), F.floor((F.col("at") + F.col("life") - 1) / width_ms))
-    return out.withColumn("__bucket", F.explode(seen))
+    return out.filter("asset is not null").withColumn("__bucket", F.explode(seen))
 
 
 def whole_payloads(
     prompts: DataFrame, streams: dict[str, DataFrame], *, assets: dict[str, tuple[str, float]], lives: dict[str, int], bars: int = 3600, bar_ms: int = 1000,
     back_ms: int = 60_000, tolerance_ms: int = 1500, bridge_ms: int = 2000, version: int = 5, horizon: int = 10, percentiles: int = 100,
+    made: dict[str, Callable[[DataFrame], DataFrame]] | None = None,
 ) -> DataFrame:
     """One nested row of ``files.PAYLOAD``'s columns per prompt (``asset, current_time_ms, kind, venue``).
 
@@ -61,49 +87,58 @@ def whole_payloads(
     with ``at`` in (now - life, now], by ``at`` and ``seq``. Of ``depth`` it gets the last snapshot, and the nearest to
     ``back_ms`` before (ties to the earlier, none beyond ``tolerance_ms``); of ``depth_updates`` those that go on from that
     one's id, within ``back_ms`` or as the bridge to it; of ``bands`` the last. A prompt without any row gets empty arrays.
+    ``made`` says how the rows of ``depth`` or ``bands`` get their fields, if they don't have them; it sees those that prompts get.
 
-    The streams are one tagged union that meets the prompts once, by asset and bucket of time, and is
-    folded in one aggregation a prompt. For export: a row holds its windows whole, whose size the lives bound.
+    Snapshots are found by their instants, so only those that a prompt gets are moved. The other streams are one
+    tagged union, dealt once by asset and bucket of time with the prompts, and folded where they meet: neither the rows
+    of the windows nor the payloads move again. For export: a row holds its windows whole, whose size the lives bound.
     """
-    width = min(lives.values())
+    width = max(min(lives.values()), max(lives.values()) // 4)
     p = prompts.select(F.monotonically_increasing_id().alias("__id"), *PROMPT, "kind", F.col("venue").alias("__venue"))
-    p = written(p, "prompts").withColumn("__bucket", F.floor(F.col("current_time_ms") / width))
-    seen = (F.col("at") <= F.col("current_time_ms")) & (F.col("at") > F.col("current_time_ms") - F.col("life"))
-    j = p.join(_tagged(streams, lives, width), ["asset", "__bucket"]).filter(seen)
-    place = F.struct("at", "seq")
-    made = []
+    p = written(p, "prompts").withColumn("__bucket", F.coalesce(F.floor(F.col("current_time_ms") / width), F.lit(0)))
+    keyed = lambda df: df.withColumn("__asset", F.coalesce(F.concat(F.lit("="), "asset"), F.lit("")))  # noqa: E731  (a null has a place, too)
+    picks = written(p.select("__id", "asset", "__bucket", "current_time_ms").join(_picked(p, streams, lives, made or {}, back_ms), PROMPT), "picks")
+    starts = picks.filter(f"place = 'depth_start' and off <= {tolerance_ms}").groupBy("__id").agg(
+        *[F.max(F.when(F.col("venue") == v, F.struct("depth.update_id", "depth.recv_ts_ms"))).alias(f"__{v}") for v in ("spot", "futures")])
+    own = picks.select("asset", "__bucket", F.col("__id").alias("__for"), "venue", "place", "at", "off", "depth", "bands")
+    rows = _tagged(streams, lives, width).unionByName(own, allowMissingColumns=True)
+    rows = rows.unionByName(p.select("asset", "__bucket", F.col("__id").alias("__for")), allowMissingColumns=True)  # each prompt sees itself
+    asked = written(p.join(starts, "__id", "left"), "asked")
+    seen = F.when(F.col("__for").isNotNull(), F.col("__for") == F.col("__id")).otherwise((F.col("at") <= F.col("current_time_ms")) & (F.col("at") > F.col("current_time_ms") - F.col("life")))
+    j = keyed(rows).drop("asset").join(keyed(asked).hint("shuffle_hash"), ["__asset", "__bucket"]).filter(seen)
+    per_prompt = []
     for v in ("spot", "futures"):
-        mine = F.col("venue") == v
+        mine, start, u = F.col("venue") == v, F.col(f"__{v}"), F.col("depth_updates")
+        bridge = (u["recv_ts_ms"] > start["recv_ts_ms"] - bridge_ms) & (u["first_id"] <= start["update_id"] + 1)
+        goes_on = (u["final_id"] >= start["update_id"]) & ((u["recv_ts_ms"] > F.col("current_time_ms") - back_ms) | bridge)
+        times = []
         for name in STREAM_FIELDS:
-            if name not in ("depth", "bands"):
-                rows = F.array_sort(F.collect_list(F.when(mine & F.col(name).isNotNull(), F.struct("at", "seq", F.col(name).alias("row")))))
-                made.append(F.transform(rows, lambda x: x["row"]).alias(f"{v}_{name}"))
-        snap, off = mine & F.col("depth").isNotNull(), F.abs(F.col("at") - (F.col("current_time_ms") - back_ms))
-        nearest = F.min_by(F.when(snap, F.col("depth")), F.when(snap, F.struct(off.alias("off"), "at", "seq")))
-        made += [F.max_by(F.when(snap, F.col("depth")), F.when(snap, place)).alias(f"{v}_latest"), nearest.alias(f"{v}_start"), F.min(F.when(snap, off)).alias(f"{v}_off")]
-        banded = mine & F.col("bands").isNotNull()
-        made.append(F.max_by(F.when(banded, F.col("bands")), F.when(banded, place)).alias(f"{v}_bands"))
-        times = [F.struct(F.lit(n), F.max(F.when(mine & F.col(n).isNotNull(), F.col("at")))) for n in STREAM_FIELDS]
-        made.append(F.map_from_entries(F.filter(F.array(*times), lambda e: e["col2"].isNotNull())).alias(f"{v}_times"))
-    per = j.groupBy("__id").agg(*made)
-    full = p.drop("__bucket").join(per, "__id", "left")
+            if name in SNAPSHOTS:
+                latest = mine & (F.col("place") == f"{name}_latest")
+                per_prompt.append(F.max_by(F.when(latest, F.col(name)), F.when(latest, F.col("at"))).alias(f"{v}_{name}"))
+                newest = F.when(latest, F.col("at"))
+            else:
+                there = mine & F.col(name).isNotNull()
+                kept = there & goes_on if name == "depth_updates" else there
+                held = F.array_sort(F.collect_list(F.when(kept, F.struct("at", "seq", F.col(name).alias("row")))))
+                per_prompt.append(F.transform(held, lambda x: x["row"]).alias(f"{v}_{name}"))
+                newest = F.when(there, F.col("at"))
+            times.append(F.struct(F.lit(name), F.max(newest)))
+        nearest = mine & (F.col("place") == "depth_start") & (F.col("off") <= tolerance_ms)
+        per_prompt.append(F.max_by(F.when(nearest, F.col("depth")), F.when(nearest, F.col("at"))).alias(f"{v}_start"))
+        per_prompt.append(F.map_from_entries(F.filter(F.array(*times), lambda e: e["col2"].isNotNull())).alias(f"{v}_times"))
+    full = j.groupBy("__asset", "__bucket", "__id", *PROMPT, "kind", "__venue").agg(*per_prompt)
     known = lambda i: F.coalesce(*[F.when(F.col("asset") == a, F.lit(spec[i])) for a, spec in assets.items()])
 
     def side(v: str) -> Column:
-        col = lambda n: F.coalesce(F.col(f"{v}_{n}"), F.array().cast(per.schema[f"{v}_{n}"].dataType))
-        opened = F.transform(col("candles_1s"), lambda x: x["open_time_ms"])
+        opened = F.transform(f"{v}_candles_1s", lambda x: x["open_time_ms"])
         complete = (F.size(opened) >= bars) & (F.array_max(opened) - F.array_min(opened) >= (bars - 1) * bar_ms)
-        start = F.when(F.col(f"{v}_off") <= tolerance_ms, F.col(f"{v}_start"))
-        recent = lambda u: u["recv_ts_ms"] > F.col("current_time_ms") - back_ms
-        bridge = lambda u: (u["recv_ts_ms"] > start["recv_ts_ms"] - bridge_ms) & (u["first_id"] <= start["update_id"] + 1)
-        updates = F.filter(col("depth_updates"), lambda u: F.coalesce((u["final_id"] >= start["update_id"]) & (recent(u) | bridge(u)), F.lit(False)))
         b = F.col(f"{v}_bands")
         none = F.array().cast("array<double>")
         sizes = [F.coalesce(b[n], none) for n in ("bids", "asks")]
         bands = F.struct(F.coalesce(b["anchor_price"], F.lit(0.0)), known(1), *sizes, F.coalesce(b["recv_ts_ms"], F.lit(0).cast("long")))
-        times = F.coalesce(F.col(f"{v}_times"), F.create_map().cast("map<string,bigint>"))
-        rows = [updates if n == "depth_updates" else col(n) for n in STREAM_FIELDS if n not in ("depth", "bands")]
-        return F.struct(known(0), F.coalesce(complete, F.lit(False)), *rows, start, F.col(f"{v}_latest"), bands, times)
+        held = [F.col(f"{v}_{n}") for n in STREAM_FIELDS if n not in SNAPSHOTS]
+        return F.struct(known(0), F.coalesce(complete, F.lit(False)), *held, F.col(f"{v}_start"), F.col(f"{v}_depth"), bands, F.col(f"{v}_times"))
 
     venues = F.struct(side("spot").alias("spot"), side("futures").alias("futures"))
     trigger = F.struct("kind", F.col("__venue").alias("venue"))

@@ -302,6 +302,24 @@ def recent_ofi(reach_ms: int, recent_ms: int, least: int, least_recent: int) ->
     return measure, "n long, n_recent long, net double, gross double, value double"
 
 
+def snapshots(reach_ms: int, back_ms: int) -> tuple[Measure, str]:
+    """Instants and ``seq`` of the last row of each window, and of the one nearest to ``back_ms`` before the prompt (ties to
+    the earlier, then to the smaller ``seq``), with its distance. Column seq."""
+
+    def measure(rows: Rows, at: np.ndarray) -> dict[str, np.ndarray]:
+        lo, hi = rows.window(at, reach_ms)
+        there = hi > lo
+        wanted, most = at - back_ms, len(rows) - 1
+        after = np.clip(rows.upto(wanted), lo, np.maximum(hi, lo))
+        before = np.searchsorted(rows.ts, rows.ts[np.clip(after - 1, 0, most)], side="left")  # the first of its instant
+        off = lambda place: np.abs(rows.ts[np.clip(place, 0, most)] - wanted)
+        earlier = (after > lo) & ((after >= hi) | (off(before) <= off(after)))
+        start, latest = np.clip(np.where(earlier, before, after), 0, most), np.clip(hi - 1, 0, most)
+        return {"latest_at": rows.ts[latest], "latest_seq": rows["seq"][latest], "start_at": rows.ts[start], "start_seq": rows["seq"][start], "off": off(start), "there": there}
+
+    return measure, "latest_at long, latest_seq long, start_at long, start_seq long, off long"
+
+
 def recent_average(reach: tuple[int, int], decays: dict[str, tuple[int, float]]) -> tuple[Measure, str]:
     """Root of the weighted mean square of ``ret`` over so many bars, with weights decay^age in bars; ``reach`` is (bars, bar_ms).
 
