@@ -1,3 +1,4 @@
+import math
 import random
 
 import numpy as np
@@ -214,3 +215,18 @@ def test_saved_payload_violations_of_nothing(spark):
     assert not {"version", "kind", "trigger_venue", "horizon", "percentiles", "asset"} & set(codes)
     assert {"spot:symbol", "spot:trades:missing", "futures:depth_latest:missing", "spot:depth_bands:missing", "futures:last_event_times"} <= set(codes)
     assert judged.limit(0).count() == 0
+
+
+def test_book_momentum_takes_places_not_frames(spark):
+    rows = [("k", s, s // 3 * 7 % 90 + s // 60 * 90, 10.0 + s % 11, 1.0, 11.0 + s % 11, 1.0) for s in range(300)] + [("k", 900, None, 1.0, 1.0, 1.0, 1.0), ("k", 901, 500, None, None, None, None)]
+    q = spark.createDataFrame(rows, "key string, seq long, recv_ts_ms long, bid_price double, bid_qty double, ask_price double, ask_qty double")
+    for chunk in (None, 40):
+        m = flow.book_momentum(q, keys=["key"], lookback_ms=60, lags={"m": 10}, chunk_ms=chunk)
+        assert "-59" not in m._jdf.queryExecution().optimizedPlan().toString()  # no frame of the lookback, whose rows each tick would go over
+        got = {r["seq"]: r["m"] for r in m.collect()}
+        assert len(got) == len(rows)
+        mid = {s: None if b is None else (b + a) / 2 for _, s, _, b, _, a, _ in rows}
+        for _, s, t, *_ in rows:
+            earlier = [(u, z) for _, z, u, *_ in rows if t is not None and u is not None and t - 60 < u <= t - 10]
+            before = mid[max(earlier)[1]] if earlier else None
+            assert got[s] == pytest.approx(math.log(mid[s] / before) if before and mid[s] else 0.0)

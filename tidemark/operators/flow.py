@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from tidemark.functions import quotes as Q
 from tidemark.operators import windows
@@ -104,18 +105,34 @@ def recent_ofi(prompts: DataFrame, events: DataFrame, *, window_ms: int, recent_
     return _of(asked, rows, ["asset", "venue"], "current_time_ms", window_ms, windows.recent_ofi(window_ms, recent_ms, least, least_recent), None)
 
 
-def book_momentum(quotes: DataFrame, *, keys: list[str], lookback_ms: int, lags: dict[str, int], chunk_ms: int = 3_600_000) -> DataFrame:
+def book_momentum(quotes: DataFrame, *, keys: list[str], lookback_ms: int, lags: dict[str, int], chunk_ms: int | None = None) -> DataFrame:
     """Log change of the microprice since the last tick at least so long ago, within the lookback; else 0.
 
-    Of ticks at one instant the last by ``seq`` stands for it.
+    Of ticks at one instant the last by ``seq`` stands for it. Rows are dealt by key and chunk of four lookbacks, with a
+    halo of one; within a chunk the tick before is a place in the order of time.
     """
-    dealt = chunked(quotes, keys=keys, ts="recv_ts_ms", seq="seq", chunk_ms=chunk_ms, halo_ms=lookback_ms)
-    m = dealt.withColumn("micro", Q.microprice(or_mid=True))
-    w = Window.partitionBy(*keys, "__chunk").orderBy("recv_ts_ms")
-    for name, ms in lags.items():
-        before = F.max(F.struct("recv_ts_ms", "seq", "micro")).over(w.rangeBetween(-lookback_ms + 1, -ms))["micro"]
-        m = m.withColumn(name, F.when((before > 0) & (F.col("micro") > 0), F.ln(F.col("micro") / before)).otherwise(0.0))
-    return without_halo(m)
+    dealt = chunked(quotes, keys=keys, ts="recv_ts_ms", seq="seq", chunk_ms=chunk_ms or max(4 * lookback_ms, 3_600_000), halo_ms=lookback_ms)
+    m = dealt.withColumn("micro", Q.microprice(or_mid=True).cast("double"))
+    schema = StructType([*m.schema.fields, *[StructField(n, DoubleType()) for n in lags]])
+
+    def run(rows: pa.Table) -> pa.Table:
+        ts, n = rows.column("recv_ts_ms"), len(rows)
+        made = dict.fromkeys(lags, np.zeros(n))
+        if not ts.null_count:  # rows without an instant have a chunk of their own
+            order = np.lexsort((rows.column("seq").to_numpy(), ts.to_numpy()))
+            rows = rows.take(pa.array(order))
+            at, micro = rows.column("recv_ts_ms").to_numpy(), rows.column("micro").to_numpy()
+            micro = np.where(micro > 0, micro, np.nan).astype(float)
+            for name, ms in lags.items():
+                place = np.searchsorted(at, at - ms, side="right") - 1
+                there = (place >= 0) & (at[place] > at - lookback_ms)
+                move = np.log(micro / np.where(there, micro[place], np.nan))
+                made[name] = np.where(np.isnan(move), 0.0, move)
+        for name, values in made.items():
+            rows = rows.append_column(name, pa.array(values))
+        return rows
+
+    return without_halo(m.groupBy(*keys, "__chunk").applyInArrow(run, schema))
 
 
 def _size(side: str, n: int | None = None) -> Column:
