@@ -217,6 +217,13 @@ def test_saved_payload_violations_of_nothing(spark):
     assert judged.limit(0).count() == 0
 
 
+def test_ingest_merge_keeps_rows_of_one_instant(spark):
+    stored = spark.createDataFrame([("x", 1000, 1)], "k string, ts long, seq long")
+    batch = spark.createDataFrame([("x", 2000, 5), ("x", 2000, 6), ("x", 2000, 6), ("x", 1000, 2), ("y", 7, 1), ("y", 7, 2)], "k string, ts long, seq long")
+    got = sorted((r["k"], r["ts"], r["seq"]) for r in prompts.ingest_merge(stored, batch, keys=["k"], ts="ts", ids=["seq"]).collect())
+    assert got == [("x", 1000, 1), ("x", 2000, 5), ("x", 2000, 6), ("y", 7, 1), ("y", 7, 2)]
+
+
 def test_book_momentum_takes_places_not_frames(spark):
     rows = [("k", s, s // 3 * 7 % 90 + s // 60 * 90, 10.0 + s % 11, 1.0, 11.0 + s % 11, 1.0) for s in range(300)] + [("k", 900, None, 1.0, 1.0, 1.0, 1.0), ("k", 901, 500, None, None, None, None)]
     q = spark.createDataFrame(rows, "key string, seq long, recv_ts_ms long, bid_price double, bid_qty double, ask_price double, ask_qty double")

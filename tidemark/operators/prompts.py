@@ -133,12 +133,14 @@ def missing(wanted: DataFrame, stored: DataFrame, *, keys: list[str]) -> DataFra
     return wanted.join(stored, keys, "left_anti")
 
 
-def ingest_merge(stored: DataFrame, batch: DataFrame, *, keys: list[str], ts: str, fill_gaps: bool = False) -> DataFrame:
+def ingest_merge(stored: DataFrame, batch: DataFrame, *, keys: list[str], ts: str, ids: list[str] | None = None, fill_gaps: bool = False) -> DataFrame:
     """Stored rows and the batch's new ones: outside the stored span, or anywhere with ``fill_gaps``.
 
-    A stored row wins over the batch's; of equal keys in the batch one row is taken.
+    A stored row wins over the batch's; of equal keys in the batch one row is taken. ``ids`` tell rows of one
+    instant apart; without them an instant holds one row.
     """
-    new = batch.dropDuplicates([*keys, ts]).join(stored, [*keys, ts], "left_anti")
+    same = [*keys, ts, *(ids or [])]
+    new = batch.dropDuplicates(same).join(stored, same, "left_anti")
     if not fill_gaps:
         span = stored.groupBy(*keys).agg(F.min(ts).alias("__lo"), F.max(ts).alias("__hi"))
         new = new.join(span, keys, "left").filter(F.col("__lo").isNull() | (F.col(ts) < F.col("__lo")) | (F.col(ts) > F.col("__hi"))).select(*batch.columns)

@@ -532,7 +532,7 @@ def u1_union_moves(spark, sf_dir):
 def u3_ingest_merge(spark, sf_dir):
     t = T.trades(spark, sf_dir).select(*KEY, "recv_ts_ms", "seq", F.lit("stored").alias("origin"))
     stored = t.filter((F.col("seq") % 3 != 0) & (F.col("recv_ts_ms") < 1_705_900_000_000))
-    return prompts.ingest_merge(stored, t.withColumn("origin", F.lit("batch")), keys=KEY, ts="recv_ts_ms")
+    return prompts.ingest_merge(stored, t.withColumn("origin", F.lit("batch")), keys=KEY, ts="recv_ts_ms", ids=["seq"])
 
 
 @query
