@@ -137,3 +137,13 @@ def test_a_batch_that_runs_again_changes_nothing(spark, tmp_path):
     write(spark.createDataFrame([("a", 999, 0)], t.schema), 0)
     after = spark.read.parquet(out).filter("batch > 0 and asset = 'a'").count()
     assert after == len(got) - len([x for x in got if x < 20])
+
+
+def test_trailing_window_counts_ticks_of_its_instant(spark, tmp_path):
+    path = str(tmp_path / "ties")
+    rows = [("a", "spot", 1000, 1, 1.0), ("a", "spot", 2000, 2, 2.0), ("a", "spot", 2000, 3, 4.0), ("a", "spot", 2500, 4, 8.0)]
+    t = spark.createDataFrame(rows, "asset string, venue string, recv_ts_ms long, seq long, qty double")
+    t.coalesce(1).write.parquet(path)
+    w = jobs.stream_trailing_window(spark.readStream.schema(t.schema).parquet(path), keys=["asset", "venue"], window_ms=1500, delay="1 hour")
+    got = {r["seq"]: (r["n"], r["trailing"]) for r in drained(spark, w, tmp_path).collect()}
+    assert got == {1: (1, 1.0), 2: (3, 7.0), 3: (3, 7.0), 4: (3, 14.0)}

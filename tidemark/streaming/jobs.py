@@ -119,10 +119,10 @@ def stream_event_prompts(moves: DataFrame, *, clock: int, opens: int, length: in
 
 
 def stream_trailing_window(ticks: DataFrame, *, keys: list[str], window_ms: int, delay: str) -> DataFrame:
-    """Each tick with the count and quantity of its key's trailing window (now - window, now], itself included.
+    """Each tick with the count and quantity of its key's trailing window (now - window, now], itself and all of its instant included.
 
     The state of a key is its window's times and quantities, no more; rows of a micro-batch are
-    taken in the order of receipt and ``seq``.
+    taken in the order of receipt and ``seq``. Ticks of one instant must come in one micro-batch to see each other.
     """
     columns = [*keys, "recv_ts_ms", "seq", "qty"]
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in ticks.select(*columns).schema)
@@ -135,7 +135,7 @@ def stream_trailing_window(ticks: DataFrame, *, keys: list[str], window_ms: int,
         sizes += rows["qty"].tolist()
         t, total = np.array(times), np.concatenate([[0.0], np.cumsum(sizes)])
         low = np.searchsorted(t, t - window_ms, side="right")
-        high = np.arange(1, len(t) + 1)
+        high = np.searchsorted(t, t, side="right")
         out = rows[columns].assign(n=(high - low)[held:], trailing=(total[high] - total[low])[held:])
         keep = t > t[-1] - window_ms
         state.update((t[keep].tolist(), np.array(sizes)[keep].tolist()))
