@@ -232,7 +232,11 @@ def top_levels(levels: DataFrame, *, id_cols: list[str], n: int = 20) -> DataFra
 def replayed_book(start: DataFrame, diffs: DataFrame, *, id_cols: list[str]) -> DataFrame:
     """Levels after the diffs: the last size at a price wins, size 0 removes it."""
     first = start.select(*id_cols, "side", "price", "qty", F.lit(-1).cast("long").alias("seq"))
-    rows = first.unionByName(diffs.select(*id_cols, "side", "price", "qty", F.col("seq").cast("long").alias("seq")))
+    return last_levels(first.unionByName(diffs.select(*id_cols, "side", "price", "qty", F.col("seq").cast("long").alias("seq"))), id_cols=id_cols)
+
+
+def last_levels(rows: DataFrame, *, id_cols: list[str]) -> DataFrame:
+    """Of sizes at a price the last by ``seq``, if it isn't 0; rows that are dealt by some of ``id_cols`` already don't move."""
     return rows.groupBy(*id_cols, "side", "price").agg(F.max_by("qty", "seq").alias("qty")).filter("qty > 0")
 
 

@@ -13,12 +13,16 @@ DAY = 86_400_000
 
 def depth(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Snapshots with 20 levels a side, best first."""
-    t = ticks(spark, sf_dir)
+    return depth_of(ticks(spark, sf_dir))
+
+
+def depth_of(t: DataFrame, *more: str) -> DataFrame:
+    """Ticks as snapshots, with ``more`` of their columns."""
 
     def side(touch: str, step: float):
         return F.transform(F.sequence(F.lit(0), F.lit(19)), lambda i: F.struct((F.col(touch) + i * F.lit(step)).alias("price"), (1 + (F.col("seq") + i) % 9).cast("double").alias("qty")))
 
-    return t.select(*KEY, "seq", "recv_ts_ms", F.col("seq").alias("update_id"), side("bid_price", -0.01).alias("bids"), side("ask_price", 0.01).alias("asks"))
+    return t.select(*KEY, "seq", "recv_ts_ms", F.col("seq").alias("update_id"), side("bid_price", -0.01).alias("bids"), side("ask_price", 0.01).alias("asks"), *more)
 
 
 def raw_from_ticks(ticks: DataFrame) -> DataFrame:

@@ -487,14 +487,14 @@ def t2_last_closes(spark, sf_dir):
     return a.select(*KEY, "open_time_ms", "age", r("close").alias("close"))
 
 
-def levels(spark, sf_dir) -> DataFrame:
-    d = fixtures.depth(spark, sf_dir)
-    return d.select(*KEY, "seq", F.lit("bid").alias("side"), F.inline("bids")).union(d.select(*KEY, "seq", F.lit("ask"), F.inline("asks")))
+def levels(d: DataFrame, *more: str) -> DataFrame:
+    sides = F.array(*[F.struct(F.lit(s).alias("side"), F.col(f"{s}s").alias("levels")) for s in ("bid", "ask")])
+    return d.select(*KEY, "seq", *more, F.inline(sides)).select(*KEY, "seq", *more, "side", F.inline("levels"))
 
 
 @query
 def t3_top_levels(spark, sf_dir):
-    top = flow.top_levels(levels(spark, sf_dir), id_cols=[*KEY, "seq"], n=3)
+    top = flow.top_levels(levels(fixtures.depth(spark, sf_dir)), id_cols=[*KEY, "seq"], n=3)
     return top.select(*KEY, "seq", "side", F.col("level").cast("int").alias("level"), r("price").alias("price"), "qty")
 
 
@@ -506,12 +506,11 @@ def t4_walk_the_book(spark, sf_dir):
 
 @query
 def t5_replay_book(spark, sf_dir):
-    lv = levels(spark, sf_dir).withColumn("block_ms", F.floor(F.col("seq") / 50).cast("long")).withColumn("price", r("price", 2))
-    first = lv.groupBy(*KEY, "block_ms").agg(F.min("seq").alias("first"))
-    lv = lv.join(first, [*KEY, "block_ms"])
-    start = lv.filter("seq = first").drop("seq")
-    diffs = lv.filter("seq > first").withColumn("qty", F.when((F.col("qty") + F.col("seq")) % 4 == 0, 0.0).otherwise(F.col("qty")))
-    book = flow.replayed_book(start, diffs, id_cols=[*KEY, "block_ms"])
+    by = Window.partitionBy(*KEY, "block_ms")
+    t = T.ticks(spark, sf_dir).withColumn("block_ms", F.floor(F.col("seq") / 50).cast("long")).withColumn("first", F.min("seq").over(by))  # levels are made where their block is
+    lv = levels(fixtures.depth_of(t, "block_ms", "first"), "block_ms", "first").withColumn("price", r("price", 2))
+    gone = (F.col("seq") > F.col("first")) & ((F.col("qty") + F.col("seq")) % 4 == 0)
+    book = flow.last_levels(lv.withColumn("qty", F.when(gone, 0.0).otherwise(F.col("qty"))), id_cols=[*KEY, "block_ms"])
     return book.groupBy(*KEY, "block_ms", "side").agg(F.count(F.lit(1)).alias("n"), F.sum("qty").alias("qty"))
 
 
