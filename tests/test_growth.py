@@ -17,3 +17,16 @@ def plan(df):
 def test_replay_moves_ticks_not_levels(spark):
     logical, physical = plan(queries.t5_replay_book(spark, SF))
     assert "Join" not in logical and physical.count("Exchange hashpartitioning") == 1
+
+
+def test_stream_slices_have_files_for_their_rows(spark, monkeypatch):
+    paths = []
+    monkeypatch.setattr(captures, "FILE_ROWS", 40)
+    monkeypatch.setattr(captures, "fresh", lambda s, n, f=captures.fresh: paths.append(f(s, n)) or paths[-1])
+    rows = spark.range(0, 600, 1, 2).select(F.lit("a").alias("asset"), F.col("id").alias("seq"), (F.col("id") * 1000).alias("recv_ts_ms"))
+    got = captures.drained(captures.streamed(spark, rows, "many", beat=True), "many-out")
+    written = spark.read.parquet(paths[0])
+    assert len(written.inputFiles()) == 5 * 5  # three slices and two beats, each a micro-batch
+    spans = got.filter("asset <> ''").groupBy("batch").agg(F.min("seq"), F.max("seq"), F.count("seq")).orderBy("batch").collect()
+    assert [tuple(r)[1:] for r in spans] == [(0, 199, 200), (200, 399, 200), (400, 599, 200)]
+    assert got.filter("asset = ''").select("batch").distinct().count() == 2

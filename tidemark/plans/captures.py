@@ -28,21 +28,30 @@ def lines(df: DataFrame, name: str, *columns: str) -> str:
     return path
 
 
-def streamed(spark: SparkSession, df: DataFrame, name: str, *, ts: str = "recv_ts_ms", slices: int = 3, beat: bool = False) -> DataFrame:
-    """A table as a stream of its files, one a micro-batch: slices of time, written one after the other.
+#: Rows of a stream's file, about; one task writes a file.
+FILE_ROWS = 100_000
 
-    With ``beat`` two last files hold a row without an asset each, a year on and more: the first closes what waits for
+
+def streamed(spark: SparkSession, df: DataFrame, name: str, *, ts: str = "recv_ts_ms", slices: int = 3, beat: bool = False, files: int | None = None) -> DataFrame:
+    """A table as a stream of its files: slices of time, written one after the other, a micro-batch each.
+
+    A slice has as many files as its rows need (``files``, found from their number), the same for all slices.
+    With ``beat`` two last slices hold rows without an asset, a year on and more: the first closes what waits for
     the watermark, the second what an operator behind another one waits for.
     """
-    path, span = fresh(spark, name), df.agg(F.min(ts), F.max(ts)).first()
+    path, span = fresh(spark, name), df.agg(F.min(ts), F.max(ts), F.count(ts)).first()
     cuts = [span[0] + (span[1] + 1 - span[0]) * i // slices for i in range(slices + 1)] if span[0] is not None else []
-    for lo, hi in zip(cuts, cuts[1:], strict=False):
-        df.filter(F.col(ts).between(lo, hi - 1)).repartition(1).write.mode("append").parquet(path)
+    files = files or max(1, span[2] // (slices * FILE_ROWS))
+    for i, (lo, hi) in enumerate(zip(cuts, cuts[1:], strict=False)):
+        part = df.filter(F.col(ts).between(lo, hi - 1)).repartition(files)
+        part.write.mode("append").parquet(path)
+        if files > 1 and len(spark.read.schema(df.schema).parquet(path).inputFiles()) != files * (i + 1):  # so uneven that a file stayed empty
+            return streamed(spark, df, name, ts=ts, slices=slices, beat=beat, files=files // 2)
     if beat:
         for days in (366, 400):
             late = [F.lit(cuts[-1] + days * 24 * HOUR if f.name == ts else "" if f.name == "asset" else None).cast(f.dataType).alias(f.name) for f in df.schema]
-            spark.range(1).select(*late).write.mode("append").parquet(path)
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+            spark.range(0, files, 1, files).select(*late).write.mode("append").parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
 @contextmanager
