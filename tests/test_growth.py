@@ -30,3 +30,13 @@ def test_stream_slices_have_files_for_their_rows(spark, monkeypatch):
     spans = got.filter("asset <> ''").groupBy("batch").agg(F.min("seq"), F.max("seq"), F.count("seq")).orderBy("batch").collect()
     assert [tuple(r)[1:] for r in spans] == [(0, 199, 200), (200, 399, 200), (400, 599, 200)]
     assert got.filter("asset = ''").select("batch").distinct().count() == 2
+
+
+def test_stream_labels_deal_by_time_too(spark):
+    prompts = [("a", t) for t in (0, 99, 100, 101, 150, 700)] + [("b", 100)]
+    quotes = [("a", t, i) for i, t in enumerate((0, 99, 100, 120, 199, 200, 201, 250, 251, 400))]
+    p, q = spark.createDataFrame(prompts, "asset string, current_time_ms long"), spark.createDataFrame(quotes, "asset string, recv_ts_ms long, seq long")
+    out = jobs.stream_labels(p, q, horizon_ms=100, delay="1 hour")
+    assert "p_part" in plan(out)[0]  # or each prompt looks at all quotes of its asset
+    want = {(a, at): max(((t, s) for k, t, s in quotes if k == a and at < t <= at + 100), default=(None, None)) for a, at in prompts}
+    assert {(r["asset"], r["current_time_ms"]): (r["recv_ts_ms"], r["seq"]) for r in out.collect()} == want

@@ -149,11 +149,15 @@ def stream_labels(prompts: DataFrame, quotes: DataFrame, *, horizon_ms: int, del
 
     An outer interval join gives each prompt its quotes, or itself alone once both watermarks have
     passed; a second stateful operator behind it keeps the last one, and gives it when the join's
-    output watermark has passed the prompt. A repeated prompt gives one row.
+    output watermark has passed the prompt. A repeated prompt gives one row. Both sides are dealt by asset and stretch of
+    one horizon, a prompt to the two that its horizon touches, so a prompt looks at few quotes more than its own.
     """
     p = prompts.withColumn("p_at", F.timestamp_millis("current_time_ms")).withWatermark("p_at", delay).alias("p")
     q = quotes.withColumnRenamed("asset", "q_asset").withColumn("q_at", F.timestamp_millis("recv_ts_ms")).withWatermark("q_at", delay).alias("q")
-    near = (F.col("asset") == F.col("q_asset")) & (F.col("q_at") > F.col("p_at")) & (F.col("q_at") <= F.col("p_at") + F.expr(f"interval {horizon_ms} milliseconds"))
+    hour = lambda c: F.floor(F.unix_millis(c) / horizon_ms)
+    p = p.withColumn("p_part", F.explode(F.array_distinct(F.array(hour(F.col("p_at")), hour(F.col("p_at")) + 1)))).alias("p")
+    q = q.withColumn("q_part", hour(F.col("q_at"))).alias("q")
+    near = (F.col("asset") == F.col("q_asset")) & (F.col("p_part") == F.col("q_part")) & (F.col("q_at") > F.col("p_at")) & (F.col("q_at") <= F.col("p_at") + F.expr(f"interval {horizon_ms} milliseconds"))
     values = [c for c in quotes.columns if c != "asset"]
     last = F.max_by(F.struct(*values), F.struct("recv_ts_ms", "seq")).alias("l")
     return p.join(q, near, "leftOuter").groupBy("asset", "current_time_ms", "p_at").agg(last).select("asset", "current_time_ms", "l.*")
