@@ -40,3 +40,7 @@ def test_stream_labels_deal_by_time_too(spark):
     assert "p_part" in plan(out)[0]  # or each prompt looks at all quotes of its asset
     want = {(a, at): max(((t, s) for k, t, s in quotes if k == a and at < t <= at + 100), default=(None, None)) for a, at in prompts}
     assert {(r["asset"], r["current_time_ms"]): (r["recv_ts_ms"], r["seq"]) for r in out.collect()} == want
+
+
+def test_band_imbalance_joins_nothing(spark):
+    assert "Join" not in plan(queries.a8_band_imbalance(spark, SF))[0]

@@ -688,10 +688,10 @@ def w16_prompt_spacing(spark, sf_dir):
 
 @query
 def a8_band_imbalance(spark, sf_dir):
-    d = fixtures.depth(spark, sf_dir)
-    bands = flow.depth_bands(d, id_cols=[*KEY, "seq"], width=0.05)
-    anchors = d.select("seq", (0.5 * (F.get("bids", 0)["price"] + F.get("asks", 0)["price"])).alias("anchor"), (F.get("bids", 0)["price"] + 0.004).alias("mid"))
-    return flow.band_imbalance(bands.join(anchors, "seq"), id_cols=[*KEY, "seq"], width=0.05, reach=0.1).select(*KEY, "seq", r("band_imb").alias("band_imb"))
+    anchor, mid = 0.5 * (F.get("bids", 0)["price"] + F.get("asks", 0)["price"]), F.get("bids", 0)["price"] + 0.004
+    d = fixtures.depth(spark, sf_dir).withColumns({"anchor": anchor, "mid": mid})  # beside their snapshot, so nothing is joined
+    bands = flow.depth_bands(d, id_cols=[*KEY, "seq", "anchor", "mid"], width=0.05)
+    return flow.band_imbalance(bands, id_cols=[*KEY, "seq"], width=0.05, reach=0.1).select(*KEY, "seq", r("band_imb").alias("band_imb"))
 
 
 @query
