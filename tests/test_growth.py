@@ -44,3 +44,10 @@ def test_stream_labels_deal_by_time_too(spark):
 
 def test_band_imbalance_joins_nothing(spark):
     assert "Join" not in plan(queries.a8_band_imbalance(spark, SF))[0]
+
+
+def test_s14_depth_csv_writes_packed_files(spark, monkeypatch):
+    paths = []
+    monkeypatch.setattr(captures, "fresh", lambda s, n, f=captures.fresh: paths.append(f(s, n)) or paths[-1])
+    captures.s14_depth_csv(spark, SF)
+    assert glob.glob(paths[-1].removeprefix("file://") + "/*.csv.gz") and not glob.glob(paths[-1].removeprefix("file://") + "/*.csv")

@@ -21,6 +21,10 @@ from tidemark.sources import ticks as T
 from tidemark.streaming import jobs
 
 
+#: Lines that are written whole for a job to read: packed. A packed file is read by one task, so writers bound its rows.
+PACKED = {"compression": "gzip"}
+
+
 def lines(df: DataFrame, name: str, *columns: str) -> str:
     """The path of a folder of CSV files without header, as archives have them."""
     path = fresh(df.sparkSession, name)
@@ -151,7 +155,7 @@ def s14_depth_csv(spark, sf_dir):
     d = fixtures.depth(spark, sf_dir)
     side = lambda n: d.select("recv_ts_ms", F.lit("-").alias("recv_ts_utc"), "update_id", F.lit(None).cast("long").alias("event_ts_ms"), F.lit(None).cast("long").alias("transaction_ts_ms"), F.lit(n).alias("side"), F.posexplode(f"{n}s").alias("level", "x")).select("recv_ts_ms", "recv_ts_utc", "update_id", "event_ts_ms", "transaction_ts_ms", "side", "level", "x.price", "x.qty")
     path = fresh(spark, "depth")
-    side("bid").union(side("ask")).write.csv(path, header=True)
+    side("bid").union(side("ask")).write.options(**PACKED, maxRecordsPerFile=200_000).csv(path, header=True)
     s = files.read_depth_csv(spark, path)
     return s.select("recv_ts_ms", "update_id", F.size("bids").alias("n_bids"), r(F.get("bids", 0)["price"]).alias("bid"), r(F.get("asks", 19)["price"]).alias("last_ask"), F.col("event_ts_ms").isNull().alias("no_event"))
 
