@@ -51,3 +51,10 @@ def test_s14_depth_csv_writes_packed_files(spark, monkeypatch):
     monkeypatch.setattr(captures, "fresh", lambda s, n, f=captures.fresh: paths.append(f(s, n)) or paths[-1])
     captures.s14_depth_csv(spark, SF)
     assert glob.glob(paths[-1].removeprefix("file://") + "/*.csv.gz") and not glob.glob(paths[-1].removeprefix("file://") + "/*.csv")
+
+
+def test_p6_payload_rules_writes_packed_files(spark, monkeypatch):
+    paths = []
+    monkeypatch.setattr(captures, "fresh", lambda s, n, f=captures.fresh: paths.append(f(s, n)) or paths[-1])
+    captures.p6_payload_rules(spark, SF)
+    assert glob.glob(paths[-1].removeprefix("file://") + "/*.txt.gz") and not glob.glob(paths[-1].removeprefix("file://") + "/*.txt")

@@ -497,6 +497,6 @@ def p6_payload_rules(spark, sf_dir):
     trigger = F.struct(bad(3, F.lit("other"), F.lit("time")).alias("kind"), bad(4, F.lit("spot"), F.lit(None).cast("string")).alias("venue"))
     body = F.struct(bad(1, F.lit(4), F.lit(5)).alias("schema_version"), "asset", at.alias("current_time_ms"), bad(2, F.lit(60), F.lit(10)).alias("horizon_seconds"), F.lit(100).alias("num_percentiles"), trigger.alias("trigger"), F.struct(venue("spot").alias("spot"), venue("futures").alias("futures")).alias("venues"))
     path = fresh(spark, "judged")
-    t.select(F.to_json(body).alias("value")).write.text(path)
+    t.select(F.to_json(body).alias("value")).write.options(**PACKED, maxRecordsPerFile=10_000).text(path)
     judged = payloads.saved_payload_violations(spark.read.schema(files.PAYLOAD).json(path), assets={a: (a.upper(), 0.5) for a in ("click", "error", "purchase")}, kinds=("time", "event"), bars=2, bar_ms=1000)
     return judged.select("asset", "current_time_ms", F.array_join("codes", ",").alias("codes"))
