@@ -1,5 +1,6 @@
 import time
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -108,6 +109,66 @@ def test_retention_holds_lifetimes_only(spark, tmp_path):
     assert max(rows) < 200 and rows[-1] <= 8  # buckets, prompts and timers: a slice's and a lifetime's; then swept
 
 
+class Held:
+    """A map state that counts its reads."""
+
+    def __init__(self):
+        self.values, self.reads = {}, 0
+
+    def getValue(self, k):
+        self.reads += 1
+        return self.values.get(k)
+
+    def updateValue(self, k, v):
+        self.values[k] = v
+
+    def containsKey(self, k):
+        return k in self.values
+
+    def removeKey(self, k):
+        self.values.pop(k)
+
+    def keys(self):
+        return iter(list(self.values))
+
+
+class Clock:
+    def __init__(self, at):
+        self.at = at
+
+    def getExpiryTimeInMs(self):
+        return self.at
+
+    def getCurrentWatermarkInMs(self):
+        return 0
+
+
+def test_retention_reads_state_by_the_quarter():
+    """Packed quarters, each read once for prompts in a row, right after late rows and between two keys."""
+    states, timers = {}, []
+    job = jobs.Retention({"trades": 4000, "depth": 8000}, ["asset"])
+    job.init(type("Handle", (), {"getMapState": lambda s, n, *_: states.setdefault(n, Held()), "registerTimer": lambda s, at: timers.append(at)})())
+    ticks = [("trades" if i % 3 else "depth", 10 * i, float(i % 5)) for i in range(3000)]
+    asked = [(jobs.PROMPT, t, 0.0) for t in range(5000, 25_000, 500)]
+    table = lambda rows: pd.DataFrame(rows, columns=["stream", "recv_ts_ms", "size"])
+    ends = lambda t, key=("a",): next(iter(job.handleExpiredTimer(key, Clock(0), Clock(t)))).iloc[0]
+    sums = lambda rows, t: [f([x for s, at, x in rows if s == n and t - life < at <= t]) for n, life in job.lifetimes.items() for f in (len, sum)]
+    columns = ["n_trades", "size_trades", "n_depth", "size_depth"]
+    list(job.handleInputRows(("a",), iter([table(ticks[:700] + asked), table(ticks[700:]), table([(None, 0, None)])]), Clock(0)))
+    assert all(isinstance(x, bytes) for v in states["buckets"].values.values() for x in v)
+    assert set(timers) > {t for _, t, _ in asked}
+    reads = states["buckets"].reads
+    for _, t, _ in asked[:-2]:
+        assert ends(t)[columns].tolist() == sums(ticks, t)
+    assert states["buckets"].reads - reads <= len(states["buckets"].values)
+    late = [("trades", 24_100, 7.0), ("depth", 20_100, 3.0)]
+    list(job.handleInputRows(("a",), iter([table(late)]), Clock(0)))
+    assert ends(24_500)[columns].tolist() == sums(ticks + late, 24_500)
+    states["buckets"].values, kept = {}, states["buckets"].values  # the runtime shows another key's state
+    assert ends(24_000, ("b",))[columns].tolist() == [0, 0.0, 0, 0.0]
+    assert kept
+
+
 def test_flow_sessions_and_samples_in_batch(spark, source):
     t = spark.read.parquet(source)
     assert jobs.sliding_flow(t, keys=T.KEY, window="2 hours", step="1 hour", delay="1 hour").agg(F.sum("n")).first()[0] == 2 * t.count()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -167,7 +168,9 @@ class Retention(StatefulProcessor):
     """What each stream's lifetime holds at a prompt; rows are kept in quarters of their lifetime and go by these.
 
     A prompt waits for the watermark by a timer. Rows that no prompt to come can reach go: those a
-    lifetime before the watermark, or before the earliest prompt that still waits.
+    lifetime before the watermark, or before the earliest prompt that still waits. A quarter's times and
+    sizes are two values of packed numbers, so state is read and written by the quarter, not by the row; quarters that
+    a key's last prompt has read are kept for the next one.
     """
 
     def __init__(self, lifetimes: dict[str, int], keys: list[str]):
@@ -175,25 +178,38 @@ class Retention(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.buckets = handle.getMapState("buckets", "stream string, bucket long", "times array<long>, sizes array<double>")
+        self.buckets = handle.getMapState("buckets", "stream string, bucket long", "times binary, sizes binary")
         self.waiting = handle.getMapState("waiting", "at long", "n long")
+        self.read: tuple[tuple | None, dict] = (None, {})  # a key, and the quarters its last prompt saw
 
     def close(self) -> None:
         pass
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        given = pd.concat(list(rows))
-        for at, n in given.loc[given["stream"] == PROMPT, "recv_ts_ms"].value_counts().items():
-            self.waiting.updateValue((int(at),), (int(n),))
-            self.handle.registerTimer(int(at))
-        held = set(self.buckets.keys())
-        ticks = given[given["stream"].isin(self.lifetimes)]
-        for (stream, bucket), own in ticks.groupby(["stream", ticks["recv_ts_ms"] // ticks["stream"].map(self._width)]):
-            place = (stream, int(bucket))
-            times, sizes = self.buckets.getValue(place) if place in held else ((), ())
-            self.buckets.updateValue(place, ([*times, *own["recv_ts_ms"].tolist()], [*sizes, *own["size"].tolist()]))
-        if len(ticks):  # a key that falls silent is swept when its rows have outlived all prompts
-            self.handle.registerTimer(int(ticks["recv_ts_ms"].max()) + 2 * max(self.lifetimes.values()))
+        asked: Counter[int] = Counter()
+        came: dict[tuple[str, int], list[np.ndarray]] = {}  # by stream and quarter: times and sizes in turn
+        newest = None
+        for given in rows:
+            for stream, own in given.dropna(subset=["recv_ts_ms"]).groupby("stream"):
+                at = own["recv_ts_ms"].to_numpy(np.int64)
+                if stream == PROMPT:
+                    asked.update(at.tolist())
+                elif stream in self.lifetimes:
+                    quarter = at // self._width(stream)
+                    order = np.argsort(quarter, kind="stable")
+                    cuts = np.flatnonzero(np.diff(quarter[order])) + 1
+                    for mine in np.split(order, cuts):
+                        came.setdefault((stream, int(quarter[mine[0]])), []).extend((at[mine], own["size"].to_numpy(np.float64)[mine]))
+                    newest = max(int(at.max()), newest if newest is not None else int(at.max()))
+        for at, n in asked.items():
+            self.waiting.updateValue((at,), (n,))
+            self.handle.registerTimer(at)
+        held, self.read = set(self.buckets.keys()), (None, {})
+        for place, parts in came.items():
+            times, sizes = self.buckets.getValue(place) if place in held else (b"", b"")
+            self.buckets.updateValue(place, (b"".join([times, *(x.tobytes() for x in parts[::2])]), b"".join([sizes, *(x.tobytes() for x in parts[1::2])])))
+        if newest is not None:  # a key that falls silent is swept when its rows have outlived all prompts
+            self.handle.registerTimer(newest + 2 * max(self.lifetimes.values()))
         self._forget(timerValues.getCurrentWatermarkInMs())
         yield from ()
 
@@ -203,19 +219,23 @@ class Retention(StatefulProcessor):
             self._forget(timerValues.getCurrentWatermarkInMs())
             return
         row = dict(zip(self.keys, key, strict=True)) | {"current_time_ms": at}
+        before, now = self.read[1] if self.read[0] == key else {}, {}
         for stream, life in self.lifetimes.items():
             n, size, width = 0, 0.0, self._width(stream)
             for bucket in range((at - life) // width, at // width + 1):
-                found = self.buckets.getValue((stream, bucket))
+                place = (stream, bucket)
+                found = now[place] = before[place] if place in before else self.buckets.getValue(place)
                 if found is not None:
-                    times, sizes = map(np.array, found)
+                    times, sizes = np.frombuffer(found[0], np.int64), np.frombuffer(found[1], np.float64)
                     inside = (times > at - life) & (times <= at)
                     n, size = n + int(inside.sum()), size + float(sizes[inside].sum())
             row |= {f"n_{stream}": n, f"size_{stream}": size}
+        self.read = (key, now)
         self.waiting.removeKey((at,))
         yield pd.DataFrame([row])
 
     def _forget(self, watermark: int) -> None:
+        self.read = (None, {})
         since = min([watermark, *(at for (at,) in self.waiting.keys())])
         for stream, bucket in list(self.buckets.keys()):
             if (bucket + 1) * self._width(stream) <= since - self.lifetimes[stream]:
