@@ -4,6 +4,7 @@ import glob
 
 from pyspark.sql import functions as F
 
+from tidemark.operators import payloads
 from tidemark.plans import captures, queries
 from tidemark.streaming import jobs
 
@@ -58,3 +59,12 @@ def test_p6_payload_rules_writes_packed_files(spark, monkeypatch):
     monkeypatch.setattr(captures, "fresh", lambda s, n, f=captures.fresh: paths.append(f(s, n)) or paths[-1])
     captures.p6_payload_rules(spark, SF)
     assert glob.glob(paths[-1].removeprefix("file://") + "/*.txt.gz") and not glob.glob(paths[-1].removeprefix("file://") + "/*.txt")
+
+
+def test_payload_rows_go_to_two_buckets_and_few_prompts_a_task(spark, monkeypatch):
+    widths = []
+    monkeypatch.setattr(payloads, "_tagged", lambda streams, lives, width, f=payloads._tagged: widths.append((lives, width)) or f(streams, lives, width))
+    physical = plan(captures.q5_assembled_payloads(spark, SF))[1]
+    lives, width = widths[0]
+    assert all(life <= width for life in lives.values())
+    assert physical.count("REPARTITION_BY_NUM") == 2  # and no other exchange between these and the fold

@@ -38,6 +38,9 @@ STREAM_FIELDS = {
 }
 
 
+#: Prompts whose payloads are folded in one task, about: few enough to be folded by hash, so the rows of their windows are never sorted.
+PROMPTS_A_TASK = 16
+
 #: Streams of which a prompt gets single snapshots.
 SNAPSHOTS = ("depth", "bands")
 
@@ -93,7 +96,7 @@ def whole_payloads(
     tagged union, dealt once by asset and bucket of time with the prompts, and folded where they meet: neither the rows
     of the windows nor the payloads move again. For export: a row holds its windows whole, whose size the lives bound.
     """
-    width = max(min(lives.values()), max(lives.values()) // 4)
+    width = max(sorted(lives.values())[len(lives) // 4], max(lives.values()) // 4)  # or most rows would go to many buckets
     p = prompts.select(F.monotonically_increasing_id().alias("__id"), *PROMPT, "kind", F.col("venue").alias("__venue"))
     p = written(p, "prompts").withColumn("__bucket", F.coalesce(F.floor(F.col("current_time_ms") / width), F.lit(0)))
     keyed = lambda df: df.withColumn("__asset", F.coalesce(F.concat(F.lit("="), "asset"), F.lit("")))  # noqa: E731  (a null has a place, too)
@@ -105,7 +108,9 @@ def whole_payloads(
     rows = rows.unionByName(p.select("asset", "__bucket", F.col("__id").alias("__for")), allowMissingColumns=True)  # each prompt sees itself
     asked = written(p.join(starts, "__id", "left"), "asked")
     seen = F.when(F.col("__for").isNotNull(), F.col("__for") == F.col("__id")).otherwise((F.col("at") <= F.col("current_time_ms")) & (F.col("at") > F.col("current_time_ms") - F.col("life")))
-    j = keyed(rows).drop("asset").join(keyed(asked).hint("shuffle_hash"), ["__asset", "__bucket"]).filter(seen)
+    tasks = max(int(p.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-p.count() // PROMPTS_A_TASK))
+    dealt = lambda df: keyed(df).repartition(tasks, "__asset", "__bucket")
+    j = dealt(rows).drop("asset").join(dealt(asked).hint("shuffle_hash"), ["__asset", "__bucket"]).filter(seen)
     per_prompt = []
     for v in ("spot", "futures"):
         mine, start, u = F.col("venue") == v, F.col(f"__{v}"), F.col("depth_updates")
