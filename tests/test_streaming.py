@@ -1,3 +1,4 @@
+import shutil
 import time
 
 import pandas as pd
@@ -5,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import candles as C
+from tidemark.plans import queries
 from tidemark.sources import ticks as T
 from tidemark.streaming import jobs
 
@@ -39,6 +41,16 @@ def test_candles_equal_batch(spark, source, tmp_path):
     assert got.select(*want.columns).exceptAll(want).count() == 0
 
 
+@pytest.mark.parametrize("part, beside", [("part-0.parquet", "events_old.parquet"), ("part-0", "orders.parquet")])  # a table's files need no ending
+def test_candles_read_the_events_table_alone(spark, tmp_path, part, beside):
+    (tmp_path / "events.parquet").mkdir()
+    shutil.copy(f"{SF}/events.parquet", tmp_path / "events.parquet" / part)
+    shutil.copy("/root/testdata/sf0.01/events.parquet", tmp_path / beside)
+    want = jobs.stream_candles(T.ticks(spark, SF), keys=T.KEY, bar="1 hour", delay="1 hour")
+    got = queries.x1_stream_candles(spark, str(tmp_path))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
 def test_moves_keep_state_across_batches(spark, source, tmp_path):
     got = drained(spark, jobs.stream_moves(read(spark, source), keys=T.KEY, tick=0.5, delay="1 hour"), tmp_path)
     rows = spark.read.parquet(source).sort("recv_ts_ms", "seq").collect()
