@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import LongType, StructType
 
 from tidemark.operators import windows
 from tidemark.scratch import written
@@ -38,11 +42,13 @@ STREAM_FIELDS = {
 }
 
 
-#: Prompts whose payloads are folded in one task, about: few enough to be folded by hash, so the rows of their windows are never sorted.
+#: Prompts whose payloads are folded in one task, about.
 PROMPTS_A_TASK = 16
 
-#: Streams of which a prompt gets single snapshots.
+#: Streams of which a prompt gets single snapshots, and those of which it gets the rows of a window.
 SNAPSHOTS = ("depth", "bands")
+WINDOWS = tuple(n for n in STREAM_FIELDS if n not in SNAPSHOTS)
+VENUES = ("spot", "futures")
 
 
 def _picked(prompts: DataFrame, streams: dict[str, DataFrame], lives: dict[str, int], made: dict[str, Callable[[DataFrame], DataFrame]], back_ms: int) -> DataFrame:
@@ -50,7 +56,7 @@ def _picked(prompts: DataFrame, streams: dict[str, DataFrame], lives: dict[str,
 
     Places are found on instants and ``seq`` alone; the snapshots found, few and each once, are then looked up and made.
     """
-    asked = prompts.select(*PROMPT).distinct().withColumn("venue", F.explode(F.array(F.lit("spot"), F.lit("futures"))))
+    asked = prompts.select(*PROMPT).distinct().withColumn("venue", F.explode(F.array(*map(F.lit, VENUES))))
     place = ["asset", "venue", "at", "seq"]
     out = None
     for name in SNAPSHOTS:
@@ -67,16 +73,86 @@ def _picked(prompts: DataFrame, streams: dict[str, DataFrame], lives: dict[str,
 
 
 def _tagged(streams: dict[str, DataFrame], lives: dict[str, int], width_ms: int) -> DataFrame:
-    """All streams but snapshots as one table: ``asset, venue, at, seq, life``, a struct column a stream, null but for the
-    row's own, and the buckets of time whose prompts can see the row."""
-    kinds = {n: rows.select(F.struct(*STREAM_FIELDS[n]).alias(n)).schema[n].dataType for n, rows in streams.items() if n not in SNAPSHOTS}
+    """All streams but snapshots as one table: ``asset, venue, at, seq``, an array column a stream, empty but for the
+    row's own, and the buckets of time whose prompts can see the row.
+
+    Empty arrays, as nulls cost their fields' width on the way to Python, and arrays in them time by the square of a batch.
+    """
+    kinds = {n: streams[n].select(F.array(F.struct(*STREAM_FIELDS[n])).alias(n)).schema[n].dataType for n in WINDOWS}
     out = None
     for name in kinds:
-        rows = streams[name].select("asset", "venue", F.col("at"), "seq", F.lit(lives[name]).cast("long").alias("life"), F.struct(*STREAM_FIELDS[name]).alias("__row"))
-        own = rows.select("asset", "venue", "at", "seq", "life", *[(F.col("__row") if n == name else F.lit(None).cast(k)).alias(n) for n, k in kinds.items()])
+        rows = streams[name].select("asset", "venue", F.col("at"), "seq", F.lit(lives[name]).cast("long").alias("life"), F.array(F.struct(*STREAM_FIELDS[name])).alias("__row"))
+        own = rows.select("asset", "venue", "at", "seq", "life", *[(F.col("__row") if n == name else F.array().cast(k)).alias(n) for n, k in kinds.items()])
         out = own if out is None else out.unionByName(own)
     seen = F.sequence(F.floor(F.col("at") / width_ms), F.floor((F.col("at") + F.col("life") - 1) / width_ms))
-    return out.filter("asset is not null").withColumn("__bucket", F.explode(seen))
+    return out.filter("asset is not null").withColumn("__bucket", F.explode(seen)).drop("life")
+
+
+def _placed(prompts: DataFrame, picks: DataFrame, tolerance_ms: int) -> DataFrame:
+    """Prompts with each venue's snapshots: ``spot_depth``, ``spot_bands`` and ``spot_start``, the first two with their instants."""
+    held = []
+    for v in VENUES:
+        for name in SNAPSHOTS:
+            latest = (F.col("venue") == v) & (F.col("place") == f"{name}_latest")
+            held += [F.max_by(F.when(latest, F.col(name)), F.when(latest, F.col("at"))).alias(f"{v}_{name}"), F.max(F.when(latest, F.col("at"))).alias(f"{v}_{name}_at")]
+        nearest = (F.col("venue") == v) & (F.col("place") == "depth_start") & (F.col("off") <= tolerance_ms)
+        held.append(F.max_by(F.when(nearest, F.col("depth")), F.when(nearest, F.col("at"))).alias(f"{v}_start"))
+    return prompts.join(picks.groupBy(*PROMPT).agg(*held), PROMPT, "left")
+
+
+def _in_order(batches: list[pa.RecordBatch], name: str) -> tuple[np.ndarray, pa.StructArray]:
+    """Instants and rows of one stream by ``at`` and ``seq``; rows that share both, by their fields."""
+    t = pa.Table.from_batches(batches)
+    rows = pa.concat_arrays([c.flatten() for c in t.column(name).chunks])
+    fields = {f"f{i}": pc.struct_field(rows, [i]) for i, f in enumerate(rows.type) if not pa.types.is_nested(f.type)}
+    keys = pa.table({"at": t.column("at"), "seq": t.column("seq"), **fields})
+    order = pc.sort_indices(keys, sort_keys=[(c, "ascending") for c in keys.column_names], null_placement="at_start")
+    return t.column("at").take(order).to_numpy(), rows.take(order)
+
+
+def _folded(rows: DataFrame, lives: dict[str, int], *, back_ms: int, bridge_ms: int) -> DataFrame:
+    """The prompts among the rows of ``_tagged`` (``prompt``) with each stream's window as an array, and its newest instant.
+
+    A bucket comes in batches and is held once, as sorted columns a stream; a window is a slice of
+    them, and a prompt is a batch of its own. So what a task holds goes by its bucket's rows, not by rows times prompts.
+    """
+    schema = StructType().add("prompt", rows.schema["prompt"].dataType.elementType)
+    for v in VENUES:
+        for n in WINDOWS:
+            schema = schema.add(f"{v}_{n}", rows.schema[n].dataType).add(f"{v}_{n}_at", LongType())
+    wanted = to_arrow_schema(schema)
+
+    def goes_on(updates: pa.StructArray, prompt: pa.StructArray, v: str) -> pa.Array:
+        recv, first, final = (pc.struct_field(updates, f) for f in ("recv_ts_ms", "first_id", "final_id"))
+        now, start, start_ms = (pc.struct_field(prompt, f)[0] for f in ("current_time_ms", [f"{v}_start", "update_id"], [f"{v}_start", "recv_ts_ms"]))
+        bridge = pc.and_kleene(pc.greater(recv, pc.subtract(start_ms, bridge_ms)), pc.less_equal(first, pc.add(start, 1)))
+        return pc.and_kleene(pc.greater_equal(final, start), pc.or_kleene(pc.greater(recv, pc.subtract(now, back_ms)), bridge))
+
+    def fold(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked, parts = [], {(v, n): [] for v in VENUES for n in WINDOWS}
+        for b in batches:
+            asked.append(b.column("prompt").flatten())
+            for v, n in parts:
+                mine = b.select(["at", "seq", n]).filter(pc.and_(pc.greater(pc.list_value_length(b.column(n)), 0), pc.equal(b.column("venue"), v)))
+                if len(mine):
+                    parts[v, n].append(mine)
+        prompts = pa.concat_arrays(asked)
+        held = {k: _in_order(parts.pop(k), k[1]) if parts[k] else None for k in list(parts)} if len(prompts) else {}
+        for i in range(len(prompts)):
+            prompt, out = prompts.slice(i, 1), {}
+            now = pc.struct_field(prompt, "current_time_ms")[0].as_py()
+            for (v, n), there in held.items():
+                kind = wanted.field(f"{v}_{n}").type
+                at, window = there or (np.empty(0, np.int64), pa.array([], kind.value_type))
+                lo, hi = (0, 0) if now is None else map(int, np.searchsorted(at, [now - lives[n], now], side="right"))
+                window = window.slice(lo, hi - lo)
+                if n == "depth_updates" and hi > lo:
+                    window = window.filter(goes_on(window, prompt, v))
+                out[f"{v}_{n}"] = pa.ListArray.from_arrays(pa.array([0, len(window)], pa.int32()), window, type=kind)
+                out[f"{v}_{n}_at"] = pa.array([int(at[hi - 1]) if hi > lo else None], pa.int64())
+            yield pa.RecordBatch.from_arrays([prompt, *out.values()], schema=wanted)
+
+    return rows.groupBy("__asset", "__bucket").applyInArrow(fold, schema)
 
 
 def whole_payloads(
@@ -97,42 +173,21 @@ def whole_payloads(
     of the windows nor the payloads move again. For export: a row holds its windows whole, whose size the lives bound.
     """
     width = max(sorted(lives.values())[len(lives) // 4], max(lives.values()) // 4)  # or most rows would go to many buckets
-    p = prompts.select(F.monotonically_increasing_id().alias("__id"), *PROMPT, "kind", F.col("venue").alias("__venue"))
-    p = written(p, "prompts").withColumn("__bucket", F.coalesce(F.floor(F.col("current_time_ms") / width), F.lit(0)))
-    keyed = lambda df: df.withColumn("__asset", F.coalesce(F.concat(F.lit("="), "asset"), F.lit("")))  # noqa: E731  (a null has a place, too)
-    picks = written(p.select("__id", "asset", "__bucket", "current_time_ms").join(_picked(p, streams, lives, made or {}, back_ms), PROMPT), "picks")
-    starts = picks.filter(f"place = 'depth_start' and off <= {tolerance_ms}").groupBy("__id").agg(
-        *[F.max(F.when(F.col("venue") == v, F.struct("depth.update_id", "depth.recv_ts_ms"))).alias(f"__{v}") for v in ("spot", "futures")])
-    own = picks.select("asset", "__bucket", F.col("__id").alias("__for"), "venue", "place", "at", "off", "depth", "bands")
-    rows = _tagged(streams, lives, width).unionByName(own, allowMissingColumns=True)
-    rows = rows.unionByName(p.select("asset", "__bucket", F.col("__id").alias("__for")), allowMissingColumns=True)  # each prompt sees itself
-    asked = written(p.join(starts, "__id", "left"), "asked")
-    seen = F.when(F.col("__for").isNotNull(), F.col("__for") == F.col("__id")).otherwise((F.col("at") <= F.col("current_time_ms")) & (F.col("at") > F.col("current_time_ms") - F.col("life")))
+    p = written(prompts.select(*PROMPT, "kind", F.col("venue").alias("__venue")), "prompts")
+    asked = written(_placed(p, _picked(p, streams, lives, made or {}, back_ms), tolerance_ms), "asked")
     tasks = max(int(p.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-p.count() // PROMPTS_A_TASK))
-    dealt = lambda df: keyed(df).repartition(tasks, "__asset", "__bucket")
-    j = dealt(rows).drop("asset").join(dealt(asked).hint("shuffle_hash"), ["__asset", "__bucket"]).filter(seen)
-    per_prompt = []
-    for v in ("spot", "futures"):
-        mine, start, u = F.col("venue") == v, F.col(f"__{v}"), F.col("depth_updates")
-        bridge = (u["recv_ts_ms"] > start["recv_ts_ms"] - bridge_ms) & (u["first_id"] <= start["update_id"] + 1)
-        goes_on = (u["final_id"] >= start["update_id"]) & ((u["recv_ts_ms"] > F.col("current_time_ms") - back_ms) | bridge)
-        times = []
-        for name in STREAM_FIELDS:
-            if name in SNAPSHOTS:
-                latest = mine & (F.col("place") == f"{name}_latest")
-                per_prompt.append(F.max_by(F.when(latest, F.col(name)), F.when(latest, F.col("at"))).alias(f"{v}_{name}"))
-                newest = F.when(latest, F.col("at"))
-            else:
-                there = mine & F.col(name).isNotNull()
-                kept = there & goes_on if name == "depth_updates" else there
-                held = F.array_sort(F.collect_list(F.when(kept, F.struct("at", "seq", F.col(name).alias("row")))))
-                per_prompt.append(F.transform(held, lambda x: x["row"]).alias(f"{v}_{name}"))
-                newest = F.when(there, F.col("at"))
-            times.append(F.struct(F.lit(name), F.max(newest)))
-        nearest = mine & (F.col("place") == "depth_start") & (F.col("off") <= tolerance_ms)
-        per_prompt.append(F.max_by(F.when(nearest, F.col("depth")), F.when(nearest, F.col("at"))).alias(f"{v}_start"))
-        per_prompt.append(F.map_from_entries(F.filter(F.array(*times), lambda e: e["col2"].isNotNull())).alias(f"{v}_times"))
-    full = j.groupBy("__asset", "__bucket", "__id", *PROMPT, "kind", "__venue").agg(*per_prompt)
+
+    def dealt(df: DataFrame) -> DataFrame:
+        keyed = df.withColumn("__asset", F.coalesce(F.concat(F.lit("="), "asset"), F.lit("")))  # a null has a place, too
+        return keyed.drop("asset").repartition(tasks, "__asset", "__bucket")
+
+    tagged = _tagged(streams, lives, width)
+    own = F.array(F.struct(*asked.columns)).alias("prompt")
+    bucket = F.coalesce(F.floor(F.col("current_time_ms") / width), F.lit(0)).alias("__bucket")
+    asking = asked.select("asset", bucket, own, *[F.array().cast(tagged.schema[n].dataType).alias(n) for n in WINDOWS])
+    tagged = tagged.withColumn("prompt", F.array().cast(asked.select(own).schema["prompt"].dataType))
+    rows = dealt(tagged).unionByName(dealt(asking), allowMissingColumns=True)
+    full = _folded(rows, lives, back_ms=back_ms, bridge_ms=bridge_ms).select("prompt.*", *[f"{v}_{n}{x}" for v in VENUES for n in WINDOWS for x in ("", "_at")])
     known = lambda i: F.coalesce(*[F.when(F.col("asset") == a, F.lit(spec[i])) for a, spec in assets.items()])
 
     def side(v: str) -> Column:
@@ -142,10 +197,11 @@ def whole_payloads(
         none = F.array().cast("array<double>")
         sizes = [F.coalesce(b[n], none) for n in ("bids", "asks")]
         bands = F.struct(F.coalesce(b["anchor_price"], F.lit(0.0)), known(1), *sizes, F.coalesce(b["recv_ts_ms"], F.lit(0).cast("long")))
-        held = [F.col(f"{v}_{n}") for n in STREAM_FIELDS if n not in SNAPSHOTS]
-        return F.struct(known(0), F.coalesce(complete, F.lit(False)), *held, F.col(f"{v}_start"), F.col(f"{v}_depth"), bands, F.col(f"{v}_times"))
+        held = [F.col(f"{v}_{n}") for n in WINDOWS]
+        times = F.map_from_entries(F.filter(F.array(*[F.struct(F.lit(n).alias("name"), F.col(f"{v}_{n}_at").alias("at")) for n in STREAM_FIELDS]), lambda e: e["at"].isNotNull()))
+        return F.struct(known(0), F.coalesce(complete, F.lit(False)), *held, F.col(f"{v}_start"), F.col(f"{v}_depth"), bands, times)
 
-    venues = F.struct(side("spot").alias("spot"), side("futures").alias("futures"))
+    venues = F.struct(*[side(v).alias(v) for v in VENUES])
     trigger = F.struct("kind", F.col("__venue").alias("venue"))
     numbers = [F.lit(n).cast("int").alias(c) for n, c in ((horizon, "horizon_seconds"), (percentiles, "num_percentiles"))]
     kinds = StructType.fromDDL(PAYLOAD)

@@ -402,7 +402,7 @@ def payload_streams(spark, sf_dir) -> dict[str, DataFrame]:
     t = T.ticks(spark, sf_dir)
     at, futures = F.col("recv_ts_ms"), F.col("venue") == "futures"
     place, timed = [F.col("asset"), F.col("venue"), at.alias("at"), F.col("seq")], F.when(futures, at)
-    d = fixtures.depth(spark, sf_dir)
+    d = t.select(*place, "recv_ts_ms", "bid_price", "ask_price")  # without levels: those that prompts get are made into snapshots
     bars = full_candles(spark, sf_dir).withColumns({"at": F.col("open_time_ms") + HOUR, "seq": F.lit(0).cast("long")})
     none = F.array().cast(files.LEVELS)
     return {
@@ -411,14 +411,20 @@ def payload_streams(spark, sf_dir) -> dict[str, DataFrame]:
         "book_ticker": t.select(*place, "recv_ts_ms", "bid_price", "bid_qty", "ask_price", "ask_qty", timed.alias("event_ts_ms"), timed.alias("transaction_ts_ms")),
         "liquidations": t.filter(futures & (F.col("asset") == "error")).select(*place, "ts_ms", "recv_ts_ms", "price", "qty", "is_buy"),
         "depth_updates": t.select(*place, "recv_ts_ms", at.alias("event_ts_ms"), timed.alias("transaction_ts_ms"), (F.col("seq") * 3 - 2).alias("first_id"), (F.col("seq") * 3).alias("final_id"), F.when(futures, F.col("seq") * 3 - 3).alias("prev_final_id"), none.alias("bids"), none.alias("asks")),
-        "depth": d.select(*place, "recv_ts_ms", (F.col("seq") * 3 - 1).alias("update_id"), timed.alias("event_ts_ms"), timed.alias("transaction_ts_ms"), "bids", "asks"),
-        "bands": d.filter(~futures & F.get("bids", F.lit(0))["price"].isNotNull() & F.get("asks", F.lit(0))["price"].isNotNull()).select(*place, "recv_ts_ms", "bids", "asks"),
+        "depth": d,
+        "bands": d.filter(~futures & F.col("bid_price").isNotNull() & F.col("ask_price").isNotNull()),
     }
 
 
-def banded(snapshots: DataFrame) -> DataFrame:
-    """Snapshots as the payload's bands round their mids."""
-    b = flow.dense_bands(snapshots, id_cols=[*KEY, "at", "seq", "recv_ts_ms"], width=0.05)
+def leveled(quotes: DataFrame) -> DataFrame:
+    """Quotes as the payload's snapshots; futures have exchange times."""
+    timed = F.when(F.col("venue") == "futures", F.col("at"))
+    return fixtures.depth_of(quotes, "at").withColumns({"update_id": F.col("seq") * 3 - 1, "event_ts_ms": timed, "transaction_ts_ms": timed})
+
+
+def banded(quotes: DataFrame) -> DataFrame:
+    """Quotes as the payload's bands round the mids of their snapshots."""
+    b = flow.dense_bands(fixtures.depth_of(quotes, "at"), id_cols=[*KEY, "at", "seq", "recv_ts_ms"], width=0.05)
     return b.withColumnsRenamed({"anchor": "anchor_price", "bid_bands": "bids", "ask_bands": "asks"})
 
 
@@ -428,7 +434,7 @@ def q5_whole_payloads(spark, sf_dir):
     p = T.clock_prompts(spark, sf_dir).select("asset", "current_time_ms", F.lit("time").alias("kind"), F.lit(None).cast("string").alias("venue"))
     assets = {a: (a.upper(), 0.05) for a in ("click", "error", "purchase", "signup", "view")}
     lives = {"candles_1s": 48 * HOUR, "trades": 6 * HOUR, "book_ticker": 6 * HOUR, "liquidations": 48 * HOUR, "depth_updates": 24 * HOUR, "depth": 24 * HOUR, "bands": 6 * HOUR}
-    w = payloads.whole_payloads(p, payload_streams(spark, sf_dir), assets=assets, lives=lives, bars=48, bar_ms=HOUR, back_ms=12 * HOUR, tolerance_ms=4 * HOUR, bridge_ms=6 * HOUR, made={"bands": banded})
+    w = payloads.whole_payloads(p, payload_streams(spark, sf_dir), assets=assets, lives=lives, bars=48, bar_ms=HOUR, back_ms=12 * HOUR, tolerance_ms=4 * HOUR, bridge_ms=6 * HOUR, made={"depth": leveled, "bands": banded})
     judged = payloads.saved_payload_violations(w, assets=assets, kinds=("time", "event"), bars=48, bar_ms=HOUR)
     sizes = [F.size(f"venues.{v}.{s}").alias(f"{v}_{s}") for v in ("spot", "futures") for s in ("candles_1s", "trades", "book_ticker", "liquidations", "depth_updates")]
     ids = [F.col(f"venues.{v}.{d}.update_id").alias(f"{v}_{d}") for v in ("spot", "futures") for d in ("depth_start", "depth_latest")]
@@ -442,7 +448,7 @@ def q5_assembled_payloads(spark, sf_dir):
     p = T.clock_prompts(spark, sf_dir).select("asset", "current_time_ms", F.lit("time").alias("kind"), F.lit(None).cast("string").alias("venue"))
     assets = {a: (a.upper(), 0.05) for a in ("click", "error", "purchase", "view")}
     lives = {n: (2 if n == "book_ticker" else 6) * HOUR for n in payloads.STREAM_FIELDS}
-    w = payloads.whole_payloads(p, payload_streams(spark, sf_dir), assets=assets, lives=lives, bars=6, bar_ms=HOUR, back_ms=3 * HOUR, tolerance_ms=HOUR, bridge_ms=HOUR, made={"bands": banded})
+    w = payloads.whole_payloads(p, payload_streams(spark, sf_dir), assets=assets, lives=lives, bars=6, bar_ms=HOUR, back_ms=3 * HOUR, tolerance_ms=HOUR, bridge_ms=HOUR, made={"depth": leveled, "bands": banded})
     at = F.col("current_time_ms")
     w = w.withColumn("current_time_ms", F.when(at % (7 * HOUR) == 0, at - 3 * HOUR).otherwise(at))
     v = payloads.saved_payload_violations(w, assets=assets, kinds=("time", "event"), bars=6, bar_ms=HOUR)
